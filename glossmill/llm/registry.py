@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import decontam, secret_scan, sharding
+from glossmill.llm import binary_out, bpe, decontam, secret_scan, sharding, token_edits
 from glossmill.llm.common import read
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = token_edits.sample_edits(token_edits.build_state(read(spark, sf_dir, "documents")))
+    return token_edits.apply_listed(state).select("doc_id", "n_edits", "n_before", "n_tokens", "n_pieces", "n_reencoded", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trips(read(spark, sf_dir, "documents"))
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return secret_scan.digest(secret_scan.with_spans(docs, secret_scan.blob_findings(docs)))
@@ -25,10 +34,17 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_out.training_order(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_counts": op3_token_counts,
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_secret_scans": op5_secret_scans,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_sharding": op8_sharding,
+    "op10_training_order": op10_training_order,
 }
 
 SQL: dict[str, str] = {}
