@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import binary_out, bpe, decontam, secret_scan, sharding, token_edits
+from glossmill.llm import binary_out, bpe, decontam, secret_scan, sharding, simhash, token_edits
 from glossmill.llm.common import read
 
 
@@ -34,6 +34,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_out.training_order(read(spark, sf_dir, "documents"))
 
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scans": op5_secret_scans,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_sharding": op8_sharding,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_training_order": op10_training_order,
 }
 
