@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import binary_out, bpe, decontam, secret_scan, sharding, simhash, token_edits
+from glossmill.llm import binary_out, bpe, decontam, langid, quality, secret_scan, sharding, simhash, token_edits, toxicity
 from glossmill.llm.common import read
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.cleaned(read(spark, sf_dir, "documents")).drop("cleaned")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classified(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = token_edits.sample_edits(token_edits.build_state(read(spark, sf_dir, "documents")))
     return token_edits.apply_listed(state).select("doc_id", "n_edits", "n_before", "n_tokens", "n_pieces", "n_reencoded", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
@@ -29,6 +37,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(read(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(read(spark, sf_dir, "documents"), sharding.TREE, sharding.GROWN)
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -44,10 +56,13 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_secret_scans": op5_secret_scans,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_language_id": op7_language_id,
     "op8_sharding": op8_sharding,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_training_order": op10_training_order,
