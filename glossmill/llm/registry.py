@@ -20,7 +20,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = token_edits.sample_edits(token_edits.build_state(read(spark, sf_dir, "documents")))
+    state = token_edits.sample_edits(token_edits.new_state(read(spark, sf_dir, "documents")))
     return token_edits.apply_listed(state).select("doc_id", "n_edits", "n_before", "n_tokens", "n_pieces", "n_reencoded", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
 

@@ -152,7 +152,8 @@ def build_state(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def apply_listed(state: DataFrame, path: str | None = None) -> DataFrame:
     """State rows that also have edits (an array of start, end, text): the state after them, the count before them
-    (n_before), and how many edits there were (n_edits), pieces (n_pieces) and pieces encoded again (n_reencoded)."""
+    (n_before), and how many edits there were (n_edits), pieces (n_pieces) and pieces encoded again (n_reencoded).
+    Rows of which nothing is kept yet (null piece_chars) get their tree here."""
     bounded_batches(state.sparkSession)
     ranks = state.sparkSession.sparkContext.broadcast(read_ranks(path or public_tokenizers.path(VOCABULARY)))
     fields = [("text", pa.string()), ("piece_chars", pa.binary()), ("piece_tokens", pa.binary()), ("n_tokens", pa.int64()), ("n_before", pa.int64()), ("n_edits", pa.int32()), ("n_pieces", pa.int32()), ("n_reencoded", pa.int32())]
@@ -162,7 +163,11 @@ def apply_listed(state: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             out = []
             for text, chars, tokens, before, edits in zip(*(batch.column(c).to_pylist() for c in ("text", "piece_chars", "piece_tokens", "n_tokens", "edits"))):
-                again = 0
+                again, text = 0, text or ""
+                if chars is None:
+                    pieces = enc.split(text)
+                    chars, tokens = np.fromiter(map(len, pieces), "<i4", len(pieces)).tobytes(), np.array(counted(enc, pieces), "<i4")
+                    before, tokens = int(tokens.sum()), tokens.tobytes()
                 if edits:
                     tree = PieceTree(np.frombuffer(chars, "<i4").tolist(), np.frombuffer(tokens, "<i4").tolist())
                     for e in edits:
@@ -180,6 +185,11 @@ def apply_listed(state: DataFrame, path: str | None = None) -> DataFrame:
     return state.select("doc_id", "text", "piece_chars", "piece_tokens", "n_tokens", F.col("edits").cast(EDITS).alias("edits")).mapInArrow(run, f"doc_id {kind}, text string, piece_chars binary, piece_tokens binary, n_tokens long, n_before long, n_edits int, n_pieces int, n_reencoded int")
 
 
+def new_state(docs: DataFrame) -> DataFrame:
+    """State rows of which nothing is kept yet."""
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), F.lit(None).cast("binary").alias("piece_chars"), F.lit(None).cast("binary").alias("piece_tokens"), F.lit(None).cast("long").alias("n_tokens"))
+
+
 def apply_edits(state: DataFrame, edits: DataFrame, path: str | None = None) -> DataFrame:
     """The state after a log of edits (doc_id, number, start, end, text). A document's edits follow on each other, so
     one task applies them, and its memory holds them: they are the log of one document, not of a key or a source."""
@@ -191,7 +201,7 @@ def apply_edits(state: DataFrame, edits: DataFrame, path: str | None = None) ->
 def sample_edits(state: DataFrame) -> DataFrame:
     """state with three edits for every document, fixed by its id: an insertion, a deletion of up to 40 characters
     and a replacement of up to 12, at hashed places."""
-    size = F.length("text") + 1
+    size = F.coalesce(F.length("text"), F.lit(0)) + 1
     at = lambda salt: F.pmod(F.xxhash64(F.lit(salt), F.col("doc_id")), size.cast("long")).cast("int")
     word = F.concat(F.lit(" "), F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 9), F.lit("'s "))
     edit = lambda a, n, text: F.struct(a.alias("start"), (a + n).alias("end"), text.alias("text"))
