@@ -194,6 +194,17 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     return over_texts(docs, ["doc_id"], row, schema, "ids binary, n_tokens long", path)
 
 
+def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, ids, n_tokens, and whether the ids decode to the text's own bytes (round_trip)."""
+    schema = pa.schema([("ids", pa.binary()), ("n_tokens", pa.int64()), ("round_trip", pa.bool_())])
+
+    def row(enc: Encoder, text: str) -> tuple:
+        ids = enc.encode(text)
+        return ids, len(ids) // 4, enc.decode(ids) == text.encode()
+
+    return over_texts(docs, ["doc_id"], row, schema, "ids binary, n_tokens long, round_trip boolean", path)
+
+
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, text of rows of ids; bytes that are no UTF-8 become replacement characters."""
     bounded_batches(tokens.sparkSession)

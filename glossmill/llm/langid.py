@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,27 +128,25 @@ def fit(docs: DataFrame, seed: int = 3) -> dict:
     return {"idf": idf, "langs": langs, "vectors": np.stack([np.frombuffer(r[1], np.float32) for r in found]), "of": np.array([langs.index(r[0]) for r in found]), "least": np.array([r[2] for r in found])}
 
 
+def judged(text: str | None, m: dict) -> tuple[str, float, bool]:
+    """Language, score and whether the text is rejected."""
+    v = vector(text, m["idf"]) if m["langs"] else None
+    if v is None:
+        return UNKNOWN, 0.0, True
+    near = m["vectors"] @ v
+    at = int(near.argmax())
+    score = min(1.0, max(0.0, float(near[at])))
+    return m["langs"][m["of"][at]], score, score < MARGIN * m["least"][at]
+
+
 def predicted(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred, score, rejected of every document."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            lang, score, rejected = [], [], []
-            for text in batch.column("text").to_pylist():
-                v = vector(text, m["idf"]) if m["langs"] else None
-                if v is None:
-                    best, s, far = UNKNOWN, 0.0, True
-                else:
-                    near = m["vectors"] @ v
-                    at = int(near.argmax())
-                    best, s = m["langs"][m["of"][at]], min(1.0, max(0.0, float(near[at])))
-                    far = s < MARGIN * m["least"][at]
-                lang.append(best)
-                score.append(s)
-                rejected.append(far)
+            lang, score, rejected = zip(*(judged(t, shared.value) for t in batch.column("text").to_pylist())) if len(batch) else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
@@ -156,3 +155,16 @@ def predicted(docs: DataFrame, model: dict) -> DataFrame:
 def identified(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected."""
     return predicted(docs, fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of docs that aren't rejected, columns as they were. The texts are judged where they are read: rows
+    pass through the workers whole, and nothing is shuffled."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
+
+    @F.pandas_udf("boolean")
+    def near(texts: pd.Series) -> pd.Series:
+        return pd.Series([not judged(t, shared.value)[2] for t in texts], dtype=bool)
+
+    return docs.filter(near(F.col("text").cast("string")))

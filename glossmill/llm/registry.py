@@ -55,6 +55,12 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_out.training_order(read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_training_order": op10_training_order,
+    "pipeline": pipeline,
 }
 
 SQL: dict[str, str] = {}
