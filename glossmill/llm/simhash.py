@@ -246,7 +246,8 @@ def first_of_each(docs: DataFrame, limit: int = 2) -> DataFrame:
     found = near_duplicates(docs, limit)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__rows"))
     kept = staged(kept.withColumnRenamed("doc_id", "__kept"), "kept")
-    rest = docs.join(kept.select("__kept"), docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    # the ids grow with the input: one plan for all sizes, whose cost on a small input tells that on a large one
+    rest = docs.join(kept.select("__kept").hint("merge"), docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
     if kept.filter("__kept is not null and __rows > 1").isEmpty():
         return rest
     return rest.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.filter("doc_id is null"))
