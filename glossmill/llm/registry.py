@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import binary_out, bpe, decontam, langid, quality, secret_scan, sharding, simhash, token_edits, toxicity
+from glossmill.llm import binary_out, bpe, decontam, langid, quality, secret_scan, sharding, simhash, sql, token_edits, toxicity
 from glossmill.llm.common import read
 
 
@@ -75,4 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = sql.SQL
