@@ -17,6 +17,7 @@ from glossmill.functions import text as T
 from glossmill.operators import diversity, gates, generate, judge, metrics, realism, windows
 from glossmill.plans import report
 from glossmill.plans import rounds as rounds_plan
+from glossmill.plans.staging import spread
 from glossmill.sources import io, providers
 from glossmill.streaming import breaker
 
@@ -46,7 +47,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
+    d = spread(read(spark, sf_dir, "documents"))
     return d.select(c("doc_id").alias("seq"), "text", (c("doc_id") % 5 + 1).cast("int").alias("rating"), c("source").alias("model"), c("lang").alias("session"), (c("doc_id") % 3 + 1).cast("int").alias("attempt"))
 
 
@@ -78,7 +79,7 @@ SELECT round(avg(n), 6) AS avg_length, round(stddev_pop(n), 6) AS std_length, ro
     round(avg(wps), 6) AS avg_words_per_sentence, round(avg(tt), 6) AS avg_tech_terms, CAST(min(n) AS BIGINT) AS min_length, CAST(max(n) AS BIGINT) AS max_length
 FROM ({STATS_SQL.format(table='documents')})""")
 def corpus_stats(spark, sf_dir):
-    return realism.corpus_stats(read(spark, sf_dir, "documents").select("text"))
+    return realism.corpus_stats(reviews(spark, sf_dir).select("text"))
 
 
 @query(f"SELECT doc_id AS seq, CAST(len({w('text')}) AS BIGINT) AS n_words, CAST(len(list_distinct({w('lower(text)')})) AS BIGINT) AS n_unique, CAST(len(string_split(text, '.')) AS BIGINT) AS n_sentences FROM documents")
@@ -360,7 +361,7 @@ SELECT round(sl, 6) AS synthetic_avg_length, round(su, 6) AS synthetic_avg_uniqu
     round(dl * 100, 6) AS length_diff_pct, round(du * 100, 6) AS unique_words_diff_pct, round(ds * 100, 6) AS sentence_diff_pct, round(score, 6) AS realism_score,
     CASE WHEN score > 0.9 THEN 'excellent' WHEN score > 0.8 THEN 'good' WHEN score > 0.7 THEN 'moderate' ELSE 'needs_improvement' END AS comparison_quality FROM e""")
 def realism_compare(spark, sf_dir):
-    return realism.compare(realism.corpus_stats(read(spark, sf_dir, "documents")), realism.corpus_stats(read(spark, sf_dir, "benchmark")))
+    return realism.compare(realism.corpus_stats(reviews(spark, sf_dir)), realism.corpus_stats(read(spark, sf_dir, "benchmark")))
 
 
 RUN_SQL = "g AS (SELECT doc_id AS seq, source AS model, doc_id % 3 <> 0 AS accepted, (doc_id % 100) / 10.0::DOUBLE AS time, (doc_id % 7) * 0.001::DOUBLE AS cost, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE (doc_id % 50) / 53.0::DOUBLE END AS quality_score, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE (doc_id % 20) / 23.0::DOUBLE END AS judge_score FROM documents)"
