@@ -28,7 +28,7 @@ from glossmill.llm.components import components
 
 SEED = 42
 #: Points of a shard on average; shards, and points sampled for the tree, at most.
-SHARD_POINTS, SHARDS, SAMPLE = 16_384, 16_384, 65_536
+SHARD_POINTS, SHARDS, SAMPLE = 4096, 16_384, 65_536
 #: Points that are compared with each other at once; and points from which a cluster too dense for the tree's
 #: bounds is searched by looking up each fingerprint's neighbours.
 LEAF, DENSE = 256, 150_000
