@@ -4,15 +4,19 @@ Texts are runs of letters and digits, lower-cased. A mask picks some of the posi
 others, so windows that differ only at ignored positions hash alike. Hashes of all windows of all documents meet
 those of the benchmark; every hit fixes a diagonal (document position less item position), on which the tokens of
 both are compared: an item is found in a document if, over some stretch of MIN_OVERLAP tokens (the whole item, if
-shorter), at least SIMILARITY of the tokens agree, so up to a fifth may be substituted.
+shorter), at least SIMILARITY of the tokens agree, so up to a fifth may be substituted. Tokens of the item that lie
+outside the document count as different.
+
+The masks lose nothing: whichever positions of a stretch of 8 to 20 tokens are substituted, within the similarity,
+one of them meets the rest at some place (a test tries all patterns). Shorter items get masks of their own length
+that leave out one position each.
 
 DataFrame functions only, and one pass: positions are exploded and hashed within one stage of generated code, the
 benchmark's hashes are broadcast in blocks of bounded size (as many passes as there are blocks), and only hits
 leave the stage. Nothing of a document is shuffled but the stretch that a hit points at.
 
 Defined results: null or empty texts match nothing; items of fewer than LEAST_TOKENS tokens are evidence of
-nothing and are skipped; those shorter than a mask are looked up whole, by one contiguous mask of each such
-length; repeated rows of one doc_id are one document; empty tables give an empty result.
+nothing and are skipped; repeated rows of one doc_id are one document; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -20,8 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Masks: 1 counts, 0 is ignored. Both have weight 6; together they hit what either alone misses.
-MASKS = ("1101100101", "1010011011")
+#: Masks: 1 counts, 0 is ignored; and the tokens from which an item needs no masks of its own.
+MASKS, SHORT = ("110111", "11100011", "1011011"), 8
 MIN_OVERLAP, SIMILARITY, LEAST_TOKENS = 20, 0.8, 5
 #: Hashes broadcast at once; a row is some 40 bytes.
 BLOCK_ROWS = 500_000
@@ -43,10 +47,10 @@ def positions(size: Column, span: int) -> Column:
 
 
 def index(items: DataFrame, masks: list[tuple[int, str, bool]]) -> DataFrame:
-    """hash, item_id, at of every window of every item. A mask for short items is for items of its length only."""
+    """hash, item_id, at of every window of every item. A mask of short items is for items of its length only."""
     rows = None
     for tag, mask, short in masks:
-        mine = items.filter(F.col("n") == len(mask)) if short else items
+        mine = items.filter(F.col("n") == len(mask) if short else F.col("n") >= SHORT)
         part = mine.select("item_id", "words", F.explode(positions(F.col("n"), len(mask))).alias("at")).select(picked(F.col("words"), F.col("at"), mask, tag).alias("hash"), "item_id", "at")
         rows = part if rows is None else rows.unionByName(part)
     return rows
@@ -59,9 +63,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     many of its tokens agree.
     """
     items = benchmark.select("item_id", F.filter(tokens(F.col("text")), lambda w: w != "").alias("words")).withColumn("n", F.size("words")).filter((F.col("n") >= LEAST_TOKENS) & F.col("item_id").isNotNull()).dropDuplicates(["item_id"])
-    span = min(map(len, masks))
-    lengths = sorted(r.n for r in items.filter(F.col("n") < span).select("n").distinct().collect())  # fewer than a mask's length
-    every = [(i, m, False) for i, m in enumerate(masks)] + [(100 + n, "1" * n, True) for n in lengths]
+    lengths = sorted(r.n for r in items.filter(F.col("n") < SHORT).select("n").distinct().collect())  # at most SHORT of them
+    one_off = [(n, "".join("0" if i == k else "1" for i in range(n))) for n in lengths for k in range(n)]
+    every = [(i, m, False) for i, m in enumerate(masks)] + [(100 + i, m, True) for i, (_, m) in enumerate(one_off)]
     hashes = index(items, every)
     total = hashes.count()
     blocks = max(1, -(-total // block_rows))
@@ -74,18 +78,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
         seeds = mine(hashes).select(F.col("hash").alias("__hash"), "item_id", F.col("at").alias("__at")).distinct()
         found = windows.join(F.broadcast(seeds), F.col("hash") == F.col("__hash")).select("doc_id", "item_id", (F.col("at") - F.col("__at")).alias("diagonal"), "words")
         found = found.join(F.broadcast(mine(items).select("item_id", F.col("words").alias("item"), "n")), "item_id")
-        # the stretch of the document under the item; tokens before its start are left out on both sides
+        # the document under the item, null where the item juts out
         cut = F.greatest(F.lit(0), -F.col("diagonal"))
-        found = found.select("doc_id", "item_id", "diagonal", cut.alias("cut"), F.slice("words", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.col("n") - cut).alias("under"), F.slice("item", cut + 1, F.col("n") - cut).alias("item"), "n")
+        under = F.concat(F.array_repeat(F.lit(None).cast("string"), cut), F.slice("words", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.col("n") - cut))
+        found = found.select("doc_id", "item_id", "diagonal", under.alias("under"), "item", "n")
         hits = found if hits is None else hits.unionByName(found)
-    once = hits.groupBy("doc_id", "item_id", "diagonal").agg(F.first(F.struct("cut", "under", "item", "n")).alias("h"))
+    once = hits.groupBy("doc_id", "item_id", "diagonal").agg(F.first(F.struct("under", "item", "n")).alias("h"))
     same = F.zip_with("h.under", "h.item", lambda a, b: F.when(a.eqNullSafe(b) & a.isNotNull(), 1).otherwise(0))
     checked = once.withColumn("same", same).withColumn("width", F.least(F.lit(min_overlap), F.col("h.n")))
-    checked = checked.filter(F.size("same") >= F.col("width"))
     agree = lambda i: F.aggregate(F.slice("same", i + 1, F.col("width")), F.lit(0), lambda acc, x: acc + x)
     best = F.array_max(F.transform(F.sequence(F.lit(0), F.size("same") - F.col("width")), lambda i: F.struct(agree(i).alias("matched"), (-i).alias("from"))))
     scored = checked.withColumn("best", best).filter(F.col("best.matched") >= F.ceil(F.col("width") * F.lit(similarity) - F.lit(1e-9)))
-    row = F.struct(F.col("best.matched").alias("matched"), (F.greatest(F.col("diagonal"), F.lit(0)) - F.col("best.from")).cast("long").alias("doc_at"), F.col("width").cast("long").alias("tokens"))
+    row = F.struct(F.col("best.matched").alias("matched"), F.greatest(F.col("diagonal") - F.col("best.from"), F.lit(0)).cast("long").alias("doc_at"), F.col("width").cast("long").alias("tokens"))
     return scored.groupBy("doc_id", "item_id").agg(F.max(row).alias("r")).select("doc_id", F.col("item_id").cast("long").alias("item_id"), "r.doc_at", "r.tokens", F.col("r.matched").cast("long").alias("matched"))
 
 

@@ -76,12 +76,12 @@ def contamination() -> str:
     hit = " UNION ".join(f"SELECT d.doc_id, t.item_id, d.i - t.i AS diag FROM (SELECT doc_id, i, {key('w', 'i', mask)} AS k FROM p WHERE i <= len(w) - {len(mask)} + 1) d JOIN (SELECT item_id, i, {key('w', 'i', mask)} AS k FROM q WHERE i <= len(w) - {len(mask)} + 1) t USING (k)" for mask in m.MASKS)
     return f"""
 WITH d AS (SELECT doc_id, {words("coalesce(text, '')")} AS w FROM documents), b AS (SELECT item_id, list_filter({words("coalesce(text, '')")}, lambda x: x <> '') AS w FROM benchmark),
-p AS (SELECT doc_id, w, unnest(range(1, len(w) - {span - 2})) AS i FROM d WHERE len(w) >= {span}), q AS (SELECT item_id, w, unnest(range(1, len(w) - {span - 2})) AS i FROM b WHERE len(w) >= {span}),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - {span - 2})) AS i FROM d WHERE len(w) >= {span}), q AS (SELECT item_id, w, unnest(range(1, len(w) - {span - 2})) AS i FROM b WHERE len(w) >= {m.SHORT}),
 h AS ({hit}),
-e AS (SELECT h.doc_id, h.item_id, diag, unnest(range(greatest(1, 1 - diag), len(b.w) + 1)) AS i, d.w AS dw, b.w AS bw, least({m.MIN_OVERLAP}, len(b.w)) AS width FROM h JOIN d ON h.doc_id = d.doc_id JOIN b ON h.item_id = b.item_id),
-f AS (SELECT doc_id, item_id, diag, i, width, coalesce(dw[i + diag] = bw[i], false)::INT AS same, len(bw) AS n FROM e),
+e AS (SELECT h.doc_id, h.item_id, diag, unnest(range(1, len(b.w) + 1)) AS i, d.w AS dw, b.w AS bw, least({m.MIN_OVERLAP}, len(b.w)) AS width FROM h JOIN d ON h.doc_id = d.doc_id JOIN b ON h.item_id = b.item_id),
+f AS (SELECT doc_id, item_id, diag, i, width, CASE WHEN i + diag >= 1 THEN coalesce(dw[i + diag] = bw[i], false)::INT ELSE 0 END AS same, len(bw) AS n FROM e),
 g AS (SELECT *, sum(same) OVER (PARTITION BY doc_id, item_id, diag ORDER BY i) AS s, row_number() OVER (PARTITION BY doc_id, item_id, diag ORDER BY i) AS k FROM f),
-v AS (SELECT x.doc_id, x.item_id, x.width AS tokens, x.s - coalesce(y.s, 0) AS matched, x.i - x.width + x.diag AS doc_at FROM g x LEFT JOIN g y ON x.doc_id = y.doc_id AND x.item_id = y.item_id AND x.diag = y.diag AND y.k = x.k - x.width WHERE x.k >= x.width)
+v AS (SELECT x.doc_id, x.item_id, x.width AS tokens, x.s - coalesce(y.s, 0) AS matched, greatest(x.i - x.width + x.diag, 0) AS doc_at FROM g x LEFT JOIN g y ON x.doc_id = y.doc_id AND x.item_id = y.item_id AND x.diag = y.diag AND y.k = x.k - x.width WHERE x.k >= x.width)
 SELECT doc_id, item_id, CAST(r.doc_at AS BIGINT) AS doc_at, CAST(r.tokens AS BIGINT) AS tokens, CAST(r.matched AS BIGINT) AS matched FROM (
     SELECT doc_id, item_id, max({{'matched': matched, 'doc_at': doc_at, 'tokens': tokens}}) AS r FROM (SELECT doc_id, item_id, tokens, matched, min(doc_at) AS doc_at FROM v WHERE matched >= ceil(tokens * {m.SIMILARITY} - 1e-9) GROUP BY ALL) GROUP BY 1, 2)"""
 
