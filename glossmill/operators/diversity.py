@@ -179,3 +179,58 @@ def overall(reviews: DataFrame, vectors: DataFrame, vector: str = "embedding") -
     w = WEIGHTS
     score = F.lit(w["self_bleu"]) * F.col("self_bleu_diversity") + F.lit(w["semantic"]) * F.col("semantic_diversity") + F.lit(w["ttr"]) * F.col("ttr") + F.lit(w["bigram"]) * F.col("bigram_diversity") + F.lit(w["trigram"]) * F.col("trigram_diversity")
     return one.withColumn("overall_score", F.when(F.col("total_words") > 0, score).otherwise(F.lit(0.0)))
+
+
+def max_similarity_before(vectors: DataFrame, order: str = "vec_id", vector: str = "embedding", block_rows: int = 4096) -> DataFrame:
+    """order, max_similarity: the largest cosine with any vector before it; null for the first.
+
+    Blocks meet as matrices, as for the extremes, and a row comes back once for each block.
+    """
+    kept = vectors.filter(F.col(vector).isNotNull())
+    blocks = max(1, -(-kept.count() // block_rows))
+    b = F.pmod(F.xxhash64(order), F.lit(blocks)).cast("int")
+    mine = kept.select(F.col(order).alias("k"), F.col(vector).cast("array<double>").alias("v"), b.alias("b"))
+    meet = mine.select("k", "v", "b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")).select("k", "v", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+
+    def before(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        x = np.asarray(table.column("v").combine_chunks().flatten(), np.float64).reshape(table.num_rows, -1)
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        x, at, k = x / np.where(size > 0, size, 1), table.column("b").to_numpy(), table.column("k").to_numpy()
+        keys, best = [], []
+        for mine, other in {(i, j), (j, i)}:
+            p, q = np.flatnonzero(at == mine), np.flatnonzero(at == other)
+            if not len(p):
+                continue
+            c = np.where(k[q][None, :] < k[p][:, None], x[p] @ x[q].T, -np.inf).max(1) if len(q) else np.full(len(p), -np.inf)
+            keys.append(k[p])
+            best.append(c)
+        keys, best = (np.concatenate(keys), np.concatenate(best)) if keys else (np.array([], np.int64), np.array([]))
+        return pa.table({"k": pa.array(keys, pa.int64()), "c": pa.array([None if np.isinf(v) else float(v) for v in best], pa.float64())})
+
+    return meet.groupBy("i", "j").applyInArrow(before, "k long, c double").groupBy(F.col("k").alias(order)).agg(F.max("c").alias("max_similarity"))
+
+
+def history_check(reviews: DataFrame, vectors: DataFrame, order: str = "seq", min_unique: int = 50, max_similarity: float = 0.8) -> DataFrame:
+    """order, n_unique, max_similarity, reason, passed: enough different words, and not too close to any earlier text
+    (failed ones too). vectors: order and embedding of each text."""
+    near = max_similarity_before(vectors, order)
+    rows = reviews.withColumn("n_unique", T.unique_word_count(F.col("text"))).join(near, order, "left")
+    close = F.when(F.col("max_similarity") > max_similarity, F.concat(F.lit("Too similar to previous reviews: "), T.fixed(F.col("max_similarity"), 2), F.lit(f" > {max_similarity}")))
+    few = F.when(F.col("n_unique") < min_unique, F.format_string(f"Insufficient unique words: %d < {min_unique}", F.col("n_unique")))
+    rows = rows.withColumn("reason", F.coalesce(close, few))
+    return rows.select(order, "n_unique", "max_similarity", "reason", F.col("reason").isNull().alias("passed"))
+
+
+def validate_dataset(reviews: DataFrame, vectors: DataFrame, target: dict[int, float] | None = None, critical: float = 9.488, least: float = 0.6) -> DataFrame:
+    """One row: dataset_size, overall_score, chi2 of the ratings against a target distribution, is_biased, passed.
+
+    chi2 is held against the 5 % point of 4 degrees of freedom; without a target nothing is biased.
+    """
+    counts = reviews.agg(F.count("*").alias("dataset_size"), *[F.count_if(F.col("rating") == r).alias(f"n{r}") for r in range(1, 6)])
+    chi2 = F.lit(0.0)
+    for r, share in (target or {}).items():
+        want = F.col("dataset_size") * F.lit(float(share))
+        chi2 = chi2 + F.coalesce(F.try_divide((F.col(f"n{r}") - want) * (F.col(f"n{r}") - want), want), F.lit(0.0))
+    one = counts.withColumn("chi2", chi2).crossJoin(overall(reviews, vectors).select("overall_score"))
+    return one.select("dataset_size", "overall_score", "chi2", (F.col("chi2") > critical).alias("is_biased"), ((F.col("chi2") <= critical) & (F.col("overall_score") > least)).alias("passed"))

@@ -694,3 +694,49 @@ def quality_report_md(spark, sf_dir):
         report.one(realism.compare(realism.corpus_stats(rows), realism.corpus_stats(read(spark, sf_dir, "benchmark")))), [r.asDict() for r in top.collect()], {}, runs.count(),
     )
     return spark.createDataFrame([(text,)], "report string")
+
+
+@query("""
+SELECT x.vec_id, round(max(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[]))), 6) AS max_similarity FROM embeddings x LEFT JOIN embeddings y ON y.vec_id < x.vec_id GROUP BY x.vec_id""")
+def prefix_max_similarity(spark, sf_dir):
+    return diversity.max_similarity_before(read(spark, sf_dir, "embeddings"))
+
+
+@query(f"""
+WITH m AS (SELECT x.vec_id, max(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[]))) AS m FROM embeddings x LEFT JOIN embeddings y ON y.vec_id < x.vec_id GROUP BY x.vec_id),
+u AS (SELECT doc_id AS seq, len(list_distinct({w('lower(text)')})) AS u, m FROM documents LEFT JOIN m ON vec_id = doc_id),
+z AS (SELECT *, CASE WHEN m > 0.3 THEN format('Too similar to previous reviews: {{:.2f}} > 0.3', m) WHEN u < 50 THEN format('Insufficient unique words: {{}} < 50', u) END AS reason FROM u)
+SELECT seq, CAST(u AS BIGINT) AS n_unique, round(m, 6) AS max_similarity, reason, reason IS NULL AS passed FROM z""")
+def history_check(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings").select(c("vec_id").alias("seq"), "embedding")
+    return diversity.history_check(reviews(spark, sf_dir), vectors, max_similarity=0.3)
+
+
+@query(f"""
+WITH {BASE}, n AS (SELECT count(*) AS n, {', '.join(f'count_if(rating = {k}) AS n{k}' for k in range(1, 6))} FROM r), x AS (SELECT n, {' + '.join(f'(n{k} - n * {p}::DOUBLE) * (n{k} - n * {p}::DOUBLE) / (n * {p}::DOUBLE)' for k, p in enumerate(RATINGS, 1))} AS chi2 FROM n)
+SELECT n AS dataset_size, round(chi2, 6) AS chi2, chi2 > 9.488 AS is_biased, CASE WHEN chi2 > 9.488 THEN false END AS passed FROM x""")
+def dataset_validation(spark, sf_dir):
+    rows = diversity.validate_dataset(reviews(spark, sf_dir), read(spark, sf_dir, "embeddings"), dict(enumerate(RATINGS, 1)))
+    return rows.select("dataset_size", "chi2", "is_biased", "passed")
+
+
+@query()
+def judge_evaluation(spark, sf_dir):
+    from pyspark.sql import Window
+
+    from glossmill.plans import judging
+
+    d = judge.last_overlaps(reviews(spark, sf_dir).filter("rating is not null"), ["session", "model"], "seq")
+    before = F.collect_list("text").over(Window.partitionBy("session", "model").orderBy("seq").rowsBetween(-10, -1))
+    rows = d.withColumns({"before": before, "review_id": c("seq"), "persona": F.lit("a team lead"), "domain": F.lit("saas")})
+    return judging.evaluate(rows, providers.RuleJudge, providers.RuleJudge).drop("dimension_scores")
+
+
+@query("""
+WITH RECURSIVE f AS (SELECT user_id % 50 AS k, event_id, event_type <> 'view' AS bad, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS i FROM events),
+s AS (SELECT k, 0::BIGINT AS i, 0::BIGINT AS n, false AS fb, NULL::BIGINT AS event_id FROM (SELECT DISTINCT k FROM f) UNION ALL
+    SELECT s.k, f.i, CASE WHEN s.n >= 5 OR NOT f.bad THEN 0 ELSE s.n + 1 END, s.n >= 5, f.event_id FROM s JOIN f ON s.k = f.k AND f.i = s.i + 1)
+SELECT CAST(k AS VARCHAR) AS key, event_id AS o, n AS failures, fb AS fallback FROM s WHERE i > 0""")
+def judge_breaker(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select((c("user_id") % 50).alias("k"), "event_id", (c("event_type") != "view").alias("failed"))
+    return breaker.consecutive(e, "k", "event_id", "failed")

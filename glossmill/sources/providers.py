@@ -69,3 +69,103 @@ def make(name: str):
     if name not in REGISTRY:
         raise KeyError(f"no provider is registered as {name!r}; there are {sorted(REGISTRY)}")
     return REGISTRY[name]()
+
+
+class Throttled:
+    """Any provider, within a quota of calls and tokens a minute. A quota for all is shared out among the tasks."""
+
+    def __init__(self, inner, calls: int, tokens: int, tasks: int = 1, now: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.inner, self.calls, self.tokens, self.now, self.sleep = inner, max(1, calls // tasks), max(1, tokens // tasks), now, sleep
+        self.past: list[tuple[float, int]] = []
+
+    def generate(self, system_prompt: str, user_prompt: str, temperature: float | None = None, max_tokens: int = 1024) -> dict:
+        while True:
+            at = self.now()
+            self.past = [p for p in self.past if at - p[0] < 60]
+            if len(self.past) < self.calls and sum(n for _, n in self.past) < self.tokens:
+                break
+            self.sleep(max(0.0, 60 - (at - self.past[0][0])))
+        result = self.inner.generate(system_prompt, user_prompt, temperature=temperature, max_tokens=max_tokens)
+        self.past.append((self.now(), int((result.get("tokens") or {}).get("total") or 0)))
+        return result
+
+
+def post_json(url: str, body: dict, headers: dict[str, str], seconds: float = 60) -> dict:
+    """The answer of a web service; an HTTP error's own message is raised."""
+    import json
+    import urllib.error
+    import urllib.request
+
+    call = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
+    try:
+        with urllib.request.urlopen(call, timeout=seconds) as r:
+            return json.load(r)
+    except urllib.error.HTTPError as e:
+        raise RuntimeError(e.read().decode("utf-8", "replace") or str(e)) from e
+
+
+class ChatProvider:
+    """A chat service of the common kind (messages in, choices out): give its address, model and key variable.
+
+    The key is read where the provider is made, from the environment of the worker. price(model, in, out, reported)
+    gives the cost; tokens that the service doesn't count are estimated as 1.3 a word.
+    """
+
+    def __init__(self, url: str, model: str, key_variable: str, price: Callable[[str, int, int, float | None], float] | None = None, headers: dict[str, str] | None = None, post: Callable[..., dict] = post_json):
+        from glossmill.sources.io import api_key
+
+        self.url, self.model, self.price, self.post = url, model, price, post
+        self.headers = {"Authorization": f"Bearer {api_key(key_variable)}", **(headers or {})}
+
+    def generate(self, system_prompt: str, user_prompt: str, temperature: float | None = None, max_tokens: int = 1024) -> dict:
+        began = time.monotonic()
+        try:
+            body = {"model": self.model, "messages": [{"role": "system", "content": system_prompt}, {"role": "user", "content": user_prompt}], "max_tokens": max_tokens}
+            answer = self.post(self.url, body if temperature is None else body | {"temperature": temperature}, self.headers)
+            text = (answer["choices"][0]["message"]["content"] or "").strip()
+            if not text:
+                raise RuntimeError("the text is empty")
+            used = answer.get("usage") or {}
+            i = int(used.get("prompt_tokens") or 1.3 * len((system_prompt + " " + user_prompt).split()))
+            o = int(used.get("completion_tokens") or 1.3 * len(text.split()))
+            cost = self.price(self.model, i, o, used.get("total_cost")) if self.price else 0.0
+            return {"text": text, "model": self.model, "time": time.monotonic() - began, "cost": cost, "tokens": {"input": i, "output": o, "total": i + o}, "success": True}
+        except Exception as e:  # a failure is a result
+            return {"text": None, "model": self.model, "time": time.monotonic() - began, "cost": 0.0, "tokens": {}, "success": False, "error": str(e)}
+
+
+class LocalProvider:
+    """A model on the worker, loaded once; needs the transformers library."""
+
+    def __init__(self, model: str, max_input: int = 2048):
+        try:
+            from transformers import pipeline
+        except ImportError as e:
+            raise ImportError("local models need the transformers library") from e
+        self.model, self.max_input, self.run = model, max_input, pipeline("text-generation", model=model)
+
+    def generate(self, system_prompt: str, user_prompt: str, temperature: float | None = None, max_tokens: int = 256) -> dict:
+        began = time.monotonic()
+        try:
+            chat = [{"role": "system", "content": system_prompt}, {"role": "user", "content": user_prompt}]
+            made = self.run(chat, max_new_tokens=max_tokens, do_sample=True, temperature=temperature or 1.0, truncation=True, max_length=self.max_input)
+            text = made[0]["generated_text"][-1]["content"].strip()
+            return {"text": text, "model": self.model, "time": time.monotonic() - began, "cost": 0.0, "tokens": {}, "success": bool(text), "error": None if text else "the text is empty"}
+        except Exception as e:  # a failure is a result
+            return {"text": None, "model": self.model, "time": time.monotonic() - began, "cost": 0.0, "success": False, "error": str(e)}
+
+
+class RuleJudge:
+    """A judge that works offline: it answers a judge's prompt in JSON by the prompt's own text, the same everywhere."""
+
+    def generate(self, system_prompt: str, user_prompt: str, temperature: float | None = None, max_tokens: int = 1024) -> dict:
+        criterion = user_prompt.split("\n", 1)[0].removeprefix("Criterion: ").strip()
+        digest = hashlib.sha256(user_prompt.encode()).digest()
+        score = 4 + digest[0] % 6
+        if digest[1] % 16 == 0:
+            return {"text": None, "success": False, "error": "unavailable", "time": 0.0, "cost": 0.0}
+        text = f'{{"{criterion}_score": {score}, "decision": "{"PASS" if score >= 6 else "FAIL"}", "feedback": "note {digest[2]}"}}'
+        return {"text": f"```json\n{text}\n```" if digest[1] % 3 == 0 else text, "model": "rules", "time": 0.0, "cost": 0.0, "tokens": {}, "success": True}
+
+
+REGISTRY["rules"] = RuleJudge

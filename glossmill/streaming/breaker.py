@@ -62,3 +62,30 @@ def rolling_failures(events: DataFrame, ts: str, by: str, late: str = "10 minute
     w = F.window("ts", width)
     rows = events.select(F.col(by).alias("by"), F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", late)
     return rows.groupBy("by", w.alias("w")).agg(F.count("*").alias("failures")).select("by", F.col("w.start").alias("window_start"), "failures")
+
+
+def consecutive(events: DataFrame, key: str, order: str, failed: str, trip_at: int = 5) -> DataFrame:
+    """key, o, failures, fallback for calls in order: once trip_at failures have followed on each other, the next call is
+    a stand-in's and the count starts anew; a success clears it too."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("o")
+        n, counts, skipped = 0, [], []
+        for f in table.column("failed").to_pylist():
+            skip = n >= trip_at
+            n = 0 if skip or not f else n + 1
+            counts.append(n)
+            skipped.append(skip)
+        return pa.table({"key": table.column("key"), "o": table.column("o"), "failures": pa.array(counts, pa.int64()), "fallback": pa.array(skipped, pa.bool_())})
+
+    rows = events.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("o"), F.col(failed).cast("boolean").alias("failed"))
+    return rows.groupBy("key").applyInArrow(run, "key string, o long, failures long, fallback boolean")
+
+
+def append_log(events: DataFrame, path: str, checkpoint: str):
+    """A stream of event rows appended to a log as JSON lines, each batch once; returns the running query."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").json(f"{path}/batch={number}")  # a batch that is repeated replaces itself
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()

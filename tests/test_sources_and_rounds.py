@@ -127,3 +127,56 @@ def test_breaker_over_a_stream(spark, tmp_path):
             q.stop()
         got = spark.table(name).orderBy("ts").collect()
         assert [r.failures_so_far for r in got] == WANT and len(got) == rows
+
+
+def test_throttle():
+    clock, slept = [0.0], []
+
+    class Fast:
+        def generate(self, *a, **k):
+            clock[0] += 1
+            return {"success": True, "text": "t", "tokens": {"total": 10}}
+
+    def sleep(s):
+        slept.append(s)
+        clock[0] += s
+
+    p = providers.Throttled(Fast(), calls=2, tokens=1000, now=lambda: clock[0], sleep=sleep)
+    for _ in range(3):
+        p.generate("s", "u")
+    assert slept == [59.0]
+
+
+def test_chat_provider(monkeypatch):
+    monkeypatch.setenv("SOME_KEY", "k")
+    seen = {}
+
+    def post(url, body, headers):
+        seen.update(body, **headers)
+        if body["model"] == "down":
+            raise RuntimeError("Please try again in 2s.")
+        return {"choices": [{"message": {"content": " hi "}}], "usage": {"prompt_tokens": 3, "completion_tokens": 4}}
+
+    r = providers.ChatProvider("u", "m", "SOME_KEY", lambda m, i, o, c: i + o / 10, post=post).generate("s", "u", 0.5)
+    assert r["success"] and r["text"] == "hi" and r["cost"] == 3.4 and seen["temperature"] == 0.5 and seen["Authorization"] == "Bearer k"
+    assert providers.ChatProvider("u", "down", "SOME_KEY", post=post).generate("s", "u")["error"] == "Please try again in 2s."
+    with pytest.raises(KeyError):
+        providers.ChatProvider("u", "m", "NO_SUCH_KEY")
+
+
+def test_log_stream_writes_a_batch_once(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    q = breaker.append_log(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "cp"))
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert spark.read.json(str(tmp_path / "log")).count() == 5
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from glossmill.__main__ import main
+
+    assert main(["list"]) == 0 and "self_bleu" in capsys.readouterr().out
+    assert main(["query", "distribution_check", "/root/testdata/sf0.001", "-o", str(tmp_path / "o")]) == 0
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 5
