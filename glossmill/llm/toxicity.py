@@ -35,28 +35,36 @@ THRESHOLD = 0.7
 WORDS, WORD_CHARS = 600_000, 64
 
 
-def grams(word: str) -> set[int]:
-    """Hashed n-grams of a word."""
-    w = f"<{word}>".encode("utf-32-le", "surrogatepass")
-    crc = zlib.crc32
-    return {crc(w[i : i + 4 * n]) & (BUCKETS - 1) for n in SIZES for i in range(0, len(w) - 4 * n + 1, 4)}
+def bucket(gram: str) -> int:
+    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
+
+
+def grams(word: str) -> set[str]:
+    """The n-grams of a word."""
+    w = f"<{word}>"
+    return {w[i : i + n] for n in SIZES for i in range(len(w) - n + 1)}
 
 
 class Scorer:
-    """Finds the features of texts. weights: by bucket."""
+    """Finds the features of texts. weights: by n-gram."""
 
-    def __init__(self, weights: dict[int, float], intercept: float):
+    def __init__(self, weights: dict[str, float], intercept: float):
         self.weights, self.intercept = weights, intercept
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[str, ...]] = {}
 
-    def features(self, text: str) -> set[int]:
+    def of_word(self, word: str) -> tuple[str, ...]:
+        w, weights = f"<{word}>", self.weights
+        size = len(w) + 1
+        return tuple({g for n in SIZES for i in range(size - n) if (g := w[i : i + n]) in weights})
+
+    def features(self, text: str) -> set[str]:
         words = set(text.lower().split())
         known = self.known
-        found: set[int] = set()
+        found: set[str] = set()
         if len(known) > WORDS:
             known.clear()
         for w in words.difference(known):
-            mine = tuple(g for g in grams(w) if g in self.weights)
+            mine = self.of_word(w)
             if len(w) <= WORD_CHARS:
                 known[w] = mine
             found.update(mine)
@@ -75,7 +83,7 @@ def class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, BUCKETS), np.int32)
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            every = set().union(*map(grams, set((text or "").lower().split())))
+            every = set(map(bucket, set().union(*map(grams, set((text or "").lower().split())))))
             counts[toxic][np.fromiter(every, np.int64, len(every))] += 1
     some = np.flatnonzero(counts.any(0))
     for i in range(0, len(some), 1 << 16):
@@ -109,8 +117,8 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, seed: int = 1) -> tuple[dict[int, float], float]:
-    """Weights by bucket, and the intercept. Rows that are held out aren't seen."""
+def fit(docs: DataFrame, labels: DataFrame, seed: int = 1) -> tuple[dict[str, float], float]:
+    """Weights by n-gram, and the intercept. Rows that are held out aren't seen."""
     spark = docs.sparkSession
     bounded_batches(spark)
     mine = labels.filter(F.col("toxic").isin(0, 1) & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -132,7 +140,21 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 1) -> tuple[dict[int, fl
     top = totals.select("bucket", F.log(p / q).alias("r"), error.alias("e")).orderBy(F.desc(F.abs(F.col("r")) / F.col("e")), "bucket").limit(FEATURES).collect()
     if not top:
         return {}, math.log(pos / neg)
-    at = {r["bucket"]: i for i, r in enumerate(top)}
+    kept = {r["bucket"] for r in top}
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The n-grams of the buckets that were kept; few share one."""
+        seen: set[str] = set()
+        found: set[str] = set()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                new = set((text or "").lower().split()) - seen
+                seen |= new
+                found.update(g for w in new for g in grams(w) if bucket(g) in kept)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["gram"])
+
+    place = {r["bucket"]: i for i, r in enumerate(top)}
+    at = {r["gram"]: place[bucket(r["gram"])] for r in rows.mapInArrow(names, "gram string").distinct().collect()}  # of the sample's, FEATURES buckets'
     ratio = np.array([r["r"] for r in top], np.float32)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 1) -> tuple[dict[int, fl
     y = table.column("toxic").to_numpy().astype(np.float32)
     x = np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for b in table.column("bits").to_pylist()])[:, : len(top)].astype(np.float32) * ratio
     w, b = logistic(x, y)
-    return {bucket: float(w[i] * ratio[i]) for bucket, i in at.items() if w[i]}, b
+    return {gram: float(w[i] * ratio[i]) for gram, i in at.items() if w[i]}, b
 
 
 def scores(docs: DataFrame, model: tuple[dict[int, float], float]) -> DataFrame:
