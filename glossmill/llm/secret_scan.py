@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PATH_BLOB, HOT_COPIES = "__blob", 10_000
+PATH_BLOB = "__blob"
 
 
 @dataclass(frozen=True)
@@ -123,9 +123,12 @@ def blob_findings(versions: DataFrame, text: str = "text", ledger: DataFrame | N
 
 def with_spans(versions: DataFrame, found: DataFrame, text: str = "text", out: str = "__spans") -> DataFrame:
     """versions with the spans of each row's blob. A blob of many copies is spread: rows are dealt by blob and salt,
-    and findings, few and small, are repeated for each salt."""
+    and findings, few and small, are repeated for each salt. The salt is a hash of the row's other columns, so that a
+    task that is repeated deals its rows as before."""
     salts = 16
-    left = versions.withColumn(PATH_BLOB, content_address(text)).withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    others = [F.col(f"`{n}`") for n, t in versions.dtypes if n != text and "map<" not in t and t != "variant"]
+    salt = F.pmod(F.xxhash64(*others), F.lit(salts)) if others else F.lit(0)
+    left = versions.withColumn(PATH_BLOB, content_address(text)).withColumn("__salt", salt.cast("int"))
     right = found.select(PATH_BLOB, F.col("spans").alias(out), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
     return left.join(right, [PATH_BLOB, "__salt"], "left").drop(PATH_BLOB, "__salt").withColumn(out, F.coalesce(out, F.array().cast(SPAN)))
 
