@@ -9,23 +9,24 @@ from pyspark.sql import functions as F
 
 from glossmill.llm import binary_out, bpe, decontam, langid, quality, secret_scan, sharding, simhash, sql, token_edits, toxicity
 from glossmill.llm.common import read
+from glossmill.plans.staging import spread
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.cleaned(read(spark, sf_dir, "documents")).drop("cleaned")
+    return quality.cleaned(spread(read(spark, sf_dir, "documents"))).drop("cleaned")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.classified(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return toxicity.classified(spread(read(spark, sf_dir, "documents")), read(spark, sf_dir, "labels"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = token_edits.sample_edits(token_edits.new_state(read(spark, sf_dir, "documents")))
+    state = token_edits.sample_edits(token_edits.new_state(spread(read(spark, sf_dir, "documents"))))
     return token_edits.apply_listed(state).select("doc_id", "n_edits", "n_before", "n_tokens", "n_pieces", "n_reencoded", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trips(read(spark, sf_dir, "documents"))
+    return bpe.round_trips(spread(read(spark, sf_dir, "documents")))
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identified(read(spark, sf_dir, "documents"))
+    return langid.identified(spread(read(spark, sf_dir, "documents")))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,12 +48,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    rows = simhash.near_duplicates(spread(read(spark, sf_dir, "documents")))
     return rows.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binary_out.training_order(read(spark, sf_dir, "documents"))
+    return binary_out.training_order(spread(read(spark, sf_dir, "documents")))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
