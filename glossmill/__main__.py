@@ -58,7 +58,7 @@ def main(argv: list[str] | None = None) -> int:
 
         c = io.load_config(a.config) if a.config else io.Config()
         c = replace(c, target_samples=a.samples) if a.samples else c
-        rounds.run(spark, c, lambda: providers.make(a.provider)).write.mode("overwrite").json(a.output)
+        rounds.fill(spark, c, lambda: providers.make(a.provider)).write.mode("overwrite").json(a.output)
     return 0
 
 

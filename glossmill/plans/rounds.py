@@ -13,15 +13,16 @@ from glossmill.sources.io import Config
 FINAL = ["seq", "review_id", "attempt", "rating", "persona", "model_key", "seed_words", "text", "time", "cost", "n_words", "n_unique", "self_bleu_diversity", "alignment_score", "reasons", "decision"]
 
 
-def run(spark: SparkSession, config: Config, make_provider, thresholds: gates.Thresholds | None = None, profile: S.Profile = S.LENIENT, seed: int = 42) -> DataFrame:
-    """One row for each of the target's slots: its accepted or rejected candidate after at most
+def run(spark: SparkSession, config: Config, make_provider, thresholds: gates.Thresholds | None = None, profile: S.Profile = S.LENIENT, seed: int = 42, slots: tuple[int, int] | None = None, accepted: DataFrame | None = None) -> DataFrame:
+    """One row for each slot (1 to the target, or first to last): its accepted or rejected candidate after at most
     max_regeneration_attempts + 1 attempts.
 
     A round's calls are written before they are used, so a lost executor repeats calls of that round at most.
     Candidates are held against each other within a round and against those accepted before, as one corpus.
     """
     t = thresholds or gates.Thresholds(**{k: v for k, v in config.thresholds.items() if k in gates.Thresholds.__dataclass_fields__})
-    pending = spark.range(1, config.target_samples + 1).select(F.col("id").alias("seq"), F.array().cast("array<string>").alias("history"), F.lit(None).cast("string").alias("feedback"))
+    first, last_slot = slots or (1, config.target_samples)
+    pending = spark.range(first, last_slot + 1).select(F.col("id").alias("seq"), F.array().cast("array<string>").alias("history"), F.lit(None).cast("string").alias("feedback"))
     done: DataFrame | None = None
     for retry in range(t.max_regeneration_attempts + 1):
         spec = generate.specs(pending.withColumns({"retry": F.lit(retry), "_key": F.concat_ws("/", F.col("seq"), F.lit(retry))}), "_key", config.personas, config.ratings, config.models, seed)
@@ -31,6 +32,8 @@ def run(spark: SparkSession, config: Config, make_provider, thresholds: gates.Th
         results = staged(generate.call(prompts, make_provider, ["seq"]), "generated")
         rows = spec.select("seq", "history", "rating", "persona", "model_key", "seed_words").join(results.select("seq", F.coalesce("text", F.lit("")).alias("text"), "time", "cost"), "seq")
         corpus = rows.select("seq", "text")
+        if accepted is not None:
+            corpus = corpus.unionByName(accepted.select("seq", "text"))
         if done is not None:
             corpus = corpus.unionByName(done.filter("decision = 'accept'").select("seq", "text"))
         bleu = diversity.self_bleu_docs(corpus).select("seq", (F.lit(1.0) - F.col("bleu")).alias("self_bleu_diversity"))
@@ -43,3 +46,30 @@ def run(spark: SparkSession, config: Config, make_provider, thresholds: gates.Th
         if pending.isEmpty():
             break
     return done
+
+
+#: Candidates in all, by the target; and rejections without an acceptance between them after which a run gives up.
+MOST_CANDIDATES, MOST_FAILURES = 10, 20
+
+
+def fill(spark: SparkSession, config: Config, make_provider, thresholds: gates.Thresholds | None = None, profile: S.Profile = S.LENIENT, seed: int = 42) -> DataFrame:
+    """Rows of run() in waves of new slots, until the target is accepted, candidates run out, or a whole wave of
+    MOST_FAILURES or more is rejected."""
+    out: DataFrame | None = None
+    slot, have = 0, 0
+    while have < config.target_samples and slot < MOST_CANDIDATES * config.target_samples:
+        missing = min(config.target_samples - have, MOST_CANDIDATES * config.target_samples - slot)
+        wave = max(missing, min(MOST_FAILURES, MOST_CANDIDATES * config.target_samples - slot))
+        before = None if out is None else out.filter("decision = 'accept'")
+        rows = staged(run(spark, config, make_provider, thresholds, profile, seed, (slot + 1, slot + wave), before), "wave")
+        good = rows.filter("decision = 'accept'").count()
+        out = rows if out is None else out.unionByName(rows)
+        slot, have = slot + wave, have + good
+        if not good and wave >= MOST_FAILURES:
+            break
+    # a last wave may bring more than were missing: the first ones count
+    extra = have - config.target_samples
+    if extra > 0:
+        drop = out.filter("decision = 'accept'").orderBy(F.desc("seq")).limit(extra).select(F.col("seq").alias("_late"))
+        out = out.join(F.broadcast(drop), out["seq"] == F.col("_late"), "left_anti")
+    return out

@@ -87,6 +87,28 @@ def test_rounds_end_and_respect_attempts(spark):
     assert all(not r.reasons for r in done if r.decision == "accept" and r.attempt == 1)
 
 
+def test_waves_fill_the_target_or_give_up(spark):
+    c = io.Config(domain="saas", target_samples=30)
+    some = gates.Thresholds(min_length=110, max_length=400, max_self_bleu=0.99, max_regeneration_attempts=0)
+    done = rounds.fill(spark, c, providers.TemplateProvider, some).collect()
+    assert sum(r.decision == "accept" for r in done) == 30 and len(done) > 30 and len({r.seq for r in done}) == len(done)
+    none = gates.Thresholds(min_length=10_000, max_length=20_000, max_regeneration_attempts=0)
+    assert {r.decision for r in rounds.fill(spark, c, providers.TemplateProvider, none).collect()} == {"reject"}
+
+
+def test_dataset_and_metrics_sinks(spark, tmp_path):
+    from glossmill.operators import judge
+
+    rows = spark.sql("select 'r1' as review_id, 't' as text, 5 as rating, named_struct('name', 'p', 'weight', 1.0D) as persona, 'm' as model_used, array('a') as seed_words, 1.5D as generation_time, 0.1D as cost, named_struct('length', 3) as statistical_metrics, cast(null as struct<overall_score:double>) as llm_judge_results, 'accept' as final_decision, 0 as regeneration_count")
+    io.write_dataset(rows, str(tmp_path / "d"))
+    r = json.loads(next((tmp_path / "d").glob("part-*.json")).read_text())
+    assert (r["id"], r["persona"], r["model"], r["metadata"]["weight"], r["statistical_scores"]) == ("r1", "p", "m", 1.0, {"length": 3})
+    io.write_metrics(spark.sql("select 3 as total, array(1.0D) as _scores"), str(tmp_path / "m"))
+    assert json.loads(next((tmp_path / "m").glob("part-*.json")).read_text()) == {"total": 3}
+    s = spark.createDataFrame([(True, 0, "0.5"), (False, 1, "0.5"), (False, 0, "0.5"), (False, 0, "x"), (None, None, "1")], "s boolean, e int, o string")
+    assert [x[0] for x in s.select(judge.usable_score(F.col("s"), F.col("e"), F.col("o"))).collect()] == [None, None, 0.5, None, 1.0]
+
+
 def test_batch_results(spark):
     q = spark.createDataFrame([("request-0",), ("request-1",), ("request-2",)], "custom_id string")
     r = spark.createDataFrame([("request-0", 200, "t", 1000, 1000, None), ("request-1", 500, None, None, None, None)], "custom_id string, status_code int, content string, prompt_tokens long, completion_tokens long, error string")
