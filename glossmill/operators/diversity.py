@@ -27,16 +27,16 @@ def bleu_parts(reviews: DataFrame) -> DataFrame:
     A text's n-gram counts are clipped by the largest count in any other text. That is its own count or more for
     all texts but the one with the largest, which keeps the second largest. So only the two largest counts of an
     n-gram matter, and only the first loses matches: a text's matches are its n-grams less the leads that it has.
-    One shuffle of 128-bit n-grams finds them, of which a task sends two rows each at most; nothing is joined back.
+    Texts are dealt by seq, so that a text's n-grams are counted where it is; then one shuffle of 128-bit n-grams
+    finds the largest two, of which a task sends two rows each at most. Nothing is joined back.
     """
-    docs = reviews.select("seq", T.words(F.col("text")).alias("w")).withColumn("len", F.size("w").cast("long"))
-    leads = None
-    for n in range(1, 5):
-        rows = docs.select("seq", F.explode(T.ngram_hashes(F.col("w"), n)).alias("g")).groupBy("seq", "g").agg(F.count("*").alias("c"))
-        top = rows.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("c"), "seq"))).filter("rank <= 2")
-        lead = top.groupBy("g").agg(F.max(F.when(F.col("rank") == 1, F.col("seq"))).alias("seq"), (F.max(F.when(F.col("rank") == 1, F.col("c"))) - F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("c"))), F.lit(0))).alias("lead")).filter("lead > 0")
-        part = lead.select("seq", F.lit(n).alias("n"), "lead")
-        leads = part if leads is None else leads.unionByName(part)
+    docs = reviews.select("seq", "text").repartition("seq").select("seq", T.words(F.col("text")).alias("w")).withColumn("len", F.size("w").cast("long"))
+    every = F.concat(*[T.ngram_hashes(F.col("w"), n, tagged=True) for n in range(1, 5)])
+    # plain columns: sorts compare the first hash by its prefix, which they can't do for a struct
+    rows = docs.select("seq", F.explode(every).alias("g")).select("seq", "g.a", "g.b", "g.n").groupBy("seq", "a", "b", "n").agg(F.count("*").alias("c"))
+    top = rows.withColumn("rank", F.row_number().over(Window.partitionBy("a", "b", "n").orderBy(F.desc("c"), "seq"))).filter("rank <= 2")
+    first, second = F.col("rank") == 1, F.col("rank") == 2
+    leads = top.groupBy("a", "b", "n").agg(F.max(F.when(first, F.col("seq"))).alias("seq"), (F.max(F.when(first, F.col("c"))) - F.coalesce(F.max(F.when(second, F.col("c"))), F.lit(0))).alias("lead")).filter("lead > 0").select("seq", "n", "lead")
     lost = leads.groupBy("seq").agg(*[F.coalesce(F.sum(F.when(F.col("n") == n, F.col("lead"))), F.lit(0)).alias(f"l{n}") for n in range(1, 5)])
     sizes = docs.select("seq", "len")
     per = sizes.groupBy("len").agg(F.count("*").alias("k"))
