@@ -4,14 +4,15 @@ Every document is cut into sequences of SEQUENCE tokens (the last one padded). S
 the order of the staged token table; a keyed Feistel network over the next power of two, walked along its cycle
 until it comes back below the number of sequences, permutes the indices into global slots. Shard k holds the slots
 from k * SHARD_SLOTS in order, every record of the same size, so slot s is at byte (s - first) * stride of its
-shard: reads are sequential, and resume at any slot by arithmetic.
+shard's file (the stride is a record and the newline that Spark's writer ends it by): reads are sequential, and resume at any slot by arithmetic.
 
 A record: 8 bytes doc_id (two's complement, big-endian; the least number for null), 4 bytes number of the sequence
 in its document, 4 bytes count of its tokens (big-endian), then SEQUENCE little-endian unsigned 16-bit ids (32-bit
 where the vocabulary needs it), padded by the id that ends a text.
 
 Defined results: a null or empty text is one sequence of no tokens; repeated rows are sequences of their own; an
-empty table has no slots and no shards; texts are tokenised whole.
+empty table has no slots and no shards; texts are tokenised whole. A doc_id that isn't a whole number of 64 bits, or is
+the least of them, is null in the files and in what written_order reads back.
 """
 
 from __future__ import annotations
@@ -22,15 +23,18 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.llm.bpe import VOCABULARY, encoder, read_ranks
-from glossmill.llm.common import bounded_batches, shared_path
+from glossmill.llm.common import BATCH_ROWS, bounded_batches, shared_path
 
 #: Tokens of a sequence, sequences of a shard, and files of the staged table at most (its offsets are broadcast).
 SEQUENCE, SHARD_SLOTS, STAGED_FILES = 1024, 16_384, 65_536
 ROUNDS = 8
+#: Shards are written in so many waves; Spark's setting by which a write's shuffle files go when it ends.
+WAVES = 4
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 KEY = 0x5EED_0F_7A11
 
 
@@ -110,8 +114,9 @@ def big_endian(number: Column, size: int) -> Column:
     return F.unhex(F.lpad(F.hex(number), 2 * size, "0"))
 
 
-def training_order(docs: DataFrame, path: str | None = None, length: int = SEQUENCE, shard_slots: int = SHARD_SLOTS, key: int = KEY) -> DataFrame:
-    """doc_id, seq_no, slot, shard, offset, n_tokens, record: partition k has shard k, in the order of its slots."""
+def slotted(docs: DataFrame, path: str | None, length: int, shard_slots: int, key: int) -> tuple[DataFrame, int, int, int, str]:
+    """doc_id, seq_no, n_tokens, ids, slot, shard of each sequence; how many there are; the bytes of an id; the id that
+    pads; where the token table that the rows are read from is staged."""
     spark = docs.sparkSession
     made, width, pad = sequences(docs, path, length)
     at = shared_path(spark, "token-sequences")
@@ -129,18 +134,89 @@ def training_order(docs: DataFrame, path: str | None = None, length: int = SEQUE
         return type(index)(permuted(index.to_numpy(), n, key))
 
     rows = staged.join(offset, "__file").withColumn("slot", slot(F.col("__row") + F.col("__offset")))
-    shards = max(1, -(-n // shard_slots))
-    rows = rows.withColumn("shard", F.floor(F.col("slot") / shard_slots).cast("int")).select("doc_id", "seq_no", "n_tokens", "ids", "slot", "shard")
-    rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
-    stride = 16 + width * length
+    return rows.withColumn("shard", F.floor(F.col("slot") / shard_slots).cast("int")).select("doc_id", "seq_no", "n_tokens", "ids", "slot", "shard"), n, width, pad, at
+
+
+def dealt(rows: DataFrame, first: int, shards: int) -> DataFrame:
+    """rows of the shards from first on, each shard in a partition of its own and in the order of its slots."""
+    return rows.repartitionById(shards, F.col("shard") - first).sortWithinPartitions("shard", "slot")
+
+
+def as_record(doc_id: Column, width: int, pad: int, length: int) -> Column:
     ids = F.rpad("ids", F.lit(width * length), F.lit(bytearray(pad.to_bytes(width, "little"))))
-    number = F.coalesce(F.col("doc_id").try_cast("long"), F.lit(-(2**63)))
-    record = F.concat(big_endian(number, 8), big_endian(F.col("seq_no").cast("long"), 4), big_endian(F.col("n_tokens").cast("long"), 4), ids)
-    return rows.select("doc_id", "seq_no", "slot", "shard", (F.col("slot") % shard_slots * stride).alias("offset"), "n_tokens", record.alias("record"))
+    number = F.coalesce(doc_id.try_cast("long"), F.lit(-(2**63)))
+    return F.concat(big_endian(number, 8), big_endian(F.col("seq_no").cast("long"), 4), big_endian(F.col("n_tokens").cast("long"), 4), ids)
+
+
+def training_order(docs: DataFrame, path: str | None = None, length: int = SEQUENCE, shard_slots: int = SHARD_SLOTS, key: int = KEY) -> DataFrame:
+    """doc_id, seq_no, slot, shard, offset, n_tokens, record: partition k has shard k, in the order of its slots. offset
+    is true in the files that write_shards makes of the rows."""
+    rows, n, width, pad, _ = slotted(docs, path, length, shard_slots, key)
+    rows = dealt(rows, 0, max(1, -(-n // shard_slots)))
+    offset = F.col("slot") % shard_slots * (16 + width * length + 1)
+    return rows.select("doc_id", "seq_no", "slot", "shard", offset.alias("offset"), "n_tokens", as_record(F.col("doc_id"), width, pad, length).alias("record"))
 
 
 def write_shards(rows: DataFrame, path: str) -> None:
     """The records of each shard as a binary file of its own, in the order of slots, by Spark's own writer (whose
     commits survive lost executors and whose file systems are Spark's). Each record ends in one newline byte, so
     the stride of the files is that of the records plus 1."""
-    rows.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
+    rows.select("shard", F.col("record").cast("string").alias("value")).write.mode("append").option("maxRecordsPerFile", 0).partitionBy("shard").option("lineSep", "\n").text(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written_order(docs: DataFrame, path: str | None = None, length: int = SEQUENCE, shard_slots: int = SHARD_SLOTS, key: int = KEY, at: str | None = None, waves: int = WAVES) -> DataFrame:
+    """Writes the shards below a new folder (or at), then reads them: doc_id, seq_no, slot, shard, file, offset,
+    n_tokens, record, where file is the shard's file and offset the byte in it at which the record begins.
+
+    Padded files are larger than the tokens, so little else is kept beside them: tokens are staged once more by wave
+    (a range of shards), and a wave's tokens and shuffle go when its shards are written.
+    """
+    spark = docs.sparkSession
+    at = at or shared_path(spark, "training-shards")
+    rows, n, width, pad, whole = slotted(docs, path, length, shard_slots, key)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = f"doc_id {kind}, seq_no int, slot long, shard int, file string, offset long, n_tokens int, record binary"
+    if n == 0:
+        removed(spark, whole)
+        return spark.createDataFrame([], out)
+    shards = -(-n // shard_slots)
+    each = -(-shards // waves)
+    parts = shared_path(spark, "token-waves")
+    rows.withColumn("wave", F.floor(F.col("shard") / each).cast("int")).write.option("compression", "zstd").partitionBy("wave").parquet(parts)
+    removed(spark, whole)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        for wave, first in enumerate(range(0, shards, each)):
+            mine = dealt(spark.read.schema(rows.schema).parquet(f"{parts}/wave={wave}"), first, min(each, shards - first))
+            write_shards(mine.select("shard", as_record(F.col("doc_id"), width, pad, length).alias("record")), at)
+            removed(spark, f"{parts}/wave={wave}")
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before) if before is not None else spark.conf.unset(SHUFFLE_CLEANUP)
+    removed(spark, parts)
+    stride = 16 + width * length + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, shard, content in zip(batch.column("path").to_pylist(), batch.column("shard").to_pylist(), batch.column("content")):
+                every = np.frombuffer(content.as_buffer(), np.uint8).reshape(-1, stride)
+                for i in range(0, len(every), BATCH_ROWS):
+                    part = every[i : i + BATCH_ROWS]
+                    number = lambda a, b, t: np.ascontiguousarray(part[:, a:b]).view(t).ravel()  # noqa: B023, E731
+                    doc_id, place = number(0, 8, ">i8").astype("i8"), np.arange(i, i + len(part))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(doc_id, mask=doc_id == -(2**63)), pa.array(number(8, 12, ">i4").astype("i4")), pa.array(shard * shard_slots + place), pa.array(np.full(len(part), shard, "i4")), pa.array([file] * len(part), pa.string()),
+                            pa.array(place * stride), pa.array(number(12, 16, ">i4").astype("i4")), pa.array([r[:-1].tobytes() for r in part], pa.binary()),
+                        ], names=["doc_id", "seq_no", "slot", "shard", "file", "offset", "n_tokens", "record"],
+                    )
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(at)
+    shard = F.regexp_extract("path", "shard=([0-9]+)", 1).cast("int")
+    back = files.select("path", shard.alias("shard"), "content").mapInArrow(run, out.replace(f"doc_id {kind}", "doc_id long"))
+    return back.withColumn("doc_id", F.col("doc_id").cast(kind))

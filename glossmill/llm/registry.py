@@ -53,7 +53,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binary_out.training_order(spread(read(spark, sf_dir, "documents")))
+    return binary_out.written_order(spread(read(spark, sf_dir, "documents")))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -326,6 +326,39 @@ def test_shard_files_hold_every_token(spark, docs, rows, library, tmp_path):
         assert [x for k in sorted(k for d, k in tokens if d == i) for x in tokens[i, k]] == library.encode_ordinary(t)
 
 
+@pytest.mark.parametrize("shard_slots", [50, 100_000])
+def test_written_order_is_in_the_files(spark, docs, rows, library, shard_slots):
+    table = binary_out.written_order(docs, length=128, shard_slots=shard_slots).collect()
+    assert sorted(r.slot for r in table) == list(range(len(table)))
+    files, tokens = {}, {}
+    for r in table:
+        f = r.file.removeprefix("file:")
+        files.setdefault(f, open(f, "rb").read())
+        assert f"/shard={r.slot // shard_slots}/" in f and r.shard == r.slot // shard_slots
+        assert files[f][r.offset : r.offset + len(r.record)] == r.record and len(r.record) == 16 + 2 * 128
+        assert int.from_bytes(r.record[:8], "big", signed=True) == r.doc_id
+        tokens[r.doc_id, r.seq_no] = np.frombuffer(r.record[16 : 16 + 2 * r.n_tokens], "<u2").tolist()
+    assert len(files) == -(-len(table) // shard_slots) and sum(map(len, files.values())) == len(table) * (16 + 2 * 128 + 1)
+    for i, t in rows:
+        assert [x for k in sorted(k for d, k in tokens if d == i) for x in tokens[i, k]] == library.encode_ordinary(t)
+    lazy = binary_out.training_order(docs, length=128, shard_slots=shard_slots).select("slot", "offset").collect()
+    assert sorted((r.slot, r.offset) for r in lazy) == sorted((r.slot, r.offset) for r in table)
+
+
+def test_query_writes_its_shards(spark):
+    row = registry.op10_training_order(spark, SF).first()
+    with open(row.file.removeprefix("file:"), "rb") as f:
+        f.seek(row.offset)
+        assert f.read(len(row.record)) == row.record
+
+
+def test_written_order_of_no_rows_and_null_ids(spark):
+    table = spark.createDataFrame([(None, "some text"), (5, None), (-3, "")], "doc_id long, text string")
+    got = {(r.doc_id, r.n_tokens > 0) for r in binary_out.written_order(table, length=8).collect()}
+    assert got == {(None, True), (5, False), (-3, False)}
+    assert binary_out.written_order(table.limit(0)).count() == 0
+
+
 def test_quality_figures(spark, docs, rows):
     rng = random.Random(8)
     texts = [t for _, t in rows[:60]] + ["\n".join(" ".join(rng.choice("ab") for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(0, 9))) for _ in range(100)]
