@@ -1,15 +1,18 @@
 """Diversity of a growing corpus: for each text, 1 less the mean BLEU of all texts so far, it among them.
 
 A new text changes the clipped counts of earlier ones, so a run is a fold. It is folded incrementally: for each
-n-gram the two largest counts are kept, and a text's matches change only where it holds an n-gram's first place.
+n-gram the two largest counts are kept, and a text's matches change only where it holds an n-gram's first place; its
+reference length changes only where a new length comes next to its own.
 A run's texts are one task's; runs are the unit that grows in number.
 """
 
 from __future__ import annotations
 
+import math
+from array import array
+from bisect import bisect_left
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,49 +21,89 @@ EPSILON = 0.1
 
 
 class Growing:
-    """Mean BLEU of a corpus to which texts are added."""
+    """Mean BLEU of a corpus to which texts are added. Only texts whose matches or whose reference length a new text
+    changes are scored again."""
 
     def __init__(self):
-        self.top: dict[tuple, list[int]] = {}  # n-gram: first text, its count, the second largest count
+        self.words: dict[str, int] = {}
+        self.grams: dict[int, int] = {}  # an n-gram's words in 32 bits each: its place in the arrays
+        self.first, self.most, self.second = array("i"), array("i"), array("i")  # the first text, its count, the second largest count
         self.sizes: list[int] = []
         self.lost: list[list[int]] = []  # matches that each text lacks, by n
+        self.scores: list[float] = []
+        self.total = 0.0
+        self.order: list[int] = []  # distinct sizes, sorted
+        self.of: dict[int, list[int]] = {}  # texts of a size, two at most
 
     def add(self, words: list[str]) -> float:
         """The diversity with this text; 1 for the first."""
         me = len(self.sizes)
         self.sizes.append(len(words))
         self.lost.append([0, 0, 0, 0])
-        for n in range(1, 5):
-            for g, k in Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1)).items():
-                if (t := self.top.get(g)) is None:
-                    self.top[g] = [me, k, 0]
-                    self.lost[me][n - 1] += k
+        self.scores.append(0.0)
+        changed = {me, *self.placed(me, len(words))}
+        ids = [self.words.setdefault(w, len(self.words) + 1) for w in words]
+        grams = ids
+        for n in range(4):
+            if n:
+                grams = [g << 32 | w for g, w in zip(grams, ids[n:])]
+            for g, k in Counter(grams).items():
+                if (at := self.grams.get(g)) is None:
+                    self.grams[g] = len(self.first)
+                    self.first.append(me)
+                    self.most.append(k)
+                    self.second.append(0)
+                    self.lost[me][n] += k
                     continue
-                first, most, second = t
-                self.lost[first][n - 1] -= most - second
+                first, most, second = self.first[at], self.most[at], self.second[at]
+                if k <= second:
+                    continue
+                changed.add(first)
+                self.lost[first][n] -= most - second
                 if k > most:
-                    t[:] = [me, k, most]
+                    self.first[at], self.most[at], self.second[at] = me, k, most
+                    self.lost[me][n] += k - most
                 else:
-                    t[2] = max(second, k)
-                self.lost[t[0]][n - 1] += t[1] - t[2]
-        return 1.0 if me == 0 else 1.0 - float(self.bleu().mean())
-
-    def bleu(self) -> np.ndarray:
-        size, lost = np.array(self.sizes), np.array(self.lost)
-        total = np.maximum(size[:, None] - np.arange(4), 0)
-        m, d = total - lost, np.maximum(total, 1)
-        log = 0.25 * np.log(np.where(m == 0, EPSILON / d, m / d)).sum(1)
-        order, ref = np.sort(size), np.empty(len(size))
-        for i, s in enumerate(size):  # the closest other length, the shorter of two
-            lo, hi = np.searchsorted(order, s), np.searchsorted(order, s, "right")
-            if hi - lo > 1:
-                ref[i] = s
-            else:
-                near = [order[j] for j in (lo - 1, hi) if 0 <= j < len(order)]
-                ref[i] = min(near, key=lambda x: (abs(x - s), x))
-        with np.errstate(divide="ignore", over="ignore"):
-            brevity = np.where(size > ref, 1.0, np.exp(1 - ref / np.maximum(size, 1e-300)))
-        return np.where(m[:, 0] == 0, 0.0, brevity * np.exp(log))
+                    self.second[at] = k
+                    self.lost[first][n] += most - k
+        if me == 0:
+            return 1.0
+        for i in changed if me > 1 else (0, 1):
+            score = self.bleu(i)
+            self.total += score - self.scores[i]
+            self.scores[i] = score
+        return 1.0 - self.total / (me + 1)
+
+    def placed(self, me: int, size: int) -> list[int]:
+        """Texts whose reference length may change as one of this size comes: those that are alone with their size."""
+        if same := self.of.get(size):
+            if len(same) > 1:
+                return []
+            same.append(me)
+            return same[:1]
+        at = bisect_left(self.order, size)
+        self.order.insert(at, size)
+        self.of[size] = [me]
+        near = [self.of[self.order[j]] for j in (at - 1, at + 1) if 0 <= j < len(self.order)]
+        return [x[0] for x in near if len(x) == 1]
+
+    def reference(self, size: int) -> int:
+        """The closest length of another text, the shorter of two."""
+        if len(self.of[size]) > 1:
+            return size
+        at = bisect_left(self.order, size)
+        near = [self.order[j] for j in (at - 1, at + 1) if 0 <= j < len(self.order)]
+        return min(near, key=lambda x: (abs(x - size), x))
+
+    def bleu(self, i: int) -> float:
+        size = self.sizes[i]
+        total = [max(size - n, 0) for n in range(4)]
+        matches = [t - x for t, x in zip(total, self.lost[i])]
+        if matches[0] == 0:
+            return 0.0
+        log = 0.25 * sum(math.log((m or EPSILON) / max(t, 1)) for m, t in zip(matches, total))
+        ref = self.reference(size)
+        return math.exp(log) * (1.0 if size > ref else math.exp(1 - ref / size))
 
 
 def prefix_diversity(reviews: DataFrame, run: str, order: str, text: str = "text") -> DataFrame:

@@ -673,8 +673,7 @@ def retry_feedback(spark, sf_dir):
 def prefix_self_bleu(spark, sf_dir):
     from glossmill.operators.prefix_bleu import prefix_diversity
 
-    d = reviews(spark, sf_dir)
-    return prefix_diversity(d.withColumn("run", F.concat_ws("-", "session", F.floor(c("seq") / 1000).cast("string"))), "run", "seq")
+    return prefix_diversity(reviews(spark, sf_dir).withColumn("run", c("session")), "run", "seq")
 
 
 @query()
