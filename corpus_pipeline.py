@@ -31,7 +31,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark in the texts that hold any, and n_chars follows the text."""
     spans = F.col("__spans")
-    rows = secret_scan.with_spans(docs, secret_scan.blob_findings(docs))
+    rows = secret_scan.with_spans(docs, secret_scan.first_scan(docs))
     text = F.when(F.col("text").isNull(), F.col("text")).otherwise(secret_scan.redact(F.col("text"), spans))
     made = rows.withColumn("__text", text)
     out = {"text": F.col("__text"), "n_chars": F.when(F.size(spans) > 0, F.length("__text").cast("long")).otherwise(F.col("n_chars"))}

@@ -31,7 +31,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return secret_scan.digest(secret_scan.with_spans(docs, secret_scan.blob_findings(docs)))
+    return secret_scan.digest(secret_scan.with_spans(docs, secret_scan.first_scan(docs)))
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

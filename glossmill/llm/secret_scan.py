@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossmill.llm.common import staged
+
 PATH_BLOB = "__blob"
 
 
@@ -61,20 +63,20 @@ def blobs(versions: DataFrame, text: str) -> DataFrame:
     return versions.select(content_address(text).alias(PATH_BLOB), F.coalesce(F.col(text), F.lit("")).alias("__text")).groupBy(PATH_BLOB).agg(F.first("__text").alias("__text"), F.count("*").alias("__copies"))
 
 
-def matches(text: Column, rules: tuple[Rule, ...]) -> Column:
-    """For each rule that matches at all: its kind, the pieces between its matches, and the matches."""
-    found = [F.when(text.rlike(r.pattern), F.struct(F.lit(r.kind).alias("kind"), F.split(text, r.pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0)).alias("match"))) for r in rules]
+def matches(text: Column, rules: tuple[Rule, ...], of: dict[str, str], todo: Column) -> Column:
+    """For each rule of the packs to do that matches at all: its kind, the pieces between its matches, and the matches."""
+    found = [F.when(F.array_contains(todo, of[r.kind]) & text.rlike(r.pattern), F.struct(F.lit(r.kind).alias("kind"), F.split(text, r.pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0)).alias("match"))) for r in rules]
     return F.array_compact(F.array(*found))
 
 
 def scan(blobs: DataFrame, packs: dict[str, tuple[Rule, ...]]) -> DataFrame:
-    """blob, pack, spans for the pairs of blobs and packs that have findings. blobs: one row each."""
+    """blob, pack, spans for the pairs of blobs and packs that have findings. blobs: one row each, __todo its packs."""
     rules = {r.kind: r for p in packs.values() for r in p}
     of = {r.kind: name for name, p in packs.items() for r in p}
     kinds = F.create_map(*[x for k in rules for x in (F.lit(k), F.struct(F.lit(ORDER.get(k, 99)).alias("ord"), F.lit(of[k]).alias("pack")))])
     by_kind = Window.partitionBy(PATH_BLOB, "kind").orderBy("at")
     rows = (
-        blobs.select(PATH_BLOB, F.explode(matches(F.col("__text"), tuple(rules.values()))).alias("m"))
+        blobs.select(PATH_BLOB, F.explode(matches(F.col("__text"), tuple(rules.values()), of, F.col("__todo"))).alias("m"))
         .select(PATH_BLOB, "m.kind", F.posexplode(F.arrays_zip("m.between", "m.match")).alias("at", "x"))
         .select(PATH_BLOB, "kind", "at", F.length("x.between").alias("gap"), "x.match")
         .withColumn("end", (F.sum(F.col("gap") + F.coalesce(F.length("match"), F.lit(0))).over(by_kind)).cast("int"))
@@ -91,34 +93,38 @@ def scan(blobs: DataFrame, packs: dict[str, tuple[Rule, ...]]) -> DataFrame:
     )
 
 
-def unseen(blobs: DataFrame, ledger: DataFrame | None, pack: str) -> DataFrame:
-    return blobs if ledger is None else blobs.join(ledger.filter(F.col("pack") == pack).select(F.col("blob").alias(PATH_BLOB)), PATH_BLOB, "left_anti")
+def unseen(blobs: DataFrame, ledger: DataFrame | None, packs: list[str]) -> DataFrame:
+    """blobs with the packs (__todo) that the ledger lacks for them, where there are any."""
+    every = F.array(*[F.lit(p) for p in packs])
+    if ledger is None:
+        return blobs.withColumn("__todo", every)
+    seen = ledger.filter(F.col("pack").isin(packs)).groupBy(F.col("blob").alias(PATH_BLOB)).agg(F.collect_set("pack").alias("__seen"))
+    todo = F.array_except(every, F.coalesce("__seen", F.array().cast("array<string>")))
+    return blobs.join(seen, PATH_BLOB, "left").withColumn("__todo", todo).drop("__seen").filter(F.size("__todo") > 0)
 
 
 def extend_ledger(versions: DataFrame, text: str = "text", ledger: DataFrame | None = None, packs: dict[str, tuple[Rule, ...]] | None = None) -> DataFrame:
-    """The ledger with the pairs of versions' blobs and packs that it lacked: blob, pack, spans (empty if none)."""
+    """The ledger (none: an empty one) with the pairs of versions' blobs and packs that it lacked: blob, pack, spans
+    (empty if none). All packs are scanned in one pass over the distinct blobs, each blob for those that it lacks."""
     packs = PACKS if packs is None else packs
-    have = blobs(versions, text)
-    new = None
-    for name, rules in packs.items():
-        fresh = unseen(have, ledger, name)
-        part = fresh.select(PATH_BLOB).join(scan(fresh, {name: rules}).select(PATH_BLOB, "spans"), PATH_BLOB, "left").select(F.col(PATH_BLOB).alias("blob"), F.lit(name).alias("pack"), F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
-        new = part if new is None else new.unionByName(part)
+    fresh = unseen(blobs(versions, text), ledger, list(packs))
+    pairs = fresh.select(PATH_BLOB, F.explode("__todo").alias("pack"))
+    new = pairs.join(scan(fresh, packs), [PATH_BLOB, "pack"], "left").select(F.col(PATH_BLOB).alias("blob"), "pack", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
     return new if ledger is None else ledger.select("blob", "pack", "spans").unionByName(new)
 
 
-def blob_findings(versions: DataFrame, text: str = "text", ledger: DataFrame | None = None, packs: dict[str, tuple[Rule, ...]] | None = None) -> DataFrame:
-    """blob, spans (of all packs, sorted), copies for blobs that have findings; scanned pairs come from the ledger.
-
-    Without a ledger, all packs are scanned in one pass over the distinct blobs.
-    """
+def blob_findings(versions: DataFrame | None, text: str = "text", ledger: DataFrame | None = None, packs: dict[str, tuple[Rule, ...]] | None = None) -> DataFrame:
+    """blob, spans (of all packs, sorted) for blobs that have findings. Pairs of versions that the ledger lacks are
+    scanned; without versions the ledger is taken as it is."""
     packs = PACKS if packs is None else packs
-    if ledger is None:
-        have = blobs(versions, text)
-        found = scan(have, packs).groupBy(PATH_BLOB).agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
-    else:
-        found = ledger.filter(F.col("pack").isin(*packs) & (F.size("spans") > 0)).groupBy(F.col("blob").alias(PATH_BLOB)).agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return found
+    if versions is not None:
+        ledger = extend_ledger(versions, text, ledger, packs)
+    return ledger.filter(F.col("pack").isin(*packs) & (F.size("spans") > 0)).groupBy(F.col("blob").alias(PATH_BLOB)).agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
+
+
+def first_scan(versions: DataFrame) -> DataFrame:
+    """The findings of a first run: an empty ledger, extended by versions and kept as a table in the shared folder."""
+    return blob_findings(None, ledger=staged(extend_ledger(versions), "secret-ledger"))
 
 
 def with_spans(versions: DataFrame, found: DataFrame, text: str = "text", out: str = "__spans") -> DataFrame:

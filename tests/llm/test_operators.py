@@ -136,6 +136,27 @@ def test_ledger_scans_only_what_it_lacks(spark):
     assert secret_scan.extend_ledger(first, ledger=forged, packs={"base-1": secret_scan.BASE}).filter("size(spans) > 0").count() == 0
 
 
+def test_findings_scan_what_the_ledger_lacks(spark):
+    first = spark.createDataFrame([(1, "token=abcdefabcdef"), (2, "nothing")], "doc_id long, text string")
+    later = spark.createDataFrame([(3, "password = supersecret99"), (4, "token=abcdefabcdef"), (5, "ghp_" + "a1B2" * 9)], "doc_id long, text string")
+    one = secret_scan.extend_ledger(first, packs={"base-1": secret_scan.BASE})
+    spans = lambda ledger: {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.with_spans(later, secret_scan.blob_findings(later, ledger=ledger))).collect()}
+    assert spans(one) == spans(None) and all(spans(one).values())
+    forged = one.withColumn("spans", F.array().cast(secret_scan.SPAN))  # a pair that was scanned isn't scanned again
+    assert {i for i, s in spans(forged).items() if s} == {3, 5}
+
+
+def test_secret_query_and_stage_keep_a_ledger(spark, docs, rows, monkeypatch):
+    import corpus_pipeline
+
+    made, extend = [], secret_scan.extend_ledger
+    monkeypatch.setattr(secret_scan, "extend_ledger", lambda *a, **b: made.append(extend(*a, **b)) or made[-1])
+    registry.op5_secret_scans(spark, SF)
+    corpus_pipeline.secret_scans(spark, docs, SF)
+    distinct = len({t or "" for _, t in rows})
+    assert [{r.pack: r["count"] for r in m.groupBy("pack").count().collect()} for m in made] == [dict.fromkeys(secret_scan.PACKS, distinct)] * 2
+
+
 def test_redaction(spark):
     r = spark.createDataFrame([("é token=abcdefabcdef0123 end",), ("clean",), (None,)], "text string").withColumn("doc_id", F.lit(1))
     rows = secret_scan.with_spans(r, secret_scan.blob_findings(r))
