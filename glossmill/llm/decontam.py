@@ -16,7 +16,8 @@ benchmark's hashes are broadcast in blocks of bounded size (as many passes as th
 leave the stage. Nothing of a document is shuffled but the stretch that a hit points at.
 
 Defined results: null or empty texts match nothing; items of fewer than LEAST_TOKENS tokens are evidence of
-nothing and are skipped; repeated rows of one doc_id are one document; empty tables give an empty result.
+nothing and are skipped; items without an id aren't listed, but documents that hold them aren't clean; benchmark rows
+that share an id are all searched; repeated rows of one doc_id are one document, which has what any of them has; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -42,58 +43,68 @@ def picked(words: Column, at: Column, mask: str, tag: int) -> Column:
     return F.xxhash64(F.lit(tag), *[F.get(words, at + i) for i, m in enumerate(mask) if m == "1"])
 
 
-def positions(size: Column, span: int) -> Column:
-    return F.when(size >= span, F.sequence(F.lit(0), size - span))
+def positions(size: Column, span: int, edge: int = 0) -> Column:
+    """Where windows of a span start, also those that begin or end so many tokens outside."""
+    return F.when(size >= span - edge, F.sequence(F.lit(-edge), size - span + edge))
 
 
 def index(items: DataFrame, masks: list[tuple[int, str, bool]]) -> DataFrame:
-    """hash, item_id, at of every window of every item. A mask of short items is for items of its length only."""
+    """hash, key, at of every window of every item. A mask of short items is for items of its length only."""
     rows = None
     for tag, mask, short in masks:
         mine = items.filter(F.col("n") == len(mask) if short else F.col("n") >= SHORT)
-        part = mine.select("item_id", "words", F.explode(positions(F.col("n"), len(mask))).alias("at")).select(picked(F.col("words"), F.col("at"), mask, tag).alias("hash"), "item_id", "at")
+        part = mine.select("key", "words", F.explode(positions(F.col("n"), len(mask))).alias("at")).select(picked(F.col("words"), F.col("at"), mask, tag).alias("hash"), "key", "at")
         rows = part if rows is None else rows.unionByName(part)
     return rows
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_overlap: int = MIN_OVERLAP, similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """doc_id, item_id, doc_at, tokens, matched: each item found in a document, at its best diagonal.
-
-    doc_at is the token of the document where the compared stretch begins, tokens its length and matched how
-    many of its tokens agree.
-    """
-    items = benchmark.select("item_id", F.filter(tokens(F.col("text")), lambda w: w != "").alias("words")).withColumn("n", F.size("words")).filter((F.col("n") >= LEAST_TOKENS) & F.col("item_id").isNotNull()).dropDuplicates(["item_id"])
+def found_items(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_overlap: int = MIN_OVERLAP, similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """What contaminated gives, and the same of items without an id."""
+    items = benchmark.select("item_id", F.filter(tokens(F.col("text")), lambda w: w != "").alias("words")).withColumn("n", F.size("words")).filter(F.col("n") >= LEAST_TOKENS)
+    # rows that share an id are items of their own, unless their words are the same
+    items = items.withColumn("key", F.unhex(F.md5(F.concat_ws(" ", F.coalesce(F.col("item_id").cast("string"), F.lit("-")), "words")))).dropDuplicates(["key"])
     lengths = sorted(r.n for r in items.filter(F.col("n") < SHORT).select("n").distinct().collect())  # at most SHORT of them
     one_off = [(n, "".join("0" if i == k else "1" for i in range(n))) for n in lengths for k in range(n)]
     every = [(i, m, False) for i, m in enumerate(masks)] + [(100 + i, m, True) for i, (_, m) in enumerate(one_off)]
     hashes = index(items, every)
     total = hashes.count()
     blocks = max(1, -(-total // block_rows))
+    # a mask that leaves out the first or last token of a short item also fits with that token outside the document
     least = min(len(m) for _, m, _ in every)
     words = docs.select("doc_id", tokens(F.col("text")).alias("words"))
-    windows = words.select("doc_id", "words", F.explode(positions(F.size("words"), least)).alias("at")).select("doc_id", "words", "at", F.explode(F.array(*[picked(F.col("words"), F.col("at"), m, tag) for tag, m, _ in every])).alias("hash"))
+    windows = words.select("doc_id", "words", F.explode(positions(F.size("words"), least, 1 if one_off else 0)).alias("at")).select("doc_id", "words", "at", F.explode(F.array(*[picked(F.col("words"), F.col("at"), m, tag) for tag, m, _ in every])).alias("hash"))
     hits = None
     for b in range(blocks):
-        mine = lambda df: df if blocks == 1 else df.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)  # noqa: B023, E731
-        seeds = mine(hashes).select(F.col("hash").alias("__hash"), "item_id", F.col("at").alias("__at")).distinct()
-        found = windows.join(F.broadcast(seeds), F.col("hash") == F.col("__hash")).select("doc_id", "item_id", (F.col("at") - F.col("__at")).alias("diagonal"), "words")
-        found = found.join(F.broadcast(mine(items).select("item_id", F.col("words").alias("item"), "n")), "item_id")
+        mine = lambda df: df if blocks == 1 else df.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b)  # noqa: B023, E731
+        seeds = mine(hashes).select(F.col("hash").alias("__hash"), "key", F.col("at").alias("__at")).distinct()
+        found = windows.join(F.broadcast(seeds), F.col("hash") == F.col("__hash")).select("doc_id", "key", (F.col("at") - F.col("__at")).alias("diagonal"), "words")
+        found = found.join(F.broadcast(mine(items).select("key", "item_id", F.col("words").alias("item"), "n")), "key")
         # the document under the item, null where the item juts out
         cut = F.greatest(F.lit(0), -F.col("diagonal"))
         under = F.concat(F.array_repeat(F.lit(None).cast("string"), cut), F.slice("words", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.col("n") - cut))
-        found = found.select("doc_id", "item_id", "diagonal", under.alias("under"), "item", "n")
+        found = found.select("doc_id", "key", "diagonal", under.alias("under"), "item_id", "item", "n")
         hits = found if hits is None else hits.unionByName(found)
-    once = hits.groupBy("doc_id", "item_id", "diagonal").agg(F.first(F.struct("under", "item", "n")).alias("h"))
-    same = F.zip_with("h.under", "h.item", lambda a, b: F.when(a.eqNullSafe(b) & a.isNotNull(), 1).otherwise(0))
+    # rows of one doc_id may differ in their texts, and then do so in the stretch
+    once = hits.groupBy("doc_id", "key", "diagonal", "under").agg(F.first(F.struct("item_id", "item", "n")).alias("h"))
+    same = F.zip_with("under", "h.item", lambda a, b: F.when(a.eqNullSafe(b) & a.isNotNull(), 1).otherwise(0))
     checked = once.withColumn("same", same).withColumn("width", F.least(F.lit(min_overlap), F.col("h.n")))
     agree = lambda i: F.aggregate(F.slice("same", i + 1, F.col("width")), F.lit(0), lambda acc, x: acc + x)
     best = F.array_max(F.transform(F.sequence(F.lit(0), F.size("same") - F.col("width")), lambda i: F.struct(agree(i).alias("matched"), (-i).alias("from"))))
     scored = checked.withColumn("best", best).filter(F.col("best.matched") >= F.ceil(F.col("width") * F.lit(similarity) - F.lit(1e-9)))
     row = F.struct(F.col("best.matched").alias("matched"), F.greatest(F.col("diagonal") - F.col("best.from"), F.lit(0)).cast("long").alias("doc_at"), F.col("width").cast("long").alias("tokens"))
-    return scored.groupBy("doc_id", "item_id").agg(F.max(row).alias("r")).select("doc_id", F.col("item_id").cast("long").alias("item_id"), "r.doc_at", "r.tokens", F.col("r.matched").cast("long").alias("matched"))
+    return scored.groupBy("doc_id", F.col("h.item_id").alias("item_id")).agg(F.max(row).alias("r")).select("doc_id", F.col("item_id").cast("long").alias("item_id"), "r.doc_at", "r.tokens", F.col("r.matched").cast("long").alias("matched"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
+    """doc_id, item_id, doc_at, tokens, matched: each item found in a document, at its best diagonal.
+
+    doc_at is the token of the document where the compared stretch begins, tokens its length and matched how
+    many of its tokens agree. Of rows that share an id, the best one counts; items without an id aren't listed.
+    """
+    return found_items(docs, benchmark, **kw).filter(F.col("item_id").isNotNull())
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """docs without the contaminated ones, columns as they were."""
-    bad = contaminated(docs, benchmark, **kw).select(F.col("doc_id").alias("__bad")).distinct()
+    bad = found_items(docs, benchmark, **kw).select(F.col("doc_id").alias("__bad")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")

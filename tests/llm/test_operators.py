@@ -208,6 +208,25 @@ def test_decontamination(spark):
     assert small == got  # blocks change nothing
 
 
+def test_decontamination_at_the_edges(spark):
+    items = [(n, " ".join(f"{c}{n}" for c in "abcdefg"[:n])) for n in (5, 6, 7)]
+    docs = []
+    for n, text in items:
+        w = text.split()
+        for part in (w[1:], w[:-1], w[2:], w[:-2]):
+            docs += [(len(docs), " ".join(part)), (len(docs) + 1, " ".join([*part, "more", "words", "here"])), (len(docs) + 2, " ".join(["more", "words", "here", *part]))]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute_contamination(docs, items) and {(0, 5), (3, 5)} <= got
+
+
+def test_decontamination_of_shared_and_missing_ids(spark):
+    one, two, three = "a b c d e f g h i", "k l m n o p q r s", "t u v w x y z aa bb"
+    items = spark.createDataFrame([(1, one), (1, two), (1, two), (None, three)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, one), (2, two), (3, three), (4, "nothing of the kind"), (5, "a b c d e f changed changed changed"), (5, one)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.matched) for r in decontam.contaminated(docs, items).collect()} == {(1, 1, 9), (2, 1, 9), (5, 1, 9)}
+    assert [r.doc_id for r in decontam.clean(docs, items).collect()] == [4]
+
+
 def test_masks_lose_nothing():
     """Whichever tokens of a stretch are substituted, within the similarity, one of the masks meets the others."""
     import math
