@@ -28,8 +28,9 @@ from glossmill.llm.common import bounded_batches, held_out, staged
 
 #: Texts of a language, centroids of a language, and buckets of n-grams (a power of two).
 SAMPLE, CENTROIDS, BUCKETS = 600, 3, 4096
-#: A text is rejected below this part of the cosine that all but a hundredth of the language's sample reach.
-MARGIN = 0.35
+#: A text is rejected below this part of the cosine that all but a hundredth of the language's sample reach: the first
+#: for texts of few letters, whose vectors are rough, the second for those of many, and in between by their letters.
+MARGIN, LONG_MARGIN, FEW, MANY = 0.35, 0.8, 50, 150
 CHUNK = 1 << 20
 UNKNOWN = "und"
 
@@ -128,6 +129,11 @@ def fit(docs: DataFrame, seed: int = 3) -> dict:
     return {"idf": idf, "langs": langs, "vectors": np.stack([np.frombuffer(r[1], np.float32) for r in found]), "of": np.array([langs.index(r[0]) for r in found]), "least": np.array([r[2] for r in found])}
 
 
+def margin(text: str) -> float:
+    long = (sum(map(str.isalpha, text)) - FEW) / (MANY - FEW)
+    return MARGIN + (LONG_MARGIN - MARGIN) * min(1.0, max(0.0, long))
+
+
 def judged(text: str | None, m: dict) -> tuple[str, float, bool]:
     """Language, score and whether the text is rejected."""
     v = vector(text, m["idf"]) if m["langs"] else None
@@ -136,7 +142,8 @@ def judged(text: str | None, m: dict) -> tuple[str, float, bool]:
     near = m["vectors"] @ v
     at = int(near.argmax())
     score = min(1.0, max(0.0, float(near[at])))
-    return m["langs"][m["of"][at]], score, score < MARGIN * m["least"][at]
+    rejected = score < LONG_MARGIN * m["least"][at] and score < margin(text) * m["least"][at]  # few texts' letters need be counted
+    return m["langs"][m["of"][at]], score, bool(rejected)
 
 
 def predicted(docs: DataFrame, model: dict) -> DataFrame:

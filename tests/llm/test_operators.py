@@ -460,6 +460,22 @@ def test_far_texts_are_rejected(spark):
         langid.CHUNK = langid_chunk
 
 
+def test_far_texts_in_latin_letters_are_rejected(spark):
+    import base64
+
+    sf, rng = "/root/testdata/sf0.01", random.Random(4)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs)
+    far = [
+        "La casa era grande e il giardino pieno di fiori; ogni mattina la nonna apriva le finestre e preparava il caffè per tutti gli ospiti che arrivavano dalla città.",
+        "Talvella järvi jäätyy ja lapset luistelevat koko päivän, mutta illalla kaikki kokoontuvat saunan jälkeen takkatulen ääreen kuuntelemaan vanhoja tarinoita.",
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(400)), base64.b64encode(rng.randbytes(3000)).decode(),
+    ]
+    assert all(langid.judged(t, model)[2] for t in far)
+    held = [r.text for r in docs.filter(langid.held_out() & F.col("lang").isNotNull()).select("text").collect()]
+    assert sum(langid.judged(t, model)[2] for t in held) <= 0.01 * len(held)  # clean texts stay
+
+
 def test_pipeline_equals_its_parts_in_plain_python(spark, library):
     import corpus_pipeline
 
