@@ -5,22 +5,44 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written and read again; a temporary folder serves only where the session names none, as in tests."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = set_before.get() if set_before.isDefined() else None
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where the session names none, a temporary
+    one serves if all of Spark is one process (master local, as in tests); on a cluster that is an error."""
+    sc = spark.sparkContext
+    before = sc._jsc.sc().getCheckpointDir()
+    at = spark.conf.get("spark.checkpoint.dir", None) or (before.get() if before.isDefined() else None)
     if not at:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="glossmill-")
-        spark.sparkContext.setCheckpointDir(at)
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not before.isDefined():
+        sc.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str, **options) -> DataFrame:
+    """df written as a table and read again."""
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: its lineage ends there, and lost executors don't matter."""
+    return written(df, shared_path(df.sparkSession, name))
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a staged table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
