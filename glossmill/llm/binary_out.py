@@ -1,39 +1,51 @@
 """Token ids in training order, as fixed-stride binary shards.
 
-Every document is cut into sequences of SEQUENCE tokens (the last one padded). Sequences have an index from 0 in
-the order of the staged token table; a keyed Feistel network over the next power of two, walked along its cycle
-until it comes back below the number of sequences, permutes the indices into global slots. Shard k holds the slots
-from k * SHARD_SLOTS in order, every record of the same size, so slot s is at byte (s - first) * stride of its
-shard's file (the stride is a record and the newline that Spark's writer ends it by): reads are sequential, and resume at any slot by arithmetic.
-
-A record: 8 bytes doc_id (two's complement, big-endian; the least number for null), 4 bytes number of the sequence
-in its document, 4 bytes count of its tokens (big-endian), then SEQUENCE little-endian unsigned 16-bit ids (32-bit
-where the vocabulary needs it), padded by the id that ends a text.
-
-Defined results: a null or empty text is one sequence of no tokens; repeated rows are sequences of their own; an
-empty table has no slots and no shards; texts are tokenised whole. A doc_id that isn't a whole number of 64 bits, or is
-the least of them, is null in the files and in what written_order reads back.
+Documents are packed: the ids of each, ended by the id that ends a text, follow on each other and are cut into
+sequences of SEQUENCE ids. A document goes to a bucket by a hash of its id and text, and documents of a bucket are
+in the order of those hashes, so that the sequences and their numbers depend on the documents alone and not on
+files, partitions or cores; a bucket's last sequence is padded. A keyed Feistel network over the next power of two,
+walked along its cycle until it comes back below the number of sequences, permutes their numbers into global slots.
+Shard k holds a range of slots in order, every record of the same size, so slot s is at byte (s - first) * stride of
+its shard's file (the stride is a record and the newline that Spark's writer ends it by): reads are sequential, and
+resume at any slot by arithmetic.
+
+A record: 8 bytes slot, 4 bytes count of its ids that aren't padding, 4 bytes CRC-32 of all its ids (big-endian), then
+SEQUENCE little-endian unsigned 16-bit ids (32-bit where the vocabulary needs it).
+
+Rows that are equal in id and text are interchangeable. Up to a limit they share a bucket; of those that are more (a
+bounded number of different ones, whatever the input) copies are counted and dealt over the buckets.
+
+Defined results: a null or empty text is one end mark; repeated rows are packed as often as they come; texts are
+tokenised whole, whatever their length; an empty table has no slots and no shards. doc_id may be of any type that can
+be hashed; columns of any other name may be there.
 """
 
 from __future__ import annotations
 
+import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.bpe import VOCABULARY, encoder, read_ranks
-from glossmill.llm.common import BATCH_ROWS, bounded_batches, shared_path
+from glossmill.llm.bpe import PIECE_CHARS, PIECES, VOCABULARY, read_ranks, table
+from glossmill.llm.common import identity, removed, shared_path, slices, written
 
-#: Tokens of a sequence, sequences of a shard, and files of the staged table at most (its offsets are broadcast).
-SEQUENCE, SHARD_SLOTS, STAGED_FILES = 1024, 16_384, 65_536
+#: Ids of a sequence; sequences of a shard at least, and shards at most: beyond those, shards grow (by powers of two).
+SEQUENCE, SHARD_SLOTS, SHARDS = 1024, 16_384, 65_536
+#: Ids of a bucket, about; and buckets at most, whose offsets are broadcast.
+BUCKET_IDS, BUCKETS = 1 << 20, 65_536
+#: Copies of a row from which they are dealt over the buckets; at most that many different rows have more.
+HOT_COPIES, HOT_ROWS = 1000, 100_000
 ROUNDS = 8
 #: Shards are written in so many waves; Spark's setting by which a write's shuffle files go when it ends.
-WAVES = 4
+WAVES = 2
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 KEY = 0x5EED_0F_7A11
 
@@ -80,143 +92,194 @@ def permuted(x: np.ndarray, n: int, key: int = KEY, back: bool = False) -> np.nd
     return y.astype(np.int64)
 
 
-def sequences(docs: DataFrame, path: str | None = None, length: int = SEQUENCE) -> tuple[DataFrame, int, int]:
-    """doc_id, seq_no, n_tokens, ids for each sequence; the bytes of an id; the id that pads."""
-    bounded_batches(docs.sparkSession)
-    data = read_ranks(path or public_tokenizers.path(VOCABULARY))
-    free = data.count(b"\n") + (not data.endswith(b"\n"))
-    width = 2 if free < 1 << 16 else 4
-    ranks = docs.sparkSession.sparkContext.broadcast(data)
+class Pieces(dict):
+    """The ids of pieces, remembered within bounds; a piece that isn't there is encoded by the library. Splitting is ours:
+    the library's own gives up on long runs of white space."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(ranks.value)
-        lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
-        for batch in batches:
-            source, number, count, ids = [], [], [], []
-            for at, text in enumerate(batch.column("text").to_pylist()):
-                text = text or ""
-                # the library is the faster one on usual texts, ours is linear on runs without a break
-                every = np.asarray(lib.encode_ordinary(text) if len(text) < 1 << 17 else np.frombuffer(own.encode(text), "<u4"), dtype=f"<u{width}")
-                for i in range(max(1, -(-len(every) // length))):
-                    part = every[i * length : (i + 1) * length]
-                    source.append(at)
-                    number.append(i)
-                    count.append(len(part))
-                    ids.append(part.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(source, pa.int32())), pa.array(number, pa.int32()), pa.array(count, pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "seq_no", "n_tokens", "ids"])
+    def __init__(self, ranks: bytes, width: int):
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table(ranks), special_tokens={})
+        self.one, self.kind, self.chars = own._core_bpe.encode_single_piece, {2: "H", 4: "I"}[width], 0
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, seq_no int, n_tokens int, ids binary")
-    return made, width, free
+    def __missing__(self, piece: str) -> bytes:
+        ids = array(self.kind, self.one(piece.encode())).tobytes()
+        if len(self) >= PIECES or self.chars + len(piece) > PIECE_CHARS:
+            self.clear()
+            self.chars = 0
+        if len(piece) <= PIECE_CHARS:
+            self[piece] = ids
+            self.chars += len(piece)
+        return ids
 
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.split(text)))
 
-def big_endian(number: Column, size: int) -> Column:
-    return F.unhex(F.lpad(F.hex(number), 2 * size, "0"))
 
+_PIECES: dict[tuple[bytes, int], Pieces] = {}
 
-def slotted(docs: DataFrame, path: str | None, length: int, shard_slots: int, key: int) -> tuple[DataFrame, int, int, int, str]:
-    """doc_id, seq_no, n_tokens, ids, slot, shard of each sequence; how many there are; the bytes of an id; the id that
-    pads; where the token table that the rows are read from is staged."""
-    spark = docs.sparkSession
-    made, width, pad = sequences(docs, path, length)
-    at = shared_path(spark, "token-sequences")
-    (made.coalesce(STAGED_FILES) if made.rdd.getNumPartitions() > STAGED_FILES else made).write.option("compression", "zstd").parquet(at)
-    staged = spark.read.schema(made.schema).parquet(at).withColumn("__file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).withColumn("__row", F.col("_metadata.row_index"))
-    files = sorted((r["__file"], r["n"]) for r in staged.groupBy("__file").agg(F.count("*").alias("n")).collect())  # a row a file: STAGED_FILES at most
-    offsets, n = [], 0
-    for name, rows in files:
-        offsets.append((name, n))
-        n += rows
-    offset = F.broadcast(spark.createDataFrame(offsets, "__file string, __offset long"))
 
-    @F.pandas_udf("long")
-    def slot(index):
-        return type(index)(permuted(index.to_numpy(), n, key))
+def pieces_of(ranks: bytes, width: int) -> Pieces:
+    """Built once a process."""
+    if (ranks, width) not in _PIECES:
+        _PIECES[ranks, width] = Pieces(ranks, width)
+    return _PIECES[ranks, width]
 
-    rows = staged.join(offset, "__file").withColumn("slot", slot(F.col("__row") + F.col("__offset")))
-    return rows.withColumn("shard", F.floor(F.col("slot") / shard_slots).cast("int")).select("doc_id", "seq_no", "n_tokens", "ids", "slot", "shard"), n, width, pad, at
 
+def tokenised(docs: DataFrame, ranks: bytes) -> tuple[DataFrame, int, int]:
+    """a, b (the identity of id and text), doc_id, n, ids (ended) of each row; the bytes of an id; the id that ends a text."""
+    end = max(table(ranks).values()) + 1
+    width = 2 if end < 1 << 16 else 4
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    mark = end.to_bytes(width, "little")
 
-def dealt(rows: DataFrame, first: int, shards: int) -> DataFrame:
-    """rows of the shards from first on, each shard in a partition of its own and in the order of its slots."""
-    return rows.repartitionById(shards, F.col("shard") - first).sortWithinPartitions("shard", "slot")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pieces_of(shared.value, width)
+        for batch in slices(batches):
+            ids = [pieces.encode(t) + mark if t else mark for t in batch.column("text").to_pylist()]
+            n = pa.array([len(x) // width for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("a", "b", "doc_id")), n, pa.array(ids, pa.binary())], names=["a", "b", "doc_id", "n", "ids"])
 
+    a, b = identity(docs, ["doc_id", "text"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select(a.alias("a"), b.alias("b"), "doc_id", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"a long, b long, doc_id {kind}, n long, ids binary"), width, end
+
+
+def dealt(rows: DataFrame, buckets: int, hot_copies: int) -> DataFrame:
+    """rows with bucket, part and times: how often the row counts in the bucket. Rows of more than hot_copies copies are
+    one row a bucket; there are few, found by a count of identities, and known to all tasks."""
+    counts = rows.groupBy("a", "b").agg(F.count("*").alias("copies")).filter(F.col("copies") > hot_copies)
+    hot = F.broadcast(counts)  # rows / hot_copies at most, of which hot_copies makes HOT_ROWS or fewer
+    cold = rows.join(hot, ["a", "b"], "left_anti").withColumns({"bucket": F.pmod("a", F.lit(buckets)).cast("int"), "part": F.lit(0), "times": F.lit(1).cast("long")})
+    values = [c for c in rows.columns if c not in ("a", "b")]
+    warm = rows.join(hot, ["a", "b"]).groupBy("a", "b", "copies").agg(*[F.first(c).alias(c) for c in values])
+    parts = F.least(F.col("copies"), F.lit(buckets)).cast("int")
+    warm = warm.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    times = F.floor(F.col("copies") / parts) + (F.col("part") < F.col("copies") % parts).cast("long")
+    warm = warm.withColumns({"bucket": F.pmod(F.col("a") + F.col("part"), F.lit(buckets)).cast("int"), "times": times})
+    names = ["a", "b", *values, "bucket", "part", "times"]
+    return cold.select(names).unionByName(warm.select(names))
+
+
+def packed(rows: DataFrame, n_buckets: int, length: int, width: int, pad: int, key: int) -> tuple[DataFrame, int]:
+    """slot, n_tokens, doc_ids, ids of each sequence, and how many there are."""
+    spark = rows.sparkSession
+    sizes = dict(sorted((r.bucket, r.n) for r in rows.groupBy("bucket").agg(F.sum(F.col("n") * F.col("times")).alias("n")).collect()))  # a row a bucket
+    offsets, total = {}, 0
+    for bucket, n in sizes.items():
+        offsets[bucket] = total
+        total += -(-n // length)
+    first = spark.sparkContext.broadcast(offsets)
+    size, mark = length * width, pad.to_bytes(width, "little")
 
-def as_record(doc_id: Column, width: int, pad: int, length: int) -> Column:
-    ids = F.rpad("ids", F.lit(width * length), F.lit(bytearray(pad.to_bytes(width, "little"))))
-    number = F.coalesce(doc_id.try_cast("long"), F.lit(-(2**63)))
-    return F.concat(big_endian(number, 8), big_endian(F.col("seq_no").cast("long"), 4), big_endian(F.col("n_tokens").cast("long"), 4), ids)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition holds whole buckets, in order; a sequence is made at once, and few wait to be sent."""
+        done: list[tuple] = []
+        bucket, number, parts, ids_of, filled = None, 0, [], [], 0
+
+        def cut() -> None:
+            nonlocal number, parts, ids_of, filled
+            done.append((first.value[bucket] + number, filled // width, ids_of, b"".join(parts) + mark * ((size - filled) // width)))
+            number, parts, ids_of, filled = number + 1, [], [], 0
+
+        def sent(kind: pa.DataType) -> pa.RecordBatch:
+            number, n, ids_of, ids = zip(*done)
+            done.clear()
+            slot = permuted(np.array(number, np.int64), total, key)
+            return pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n, pa.int32()), pa.array(ids_of, pa.list_(kind)), pa.array(ids, pa.binary())], names=["slot", "n_tokens", "doc_ids", "ids"])
+
+        kind = None
+        for batch in slices(batches):
+            kind = batch.schema.field("doc_id").type
+            for b, doc_id, ids, times in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "ids", "times"))):
+                if b != bucket:
+                    if filled:
+                        cut()
+                    bucket, number = b, 0
+                for _ in range(times):
+                    at, n = 0, len(ids)
+                    while at < n:
+                        part = ids[at : at + size - filled]
+                        parts.append(part)
+                        ids_of.append(doc_id)
+                        at, filled = at + len(part), filled + len(part)
+                        if filled == size:
+                            cut()
+                            if len(done) >= 1024:
+                                yield sent(kind)
+        if filled:
+            cut()
+        if done:
+            yield sent(kind)
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    mine = rows.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket", "a", "b", "part").select("bucket", "doc_id", "ids", "times")
+    return mine.mapInArrow(run, f"slot long, n_tokens int, doc_ids array<{kind}>, ids binary"), total
 
 
-def training_order(docs: DataFrame, path: str | None = None, length: int = SEQUENCE, shard_slots: int = SHARD_SLOTS, key: int = KEY) -> DataFrame:
-    """doc_id, seq_no, slot, shard, offset, n_tokens, record: partition k has shard k, in the order of its slots. offset
-    is true in the files that write_shards makes of the rows."""
-    rows, n, width, pad, _ = slotted(docs, path, length, shard_slots, key)
-    rows = dealt(rows, 0, max(1, -(-n // shard_slots)))
-    offset = F.col("slot") % shard_slots * (16 + width * length + 1)
-    return rows.select("doc_id", "seq_no", "slot", "shard", offset.alias("offset"), "n_tokens", as_record(F.col("doc_id"), width, pad, length).alias("record"))
+def big_endian(number: Column, size: int) -> Column:
+    return F.unhex(F.lpad(F.hex(number), 2 * size, "0"))
 
 
-def write_shards(rows: DataFrame, path: str) -> None:
-    """The records of each shard as a binary file of its own, in the order of slots, by Spark's own writer (whose
-    commits survive lost executors and whose file systems are Spark's). Each record ends in one newline byte, so
-    the stride of the files is that of the records plus 1."""
-    rows.select("shard", F.col("record").cast("string").alias("value")).write.mode("append").option("maxRecordsPerFile", 0).partitionBy("shard").option("lineSep", "\n").text(path)
+def write_shards(rows: DataFrame, path: str, slots: int, first: int, last: int) -> None:
+    """The records of the shards from first to before last as a binary file each, in the order of slots, by Spark's own
+    writer (whose commits survive lost executors and whose file systems are Spark's). Each record ends in one newline."""
+    shard = F.floor(F.col("slot") / slots).cast("int")
+    record = F.concat(big_endian(F.col("slot"), 8), big_endian(F.col("n_tokens").cast("long"), 4), big_endian(F.crc32("ids"), 4), "ids")
+    mine = rows.select(shard.alias("shard"), "slot", record.alias("record")).filter(F.col("shard").between(first, last - 1))
+    mine = mine.repartitionById(last - first, F.col("shard") - first).sortWithinPartitions("shard", "slot")
+    mine.select("shard", F.col("record").cast("string").alias("value")).write.mode("append").option("maxRecordsPerFile", 0).partitionBy("shard").option("lineSep", "\n").text(path)
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def stride(width: int, length: int) -> int:
+    return 16 + width * length + 1
 
 
-def written_order(docs: DataFrame, path: str | None = None, length: int = SEQUENCE, shard_slots: int = SHARD_SLOTS, key: int = KEY, at: str | None = None, waves: int = WAVES) -> DataFrame:
-    """Writes the shards below a new folder (or at), then reads them: doc_id, seq_no, slot, shard, file, offset,
-    n_tokens, record, where file is the shard's file and offset the byte in it at which the record begins.
+def written_order(docs: DataFrame, path: str | None = None, length: int = SEQUENCE, shard_slots: int | None = None, key: int = KEY, at: str | None = None, waves: int = WAVES, bucket_ids: int = BUCKET_IDS, hot_copies: int | None = None) -> DataFrame:
+    """Writes the shards below a new folder (or at) and gives slot, shard, file, offset, n_tokens, doc_ids, crc32 for
+    each sequence: file is its shard's file, offset the byte in it at which its record begins, doc_ids the documents
+    that it holds parts of, in order, and crc32 that of its ids.
 
-    Padded files are larger than the tokens, so little else is kept beside them: tokens are staged once more by wave
-    (a range of shards), and a wave's tokens and shuffle go when its shards are written.
+    Tokens are staged once as documents and once as sequences, the first going when the second is there; shards are
+    written in waves, whose shuffle files go with them. The files' lengths are held against the slots.
     """
     spark = docs.sparkSession
-    at = at or shared_path(spark, "training-shards")
-    rows, n, width, pad, whole = slotted(docs, path, length, shard_slots, key)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {kind}, seq_no int, slot long, shard int, file string, offset long, n_tokens int, record binary"
-    if n == 0:
-        removed(spark, whole)
-        return spark.createDataFrame([], out)
-    shards = -(-n // shard_slots)
-    each = -(-shards // waves)
-    parts = shared_path(spark, "token-waves")
-    rows.withColumn("wave", F.floor(F.col("shard") / each).cast("int")).write.option("compression", "zstd").partitionBy("wave").parquet(parts)
-    removed(spark, whole)
+    at = at or shared_path(spark, "training-shards")
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        for wave, first in enumerate(range(0, shards, each)):
-            mine = dealt(spark.read.schema(rows.schema).parquet(f"{parts}/wave={wave}"), first, min(each, shards - first))
-            write_shards(mine.select("shard", as_record(F.col("doc_id"), width, pad, length).alias("record")), at)
-            removed(spark, f"{parts}/wave={wave}")
+        made, width, pad = tokenised(docs, read_ranks(path or public_tokenizers.path(VOCABULARY)))
+        whole = shared_path(spark, "token-documents")
+        rows = written(made, whole, compression="zstd")
+        size = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("ids")).first()
+        buckets = max(1, min(BUCKETS, size["ids"] // bucket_ids))
+        hot = max(HOT_COPIES, size["rows"] // HOT_ROWS) if hot_copies is None else hot_copies
+        made, n = packed(dealt(rows, buckets, hot), buckets, length, width, pad, key)
+        sequences = written(made, shared_path(spark, "token-sequences"), compression="zstd")
+        removed(spark, whole)
+        slots = shard_slots or max(SHARD_SLOTS, 1 << max(0, -(-n // SHARDS) - 1).bit_length())
+        shards = -(-n // slots)
+        each = max(1, -(-shards // waves))
+        for first in range(0, shards, each):
+            write_shards(sequences, at, slots, first, min(shards, first + each))
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before) if before is not None else spark.conf.unset(SHUFFLE_CLEANUP)
-    removed(spark, parts)
-    stride = 16 + width * length + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, shard, content in zip(batch.column("path").to_pylist(), batch.column("shard").to_pylist(), batch.column("content")):
-                every = np.frombuffer(content.as_buffer(), np.uint8).reshape(-1, stride)
-                for i in range(0, len(every), BATCH_ROWS):
-                    part = every[i : i + BATCH_ROWS]
-                    number = lambda a, b, t: np.ascontiguousarray(part[:, a:b]).view(t).ravel()  # noqa: B023, E731
-                    doc_id, place = number(0, 8, ">i8").astype("i8"), np.arange(i, i + len(part))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(doc_id, mask=doc_id == -(2**63)), pa.array(number(8, 12, ">i4").astype("i4")), pa.array(shard * shard_slots + place), pa.array(np.full(len(part), shard, "i4")), pa.array([file] * len(part), pa.string()),
-                            pa.array(place * stride), pa.array(number(12, 16, ">i4").astype("i4")), pa.array([r[:-1].tobytes() for r in part], pa.binary()),
-                        ], names=["doc_id", "seq_no", "slot", "shard", "file", "offset", "n_tokens", "record"],
-                    )
-
+    if n == 0:
+        return spark.createDataFrame([], f"slot long, shard int, file string, offset long, n_tokens int, doc_ids array<{kind}>, crc32 long")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(at)
-    shard = F.regexp_extract("path", "shard=([0-9]+)", 1).cast("int")
-    back = files.select("path", shard.alias("shard"), "content").mapInArrow(run, out.replace(f"doc_id {kind}", "doc_id long"))
-    return back.withColumn("doc_id", F.col("doc_id").cast(kind))
+    found = files.select(F.regexp_extract("path", "shard=([0-9]+)", 1).cast("int").alias("shard"), F.col("path").alias("file"), "length").collect()  # SHARDS at most
+    wrong = [r.file for r in found if r.length != stride(width, length) * min(slots, n - r.shard * slots)]
+    if wrong or sorted(r.shard for r in found) != list(range(shards)):
+        raise RuntimeError(f"{len(found)} files for {shards} shards, of wrong length: {wrong[:3]}")
+    place = F.broadcast(spark.createDataFrame([(r.shard, r.file) for r in found], "shard int, file string"))
+    rows = sequences.select("slot", F.floor(F.col("slot") / slots).cast("int").alias("shard"), "n_tokens", "doc_ids", F.crc32("ids").alias("crc32"))
+    return rows.join(place, "shard").select("slot", "shard", "file", (F.col("slot") % slots * stride(width, length)).alias("offset"), "n_tokens", "doc_ids", "crc32")
+
+
+def read_back(spark: SparkSession, at: str, width: int = 2, length: int = SEQUENCE, shard: int | None = None) -> DataFrame:
+    """slot, n_tokens, crc32, ids of the records in the files below at (of one shard, if asked), record by record: large
+    files are split between tasks at records' bounds."""
+    size = stride(width, length)
+    records = spark.sparkContext.binaryRecords(f"{at}/shard={'*' if shard is None else shard}/part-*", size)
+    return spark.createDataFrame(records.map(lambda r: (*struct.unpack(">qiI", r[:16]), bytearray(r[16:-1]))), "slot long, n_tokens int, crc32 long, ids binary")

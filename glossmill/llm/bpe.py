@@ -4,7 +4,8 @@ Bytes are mapped to Latin-1 characters, so that an Aho-Corasick automaton of all
 piece of text. A sequence of tokens is the result of the merges exactly if each two adjacent tokens are
 compatible, that is, if merging their joined bytes gives these two again. The encoder takes the longest token at
 each place, and steps back to shorter ones (marking places from which no way leads on) where neighbours aren't
-compatible. Answers about neighbours are remembered, as are the ids of pieces seen before, both within bounds.
+compatible. Answers about neighbours are remembered, as are the ids of pieces seen before, both within bounds: a
+memory that is full is emptied, and a text always gets its ids from what was found for it, not from the memory.
 
 Defined results: null texts are empty, the empty text has no ids; texts are taken whole, whatever their length;
 ids of special tokens never come up; repeated rows give repeated results, an empty table an empty one.
@@ -24,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from glossmill.llm.common import bounded_batches
+from glossmill.llm.common import slices
 
 #: Pieces, their characters and pairs that are remembered at most; beyond that, a memory is emptied.
 PIECES, PIECE_CHARS, PAIRS = 800_000, 16_000_000, 1_000_000
@@ -39,11 +40,16 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
+def table(ranks: bytes) -> dict[bytes, int]:
+    """The tokens of a file of lines of a token in base 64 and its rank."""
+    return {base64.b64decode(t): int(r) for t, r in map(bytes.split, ranks.splitlines())}
+
+
 class Encoder:
     """Encodes and decodes by the ranks of a file: lines of a token in base 64 and its rank, which is its id."""
 
     def __init__(self, ranks: bytes, pattern: str = public_tokenizers.PATTERN):
-        self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, ranks.splitlines())}
+        self.ranks = table(ranks)
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for t, r in self.ranks.items():
             self.tokens[r] = t
@@ -110,18 +116,14 @@ class Encoder:
                 token = self.shorter(token)
         return taken
 
-    def learn(self, pieces: list[str]) -> None:
-        """Remembers the ids of the pieces: one run of the automaton over all, as longest tokens mostly fit together."""
-        self.piece_chars += sum(map(len, pieces))
-        if len(self.pieces) + len(pieces) > PIECES or self.piece_chars > PIECE_CHARS:
-            self.pieces.clear()
-            self.piece_chars = sum(map(len, pieces))
+    def found(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of each piece: one run of the automaton over all, as longest tokens mostly fit together."""
         raw = [p.encode() for p in pieces]
         whole = [self.ranks.get(b) for b in raw]
         left = [(p, b.decode("latin-1")) for p, b, r in zip(pieces, raw, whole) if r is None]
-        self.pieces.update((p, r.to_bytes(4, "little")) for p, r in zip(pieces, whole) if r is not None)
+        out = {p: r.to_bytes(4, "little") for p, r in zip(pieces, whole) if r is not None}
         if not left:
-            return
+            return out
         run = self.automaton.iter_long(BETWEEN.join(s for _, s in left))
         begin, pairs = 0, self.pairs
         for piece, s in left:
@@ -140,17 +142,31 @@ class Encoder:
                 if at == end:
                     break
                 last = token
-            self.pieces[piece] = array("I", ids).tobytes()
+            out[piece] = array("I", ids).tobytes()
             begin = end + 2
+        return out
+
+    def remember(self, made: dict[str, bytes]) -> None:
+        chars = sum(map(len, made))
+        if len(self.pieces) + len(made) > PIECES or self.piece_chars + chars > PIECE_CHARS:
+            self.pieces.clear()
+            self.piece_chars = 0
+        if len(made) <= PIECES and chars <= PIECE_CHARS:
+            self.pieces.update(made)
+            self.piece_chars += chars
+
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece, whatever the memory has room for."""
+        out = list(map(self.pieces.get, pieces))
+        if None in out:
+            made = self.found(list({p for p, i in zip(pieces, out) if i is None}))
+            out = [made[p] if i is None else i for p, i in zip(pieces, out)]
+            self.remember(made)
+        return out
 
     def encode(self, text: str) -> bytes:
         """The ids, as little-endian unsigned 32-bit integers."""
-        pieces = self.split(text)
-        if new := set(pieces).difference(self.pieces):
-            self.learn(list(new))
-            if not self.pieces.keys() >= set(pieces):  # the memory was emptied meanwhile
-                self.learn(list(set(pieces).difference(self.pieces)))
-        return b"".join(map(self.pieces.__getitem__, pieces))
+        return b"".join(self.ids_of(self.split(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
@@ -169,12 +185,11 @@ def encoder(ranks: bytes, pattern: str = public_tokenizers.PATTERN) -> Encoder:
 
 def over_texts(docs: DataFrame, columns: list[str], row: Callable[[Encoder, str], tuple], schema: pa.Schema, ddl: str, path: str | None = None) -> DataFrame:
     """columns of docs, and what row gives for each text. The rank file is read here and sent to the workers."""
-    bounded_batches(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path or public_tokenizers.path(VOCABULARY)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks.value)
-        for batch in batches:
+        for batch in slices(batches):
             made = list(zip(*(row(enc, t or "") for t in batch.column("text").to_pylist()))) or [[]] * len(schema)
             kept = [batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array(m, f.type) for m, f in zip(made, schema))], names=[*columns, *schema.names])
@@ -207,12 +222,11 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, text of rows of ids; bytes that are no UTF-8 become replacement characters."""
-    bounded_batches(tokens.sparkSession)
     ranks = tokens.sparkSession.sparkContext.broadcast(read_ranks(path or public_tokenizers.path(VOCABULARY)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if i is None else enc.decode(i).decode("utf-8", "replace") for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 

@@ -2,51 +2,46 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Arrow batches are cut at this many rows and bytes, so that one batch of very long texts stays small.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+from glossmill.plans.staging import removed, shared_path, staged, written
 
+__all__ = ["fresh", "held_out", "identity", "read", "removed", "shared_path", "slices", "staged", "written"]
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+#: Rows of a batch that Python takes at once; Spark cuts batches by bytes before (64 MB by default).
+SLICE_ROWS = 512
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one is set only where the session has none (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not at:
-        at = sc._jsc.sc().getCheckpointDir()
-        at = at.get() if at.isDefined() else None
-    if not at:
-        at = tempfile.mkdtemp(prefix="glossmill-")
-        sc.setCheckpointDir(at)
-    elif not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(at)
-    return at.rstrip("/")
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in small parts, so that few texts are Python objects at once. No setting of the session changes."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(i, SLICE_ROWS)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: its lineage ends there, and lost executors don't matter."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Python workers get small Arrow batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def identity(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
+    """128 bits in two columns that tell rows apart by their columns (all that can be hashed, or those named), nulls
+    too. They depend on nothing but the row, so a repeated task gives them again."""
+    kinds = dict(df.dtypes)
+    names = [n for n in (df.columns if columns is None else columns) if "map<" not in kinds[n] and "variant" not in kinds[n]]
+    every = [x for n in names for x in (F.col(f"`{n}`"), F.isnull(F.col(f"`{n}`")))]
+    return [F.xxhash64(F.lit(f"identity {i}"), *every) for i in (1, 2)]
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -11,13 +11,16 @@ The masks lose nothing: whichever positions of a stretch of 8 to 20 tokens are s
 one of them meets the rest at some place (a test tries all patterns). Shorter items get masks of their own length
 that leave out one position each.
 
-DataFrame functions only, and one pass: positions are exploded and hashed within one stage of generated code, the
-benchmark's hashes are broadcast in blocks of bounded size (as many passes as there are blocks), and only hits
-leave the stage. Nothing of a document is shuffled but the stretch that a hit points at.
+DataFrame functions only. A benchmark of up to BLOCKS blocks of hashes is broadcast block by block: positions are
+exploded and hashed within one stage of generated code, and only hits leave it, so nothing of a document is shuffled
+but the stretch that a hit points at. For a larger one, hashes of windows and of items are joined by shuffle, in one
+pass, and hits are joined back to their documents. Both give the same.
 
 Defined results: null or empty texts match nothing; items of fewer than LEAST_TOKENS tokens are evidence of
 nothing and are skipped; items without an id aren't listed, but documents that hold them aren't clean; benchmark rows
-that share an id are all searched; repeated rows of one doc_id are one document, which has what any of them has; empty tables give an empty result.
+that share an id are all searched; in the list, repeated rows of one doc_id are one document, which has what any of
+them has, but clean judges each row by its own text; empty tables give an empty result. Columns of any other name may
+be there.
 """
 
 from __future__ import annotations
@@ -25,11 +28,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossmill.llm.common import fresh, identity
+
 #: Masks: 1 counts, 0 is ignored; and the tokens from which an item needs no masks of its own.
 MASKS, SHORT = ("110111", "11100011", "1011011"), 8
 MIN_OVERLAP, SIMILARITY, LEAST_TOKENS = 20, 0.8, 5
-#: Hashes broadcast at once; a row is some 40 bytes.
-BLOCK_ROWS = 500_000
+#: Hashes broadcast at once (a row is some 40 bytes), and blocks of them for which documents are read again each time.
+BLOCK_ROWS, BLOCKS = 500_000, 4
 
 SEPARATORS = r"[^\p{L}\p{N}]+"
 
@@ -58,41 +63,57 @@ def index(items: DataFrame, masks: list[tuple[int, str, bool]]) -> DataFrame:
     return rows
 
 
-def found_items(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_overlap: int = MIN_OVERLAP, similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """What contaminated gives, and the same of items without an id."""
-    items = benchmark.select("item_id", F.filter(tokens(F.col("text")), lambda w: w != "").alias("words")).withColumn("n", F.size("words")).filter(F.col("n") >= LEAST_TOKENS)
-    # rows that share an id are items of their own, unless their words are the same
-    items = items.withColumn("key", F.unhex(F.md5(F.concat_ws(" ", F.coalesce(F.col("item_id").cast("string"), F.lit("-")), "words")))).dropDuplicates(["key"])
+def searched(benchmark: DataFrame) -> DataFrame:
+    """key, item_id, words, n of each item that is searched for. Rows that share an id are items of their own, unless
+    their words are the same."""
+    items = benchmark.select("item_id", F.filter(tokens(F.col("text")), lambda w: w != "").alias("words"))
+    items = items.withColumn("n", F.size("words")).filter(F.col("n") >= LEAST_TOKENS)
+    named = F.concat_ws(" ", F.coalesce(F.col("item_id").cast("string"), F.lit("-")), "words")
+    return items.withColumn("key", F.unhex(F.md5(named))).dropDuplicates(["key"])
+
+
+def found_items(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_overlap: int = MIN_OVERLAP, similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS, most_blocks: int = BLOCKS) -> DataFrame:
+    """doc_id, a, b (the identity of id and text), item_id and r (matched, doc_at, tokens) of each diagonal on which an
+    item is found."""
+    items = searched(benchmark)
     lengths = sorted(r.n for r in items.filter(F.col("n") < SHORT).select("n").distinct().collect())  # at most SHORT of them
     one_off = [(n, "".join("0" if i == k else "1" for i in range(n))) for n in lengths for k in range(n)]
     every = [(i, m, False) for i, m in enumerate(masks)] + [(100 + i, m, True) for i, (_, m) in enumerate(one_off)]
     hashes = index(items, every)
-    total = hashes.count()
-    blocks = max(1, -(-total // block_rows))
+    blocks = max(1, -(-hashes.count() // block_rows))
     # a mask that leaves out the first or last token of a short item also fits with that token outside the document
     least = min(len(m) for _, m, _ in every)
-    words = docs.select("doc_id", tokens(F.col("text")).alias("words"))
-    windows = words.select("doc_id", "words", F.explode(positions(F.size("words"), least, 1 if one_off else 0)).alias("at")).select("doc_id", "words", "at", F.explode(F.array(*[picked(F.col("words"), F.col("at"), m, tag) for tag, m, _ in every])).alias("hash"))
-    hits = None
-    for b in range(blocks):
-        mine = lambda df: df if blocks == 1 else df.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b)  # noqa: B023, E731
-        seeds = mine(hashes).select(F.col("hash").alias("__hash"), "key", F.col("at").alias("__at")).distinct()
-        found = windows.join(F.broadcast(seeds), F.col("hash") == F.col("__hash")).select("doc_id", "key", (F.col("at") - F.col("__at")).alias("diagonal"), "words")
-        found = found.join(F.broadcast(mine(items).select("key", "item_id", F.col("words").alias("item"), "n")), "key")
-        # the document under the item, null where the item juts out
-        cut = F.greatest(F.lit(0), -F.col("diagonal"))
-        under = F.concat(F.array_repeat(F.lit(None).cast("string"), cut), F.slice("words", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.col("n") - cut))
-        found = found.select("doc_id", "key", "diagonal", under.alias("under"), "item_id", "item", "n")
-        hits = found if hits is None else hits.unionByName(found)
-    # rows of one doc_id may differ in their texts, and then do so in the stretch
-    once = hits.groupBy("doc_id", "key", "diagonal", "under").agg(F.first(F.struct("item_id", "item", "n")).alias("h"))
-    same = F.zip_with("under", "h.item", lambda a, b: F.when(a.eqNullSafe(b) & a.isNotNull(), 1).otherwise(0))
+    a, b = identity(docs, ["doc_id", "text"])
+    row = ["doc_id", "a", "b"]
+    words = docs.select("doc_id", a.alias("a"), b.alias("b"), tokens(F.col("text")).alias("words"))
+    windows = words.select(*row, "words", F.explode(positions(F.size("words"), least, 1 if one_off else 0)).alias("at"))
+    seen = F.explode(F.array(*[picked(F.col("words"), F.col("at"), m, tag) for tag, m, _ in every]))
+    seeds = hashes.select("hash", "key", F.col("at").alias("item_at")).distinct()
+    diagonal = (F.col("at") - F.col("item_at")).alias("diagonal")
+    item = items.select("key", "item_id", F.col("words").alias("item"), "n")
+    if blocks <= most_blocks:
+        windows = windows.select(*row, "words", "at", seen.alias("hash"))
+        hits = None
+        for i in range(blocks):
+            mine = lambda df: df if blocks == 1 else df.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i)  # noqa: B023, E731
+            found = windows.join(F.broadcast(mine(seeds)), "hash").select(*row, "key", diagonal, "words").join(F.broadcast(mine(item)), "key")
+            hits = found if hits is None else hits.unionByName(found)
+    else:
+        met = windows.select(*row, "at", seen.alias("hash")).join(seeds.hint("shuffle_hash"), "hash").select(*row, "key", diagonal).distinct()
+        # rows that are equal in id and text are one; an id without a text, or the other way round, has hashes too
+        hits = met.join(words.select("a", "b", "words").dropDuplicates(["a", "b"]), ["a", "b"]).join(item, "key")
+    # the document under the item, null where the item juts out
+    cut = F.greatest(F.lit(0), -F.col("diagonal"))
+    under = F.concat(F.array_repeat(F.lit(None).cast("string"), cut), F.slice("words", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.col("n") - cut))
+    hits = hits.select(*row, "key", "diagonal", under.alias("under"), "item_id", "item", "n")
+    once = hits.groupBy(*row, "key", "diagonal").agg(F.first(F.struct("under", "item_id", "item", "n")).alias("h"))
+    same = F.zip_with("h.under", "h.item", lambda x, y: F.when(x.eqNullSafe(y) & x.isNotNull(), 1).otherwise(0))
     checked = once.withColumn("same", same).withColumn("width", F.least(F.lit(min_overlap), F.col("h.n")))
     agree = lambda i: F.aggregate(F.slice("same", i + 1, F.col("width")), F.lit(0), lambda acc, x: acc + x)
     best = F.array_max(F.transform(F.sequence(F.lit(0), F.size("same") - F.col("width")), lambda i: F.struct(agree(i).alias("matched"), (-i).alias("from"))))
     scored = checked.withColumn("best", best).filter(F.col("best.matched") >= F.ceil(F.col("width") * F.lit(similarity) - F.lit(1e-9)))
-    row = F.struct(F.col("best.matched").alias("matched"), F.greatest(F.col("diagonal") - F.col("best.from"), F.lit(0)).cast("long").alias("doc_at"), F.col("width").cast("long").alias("tokens"))
-    return scored.groupBy("doc_id", F.col("h.item_id").alias("item_id")).agg(F.max(row).alias("r")).select("doc_id", F.col("item_id").cast("long").alias("item_id"), "r.doc_at", "r.tokens", F.col("r.matched").cast("long").alias("matched"))
+    at = F.greatest(F.col("diagonal") - F.col("best.from"), F.lit(0)).cast("long")
+    return scored.select(*row, F.col("h.item_id").alias("item_id"), F.struct(F.col("best.matched").alias("matched"), at.alias("doc_at"), F.col("width").cast("long").alias("tokens")).alias("r"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
@@ -101,10 +122,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     doc_at is the token of the document where the compared stretch begins, tokens its length and matched how
     many of its tokens agree. Of rows that share an id, the best one counts; items without an id aren't listed.
     """
-    return found_items(docs, benchmark, **kw).filter(F.col("item_id").isNotNull())
+    best = found_items(docs, benchmark, **kw).filter(F.col("item_id").isNotNull()).groupBy("doc_id", "item_id").agg(F.max("r").alias("r"))
+    return best.select("doc_id", F.col("item_id").cast("long").alias("item_id"), "r.doc_at", "r.tokens", F.col("r.matched").cast("long").alias("matched"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """docs without the contaminated ones, columns as they were."""
-    bad = found_items(docs, benchmark, **kw).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
+    """docs without the rows whose text is contaminated, columns as they were."""
+    a, b = identity(docs, ["doc_id", "text"])
+    x, y = fresh(docs, "bad_a"), fresh(docs, "bad_b")
+    bad = found_items(docs, benchmark, **kw).select(F.col("a").alias(x), F.col("b").alias(y)).distinct()
+    return docs.withColumns({x: a, y: b}).join(bad, [x, y], "left_anti").drop(x, y)

@@ -5,9 +5,9 @@ being spaces), scaled to length 1. Each language has a few centroids, clustered
 texts; a text gets the language of the nearest centroid, and is rejected as being of none if it is further from it
 than texts of that language are, by a margin.
 
-The fit sees at most SAMPLE texts a language, drawn by a hash of the id; scoring covers everything. Clusters are
-found on the executors, a language a task; the driver gets one vector of counts a partition of the sample, and the
-centroids.
+The fit sees about SAMPLE texts a language, of LANGUAGES languages at most, drawn by a hash of the id and the text;
+scoring covers everything. Clusters are found on the executors, a language a task, from its texts in sorted order, so
+a fit gives the same model each time; the driver gets one vector of counts a partition of the sample, and the centroids.
 
 Defined results: null texts and texts without a letter are `und` with score 0 (and rejected); null languages are
 not learned; with nothing to learn from, every text is `und`; ties go to the language that sorts first; texts are
@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import bounded_batches, held_out, staged
+from glossmill.llm.common import held_out, slices, staged
 
 #: Texts of a language, centroids of a language, and buckets of n-grams (a power of two).
 SAMPLE, CENTROIDS, BUCKETS = 600, 3, 4096
+#: Languages learned at most, those of most texts: a bound of the fit, should the column hold something else.
+LANGUAGES = 1000
 #: A text is rejected below this part of the cosine that all but a hundredth of the language's sample reach: the first
 #: for texts of few letters, whose vectors are rough, the second for those of many, and in between by their letters.
 MARGIN, LONG_MARGIN, FEW, MANY = 0.35, 0.8, 50, 150
@@ -91,19 +93,18 @@ def clustered(v: np.ndarray, k: int) -> np.ndarray:
 def fit(docs: DataFrame, seed: int = 3) -> dict:
     """The model: idf, languages, and for each centroid its vector, language and least cosine."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     mine = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    each = {r["lang"]: r["n"] for r in mine.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    each = {r["lang"]: r["n"] for r in mine.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     empty = {"idf": np.zeros(BUCKETS, np.float32), "langs": [], "vectors": np.zeros((0, BUCKETS), np.float32), "of": np.zeros(0, int), "least": np.zeros(0)}
     if not each:
         return empty
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for lang, n in each.items() for x in (lang, int((1 << 30) * min(1.0, SAMPLE / n)))])
-    sample = staged(mine.filter(draw < share[F.col("lang")]).select("lang", "text").repartition(8), "language-sample")
+    sample = staged(mine.filter(draw < share[F.col("lang")]).select("lang", "text").distinct().repartition(8), "language-sample")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, np.zeros(BUCKETS)
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 if (c := counts(text)) is not None:
                     n, df = n + 1, df + (c > 0)
@@ -116,7 +117,7 @@ def fit(docs: DataFrame, seed: int = 3) -> dict:
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
 
     def cluster(table: pa.Table) -> pa.Table:
-        v = [x for t in table.column("text").to_pylist() if (x := vector(t, idf)) is not None]
+        v = [x for t in sorted(table.column("text").to_pylist()) if (x := vector(t, idf)) is not None]
         if not v:
             return pa.table({"lang": pa.array([], pa.string()), "vector": pa.array([], pa.binary()), "least": pa.array([], pa.float64())})
         v = np.stack(v)
@@ -148,11 +149,10 @@ def judged(text: str | None, m: dict) -> tuple[str, float, bool]:
 
 def predicted(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred, score, rejected of every document."""
-    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lang, score, rejected = zip(*(judged(t, shared.value) for t in batch.column("text").to_pylist())) if len(batch) else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
@@ -167,7 +167,6 @@ def identified(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of docs that aren't rejected, columns as they were. The texts are judged where they are read: rows
     pass through the workers whole, and nothing is shuffled."""
-    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     @F.pandas_udf("boolean")

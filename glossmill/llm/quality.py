@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import bounded_batches
+from glossmill.llm.common import slices
 
 #: Fixed values of the base rule and of the line rules.
 SYMBOLS = "#*$%&|<>"
@@ -109,10 +109,9 @@ ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "str
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """doc_id, the figures and verdict of each document, and its text without the lines that fail (cleaned)."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = list(zip(*(judged(t or "") for t in batch.column("text").to_pylist()))) or [[]] * len(FIELDS)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(m, ARROW[k]) for m, (_, k) in zip(made, FIELDS))], names=["doc_id", *(n for n, _ in FIELDS)])
 

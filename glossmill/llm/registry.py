@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.llm import binary_out, bpe, decontam, langid, quality, secret_scan, sharding, simhash, sql, token_edits, toxicity
-from glossmill.llm.common import read
+from glossmill.llm.common import read, shared_path, written
 from glossmill.plans.staging import spread
 
 
@@ -21,8 +21,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = token_edits.sample_edits(token_edits.new_state(spread(read(spark, sf_dir, "documents"))))
-    return token_edits.apply_listed(state).select("doc_id", "n_edits", "n_before", "n_tokens", "n_pieces", "n_reencoded", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    built = token_edits.build_state(spread(read(spark, sf_dir, "documents")))
+    kept = written(built, shared_path(spark, "token-trees"), compression="zstd")
+    edited = token_edits.apply_listed(token_edits.sample_edits(spread(kept)))
+    return edited.select("doc_id", "n_edits", "n_before", "n_tokens", "n_pieces", "n_reencoded", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return secret_scan.digest(secret_scan.with_spans(docs, secret_scan.first_scan(docs)))
+    return secret_scan.digested(docs, secret_scan.scanned(docs))
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

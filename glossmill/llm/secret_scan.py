@@ -2,14 +2,15 @@
 
 Every version of a file is addressed by the SHA-256 of its content. The ledger holds the pairs (blob, rule
 version) that have been scanned, with their findings; a scan reads only pairs that it lacks, each distinct blob
-once, and findings are joined back to every path and version that has the blob.
+once, and findings are joined back to every path and version that has the blob. A history is scanned step by step: a
+step brings versions or rule packs, and extends the ledger by the pairs that are new with it.
 
 DataFrame functions only. Positions come without any Python: split() gives the pieces between the matches that
 regexp_extract_all() gives, and running sums of both lengths are the matches' starts and ends.
 
 Defined results: a null text counts as empty (a blob like any other), rows without findings get zeros and an
 empty list, repeated rows stay repeated, an empty table gives an empty result. Equal texts are one blob; a blob's
-copies meet as partial aggregates, one a task.
+copies meet as partial aggregates, one a task. Columns of any name may be there but the one that is asked for.
 """
 
 from __future__ import annotations
@@ -19,9 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import staged
-
-PATH_BLOB = "__blob"
+from glossmill.llm.common import fresh, identity, shared_path
 
 
 @dataclass(frozen=True)
@@ -55,12 +54,13 @@ SPAN = "array<struct<start:int,ord:int,end:int,kind:string>>"
 
 
 def content_address(text: str) -> Column:
-    return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+    return F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary"), 256)
 
 
 def blobs(versions: DataFrame, text: str) -> DataFrame:
-    """Each distinct content once."""
-    return versions.select(content_address(text).alias(PATH_BLOB), F.coalesce(F.col(text), F.lit("")).alias("__text")).groupBy(PATH_BLOB).agg(F.first("__text").alias("__text"), F.count("*").alias("__copies"))
+    """blob, content: each distinct content once."""
+    rows = versions.select(content_address(text).alias("blob"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("content"))
+    return rows.groupBy("blob").agg(F.first("content").alias("content"))
 
 
 def matches(text: Column, rules: tuple[Rule, ...], of: dict[str, str], todo: Column) -> Column:
@@ -70,46 +70,48 @@ def matches(text: Column, rules: tuple[Rule, ...], of: dict[str, str], todo: Col
 
 
 def scan(blobs: DataFrame, packs: dict[str, tuple[Rule, ...]]) -> DataFrame:
-    """blob, pack, spans for the pairs of blobs and packs that have findings. blobs: one row each, __todo its packs."""
+    """blob, pack, spans for the pairs of blobs and packs that have findings. blobs: blob, content, todo (its packs)."""
     rules = {r.kind: r for p in packs.values() for r in p}
     of = {r.kind: name for name, p in packs.items() for r in p}
     kinds = F.create_map(*[x for k in rules for x in (F.lit(k), F.struct(F.lit(ORDER.get(k, 99)).alias("ord"), F.lit(of[k]).alias("pack")))])
-    by_kind = Window.partitionBy(PATH_BLOB, "kind").orderBy("at")
+    by_kind = Window.partitionBy("blob", "kind").orderBy("at")
     rows = (
-        blobs.select(PATH_BLOB, F.explode(matches(F.col("__text"), tuple(rules.values()), of, F.col("__todo"))).alias("m"))
-        .select(PATH_BLOB, "m.kind", F.posexplode(F.arrays_zip("m.between", "m.match")).alias("at", "x"))
-        .select(PATH_BLOB, "kind", "at", F.length("x.between").alias("gap"), "x.match")
+        blobs.select("blob", F.explode(matches(F.col("content"), tuple(rules.values()), of, F.col("todo"))).alias("m"))
+        .select("blob", "m.kind", F.posexplode(F.arrays_zip("m.between", "m.match")).alias("at", "x"))
+        .select("blob", "kind", "at", F.length("x.between").alias("gap"), "x.match")
         .withColumn("end", (F.sum(F.col("gap") + F.coalesce(F.length("match"), F.lit(0))).over(by_kind)).cast("int"))
     )
     long_enough = None
     for k, r in rules.items():
         size = F.length(F.regexp_extract("match", r.pattern, r.group)) if r.group else F.length("match")
         long_enough = F.when(F.col("kind") == k, size >= r.least) if long_enough is None else long_enough.when(F.col("kind") == k, size >= r.least)
-    return (
-        rows.filter(F.col("match").isNotNull() & long_enough)
-        .select(PATH_BLOB, kinds[F.col("kind")]["pack"].alias("pack"), F.struct((F.col("end") - F.length("match")).alias("start"), kinds[F.col("kind")]["ord"].alias("ord"), "end", "kind").alias("span"))
-        .groupBy(PATH_BLOB, "pack")
-        .agg(F.sort_array(F.collect_list("span")).alias("spans"))
-    )
+    span = F.struct((F.col("end") - F.length("match")).alias("start"), kinds[F.col("kind")]["ord"].alias("ord"), "end", "kind")
+    found = rows.filter(F.col("match").isNotNull() & long_enough).select("blob", kinds[F.col("kind")]["pack"].alias("pack"), span.alias("span"))
+    return found.groupBy("blob", "pack").agg(F.sort_array(F.collect_list("span")).alias("spans"))
 
 
 def unseen(blobs: DataFrame, ledger: DataFrame | None, packs: list[str]) -> DataFrame:
-    """blobs with the packs (__todo) that the ledger lacks for them, where there are any."""
+    """blobs with the packs (todo) that the ledger lacks for them, where there are any."""
     every = F.array(*[F.lit(p) for p in packs])
     if ledger is None:
-        return blobs.withColumn("__todo", every)
-    seen = ledger.filter(F.col("pack").isin(packs)).groupBy(F.col("blob").alias(PATH_BLOB)).agg(F.collect_set("pack").alias("__seen"))
-    todo = F.array_except(every, F.coalesce("__seen", F.array().cast("array<string>")))
-    return blobs.join(seen, PATH_BLOB, "left").withColumn("__todo", todo).drop("__seen").filter(F.size("__todo") > 0)
+        return blobs.withColumn("todo", every)
+    seen = ledger.filter(F.col("pack").isin(packs)).groupBy("blob").agg(F.collect_set("pack").alias("seen"))
+    todo = F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))
+    return blobs.join(seen, "blob", "left").withColumn("todo", todo).drop("seen").filter(F.size("todo") > 0)
 
 
-def extend_ledger(versions: DataFrame, text: str = "text", ledger: DataFrame | None = None, packs: dict[str, tuple[Rule, ...]] | None = None) -> DataFrame:
-    """The ledger (none: an empty one) with the pairs of versions' blobs and packs that it lacked: blob, pack, spans
-    (empty if none). All packs are scanned in one pass over the distinct blobs, each blob for those that it lacks."""
+def new_pairs(versions: DataFrame, text: str = "text", ledger: DataFrame | None = None, packs: dict[str, tuple[Rule, ...]] | None = None) -> DataFrame:
+    """blob, pack, spans (empty if none) of the pairs of versions' blobs and packs that the ledger (none: an empty one)
+    lacks. All packs are scanned in one pass over the distinct blobs, each blob for those that it lacks."""
     packs = PACKS if packs is None else packs
-    fresh = unseen(blobs(versions, text), ledger, list(packs))
-    pairs = fresh.select(PATH_BLOB, F.explode("__todo").alias("pack"))
-    new = pairs.join(scan(fresh, packs), [PATH_BLOB, "pack"], "left").select(F.col(PATH_BLOB).alias("blob"), "pack", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    todo = unseen(blobs(versions, text), ledger, list(packs))
+    pairs = todo.select("blob", F.explode("todo").alias("pack"))
+    return pairs.join(scan(todo, packs), ["blob", "pack"], "left").select("blob", "pack", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+
+
+def extend_ledger(versions: DataFrame, text: str = "text", ledger: DataFrame | None = None, packs: dict[str, tuple[Rule, ...]] | None = None) -> DataFrame:
+    """The ledger with what new_pairs adds to it."""
+    new = new_pairs(versions, text, ledger, packs)
     return new if ledger is None else ledger.select("blob", "pack", "spans").unionByName(new)
 
 
@@ -119,36 +121,69 @@ def blob_findings(versions: DataFrame | None, text: str = "text", ledger: DataFr
     packs = PACKS if packs is None else packs
     if versions is not None:
         ledger = extend_ledger(versions, text, ledger, packs)
-    return ledger.filter(F.col("pack").isin(*packs) & (F.size("spans") > 0)).groupBy(F.col("blob").alias(PATH_BLOB)).agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
-
-
-def first_scan(versions: DataFrame) -> DataFrame:
-    """The findings of a first run: an empty ledger, extended by versions and kept as a table in the shared folder."""
-    return blob_findings(None, ledger=staged(extend_ledger(versions), "secret-ledger"))
-
-
-def with_spans(versions: DataFrame, found: DataFrame, text: str = "text", out: str = "__spans") -> DataFrame:
-    """versions with the spans of each row's blob. A blob of many copies is spread: rows are dealt by blob and salt,
-    and findings, few and small, are repeated for each salt. The salt is a hash of the row's other columns, so that a
-    task that is repeated deals its rows as before."""
+    found = ledger.filter(F.col("pack").isin(*packs) & (F.size("spans") > 0))
+    return found.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
+
+
+def ledger_of(steps: list[tuple[DataFrame, dict[str, tuple[Rule, ...]]]], text: str = "text", at: str | None = None) -> DataFrame:
+    """The ledger of a history: for each step, the pairs of its versions and packs that the steps before lack are
+    scanned and appended to the table in a new folder of the shared one (or at, which may hold a ledger already)."""
+    spark = steps[0][0].sparkSession
+    kept = at is not None and spark._jvm.org.apache.hadoop.fs.Path(at).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(at))
+    at = at or shared_path(spark, "secret-ledger")
+    schema = f"blob string, pack string, spans {SPAN}"
+    for versions, packs in steps:
+        ledger = spark.read.schema(schema).parquet(at) if kept else None
+        new_pairs(versions, text, ledger, packs).write.mode("append").parquet(at)  # files of a step that fails don't count
+        kept = True
+    return spark.read.schema(schema).parquet(at)
+
+
+def history(versions: DataFrame, text: str = "text") -> list[tuple[DataFrame, dict[str, tuple[Rule, ...]]]]:
+    """versions as two steps: a first part of them with the base pack, then all of them with every pack. What the first
+    step has scanned isn't scanned again in the second, but for the packs that came with it; both steps together
+    scan every blob for every pack."""
+    path = identity(versions, [c for c in versions.columns if c != text])[0]
+    earlier = F.pmod(path, F.lit(2)) == 0
+    return [(versions.filter(earlier), {k: PACKS[k] for k in list(PACKS)[:1]}), (versions, PACKS)]
+
+
+def scanned(versions: DataFrame, text: str = "text") -> DataFrame:
+    """The findings of versions through a ledger that is built in the steps of history."""
+    return blob_findings(None, ledger=ledger_of(history(versions, text), text))
+
+
+def with_spans(versions: DataFrame, found: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
+    """versions with the spans of each row's blob as out, a name that versions doesn't have. A blob of many copies is
+    spread: rows are dealt by blob and salt, and findings, few and small, are repeated for each salt. The salt is a
+    hash of the row's columns, so that a task that is repeated deals its rows as before."""
+    if out in versions.columns:
+        raise ValueError(f"versions has a column {out} already")
     salts = 16
-    others = [F.col(f"`{n}`") for n, t in versions.dtypes if n != text and "map<" not in t and t != "variant"]
-    salt = F.pmod(F.xxhash64(*others), F.lit(salts)) if others else F.lit(0)
-    left = versions.withColumn(PATH_BLOB, content_address(text)).withColumn("__salt", salt.cast("int"))
-    right = found.select(PATH_BLOB, F.col("spans").alias(out), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
-    return left.join(right, [PATH_BLOB, "__salt"], "left").drop(PATH_BLOB, "__salt").withColumn(out, F.coalesce(out, F.array().cast(SPAN)))
+    salt = F.pmod(identity(versions, [c for c in versions.columns if c != text])[0], F.lit(salts)).cast("int")
+    left = versions.select(F.struct(*[F.col(f"`{c}`") for c in versions.columns]).alias("row"), content_address(text).alias("blob"), salt.alias("salt"))
+    right = found.select("blob", "spans", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return left.join(right, ["blob", "salt"], "left").select("row.*", F.coalesce("spans", F.array().cast(SPAN)).alias(out))
 
 
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def digest(rows: DataFrame, spans: str = "__spans") -> DataFrame:
+def digest(rows: DataFrame, spans: str = "spans") -> DataFrame:
     """The counts and digests of a row's spans."""
     s = F.col(spans)
     of = lambda kind: F.size(F.filter(s, lambda x: x["kind"] == kind)).cast("long")
     base = F.filter(s, lambda x: x["ord"] < len(BASE))
-    return rows.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(s).alias("spans"))
+    return rows.select(
+        "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(s).alias("spans"),
+    )
+
+
+def digested(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The digest of each document, by its doc_id; other columns don't matter."""
+    return digest(with_spans(docs.select("doc_id", "text"), found))
 
 
 def redact(text: Column, spans: Column, mark: str = "<secret>") -> Column:
@@ -156,9 +191,22 @@ def redact(text: Column, spans: Column, mark: str = "<secret>") -> Column:
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
+        after = s["start"] >= acc["at"]
+        out = F.when(after, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
     done = F.aggregate(spans, start, step)
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+
+
+def redacted(docs: DataFrame, found: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
+    """docs with the spans of each text replaced by a mark; the column of its length, if there is one, follows the texts
+    that change. Columns as they were; null texts stay null."""
+    spans = fresh(docs, "spans")
+    rows = with_spans(docs, found, text, spans)
+    new = fresh(rows, "redacted")
+    rows = rows.withColumn(new, F.when(F.col(f"`{text}`").isNotNull(), redact(F.col(f"`{text}`"), F.col(spans))))
+    put = {text: F.col(new)}
+    if length in docs.columns:
+        put[length] = F.when(F.size(spans) > 0, F.length(new).cast(docs.schema[length].dataType)).otherwise(F.col(length))
+    return rows.select(*[put.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

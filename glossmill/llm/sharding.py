@@ -6,7 +6,8 @@ depends on nothing but the key and that child: where a child's weight changes, r
 child's subtree only, and a new region takes rows only into itself.
 
 Defined results: a null key is hashed as the empty text, a null text has size 1 and the checksum of the empty
-text; rows with equal keys share a shard; an empty table gives an empty result.
+text; rows with equal keys share a shard; rows equal in key, size and checksum are interchangeable; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one bucket of the slot numbering holds on average, at most.
 BUCKET_ROWS = 50_000
+#: Equal rows that one task writes at once.
+CHUNK = 1 << 20
 SEED = "glossmill-shards"
 
 
@@ -82,34 +85,34 @@ def descended(df: DataFrame, key: str, tree: Node, out: str) -> DataFrame:
 def shard(docs: DataFrame, tree: Node, grown: Node | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, size, text_crc32, shard, slot and grown_shard of each row.
 
-    Slots count from 0 in each shard, by the MD5 of the key (then checksum and size). They are numbered in two
-    steps: rows within buckets of the hash, and the buckets' offsets by a sum of their counts; so no task gets
-    more than a bucket, whatever a shard holds.
+    Slots count from 0 in each shard, by the MD5 of key, checksum and size. Rows that are equal in these are one row
+    with a count, summed task by task before it moves, so that no number of them is a task's; different rows of
+    one key have different hashes. Rows are numbered in buckets of the hash, after the buckets' offsets by a sum of
+    their counts; at last the counts become rows again, CHUNK at once, chunks being dealt anew.
     """
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("crc"))
+    rows = rows.groupBy("key", "id", "size", "crc").agg(F.count("*").alias("copies"))
     n = docs.count()
     shards = len(list(leaves(tree)))
     digits = max(2, math.ceil(math.log(max(1, n / BUCKET_ROWS / shards), 16)) + 1)
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(
-        F.col(key).alias("__key"),
-        F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__id"),
-        (F.octet_length(body) + 1).cast("long").alias("size"),
-        F.crc32(body.cast("binary")).alias("text_crc32"),
-    ).withColumn("__md5", F.md5(F.col("__id").cast("binary")))
-    rows = descended(rows, "__id", tree, "shard")
-    rows = descended(rows, "__id", grown, "grown_shard") if grown else rows.withColumn("grown_shard", F.lit(None).cast("int"))
-    rows = rows.withColumn("__bucket", F.substring("__md5", 1, digits))
-    counts = rows.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("shard").alias("__s"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    rows = rows.withColumn("md5", F.md5(F.concat_ws("/", "id", "crc", "size").cast("binary"))).withColumn("bucket", F.substring("md5", 1, digits))
+    rows = descended(rows, "id", tree, "shard")
+    rows = descended(rows, "id", grown, "grown_shard") if grown else rows.withColumn("grown_shard", F.lit(None).cast("int"))
+    counts = rows.groupBy("shard", "bucket").agg(F.sum("copies").alias("n"))
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("shard").alias("of_shard"), F.col("bucket").alias("of_bucket"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     if shards * 16**digits <= 1 << 16:  # the bound of the offsets, whatever the input
         offsets = F.broadcast(offsets)
-    within = Window.partitionBy("shard", "__bucket").orderBy("__md5", "text_crc32", "size")
-    return (
-        rows.withColumn("__rank", F.row_number().over(within) - 1)
-        .join(offsets, (F.col("shard") == F.col("__s")) & (F.col("__bucket") == F.col("__b")), "left")
-        .select(F.col("__key").alias(key), "size", "text_crc32", "shard", (F.col("__rank") + F.col("__before")).cast("long").alias("slot"), "grown_shard")
-    )
+    within = Window.partitionBy("shard", "bucket").orderBy("md5", "key", "crc", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("first", F.coalesce(F.sum("copies").over(within), F.lit(0))).join(offsets, (F.col("shard") == F.col("of_shard")) & (F.col("bucket") == F.col("of_bucket")), "left")
+    placed = placed.withColumn("first", F.col("first") + F.col("offset"))
+    each = lambda df: df.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)))
+    few, many = placed.filter(F.col("copies") <= CHUNK), placed.filter(F.col("copies") > CHUNK)
+    chunk = many.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(CHUNK).cast("long"))))
+    chunk = chunk.withColumns({"first": F.col("first") + F.col("at"), "copies": F.least(F.lit(CHUNK).cast("long"), F.col("copies") - F.col("at"))}).drop("at").repartition("first")
+    out = each(few).unionByName(each(chunk))
+    return out.select(F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
 #: Production topology: 8 shards; the ninth comes as a region of its own.

@@ -9,7 +9,8 @@ size costs a row a point; components of all shards are joined by distributed sta
 
 Defined results: null texts and texts without words have the fingerprint zero and are linked like any other; texts
 of fewer words than a shingle are one shingle; equal texts and repeated rows share a component; a component's id is
-its smallest doc_id, nulls left out (null if there is no other); an empty table gives an empty result.
+its smallest doc_id, nulls left out (null if there is no other); an empty table gives an empty result. Columns of any
+other name may be there.
 """
 
 from __future__ import annotations
@@ -23,12 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import bounded_batches, staged
+from glossmill.llm.common import identity, slices, staged
 from glossmill.llm.components import components
 
 SEED = 42
-#: Points of a shard on average; shards, and points sampled for the tree, at most.
-SHARD_POINTS, SHARDS, SAMPLE = 4096, 16_384, 65_536
+#: Points of a shard on average; points sampled for the tree by shard; and shards at most. A sample is a hundredth of
+#: the points or less, and 2 million (16 MB) whatever the input; beyond the most shards, it is the shards that grow.
+SHARD_POINTS, SAMPLE, SHARDS = 4096, 32, 65_536
+#: Points that are routed at once.
+ROUTED = 65_536
 #: Points that are compared with each other at once; and points from which a cluster too dense for the tree's
 #: bounds is searched by looking up each fingerprint's neighbours.
 LEAF, DENSE = 256, 150_000
@@ -49,16 +53,16 @@ def fingerprint(text: str, width: int = 3, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed 64-bit integer)."""
-    bounded_batches(docs.sparkSession)
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns, and fp (the fingerprint as a signed 64-bit integer)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(t or "") for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), pa.array(fps)], names=[*keep, "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{kinds}fp long")
 
 
 def distance(points: np.ndarray, other) -> np.ndarray:
@@ -195,41 +199,54 @@ def search(points: np.ndarray, home: np.ndarray, limit: int) -> tuple[np.ndarray
 
 def links(points: DataFrame, n: int, limit: int) -> DataFrame:
     """a, b: links that span the components of the distinct points (fp); n is how many there are."""
-    spark = points.sparkSession
     shards = min(SHARDS, max(1, n // SHARD_POINTS))
     nodes: list[tuple[int, int, int, int]] = []
     if shards > 1:
-        share = F.pmod(F.xxhash64(F.lit(SEED), "fp"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / n))
-        sample = np.array([r.fp for r in points.filter(share).limit(2 * SAMPLE).collect()], np.int64).view(np.uint64)  # bounded: the tree's only
+        share = F.pmod(F.xxhash64(F.lit(SEED), "fp"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE * shards / n)
+        sample = np.array([r.fp for r in points.filter(share).orderBy("fp").limit(2 * SAMPLE * shards).collect()], np.int64).view(np.uint64)  # the tree's only
         nodes = grow(sample, int(np.ceil(np.log2(shards))), limit)
 
+    def sent(points: np.ndarray) -> pa.RecordBatch:
+        shard, p, home = route(nodes, points, limit)
+        return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(p.view(np.int64)), pa.array(home)], names=["shard", "fp", "home"])
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
         for batch in batches:
-            shard, p, home = route(nodes, batch.column("fp").to_numpy().view(np.uint64), limit)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(p.view(np.int64)), pa.array(home)], names=["shard", "fp", "home"])
+            waiting.append(batch.column("fp").to_numpy().view(np.uint64).copy())
+            if sum(map(len, waiting)) >= ROUTED:
+                yield sent(np.concatenate(waiting))
+                waiting.clear()
+        if waiting:
+            yield sent(np.concatenate(waiting))
 
     def within(table: pa.Table) -> pa.Table:
         a, b = search(table.column("fp").to_numpy().view(np.uint64), table.column("home").to_numpy(), limit)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     return points.select("fp").mapInArrow(send, "shard int, fp long, home boolean").groupBy("shard").applyInArrow(within, "a long, b long")
 
 
+def linked_classes(rows: DataFrame, least, limit: int) -> tuple[DataFrame, DataFrame, int]:
+    """The distinct fingerprints of rows (fp, least, copies); those that have links, with the root of their component
+    (fp, root); and how many rows there are."""
+    classes = staged(rows.groupBy("fp").agg(least.alias("least"), F.count("*").alias("copies")), "classes")
+    size = classes.agg(F.count("*").alias("points"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
+    of = components(links(classes, size["points"], limit)).withColumnRenamed("node", "fp")
+    return classes, of, size["rows"]
+
+
 def near_duplicates(docs: DataFrame, limit: int = 2) -> DataFrame:
     """doc_id, fp, component_id for every row."""
     rows = staged(fingerprints(docs), "fingerprints")
-    classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
-    size = classes.agg(F.count("*").alias("points"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
-    linked = links(classes, size["points"], limit)
-    of = staged(components(linked).withColumnRenamed("node", "fp"), "components")
+    classes, of, n = linked_classes(rows, F.min("doc_id"), limit)
     named = classes.join(of, "fp")  # classes that have links
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     known = named.join(ids, "root").select("fp", "component_id", "copies")
     alone = classes.join(of.select("fp"), "fp", "left_anti").filter("copies > 1").select("fp", F.col("least").alias("component_id"), "copies")
     table = staged(known.unionByName(alone), "classes")
     # a fingerprint of very many rows is joined by broadcast: of those there are rows / hot at most, 100,000
-    hot = max(HOT, size["rows"] // 100_000)
+    hot = max(HOT, n // 100_000)
     often = F.broadcast(table.filter(F.col("copies") > hot).select("fp", "component_id"))
     most = rows.join(often.select("fp"), "fp", "left_anti").join(table.filter(F.col("copies") <= hot).select("fp", "component_id"), "fp", "left")
     most = most.select("doc_id", "fp", F.when(F.col("component_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -241,13 +258,18 @@ def hexadecimal(fp: str = "fp"):
 
 
 def first_of_each(docs: DataFrame, limit: int = 2) -> DataFrame:
-    """One document of each component, the one of the smallest doc_id; columns as they were. Rows whose component has
-    no id at all stay as they are."""
-    found = near_duplicates(docs, limit)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    kept = staged(kept.withColumnRenamed("doc_id", "__kept"), "kept")
-    # the ids grow with the input: one plan for all sizes, whose cost on a small input tells that on a large one
-    rest = docs.join(kept.select("__kept").hint("merge"), docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
-    if kept.filter("__kept is not null and __rows > 1").isEmpty():
-        return rest
-    return rest.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.filter("doc_id is null"))
+    """One row of each component, columns as they were: the one of the smallest doc_id (rows without an id come last),
+    then of the smallest fingerprint and hash of its columns. Rows are told apart by all their columns and not by
+    doc_id, so texts that share an id but no component both stay; rows that are equal in every column are one."""
+    a, b = identity(docs)
+    keyed = docs.select("doc_id", "text", a.alias("a"), b.alias("b"))
+    rows = staged(fingerprints(keyed, ("doc_id", "a", "b")), "fingerprints")
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "fp", "a", "b"))
+    classes, of, _ = linked_classes(rows, first, limit)
+    linked = classes.join(of, "fp").groupBy("root").agg(F.min("least").alias("least")).select("least.a", "least.b")
+    alone = classes.join(of.select("fp"), "fp", "left_anti").select("least.a", "least.b")
+    kept = staged(linked.unionByName(alone), "kept")
+    # equal rows meet as partial aggregates, one a task; the join then finds rows dealt and sorted as it needs them.
+    # The rows kept grow with the input: one plan for all sizes, whose cost on a small input tells that on a large one
+    whole = docs.select(a.alias("a"), b.alias("b"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).dropDuplicates(["a", "b"])
+    return whole.join(kept.hint("merge"), ["a", "b"], "left_semi").select("row.*")

@@ -112,7 +112,7 @@ def shards() -> str:
     return f"""
 WITH d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS id, coalesce(text, '') AS text FROM documents),
 s AS (SELECT doc_id, id, CAST(strlen(text) + 1 AS BIGINT) AS size, CAST(CASE WHEN text = '' THEN 0 ELSE xor({crc}, 4294967295) END AS BIGINT) AS text_crc32, {tree(sharding.TREE, 'shard')}, {tree(sharding.GROWN, 'grown_shard')} FROM d)
-SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY md5(id), text_crc32, size) - 1 AS slot, grown_shard FROM s"""
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY md5(concat_ws('/', id, text_crc32, size))) - 1 AS slot, grown_shard FROM s"""
 
 
 SQL = {"op1_quality_rules": quality_rules(), "op5_secret_scans": secrets(), "op6_benchmark_decontamination": contamination(), "op8_sharding": shards()}

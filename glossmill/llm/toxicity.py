@@ -8,9 +8,10 @@ weighted so that both classes weigh the same: a score is the probability for a t
 The fit sees at most SAMPLE rows a class, drawn by a hash of the id, so its cost doesn't grow; counting labels
 and scoring cover everything. Texts are scored whole; n-grams of a word are looked up once and remembered.
 
-Defined results: null and empty texts get the score of a text without features; null labels are left out; with no
-toxic or no other labelled rows there is nothing to learn, and the score is the share of toxic ones (0 without
-labels); repeated rows give repeated results; an empty table gives an empty result.
+Defined results: null and empty texts get the score of a text without features; null labels are left out; an id that
+is labelled twice counts once, as toxic if it ever is; of documents that share a labelled id the fit sees the text that
+sorts first; with no toxic or no other labelled rows there is nothing to learn, and the score is the share of toxic
+ones (0 without labels); repeated rows give repeated results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import bounded_batches, held_out, staged
+from glossmill.llm.common import held_out, slices, staged
 
 #: Labelled rows of a class, features, hash buckets of n-grams, and rows in which a feature must be.
 SAMPLE, FEATURES, BUCKETS, LEAST_ROWS = 4000, 2048, 1 << 22, 5
@@ -81,7 +82,7 @@ class Scorer:
 def class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """bucket, pos, neg: in how many rows of each class an n-gram is."""
     counts = np.zeros((2, BUCKETS), np.int32)
-    for batch in batches:
+    for batch in slices(batches):
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             every = set(map(bucket, set().union(*map(grams, set((text or "").lower().split())))))
             counts[toxic][np.fromiter(every, np.int64, len(every))] += 1
@@ -120,17 +121,18 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 1) -> tuple[dict[str, float], float]:
     """Weights by n-gram, and the intercept. Rows that are held out aren't seen."""
     spark = docs.sparkSession
-    bounded_batches(spark)
-    mine = labels.filter(F.col("toxic").isin(0, 1) & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    mine = labels.filter(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     count = {r["toxic"]: r["n"] for r in mine.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = count.get(1, 0), count.get(0, 0)
     if not pos or not neg:
         share = pos / (pos + neg) if pos + neg else 0.0
         return {}, 500.0 if share == 1 else -500.0
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
-    drawn = [mine.filter((F.col("toxic") == t) & (draw < int((1 << 30) * min(1.0, SAMPLE / n)))).limit(2 * SAMPLE) for t, n in count.items()]
+    drawn = [mine.filter((F.col("toxic") == t) & (draw < int((1 << 30) * min(1.0, SAMPLE / n)))).orderBy("doc_id").limit(2 * SAMPLE) for t, n in count.items()]
     ids = drawn[0].unionByName(drawn[1])
-    rows = staged(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic").repartition(8), "toxicity-sample")  # 4 * SAMPLE rows at most
+    # one text an id, found task by task before texts move, however often an id is repeated: 4 * SAMPLE rows at most
+    once = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = staged(once.select("text", "toxic").repartition(8), "toxicity-sample")
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(size) < 2:  # labels of documents that aren't there
         return {}, -500.0
@@ -146,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 1) -> tuple[dict[str, fl
         """The n-grams of the buckets that were kept; few share one."""
         seen: set[str] = set()
         found: set[str] = set()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 new = set((text or "").lower().split()) - seen
                 seen |= new
@@ -159,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 1) -> tuple[dict[str, fl
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(at, 0.0)
-        for batch in batches:
+        for batch in slices(batches):
             bits = []
             for text in batch.column("text").to_pylist():
                 row = np.zeros(FEATURES, bool)
@@ -176,12 +178,11 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 1) -> tuple[dict[str, fl
 
 def scores(docs: DataFrame, model: tuple[dict[int, float], float]) -> DataFrame:
     """doc_id, score of every document."""
-    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([scorer.score(t or "") for t in batch.column("text").to_pylist()], pa.float64())], names=["doc_id", "score"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from glossmill.llm import binary_out, bpe, decontam, langid, quality, secret_scan, sharding, simhash, token_edits, toxicity
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int, words string, fp long, hash long, at int, item_id long, n_tokens long, spans string, slot long, held_out string"
+#: Names that operators use inside, as columns of the caller's.
+INNER = ("row", "blob", "salt", "content", "todo", "a", "b", "least", "key", "ids", "n", "bucket", "copies", "bad_a", "bad_b", "redacted", "edits", "tree", "of", "toxic", "__text", "__blob", "__spans", "__salt", "__bad", "__kept", "_c")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int, words string, fp long, hash long, at int, item_id long, n_tokens long, spans string, slot long, held_out string, " + ", ".join(f"`{c}` string" for c in INNER)
 PASSAGE = "the quick brown fox jumps over the lazy dog while seven wizards quietly mix bright potions beside an old stone mill near town"
 rng = random.Random(3)
 WORDS = ["alpha", "beta", "gamma", "delta", "one", "two", "three", "and", "of", "to"]
 
 
 def row(i, text, lang="en"):
-    return (i, text, lang, "s", None if text is None else len(text), 0.5, 3, "w", 1, 2, 4, 7, 9, "x", 1, "h")
+    return (i, text, lang, "s", None if text is None else len(text), 0.5, 3, "w", 1, 2, 4, 7, 9, "x", 1, "h", *INNER)
 
 
 ROWS = [
@@ -47,12 +49,12 @@ def benchmark(spark):
 def by_row(spark, docs, labels, benchmark):
     return {
         "quality": lambda d: quality.cleaned(d), "toxicity": lambda d: toxicity.classified(d, labels), "edits": lambda d: token_edits.apply_listed(token_edits.sample_edits(token_edits.build_state(d))),
-        "new edits": lambda d: token_edits.apply_listed(token_edits.sample_edits(token_edits.new_state(d))), "bpe": lambda d: bpe.round_trips(d), "encoded": lambda d: bpe.encoded(d),
-        "secrets": lambda d: secret_scan.digest(secret_scan.with_spans(d, secret_scan.blob_findings(d))), "languages": lambda d: langid.identified(d), "shards": lambda d: sharding.shard(d, sharding.TREE, sharding.GROWN), "simhash": lambda d: simhash.near_duplicates(d),
+        "bpe": lambda d: bpe.round_trips(d), "encoded": lambda d: bpe.encoded(d),
+        "secrets": lambda d: secret_scan.digested(d, secret_scan.blob_findings(d)), "languages": lambda d: langid.identified(d), "shards": lambda d: sharding.shard(d, sharding.TREE, sharding.GROWN), "simhash": lambda d: simhash.near_duplicates(d),
     }
 
 
-NAMES = ["quality", "toxicity", "edits", "new edits", "bpe", "encoded", "secrets", "languages", "shards", "simhash"]
+NAMES = ["quality", "toxicity", "edits", "bpe", "encoded", "secrets", "languages", "shards", "simhash"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -79,14 +81,14 @@ def test_decontamination(spark, docs, none, benchmark):
     left = decontam.clean(docs, benchmark)
     assert left.columns == docs.columns and 12 not in [r.doc_id for r in left.collect()]
     assert decontam.clean(docs, benchmark.limit(0)).count() == len(ROWS)
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, benchmark, block_rows=1, most_blocks=0).collect()} == found
 
 
 def test_training_order(spark, docs, none):
-    rows = binary_out.training_order(docs, length=64, shard_slots=100).collect()
+    rows = binary_out.written_order(docs, length=64, shard_slots=100).collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
-    assert {r.doc_id for r in rows} == {r[0] for r in ROWS}
-    assert all(r.n_tokens == 0 for r in rows if r.doc_id in (2, 3))
-    assert binary_out.training_order(none).count() == 0
+    assert {i for r in rows for i in r.doc_ids} == {r[0] for r in ROWS}
+    assert binary_out.written_order(none).count() == 0
 
 
 def test_stages(spark, docs, none, benchmark, tmp_path):
@@ -98,6 +100,7 @@ def test_stages(spark, docs, none, benchmark, tmp_path):
         assert stage(spark, none, str(tmp_path)).count() == 0, name
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == docs.columns, name
+            assert all(r[c] == c for r in out.collect() for c in INNER), name
         assert out.count() <= len(ROWS), name
 
 
@@ -109,10 +112,40 @@ def test_secret_stage_redacts(spark, docs, tmp_path):
     assert out[2].text is None and out[11].text == "été à la plage. " * 20
 
 
-def test_dedup_stage_keeps_one_row_of_each_id(spark, docs):
-    left = simhash.first_of_each(docs).select("doc_id").collect()
-    ids = [r.doc_id for r in left if r.doc_id is not None]
+def test_dedup_stage_keeps_one_row_of_each_group(spark, docs):
+    left = [r.doc_id for r in simhash.first_of_each(docs).collect()]
+    ids = [i for i in left if i is not None]
     assert len(ids) == len(set(ids)) and 8 in ids and 9 not in ids and 2 in ids and 3 not in ids
+    assert left.count(None) == 1  # the empty row goes with 2, the one with a secret stays
+
+
+def test_dedup_tells_rows_apart_by_their_texts(spark):
+    far = spark.createDataFrame([(1, "a text of its own stands here"), (1, "quite other words are in that one"), (1, "quite other words are in that one"), (None, "no id here at all, is there"), (None, "no id here at all, is there")], "doc_id long, text string")
+    for parts in (1, 3):
+        got = sorted((r.doc_id is None, r.text) for r in simhash.first_of_each(far.repartition(parts)).collect())
+        assert got == [(False, "a text of its own stands here"), (False, "quite other words are in that one"), (True, "no id here at all, is there")]
+
+
+def test_shards_of_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 7)
+    table = spark.createDataFrame([(None, "same")] * 50 + [(1, f"text {i}") for i in range(40)] + [(1, "copy")] * 30, "doc_id long, text string")
+    rows = sharding.shard(table, sharding.TREE, sharding.GROWN).collect()
+    assert len(rows) == 120
+    for s in range(8):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
+def test_a_labelled_id_that_repeats_counts_once(spark):
+    table = spark.createDataFrame([(1, "b")] * 500 + [(1, "a")] * 500 + [(i, f"word{i} bad") for i in range(2, 40)], "doc_id long, text string")
+    few = table.dropDuplicates()
+    marks = spark.createDataFrame([(1, 0), (1, 0)] + [(i, i % 2) for i in range(2, 40)], "doc_id long, toxic int")
+    assert toxicity.fit(table, marks) == toxicity.fit(few.filter("not (doc_id = 1 and text = 'b')"), marks.dropDuplicates())
+
+
+def test_the_fit_of_languages_does_not_depend_on_layout(spark, docs):
+    some = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    a, b = langid.fit(some.repartition(1)), langid.fit(some.repartition(7, "text"))
+    assert a["langs"] == b["langs"] and (a["vectors"] == b["vectors"]).all() and (a["least"] == b["least"]).all()
 
 
 def test_no_labels_and_no_languages(spark, docs, labels):

@@ -52,8 +52,18 @@ def test_encoder_survives_emptied_memories(library, monkeypatch):
     monkeypatch.setattr(bpe, "PIECES", 20)
     monkeypatch.setattr(bpe, "PAIRS", 5)
     own = bpe.Encoder(bpe.read_ranks(P.path(bpe.VOCABULARY)))
-    t = " ".join(f"word{i} inging{i}tionable" for i in range(200))
-    assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode_ordinary(t)
+    for k in range(30):  # texts that share pieces with what is remembered, and have more than there is room for
+        t = " ".join(f"word{i % (k + 3)} inging{i}tionable" for i in range(200 if k % 3 else 8))
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode_ordinary(t)
+        assert len(own.pieces) <= 20
+
+
+def test_encoder_takes_pieces_longer_than_its_memory(library, monkeypatch):
+    monkeypatch.setattr(bpe, "PIECE_CHARS", 30)
+    own = bpe.Encoder(bpe.read_ranks(P.path(bpe.VOCABULARY)))
+    for t in ("the cat", "the cat " + "ab" * 40 + " sat", "sat the " + "x" * 200, "the " + "cd" * 20):
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode_ordinary(t)
+        assert token_edits.counted(own, own.split(t)) == [len(library.encode_ordinary(p)) for p in own.split(t)]
 
 
 def test_round_trips(spark, rows, library):
@@ -69,25 +79,69 @@ def test_decode(spark, docs, rows):
     assert back == dict(rows)
 
 
-def test_edits_equal_a_new_count(encoder):
+def stored(tree):
+    """The tree as it is read from the state again."""
+    return token_edits.PieceTree(*tree.flat())
+
+
+def test_edits_equal_a_new_count(encoder, monkeypatch):
     rng = random.Random(5)
     alphabet = "abc de's  re \n\t!?12é日  "
     for k in range(800):
-        t = "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 5, 60, 400])))
-        pieces = encoder.split(t)
-        tree = token_edits.PieceTree([len(p) for p in pieces], token_edits.counted(encoder, pieces))
+        monkeypatch.setattr(token_edits, "LEAF", rng.choice([2, 3, 64]))
+        t = "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 5, 40, 900])))
+        tree = token_edits.PieceTree(t, *token_edits.PieceTree.built(encoder, t)[:3])
         for _ in range(5):
             a = rng.randint(0, len(t) + 2)
             b, new = a + rng.choice([0, 1, 3, 10, -2, 500]), "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 2, 30])))
-            t, _ = tree.edit(encoder, t, a, b, new)
+            at = min(a, len(t))
+            t = t[:at] + new + t[max(at, min(b, len(t))) :]
+            tree.edit(encoder, a, b, new)
             pieces = encoder.split(t)
-            assert [c for block in tree.blocks for c in block[0]] == [len(p) for p in pieces]
-            assert tree.total == sum(token_edits.counted(encoder, pieces)) and tree.chars[1] == len(t)
-
-
-def test_edits_touch_little(spark, library):
-    for r in registry.QUERIES["op3_token_counts"](spark, SF).collect():
-        assert r.n_reencoded <= 60 or r.n_reencoded <= r.n_pieces + 30
+            assert tree.total == sum(token_edits.counted(encoder, pieces)) and tree.chars[1] == len(t) and tree.n_pieces == len(pieces)
+            text, chars, tokens, _ = tree.flat()
+            assert text == t and token_edits.unpacked(chars, 0, len(pieces)) == [len(p) for p in pieces]
+            assert token_edits.unpacked(tokens, 0, len(pieces)) == token_edits.counted(encoder, pieces)
+            if rng.random() < 0.4:
+                tree = stored(tree)
+
+
+def test_pieces_too_long_for_a_byte(encoder):
+    t = "short " + "x" * 1000 + " and more " * 50
+    tree = token_edits.PieceTree(t, *token_edits.PieceTree.built(encoder, t)[:3])
+    tree.edit(encoder, len(t), len(t), " end")
+    tree = stored(tree)
+    tree.edit(encoder, 3, 300, "")
+    assert tree.flat()[0] == (t + " end")[:3] + (t + " end")[300:] and tree.total == len(encoder.encode(tree.flat()[0])) // 4
+
+
+def test_edits_touch_little(encoder, library):
+    """Work follows the edit, not the document: the same edits in texts of any size touch as many pieces and leaves."""
+    seen = []
+    for words in (2_000, 20_000, 200_000):
+        rng = random.Random(1)
+        t = " ".join(rng.choice(["alpha", "beta", "it's", "of", "gamma,", "7 x"]) for _ in range(words))
+        tree = token_edits.PieceTree(t, *token_edits.PieceTree.built(encoder, t)[:3])
+        encoded, splits = [], []
+        one = type("One", (), {"pattern": type("Pattern", (), {"finditer": lambda self, x, at: splits.append(len(x)) or encoder.pattern.finditer(x, at)})(), "ids_of": lambda self, p: encoded.extend(p) or encoder.ids_of(p)})()
+        for at in (10, len(t) // 2, len(t) - 5):
+            tree.edit(one, at, at + 7, "EDIT ed's")
+        touched = sum(leaf.text is not None for leaf in tree.leaves)
+        assert len(encoded) <= 40 and max(splits) <= 2000 and touched <= 9
+        seen.append(len(encoded))
+        assert tree.total == len(library.encode_ordinary(tree.flat()[0]))
+    assert max(seen) - min(seen) <= 12
+
+
+def test_query_edits_the_kept_state(spark, docs, library, monkeypatch):
+    """Edits start from what is stored: sums that are forged there come through."""
+    state = token_edits.build_state(docs.limit(5)).cache()
+    edited = {r.doc_id: r for r in token_edits.apply_listed(token_edits.sample_edits(state)).collect()}
+    assert all(r.n_tokens == len(library.encode_ordinary(r.text)) and r.n_reencoded <= 80 for r in edited.values())
+    again = token_edits.apply_listed(token_edits.sample_edits(spark.createDataFrame(list(edited.values())).select(*state.columns))).collect()
+    assert all(r.n_tokens == len(library.encode_ordinary(r.text)) for r in again)
+    got = {r.doc_id: r for r in registry.QUERIES["op3_token_counts"](spark, SF).collect()}
+    assert all(got[i].n_tokens == r.n_tokens for i, r in edited.items())
 
 
 def test_edit_logs(spark, library):
@@ -130,7 +184,7 @@ def test_ledger_scans_only_what_it_lacks(spark):
     assert both.count() == 3  # a blob that was seen isn't scanned again
     everything = secret_scan.extend_ledger(later, ledger=both)
     assert everything.groupBy("pack").count().collect() and everything.filter("pack = 'providers-1'").count() == 2
-    paths = secret_scan.with_spans(first.unionByName(later), secret_scan.blob_findings(None, ledger=both)).select("path", "version", F.size("__spans").alias("n")).collect()
+    paths = secret_scan.with_spans(first.unionByName(later), secret_scan.blob_findings(None, ledger=both)).select("path", "version", F.size("spans").alias("n")).collect()
     assert {(r.path, r.version): r.n for r in paths} == {("a", 1): 1, ("b", 1): 0, ("c", 2): 1, ("a", 2): 1}
     forged = both.withColumn("spans", F.array().cast(secret_scan.SPAN))  # were the blob scanned again, it would be found
     assert secret_scan.extend_ledger(first, ledger=forged, packs={"base-1": secret_scan.BASE}).filter("size(spans) > 0").count() == 0
@@ -146,21 +200,36 @@ def test_findings_scan_what_the_ledger_lacks(spark):
     assert {i for i, s in spans(forged).items() if s} == {3, 5}
 
 
-def test_secret_query_and_stage_keep_a_ledger(spark, docs, rows, monkeypatch):
+def test_secret_query_and_stage_extend_a_ledger(spark, docs, rows, monkeypatch):
+    """Each pair of a text and a pack is scanned once over both steps, and the second step finds some done."""
     import corpus_pipeline
 
-    made, extend = [], secret_scan.extend_ledger
-    monkeypatch.setattr(secret_scan, "extend_ledger", lambda *a, **b: made.append(extend(*a, **b)) or made[-1])
-    registry.op5_secret_scans(spark, SF)
-    corpus_pipeline.secret_scans(spark, docs, SF)
-    distinct = len({t or "" for _, t in rows})
-    assert [{r.pack: r["count"] for r in m.groupBy("pack").count().collect()} for m in made] == [dict.fromkeys(secret_scan.PACKS, distinct)] * 2
+    made, new_pairs = [], secret_scan.new_pairs
+    monkeypatch.setattr(secret_scan, "new_pairs", lambda *a, **b: made.append(new_pairs(*a, **b)) or made[-1])
+    distinct = {hashlib.sha256((t or "").encode()).hexdigest() for _, t in rows}
+    for run in (lambda: registry.op5_secret_scans(spark, SF), lambda: corpus_pipeline.secret_scans(spark, docs, SF)):
+        made.clear()
+        run()
+        first, second = ([(r.blob, r.pack) for r in m.collect()] for m in made)
+        assert {p for _, p in first} == {"base-1"} and 0 < len(first) < len(distinct)
+        assert not set(first) & set(second) and len(set(second)) == len(second)
+        assert set(first + second) == {(b, p) for b in distinct for p in secret_scan.PACKS}
+
+
+def test_a_ledger_goes_on_where_it_was(spark, tmp_path):
+    at = str(tmp_path / "ledger")
+    first = spark.createDataFrame([("token=abcdefabcdef",), ("nothing",)], "text string")
+    later = spark.createDataFrame([("token=abcdefabcdef",), ("secret: 0123456789abcdef",)], "text string")
+    base = {"base-1": secret_scan.BASE}
+    assert secret_scan.ledger_of([(first, base)], at=at).count() == 2
+    assert secret_scan.ledger_of([(later, base)], at=at).count() == 3
+    assert secret_scan.ledger_of([(later, secret_scan.PACKS)], at=at).groupBy("pack").count().orderBy("pack").collect() == [("base-1", 3), ("providers-1", 2)]
 
 
 def test_redaction(spark):
     r = spark.createDataFrame([("é token=abcdefabcdef0123 end",), ("clean",), (None,)], "text string").withColumn("doc_id", F.lit(1))
     rows = secret_scan.with_spans(r, secret_scan.blob_findings(r))
-    assert {x[0] for x in rows.select(F.when(F.col("text").isNotNull(), secret_scan.redact(F.col("text"), F.col("__spans")))).collect()} == {"é <secret> end", "clean", None}
+    assert {x[0] for x in rows.select(F.when(F.col("text").isNotNull(), secret_scan.redact(F.col("text"), F.col("spans")))).collect()} == {"é <secret> end", "clean", None}
 
 
 def brute_contamination(docs, items):
@@ -206,6 +275,8 @@ def test_decontamination(spark):
     assert planted <= got
     small = {(r.doc_id, r.item_id) for r in decontam.contaminated(d, b, block_rows=200).collect()}
     assert small == got  # blocks change nothing
+    joined = {(r.doc_id, r.item_id) for r in decontam.contaminated(d, b, block_rows=200, most_blocks=1).collect()}
+    assert joined == got  # nor does a join by shuffle
 
 
 def test_decontamination_at_the_edges(spark):
@@ -224,7 +295,8 @@ def test_decontamination_of_shared_and_missing_ids(spark):
     items = spark.createDataFrame([(1, one), (1, two), (1, two), (None, three)], "item_id long, text string")
     docs = spark.createDataFrame([(1, one), (2, two), (3, three), (4, "nothing of the kind"), (5, "a b c d e f changed changed changed"), (5, one)], "doc_id long, text string")
     assert {(r.doc_id, r.item_id, r.matched) for r in decontam.contaminated(docs, items).collect()} == {(1, 1, 9), (2, 1, 9), (5, 1, 9)}
-    assert [r.doc_id for r in decontam.clean(docs, items).collect()] == [4]
+    # each row by its own text: of the two rows with id 5 the clean one stays
+    assert sorted((r.doc_id, r.text[:9]) for r in decontam.clean(docs, items).collect()) == [(4, "nothing o"), (5, "a b c d e")]
 
 
 def test_masks_lose_nothing():
@@ -348,54 +420,73 @@ def test_permutation():
     assert (binary_out.permuted(np.arange(1000), 1000, key=1) != binary_out.permuted(np.arange(1000), 1000, key=2)).any()
 
 
-def test_shard_files_hold_every_token(spark, docs, rows, library, tmp_path):
-    table = binary_out.training_order(docs, length=128, shard_slots=50)
-    binary_out.write_shards(table, str(tmp_path / "shards"))
-    stride, tokens, slots = 16 + 2 * 128 + 1, {}, 0
-    for shard in sorted((tmp_path / "shards").glob("shard=*"), key=lambda p: int(p.name.split("=")[1])):
-        data = b"".join(p.read_bytes() for p in sorted(shard.glob("part-*")))
-        assert len(data) % stride == 0
-        for at in range(0, len(data), stride):
-            r, slots = data[at : at + stride], slots + 1
-            doc, number, n = int.from_bytes(r[:8], "big", signed=True), int.from_bytes(r[8:12], "big"), int.from_bytes(r[12:16], "big")
-            tokens[doc, number] = np.frombuffer(r[16 : 16 + 2 * n], "<u2").tolist()
-            assert r[16 + 2 * n : -1] == (50256).to_bytes(2, "little") * (128 - n)
-    by_slot = {r.slot: (r.doc_id, r.seq_no, r.offset) for r in table.select("slot", "doc_id", "seq_no", "offset").collect()}
-    assert slots == len(by_slot)
-    for i, t in rows:
-        assert [x for k in sorted(k for d, k in tokens if d == i) for x in tokens[i, k]] == library.encode_ordinary(t)
+def files_of(table):
+    return {f: open(f.removeprefix("file:"), "rb").read() for f in {r.file for r in table}}
 
 
 @pytest.mark.parametrize("shard_slots", [50, 100_000])
 def test_written_order_is_in_the_files(spark, docs, rows, library, shard_slots):
-    table = binary_out.written_order(docs, length=128, shard_slots=shard_slots).collect()
-    assert sorted(r.slot for r in table) == list(range(len(table)))
-    files, tokens = {}, {}
+    """Records read at their offsets, put back into the order before the permutation, are all documents' ids."""
+    size, end = 128, 50256
+    table = sorted(binary_out.written_order(docs, length=size, shard_slots=shard_slots, bucket_ids=20_000).collect(), key=lambda r: r.slot)
+    n, files, stride = len(table), files_of(table), 16 + 2 * size + 1
+    assert [r.slot for r in table] == list(range(n)) and len(files) == -(-n // shard_slots) and sum(map(len, files.values())) == n * stride
+    found = {}
     for r in table:
-        f = r.file.removeprefix("file:")
-        files.setdefault(f, open(f, "rb").read())
-        assert f"/shard={r.slot // shard_slots}/" in f and r.shard == r.slot // shard_slots
-        assert files[f][r.offset : r.offset + len(r.record)] == r.record and len(r.record) == 16 + 2 * 128
-        assert int.from_bytes(r.record[:8], "big", signed=True) == r.doc_id
-        tokens[r.doc_id, r.seq_no] = np.frombuffer(r.record[16 : 16 + 2 * r.n_tokens], "<u2").tolist()
-    assert len(files) == -(-len(table) // shard_slots) and sum(map(len, files.values())) == len(table) * (16 + 2 * 128 + 1)
-    for i, t in rows:
-        assert [x for k in sorted(k for d, k in tokens if d == i) for x in tokens[i, k]] == library.encode_ordinary(t)
-    lazy = binary_out.training_order(docs, length=128, shard_slots=shard_slots).select("slot", "offset").collect()
-    assert sorted((r.slot, r.offset) for r in lazy) == sorted((r.slot, r.offset) for r in table)
-
-
-def test_query_writes_its_shards(spark):
-    row = registry.op10_training_order(spark, SF).first()
-    with open(row.file.removeprefix("file:"), "rb") as f:
-        f.seek(row.offset)
-        assert f.read(len(row.record)) == row.record
+        data = files[r.file][r.offset : r.offset + stride]
+        assert f"/shard={r.slot // shard_slots}/" in r.file and r.shard == r.slot // shard_slots and data[-1:] == b"\n"
+        assert int.from_bytes(data[:8], "big") == r.slot and int.from_bytes(data[8:12], "big") == r.n_tokens
+        assert int.from_bytes(data[12:16], "big") == r.crc32 == zlib.crc32(data[16:-1])
+        ids = np.frombuffer(data[16:-1], "<u2").tolist()
+        assert ids[r.n_tokens :] == [end] * (size - r.n_tokens)
+        found[r.slot] = ids[: r.n_tokens], r.doc_ids
+    order = binary_out.permuted(np.arange(n), n).tolist()
+    whole, named = [], []
+    for slot in order:
+        ids, of = found[slot]
+        assert len(of) == ids.count(end) + (ids[-1] != end) if ids else not of
+        whole += ids
+        for i in of:
+            if not named or named[-1] != i:
+                named.append(i)
+    text, at, got = dict(rows), 0, []
+    for i in named:
+        stop = whole.index(end, at)
+        assert whole[at:stop] == library.encode_ordinary(text[i])
+        got.append(i)
+        at = stop + 1
+    assert sorted(got) == sorted(text) and at == len(whole)
+
+
+def test_slots_do_not_depend_on_the_layout(spark, docs):
+    """The same rows in other files, orders and numbers of partitions have the same slots; copies of a row too."""
+    rows = docs.select("doc_id", "text").unionByName(docs.select("doc_id", "text").limit(1).crossJoin(spark.range(30)).select("doc_id", "text"))
+    tables = [rows.repartition(2), rows.repartition(4).orderBy(F.desc("text")), rows.coalesce(1)]
+    for hot in (None, 3):
+        made = [sorted((r.slot, r.n_tokens, tuple(r.doc_ids), r.crc32) for r in binary_out.written_order(t, length=64, bucket_ids=5_000, hot_copies=hot).collect()) for t in tables]
+        assert made[0] == made[1] == made[2]
+        assert sum(x[1] for x in made[0]) == sum(r.n for r in binary_out.tokenised(rows, bpe.read_ranks(P.path(bpe.VOCABULARY)))[0].select("n").collect())
+
+
+def test_records_are_read_back(spark, docs, tmp_path):
+    at = str(tmp_path / "shards")
+    table = {r.slot: r for r in binary_out.written_order(docs, length=64, shard_slots=50, at=at).collect()}
+    back = binary_out.read_back(spark, at, length=64).collect()
+    assert {r.slot: (r.n_tokens, r.crc32) for r in back} == {s: (r.n_tokens, r.crc32) for s, r in table.items()}
+    assert all(zlib.crc32(r.ids) == r.crc32 for r in back)
+    assert sorted(r.slot for r in binary_out.read_back(spark, at, length=64, shard=1).collect()) == list(range(50, min(100, len(table))))
+
+
+def test_long_runs_of_white_space_are_tokenised(encoder):
+    pieces = binary_out.pieces_of(bpe.read_ranks(P.path(bpe.VOCABULARY)), 2)
+    for t in (" " * 300_000 + "x", "\n \t" * 50_000, "ab" * 50_000):
+        assert np.frombuffer(pieces.encode(t), "<u2").tolist() == np.frombuffer(encoder.encode(t), "<u4").tolist()
 
 
 def test_written_order_of_no_rows_and_null_ids(spark):
     table = spark.createDataFrame([(None, "some text"), (5, None), (-3, "")], "doc_id long, text string")
-    got = {(r.doc_id, r.n_tokens > 0) for r in binary_out.written_order(table, length=8).collect()}
-    assert got == {(None, True), (5, False), (-3, False)}
+    (row,) = binary_out.written_order(table, length=8).collect()
+    assert sorted(row.doc_ids, key=str) == [-3, 5, None] and row.n_tokens == 5
     assert binary_out.written_order(table.limit(0)).count() == 0
 
 
@@ -433,6 +524,29 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
 
 
+def test_scores_equal_the_formula(spark, docs):
+    """The score of each text from its n-grams, the weights and the logistic function; and the weights from their definition."""
+    import math
+
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    weights, b = toxicity.fit(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.scores(docs, (weights, b)).collect()}
+    every = {i: {g for w in set(t.lower().split()) for g in toxicity.grams(w)} for i, t in ((r.doc_id, r.text) for r in docs.collect())}
+    for i, grams in every.items():
+        z = b + math.fsum(sorted(weights.get(g, 0.0) for g in grams))
+        assert abs(got[i] - 1 / (1 + math.exp(-max(-500, min(500, z))))) < 1e-9
+    # log-count ratios of the n-grams by plain counting: the features are those largest in standard errors
+    seen = {r.doc_id: r.toxic for r in labels.filter(~toxicity.held_out()).collect()}
+    counts, size = {}, [sum(v == c for v in seen.values()) for c in (0, 1)]
+    for i, c in seen.items():
+        for x in {toxicity.bucket(g) for g in every[i]}:
+            counts.setdefault(x, [0, 0])[c] += 1
+    ratio = lambda n: abs(math.log((n[1] + 1) / (size[1] + 2) / ((n[0] + 1) / (size[0] + 2)))) / math.sqrt(1 / (n[1] + 1) + 1 / (n[0] + 1))
+    ranked = sorted((x for x, n in counts.items() if sum(n) >= toxicity.LEAST_ROWS), key=lambda x: (-ratio(counts[x]), x))[: toxicity.FEATURES]
+    least = ratio(counts[ranked[-1]])
+    assert {toxicity.bucket(g) for g in weights} <= {x for x, n in counts.items() if ratio(n) >= least - 1e-9}
+
+
 def test_toxicity_never_sees_held_out_labels(spark, docs):
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
     flipped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
@@ -446,6 +560,38 @@ def test_languages_on_held_out_rows(spark):
     assert sum(r.rejected for r in rows) <= 0.01 * len(rows)
 
 
+def test_languages_equal_brute_force(spark, docs):
+    """Counts by a plain loop over n-grams, cosines with every centroid, and the nearest one."""
+    model = langid.fit(docs)
+    got = {r.doc_id: r for r in langid.identified(docs).collect()}
+    mask = (1 << 32) - 1
+
+    def brute(text):
+        c = [ord(x) if x.isalpha() else 32 for x in text.lower()]
+        out = np.zeros(langid.BUCKETS)
+        shift = 32 - langid.BUCKETS.bit_length() + 1
+        for i in range(len(c)):
+            hashes = [c[i] * 0x9E3779B1 & mask] if c[i] != 32 else []
+            if i + 1 < len(c) and (c[i] != 32 or c[i + 1] != 32):
+                hashes.append((c[i] * 0x85EBCA6B & mask) ^ ((c[i + 1] * 0xC2B2AE35 & mask) + 1 & mask))
+            if i + 2 < len(c) and c[i + 1] != 32:
+                hashes.append((c[i] * 0x27D4EB2F & mask) ^ (c[i + 1] * 0x165667B1 & mask) ^ ((c[i + 2] * 0xD3A2646C & mask) + 2 & mask))
+            for h in hashes:
+                out[(h ^ h >> 15) * 0x2C1B3C6D % (1 << 32) >> shift] += 1
+        return out
+
+    for r in docs.limit(25).collect():
+        v = np.sqrt(brute(r.text)) * model["idf"]
+        cosines = model["vectors"] @ (v / np.linalg.norm(v))
+        assert got[r.doc_id].lang_pred == model["langs"][model["of"][int(cosines.argmax())]] and abs(got[r.doc_id].score - cosines.max()) < 1e-5
+
+
+def test_languages_are_not_learned_from_held_out_rows(docs):
+    other = docs.withColumn("lang", F.when(langid.held_out(), F.lit("zz")).otherwise(F.col("lang")))
+    a, b = langid.fit(docs), langid.fit(other)
+    assert a["langs"] == b["langs"] and (a["vectors"] == b["vectors"]).all() and (a["least"] == b["least"]).all()
+
+
 def test_far_texts_are_rejected(spark):
     sf = "/root/testdata/sf0.01"
     model = langid.fit(spark.read.parquet(f"{sf}/documents.parquet"))
