@@ -1,16 +1,15 @@
 """A corpus pipeline of five stages, each of which calls one operator on all that the stage before it kept.
 
-Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of docs. Rows are told
-apart by doc_id: where ids repeat, near-duplicate removal leaves one row of each.
+Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of docs, whatever their
+names. Each row stays or goes by its own columns: texts that share a doc_id are texts of their own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from glossmill.llm import bpe, decontam, langid, secret_scan, simhash
-from glossmill.llm.common import read, shared_path
+from glossmill.llm.common import read, removed, shared_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +29,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark in the texts that hold any, and n_chars follows the text."""
-    spans = F.col("__spans")
-    rows = secret_scan.with_spans(docs, secret_scan.first_scan(docs))
-    text = F.when(F.col("text").isNull(), F.col("text")).otherwise(secret_scan.redact(F.col("text"), spans))
-    made = rows.withColumn("__text", text)
-    out = {"text": F.col("__text"), "n_chars": F.when(F.size(spans) > 0, F.length("__text").cast("long")).otherwise(F.col("n_chars"))}
-    return made.select(*[(out[c] if c in out else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return secret_scan.redacted(docs, secret_scan.scanned(docs.select("doc_id", "text")))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written as Parquet and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """The stages applied to documents, each written as Parquet and read again; what was read goes then."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = shared_path(spark, "pipeline-" + name.replace(" ", "-").lower())
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            removed(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
