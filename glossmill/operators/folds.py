@@ -1,0 +1,36 @@
+"""Folds over the rows of a key in order, streamed: a task holds a batch and the state of one key, never a key's rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+#: Spark's name of each kind of result.
+KINDS = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def in_order(rows: DataFrame, key: str, order: Sequence[str], values: Sequence[str], start: Callable[[], object], step: Callable[..., tuple], made: dict[str, str]) -> DataFrame:
+    """rows' key, order and values columns, and what step makes of them: step(state, *values) gives the next state and
+    a tuple of results (made: their names and kinds). start() is the state that each key begins with.
+
+    Rows are dealt by key and sorted within their partition; a fold that depends on the order is one task's for each
+    key, but it reads its rows batch by batch.
+    """
+    columns = list(dict.fromkeys([key, *order, *values]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, begun = None, None, False
+        for batch in batches:
+            results = []
+            for name, *row in zip(*(batch.column(c).to_pylist() for c in (key, *values))):
+                if not begun or name != at:
+                    at, state, begun = name, start(), True
+                state, out = step(state, *row)
+                results.append(out)
+            arrays = [pa.array(x, KINDS[k]) for x, k in zip(zip(*results) if results else [[]] * len(made), made.values())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *arrays], names=[*columns, *made])
+
+    ddl = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns), *(f"`{n}` {k}" for n, k in made.items())])
+    return rows.select(columns).repartition(key).sortWithinPartitions(key, *[c for c in order if c != key]).mapInArrow(run, ddl)

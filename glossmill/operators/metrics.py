@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossmill.operators.folds import in_order
 from glossmill.operators.prefix import running
 
 
+def exact_sum(column: str) -> Column:
+    """The sum of amounts to ten places, which doesn't depend on the order of addition."""
+    return F.sum(F.col(column).cast("decimal(28,10)")).cast("double")
+
+
 def model_rollup(rows: DataFrame) -> DataFrame:
     """model, counts, sums and means; rows: model, accepted, time, cost, quality_score, judge_score.
 
@@ -15,7 +23,7 @@ def model_rollup(rows: DataFrame) -> DataFrame:
     """
     ok = F.col("accepted")
     per = rows.groupBy("model").agg(
-        F.count("*").alias("samples_generated"), F.count_if(ok).alias("samples_accepted"), F.sum("time").alias("total_time"), F.sum("cost").alias("total_cost"),
+        F.count("*").alias("samples_generated"), F.count_if(ok).alias("samples_accepted"), exact_sum("time").alias("total_time"), exact_sum("cost").alias("total_cost"),
         F.coalesce(F.avg(F.when(ok, F.col("quality_score"))), F.lit(0.0)).alias("avg_quality_score"), F.coalesce(F.avg(F.when(ok, F.col("judge_score"))), F.lit(0.0)).alias("avg_llm_judge_score"),
     )
     each = lambda c: F.coalesce(F.try_divide(c, F.col("samples_generated").cast("double")), F.lit(0.0))
@@ -28,8 +36,8 @@ def totals(rows: DataFrame) -> DataFrame:
 
 
 def best_model(rollup: DataFrame) -> DataFrame:
-    """The model of least cost a sample; those without an accepted row come last, ties go by name."""
-    cost = F.when(F.col("samples_accepted") > 0, F.col("cost_per_sample")).otherwise(F.lit(float("inf")))
+    """The model of least cost a sample, to nine places; those without an accepted row come last, ties go by name."""
+    cost = F.when(F.col("samples_accepted") > 0, F.round("cost_per_sample", 9)).otherwise(F.lit(float("inf")))
     return rollup.select("model", "cost_per_sample", cost.alias("_c")).orderBy("_c", "model").limit(1).drop("_c")
 
 
@@ -68,17 +76,18 @@ def running_means(rows: DataFrame, order: str, columns: list[str]) -> DataFrame:
 
 
 def pass_rate_parity(passes: DataFrame, by: str, order: str, flag: str) -> DataFrame:
-    """by, rate: the rate as an update in place gives it, which only changes with a pass and cuts its count to a whole
-    number. It depends on the order, so a run (a value of by) is folded in one task: its evaluations, in order."""
-    flags = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(flag).alias("f")))), lambda r: r["f"])
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("rate"))
-
-    def step(acc, passed):
-        n = acc["n"] + 1
-        rate = F.when(passed, (F.floor(acc["rate"] * (n - 1).cast("double")) + 1).cast("double") / n.cast("double")).otherwise(acc["rate"])
-        return F.struct(n.alias("n"), rate.alias("rate"))
-
-    return passes.groupBy(by).agg(F.aggregate(flags, start, step)["rate"].alias("rate_parity"), F.avg(F.col(flag).cast("double")).alias("rate"))
+    """by, rate_parity, rate: the rate as an update in place gives it, which only changes with a pass and cuts its count
+    to a whole number, and the mean. The first depends on the order, so a run (a value of by) is streamed through one
+    task; its state is a count and a rate."""
+
+    def step(state: tuple, passed) -> tuple:
+        n, rate = state[0] + 1, state[1]
+        if passed:
+            rate = (math.floor(rate * (n - 1)) + 1) / n
+        return (n, rate), (rate,)
+
+    rows = in_order(passes.select(by, order, flag), by, [order], [flag], lambda: (0, 0.0), step, {"_rate": "double"})
+    return rows.groupBy(by).agg(F.max_by("_rate", order).alias("rate_parity"), F.avg(F.col(flag).cast("double")).alias("rate"))
 
 
 #: Prices of models (input, output), and those of a family's unknown models.

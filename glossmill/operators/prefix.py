@@ -2,27 +2,41 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a bucket, about; and buckets at most, whose sums one task adds up.
-BUCKET_ROWS, BUCKETS = 50_000, 65_536
+BUCKET_ROWS, BUCKETS = 50_000, 8192
+#: Cuts that a value is held against at once.
+GROUP = 128
+
+
+def below(x: Column, cuts: list[float]) -> Column:
+    """How many of the sorted cuts lie below x: whole groups by their last ones, then those of one group."""
+    groups = [cuts[i : i + GROUP] for i in range(0, len(cuts), GROUP)]
+    read = lambda values, kind: F.from_json(F.lit(json.dumps(values)), kind)
+    whole = F.size(F.filter(read([g[-1] for g in groups], "array<double>"), lambda c: c < x))
+    part = F.coalesce(F.get(read(groups, "array<array<double>>"), whole), F.array().cast("array<double>"))
+    return F.when(x.isNotNull(), whole * GROUP + F.size(F.filter(part, lambda c: c < x)))
 
 
 def running(df: DataFrame, order: str, sums: dict[str, Column], tie: list[str] | None = None) -> DataFrame:
     """df and, for each name in sums, the sum of its column over all rows up to this one, by order (then tie).
 
-    Rows go to buckets of equal width in the order's values; sums run within a bucket, and the sums of the buckets
-    before it, of which there are BUCKETS at most, are added.
+    Rows go to buckets between quantiles of the order's values, so that they hold about as many rows each however the
+    values lie (those of one value share a bucket); sums run within a bucket, and the sums of the buckets before it, of
+    which there are BUCKETS at most, are added. Nulls come first.
     """
-    at = F.col(order)
-    span = df.agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count("*").alias("n")).first()
-    buckets = int(min(BUCKETS, max(1, span["n"] // BUCKET_ROWS)))
+    n = df.count()
+    buckets = int(min(BUCKETS, max(1, n // BUCKET_ROWS)))
     if buckets == 1:
         bucket = F.lit(0)
     else:
-        width = max(1.0, (span["hi"] - span["lo"] + 1) / buckets)
-        bucket = F.coalesce(F.floor((at - span["lo"]) / F.lit(width)).cast("int"), F.lit(-1))
+        probabilities = [i / buckets for i in range(1, buckets)]
+        cuts = sorted(set(df.select(F.col(order).cast("double").alias("o")).approxQuantile("o", probabilities, 0.25 / buckets)))
+        bucket = F.coalesce(below(F.col(order).cast("double"), cuts), F.lit(-1))
     rows = df.withColumns({"_bucket": bucket, **{f"_v_{k}": v for k, v in sums.items()}})
     totals = rows.groupBy("_bucket").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows at most

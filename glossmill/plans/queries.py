@@ -386,14 +386,14 @@ def pipeline_totals(spark, sf_dir):
     return metrics.totals(run_rows(spark, sf_dir))
 
 
-@query(f"WITH {RUN_SQL}, {ROLLUP_SQL} SELECT model, round(total_cost / samples_generated, 6) AS cost_per_sample FROM m WHERE samples_accepted > 0 ORDER BY total_cost / samples_generated, model LIMIT 1")
+@query(f"WITH {RUN_SQL}, {ROLLUP_SQL} SELECT model, round(total_cost / samples_generated, 6) AS cost_per_sample FROM m WHERE samples_accepted > 0 ORDER BY round(total_cost / samples_generated, 9), model LIMIT 1")
 def best_model(spark, sf_dir):
     return metrics.best_model(metrics.model_rollup(run_rows(spark, sf_dir)))
 
 
-@query("SELECT CAST(k AS INT) AS rating, (SELECT count(*) FROM documents WHERE 1 + doc_id % 5 = k AND doc_id % 5 <> 2) AS n, round(100.0 * (SELECT count(*) FROM documents WHERE 1 + doc_id % 5 = k AND doc_id % 5 <> 2) / (SELECT count(*) FROM documents WHERE doc_id % 5 <> 2), 6) AS pct FROM (SELECT unnest([1, 2, 3, 4, 5]) AS k)")
+@query("SELECT CAST(k AS INT) AS rating, (SELECT count(*) FROM documents WHERE 1 + doc_id % 5 = k) AS n, round(100.0 * (SELECT count(*) FROM documents WHERE 1 + doc_id % 5 = k) / (SELECT count(*) FROM documents), 6) AS pct FROM (SELECT unnest([1, 2, 3, 4, 5]) AS k)")
 def rating_distribution(spark, sf_dir):
-    return metrics.rating_distribution(reviews(spark, sf_dir).filter("rating <> 3"))  # one rating has no rows
+    return metrics.rating_distribution(reviews(spark, sf_dir))
 
 
 @query("WITH x AS (SELECT r_name AS name, (r_regionkey + 1) / 15.0::DOUBLE AS weight FROM region), t AS (SELECT sum(weight) AS t FROM x) SELECT name, round(weight, 6) AS weight, round(100 * weight / t, 6) AS share_pct, t BETWEEN 0.99 AND 1.01 AS loads, abs(t - 1) < 1e-6 AS exact FROM x, t")
@@ -449,10 +449,15 @@ def breaker_windows(spark, sf_dir):
     return rows.select("user_id", F.unix_seconds("window_start").alias("window_start_s"), "failures", "tripped")
 
 
-@query()
+@query("""
+WITH RECURSIVE f AS (SELECT user_id AS k, ts, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'error') AS i FROM events),
+s AS (SELECT k, i, ts, ts AS since, bad::BIGINT AS n FROM f WHERE i = 1 UNION ALL
+    SELECT f.k, f.i, f.ts, CASE WHEN epoch_us(f.ts) - epoch_us(s.since) > 259200000000 THEN f.ts ELSE s.since END, CASE WHEN epoch_us(f.ts) - epoch_us(s.since) > 259200000000 THEN 0 ELSE s.n END + f.bad::BIGINT FROM s JOIN f ON s.k = f.k AND f.i = s.i + 1)
+SELECT CAST(k AS VARCHAR) AS key, CAST(epoch_us(ts) AS BIGINT) AS ts_us, n AS failures_so_far, n >= 3 AS active FROM s""")
 def breaker_on_access(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select((c("user_id") % 50).alias("user"), "ts", (c("event_type") == "error").alias("failed"))
-    return breaker.batch(e, "user", "ts", "failed")
+    e = read(spark, sf_dir, "events").select("user_id", "ts", (c("event_type") == "error").alias("failed"))
+    rows = breaker.batch(e, "user_id", "ts", "failed", seconds=3 * 86400)  # users' events are days apart, not seconds
+    return rows.select("key", F.unix_micros("ts").alias("ts_us"), "failures_so_far", "active")
 
 
 def reply_sql(x: str) -> str:
@@ -572,11 +577,11 @@ def cost_model(spark, sf_dir):
 
 
 @query("""
-SELECT 'csv' AS source, CASE WHEN doc_id % 3 = 0 THEN 'csv' ELSE source END AS platform, CAST(doc_id AS VARCHAR) AS review_id, CASE WHEN doc_id % 4 = 0 THEN substr(text, 1, 20) ELSE substr(text, 1, 40) END AS body,
+SELECT 'csv' AS source, CASE WHEN doc_id % 3 = 0 THEN 'csv' ELSE source END AS platform, CAST(doc_id AS VARCHAR) AS review_id, CASE WHEN doc_id % 4 = 0 THEN 'review: ' || text ELSE text END AS body,
     CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 + doc_id % 5 END::DOUBLE AS rating, lang AS author, 'tool' || doc_id % 7 AS product, '' AS url, source AS extra FROM documents""")
 def normalise_rows(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    raw = d.select(c("doc_id").cast("string").alias("id"), F.when(c("doc_id") % 3 == 0, "").otherwise(c("source")).alias("platform"), F.when(c("doc_id") % 4 == 0, "").otherwise(F.substring("text", 1, 40)).alias("body"), F.substring("text", 1, 20).alias("review_text"), F.when(c("doc_id") % 5 != 0, (c("doc_id") % 5 + 1).cast("string")).alias("rating"), c("lang").alias("user"), F.concat(F.lit("tool"), (c("doc_id") % 7).cast("string")).alias("tool"), c("source").alias("extra"))
+    raw = d.select(c("doc_id").cast("string").alias("id"), F.when(c("doc_id") % 3 == 0, "").otherwise(c("source")).alias("platform"), F.when(c("doc_id") % 4 == 0, "").otherwise(c("text")).alias("body"), F.concat(F.lit("review: "), c("text")).alias("review_text"), F.when(c("doc_id") % 5 != 0, (c("doc_id") % 5 + 1).cast("string")).alias("rating"), c("lang").alias("user"), F.concat(F.lit("tool"), (c("doc_id") % 7).cast("string")).alias("tool"), c("source").alias("extra"))
     return io.normalise(raw, "csv").select("source", "platform", "review_id", "body", "rating", "author", "product", "url", c("metadata")["extra"].alias("extra"))
 
 
@@ -639,13 +644,13 @@ def prompt_render(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id AS seq, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN substr(text, 1, 30) ELSE substr(text, 1, 30) END AS text, CASE WHEN doc_id % 4 < 2 THEN 0 ELSE n_chars / 1000.0 * 0.03 * 0.5 + 100 / 1000.0 * 0.06 * 0.5 END::DOUBLE AS cost0,
+SELECT doc_id AS seq, CASE WHEN doc_id % 4 >= 2 THEN text END AS text, CASE WHEN doc_id % 4 < 2 THEN 0 ELSE n_chars / 1000.0 * 0.03 * 0.5 + 100 / 1000.0 * 0.06 * 0.5 END::DOUBLE AS cost0,
     doc_id % 4 >= 2 AS success, CASE doc_id % 4 WHEN 0 THEN 'Result not found in batch output' WHEN 1 THEN 'overloaded' END AS error FROM documents""".replace("n_chars / 1000.0 * 0.03 * 0.5 + 100 / 1000.0 * 0.06 * 0.5", "round((n_chars / 1000.0::DOUBLE * 0.03::DOUBLE + 0.1::DOUBLE * 0.06::DOUBLE) * 0.5::DOUBLE, 6)").replace("cost0", "cost"))
 def batch_result_join(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     requests = d.select(c("doc_id").alias("seq"), F.concat(F.lit("request-"), c("doc_id").cast("string")).alias("custom_id"))
     m = c("doc_id") % 4
-    results = d.filter(m != 0).select(F.concat(F.lit("request-"), c("doc_id").cast("string")).alias("custom_id"), F.when(m == 1, 503).otherwise(200).alias("status_code"), F.substring("text", 1, 30).alias("content"), c("n_chars").alias("prompt_tokens"), F.lit(100).cast("long").alias("completion_tokens"), F.when(m == 1, "overloaded").alias("error"))
+    results = d.filter(m != 0).select(F.concat(F.lit("request-"), c("doc_id").cast("string")).alias("custom_id"), F.when(m == 1, 503).otherwise(200).alias("status_code"), c("text").alias("content"), c("n_chars").alias("prompt_tokens"), F.lit(100).cast("long").alias("completion_tokens"), F.when(m == 1, "overloaded").alias("error"))
     return metrics.batch_results(requests, results, "gpt-4").select("seq", "text", "cost", "success", "error")
 
 
@@ -732,10 +737,10 @@ def judge_evaluation(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE f AS (SELECT user_id % 50 AS k, event_id, event_type <> 'view' AS bad, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS i FROM events),
+WITH RECURSIVE f AS (SELECT user_id AS k, event_id, event_type <> 'view' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
 s AS (SELECT k, 0::BIGINT AS i, 0::BIGINT AS n, false AS fb, NULL::BIGINT AS event_id FROM (SELECT DISTINCT k FROM f) UNION ALL
     SELECT s.k, f.i, CASE WHEN s.n >= 5 OR NOT f.bad THEN 0 ELSE s.n + 1 END, s.n >= 5, f.event_id FROM s JOIN f ON s.k = f.k AND f.i = s.i + 1)
 SELECT CAST(k AS VARCHAR) AS key, event_id AS o, n AS failures, fb AS fallback FROM s WHERE i > 0""")
 def judge_breaker(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select((c("user_id") % 50).alias("k"), "event_id", (c("event_type") != "view").alias("failed"))
+    e = read(spark, sf_dir, "events").select(c("user_id").alias("k"), "event_id", (c("event_type") != "view").alias("failed"))
     return breaker.consecutive(e, "k", "event_id", "failed")

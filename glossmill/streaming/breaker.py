@@ -9,36 +9,44 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossmill.operators.folds import in_order
+
 OUTPUT = "key string, ts timestamp, failures_so_far long, active boolean"
 
 
+def step(state: tuple, t, failed: bool, seconds: int = 300) -> tuple:
+    """The state (when it was cleared last, failures since) after an event; one without a time clears nothing."""
+    at, n = state
+    if at is None:
+        at = t
+    elif t is not None and (t - at).total_seconds() > seconds:
+        at, n = t, 0
+    return at, n + bool(failed)
+
+
 def fold(times: list, failed: list[bool], at, n: int, seconds: int) -> tuple[list[int], object, int]:
     """Failures so far at each event, and the state after them: when it was cleared last, and the failures since."""
     out = []
     for t, f in zip(times, failed):
-        if at is None:
-            at = t
-        elif (t - at).total_seconds() > seconds:
-            at, n = t, 0
-        n += bool(f)
+        at, n = step((at, n), t, f, seconds)
         out.append(n)
     return out, at, n
 
 
 def batch(events: DataFrame, key: str, ts: str, failed: str, seconds: int = 300, trip_at: int = 3) -> DataFrame:
-    """key, ts, failures_so_far, active for stored events. A key's events depend on each other and are one task's."""
+    """key, ts, failures_so_far, active for stored events. A key's events depend on each other: they are streamed through
+    one task in order, of which the state is a time and a count."""
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("ts", "ascending"), ("failed", "ascending")])
-        n, _, _ = fold(table.column("ts").to_pylist(), table.column("failed").to_pylist(), None, 0, seconds)
-        return pa.table({"key": table.column("key"), "ts": table.column("ts"), "failures_so_far": pa.array(n, pa.int64()), "active": pa.array([x >= trip_at for x in n], pa.bool_())})
+    def counted(state: tuple, t, f) -> tuple:
+        state = step(state, t, f, seconds)
+        return state, (state[1], state[1] >= trip_at)
 
     rows = events.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(failed).cast("boolean").alias("failed"))
-    return rows.groupBy("key").applyInArrow(run, OUTPUT)
+    done = in_order(rows, "key", ["ts", "failed"], ["ts", "failed"], lambda: (None, 0), counted, {"failures_so_far": "long", "active": "boolean"})
+    return done.drop("failed")
 
 
 def stream(events: DataFrame, key: str, ts: str, failed: str, seconds: int = 300, trip_at: int = 3) -> DataFrame:
@@ -68,18 +76,13 @@ def consecutive(events: DataFrame, key: str, order: str, failed: str, trip_at: i
     """key, o, failures, fallback for calls in order: once trip_at failures have followed on each other, the next call is
     a stand-in's and the count starts anew; a success clears it too."""
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("o")
-        n, counts, skipped = 0, [], []
-        for f in table.column("failed").to_pylist():
-            skip = n >= trip_at
-            n = 0 if skip or not f else n + 1
-            counts.append(n)
-            skipped.append(skip)
-        return pa.table({"key": table.column("key"), "o": table.column("o"), "failures": pa.array(counts, pa.int64()), "fallback": pa.array(skipped, pa.bool_())})
+    def counted(n: int, f) -> tuple:
+        skip = n >= trip_at
+        n = 0 if skip or not f else n + 1
+        return n, (n, skip)
 
     rows = events.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("o"), F.col(failed).cast("boolean").alias("failed"))
-    return rows.groupBy("key").applyInArrow(run, "key string, o long, failures long, fallback boolean")
+    return in_order(rows, "key", ["o"], ["failed"], lambda: 0, counted, {"failures": "long", "fallback": "boolean"}).drop("failed")
 
 
 def append_log(events: DataFrame, path: str, checkpoint: str):
