@@ -1,5 +1,6 @@
 """Command line: python -m glossmill list | query NAME SF_DIR [-o PATH] | collect CSV OUT | template PLATFORM OUT |
-generate OUT [--config YAML] [--samples N] | check-weights YAML."""
+generate OUT [--config YAML] [--samples N] [--judge NAME] | check-weights YAML | capture OUT | configure YAML |
+try-provider NAME [--runs N] | fetch-model NAME FOLDER | jobs URL KEY_VARIABLE [--limit N] | models URL KEY_VARIABLE."""
 
 from __future__ import annotations
 
@@ -26,12 +27,28 @@ def main(argv: list[str] | None = None) -> int:
     t.add_argument("--config")
     t.add_argument("--samples", type=int)
     t.add_argument("--provider", default="offline")
+    t.add_argument("--judge", help="the registered provider that judges what passes the gates")
     t = sub.add_parser("check-weights", help="check the weights of a configuration")
     t.add_argument("config")
+    t = sub.add_parser("capture", help="type reviews in, appended to a folder of JSON lines")
+    t.add_argument("output")
+    t = sub.add_parser("configure", help="answer questions and write a configuration")
+    t.add_argument("output")
+    t = sub.add_parser("try-provider", help="call a registered provider a few times and time it")
+    t.add_argument("name")
+    t.add_argument("--runs", type=int, default=3)
+    t = sub.add_parser("fetch-model", help="load a model's weights into a folder")
+    t.add_argument("name")
+    t.add_argument("output")
+    for name, text in (("jobs", "the latest batch jobs of a service"), ("models", "the models that a service offers")):
+        t = sub.add_parser(name, help=text)
+        t.add_argument("url")
+        t.add_argument("key_variable")
+        t.add_argument("--limit", type=int, default=10)
     a = p.parse_args(argv)
 
     from glossmill.plans.queries import QUERIES
-    from glossmill.sources import io, providers
+    from glossmill.sources import batch, io, providers
 
     if a.command == "list":
         print(*sorted(QUERIES), sep="\n")
@@ -41,12 +58,29 @@ def main(argv: list[str] | None = None) -> int:
         for name, weight in (*c.personas, *c.models):
             print(f"{name}: {weight:.1%}")
         return 0
+    if a.command == "configure":
+        with open(a.output, "w", encoding="utf-8") as f:
+            f.write(io.config_yaml(io.asked_config(input)))
+        return 0
+    if a.command == "try-provider":
+        print(*(f"{k}: {v}" for k, v in providers.timed(providers.make(a.name), a.runs).items()), sep="\n")
+        return 0
+    if a.command == "fetch-model":
+        print(providers.fetched(a.name, a.output))
+        return 0
+    if a.command in ("jobs", "models"):
+        service = batch.HttpBatchService(a.url, a.key_variable)
+        print(*(f"{j['id']}: {j['status']}" for j in batch.list_jobs(service, a.limit)) if a.command == "jobs" else batch.list_models(service), sep="\n")
+        return 0
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.appName("glossmill").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "query":
         df = QUERIES[a.name](spark, a.sf_dir)
         df.write.mode("overwrite").parquet(a.output) if a.output else df.show(20, truncate=80)
+    elif a.command == "capture":
+        if rows := io.captured(input):
+            io.append_reviews(spark.createDataFrame(rows, io.REVIEW), a.output)
     elif a.command == "collect":
         io.append_reviews(io.normalise(io.read_review_csv(spark, a.csv), a.source), a.output)
     elif a.command == "template":
@@ -58,7 +92,8 @@ def main(argv: list[str] | None = None) -> int:
 
         c = io.load_config(a.config) if a.config else io.Config()
         c = replace(c, target_samples=a.samples) if a.samples else c
-        rounds.fill(spark, c, lambda: providers.make(a.provider)).write.mode("overwrite").json(a.output)
+        judge = (lambda: providers.make(a.judge)) if a.judge else None
+        rounds.fill(spark, c, lambda: providers.make(a.provider), primary=judge).write.mode("overwrite").json(a.output)
     return 0
 
 

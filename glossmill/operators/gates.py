@@ -50,12 +50,21 @@ def reasons(t: Thresholds, breaker: Column) -> Column:
     return F.array_compact(F.array(*gates))
 
 
-def check(reviews: DataFrame, t: Thresholds, profile: S.Profile, breaker: Column | None = None) -> DataFrame:
-    """reviews (text, rating, attempt, self_bleu_diversity) with scores, reasons and passed."""
-    rows = S.with_scores(reviews, profile).withColumns({"n_words": T.word_count(F.col("text")), "n_unique": T.unique_word_count(F.col("text"))})
+def scored(reviews: DataFrame, profile: S.Profile) -> DataFrame:
+    """reviews (text, rating, attempt, self_bleu_diversity) with all scores that the gates ask for."""
+    return S.with_scores(reviews, profile).withColumns({"n_words": T.word_count(F.col("text")), "n_unique": T.unique_word_count(F.col("text"))})
+
+
+def gated(rows: DataFrame, t: Thresholds, breaker: Column | None = None) -> DataFrame:
+    """rows of scored() with reasons and passed; breaker: whether the sentiment gates let a row pass."""
     return rows.withColumn("reasons", reasons(t, F.lit(False) if breaker is None else breaker)).withColumn("passed", F.size("reasons") == 0)
 
 
+def check(reviews: DataFrame, t: Thresholds, profile: S.Profile, breaker: Column | None = None) -> DataFrame:
+    """reviews with scores, reasons and passed."""
+    return gated(scored(reviews, profile), t, breaker)
+
+
 def issue_class(reason: Column) -> Column:
     """The class of a reason: the first whose words it holds."""
     low = F.lower(reason)

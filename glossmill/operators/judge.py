@@ -101,14 +101,27 @@ def expertise_fallback(text: Column) -> dict[str, Column]:
     return {"expertise_score": F.least(F.lit(9.0), F.lit(5.0) + n * F.lit(0.5)), "technical_accuracy": F.least(F.lit(9.0), F.lit(5.0) + n * F.lit(0.4)), "domain_knowledge": F.least(F.lit(9.0), F.lit(5.0) + n * F.lit(0.3))}
 
 
+def mean_overlap(words: Column, before: Column) -> Column:
+    """The mean share of words that each of the texts before has too (all as distinct words); null if there is none,
+    texts without words left out."""
+    shares = F.transform(F.filter(before, lambda b: (F.size(b) > 0) & (F.size(words) > 0)), lambda b: F.size(F.array_intersect(words, b)) / F.size(words))
+    total = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
+    return F.when(F.size(before) == 0, F.lit(None)).when(F.size(shares) == 0, F.lit(0.0)).otherwise(total / F.size(shares))
+
+
 def last_overlaps(reviews: DataFrame, by: list[str], order: str, k: int = 5) -> DataFrame:
     """reviews with avg_overlap: the mean share of a text's words that each of the k texts before it has too; null for
     the first. A frame of k rows is all that a row needs."""
     frame = Window.partitionBy(*by).orderBy(order).rowsBetween(-k, -1)
     rows = reviews.withColumn("_w", F.array_distinct(T.words(F.lower(F.col("text"))))).withColumn("_before", F.collect_list("_w").over(frame))
-    shares = F.transform(F.filter("_before", lambda b: (F.size(b) > 0) & (F.size("_w") > 0)), lambda b: F.size(F.array_intersect("_w", b)) / F.size("_w"))
-    mean = F.when(F.size("_before") == 0, F.lit(None)).when(F.size(shares) == 0, F.lit(0.0)).otherwise(F.aggregate(shares, F.lit(0.0), lambda a, x: a + x) / F.size(shares))
-    return rows.withColumn("avg_overlap", mean).drop("_w", "_before")
+    return rows.withColumn("avg_overlap", mean_overlap(F.col("_w"), F.col("_before"))).drop("_w", "_before")
+
+
+def context(reviews: DataFrame, by: list[str], order: str, last: int = 10, shown: int = 3, chars: int = 200, out: str = "before") -> DataFrame:
+    """reviews with the context of a uniqueness prompt: of the last texts before each, the first that are shown, each cut
+    to chars. Texts are cut before the frame gathers them, so a row holds last * chars characters of others at most."""
+    frame = Window.partitionBy(*by).orderBy(order).rowsBetween(-last, -1)
+    return reviews.withColumn(out, F.slice(F.collect_list(F.substring("text", 1, chars)).over(frame), 1, shown))
 
 
 def uniqueness_fallback(avg_overlap: Column) -> Column:

@@ -51,9 +51,11 @@ def replies(reviews: DataFrame, make_provider, criteria: tuple[str, ...], fallba
 
 
 def evaluate(reviews: DataFrame, primary, secondary=None, fallback: bool = True) -> DataFrame:
-    """review_id, the verdict of all criteria, joined feedback, and the agreement with a second judge if there is one."""
+    """review_id, the verdict of all criteria, joined feedback and that of each criterion (dimension_feedback), and the
+    agreement with a second judge if there is one."""
     first = replies(reviews, primary, judge.CRITERIA, fallback)
-    out = judge.verdicts(first, ["review_id"]).join(judge.joined_feedback(first, ["review_id"]), "review_id")
+    each = first.groupBy("review_id").agg(F.map_from_entries(F.collect_list(F.struct("criterion", "feedback"))).alias("dimension_feedback"))  # a row a criterion
+    out = judge.verdicts(first, ["review_id"]).join(judge.joined_feedback(first, ["review_id"]), "review_id").join(each, "review_id")
     if secondary is None:
         return out.withColumn("agreement_rate", F.lit(None).cast("double"))
     second = replies(reviews, secondary, SECONDARY, fallback)

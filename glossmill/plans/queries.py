@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from glossmill.functions import sentiment as S
 from glossmill.functions import text as T
-from glossmill.operators import diversity, gates, generate, judge, metrics, realism, windows
-from glossmill.plans import report
+from glossmill.operators import diversity, gates, generate, judge, metrics, models, realism, windows
+from glossmill.plans import judging, report
 from glossmill.plans import rounds as rounds_plan
 from glossmill.plans.staging import spread
 from glossmill.sources import io, providers
@@ -156,13 +156,16 @@ def cosine_extremes(spark, sf_dir):
     return diversity.cosine_extremes(read(spark, sf_dir, "embeddings"))
 
 
-@query(f"""
-WITH {BLEU_SQL}, {COS_SQL}, d AS (SELECT 1 - avg(bleu) AS x FROM b), s AS (SELECT 1 - avg(s) AS x FROM cs),
+OVERALL_SQL = f"""
+{BLEU_SQL}, {COS_SQL}, d AS (SELECT 1 - avg(bleu) AS x FROM b), s AS (SELECT 1 - avg(s) AS x FROM cs),
 y AS (SELECT count(DISTINCT t) / count(*) AS x FROM (SELECT unnest({w('lower(text)')}) AS t FROM documents)),
 b2 AS (SELECT diversity AS x FROM ({ngram_sql(2).replace('round(count(DISTINCT g) / count(*), 6)', 'count(DISTINCT g) / count(*)')})),
-b3 AS (SELECT diversity AS x FROM ({ngram_sql(3).replace('round(count(DISTINCT g) / count(*), 6)', 'count(DISTINCT g) / count(*)')}))
-SELECT round(d.x, 6) AS self_bleu_diversity, round(s.x, 6) AS semantic_diversity, round(y.x, 6) AS ttr, round(b2.x, 6) AS bigram_diversity, round(b3.x, 6) AS trigram_diversity,
-    round(0.3 * d.x + 0.3 * s.x + 0.2 * y.x + 0.1 * b2.x + 0.1 * b3.x, 6) AS overall_score FROM d, s, y, b2, b3""")
+b3 AS (SELECT diversity AS x FROM ({ngram_sql(3).replace('round(count(DISTINCT g) / count(*), 6)', 'count(DISTINCT g) / count(*)')})),
+overall AS (SELECT round(d.x, 6) AS self_bleu_diversity, round(s.x, 6) AS semantic_diversity, round(y.x, 6) AS ttr, round(b2.x, 6) AS bigram_diversity, round(b3.x, 6) AS trigram_diversity,
+    round(0.3 * d.x + 0.3 * s.x + 0.2 * y.x + 0.1 * b2.x + 0.1 * b3.x, 6) AS overall_score FROM d, s, y, b2, b3)"""
+
+
+@query(f"WITH {OVERALL_SQL} SELECT * FROM overall")
 def overall_diversity(spark, sf_dir):
     one = diversity.overall(reviews(spark, sf_dir), read(spark, sf_dir, "embeddings"))
     return one.select("self_bleu_diversity", "semantic_diversity", "ttr", "bigram_diversity", "trigram_diversity", "overall_score")
@@ -717,23 +720,44 @@ def history_check(spark, sf_dir):
 
 
 @query(f"""
-WITH {BASE}, n AS (SELECT count(*) AS n, {', '.join(f'count_if(rating = {k}) AS n{k}' for k in range(1, 6))} FROM r), x AS (SELECT n, {' + '.join(f'(n{k} - n * {p}::DOUBLE) * (n{k} - n * {p}::DOUBLE) / (n * {p}::DOUBLE)' for k, p in enumerate(RATINGS, 1))} AS chi2 FROM n)
-SELECT n AS dataset_size, round(chi2, 6) AS chi2, chi2 > 9.488 AS is_biased, CASE WHEN chi2 > 9.488 THEN false END AS passed FROM x""")
+WITH {BASE}, {OVERALL_SQL}, n AS (SELECT count(*) AS n, {', '.join(f'count_if(rating = {k}) AS n{k}' for k in range(1, 6))} FROM r), x AS (SELECT n, {' + '.join(f'(n{k} - n * {p}::DOUBLE) * (n{k} - n * {p}::DOUBLE) / (n * {p}::DOUBLE)' for k, p in enumerate(RATINGS, 1))} AS chi2 FROM n)
+SELECT n AS dataset_size, round(chi2, 6) AS chi2, chi2 > 9.488 AS is_biased, overall_score, chi2 <= 9.488 AND overall_score > 0.6 AS passed FROM x, overall""")
 def dataset_validation(spark, sf_dir):
     rows = diversity.validate_dataset(reviews(spark, sf_dir), read(spark, sf_dir, "embeddings"), dict(enumerate(RATINGS, 1)))
-    return rows.select("dataset_size", "chi2", "is_biased", "passed")
+    return rows.select("dataset_size", "chi2", "is_biased", "overall_score", "passed")
 
 
-@query()
-def judge_evaluation(spark, sf_dir):
-    from pyspark.sql import Window
+def said_sql(criterion: str) -> str:
+    """The prompt that a judge gets, and what the judge of rules says to it: the first bytes of the prompt's SHA-256."""
+    earlier = f"CASE WHEN len(b) > 0 THEN chr(10) || 'Earlier texts:' || chr(10) || array_to_string(list_transform(b, lambda x: substr(x, 1, {judging.SHOWN_BEFORE})), chr(10)) ELSE '' END"
+    middle = {"uniqueness": earlier, "expertise": "chr(10) || 'Domain: saas; role: a team lead'"}.get(criterion, "''")
+    return f"""SELECT seq, '{criterion}' AS criterion, {judge.CRITERIA.index(criterion)} AS o, {criterion[0]} AS stand_in, {'5.5' if criterion == 'expertise' else '6.0'}::DOUBLE AS least,
+        sha256('Criterion: {criterion}' || chr(10) || {quoted(judging.ASK[criterion])} || chr(10) || 'Rating: ' || rating || {middle} || chr(10) || 'Text:' || chr(10) || substr(text, 1, {judging.SHOWN}) || chr(10) || 'Give {criterion}_score (0 to 10), decision (PASS or FAIL) and feedback.') AS h FROM facts"""
 
-    from glossmill.plans import judging
 
-    d = judge.last_overlaps(reviews(spark, sf_dir).filter("rating is not null"), ["session", "model"], "seq")
-    before = F.collect_list("text").over(Window.partitionBy("session", "model").orderBy("seq").rowsBetween(-10, -1))
-    rows = d.withColumns({"before": before, "review_id": c("seq"), "persona": F.lit("a team lead"), "domain": F.lit("saas")})
-    return judging.evaluate(rows, providers.RuleJudge, providers.RuleJudge).drop("dimension_scores")
+FACTS_SQL = f"""
+x AS (SELECT *, lower(text) AS l, len({w('text')}) AS n, len(list_filter(string_split(text, '.'), lambda s: length(regexp_replace(regexp_replace(s, '^\\s+', ''), '\\s+$', '')) > 10)) AS k, list_distinct({w('lower(text)')}) AS own,
+    list(text) OVER (PARTITION BY session, model ORDER BY seq ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS ten FROM r),
+y AS (SELECT *, coalesce(ten, [])[1:3] AS b, list(own) OVER (PARTITION BY session, model ORDER BY seq ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS five,
+    {hits('l', judge.SPECIFIC)} AS sp, {hits('l', judge.BALANCE)} AS ba, {hits('l', judge.FALLBACK_POSITIVE)} AS po, {hits('l', judge.FALLBACK_NEGATIVE)} AS ne, {hits('l', judge.FALLBACK_TECHNICAL)} AS te FROM x),
+z AS (SELECT *, list_transform(list_filter(five, lambda q: len(q) > 0 AND len(own) > 0), lambda q: len(list_intersect(own, q)) / len(own)) AS shares FROM y),
+facts AS (SELECT seq, text, rating, b, (least(9, 5 + n / 25) + least(9, 4 + sp) + CASE WHEN ba > 0 THEN 8 ELSE 6 END + 7 + least(9, 5 + k / 2)) / 5 AS a,
+    CASE WHEN rating >= 4 AND po > ne THEN least(9, 6 + po) WHEN rating <= 2 AND ne > po THEN least(9, 6 + ne) WHEN rating = 3 THEN 7 ELSE 5 END::DOUBLE AS al, least(9, 5 + te * 0.5)::DOUBLE AS e,
+    CASE WHEN coalesce(len(five), 0) = 0 THEN 9 ELSE greatest(5, 10 - 10 * CASE WHEN len(shares) = 0 THEN 0 ELSE list_avg(shares) END) END::DOUBLE AS u FROM z)"""
+
+
+@query(f"""
+WITH {BASE}, {FACTS_SQL}, p AS ({' UNION ALL '.join(said_sql(k) for k in judge.CRITERIA).replace("'alignment' AS criterion, 1 AS o, a AS", "'alignment' AS criterion, 1 AS o, al AS")}),
+v AS (SELECT *, ('0x' || substr(h, 3, 2))::INT % 16 = 0 AS down, 4 + ('0x' || substr(h, 1, 2))::INT % 6 AS given FROM p),
+d AS (SELECT *, CASE WHEN down THEN stand_in ELSE given END::DOUBLE AS score, CASE WHEN CASE WHEN down THEN stand_in >= least ELSE given >= 6 END THEN 'PASS' ELSE 'FAIL' END AS decision FROM v),
+s AS (SELECT seq, avg(score / 10) AS overall, bool_and(decision = 'PASS') AS every, count_if(down) AS down FROM d GROUP BY seq)
+SELECT seq AS review_id, round(overall, 6) AS overall_score, every AS all_passed, 0::BIGINT AS errors_count, CAST(down AS BIGINT) AS fallback_count, CAST(4 - down AS BIGINT) AS llm_success_count, CASE WHEN every AND overall >= 0.6 THEN 'PASS' ELSE 'FAIL' END AS final_decision, 1.0::DOUBLE AS agreement_rate FROM s""")
+def judge_evaluation(spark, sf_dir):
+    d = judge.last_overlaps(reviews(spark, sf_dir), ["session", "model"], "seq")
+    rows = judge.context(d, ["session", "model"], "seq", chars=judging.SHOWN_BEFORE)
+    rows = rows.withColumns({"review_id": c("seq"), "persona": F.lit("a team lead"), "domain": F.lit("saas")})
+    verdict = judging.evaluate(rows, providers.RuleJudge, providers.RuleJudge)
+    return verdict.select("review_id", "overall_score", "all_passed", "errors_count", "fallback_count", "llm_success_count", "final_decision", "agreement_rate")
 
 
 @query("""
@@ -744,3 +768,39 @@ SELECT CAST(k AS VARCHAR) AS key, event_id AS o, n AS failures, fb AS fallback F
 def judge_breaker(spark, sf_dir):
     e = read(spark, sf_dir, "events").select(c("user_id").alias("k"), "event_id", (c("event_type") != "view").alias("failed"))
     return breaker.consecutive(e, "k", "event_id", "failed")
+
+
+HASHED_SQL = f"""
+h AS (SELECT doc_id, CAST(('0x' || substr(md5(t), 1, 8))::BIGINT % {models.DIMENSIONS} AS INT) AS p, count(*) AS n FROM (SELECT doc_id, unnest({w('lower(text)')}) AS t FROM documents) GROUP BY 1, 2),
+v AS (SELECT doc_id, list_transform(range({models.DIMENSIONS}), lambda i: coalesce(map_extract(m, i::INT)[1], 0)::DOUBLE) AS v FROM (SELECT doc_id, map(list(p), list(n)) AS m FROM h GROUP BY doc_id))"""
+
+
+@query(f"WITH {HASHED_SQL} SELECT doc_id, array_to_string(list_transform(v, lambda x: x::BIGINT), ' ') AS embedding FROM v")
+def hashed_vectors(spark, sf_dir):
+    v = models.hashed_vectors(read(spark, sf_dir, "documents"), ["doc_id"])
+    return v.select("doc_id", F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), " ").alias("embedding"))
+
+
+@query(f"""
+WITH {HASHED_SQL}, cs AS (SELECT list_cosine_similarity(x.v, y.v) AS s FROM v x JOIN v y ON x.doc_id < y.doc_id)
+SELECT count(*) AS pairs, round(avg(s), 6) AS avg_similarity, round(stddev_pop(s), 6) AS std_similarity FROM cs""")
+def encoded_cosine_moments(spark, sf_dir):
+    return diversity.cosine_moments(models.hashed_vectors(read(spark, sf_dir, "documents"), ["doc_id"]))
+
+
+@query(f"""
+WITH {BASE}, {scores_sql(S.LENIENT)}, m AS (SELECT *, {hits('lower(text)', S.LENIENT.positive)} - {hits('lower(text)', S.LENIENT.negative)} AS lead FROM s),
+k AS (SELECT *, greatest(1, least(5, 3 + lead)) AS stars, least(0.95, 0.5 + 0.1 * abs(lead))::DOUBLE AS sure FROM m)
+SELECT seq, CAST(stars AS INT) AS predicted_stars, round(sure, 6) AS star_confidence, round(sure * CASE abs(stars - rating) WHEN 0 THEN 1 WHEN 1 THEN {S.LENIENT.star_factors[1]} WHEN 2 THEN {S.LENIENT.star_factors[2]} ELSE {S.LENIENT.star_factors[3]} END::DOUBLE, 6) AS alignment_score, 'stars' AS method FROM k""")
+def star_model(spark, sf_dir):
+    return models.star_sentiment(reviews(spark, sf_dir), models.LexiconStars).select("seq", "predicted_stars", "star_confidence", "alignment_score", "method")
+
+
+@query(f"""
+WITH {BLEU_SQL}, n AS (SELECT doc_id AS seq, len({w('text')}) AS n, len(list_distinct({w('lower(text)')})) AS u FROM documents)
+SELECT seq, round(1 - bleu, 6) AS self_bleu_diversity, array_to_string(list_filter([CASE WHEN n < 50 THEN 'Too short' END, CASE WHEN n > 500 THEN 'Too long' END, CASE WHEN u < 20 THEN 'Low vocabulary' END, CASE WHEN 1 - bleu < 0.5 THEN 'Too similar to existing reviews' END], lambda x: x IS NOT NULL), '; ') AS gates FROM b JOIN n USING (seq)""")
+def gates_by_self_bleu(spark, sf_dir):
+    rows = reviews(spark, sf_dir)
+    bleu = diversity.self_bleu_docs(rows).select("seq", (F.lit(1.0) - c("bleu")).alias("self_bleu_diversity"))
+    done = gates.check(rows.join(bleu, "seq"), gates.Thresholds(), S.LENIENT, breaker=F.lit(True))
+    return done.select("seq", "self_bleu_diversity", F.array_join(F.transform("reasons", lambda x: F.regexp_extract(x, r"^([^:(]+?) *[:(]", 1)), "; ").alias("gates"))

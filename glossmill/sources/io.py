@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,6 +98,61 @@ def session_id(at: str = "now") -> str:
     return (datetime.now() if at == "now" else datetime.fromisoformat(at)).strftime("%Y%m%d_%H%M%S")
 
 
+def logger(session: str, path: str | None = None):
+    """The logger of a session: lines in the form that read_session_log reads, to the error stream and, if a path on this
+    machine is given, to a file. The same session has one logger, however often it is asked for."""
+    import logging
+
+    log = logging.getLogger(f"glossmill.{session}")
+    if not log.handlers:
+        log.setLevel(logging.INFO)
+        log.propagate = False
+        for handler in (logging.StreamHandler(), *([logging.FileHandler(path, encoding="utf-8")] if path else [])):
+            handler.setFormatter(logging.Formatter("%(asctime)s - %(name)s - %(levelname)s - %(message)s"))
+            log.addHandler(handler)
+    return log
+
+
+def captured(ask: Callable[[str], str]) -> list[tuple]:
+    """Reviews typed in (rows of REVIEW), field by field, until a title is blank; a rating that is no number is 0."""
+    rows = []
+    while title := ask("Title (blank to end): ").strip():
+        body, rating, author, product, platform = (ask(f"{name}: ").strip() for name in ("Text", "Rating (1 to 5)", "Author", "Product", "Platform"))
+        try:
+            stars = float(rating)
+        except ValueError:
+            stars = 0.0
+        rows.append(("manual", platform or "manual", f"manual_{len(rows) + 1:04d}", title, body, stars, author, product, "", {}))
+    return rows
+
+
+def asked_config(ask: Callable[[str], str]) -> Config:
+    """A configuration from answers; a blank one keeps the default, weights are made to sum to 1."""
+    base = Config()
+    take = lambda text, default, kind: kind(x) if (x := ask(f"{text} [{default}]: ").strip()) else default
+
+    def weighted(text: str, default: tuple) -> tuple:
+        given = [x.split(":") for x in ask(f"{text}, as name:weight, comma-separated [{default[0][0]}]: ").split(",") if x.strip()]
+        pairs = [(x[0].strip(), float(x[1]) if len(x) > 1 else 1.0) for x in given]
+        total = sum(w for _, w in pairs)
+        return tuple((n, w / total) for n, w in pairs) if pairs and total > 0 else default
+
+    return Config(domain=take("Domain", base.domain, str), target_samples=take("Samples", base.target_samples, int), personas=weighted("Personas", base.personas), models=weighted("Models", base.models))
+
+
+def config_yaml(c: Config) -> str:
+    """What load_config reads."""
+    import json
+
+    q = json.dumps  # strings and numbers of JSON are YAML
+    lines = ["generation:", f"  domain: {q(c.domain)}", f"  target_samples: {c.target_samples}", "personas:"]
+    lines += [f"  - {{name: {q(n)}, weight: {w!r}}}" for n, w in c.personas]
+    lines += ["models:"] + [f"  - {{provider: {q(n)}, weight: {w!r}}}" for n, w in c.models]
+    lines += ["rating_distribution:"] + [f"  {i}_star: {w!r}" for i, w in enumerate(c.ratings, 1)]
+    lines += ["quality_thresholds:" + ("" if c.thresholds else " {}")] + [f"  {k}: {q(v)}" for k, v in c.thresholds.items()]
+    return "\n".join(lines) + "\n"
+
+
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """A metrics row as JSON; columns whose names begin with an underscore stay out."""
     metrics.select(*[c for c in metrics.columns if not c.startswith("_")]).coalesce(1).write.mode("overwrite").json(path)
