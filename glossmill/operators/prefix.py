@@ -19,7 +19,7 @@ def below(x: Column, cuts: list[float]) -> Column:
     read = lambda values, kind: F.from_json(F.lit(json.dumps(values)), kind)
     whole = F.size(F.filter(read([g[-1] for g in groups], "array<double>"), lambda c: c < x))
     part = F.coalesce(F.get(read(groups, "array<array<double>>"), whole), F.array().cast("array<double>"))
-    return F.when(x.isNotNull(), whole * GROUP + F.size(F.filter(part, lambda c: c < x)))
+    return F.when(x.isNotNull(), F.least(whole * GROUP + F.size(F.filter(part, lambda c: c < x)), F.lit(len(cuts))))
 
 
 def running(df: DataFrame, order: str, sums: dict[str, Column], tie: list[str] | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ CONTEXT, SHOWN, OVERLAP = 10, 3, 5
 class Breaker:
     """Failures by rating, cleared on the first check that comes more than an interval after the last clearing. The
     candidates of a round are checked at one time, in the order of their slots; from the failure that fills the
-    count on, the sentiment gates of that rating let candidates pass."""
+    count on, the sentiment gates of that rating let candidates pass (a strict profile's but those of very high scores)."""
 
     def __init__(self, trip_at: int = 3, seconds: float = 300, now: Callable[[], float] = time.time):
         self.trip_at, self.seconds, self.now = trip_at, seconds, now
@@ -73,7 +73,7 @@ def run(spark: SparkSession, config: Config, make_provider, thresholds: gates.Th
     round to round (and, if it is given, from run to run).
     """
     t = thresholds or gates.Thresholds(**{k: v for k, v in config.thresholds.items() if k in gates.Thresholds.__dataclass_fields__})
-    breaker = breaker or Breaker()
+    breaker = breaker or Breaker(profile.breaker_at)
     first, last_slot = slots or (1, config.target_samples)
     pending = spark.range(first, last_slot + 1).select(F.col("id").alias("seq"), F.array().cast("array<string>").alias("history"), F.lit(None).cast("string").alias("feedback"))
     done: DataFrame | None = None
@@ -94,7 +94,8 @@ def run(spark: SparkSession, config: Config, make_provider, thresholds: gates.Th
         bleu = diversity.self_bleu_docs(corpus).select("seq", (F.lit(1.0) - F.col("bleu")).alias("self_bleu_diversity"))
         scored = staged(gates.scored(rows.join(bleu, "seq").withColumn("attempt", F.lit(retry + 1)), profile), "scored")
         checked = scored.withColumn("breaker_open", breaker.open_for(scored))
-        checked = gates.gated(checked, t, F.col("breaker_open"))
+        lenient = F.lit(True) if profile.breaker_score is None else F.col("unrealistic_score") <= profile.breaker_score
+        checked = gates.gated(checked, t, F.col("breaker_open") & lenient)
         if primary is None:
             checked = checked.withColumn("judge_score", F.lit(None).cast("double"))
         else:
@@ -117,7 +118,7 @@ def fill(spark: SparkSession, config: Config, make_provider, thresholds: gates.T
     MOST_FAILURES or more is rejected."""
     out: DataFrame | None = None
     slot, have = 0, 0
-    breaker = breaker or Breaker()
+    breaker = breaker or Breaker(profile.breaker_at)
     while have < config.target_samples and slot < MOST_CANDIDATES * config.target_samples:
         missing = min(config.target_samples - have, MOST_CANDIDATES * config.target_samples - slot)
         wave = max(missing, min(MOST_FAILURES, MOST_CANDIDATES * config.target_samples - slot))
