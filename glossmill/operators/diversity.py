@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from glossmill.functions import text as T
 from glossmill.operators.prefix import running
+from glossmill.plans.staging import staged
 
 EPSILON = 0.1  # what smoothing puts for no match
 MATTR_WINDOW, MATTR_STRIDE = 100, 50
@@ -142,33 +143,85 @@ def cosine_moments(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return one.select(pairs.cast("long").alias("pairs"), F.coalesce(mean, F.lit(0.0)).alias("avg_similarity"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std_similarity"))
 
 
+#: Vectors that others are gathered around, at most: the driver holds an angle for each two of them.
+PIVOTS = 2048
+
+
+def around_pivots(vectors: DataFrame, key: str, vector: str, block_rows: int) -> tuple[DataFrame, np.ndarray, dict[int, tuple[int, float]]]:
+    """k, v (of length 1), p, s of each vector: the nearest of some pivots, and a part of those around it, of block_rows
+    about; the pivots; and for each how many parts there are and the largest angle between it and a vector around it."""
+    kept = vectors.filter(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    want = min(PIVOTS, max(1, -(-kept.count() // block_rows)))
+    drawn = kept.orderBy(F.xxhash64("k"), "k").limit(want).collect()
+    pivots = unit_rows(np.array([r.v for r in drawn], np.float64)) if drawn else np.eye(1)
+    pivots = pivots[np.linalg.norm(pivots, axis=1) > 0] if pivots.any() else np.eye(1, pivots.shape[1])  # a zero vector has no angle
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = unit_rows(np.asarray(batch.column("v").flatten(), np.float64).reshape(batch.num_rows, -1))
+            near = x @ pivots.T
+            p = near.argmax(1)
+            angle = np.arccos(np.clip(near[np.arange(len(x)), p], -1, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(p.astype(np.int32)), pa.array(angle)], names=["k", "v", "p", "angle"])
+
+    kind = kept.schema["k"].dataType.simpleString()
+    rows = staged(kept.mapInArrow(nearest, f"k {kind}, v array<double>, p int, angle double"), "vectors-by-pivot")
+    stats = {r.p: (-(-r.n // block_rows), r.angle) for r in rows.groupBy("p").agg(F.count("*").alias("n"), F.max("angle").alias("angle")).collect()}  # PIVOTS rows
+    parts = F.broadcast(rows.sparkSession.createDataFrame([(p, n) for p, (n, _) in stats.items()], "_p int, parts int"))
+    rows = rows.join(parts, F.col("p") == F.col("_p")).select("k", "v", "p", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int").alias("s"))
+    return rows, pivots, stats
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(size > 0, size, 1)
+
+
+def block_extremes(table: pa.Table) -> pa.Table:
+    """hi and lo of the cosines between the two sides of a group, or within one side if there is no other."""
+    x = np.asarray(table.column("v").combine_chunks().flatten(), np.float64).reshape(table.num_rows, -1)
+    left = table.column("left").to_numpy()
+    c = (x @ x.T)[np.triu_indices(len(x), 1)] if left.all() else (x[left] @ x[~left].T).ravel()
+    return pa.table({"hi": pa.array([c.max()] if len(c) else [], pa.float64()), "lo": pa.array([c.min()] if len(c) else [], pa.float64())})
+
+
 def cosine_extremes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", block_rows: int = 4096) -> DataFrame:
     """One row: largest and smallest cosine of any two vectors.
 
-    Every pair has to be looked at, but none becomes a row: blocks of rows meet as matrices, a task for each two
-    blocks, and give two numbers.
+    Vectors are gathered around pivots. What is around two pivots can't have an angle below that of the pivots less
+    both radii, nor above it and both radii; so only blocks meet that could beat what was found within blocks and
+    among the pivots. Blocks meet as matrices, a task for each two, and give two numbers; no pair becomes a row. Zero
+    vectors have no angle: their cosines are 0.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // block_rows))
-    kept = vectors.filter(F.col(vector).isNotNull())
-    b = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    mine = kept.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), b.alias("b"))
-    with_all = mine.select("k", "v", "b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"))
-    meet = with_all.select("k", "v", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-
-    def extremes(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        x = np.asarray(table.column("v").combine_chunks().flatten(), np.float64).reshape(table.num_rows, -1)
-        size = np.linalg.norm(x, axis=1, keepdims=True)
-        x, at = x / np.where(size > 0, size, 1), table.column("b").to_numpy()
-        if i == j:
-            c = (x @ x.T)[np.triu_indices(len(x), 1)]
-        else:
-            c = (x[at == i] @ x[at == j].T).ravel()
-        return pa.table({"hi": pa.array([c.max()] if len(c) else [], pa.float64()), "lo": pa.array([c.min()] if len(c) else [], pa.float64())})
-
-    found = meet.groupBy("i", "j").applyInArrow(extremes, "hi double, lo double")
-    return found.agg(F.max("hi").alias("max_similarity"), F.min("lo").alias("min_similarity"))
+    spark = vectors.sparkSession
+    zero = F.aggregate(F.col("v"), F.lit(0.0), lambda a, x: a + x * x) == 0
+    rows, pivots, stats = around_pivots(vectors, key, vector, block_rows)
+    none = rows.filter(zero).limit(2).count()  # with one, some cosine is 0, if there is another vector
+    full = rows.filter(~zero)
+    found = full.withColumn("left", F.lit(True)).groupBy("p", "s").applyInArrow(block_extremes, "hi double, lo double")
+    known = found.agg(F.max("hi").alias("hi"), F.min("lo").alias("lo")).first()
+    places = np.array(sorted(stats), int)
+    between = (pivots @ pivots.T)[np.triu_indices(len(pivots), 1)].tolist()
+    high = max([*between, *(x for x in (known["hi"],) if x is not None)], default=-np.inf)
+    low = min([*between, *(x for x in (known["lo"],) if x is not None)], default=np.inf)
+    # pairs of pivots whose blocks could hold a cosine above high or below low (and a hair more, for rounding)
+    radius = np.array([stats[p][1] for p in places])
+    angle = np.arccos(np.clip(pivots[places] @ pivots[places].T, -1, 1))
+    reach = radius[:, None] + radius[None, :] + 1e-7
+    may = (np.cos(np.maximum(0, angle - reach)) > high) | (np.cos(np.minimum(np.pi, angle + reach)) < low)
+    i, j = np.nonzero(np.triu(may))
+    pairs = spark.createDataFrame([(int(x), int(y), stats[x][0], stats[y][0]) for x, y in zip(places[i], places[j])], "i int, j int, n int, m int")
+    one = full.join(pairs, F.col("p") == F.col("i")).select("v", "i", "j", F.col("s").alias("a"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("b"), F.lit(True).alias("left"))
+    other = full.join(pairs, F.col("p") == F.col("j")).select("v", "i", "j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("a"), F.col("s").alias("b"), F.lit(False).alias("left"))
+    meet = one.unionByName(other).filter((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
+    rest = meet.groupBy("i", "j", "a", "b").applyInArrow(block_extremes, "hi double, lo double")
+    first = [(float(high) if np.isfinite(high) else None, float(low) if np.isfinite(low) else None)]
+    if none and (none > 1 or full.limit(1).count()):
+        first.append((0.0, 0.0))
+    every = rest.unionByName(spark.createDataFrame(first, "hi double, lo double"))
+    return every.agg(F.max("hi").alias("max_similarity"), F.min("lo").alias("min_similarity"))
 
 
 def overall(reviews: DataFrame, vectors: DataFrame, vector: str = "embedding") -> DataFrame:

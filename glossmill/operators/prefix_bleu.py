@@ -1,118 +1,139 @@
 """Diversity of a growing corpus: for each text, 1 less the mean BLEU of all texts so far, it among them.
 
-A new text changes the clipped counts of earlier ones, so a run is a fold. It is folded incrementally: for each
-n-gram the two largest counts are kept, and a text's matches change only where it holds an n-gram's first place; its
-reference length changes only where a new length comes next to its own.
-A run's texts are one task's; runs are the unit that grows in number.
+A new text changes the clipped counts of earlier ones, but only where an n-gram's two largest counts change: its first
+holder matches all but its lead over the second. So the corpus isn't folded in order. For each n-gram the texts that
+change its two largest counts are found by running maxima, and give events: from the time of that text on, its
+holder loses or gains so many matches. A text's reference length changes only where a length comes that is closer than
+all before. Events of a text in the order of time give its scores, and the changes of all scores, summed by time, the mean.
+
+No task gets a run. Texts are dealt in buckets of the order, in which most rows of an n-gram fall away: a count that
+isn't above the second largest one of its bucket changes nothing anywhere. What is left of a frequent n-gram is a few
+rows a bucket. Lengths are looked at by their first texts only, of which a run has as many as different lengths.
 """
 
 from __future__ import annotations
 
-import math
-from array import array
-from bisect import bisect_left
-from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EPSILON = 0.1
-
+from glossmill.functions import text as T
+from glossmill.operators.prefix import BUCKETS, below
+from glossmill.plans.staging import staged
 
-class Growing:
-    """Mean BLEU of a corpus to which texts are added. Only texts whose matches or whose reference length a new text
-    changes are scored again."""
-
-    def __init__(self):
-        self.words: dict[str, int] = {}
-        self.grams: dict[int, int] = {}  # an n-gram's words in 32 bits each: its place in the arrays
-        self.first, self.most, self.second = array("i"), array("i"), array("i")  # the first text, its count, the second largest count
-        self.sizes: list[int] = []
-        self.lost: list[list[int]] = []  # matches that each text lacks, by n
-        self.scores: list[float] = []
-        self.total = 0.0
-        self.order: list[int] = []  # distinct sizes, sorted
-        self.of: dict[int, list[int]] = {}  # texts of a size, two at most
-
-    def add(self, words: list[str]) -> float:
-        """The diversity with this text; 1 for the first."""
-        me = len(self.sizes)
-        self.sizes.append(len(words))
-        self.lost.append([0, 0, 0, 0])
-        self.scores.append(0.0)
-        changed = {me, *self.placed(me, len(words))}
-        ids = [self.words.setdefault(w, len(self.words) + 1) for w in words]
-        grams = ids
-        for n in range(4):
-            if n:
-                grams = [g << 32 | w for g, w in zip(grams, ids[n:])]
-            for g, k in Counter(grams).items():
-                if (at := self.grams.get(g)) is None:
-                    self.grams[g] = len(self.first)
-                    self.first.append(me)
-                    self.most.append(k)
-                    self.second.append(0)
-                    self.lost[me][n] += k
-                    continue
-                first, most, second = self.first[at], self.most[at], self.second[at]
-                if k <= second:
-                    continue
-                changed.add(first)
-                self.lost[first][n] -= most - second
-                if k > most:
-                    self.first[at], self.most[at], self.second[at] = me, k, most
-                    self.lost[me][n] += k - most
+EPSILON = 0.1
+#: Texts of a bucket, about.
+BUCKET_TEXTS = 1024
+SIZES = (1, 2, 3, 4)
+
+
+def lead_changes(grams: DataFrame) -> DataFrame:
+    """r, doc, t, n, d: by how much the matches that doc lacks change as the text t comes. grams: r, o, bucket, n, a, b
+    and c, how often text o holds the n-gram."""
+
+    def leading(rows: DataFrame, by: list[str], order: Column) -> DataFrame:
+        """rows with the largest count before (m1) and its earliest text (holder), and the second largest (m2)."""
+        before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("top", F.max(F.struct("c", (-F.col("o")).alias("o"))).over(before))
+        rows = rows.withColumns({"m1": F.col("top.c"), "holder": -F.col("top.o")}).withColumn("q", F.when(F.col("m1").isNotNull(), F.least("c", "m1")))
+        return rows.withColumn("m2", F.coalesce(F.max("q").over(before), F.lit(0)))
+
+    gram = ["r", "n", "a", "b"]
+    some = leading(grams, ["bucket", *gram], F.col("o")).filter(F.col("m1").isNull() | (F.col("c") > F.col("m2"))).select(*gram, "o", "c")
+    now = leading(some, gram, F.col("o")).filter(F.col("m1").isNull() | (F.col("c") > F.col("m2")))
+    event = lambda doc, d: F.struct(doc.alias("doc"), d.cast("long").alias("d"))
+    c, o, m1, m2, holder = (F.col(x) for x in ("c", "o", "m1", "m2", "holder"))
+    made = F.when(m1.isNull(), F.array(event(o, c))).when(c > m1, F.array(event(holder, m2 - m1), event(o, c - m1))).otherwise(F.array(event(holder, m2 - c)))
+    return now.select("r", F.col("o").alias("t"), "n", F.explode(made).alias("e")).select("r", "e.doc", "t", "n", "e.d")
+
+
+def closest_lengths(sizes: DataFrame) -> DataFrame:
+    """r, doc, t, ref: from the text t on, ref is the length of another text that is closest to doc's, the shorter of
+    two. Texts whose length another had before them keep that; the first of each length gets closer ones as they come."""
+    rank = F.row_number().over(Window.partitionBy("r", "len").orderBy("o"))
+    ranked = sizes.withColumn("rank", rank)
+    later = ranked.filter("rank > 1").select("r", F.col("o").alias("doc"), F.col("o").alias("t"), F.col("len").alias("ref"))
+    firsts = ranked.filter("rank <= 2").groupBy("r", "len").agg(F.min("o").alias("first"), F.max(F.when(F.col("rank") == 2, F.col("o"))).alias("second"))
+
+    def walk(table: pa.Table) -> pa.Table:
+        """From each length outwards, as long as closer ones came later; a run's different lengths are one group."""
+        table = table.sort_by("len")
+        size, first, second = (table.column(c).to_pylist() for c in ("len", "first", "second"))
+        doc, time, ref = [], [], []
+
+        def outwards(i: int) -> Iterator[int]:
+            lo, hi = i - 1, i + 1
+            while lo >= 0 or hi < len(size):
+                if hi >= len(size) or lo >= 0 and size[i] - size[lo] <= size[hi] - size[i]:
+                    yield lo
+                    lo -= 1
                 else:
-                    self.second[at] = k
-                    self.lost[first][n] += most - k
-        if me == 0:
-            return 1.0
-        for i in changed if me > 1 else (0, 1):
-            score = self.bleu(i)
-            self.total += score - self.scores[i]
-            self.scores[i] = score
-        return 1.0 - self.total / (me + 1)
-
-    def placed(self, me: int, size: int) -> list[int]:
-        """Texts whose reference length may change as one of this size comes: those that are alone with their size."""
-        if same := self.of.get(size):
-            if len(same) > 1:
-                return []
-            same.append(me)
-            return same[:1]
-        at = bisect_left(self.order, size)
-        self.order.insert(at, size)
-        self.of[size] = [me]
-        near = [self.of[self.order[j]] for j in (at - 1, at + 1) if 0 <= j < len(self.order)]
-        return [x[0] for x in near if len(x) == 1]
-
-    def reference(self, size: int) -> int:
-        """The closest length of another text, the shorter of two."""
-        if len(self.of[size]) > 1:
-            return size
-        at = bisect_left(self.order, size)
-        near = [self.order[j] for j in (at - 1, at + 1) if 0 <= j < len(self.order)]
-        return min(near, key=lambda x: (abs(x - size), x))
-
-    def bleu(self, i: int) -> float:
-        size = self.sizes[i]
-        total = [max(size - n, 0) for n in range(4)]
-        matches = [t - x for t, x in zip(total, self.lost[i])]
-        if matches[0] == 0:
-            return 0.0
-        log = 0.25 * sum(math.log((m or EPSILON) / max(t, 1)) for m, t in zip(matches, total))
-        ref = self.reference(size)
-        return math.exp(log) * (1.0 if size > ref else math.exp(1 - ref / size))
-
-
-def prefix_diversity(reviews: DataFrame, run: str, order: str, text: str = "text") -> DataFrame:
-    """run, order, self_bleu_diversity of each text among those of its run up to it."""
-
-    def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by("o")
-        g = Growing()
-        return pa.table({"r": table.column("r"), "o": table.column("o"), "d": pa.array([g.add((t or "").split()) for t in table.column("t").to_pylist()], pa.float64())})
-
-    rows = reviews.select(F.col(run).cast("string").alias("r"), F.col(order).cast("long").alias("o"), F.col(text).alias("t"))
-    return rows.groupBy("r").applyInArrow(fold, "r string, o long, d double").select(F.col("r").alias(run), F.col("o").alias(order), F.col("d").alias("self_bleu_diversity"))
+                    yield hi
+                    hi += 1
+
+        for i, (s, o, again) in enumerate(zip(size, first, second)):
+            least = float("inf") if again is None else again
+            if again is not None:
+                doc, time, ref = doc + [o], time + [again], ref + [s]
+            for j in outwards(i):
+                if first[j] < least:
+                    least = first[j]
+                    doc.append(o)
+                    time.append(max(least, o))
+                    ref.append(size[j])
+                    if least < o:
+                        break
+        r = table.column("r")[0].as_py() if table.num_rows else None
+        return pa.table({"r": pa.array([r] * len(doc), pa.string()), "doc": pa.array(doc, pa.int64()), "t": pa.array(time, pa.int64()), "ref": pa.array(ref, pa.int64())})
+
+    return firsts.groupBy("r").applyInArrow(walk, "r string, doc long, t long, ref long").unionByName(later)
+
+
+def bleu(length: Column, ref: Column, lost: dict[int, Column]) -> Column:
+    """The score of a text of which so many n-grams (lost) have no match; 0 without another text, or a matching word."""
+    log, total = F.lit(0.0), {n: F.greatest(length - (n - 1), F.lit(0)) for n in SIZES}
+    for n in SIZES:
+        m, t = (total[n] - lost[n]).cast("double"), F.greatest(total[n], F.lit(1)).cast("double")
+        log = log + F.lit(0.25) * F.log(F.when(m == 0, F.lit(EPSILON)).otherwise(m) / t)
+    brevity = F.when(length > ref, F.lit(1.0)).otherwise(F.exp(F.lit(1.0) - ref / length.cast("double")))
+    return F.when(ref.isNull() | (total[1] - lost[1] == 0), F.lit(0.0)).otherwise(brevity * F.exp(log))
+
+
+def prefix_diversity(reviews: DataFrame, run: str, order: str, text: str = "text", bucket_texts: int = BUCKET_TEXTS) -> DataFrame:
+    """run, order, self_bleu_diversity of each text among those of its run up to it; 1 for the first. The order tells a
+    run's texts apart; a null text has no words."""
+    docs = reviews.select(F.col(run).cast("string").alias("r"), F.col(order).cast("long").alias("o"), T.words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    n = docs.count()
+    buckets = int(min(BUCKETS, max(1, n // bucket_texts)))
+    cuts = sorted(set(docs.select(F.col("o").cast("double").alias("o")).approxQuantile("o", [i / buckets for i in range(1, buckets)], 0.25 / buckets))) if buckets > 1 else []
+    bucket = lambda c: below(F.col(c).cast("double"), cuts) if cuts else F.lit(0)
+    dealt = docs.withColumn("bucket", bucket("o")).repartition("bucket")  # a text's n-grams are counted where it is
+    every = F.concat(*[T.ngram_hashes(F.col("w"), k, tagged=True) for k in SIZES])
+    grams = dealt.select("r", "o", "bucket", F.explode(every).alias("g")).select("r", "o", "bucket", "g.n", "g.a", "g.b").groupBy("bucket", "r", "o", "n", "a", "b").agg(F.count("*").alias("c"))
+    changes = lead_changes(grams).groupBy("r", "doc", "t").agg(*[F.sum(F.when(F.col("n") == k, F.col("d")).otherwise(0)).alias(f"d{k}") for k in SIZES])
+    sizes = staged(docs.select("r", "o", F.size("w").cast("long").alias("len")), "lengths")
+    nothing = {f"d{k}": F.lit(0).cast("long") for k in SIZES}
+    none = lambda name: F.lit(None).cast("long").alias(name)
+    columns = ["r", "doc", "t", *nothing, "ref", "len"]
+    events = changes.select("*", none("ref"), none("len")).select(columns)
+    events = events.unionByName(closest_lengths(sizes).withColumns(nothing).select("*", none("len")).select(columns))
+    events = events.unionByName(sizes.select("r", F.col("o").alias("doc"), F.col("o").alias("t"), "len", none("ref")).withColumns(nothing).select(columns))
+    at = events.groupBy("r", "doc", "t").agg(*[F.sum(d).alias(d) for d in nothing], F.max("ref").alias("ref"), F.max("len").alias("len"))
+    so_far = Window.partitionBy("r", "doc").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    state = at.select("r", "doc", "t", *[F.sum(d).over(so_far).alias(d) for d in nothing], F.last("ref", True).over(so_far).alias("ref"), F.max("len").over(so_far).alias("len"))
+    scored = state.withColumn("score", bleu(F.col("len"), F.col("ref"), {k: F.col(f"d{k}") for k in SIZES}))
+    by_text = Window.partitionBy("r", "doc").orderBy("t")
+    change = scored.select("r", "t", (F.col("score") - F.coalesce(F.lag("score").over(by_text), F.lit(0.0))).alias("change"))
+    # the mean so far: sums within buckets of the order, and those of the buckets before, a row a run and bucket
+    times = staged(change.groupBy("r", "t").agg(F.sum("change").alias("change")).withColumn("bucket", bucket("t")), "score-changes")
+    before = Window.partitionBy("r").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = times.groupBy("r", "bucket").agg(F.sum("change").alias("s"), F.count("*").alias("k"))
+    offsets = totals.select(F.col("r").alias("_r"), F.col("bucket").alias("_b"), *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{x}0") for x in ("s", "k")])
+    within = Window.partitionBy("r", "bucket").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    rows = times.withColumns({"s": F.sum("change").over(within), "k": F.count("*").over(within)})
+    rows = rows.join(offsets, F.col("r").eqNullSafe(F.col("_r")) & (F.col("bucket") == F.col("_b")))
+    total, texts = F.col("s") + F.col("s0"), F.col("k") + F.col("k0")
+    diversity = F.when(texts == 1, F.lit(1.0)).otherwise(F.lit(1.0) - total / texts)
+    return rows.select(F.col("r").alias(run), F.col("t").alias(order), diversity.alias("self_bleu_diversity"))

@@ -55,15 +55,16 @@ def test_self_bleu_of_no_and_one_text(spark):
     assert diversity.self_bleu_diversity(one).first()[0] == 0.0 and diversity.self_bleu_diversity(one.limit(0)).first()[0] == 0.0
 
 
-def test_growing_corpus(spark):
+@pytest.mark.parametrize("bucket", [3, 1000])
+def test_growing_corpus(spark, bucket):
     texts = some_texts(25, 8)
     df = spark.createDataFrame([("r", i, t) for i, t in enumerate(texts)] + [("q", 1, "x y z"), ("q", 2, "x y z")], "run string, seq long, text string")
-    got = {(r.run, r.seq): r.self_bleu_diversity for r in prefix_diversity(df, "run", "seq").collect()}
+    got = {(r.run, r.seq): r.self_bleu_diversity for r in prefix_diversity(df, "run", "seq", bucket_texts=bucket).collect()}
     words = [t.split() for t in texts]
     for k in range(1, len(words)):
         want = 1 - np.mean([plain_bleu(words[i], words[:i] + words[i + 1 : k + 1]) for i in range(k + 1)])
         assert got["r", k] == pytest.approx(want, abs=1e-12)
-    assert got["r", 0] == 1.0 and got["q", 1] == 1.0
+    assert got["r", 0] == 1.0 and got["q", 1] == 1.0 and len(got) == len(texts) + 2
 
 
 def test_growing_corpus_query_over_ids_beyond_a_thousand(spark, tmp_path):
@@ -109,6 +110,20 @@ def test_cosines(spark):
     assert diversity.cosine_moments(df.limit(0)).first().avg_similarity == 0.0
 
 
+@pytest.mark.parametrize("kind", ["clusters", "copies", "zeros", "one"])
+def test_extremes_of_vectors_that_lie_together(spark, kind):
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(6, 8)), 40, axis=0) + 0.05 * rng.normal(size=(240, 8))
+    x = {"clusters": x, "copies": np.repeat(x[:4], 50, axis=0), "zeros": np.zeros((20, 8)), "one": x[:1]}[kind]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    u = x / np.where(size > 0, size, 1)
+    c = (u @ u.T)[np.triu_indices(len(x), 1)]
+    for block in (7, 60, 4096):
+        e = diversity.cosine_extremes(df, block_rows=block).first()
+        assert (e.max_similarity, e.min_similarity) == ((pytest.approx(c.max()), pytest.approx(c.min())) if len(c) else (None, None))
+
+
 def test_running_sums_over_buckets(spark, monkeypatch):
     from glossmill.operators import prefix
 
