@@ -28,11 +28,15 @@ def quality_rules() -> str:
     navigation = f"({separators} >= {q.LEAST_SEPARATORS} AND {n} <= {q.WORDS_A_SEPARATOR} * {separators})"
     doubled = " + ".join(f"(length(line) - length(replace(line, {quoted(d)}, ''))) // {len(d)}" for d in q.DOUBLED)
     punctuation = f"({symbols} OR 10 * ({doubled}) > {q.DOUBLED_IN_TEN} * {n} OR ({n} >= {q.LONG_LINE} AND {q.WORDS_A_MARK} * {counted('line', q.MARKS)} < {n}))"
-    boilerplate = "(" + " OR ".join(f"contains(lower(line), {quoted(p)})" for p in q.BOILERPLATE) + ")"
+    phrases = "(" + " + ".join(f"contains(lower(line), {quoted(p)})::INT" for p in q.BOILERPLATE) + ")"
+    boilerplate = f"(c.t IS NOT NULL OR ({phrases} > 0 AND {n} <= {q.WORDS_A_PHRASE} * {phrases}))"
+    trimmed = "trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))"
     return f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text, {words("coalesce(text, '')")} AS w FROM documents),
-l AS (SELECT r, i, line, len({words('line')}) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)),
-j AS (SELECT *, CASE WHEN {navigation} THEN 'navigation' WHEN {punctuation} THEN 'punctuation' WHEN {boilerplate} THEN 'boilerplate' END AS rule, row_number() OVER (PARTITION BY r, line ORDER BY i) AS k FROM l WHERE n > 0),
+l AS (SELECT r, i, line, len({words('line')}) AS n, {trimmed} AS t, text FROM (SELECT r, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)),
+b AS (SELECT t, text, coalesce(lag(t) OVER w, 'top' || chr(10) || text) AS above, coalesce(lead(t) OVER w, 'bottom' || chr(10) || text) AS below FROM l WHERE t <> '' WINDOW w AS (PARTITION BY r ORDER BY i)),
+c AS (SELECT t FROM b GROUP BY t HAVING count(DISTINCT text) >= (SELECT greatest({q.LEAST_TEXTS}, ceil(count(*) * {q.COMMON} / 1000.0)) FROM d) AND 2 * least(count(DISTINCT above), count(DISTINCT below)) >= count(DISTINCT text)),
+j AS (SELECT l.*, CASE WHEN {navigation} THEN 'navigation' WHEN {punctuation} THEN 'punctuation' WHEN {boilerplate} THEN 'boilerplate' END AS rule, row_number() OVER (PARTITION BY r, line ORDER BY i) AS k FROM l LEFT JOIN c USING (t) WHERE n > 0),
 s AS (SELECT r, sum((k > 1)::INT) AS dups, count_if(rule = 'punctuation') AS rp, count_if(rule = 'navigation') AS rn, count_if(rule = 'boilerplate') AS rb, sum(CASE WHEN rule IS NULL THEN {chars('line')} ELSE 0 END) AS stay FROM j GROUP BY r),
 g AS (SELECT r, unnest(range(1, len(w) - {q.WINDOW - 2})) AS i, w FROM d WHERE len(w) >= {q.WINDOW}),
 x AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(w[i:i+{q.WINDOW - 1}], ' ')) AS c FROM g),

@@ -511,6 +511,25 @@ def test_quality_verdicts():
     assert quality.judged("Home | News | Sport | Weather | Contact | About | Login | Search | Help | Shop | More")[6] is False
     assert quality.judged("\n".join(["*** buy *** now *** it *** is *** cheap *** today ***"] * 3))[6] is False
     assert quality.judged(f"{prose}\nHome | News | Sport | More")[11] == prose
+    assert quality.judged("We talked for an hour about how a browser keeps each cookie, and why a page may ask for one before it shows anything.")[9] == 0
+    assert quality.judged(f"{prose}\nAlle Rechte vorbehalten.\n{prose} And more of it.")[9] == 1
+
+
+def test_lines_of_many_texts_are_boilerplate(spark):
+    """Evidence is counted over different texts and neighbours; copies and near copies are none."""
+    words = [f"w{i}" for i in range(400)]
+    rng = random.Random(3)
+    prose = lambda: " ".join(rng.choice(words) for _ in range(12)) + "."
+    texts = [f"{prose()}\n  Wir nutzen Technik von Dritten.\t\n{prose()}" for _ in range(30)]  # among other lines each time
+    texts += ["\n".join(["this text is copied.", "and so is this line."])] * 50
+    base = [prose() for _ in range(8)]
+    texts += ["\n".join([*base[:7], f"{base[7]} {i}"]) for i in range(40)]  # near copies: the same neighbours
+    texts += [f"{prose()}\nseldom seen.\n{prose()}" for _ in range(5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert quality.common_lines(df) == {quality.line_hash("Wir nutzen Technik von Dritten.")}
+    got = {r.doc_id: r for r in quality.cleaned(df).collect()}
+    assert all(got[i].removed_boilerplate == (i < 30) and ("Wir" not in got[i].cleaned) for i in got)
+    assert quality.common_lines(df.limit(0)) == frozenset()
 
 
 def test_toxicity_on_held_out_rows(spark):
