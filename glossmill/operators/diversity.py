@@ -237,31 +237,61 @@ def overall(reviews: DataFrame, vectors: DataFrame, vector: str = "embedding") -
 def max_similarity_before(vectors: DataFrame, order: str = "vec_id", vector: str = "embedding", block_rows: int = 4096) -> DataFrame:
     """order, max_similarity: the largest cosine with any vector before it; null for the first.
 
-    Blocks meet as matrices, as for the extremes, and a row comes back once for each block.
+    Vectors are gathered around pivots, as for the extremes. Each one is held against the earlier ones of its block first;
+    then it goes only where the angle to a pivot, less the radius of what is around it, could beat that, and where
+    something is earlier. Blocks that many ask are copied for parts of the questions.
     """
-    kept = vectors.filter(F.col(vector).isNotNull())
-    blocks = max(1, -(-kept.count() // block_rows))
-    b = F.pmod(F.xxhash64(order), F.lit(blocks)).cast("int")
-    mine = kept.select(F.col(order).alias("k"), F.col(vector).cast("array<double>").alias("v"), b.alias("b"))
-    meet = mine.select("k", "v", "b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")).select("k", "v", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-
-    def before(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        x = np.asarray(table.column("v").combine_chunks().flatten(), np.float64).reshape(table.num_rows, -1)
-        size = np.linalg.norm(x, axis=1, keepdims=True)
-        x, at, k = x / np.where(size > 0, size, 1), table.column("b").to_numpy(), table.column("k").to_numpy()
-        keys, best = [], []
-        for mine, other in {(i, j), (j, i)}:
-            p, q = np.flatnonzero(at == mine), np.flatnonzero(at == other)
-            if not len(p):
-                continue
-            c = np.where(k[q][None, :] < k[p][:, None], x[p] @ x[q].T, -np.inf).max(1) if len(q) else np.full(len(p), -np.inf)
-            keys.append(k[p])
-            best.append(c)
-        keys, best = (np.concatenate(keys), np.concatenate(best)) if keys else (np.array([], np.int64), np.array([]))
-        return pa.table({"k": pa.array(keys, pa.int64()), "c": pa.array([None if np.isinf(v) else float(v) for v in best], pa.float64())})
-
-    return meet.groupBy("i", "j").applyInArrow(before, "k long, c double").groupBy(F.col("k").alias(order)).agg(F.max("c").alias("max_similarity"))
+    spark = vectors.sparkSession
+    rows, pivots, stats = around_pivots(vectors, order, vector, block_rows)
+    rows = rows.withColumn("k", F.col("k").cast("long"))
+    zero = F.aggregate(F.col("v"), F.lit(0.0), lambda a, x: a + x * x) == 0
+    ends = rows.agg(F.min("k").alias("first"), F.min(F.when(zero, F.col("k"))).alias("zero")).first()
+    full = rows.filter(~zero)
+    n = len(pivots)
+    first = np.full(n, np.inf)
+    for r in full.groupBy("p").agg(F.min("k").alias("k")).collect():  # PIVOTS rows
+        first[r.p] = r.k
+    radius = np.array([stats[p][1] if p in stats else 0.0 for p in range(n)])
+    several = np.array([p in stats and stats[p][0] > 1 for p in range(n)])
+
+    def matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+        return np.asarray(column.combine_chunks().flatten(), np.float64).reshape(rows, -1)
+
+    def earlier(x: np.ndarray, k: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The largest cosine of each x with a y of a smaller key, in parts of bounded size."""
+        out = [np.where(j[None, :] < k[i : i + 512, None], x[i : i + 512] @ y.T, -np.inf).max(1) for i in range(0, len(x), 512)] if len(y) else []
+        return np.concatenate(out) if out else np.full(len(x), -np.inf)
+
+    def own(table: pa.Table) -> pa.Table:
+        x, k, p = matrix(table.column("v"), table.num_rows), table.column("k").to_numpy(), table.column("p")[0].as_py()
+        best, to = earlier(x, k, x, k), []
+        for i in range(0, len(x), 512):
+            angle = np.arccos(np.clip(x[i : i + 512] @ pivots.T, -1, 1))
+            may = (np.cos(np.maximum(0, angle - radius - 1e-7)) > best[i : i + 512, None]) & (first[None, :] < k[i : i + 512, None])
+            may[:, p] &= several[p]
+            to += [np.flatnonzero(row).tolist() for row in may]
+        return pa.table({"k": table.column("k"), "v": table.column("v"), "p": table.column("p"), "s": table.column("s"), "best": pa.array(best), "to": pa.array(to, pa.list_(pa.int32()))})
+
+    found = staged(full.groupBy("p", "s").applyInArrow(own, "k long, v array<double>, p int, s int, best double, to array<int>"), "cosines-in-blocks")
+    asked = found.filter(F.size("to") > 0).select("k", "v", F.col("p").alias("from_p"), F.col("s").alias("from_s"), F.explode("to").alias("q"))
+    times = {r.q: r.n for r in asked.groupBy("q").agg(F.count("*").alias("n")).collect()}  # PIVOTS rows
+    known = [(int(q), stats[q][0], -(-m // (16 * block_rows))) for q, m in times.items()]
+    parts = F.broadcast(spark.createDataFrame(known, "_q int, parts int, copies int"))
+    here = lambda df, of: df.join(parts, F.col(of) == F.col("_q"))
+    asks = here(asked, "q").select("k", "v", "from_p", "from_s", "q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"), F.pmod(F.xxhash64("k"), F.col("copies")).cast("int").alias("c"), F.lit(True).alias("asks"))
+    asks = asks.filter((F.col("from_p") != F.col("q")) | (F.col("from_s") != F.col("s"))).drop("from_p", "from_s")
+    holds = here(full, "p").select("k", "v", F.col("p").alias("q"), "s", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("c"), F.lit(False).alias("asks"))
+
+    def others(table: pa.Table) -> pa.Table:
+        x, k, ask = matrix(table.column("v"), table.num_rows), table.column("k").to_numpy(), table.column("asks").to_numpy()
+        return pa.table({"k": pa.array(k[ask], pa.int64()), "best": pa.array(earlier(x[ask], k[ask], x[~ask], k[~ask]))})
+
+    every = found.select("k", "best").unionByName(asks.unionByName(holds).groupBy("q", "s", "c").applyInArrow(others, "k long, best double"))
+    best = every.groupBy("k").agg(F.max("best").alias("best")).select("k", F.when(F.col("best") > -2, F.col("best")).alias("best"))
+    after = lambda key: F.lit(False) if key is None else F.col("k") > key
+    best = best.withColumn("best", F.when(after(ends["zero"]), F.greatest("best", F.lit(0.0))).otherwise(F.col("best")))
+    best = best.unionByName(rows.filter(zero).select("k", F.when(after(ends["first"]), F.lit(0.0)).alias("best")))
+    return best.select(F.col("k").alias(order), F.col("best").alias("max_similarity"))
 
 
 def history_check(reviews: DataFrame, vectors: DataFrame, order: str = "seq", min_unique: int = 50, max_similarity: float = 0.8) -> DataFrame:

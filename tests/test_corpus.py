@@ -122,6 +122,8 @@ def test_extremes_of_vectors_that_lie_together(spark, kind):
     for block in (7, 60, 4096):
         e = diversity.cosine_extremes(df, block_rows=block).first()
         assert (e.max_similarity, e.min_similarity) == ((pytest.approx(c.max()), pytest.approx(c.min())) if len(c) else (None, None))
+        got = {r.vec_id: r.max_similarity for r in diversity.max_similarity_before(df, block_rows=block).collect()}
+        assert got == {i: pytest.approx((u[:i] @ u[i]).max(), abs=1e-12) if i else None for i in range(len(x))}
 
 
 def test_running_sums_over_buckets(spark, monkeypatch):
