@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +47,22 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """What staged() is, for tables that nothing reads after the block: they are deleted at its end."""
+    paths: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        paths.append(shared_path(spark, name))
+        return written(df, paths[-1])
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            removed(spark, path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, where its files are fewer than those; larger inputs have more parts and stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
