@@ -137,7 +137,9 @@ def tokenised(docs: DataFrame, ranks: bytes) -> tuple[DataFrame, int, int]:
         for batch in slices(batches):
             ids = [pieces.encode(t) + mark if t else mark for t in batch.column("text").to_pylist()]
             n = pa.array([len(x) // width for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([*map(batch.column, ("a", "b", "doc_id")), n, pa.array(ids, pa.binary())], names=["a", "b", "doc_id", "n", "ids"])
+            yield pa.RecordBatch.from_arrays(
+                [*map(batch.column, ("a", "b", "doc_id")), n, pa.array(ids, pa.binary())], names=["a", "b", "doc_id", "n", "ids"]
+            )
 
     a, b = identity(docs, ["doc_id", "text"])
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -150,7 +152,9 @@ def dealt(rows: DataFrame, buckets: int, hot_copies: int) -> DataFrame:
     one row a bucket; there are few, found by a count of identities, and known to all tasks."""
     counts = rows.groupBy("a", "b").agg(F.count("*").alias("copies")).filter(F.col("copies") > hot_copies)
     hot = F.broadcast(counts)  # rows / hot_copies at most, of which hot_copies makes HOT_ROWS or fewer
-    cold = rows.join(hot, ["a", "b"], "left_anti").withColumns({"bucket": F.pmod("a", F.lit(buckets)).cast("int"), "part": F.lit(0), "times": F.lit(1).cast("long")})
+    cold = rows.join(hot, ["a", "b"], "left_anti").withColumns(
+        {"bucket": F.pmod("a", F.lit(buckets)).cast("int"), "part": F.lit(0), "times": F.lit(1).cast("long")}
+    )
     values = [c for c in rows.columns if c not in ("a", "b")]
     warm = rows.join(hot, ["a", "b"]).groupBy("a", "b", "copies").agg(*[F.first(c).alias(c) for c in values])
     parts = F.least(F.col("copies"), F.lit(buckets)).cast("int")
@@ -186,7 +190,10 @@ def packed(rows: DataFrame, n_buckets: int, length: int, width: int, pad: int, k
             number, n, ids_of, ids = zip(*done)
             done.clear()
             slot = permuted(np.array(number, np.int64), total, key)
-            return pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n, pa.int32()), pa.array(ids_of, pa.list_(kind)), pa.array(ids, pa.binary())], names=["slot", "n_tokens", "doc_ids", "ids"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(slot), pa.array(n, pa.int32()), pa.array(ids_of, pa.list_(kind)), pa.array(ids, pa.binary())],
+                names=["slot", "n_tokens", "doc_ids", "ids"],
+            )
 
         kind = None
         for batch in slices(batches):
@@ -213,7 +220,9 @@ def packed(rows: DataFrame, n_buckets: int, length: int, width: int, pad: int, k
             yield sent(kind)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    mine = rows.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket", "a", "b", "part").select("bucket", "doc_id", "ids", "times")
+    mine = rows.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket", "a", "b", "part").select(
+        "bucket", "doc_id", "ids", "times"
+    )
     return mine.mapInArrow(run, f"slot long, n_tokens int, doc_ids array<{kind}>, ids binary"), total
 
 
@@ -228,14 +237,19 @@ def write_shards(rows: DataFrame, path: str, slots: int, first: int, last: int)
     record = F.concat(big_endian(F.col("slot"), 8), big_endian(F.col("n_tokens").cast("long"), 4), big_endian(F.crc32("ids"), 4), "ids")
     mine = rows.select(shard.alias("shard"), "slot", record.alias("record")).filter(F.col("shard").between(first, last - 1))
     mine = mine.repartitionById(last - first, F.col("shard") - first).sortWithinPartitions("shard", "slot")
-    mine.select("shard", F.col("record").cast("string").alias("value")).write.mode("append").option("maxRecordsPerFile", 0).partitionBy("shard").option("lineSep", "\n").text(path)
+    mine.select(
+        "shard", F.col("record").cast("string").alias("value")
+    ).write.mode("append").option("maxRecordsPerFile", 0).partitionBy("shard").option("lineSep", "\n").text(path)
 
 
 def stride(width: int, length: int) -> int:
     return 16 + width * length + 1
 
 
-def written_order(docs: DataFrame, path: str | None = None, length: int = SEQUENCE, shard_slots: int | None = None, key: int = KEY, at: str | None = None, waves: int = WAVES, bucket_ids: int = BUCKET_IDS, hot_copies: int | None = None) -> DataFrame:
+def written_order(
+    docs: DataFrame, path: str | None = None, length: int = SEQUENCE, shard_slots: int | None = None, key: int = KEY, at: str | None = None,
+    waves: int = WAVES, bucket_ids: int = BUCKET_IDS, hot_copies: int | None = None,
+) -> DataFrame:
     """Writes the shards below a new folder (or at) and gives slot, shard, file, offset, n_tokens, doc_ids, crc32 for
     each sequence: file is its shard's file, offset the byte in it at which its record begins, doc_ids the documents
     that it holds parts of, in order, and crc32 that of its ids.
@@ -268,13 +282,19 @@ def written_order(docs: DataFrame, path: str | None = None, length: int = SEQUEN
     if n == 0:
         return spark.createDataFrame([], f"slot long, shard int, file string, offset long, n_tokens int, doc_ids array<{kind}>, crc32 long")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(at)
-    found = files.select(F.regexp_extract("path", "shard=([0-9]+)", 1).cast("int").alias("shard"), F.col("path").alias("file"), "length").collect()  # SHARDS at most
+    found = files.select(  # SHARDS at most
+        F.regexp_extract("path", "shard=([0-9]+)", 1).cast("int").alias("shard"), F.col("path").alias("file"), "length"
+    ).collect()
     wrong = [r.file for r in found if r.length != stride(width, length) * min(slots, n - r.shard * slots)]
     if wrong or sorted(r.shard for r in found) != list(range(shards)):
         raise RuntimeError(f"{len(found)} files for {shards} shards, of wrong length: {wrong[:3]}")
     place = F.broadcast(spark.createDataFrame([(r.shard, r.file) for r in found], "shard int, file string"))
-    rows = sequences.select("slot", F.floor(F.col("slot") / slots).cast("int").alias("shard"), "n_tokens", "doc_ids", F.crc32("ids").alias("crc32"))
-    return rows.join(place, "shard").select("slot", "shard", "file", (F.col("slot") % slots * stride(width, length)).alias("offset"), "n_tokens", "doc_ids", "crc32")
+    rows = sequences.select(
+        "slot", F.floor(F.col("slot") / slots).cast("int").alias("shard"), "n_tokens", "doc_ids", F.crc32("ids").alias("crc32")
+    )
+    return rows.join(place, "shard").select(
+        "slot", "shard", "file", (F.col("slot") % slots * stride(width, length)).alias("offset"), "n_tokens", "doc_ids", "crc32"
+    )
 
 
 def read_back(spark: SparkSession, at: str, width: int = 2, length: int = SEQUENCE, shard: int | None = None) -> DataFrame:
@@ -282,4 +302,6 @@ def read_back(spark: SparkSession, at: str, width: int = 2, length: int = SEQUEN
     files are split between tasks at records' bounds."""
     size = stride(width, length)
     records = spark.sparkContext.binaryRecords(f"{at}/shard={'*' if shard is None else shard}/part-*", size)
-    return spark.createDataFrame(records.map(lambda r: (*struct.unpack(">qiI", r[:16]), bytearray(r[16:-1]))), "slot long, n_tokens int, crc32 long, ids binary")
+    return spark.createDataFrame(
+        records.map(lambda r: (*struct.unpack(">qiI", r[:16]), bytearray(r[16:-1]))), "slot long, n_tokens int, crc32 long, ids binary"
+    )

@@ -183,7 +183,9 @@ def encoder(ranks: bytes, pattern: str = public_tokenizers.PATTERN) -> Encoder:
     return _ENCODERS[key]
 
 
-def over_texts(docs: DataFrame, columns: list[str], row: Callable[[Encoder, str], tuple], schema: pa.Schema, ddl: str, path: str | None = None) -> DataFrame:
+def over_texts(
+    docs: DataFrame, columns: list[str], row: Callable[[Encoder, str], tuple], schema: pa.Schema, ddl: str, path: str | None = None
+) -> DataFrame:
     """columns of docs, and what row gives for each text. The rank file is read here and sent to the workers."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path or public_tokenizers.path(VOCABULARY)))
 

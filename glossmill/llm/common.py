@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.plans.staging import removed, shared_path, staged, written
+from glossmill.plans.staging import passing, removed, shared_path, staged, written
 
-__all__ = ["fresh", "held_out", "identity", "read", "removed", "shared_path", "slices", "staged", "written"]
+__all__ = ["fresh", "held_out", "identity", "passing", "read", "removed", "shared_path", "slices", "staged", "written"]
 
 #: Rows of a batch that Python takes at once; Spark cuts batches by bytes before (64 MB by default).
 SLICE_ROWS = 512

@@ -58,7 +58,9 @@ def index(items: DataFrame, masks: list[tuple[int, str, bool]]) -> DataFrame:
     rows = None
     for tag, mask, short in masks:
         mine = items.filter(F.col("n") == len(mask) if short else F.col("n") >= SHORT)
-        part = mine.select("key", "words", F.explode(positions(F.col("n"), len(mask))).alias("at")).select(picked(F.col("words"), F.col("at"), mask, tag).alias("hash"), "key", "at")
+        part = mine.select("key", "words", F.explode(positions(F.col("n"), len(mask))).alias("at")).select(
+            picked(F.col("words"), F.col("at"), mask, tag).alias("hash"), "key", "at"
+        )
         rows = part if rows is None else rows.unionByName(part)
     return rows
 
@@ -72,7 +74,10 @@ def searched(benchmark: DataFrame) -> DataFrame:
     return items.withColumn("key", F.unhex(F.md5(named))).dropDuplicates(["key"])
 
 
-def found_items(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_overlap: int = MIN_OVERLAP, similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS, most_blocks: int = BLOCKS) -> DataFrame:
+def found_items(
+    docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_overlap: int = MIN_OVERLAP, similarity: float = SIMILARITY,
+    block_rows: int = BLOCK_ROWS, most_blocks: int = BLOCKS,
+) -> DataFrame:
     """doc_id, a, b (the identity of id and text), item_id and r (matched, doc_at, tokens) of each diagonal on which an
     item is found."""
     items = searched(benchmark)
@@ -96,24 +101,37 @@ def found_items(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
         hits = None
         for i in range(blocks):
             mine = lambda df: df if blocks == 1 else df.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i)  # noqa: B023, E731
-            found = windows.join(F.broadcast(mine(seeds)), "hash").select(*row, "key", diagonal, "words").join(F.broadcast(mine(item)), "key")
+            found = windows.join(
+                F.broadcast(mine(seeds)), "hash"
+            ).select(*row, "key", diagonal, "words").join(F.broadcast(mine(item)), "key")
             hits = found if hits is None else hits.unionByName(found)
     else:
-        met = windows.select(*row, "at", seen.alias("hash")).join(seeds.hint("shuffle_hash"), "hash").select(*row, "key", diagonal).distinct()
+        met = windows.select(*row, "at", seen.alias("hash")).join(
+            seeds.hint("shuffle_hash"), "hash"
+        ).select(*row, "key", diagonal).distinct()
         # rows that are equal in id and text are one; an id without a text, or the other way round, has hashes too
         hits = met.join(words.select("a", "b", "words").dropDuplicates(["a", "b"]), ["a", "b"]).join(item, "key")
     # the document under the item, null where the item juts out
     cut = F.greatest(F.lit(0), -F.col("diagonal"))
-    under = F.concat(F.array_repeat(F.lit(None).cast("string"), cut), F.slice("words", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.col("n") - cut))
+    under = F.concat(
+        F.array_repeat(F.lit(None).cast("string"), cut), F.slice("words", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.col("n") - cut)
+    )
     hits = hits.select(*row, "key", "diagonal", under.alias("under"), "item_id", "item", "n")
     once = hits.groupBy(*row, "key", "diagonal").agg(F.first(F.struct("under", "item_id", "item", "n")).alias("h"))
     same = F.zip_with("h.under", "h.item", lambda x, y: F.when(x.eqNullSafe(y) & x.isNotNull(), 1).otherwise(0))
     checked = once.withColumn("same", same).withColumn("width", F.least(F.lit(min_overlap), F.col("h.n")))
     agree = lambda i: F.aggregate(F.slice("same", i + 1, F.col("width")), F.lit(0), lambda acc, x: acc + x)
-    best = F.array_max(F.transform(F.sequence(F.lit(0), F.size("same") - F.col("width")), lambda i: F.struct(agree(i).alias("matched"), (-i).alias("from"))))
+    best = F.array_max(
+        F.transform(
+            F.sequence(F.lit(0), F.size("same") - F.col("width")), lambda i: F.struct(agree(i).alias("matched"), (-i).alias("from"))
+        )
+    )
     scored = checked.withColumn("best", best).filter(F.col("best.matched") >= F.ceil(F.col("width") * F.lit(similarity) - F.lit(1e-9)))
     at = F.greatest(F.col("diagonal") - F.col("best.from"), F.lit(0)).cast("long")
-    return scored.select(*row, F.col("h.item_id").alias("item_id"), F.struct(F.col("best.matched").alias("matched"), at.alias("doc_at"), F.col("width").cast("long").alias("tokens")).alias("r"))
+    return scored.select(
+        *row, F.col("h.item_id").alias("item_id"),
+        F.struct(F.col("best.matched").alias("matched"), at.alias("doc_at"), F.col("width").cast("long").alias("tokens")).alias("r"),
+    )
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
@@ -123,7 +141,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     many of its tokens agree. Of rows that share an id, the best one counts; items without an id aren't listed.
     """
     best = found_items(docs, benchmark, **kw).filter(F.col("item_id").isNotNull()).groupBy("doc_id", "item_id").agg(F.max("r").alias("r"))
-    return best.select("doc_id", F.col("item_id").cast("long").alias("item_id"), "r.doc_at", "r.tokens", F.col("r.matched").cast("long").alias("matched"))
+    return best.select(
+        "doc_id", F.col("item_id").cast("long").alias("item_id"), "r.doc_at", "r.tokens", F.col("r.matched").cast("long").alias("matched")
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:

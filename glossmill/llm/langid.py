@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import held_out, slices, staged
+from glossmill.llm.common import held_out, passing, slices
 
 #: Texts of a language, centroids of a language, and buckets of n-grams (a power of two).
 SAMPLE, CENTROIDS, BUCKETS = 600, 3, 4096
@@ -92,15 +92,25 @@ def clustered(v: np.ndarray, k: int) -> np.ndarray:
 
 def fit(docs: DataFrame, seed: int = 3) -> dict:
     """The model: idf, languages, and for each centroid its vector, language and least cosine."""
-    spark = docs.sparkSession
+    with passing(docs.sparkSession) as keep:
+        return fitted(docs, seed, keep)
+
+
+def fitted(docs: DataFrame, seed: int, keep) -> dict:
+    """What fit gives; keep stages its sample."""
     mine = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    each = {r["lang"]: r["n"] for r in mine.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    empty = {"idf": np.zeros(BUCKETS, np.float32), "langs": [], "vectors": np.zeros((0, BUCKETS), np.float32), "of": np.zeros(0, int), "least": np.zeros(0)}
+    each = {
+        r["lang"]: r["n"] for r in mine.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    }
+    empty = {
+        "idf": np.zeros(BUCKETS, np.float32), "langs": [], "vectors": np.zeros((0, BUCKETS), np.float32), "of": np.zeros(0, int),
+        "least": np.zeros(0),
+    }
     if not each:
         return empty
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for lang, n in each.items() for x in (lang, int((1 << 30) * min(1.0, SAMPLE / n)))])
-    sample = staged(mine.filter(draw < share[F.col("lang")]).select("lang", "text").distinct().repartition(8), "language-sample")
+    sample = keep(mine.filter(draw < share[F.col("lang")]).select("lang", "text").distinct().repartition(8), "language-sample")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, np.zeros(BUCKETS)
@@ -123,11 +133,26 @@ def fit(docs: DataFrame, seed: int = 3) -> dict:
         v = np.stack(v)
         c = clustered(v, CENTROIDS)
         least = float(np.quantile((v @ c.T).max(1), 0.01))
-        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(c), pa.string()), "vector": pa.array([x.tobytes() for x in c], pa.binary()), "least": pa.array([least] * len(c), pa.float64())})
-
-    found = sorted(((r["lang"], r["vector"], r["least"]) for r in sample.groupBy("lang").applyInArrow(cluster, "lang string, vector binary, least double").collect()), key=lambda r: (r[0], bytes(r[1])))  # CENTROIDS rows a language
+        return pa.table(
+            {
+                "lang": pa.array([table.column("lang")[0].as_py()] * len(c), pa.string()),
+                "vector": pa.array([x.tobytes() for x in c], pa.binary()), "least": pa.array([least] * len(c), pa.float64()),
+            }
+        )
+
+    found = sorted(  # CENTROIDS rows a language
+        (
+            (r["lang"], r["vector"], r["least"]) for r in sample.groupBy("lang").applyInArrow(
+                cluster, "lang string, vector binary, least double"
+            ).collect()
+        ),
+        key=lambda r: (r[0], bytes(r[1])),
+    )
     langs = sorted({r[0] for r in found})
-    return {"idf": idf, "langs": langs, "vectors": np.stack([np.frombuffer(r[1], np.float32) for r in found]), "of": np.array([langs.index(r[0]) for r in found]), "least": np.array([r[2] for r in found])}
+    return {
+        "idf": idf, "langs": langs, "vectors": np.stack([np.frombuffer(r[1], np.float32) for r in found]),
+        "of": np.array([langs.index(r[0]) for r in found]), "least": np.array([r[2] for r in found]),
+    }
 
 
 def margin(text: str) -> float:
@@ -153,10 +178,17 @@ def predicted(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            lang, score, rejected = zip(*(judged(t, shared.value) for t in batch.column("text").to_pylist())) if len(batch) else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
-
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+            lang, score, rejected = zip(
+                *(judged(t, shared.value) for t in batch.column("text").to_pylist())
+            ) if len(batch) else ([], [], [])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
+                names=["doc_id", "lang_pred", "score", "rejected"],
+            )
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean"
+    )
 
 
 def identified(docs: DataFrame) -> DataFrame:

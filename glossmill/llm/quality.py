@@ -85,12 +85,18 @@ def common_lines(docs: DataFrame) -> frozenset[int]:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     least = max(LEAST_TEXTS, -(-docs.count() * COMMON // 1000))
     trimmed = F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: F.length(x) > 0)
-    lines = docs.select(F.xxhash64(text).alias("of"), F.transform(trimmed, lambda x: F.xxhash64(x)).alias("line")).filter(F.size("line") > 0)
+    lines = docs.select(
+        F.xxhash64(text).alias("of"), F.transform(trimmed, lambda x: F.xxhash64(x)).alias("line")
+    ).filter(F.size("line") > 0)
     # an end of a text is a neighbour of its own
     end = lambda name: F.array(F.xxhash64("of", F.lit(name)))
     above, below = F.concat(end("top"), F.slice("line", 1, F.size("line") - 1)), F.concat(F.slice("line", 2, F.size("line")), end("bottom"))
-    rows = lines.select("of", "line", above.alias("above"), below.alias("below")).select("of", F.inline(F.arrays_zip("line", "above", "below")))
-    counts = rows.groupBy("line").agg(F.countDistinct("of").alias("texts"), F.countDistinct("above").alias("above"), F.countDistinct("below").alias("below"))
+    rows = lines.select(
+        "of", "line", above.alias("above"), below.alias("below")
+    ).select("of", F.inline(F.arrays_zip("line", "above", "below")))
+    counts = rows.groupBy("line").agg(
+        F.countDistinct("of").alias("texts"), F.countDistinct("above").alias("above"), F.countDistinct("below").alias("below")
+    )
     common = counts.filter((F.col("texts") >= least) & (2 * F.least("above", "below") >= F.col("texts")))
     return frozenset(r["line"] for r in common.select("line").collect())
 
@@ -145,7 +151,11 @@ def judged(text: str, common: frozenset[int] = frozenset()) -> tuple:
     return n_words, word_chars, sum(map(text.count, SYMBOLS)), dups, repeated, base_failed, kept, removed["punctuation"], removed["navigation"], removed["boilerplate"], stay / word_chars if word_chars else 0.0, "\n".join(out)
 
 
-FIELDS = (("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("kept", "boolean"), ("removed_punctuation", "long"), ("removed_navigation", "long"), ("removed_boilerplate", "long"), ("kept_share", "double"), ("cleaned", "string"))
+FIELDS = (
+    ("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"),
+    ("base_failed", "boolean"), ("kept", "boolean"), ("removed_punctuation", "long"), ("removed_navigation", "long"),
+    ("removed_boilerplate", "long"), ("kept_share", "double"), ("cleaned", "string"),
+)
 ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
 
 
@@ -156,6 +166,11 @@ def cleaned(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             made = list(zip(*(judged(t or "", shared.value) for t in batch.column("text").to_pylist()))) or [[]] * len(FIELDS)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(m, ARROW[k]) for m, (_, k) in zip(made, FIELDS))], names=["doc_id", *(n for n, _ in FIELDS)])
-
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} {k}" for n, k in FIELDS))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(pa.array(m, ARROW[k]) for m, (_, k) in zip(made, FIELDS))],
+                names=["doc_id", *(n for n, _ in FIELDS)],
+            )
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} {k}" for n, k in FIELDS)
+    )

@@ -24,7 +24,9 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = token_edits.build_state(spread(read(spark, sf_dir, "documents")))
     kept = written(built, shared_path(spark, "token-trees"), compression="zstd")
     edited = token_edits.apply_listed(token_edits.sample_edits(spread(kept)))
-    return edited.select("doc_id", "n_edits", "n_before", "n_tokens", "n_pieces", "n_reencoded", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    return edited.select(
+        "doc_id", "n_edits", "n_before", "n_tokens", "n_pieces", "n_reencoded", F.crc32(F.col("text").cast("binary")).alias("text_crc32")
+    )
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

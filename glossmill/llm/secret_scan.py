@@ -65,7 +65,15 @@ def blobs(versions: DataFrame, text: str) -> DataFrame:
 
 def matches(text: Column, rules: tuple[Rule, ...], of: dict[str, str], todo: Column) -> Column:
     """For each rule of the packs to do that matches at all: its kind, the pieces between its matches, and the matches."""
-    found = [F.when(F.array_contains(todo, of[r.kind]) & text.rlike(r.pattern), F.struct(F.lit(r.kind).alias("kind"), F.split(text, r.pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0)).alias("match"))) for r in rules]
+    found = [
+        F.when(
+            F.array_contains(todo, of[r.kind]) & text.rlike(r.pattern),
+            F.struct(
+                F.lit(r.kind).alias("kind"), F.split(text, r.pattern, -1).alias("between"),
+                F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0)).alias("match"),
+            ),
+        ) for r in rules
+    ]
     return F.array_compact(F.array(*found))
 
 
@@ -73,7 +81,9 @@ def scan(blobs: DataFrame, packs: dict[str, tuple[Rule, ...]]) -> DataFrame:
     """blob, pack, spans for the pairs of blobs and packs that have findings. blobs: blob, content, todo (its packs)."""
     rules = {r.kind: r for p in packs.values() for r in p}
     of = {r.kind: name for name, p in packs.items() for r in p}
-    kinds = F.create_map(*[x for k in rules for x in (F.lit(k), F.struct(F.lit(ORDER.get(k, 99)).alias("ord"), F.lit(of[k]).alias("pack")))])
+    kinds = F.create_map(
+        *[x for k in rules for x in (F.lit(k), F.struct(F.lit(ORDER.get(k, 99)).alias("ord"), F.lit(of[k]).alias("pack")))]
+    )
     by_kind = Window.partitionBy("blob", "kind").orderBy("at")
     rows = (
         blobs.select("blob", F.explode(matches(F.col("content"), tuple(rules.values()), of, F.col("todo"))).alias("m"))
@@ -84,9 +94,13 @@ def scan(blobs: DataFrame, packs: dict[str, tuple[Rule, ...]]) -> DataFrame:
     long_enough = None
     for k, r in rules.items():
         size = F.length(F.regexp_extract("match", r.pattern, r.group)) if r.group else F.length("match")
-        long_enough = F.when(F.col("kind") == k, size >= r.least) if long_enough is None else long_enough.when(F.col("kind") == k, size >= r.least)
+        long_enough = F.when(F.col("kind") == k, size >= r.least) if long_enough is None else long_enough.when(
+            F.col("kind") == k, size >= r.least
+        )
     span = F.struct((F.col("end") - F.length("match")).alias("start"), kinds[F.col("kind")]["ord"].alias("ord"), "end", "kind")
-    found = rows.filter(F.col("match").isNotNull() & long_enough).select("blob", kinds[F.col("kind")]["pack"].alias("pack"), span.alias("span"))
+    found = rows.filter(F.col("match").isNotNull() & long_enough).select(
+        "blob", kinds[F.col("kind")]["pack"].alias("pack"), span.alias("span")
+    )
     return found.groupBy("blob", "pack").agg(F.sort_array(F.collect_list("span")).alias("spans"))
 
 
@@ -100,22 +114,30 @@ def unseen(blobs: DataFrame, ledger: DataFrame | None, packs: list[str]) -> Data
     return blobs.join(seen, "blob", "left").withColumn("todo", todo).drop("seen").filter(F.size("todo") > 0)
 
 
-def new_pairs(versions: DataFrame, text: str = "text", ledger: DataFrame | None = None, packs: dict[str, tuple[Rule, ...]] | None = None) -> DataFrame:
+def new_pairs(
+    versions: DataFrame, text: str = "text", ledger: DataFrame | None = None, packs: dict[str, tuple[Rule, ...]] | None = None
+) -> DataFrame:
     """blob, pack, spans (empty if none) of the pairs of versions' blobs and packs that the ledger (none: an empty one)
     lacks. All packs are scanned in one pass over the distinct blobs, each blob for those that it lacks."""
     packs = PACKS if packs is None else packs
     todo = unseen(blobs(versions, text), ledger, list(packs))
     pairs = todo.select("blob", F.explode("todo").alias("pack"))
-    return pairs.join(scan(todo, packs), ["blob", "pack"], "left").select("blob", "pack", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    return pairs.join(scan(todo, packs), ["blob", "pack"], "left").select(
+        "blob", "pack", F.coalesce("spans", F.array().cast(SPAN)).alias("spans")
+    )
 
 
-def extend_ledger(versions: DataFrame, text: str = "text", ledger: DataFrame | None = None, packs: dict[str, tuple[Rule, ...]] | None = None) -> DataFrame:
+def extend_ledger(
+    versions: DataFrame, text: str = "text", ledger: DataFrame | None = None, packs: dict[str, tuple[Rule, ...]] | None = None
+) -> DataFrame:
     """The ledger with what new_pairs adds to it."""
     new = new_pairs(versions, text, ledger, packs)
     return new if ledger is None else ledger.select("blob", "pack", "spans").unionByName(new)
 
 
-def blob_findings(versions: DataFrame | None, text: str = "text", ledger: DataFrame | None = None, packs: dict[str, tuple[Rule, ...]] | None = None) -> DataFrame:
+def blob_findings(
+    versions: DataFrame | None, text: str = "text", ledger: DataFrame | None = None, packs: dict[str, tuple[Rule, ...]] | None = None
+) -> DataFrame:
     """blob, spans (of all packs, sorted) for blobs that have findings. Pairs of versions that the ledger lacks are
     scanned; without versions the ledger is taken as it is."""
     packs = PACKS if packs is None else packs
@@ -129,7 +151,9 @@ def ledger_of(steps: list[tuple[DataFrame, dict[str, tuple[Rule, ...]]]], text:
     """The ledger of a history: for each step, the pairs of its versions and packs that the steps before lack are
     scanned and appended to the table in a new folder of the shared one (or at, which may hold a ledger already)."""
     spark = steps[0][0].sparkSession
-    kept = at is not None and spark._jvm.org.apache.hadoop.fs.Path(at).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(at))
+    kept = at is not None and spark._jvm.org.apache.hadoop.fs.Path(at).getFileSystem(spark._jsc.hadoopConfiguration()).exists(
+        spark._jvm.org.apache.hadoop.fs.Path(at)
+    )
     at = at or shared_path(spark, "secret-ledger")
     schema = f"blob string, pack string, spans {SPAN}"
     for versions, packs in steps:
@@ -161,7 +185,9 @@ def with_spans(versions: DataFrame, found: DataFrame, text: str = "text", out: s
         raise ValueError(f"versions has a column {out} already")
     salts = 16
     salt = F.pmod(identity(versions, [c for c in versions.columns if c != text])[0], F.lit(salts)).cast("int")
-    left = versions.select(F.struct(*[F.col(f"`{c}`") for c in versions.columns]).alias("row"), content_address(text).alias("blob"), salt.alias("salt"))
+    left = versions.select(
+        F.struct(*[F.col(f"`{c}`") for c in versions.columns]).alias("row"), content_address(text).alias("blob"), salt.alias("salt")
+    )
     right = found.select("blob", "spans", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     return left.join(right, ["blob", "salt"], "left").select("row.*", F.coalesce("spans", F.array().cast(SPAN)).alias(out))
 
@@ -192,7 +218,9 @@ def redact(text: Column, spans: Column, mark: str = "<secret>") -> Column:
 
     def step(acc, s):
         after = s["start"] >= acc["at"]
-        out = F.when(after, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
+        out = F.when(
+            after, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+        ).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
     done = F.aggregate(spans, start, step)

@@ -42,7 +42,15 @@ class Node:
 def topology(regions: int, racks: int, shards: int) -> Node:
     """An even tree; shard numbers run from 0 through regions and racks."""
     at = iter(range(regions * racks * shards))
-    return Node("root", tuple(Node(f"region{r}", tuple(Node(f"rack{k}", tuple(Node(f"shard{s}", shard=next(at)) for s in range(shards))) for k in range(racks))) for r in range(regions)))
+    return Node(
+        "root",
+        tuple(
+            Node(
+                f"region{r}",
+                tuple(Node(f"rack{k}", tuple(Node(f"shard{s}", shard=next(at)) for s in range(shards))) for k in range(racks)),
+            ) for r in range(regions)
+        ),
+    )
 
 
 def with_region(tree: Node, weights: list[float]) -> Node:
@@ -72,7 +80,11 @@ def descended(df: DataFrame, key: str, tree: Node, out: str) -> DataFrame:
         pick = None
         for path, n in at:
             live = [c for c in n.children if c.weight > 0]
-            best = F.array_max(F.array(*[F.struct(draw(k, f"{path}/{c.name}", c.weight).alias("draw"), F.lit(f"{path}/{c.name}").alias("name")) for c in live]))["name"] if len(live) > 1 else F.lit(f"{path}/{live[0].name}")
+            best = F.array_max(
+                F.array(
+                    *[F.struct(draw(k, f"{path}/{c.name}", c.weight).alias("draw"), F.lit(f"{path}/{c.name}").alias("name")) for c in live]
+                )
+            )["name"] if len(live) > 1 else F.lit(f"{path}/{live[0].name}")
             pick = F.when(F.col(out) == path, best) if pick is None else pick.when(F.col(out) == path, best)
         done = done.withColumn(out, pick)
         at = [(f"{p}/{c.name}", c) for p, n in at for c in n.children if c.weight > 0]
@@ -91,28 +103,41 @@ def shard(docs: DataFrame, tree: Node, grown: Node | None = None, key: str = "do
     their counts; at last the counts become rows again, CHUNK at once, chunks being dealt anew.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("crc"))
+    rows = docs.select(
+        F.col(key).alias("key"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("id"),
+        (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("crc"),
+    )
     rows = rows.groupBy("key", "id", "size", "crc").agg(F.count("*").alias("copies"))
     n = docs.count()
     shards = len(list(leaves(tree)))
     digits = max(2, math.ceil(math.log(max(1, n / BUCKET_ROWS / shards), 16)) + 1)
-    rows = rows.withColumn("md5", F.md5(F.concat_ws("/", "id", "crc", "size").cast("binary"))).withColumn("bucket", F.substring("md5", 1, digits))
+    rows = rows.withColumn(
+        "md5", F.md5(F.concat_ws("/", "id", "crc", "size").cast("binary"))
+    ).withColumn("bucket", F.substring("md5", 1, digits))
     rows = descended(rows, "id", tree, "shard")
     rows = descended(rows, "id", grown, "grown_shard") if grown else rows.withColumn("grown_shard", F.lit(None).cast("int"))
     counts = rows.groupBy("shard", "bucket").agg(F.sum("copies").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("shard").alias("of_shard"), F.col("bucket").alias("of_bucket"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    offsets = counts.select(
+        F.col("shard").alias("of_shard"), F.col("bucket").alias("of_bucket"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
+    )
     if shards * 16**digits <= 1 << 16:  # the bound of the offsets, whatever the input
         offsets = F.broadcast(offsets)
     within = Window.partitionBy("shard", "bucket").orderBy("md5", "key", "crc", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("first", F.coalesce(F.sum("copies").over(within), F.lit(0))).join(offsets, (F.col("shard") == F.col("of_shard")) & (F.col("bucket") == F.col("of_bucket")), "left")
+    placed = rows.withColumn("first", F.coalesce(F.sum("copies").over(within), F.lit(0))).join(
+        offsets, (F.col("shard") == F.col("of_shard")) & (F.col("bucket") == F.col("of_bucket")), "left"
+    )
     placed = placed.withColumn("first", F.col("first") + F.col("offset"))
     each = lambda df: df.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)))
     few, many = placed.filter(F.col("copies") <= CHUNK), placed.filter(F.col("copies") > CHUNK)
     chunk = many.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(CHUNK).cast("long"))))
-    chunk = chunk.withColumns({"first": F.col("first") + F.col("at"), "copies": F.least(F.lit(CHUNK).cast("long"), F.col("copies") - F.col("at"))}).drop("at").repartition("first")
+    chunk = chunk.withColumns(
+        {"first": F.col("first") + F.col("at"), "copies": F.least(F.lit(CHUNK).cast("long"), F.col("copies") - F.col("at"))}
+    ).drop("at").repartition("first")
     out = each(few).unionByName(each(chunk))
-    return out.select(F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+    return out.select(
+        F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard"
+    )
 
 
 #: Production topology: 8 shards; the ninth comes as a region of its own.

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import identity, slices, staged
+from glossmill.llm.common import identity, passing, slices, staged
 from glossmill.llm.components import components
 
 SEED = 42
@@ -131,7 +131,9 @@ def route(nodes: list[tuple[int, int, int, int]], points: np.ndarray, limit: int
             todo += [(inner, mine[d <= r], True), (outer, mine[d > r], True), (outer, mine[(d <= r) & (d > r - limit)], False)]
         else:
             todo += [(inner, mine[d <= r + limit], False), (outer, mine[d > r - limit], False)]
-    return np.concatenate([np.full(len(p), s, np.int32) for s, p, _ in out]), np.concatenate([p for _, p, _ in out]), np.concatenate([np.full(len(p), h, bool) for _, p, h in out])
+    return np.concatenate(
+        [np.full(len(p), s, np.int32) for s, p, _ in out]
+    ), np.concatenate([p for _, p, _ in out]), np.concatenate([np.full(len(p), h, bool) for _, p, h in out])
 
 
 class Stars:
@@ -227,12 +229,12 @@ def links(points: DataFrame, n: int, limit: int) -> DataFrame:
     return points.select("fp").mapInArrow(send, "shard int, fp long, home boolean").groupBy("shard").applyInArrow(within, "a long, b long")
 
 
-def linked_classes(rows: DataFrame, least, limit: int) -> tuple[DataFrame, DataFrame, int]:
+def linked_classes(rows: DataFrame, least, limit: int, keep=staged) -> tuple[DataFrame, DataFrame, int]:
     """The distinct fingerprints of rows (fp, least, copies); those that have links, with the root of their component
     (fp, root); and how many rows there are."""
-    classes = staged(rows.groupBy("fp").agg(least.alias("least"), F.count("*").alias("copies")), "classes")
+    classes = keep(rows.groupBy("fp").agg(least.alias("least"), F.count("*").alias("copies")), "classes")
     size = classes.agg(F.count("*").alias("points"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
-    of = components(links(classes, size["points"], limit)).withColumnRenamed("node", "fp")
+    of = components(links(classes, size["points"], limit), keep).withColumnRenamed("node", "fp")
     return classes, of, size["rows"]
 
 
@@ -243,13 +245,19 @@ def near_duplicates(docs: DataFrame, limit: int = 2) -> DataFrame:
     named = classes.join(of, "fp")  # classes that have links
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     known = named.join(ids, "root").select("fp", "component_id", "copies")
-    alone = classes.join(of.select("fp"), "fp", "left_anti").filter("copies > 1").select("fp", F.col("least").alias("component_id"), "copies")
+    alone = classes.join(of.select("fp"), "fp", "left_anti").filter("copies > 1").select(
+        "fp", F.col("least").alias("component_id"), "copies"
+    )
     table = staged(known.unionByName(alone), "classes")
     # a fingerprint of very many rows is joined by broadcast: of those there are rows / hot at most, 100,000
     hot = max(HOT, n // 100_000)
     often = F.broadcast(table.filter(F.col("copies") > hot).select("fp", "component_id"))
-    most = rows.join(often.select("fp"), "fp", "left_anti").join(table.filter(F.col("copies") <= hot).select("fp", "component_id"), "fp", "left")
-    most = most.select("doc_id", "fp", F.when(F.col("component_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    most = rows.join(often.select("fp"), "fp", "left_anti").join(
+        table.filter(F.col("copies") <= hot).select("fp", "component_id"), "fp", "left"
+    )
+    most = most.select(
+        "doc_id", "fp", F.when(F.col("component_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    )
     return most.unionByName(rows.join(often, "fp").select("doc_id", "fp", "component_id"))
 
 
@@ -263,13 +271,16 @@ def first_of_each(docs: DataFrame, limit: int = 2) -> DataFrame:
     doc_id, so texts that share an id but no component both stay; rows that are equal in every column are one."""
     a, b = identity(docs)
     keyed = docs.select("doc_id", "text", a.alias("a"), b.alias("b"))
-    rows = staged(fingerprints(keyed, ("doc_id", "a", "b")), "fingerprints")
-    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "fp", "a", "b"))
-    classes, of, _ = linked_classes(rows, first, limit)
-    linked = classes.join(of, "fp").groupBy("root").agg(F.min("least").alias("least")).select("least.a", "least.b")
-    alone = classes.join(of.select("fp"), "fp", "left_anti").select("least.a", "least.b")
-    kept = staged(linked.unionByName(alone), "kept")
+    with passing(docs.sparkSession) as keep:
+        rows = keep(fingerprints(keyed, ("doc_id", "a", "b")), "fingerprints")
+        first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "fp", "a", "b"))
+        classes, of, _ = linked_classes(rows, first, limit, keep)
+        linked = classes.join(of, "fp").groupBy("root").agg(F.min("least").alias("least")).select("least.a", "least.b")
+        alone = classes.join(of.select("fp"), "fp", "left_anti").select("least.a", "least.b")
+        kept = staged(linked.unionByName(alone), "kept")
     # equal rows meet as partial aggregates, one a task; the join then finds rows dealt and sorted as it needs them.
     # The rows kept grow with the input: one plan for all sizes, whose cost on a small input tells that on a large one
-    whole = docs.select(a.alias("a"), b.alias("b"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).dropDuplicates(["a", "b"])
+    whole = docs.select(
+        a.alias("a"), b.alias("b"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    ).dropDuplicates(["a", "b"])
     return whole.join(kept.hint("merge"), ["a", "b"], "left_semi").select("row.*")

@@ -77,7 +77,9 @@ def contamination() -> str:
     m, span = decontam, min(map(len, decontam.MASKS))
     words = lambda x: f"regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+')"
     key = lambda w, i, mask: "concat_ws(' ', " + ", ".join(f"{w}[{i} + {k}]" for k, x in enumerate(mask) if x == "1") + ")"
-    hit = " UNION ".join(f"SELECT d.doc_id, t.item_id, d.i - t.i AS diag FROM (SELECT doc_id, i, {key('w', 'i', mask)} AS k FROM p WHERE i <= len(w) - {len(mask)} + 1) d JOIN (SELECT item_id, i, {key('w', 'i', mask)} AS k FROM q WHERE i <= len(w) - {len(mask)} + 1) t USING (k)" for mask in m.MASKS)
+    hit = " UNION ".join(
+        f"SELECT d.doc_id, t.item_id, d.i - t.i AS diag FROM (SELECT doc_id, i, {key('w', 'i', mask)} AS k FROM p WHERE i <= len(w) - {len(mask)} + 1) d JOIN (SELECT item_id, i, {key('w', 'i', mask)} AS k FROM q WHERE i <= len(w) - {len(mask)} + 1) t USING (k)" for mask in m.MASKS
+    )
     return f"""
 WITH d AS (SELECT doc_id, {words("coalesce(text, '')")} AS w FROM documents), b AS (SELECT item_id, list_filter({words("coalesce(text, '')")}, lambda x: x <> '') AS w FROM benchmark),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - {span - 2})) AS i FROM d WHERE len(w) >= {span}), q AS (SELECT item_id, w, unnest(range(1, len(w) - {span - 2})) AS i FROM b WHERE len(w) >= {m.SHORT}),
@@ -101,7 +103,9 @@ def shards() -> str:
             below = {c.name: pick(c, f"{path}/{c.name}") if c.children else str(c.shard) for c in live}
             if len(live) == 1:
                 return below[live[0].name]
-            draws = ", ".join(f"{{'d': ln((('0x' || substr(md5('{sharding.SEED}/{path}/{c.name}/' || id), 1, 13))::BIGINT + 0.5::DOUBLE) / {float(1 << 52)}::DOUBLE) / {c.weight}::DOUBLE, 'n': '{c.name}'}}" for c in live)
+            draws = ", ".join(
+                f"{{'d': ln((('0x' || substr(md5('{sharding.SEED}/{path}/{c.name}/' || id), 1, 13))::BIGINT + 0.5::DOUBLE) / {float(1 << 52)}::DOUBLE) / {c.weight}::DOUBLE, 'n': '{c.name}'}}" for c in live
+            )
             return f"CASE list_max([{draws}]).n " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in below.items()) + " END"
 
         return f"CAST({pick(node, '')} AS INT) AS {out}"
@@ -119,4 +123,7 @@ s AS (SELECT doc_id, id, CAST(strlen(text) + 1 AS BIGINT) AS size, CAST(CASE WHE
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY md5(concat_ws('/', id, text_crc32, size))) - 1 AS slot, grown_shard FROM s"""
 
 
-SQL = {"op1_quality_rules": quality_rules(), "op5_secret_scans": secrets(), "op6_benchmark_decontamination": contamination(), "op8_sharding": shards()}
+SQL = {
+    "op1_quality_rules": quality_rules(), "op5_secret_scans": secrets(), "op6_benchmark_decontamination": contamination(),
+    "op8_sharding": shards(),
+}

@@ -267,7 +267,10 @@ def build_state(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in slices(batches):
             text = pc.fill_null(batch.column("text"), "")
             chars, tokens, tree, n = zip(*(PieceTree.built(enc, t) for t in text.to_pylist()))
-            parts = [batch.column("doc_id"), text, pa.array(chars, pa.binary()), pa.array(tokens, pa.binary()), pa.array(tree, pa.binary()), pa.array(n, pa.int64())]
+            parts = [
+                batch.column("doc_id"), text, pa.array(chars, pa.binary()), pa.array(tokens, pa.binary()), pa.array(tree, pa.binary()),
+                pa.array(n, pa.int64()),
+            ]
             yield pa.RecordBatch.from_arrays(parts, names=["doc_id", "text", "piece_chars", "piece_tokens", "tree", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -278,19 +281,27 @@ def apply_listed(state: DataFrame, path: str | None = None) -> DataFrame:
     """State rows that also have edits (an array of start, end, text): the state after them, the count before them
     (n_before), and how many edits there were (n_edits), pieces (n_pieces) and pieces encoded again (n_reencoded)."""
     ranks = state.sparkSession.sparkContext.broadcast(read_ranks(path or public_tokenizers.path(VOCABULARY)))
-    fields = [("text", pa.string()), ("piece_chars", pa.binary()), ("piece_tokens", pa.binary()), ("tree", pa.binary()), ("n_tokens", pa.int64()), ("n_before", pa.int64()), ("n_edits", pa.int32()), ("n_pieces", pa.int32()), ("n_reencoded", pa.int32())]
+    fields = [
+        ("text", pa.string()), ("piece_chars", pa.binary()), ("piece_tokens", pa.binary()), ("tree", pa.binary()), ("n_tokens", pa.int64()),
+        ("n_before", pa.int64()), ("n_edits", pa.int32()), ("n_pieces", pa.int32()), ("n_reencoded", pa.int32()),
+    ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks.value)
         for batch in slices(batches):
             out = []
-            for text, chars, tokens, tree, before, edits in zip(*(batch.column(c).to_pylist() for c in ("text", "piece_chars", "piece_tokens", "tree", "n_tokens", "edits"))):
+            for text, chars, tokens, tree, before, edits in zip(
+                *(batch.column(c).to_pylist() for c in ("text", "piece_chars", "piece_tokens", "tree", "n_tokens", "edits"))
+            ):
                 kept, again = PieceTree(text, chars, tokens, tree), 0
                 for e in edits or ():
                     again += kept.edit(enc, e["start"] or 0, e["end"] or 0, e["text"] or "")
                 row = kept.flat() if edits else (text, chars, tokens, tree)
                 out.append((*row, kept.total, before, len(edits or ()), kept.n_pieces, again))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(m, t) for m, (_, t) in zip(zip(*out), fields))], names=["doc_id", *(f for f, _ in fields)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(pa.array(m, t) for m, (_, t) in zip(zip(*out), fields))],
+                names=["doc_id", *(f for f, _ in fields)],
+            )
 
     kind = state.schema["doc_id"].dataType.simpleString()
     rows = state.select("doc_id", "text", "piece_chars", "piece_tokens", "tree", "n_tokens", F.col("edits").cast(EDITS).alias("edits"))
@@ -301,7 +312,10 @@ def apply_edits(state: DataFrame, edits: DataFrame, path: str | None = None) ->
     """The state after a log of edits (doc_id, number, start, end, text). A document's edits follow on each other, so
     one task applies them, and its memory holds them: they are the log of one document, not of a key or a source."""
     one = F.struct("number", "start", "end", "text")
-    plain = F.transform(F.sort_array(F.collect_list(one)), lambda e: F.struct(e["start"].cast("int").alias("start"), e["end"].cast("int").alias("end"), e["text"].alias("text")))
+    plain = F.transform(
+        F.sort_array(F.collect_list(one)),
+        lambda e: F.struct(e["start"].cast("int").alias("start"), e["end"].cast("int").alias("end"), e["text"].alias("text")),
+    )
     of = fresh(state, "of")
     log = edits.groupBy(F.col("doc_id").alias(of)).agg(plain.alias("edits"))
     return apply_listed(state.drop("edits").join(log, F.col("doc_id") == F.col(of), "left").drop(of), path)

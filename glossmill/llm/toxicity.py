@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import held_out, slices, staged
+from glossmill.llm.common import held_out, passing, slices
 
 #: Labelled rows of a class, features, hash buckets of n-grams, and rows in which a feature must be.
 SAMPLE, FEATURES, BUCKETS, LEAST_ROWS = 4000, 2048, 1 << 22, 5
@@ -89,7 +89,10 @@ def class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     some = np.flatnonzero(counts.any(0))
     for i in range(0, len(some), 1 << 16):
         b = some[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(counts[1][b].astype(np.int64)), pa.array(counts[0][b].astype(np.int64))], names=["bucket", "pos", "neg"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(b.astype(np.int32)), pa.array(counts[1][b].astype(np.int64)), pa.array(counts[0][b].astype(np.int64))],
+            names=["bucket", "pos", "neg"],
+        )
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -120,7 +123,12 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 1) -> tuple[dict[str, float], float]:
     """Weights by n-gram, and the intercept. Rows that are held out aren't seen."""
-    spark = docs.sparkSession
+    with passing(docs.sparkSession) as keep:
+        return fitted(docs, labels, seed, keep)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, seed: int, keep) -> tuple[dict[str, float], float]:
+    """What fit gives; keep stages its sample."""
     mine = labels.filter(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     count = {r["toxic"]: r["n"] for r in mine.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = count.get(1, 0), count.get(0, 0)
@@ -128,18 +136,28 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 1) -> tuple[dict[str, fl
         share = pos / (pos + neg) if pos + neg else 0.0
         return {}, 500.0 if share == 1 else -500.0
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
-    drawn = [mine.filter((F.col("toxic") == t) & (draw < int((1 << 30) * min(1.0, SAMPLE / n)))).orderBy("doc_id").limit(2 * SAMPLE) for t, n in count.items()]
+    drawn = [
+        mine.filter(
+            (F.col("toxic") == t) & (draw < int((1 << 30) * min(1.0, SAMPLE / n)))
+        ).orderBy("doc_id").limit(2 * SAMPLE) for t, n in count.items()
+    ]
     ids = drawn[0].unionByName(drawn[1])
     # one text an id, found task by task before texts move, however often an id is repeated: 4 * SAMPLE rows at most
-    once = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    rows = staged(once.select("text", "toxic").repartition(8), "toxicity-sample")
+    once = docs.select(
+        "doc_id", F.col("text").cast("string").alias("text")
+    ).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = keep(once.select("text", "toxic").repartition(8), "toxicity-sample")
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(size) < 2:  # labels of documents that aren't there
         return {}, -500.0
-    totals = rows.mapInArrow(class_counts, "bucket int, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter(F.col("pos") + F.col("neg") >= LEAST_ROWS)
+    totals = rows.mapInArrow(class_counts, "bucket int, pos long, neg long").groupBy("bucket").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
+    ).filter(F.col("pos") + F.col("neg") >= LEAST_ROWS)
     p, q = (F.col("pos") + ALPHA) / (size[1] + 2 * ALPHA), (F.col("neg") + ALPHA) / (size[0] + 2 * ALPHA)
     error = F.sqrt(1 / (F.col("pos") + ALPHA) + 1 / (F.col("neg") + ALPHA))
-    top = totals.select("bucket", F.log(p / q).alias("r"), error.alias("e")).orderBy(F.desc(F.abs(F.col("r")) / F.col("e")), "bucket").limit(FEATURES).collect()
+    top = totals.select(
+        "bucket", F.log(p / q).alias("r"), error.alias("e")
+    ).orderBy(F.desc(F.abs(F.col("r")) / F.col("e")), "bucket").limit(FEATURES).collect()
     if not top:
         return {}, math.log(pos / neg)
     kept = {r["bucket"] for r in top}
@@ -171,7 +189,9 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 1) -> tuple[dict[str, fl
 
     table = rows.mapInArrow(present, "bits binary, toxic int").orderBy("toxic", "bits").toArrow()  # FEATURES / 8 bytes a row of the sample
     y = table.column("toxic").to_numpy().astype(np.float32)
-    x = np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for b in table.column("bits").to_pylist()])[:, : len(top)].astype(np.float32) * ratio
+    x = np.stack(
+        [np.unpackbits(np.frombuffer(b, np.uint8)) for b in table.column("bits").to_pylist()]
+    )[:, : len(top)].astype(np.float32) * ratio
     w, b = logistic(x, y)
     return {gram: float(w[i] * ratio[i]) for gram, i in at.items() if w[i]}, b
 
@@ -183,11 +203,18 @@ def scores(docs: DataFrame, model: tuple[dict[int, float], float]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([scorer.score(t or "") for t in batch.column("text").to_pylist()], pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([scorer.score(t or "") for t in batch.column("text").to_pylist()], pa.float64())],
+                names=["doc_id", "score"],
+            )
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double"
+    )
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    return scores(docs, fit(docs, labels)).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scores(docs, fit(docs, labels)).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    )

@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from glossmill.llm import binary_out, bpe, decontam, langid, quality, secret_scan, sharding, simhash, token_edits, toxicity
 
 #: Names that operators use inside, as columns of the caller's.
-INNER = ("row", "blob", "salt", "content", "todo", "a", "b", "least", "key", "ids", "n", "bucket", "copies", "bad_a", "bad_b", "redacted", "edits", "tree", "of", "toxic", "__text", "__blob", "__spans", "__salt", "__bad", "__kept", "_c")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int, words string, fp long, hash long, at int, item_id long, n_tokens long, spans string, slot long, held_out string, " + ", ".join(f"`{c}` string" for c in INNER)
+INNER = (
+    "row", "blob", "salt", "content", "todo", "a", "b", "least", "key", "ids", "n", "bucket", "copies", "bad_a", "bad_b", "redacted",
+    "edits", "tree", "of", "toxic", "__text", "__blob", "__spans", "__salt", "__bad", "__kept", "_c",
+)
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int, words string, fp long, hash long, at int, item_id long, n_tokens long, spans string, slot long, held_out string, " + ", ".join(
+    f"`{c}` string" for c in INNER
+)
 PASSAGE = "the quick brown fox jumps over the lazy dog while seven wizards quietly mix bright potions beside an old stone mill near town"
 rng = random.Random(3)
 WORDS = ["alpha", "beta", "gamma", "delta", "one", "two", "three", "and", "of", "to"]
@@ -38,12 +43,20 @@ def none(spark):
 
 @pytest.fixture(scope="module")
 def labels(spark):
-    return spark.createDataFrame([(1, 1, 0), (3, 1, 0), (10, 0, 1), (8, None, None), (None, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
+    return spark.createDataFrame(
+        [(1, 1, 0), (3, 1, 0), (10, 0, 1), (8, None, None), (None, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int"
+    )
 
 
 @pytest.fixture(scope="module")
 def benchmark(spark):
-    return spark.createDataFrame([(1, PASSAGE), (2, None), (3, ""), (4, "too short"), (None, PASSAGE), (5, "one two three alpha beta gamma"), (5, "one two three alpha beta gamma")], "item_id long, text string")
+    return spark.createDataFrame(
+        [
+            (1, PASSAGE), (2, None), (3, ""), (4, "too short"), (None, PASSAGE), (5, "one two three alpha beta gamma"),
+            (5, "one two three alpha beta gamma"),
+        ],
+        "item_id long, text string",
+    )
 
 
 def by_row(spark, docs, labels, benchmark):
@@ -120,15 +133,25 @@ def test_dedup_stage_keeps_one_row_of_each_group(spark, docs):
 
 
 def test_dedup_tells_rows_apart_by_their_texts(spark):
-    far = spark.createDataFrame([(1, "a text of its own stands here"), (1, "quite other words are in that one"), (1, "quite other words are in that one"), (None, "no id here at all, is there"), (None, "no id here at all, is there")], "doc_id long, text string")
+    far = spark.createDataFrame(
+        [
+            (1, "a text of its own stands here"), (1, "quite other words are in that one"), (1, "quite other words are in that one"),
+            (None, "no id here at all, is there"), (None, "no id here at all, is there"),
+        ],
+        "doc_id long, text string",
+    )
     for parts in (1, 3):
         got = sorted((r.doc_id is None, r.text) for r in simhash.first_of_each(far.repartition(parts)).collect())
-        assert got == [(False, "a text of its own stands here"), (False, "quite other words are in that one"), (True, "no id here at all, is there")]
+        assert got == [
+            (False, "a text of its own stands here"), (False, "quite other words are in that one"), (True, "no id here at all, is there")
+        ]
 
 
 def test_shards_of_a_hot_key(spark, monkeypatch):
     monkeypatch.setattr(sharding, "CHUNK", 7)
-    table = spark.createDataFrame([(None, "same")] * 50 + [(1, f"text {i}") for i in range(40)] + [(1, "copy")] * 30, "doc_id long, text string")
+    table = spark.createDataFrame(
+        [(None, "same")] * 50 + [(1, f"text {i}") for i in range(40)] + [(1, "copy")] * 30, "doc_id long, text string"
+    )
     rows = sharding.shard(table, sharding.TREE, sharding.GROWN).collect()
     assert len(rows) == 120
     for s in range(8):
@@ -136,7 +159,9 @@ def test_shards_of_a_hot_key(spark, monkeypatch):
 
 
 def test_a_labelled_id_that_repeats_counts_once(spark):
-    table = spark.createDataFrame([(1, "b")] * 500 + [(1, "a")] * 500 + [(i, f"word{i} bad") for i in range(2, 40)], "doc_id long, text string")
+    table = spark.createDataFrame(
+        [(1, "b")] * 500 + [(1, "a")] * 500 + [(i, f"word{i} bad") for i in range(2, 40)], "doc_id long, text string"
+    )
     few = table.dropDuplicates()
     marks = spark.createDataFrame([(1, 0), (1, 0)] + [(i, i % 2) for i in range(2, 40)], "doc_id long, toxic int")
     assert toxicity.fit(table, marks) == toxicity.fit(few.filter("not (doc_id = 1 and text = 'b')"), marks.dropDuplicates())

@@ -123,7 +123,13 @@ def test_edits_touch_little(encoder, library):
         t = " ".join(rng.choice(["alpha", "beta", "it's", "of", "gamma,", "7 x"]) for _ in range(words))
         tree = token_edits.PieceTree(t, *token_edits.PieceTree.built(encoder, t)[:3])
         encoded, splits = [], []
-        one = type("One", (), {"pattern": type("Pattern", (), {"finditer": lambda self, x, at: splits.append(len(x)) or encoder.pattern.finditer(x, at)})(), "ids_of": lambda self, p: encoded.extend(p) or encoder.ids_of(p)})()
+        one = type(
+            "One", (),
+            {
+                "pattern": type("Pattern", (), {"finditer": lambda self, x, at: splits.append(len(x)) or encoder.pattern.finditer(x, at)})(),
+                "ids_of": lambda self, p: encoded.extend(p) or encoder.ids_of(p),
+            },
+        )()
         for at in (10, len(t) // 2, len(t) - 5):
             tree.edit(one, at, at + 7, "EDIT ed's")
         touched = sum(leaf.text is not None for leaf in tree.leaves)
@@ -138,7 +144,9 @@ def test_query_edits_the_kept_state(spark, docs, library, monkeypatch):
     state = token_edits.build_state(docs.limit(5)).cache()
     edited = {r.doc_id: r for r in token_edits.apply_listed(token_edits.sample_edits(state)).collect()}
     assert all(r.n_tokens == len(library.encode_ordinary(r.text)) and r.n_reencoded <= 80 for r in edited.values())
-    again = token_edits.apply_listed(token_edits.sample_edits(spark.createDataFrame(list(edited.values())).select(*state.columns))).collect()
+    again = token_edits.apply_listed(
+        token_edits.sample_edits(spark.createDataFrame(list(edited.values())).select(*state.columns))
+    ).collect()
     assert all(r.n_tokens == len(library.encode_ordinary(r.text)) for r in again)
     got = {r.doc_id: r for r in registry.QUERIES["op3_token_counts"](spark, SF).collect()}
     assert all(got[i].n_tokens == r.n_tokens for i, r in edited.items())
@@ -146,7 +154,10 @@ def test_query_edits_the_kept_state(spark, docs, library, monkeypatch):
 
 def test_edit_logs(spark, library):
     docs = spark.createDataFrame([(1, "one two three"), (2, "untouched"), (3, None)], "doc_id long, text string")
-    log = spark.createDataFrame([(1, 2, 0, 3, "ONE"), (1, 1, 13, 13, " four"), (3, 1, 0, 0, "new"), (9, 1, 0, 0, "?")], "doc_id long, number int, start int, end int, text string")
+    log = spark.createDataFrame(
+        [(1, 2, 0, 3, "ONE"), (1, 1, 13, 13, " four"), (3, 1, 0, 0, "new"), (9, 1, 0, 0, "?")],
+        "doc_id long, number int, start int, end int, text string",
+    )
     state = token_edits.apply_edits(token_edits.build_state(docs), log)
     got = {r.doc_id: r for r in state.collect()}
     assert {i: r.text for i, r in got.items()} == {1: "ONE two three four", 2: "untouched", 3: "new"}
@@ -167,7 +178,10 @@ def spans_of(text):
 
 def test_secrets(spark):
     rng = random.Random(7)
-    parts = ["token=", "secret: ", "api_key = '", "PASSWORD=\"", "AKIA", "abc", "deadbeef", "0123456789abcdef", "é👍", " ", "ABCDEFGHIJKLMN", "\n", "=", "eyJ", ".", "token"]
+    parts = [
+        "token=", "secret: ", "api_key = '", "PASSWORD=\"", "AKIA", "abc", "deadbeef", "0123456789abcdef", "é👍", " ", "ABCDEFGHIJKLMN",
+        "\n", "=", "eyJ", ".", "token",
+    ]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(400)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in secret_scan.digest(secret_scan.with_spans(docs, secret_scan.blob_findings(docs))).collect()}
@@ -177,14 +191,18 @@ def test_secrets(spark):
 
 def test_ledger_scans_only_what_it_lacks(spark):
     first = spark.createDataFrame([("a", 1, "token=abcdefabcdef"), ("b", 1, "nothing")], "path string, version int, text string")
-    later = spark.createDataFrame([("c", 2, "token=abcdefabcdef"), ("a", 2, "password = supersecret99")], "path string, version int, text string")
+    later = spark.createDataFrame(
+        [("c", 2, "token=abcdefabcdef"), ("a", 2, "password = supersecret99")], "path string, version int, text string"
+    )
     one = secret_scan.extend_ledger(first, packs={"base-1": secret_scan.BASE})
     assert one.count() == 2 and one.filter("size(spans) > 0").count() == 1
     both = secret_scan.extend_ledger(later, ledger=one, packs={"base-1": secret_scan.BASE}).cache()
     assert both.count() == 3  # a blob that was seen isn't scanned again
     everything = secret_scan.extend_ledger(later, ledger=both)
     assert everything.groupBy("pack").count().collect() and everything.filter("pack = 'providers-1'").count() == 2
-    paths = secret_scan.with_spans(first.unionByName(later), secret_scan.blob_findings(None, ledger=both)).select("path", "version", F.size("spans").alias("n")).collect()
+    paths = secret_scan.with_spans(
+        first.unionByName(later), secret_scan.blob_findings(None, ledger=both)
+    ).select("path", "version", F.size("spans").alias("n")).collect()
     assert {(r.path, r.version): r.n for r in paths} == {("a", 1): 1, ("b", 1): 0, ("c", 2): 1, ("a", 2): 1}
     forged = both.withColumn("spans", F.array().cast(secret_scan.SPAN))  # were the blob scanned again, it would be found
     assert secret_scan.extend_ledger(first, ledger=forged, packs={"base-1": secret_scan.BASE}).filter("size(spans) > 0").count() == 0
@@ -192,9 +210,15 @@ def test_ledger_scans_only_what_it_lacks(spark):
 
 def test_findings_scan_what_the_ledger_lacks(spark):
     first = spark.createDataFrame([(1, "token=abcdefabcdef"), (2, "nothing")], "doc_id long, text string")
-    later = spark.createDataFrame([(3, "password = supersecret99"), (4, "token=abcdefabcdef"), (5, "ghp_" + "a1B2" * 9)], "doc_id long, text string")
+    later = spark.createDataFrame(
+        [(3, "password = supersecret99"), (4, "token=abcdefabcdef"), (5, "ghp_" + "a1B2" * 9)], "doc_id long, text string"
+    )
     one = secret_scan.extend_ledger(first, packs={"base-1": secret_scan.BASE})
-    spans = lambda ledger: {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.with_spans(later, secret_scan.blob_findings(later, ledger=ledger))).collect()}
+    spans = lambda ledger: {
+        r.doc_id: r.spans for r in secret_scan.digest(
+            secret_scan.with_spans(later, secret_scan.blob_findings(later, ledger=ledger))
+        ).collect()
+    }
     assert spans(one) == spans(None) and all(spans(one).values())
     forged = one.withColumn("spans", F.array().cast(secret_scan.SPAN))  # a pair that was scanned isn't scanned again
     assert {i for i, s in spans(forged).items() if s} == {3, 5}
@@ -223,13 +247,17 @@ def test_a_ledger_goes_on_where_it_was(spark, tmp_path):
     base = {"base-1": secret_scan.BASE}
     assert secret_scan.ledger_of([(first, base)], at=at).count() == 2
     assert secret_scan.ledger_of([(later, base)], at=at).count() == 3
-    assert secret_scan.ledger_of([(later, secret_scan.PACKS)], at=at).groupBy("pack").count().orderBy("pack").collect() == [("base-1", 3), ("providers-1", 2)]
+    assert secret_scan.ledger_of(
+        [(later, secret_scan.PACKS)], at=at
+    ).groupBy("pack").count().orderBy("pack").collect() == [("base-1", 3), ("providers-1", 2)]
 
 
 def test_redaction(spark):
     r = spark.createDataFrame([("é token=abcdefabcdef0123 end",), ("clean",), (None,)], "text string").withColumn("doc_id", F.lit(1))
     rows = secret_scan.with_spans(r, secret_scan.blob_findings(r))
-    assert {x[0] for x in rows.select(F.when(F.col("text").isNotNull(), secret_scan.redact(F.col("text"), F.col("spans")))).collect()} == {"é <secret> end", "clean", None}
+    assert {
+        x[0] for x in rows.select(F.when(F.col("text").isNotNull(), secret_scan.redact(F.col("text"), F.col("spans")))).collect()
+    } == {"é <secret> end", "clean", None}
 
 
 def brute_contamination(docs, items):
@@ -271,7 +299,11 @@ def test_decontamination(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(d, b).collect()}
     assert got == brute_contamination(docs, items)
-    planted = {(i, i % 20) for i, t in docs if i % 3 and len(items[i % 20][1].split()) > 4 and " ".join(re.split(r"\W+", items[i % 20][1])) in " ".join(re.split(r"\W+", t.lower()))}
+    planted = {
+        (i, i % 20) for i, t in docs if i % 3 and len(items[i % 20][1].split()) > 4 and " ".join(
+            re.split(r"\W+", items[i % 20][1])
+        ) in " ".join(re.split(r"\W+", t.lower()))
+    }
     assert planted <= got
     small = {(r.doc_id, r.item_id) for r in decontam.contaminated(d, b, block_rows=200).collect()}
     assert small == got  # blocks change nothing
@@ -285,15 +317,25 @@ def test_decontamination_at_the_edges(spark):
     for n, text in items:
         w = text.split()
         for part in (w[1:], w[:-1], w[2:], w[:-2]):
-            docs += [(len(docs), " ".join(part)), (len(docs) + 1, " ".join([*part, "more", "words", "here"])), (len(docs) + 2, " ".join(["more", "words", "here", *part]))]
-    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+            docs += [
+                (len(docs), " ".join(part)), (len(docs) + 1, " ".join([*part, "more", "words", "here"])),
+                (len(docs) + 2, " ".join(["more", "words", "here", *part])),
+            ]
+    got = {
+        (r.doc_id, r.item_id) for r in decontam.contaminated(
+            spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+        ).collect()
+    }
     assert got == brute_contamination(docs, items) and {(0, 5), (3, 5)} <= got
 
 
 def test_decontamination_of_shared_and_missing_ids(spark):
     one, two, three = "a b c d e f g h i", "k l m n o p q r s", "t u v w x y z aa bb"
     items = spark.createDataFrame([(1, one), (1, two), (1, two), (None, three)], "item_id long, text string")
-    docs = spark.createDataFrame([(1, one), (2, two), (3, three), (4, "nothing of the kind"), (5, "a b c d e f changed changed changed"), (5, one)], "doc_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, one), (2, two), (3, three), (4, "nothing of the kind"), (5, "a b c d e f changed changed changed"), (5, one)],
+        "doc_id long, text string",
+    )
     assert {(r.doc_id, r.item_id, r.matched) for r in decontam.contaminated(docs, items).collect()} == {(1, 1, 9), (2, 1, 9), (5, 1, 9)}
     # each row by its own text: of the two rows with id 5 the clean one stays
     assert sorted((r.doc_id, r.text[:9]) for r in decontam.clean(docs, items).collect()) == [(4, "nothing o"), (5, "a b c d e")]
@@ -327,7 +369,13 @@ def test_shards_follow_weights_and_move_little(spark):
     tree = sharding.topology(2, 2, 2)
     r0 = tree.children[0]
     k0 = r0.children[0]
-    heavier = replace(tree, children=(replace(r0, children=(replace(k0, children=(replace(k0.children[0], leaf_weight=3.0), k0.children[1])), r0.children[1])), tree.children[1]))
+    heavier = replace(
+        tree,
+        children=(
+            replace(r0, children=(replace(k0, children=(replace(k0.children[0], leaf_weight=3.0), k0.children[1])), r0.children[1])),
+            tree.children[1],
+        ),
+    )
     a = {r.doc_id: r.shard for r in sharding.shard(ids, tree).collect()}
     b = {r.doc_id: r.shard for r in sharding.shard(ids, heavier).collect()}
     share = lambda m, s: sum(v == s for v in m.values()) / 20_000
@@ -460,12 +508,22 @@ def test_written_order_is_in_the_files(spark, docs, rows, library, shard_slots):
 
 def test_slots_do_not_depend_on_the_layout(spark, docs):
     """The same rows in other files, orders and numbers of partitions have the same slots; copies of a row too."""
-    rows = docs.select("doc_id", "text").unionByName(docs.select("doc_id", "text").limit(1).crossJoin(spark.range(30)).select("doc_id", "text"))
+    rows = docs.select("doc_id", "text").unionByName(
+        docs.select("doc_id", "text").limit(1).crossJoin(spark.range(30)).select("doc_id", "text")
+    )
     tables = [rows.repartition(2), rows.repartition(4).orderBy(F.desc("text")), rows.coalesce(1)]
     for hot in (None, 3):
-        made = [sorted((r.slot, r.n_tokens, tuple(r.doc_ids), r.crc32) for r in binary_out.written_order(t, length=64, bucket_ids=5_000, hot_copies=hot).collect()) for t in tables]
+        made = [
+            sorted(
+                (r.slot, r.n_tokens, tuple(r.doc_ids), r.crc32) for r in binary_out.written_order(
+                    t, length=64, bucket_ids=5_000, hot_copies=hot
+                ).collect()
+            ) for t in tables
+        ]
         assert made[0] == made[1] == made[2]
-        assert sum(x[1] for x in made[0]) == sum(r.n for r in binary_out.tokenised(rows, bpe.read_ranks(P.path(bpe.VOCABULARY)))[0].select("n").collect())
+        assert sum(x[1] for x in made[0]) == sum(
+            r.n for r in binary_out.tokenised(rows, bpe.read_ranks(P.path(bpe.VOCABULARY)))[0].select("n").collect()
+        )
 
 
 def test_records_are_read_back(spark, docs, tmp_path):
@@ -492,7 +550,9 @@ def test_written_order_of_no_rows_and_null_ids(spark):
 
 def test_quality_figures(spark, docs, rows):
     rng = random.Random(8)
-    texts = [t for _, t in rows[:60]] + ["\n".join(" ".join(rng.choice("ab") for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(0, 9))) for _ in range(100)]
+    texts = [t for _, t in rows[:60]] + [
+        "\n".join(" ".join(rng.choice("ab") for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(0, 9))) for _ in range(100)
+    ]
     for t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
         windows = {}
@@ -507,11 +567,15 @@ def test_quality_figures(spark, docs, rows):
 
 def test_quality_verdicts():
     prose = "This is a sentence that goes on for a while, as they do. Another one follows it here."
-    assert quality.judged(f"{prose}\nA third one, of other words, stands on the second line of it.\nAll rights reserved.")[6:10] == (True, 0, 0, 1)
+    assert quality.judged(
+        f"{prose}\nA third one, of other words, stands on the second line of it.\nAll rights reserved."
+    )[6:10] == (True, 0, 0, 1)
     assert quality.judged("Home | News | Sport | Weather | Contact | About | Login | Search | Help | Shop | More")[6] is False
     assert quality.judged("\n".join(["*** buy *** now *** it *** is *** cheap *** today ***"] * 3))[6] is False
     assert quality.judged(f"{prose}\nHome | News | Sport | More")[11] == prose
-    assert quality.judged("We talked for an hour about how a browser keeps each cookie, and why a page may ask for one before it shows anything.")[9] == 0
+    assert quality.judged(
+        "We talked for an hour about how a browser keeps each cookie, and why a page may ask for one before it shows anything."
+    )[9] == 0
     assert quality.judged(f"{prose}\nAlle Rechte vorbehalten.\n{prose} And more of it.")[9] == 1
 
 
@@ -534,7 +598,9 @@ def test_lines_of_many_texts_are_boilerplate(spark):
 
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
-    rows = registry.QUERIES["op2_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
+    rows = registry.QUERIES["op2_toxicity"](spark, sf).join(
+        spark.read.parquet(f"{sf}/labels.parquet"), "doc_id"
+    ).filter("held_out").collect()
     good = [r.score for r in rows if r.toxic == 1]
     bad = [r.score for r in rows if r.toxic == 0]
     auc = np.mean([[g > b for b in bad] for g in good])
@@ -561,20 +627,26 @@ def test_scores_equal_the_formula(spark, docs):
         for x in {toxicity.bucket(g) for g in every[i]}:
             counts.setdefault(x, [0, 0])[c] += 1
     ratio = lambda n: abs(math.log((n[1] + 1) / (size[1] + 2) / ((n[0] + 1) / (size[0] + 2)))) / math.sqrt(1 / (n[1] + 1) + 1 / (n[0] + 1))
-    ranked = sorted((x for x, n in counts.items() if sum(n) >= toxicity.LEAST_ROWS), key=lambda x: (-ratio(counts[x]), x))[: toxicity.FEATURES]
+    ranked = sorted(
+        (x for x, n in counts.items() if sum(n) >= toxicity.LEAST_ROWS), key=lambda x: (-ratio(counts[x]), x)
+    )[: toxicity.FEATURES]
     least = ratio(counts[ranked[-1]])
     assert {toxicity.bucket(g) for g in weights} <= {x for x, n in counts.items() if ratio(n) >= least - 1e-9}
 
 
 def test_toxicity_never_sees_held_out_labels(spark, docs):
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
-    flipped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    flipped = labels.withColumn(
+        "toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic"))
+    )
     assert toxicity.fit(docs, labels) == toxicity.fit(docs, flipped)
 
 
 def test_languages_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
-    rows = registry.QUERIES["op7_language_id"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    rows = registry.QUERIES["op7_language_id"](spark, sf).join(
+        spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id"
+    ).filter("held_out").collect()
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.95
     assert sum(r.rejected for r in rows) <= 0.01 * len(rows)
 
@@ -602,7 +674,9 @@ def test_languages_equal_brute_force(spark, docs):
     for r in docs.limit(25).collect():
         v = np.sqrt(brute(r.text)) * model["idf"]
         cosines = model["vectors"] @ (v / np.linalg.norm(v))
-        assert got[r.doc_id].lang_pred == model["langs"][model["of"][int(cosines.argmax())]] and abs(got[r.doc_id].score - cosines.max()) < 1e-5
+        assert got[r.doc_id].lang_pred == model["langs"][model["of"][int(cosines.argmax())]] and abs(
+            got[r.doc_id].score - cosines.max()
+        ) < 1e-5
 
 
 def test_languages_are_not_learned_from_held_out_rows(docs):
