@@ -70,7 +70,10 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if a.command in ("jobs", "models"):
         service = batch.HttpBatchService(a.url, a.key_variable)
-        print(*(f"{j['id']}: {j['status']}" for j in batch.list_jobs(service, a.limit)) if a.command == "jobs" else batch.list_models(service), sep="\n")
+        print(
+            *(f"{j['id']}: {j['status']}" for j in batch.list_jobs(service, a.limit)) if a.command == "jobs" else batch.list_models(service),
+            sep="\n",
+        )
         return 0
     from pyspark.sql import SparkSession
 

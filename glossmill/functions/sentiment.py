@@ -14,11 +14,23 @@ from pyspark.sql import functions as F
 from glossmill.functions import text as T
 
 # The keyword lists of both profiles, whose results depend on every entry.
-STRONG_POSITIVE = ("excellent", "amazing", "perfect", "love", "fantastic", "outstanding", "exceptional", "brilliant", "wonderful", "impressed", "exceeded", "superb", "flawless", "awesome")
-POSITIVE_STRICT = ("great", "good", "helpful", "easy", "satisfied", "recommend", "useful", "efficient", "reliable", "solid", "happy", "pleased", "effective", "smooth", "clear", "fast", "simple")
+STRONG_POSITIVE = (
+    "excellent", "amazing", "perfect", "love", "fantastic", "outstanding", "exceptional", "brilliant", "wonderful", "impressed", "exceeded",
+    "superb", "flawless", "awesome",
+)
+POSITIVE_STRICT = (
+    "great", "good", "helpful", "easy", "satisfied", "recommend", "useful", "efficient", "reliable", "solid", "happy", "pleased",
+    "effective", "smooth", "clear", "fast", "simple",
+)
 POSITIVE_LENIENT = (*POSITIVE_STRICT, "works", "nice")
-STRONG_NEGATIVE = ("terrible", "awful", "horrible", "hate", "worst", "useless", "garbage", "pathetic", "disappointing", "frustrated", "regret", "nightmare", "disaster", "broken", "failure")
-NEGATIVE = ("poor", "bad", "difficult", "confusing", "complicated", "slow", "buggy", "lacking", "limited", "issues", "problems", "annoying", "clunky", "frustrating", "missing", "weak")
+STRONG_NEGATIVE = (
+    "terrible", "awful", "horrible", "hate", "worst", "useless", "garbage", "pathetic", "disappointing", "frustrated", "regret",
+    "nightmare", "disaster", "broken", "failure",
+)
+NEGATIVE = (
+    "poor", "bad", "difficult", "confusing", "complicated", "slow", "buggy", "lacking", "limited", "issues", "problems", "annoying",
+    "clunky", "frustrating", "missing", "weak",
+)
 GENERIC_LENIENT = ("game changer", "life changing", "changed my life", "best thing ever", "total game changer")
 GENERIC_STRICT = (*GENERIC_LENIENT, "absolutely perfect", "couldn't be happier", "exceeded all expectations")
 
@@ -54,8 +66,14 @@ class Profile:
 
 
 # Thresholds and weights of the two profiles.
-LENIENT = Profile("lenient", (0.15, 0.15, 0.10, 0.20, 0.25), 0.15, 0.10, 0.05, STRONG_POSITIVE, POSITIVE_LENIENT, STRONG_NEGATIVE, NEGATIVE, 0, 0.80, 0.6, GENERIC_LENIENT, 3, 0.7, 0.6, (0.5, 0.15, 0.2), 0.1, 0.05, (0.65, 0.10, 0.30), 3, None, (1.0, 0.85, 0.60, 0.35), ((4, 9, 0.85),))
-STRICT = Profile("strict", (0.25, 0.30, 0.20, 0.35, 0.40), 0.30, 0.05, 0.15, STRONG_POSITIVE, POSITIVE_STRICT, STRONG_NEGATIVE, NEGATIVE, 1, 0.70, 0.5, GENERIC_STRICT, 2, 0.5, 0.4, (0.6, 0.1, 0.4), 0.2, 0.1, (0.55, 0.05, 0.35), 5, 0.70, (1.0, 0.7, 0.4, 0.2), ((3, 9, 0.75), (2, 2, 0.85)))
+LENIENT = Profile(
+    "lenient", (0.15, 0.15, 0.10, 0.20, 0.25), 0.15, 0.10, 0.05, STRONG_POSITIVE, POSITIVE_LENIENT, STRONG_NEGATIVE, NEGATIVE, 0, 0.80, 0.6,
+    GENERIC_LENIENT, 3, 0.7, 0.6, (0.5, 0.15, 0.2), 0.1, 0.05, (0.65, 0.10, 0.30), 3, None, (1.0, 0.85, 0.60, 0.35), ((4, 9, 0.85),),
+)
+STRICT = Profile(
+    "strict", (0.25, 0.30, 0.20, 0.35, 0.40), 0.30, 0.05, 0.15, STRONG_POSITIVE, POSITIVE_STRICT, STRONG_NEGATIVE, NEGATIVE, 1, 0.70, 0.5,
+    GENERIC_STRICT, 2, 0.5, 0.4, (0.6, 0.1, 0.4), 0.2, 0.1, (0.55, 0.05, 0.35), 5, 0.70, (1.0, 0.7, 0.4, 0.2), ((3, 9, 0.75), (2, 2, 0.85)),
+)
 PROFILES = {p.name: p for p in (LENIENT, STRICT)}
 
 
@@ -99,7 +117,9 @@ def mismatch(rating: Column, label: Column, confidence: Column, aligned: Column,
 def star_alignment(predicted: Column, rating: Column, confidence: Column, p: Profile) -> Column:
     d = F.abs(predicted - rating)
     f = p.star_factors
-    return F.when(d == 0, confidence).when(d == 1, confidence * F.lit(f[1])).when(d == 2, confidence * F.lit(f[2])).otherwise(confidence * F.lit(f[3]))
+    return F.when(d == 0, confidence).when(d == 1, confidence * F.lit(f[1])).when(
+        d == 2, confidence * F.lit(f[2])
+    ).otherwise(confidence * F.lit(f[3]))
 
 
 def star_mismatch(predicted: Column, rating: Column, confidence: Column, threshold: Column, p: Profile) -> Column:
@@ -115,20 +135,48 @@ def repetition(sentences: Column) -> Column:
     two such among more than one sentence. Case counts."""
     starts = F.filter(F.transform(sentences, lambda s: F.slice(T.words(s), 1, 2)), lambda w: F.size(w) >= 2)
     n = F.size(starts)
-    return F.when((F.size(sentences) > 1) & (n > 1), F.lit(1.0) - F.size(F.array_distinct(starts)) / F.greatest(n, F.lit(1))).otherwise(F.lit(0.0))
+    return F.when(
+        (F.size(sentences) > 1) & (n > 1), F.lit(1.0) - F.size(F.array_distinct(starts)) / F.greatest(n, F.lit(1))
+    ).otherwise(F.lit(0.0))
 
 
 def with_scores(df, p: Profile, text: str = "text", rating: str = "rating", attempt: str = "attempt"):
     """df and all the scores of a profile; each is a column of its own, so that nothing is computed twice."""
     r, a = F.col(rating), F.col(attempt)
     pos, neg = polarity(F.col(text), p)
-    df = df.withColumns({"pos_score": pos, "neg_score": neg, "_sentences": T.long_sentences(F.col(text)), "found_generic": T.contained(F.lower(F.col(text)), p.phrases)})
+    df = df.withColumns(
+        {
+            "pos_score": pos, "neg_score": neg, "_sentences": T.long_sentences(F.col(text)),
+            "found_generic": T.contained(F.lower(F.col(text)), p.phrases),
+        }
+    )
     label, sure = sentiment(F.col("pos_score"), F.col("neg_score"), p)
-    df = df.withColumns({"sentiment": label, "confidence": sure, "expected_sentiment": expected(r), "sentiment_threshold": alignment_threshold(r, a, p), "repetition_score": repetition(F.col("_sentences")), "exclamation_ratio": T.exclamations(F.col(text)) / F.greatest(F.size("_sentences"), F.lit(1)), "generic_score": F.size("found_generic") / F.lit(float(len(p.phrases)))})
-    df = df.withColumns({"alignment_score": alignment(F.col("sentiment"), F.col("expected_sentiment"), F.col("confidence"), p), "is_generic": (F.size("found_generic") >= p.least_phrases) | ((F.col("repetition_score") > p.repetition) & (F.col("exclamation_ratio") > p.exclamation))})
-    df = df.withColumn("is_mismatch", mismatch(r, F.col("sentiment"), F.col("confidence"), F.col("alignment_score"), F.col("sentiment_threshold"), p))
+    df = df.withColumns(
+        {
+            "sentiment": label, "confidence": sure, "expected_sentiment": expected(r), "sentiment_threshold": alignment_threshold(r, a, p),
+            "repetition_score": repetition(F.col("_sentences")),
+            "exclamation_ratio": T.exclamations(F.col(text)) / F.greatest(F.size("_sentences"), F.lit(1)),
+            "generic_score": F.size("found_generic") / F.lit(float(len(p.phrases))),
+        }
+    )
+    df = df.withColumns(
+        {
+            "alignment_score": alignment(F.col("sentiment"), F.col("expected_sentiment"), F.col("confidence"), p),
+            "is_generic": (F.size("found_generic") >= p.least_phrases) | (
+                (F.col("repetition_score") > p.repetition) & (F.col("exclamation_ratio") > p.exclamation)
+            ),
+        }
+    )
+    df = df.withColumn(
+        "is_mismatch", mismatch(r, F.col("sentiment"), F.col("confidence"), F.col("alignment_score"), F.col("sentiment_threshold"), p)
+    )
     score = F.when(F.col("is_mismatch"), falling(*p.mismatch_weight, a) * F.col("confidence")).otherwise(F.lit(0.0))
     score = score + F.when(F.col("is_generic"), F.lit(p.generic_weight) * F.col("generic_score")).otherwise(F.lit(0.0))
     score = score + F.when(F.col("repetition_score") > 0.4, F.lit(p.repetition_weight)).otherwise(F.lit(0.0))
     df = df.withColumns({"raw_unrealistic": score, "reject_threshold": falling(*p.reject, a)})
-    return df.withColumns({"unrealistic_score": F.least(F.col("raw_unrealistic"), F.lit(1.0)), "is_unrealistic": F.col("raw_unrealistic") > F.col("reject_threshold")}).drop("_sentences")
+    return df.withColumns(
+        {
+            "unrealistic_score": F.least(F.col("raw_unrealistic"), F.lit(1.0)),
+            "is_unrealistic": F.col("raw_unrealistic") > F.col("reject_threshold"),
+        }
+    ).drop("_sentences")

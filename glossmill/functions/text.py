@@ -49,15 +49,21 @@ def tech_term_count(text: Column, terms: Sequence[str] = TECH_TERMS) -> Column:
 def ngrams(tokens: Column, n: int) -> Column:
     """The n-grams of an array of words, as arrays; none if there are fewer words."""
     size = F.size(tokens)
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.slice(tokens, i, n))).otherwise(F.array().cast("array<array<string>>"))
+    return F.when(
+        size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.slice(tokens, i, n))
+    ).otherwise(F.array().cast("array<array<string>>"))
 
 
 def ngram_hashes(tokens: Column, n: int, tagged: bool = False) -> Column:
     """128 bits for each n-gram (and n itself, if tagged): rows of this size are what is shuffled, not the words."""
     at = lambda i: [F.get(tokens, i + k) for k in range(n)]
     size = F.size(tokens)
-    pair = lambda i: F.struct(F.xxhash64(F.lit(n), *at(i)).alias("a"), F.xxhash64(F.lit(-n - 1), *at(i)).alias("b"), *([F.lit(n).alias("n")] if tagged else []))
-    return F.when(size >= n, F.transform(F.sequence(F.lit(0), size - n), pair)).otherwise(F.array().cast(f"array<struct<a:bigint,b:bigint{',n:int' if tagged else ''}>>"))
+    pair = lambda i: F.struct(
+        F.xxhash64(F.lit(n), *at(i)).alias("a"), F.xxhash64(F.lit(-n - 1), *at(i)).alias("b"), *([F.lit(n).alias("n")] if tagged else [])
+    )
+    return F.when(size >= n, F.transform(F.sequence(F.lit(0), size - n), pair)).otherwise(
+        F.array().cast(f"array<struct<a:bigint,b:bigint{',n:int' if tagged else ''}>>")
+    )
 
 
 def contains_count(lowered: Column, keywords: Sequence[str], weight: int = 1) -> Column:
@@ -110,5 +116,8 @@ def wait_seconds(message: Column, attempt: Column) -> Column:
     after = F.regexp_extract(message, r"Please try again in ([\s\S]*)", 1)
     ms = F.replace(F.element_at(F.split(after, "ms", -1), 1), F.lit(","), F.lit("")).try_cast("double") / 1000 + 0.5
     seconds = F.element_at(F.split(after, r"s\.", -1), 1).try_cast("double") + 0.5
-    named = F.when(F.contains(message, F.lit("Please try again in")), F.when(F.contains(message, F.lit("ms")), ms).when(F.contains(message, F.lit("s.")), seconds))
+    named = F.when(
+        F.contains(message, F.lit("Please try again in")),
+        F.when(F.contains(message, F.lit("ms")), ms).when(F.contains(message, F.lit("s.")), seconds),
+    )
     return F.coalesce(named, F.pow(F.lit(2.0), attempt))

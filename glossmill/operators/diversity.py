@@ -31,23 +31,37 @@ def bleu_parts(reviews: DataFrame) -> DataFrame:
     Texts are dealt by seq, so that a text's n-grams are counted where it is; then one shuffle of 128-bit n-grams
     finds the largest two, of which a task sends two rows each at most. Nothing is joined back.
     """
-    docs = reviews.select("seq", "text").repartition("seq").select("seq", T.words(F.col("text")).alias("w")).withColumn("len", F.size("w").cast("long"))
+    docs = reviews.select("seq", "text").repartition("seq").select(
+        "seq", T.words(F.col("text")).alias("w")
+    ).withColumn("len", F.size("w").cast("long"))
     every = F.concat(*[T.ngram_hashes(F.col("w"), n, tagged=True) for n in range(1, 5)])
     # plain columns: sorts compare the first hash by its prefix, which they can't do for a struct
-    rows = docs.select("seq", F.explode(every).alias("g")).select("seq", "g.a", "g.b", "g.n").groupBy("seq", "a", "b", "n").agg(F.count("*").alias("c"))
+    rows = docs.select(
+        "seq", F.explode(every).alias("g")
+    ).select("seq", "g.a", "g.b", "g.n").groupBy("seq", "a", "b", "n").agg(F.count("*").alias("c"))
     top = rows.withColumn("rank", F.row_number().over(Window.partitionBy("a", "b", "n").orderBy(F.desc("c"), "seq"))).filter("rank <= 2")
     first, second = F.col("rank") == 1, F.col("rank") == 2
-    leads = top.groupBy("a", "b", "n").agg(F.max(F.when(first, F.col("seq"))).alias("seq"), (F.max(F.when(first, F.col("c"))) - F.coalesce(F.max(F.when(second, F.col("c"))), F.lit(0))).alias("lead")).filter("lead > 0").select("seq", "n", "lead")
-    lost = leads.groupBy("seq").agg(*[F.coalesce(F.sum(F.when(F.col("n") == n, F.col("lead"))), F.lit(0)).alias(f"l{n}") for n in range(1, 5)])
+    leads = top.groupBy("a", "b", "n").agg(
+        F.max(F.when(first, F.col("seq"))).alias("seq"),
+        (F.max(F.when(first, F.col("c"))) - F.coalesce(F.max(F.when(second, F.col("c"))), F.lit(0))).alias("lead"),
+    ).filter("lead > 0").select("seq", "n", "lead")
+    lost = leads.groupBy("seq").agg(
+        *[F.coalesce(F.sum(F.when(F.col("n") == n, F.col("lead"))), F.lit(0)).alias(f"l{n}") for n in range(1, 5)]
+    )
     sizes = docs.select("seq", "len")
     per = sizes.groupBy("len").agg(F.count("*").alias("k"))
     by = Window.orderBy("len")  # a row for each different length
     near = per.select(F.col("len").alias("_len"), "k", F.lag("len").over(by).alias("lo"), F.lead("len").over(by).alias("hi"))
-    ref = F.when(F.col("k") > 1, F.col("_len")).when(F.col("lo").isNull(), F.col("hi")).when(F.col("hi").isNull(), F.col("lo")).when(F.col("hi") - F.col("_len") < F.col("_len") - F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
+    ref = F.when(F.col("k") > 1, F.col("_len")).when(F.col("lo").isNull(), F.col("hi")).when(F.col("hi").isNull(), F.col("lo")).when(
+        F.col("hi") - F.col("_len") < F.col("_len") - F.col("lo"), F.col("hi")
+    ).otherwise(F.col("lo"))
     refs = near.select("_len", ref.alias("ref"))
     out = sizes.join(lost, "seq", "left").join(refs, sizes["len"] == refs["_len"]).drop("_len")
     total = {f"t{n}": F.greatest(F.col("len") - (n - 1), F.lit(0)) for n in range(1, 5)}
-    return out.select("seq", "len", "ref", *[t.alias(k) for k, t in total.items()], *[(total[f"t{n}"] - F.coalesce(f"l{n}", F.lit(0))).alias(f"m{n}") for n in range(1, 5)])
+    return out.select(
+        "seq", "len", "ref", *[t.alias(k) for k, t in total.items()],
+        *[(total[f"t{n}"] - F.coalesce(f"l{n}", F.lit(0))).alias(f"m{n}") for n in range(1, 5)],
+    )
 
 
 def self_bleu_docs(reviews: DataFrame) -> DataFrame:
@@ -63,7 +77,9 @@ def self_bleu_docs(reviews: DataFrame) -> DataFrame:
 
 def self_bleu_diversity(reviews: DataFrame) -> DataFrame:
     """One row: 1 less the mean BLEU; 0 with fewer than two texts."""
-    return self_bleu_docs(reviews).agg(F.when(F.count("*") < 2, F.lit(0.0)).otherwise(F.lit(1.0) - F.avg("bleu")).alias("self_bleu_diversity"))
+    return self_bleu_docs(reviews).agg(
+        F.when(F.count("*") < 2, F.lit(0.0)).otherwise(F.lit(1.0) - F.avg("bleu")).alias("self_bleu_diversity")
+    )
 
 
 def tokens(reviews: DataFrame) -> DataFrame:
@@ -73,7 +89,9 @@ def tokens(reviews: DataFrame) -> DataFrame:
 def type_token(reviews: DataFrame) -> DataFrame:
     """One row: total_words, vocabulary_size, ttr. Words are counted in parts first: one row a word and task moves."""
     counts = tokens(reviews).groupBy("w").agg(F.count("*").alias("n"))
-    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_words"), F.count("*").alias("vocabulary_size")).withColumn("ttr", F.coalesce(F.try_divide(F.col("vocabulary_size").cast("double"), F.col("total_words").cast("double")), F.lit(0.0)))
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_words"), F.count("*").alias("vocabulary_size")).withColumn(
+        "ttr", F.coalesce(F.try_divide(F.col("vocabulary_size").cast("double"), F.col("total_words").cast("double")), F.lit(0.0))
+    )
 
 
 def mattr(reviews: DataFrame, window: int = MATTR_WINDOW, stride: int = MATTR_STRIDE) -> DataFrame:
@@ -103,7 +121,10 @@ def ngram_diversity(reviews: DataFrame, n: int) -> DataFrame:
     """One row: distinct over all n-grams, which don't cross texts; 0 without any."""
     docs = reviews.select(T.words(F.lower(F.col("text"))).alias("w"))  # a column of its own: cut once, not for each n-gram
     counts = docs.select(F.explode(T.ngram_hashes(F.col("w"), n)).alias("g")).groupBy("g").agg(F.count("*").alias("k"))
-    return counts.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("total"), F.count("*").alias("unique_ngrams")).select("total", "unique_ngrams", F.coalesce(F.try_divide(F.col("unique_ngrams").cast("double"), F.col("total").cast("double")), F.lit(0.0)).alias("diversity"))
+    return counts.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("total"), F.count("*").alias("unique_ngrams")).select(
+        "total", "unique_ngrams",
+        F.coalesce(F.try_divide(F.col("unique_ngrams").cast("double"), F.col("total").cast("double")), F.lit(0.0)).alias("diversity"),
+    )
 
 
 def unit(vectors: DataFrame, vector: str) -> DataFrame:
@@ -132,15 +153,30 @@ def cosine_moments(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
             n, own, fourth = n + len(x), own + sq.sum(), fourth + (sq * sq).sum()
             s, gram = (x.sum(0), x.T @ x) if s is None else (s + x.sum(0), gram + x.T @ x)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([own]), pa.array([fourth]), pa.array([s.tolist()], pa.list_(pa.float64())), pa.array([gram.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "own", "fourth", "s", "g"])
-
-    part = vectors.filter(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")).mapInArrow(parts, "n long, own double, fourth double, s array<double>, g array<double>")
-    add = lambda c: part.select(F.posexplode(c).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).agg(F.sum(F.col("x") * F.col("x")).alias(c))
-    one = part.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("own").alias("own"), F.sum("fourth").alias("fourth")).crossJoin(add("s")).crossJoin(add("g"))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([n], pa.int64()), pa.array([own]), pa.array([fourth]), pa.array([s.tolist()], pa.list_(pa.float64())),
+                    pa.array([gram.ravel().tolist()], pa.list_(pa.float64())),
+                ],
+                names=["n", "own", "fourth", "s", "g"],
+            )
+
+    part = vectors.filter(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")).mapInArrow(
+        parts, "n long, own double, fourth double, s array<double>, g array<double>"
+    )
+    add = lambda c: part.select(F.posexplode(c).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).agg(
+        F.sum(F.col("x") * F.col("x")).alias(c)
+    )
+    one = part.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("own").alias("own"), F.sum("fourth").alias("fourth")
+    ).crossJoin(add("s")).crossJoin(add("g"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     mean = F.try_divide((F.col("s") - F.col("own")) / 2, pairs)
     square = F.try_divide((F.col("g") - F.col("fourth")) / 2, pairs)
-    return one.select(pairs.cast("long").alias("pairs"), F.coalesce(mean, F.lit(0.0)).alias("avg_similarity"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std_similarity"))
+    return one.select(
+        pairs.cast("long").alias("pairs"), F.coalesce(mean, F.lit(0.0)).alias("avg_similarity"),
+        F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std_similarity"),
+    )
 
 
 #: Vectors that others are gathered around, at most: the driver holds an angle for each two of them.
@@ -164,11 +200,18 @@ def around_pivots(vectors: DataFrame, key: str, vector: str, block_rows: int) ->
             near = x @ pivots.T
             p = near.argmax(1)
             angle = np.arccos(np.clip(near[np.arange(len(x)), p], -1, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(p.astype(np.int32)), pa.array(angle)], names=["k", "v", "p", "angle"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("k"), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(p.astype(np.int32)), pa.array(angle)],
+                names=["k", "v", "p", "angle"],
+            )
 
     kind = kept.schema["k"].dataType.simpleString()
     rows = staged(kept.mapInArrow(nearest, f"k {kind}, v array<double>, p int, angle double"), "vectors-by-pivot")
-    stats = {r.p: (-(-r.n // block_rows), r.angle) for r in rows.groupBy("p").agg(F.count("*").alias("n"), F.max("angle").alias("angle")).collect()}  # PIVOTS rows
+    stats = {  # PIVOTS rows
+        r.p: (-(-r.n // block_rows), r.angle) for r in rows.groupBy("p").agg(
+            F.count("*").alias("n"), F.max("angle").alias("angle")
+        ).collect()
+    }
     parts = F.broadcast(rows.sparkSession.createDataFrame([(p, n) for p, (n, _) in stats.items()], "_p int, parts int"))
     rows = rows.join(parts, F.col("p") == F.col("_p")).select("k", "v", "p", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int").alias("s"))
     return rows, pivots, stats
@@ -212,9 +255,15 @@ def cosine_extremes(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     reach = radius[:, None] + radius[None, :] + 1e-7
     may = (np.cos(np.maximum(0, angle - reach)) > high) | (np.cos(np.minimum(np.pi, angle + reach)) < low)
     i, j = np.nonzero(np.triu(may))
-    pairs = spark.createDataFrame([(int(x), int(y), stats[x][0], stats[y][0]) for x, y in zip(places[i], places[j])], "i int, j int, n int, m int")
-    one = full.join(pairs, F.col("p") == F.col("i")).select("v", "i", "j", F.col("s").alias("a"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("b"), F.lit(True).alias("left"))
-    other = full.join(pairs, F.col("p") == F.col("j")).select("v", "i", "j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("a"), F.col("s").alias("b"), F.lit(False).alias("left"))
+    pairs = spark.createDataFrame(
+        [(int(x), int(y), stats[x][0], stats[y][0]) for x, y in zip(places[i], places[j])], "i int, j int, n int, m int"
+    )
+    one = full.join(pairs, F.col("p") == F.col("i")).select(
+        "v", "i", "j", F.col("s").alias("a"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("b"), F.lit(True).alias("left")
+    )
+    other = full.join(pairs, F.col("p") == F.col("j")).select(
+        "v", "i", "j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("a"), F.col("s").alias("b"), F.lit(False).alias("left")
+    )
     meet = one.unionByName(other).filter((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
     rest = meet.groupBy("i", "j", "a", "b").applyInArrow(block_extremes, "hi double, lo double")
     first = [(float(high) if np.isfinite(high) else None, float(low) if np.isfinite(low) else None)]
@@ -227,7 +276,9 @@ def cosine_extremes(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
 def overall(reviews: DataFrame, vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     """One row: each measure and their weighted sum."""
     one = self_bleu_diversity(reviews).crossJoin(cosine_moments(vectors, vector).select("avg_similarity")).crossJoin(type_token(reviews))
-    one = one.crossJoin(ngram_diversity(reviews, 2).select(F.col("diversity").alias("bigram_diversity"))).crossJoin(ngram_diversity(reviews, 3).select(F.col("diversity").alias("trigram_diversity"))).crossJoin(mattr(reviews))
+    one = one.crossJoin(ngram_diversity(reviews, 2).select(F.col("diversity").alias("bigram_diversity"))).crossJoin(
+        ngram_diversity(reviews, 3).select(F.col("diversity").alias("trigram_diversity"))
+    ).crossJoin(mattr(reviews))
     one = one.withColumn("semantic_diversity", F.lit(1.0) - F.col("avg_similarity"))
     w = WEIGHTS
     score = F.lit(w["self_bleu"]) * F.col("self_bleu_diversity") + F.lit(w["semantic"]) * F.col("semantic_diversity") + F.lit(w["ttr"]) * F.col("ttr") + F.lit(w["bigram"]) * F.col("bigram_diversity") + F.lit(w["trigram"]) * F.col("trigram_diversity")
@@ -259,7 +310,9 @@ def max_similarity_before(vectors: DataFrame, order: str = "vec_id", vector: str
 
     def earlier(x: np.ndarray, k: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
         """The largest cosine of each x with a y of a smaller key, in parts of bounded size."""
-        out = [np.where(j[None, :] < k[i : i + 512, None], x[i : i + 512] @ y.T, -np.inf).max(1) for i in range(0, len(x), 512)] if len(y) else []
+        out = [
+            np.where(j[None, :] < k[i : i + 512, None], x[i : i + 512] @ y.T, -np.inf).max(1) for i in range(0, len(x), 512)
+        ] if len(y) else []
         return np.concatenate(out) if out else np.full(len(x), -np.inf)
 
     def own(table: pa.Table) -> pa.Table:
@@ -270,23 +323,39 @@ def max_similarity_before(vectors: DataFrame, order: str = "vec_id", vector: str
             may = (np.cos(np.maximum(0, angle - radius - 1e-7)) > best[i : i + 512, None]) & (first[None, :] < k[i : i + 512, None])
             may[:, p] &= several[p]
             to += [np.flatnonzero(row).tolist() for row in may]
-        return pa.table({"k": table.column("k"), "v": table.column("v"), "p": table.column("p"), "s": table.column("s"), "best": pa.array(best), "to": pa.array(to, pa.list_(pa.int32()))})
-
-    found = staged(full.groupBy("p", "s").applyInArrow(own, "k long, v array<double>, p int, s int, best double, to array<int>"), "cosines-in-blocks")
-    asked = found.filter(F.size("to") > 0).select("k", "v", F.col("p").alias("from_p"), F.col("s").alias("from_s"), F.explode("to").alias("q"))
+        return pa.table(
+            {
+                "k": table.column("k"), "v": table.column("v"), "p": table.column("p"), "s": table.column("s"), "best": pa.array(best),
+                "to": pa.array(to, pa.list_(pa.int32())),
+            }
+        )
+
+    found = staged(
+        full.groupBy("p", "s").applyInArrow(own, "k long, v array<double>, p int, s int, best double, to array<int>"), "cosines-in-blocks"
+    )
+    asked = found.filter(F.size("to") > 0).select(
+        "k", "v", F.col("p").alias("from_p"), F.col("s").alias("from_s"), F.explode("to").alias("q")
+    )
     times = {r.q: r.n for r in asked.groupBy("q").agg(F.count("*").alias("n")).collect()}  # PIVOTS rows
     known = [(int(q), stats[q][0], -(-m // (16 * block_rows))) for q, m in times.items()]
     parts = F.broadcast(spark.createDataFrame(known, "_q int, parts int, copies int"))
     here = lambda df, of: df.join(parts, F.col(of) == F.col("_q"))
-    asks = here(asked, "q").select("k", "v", "from_p", "from_s", "q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"), F.pmod(F.xxhash64("k"), F.col("copies")).cast("int").alias("c"), F.lit(True).alias("asks"))
+    asks = here(asked, "q").select(
+        "k", "v", "from_p", "from_s", "q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"),
+        F.pmod(F.xxhash64("k"), F.col("copies")).cast("int").alias("c"), F.lit(True).alias("asks"),
+    )
     asks = asks.filter((F.col("from_p") != F.col("q")) | (F.col("from_s") != F.col("s"))).drop("from_p", "from_s")
-    holds = here(full, "p").select("k", "v", F.col("p").alias("q"), "s", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("c"), F.lit(False).alias("asks"))
+    holds = here(full, "p").select(
+        "k", "v", F.col("p").alias("q"), "s", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("c"), F.lit(False).alias("asks")
+    )
 
     def others(table: pa.Table) -> pa.Table:
         x, k, ask = matrix(table.column("v"), table.num_rows), table.column("k").to_numpy(), table.column("asks").to_numpy()
         return pa.table({"k": pa.array(k[ask], pa.int64()), "best": pa.array(earlier(x[ask], k[ask], x[~ask], k[~ask]))})
 
-    every = found.select("k", "best").unionByName(asks.unionByName(holds).groupBy("q", "s", "c").applyInArrow(others, "k long, best double"))
+    every = found.select("k", "best").unionByName(
+        asks.unionByName(holds).groupBy("q", "s", "c").applyInArrow(others, "k long, best double")
+    )
     best = every.groupBy("k").agg(F.max("best").alias("best")).select("k", F.when(F.col("best") > -2, F.col("best")).alias("best"))
     after = lambda key: F.lit(False) if key is None else F.col("k") > key
     best = best.withColumn("best", F.when(after(ends["zero"]), F.greatest("best", F.lit(0.0))).otherwise(F.col("best")))
@@ -294,18 +363,25 @@ def max_similarity_before(vectors: DataFrame, order: str = "vec_id", vector: str
     return best.select(F.col("k").alias(order), F.col("best").alias("max_similarity"))
 
 
-def history_check(reviews: DataFrame, vectors: DataFrame, order: str = "seq", min_unique: int = 50, max_similarity: float = 0.8) -> DataFrame:
+def history_check(
+    reviews: DataFrame, vectors: DataFrame, order: str = "seq", min_unique: int = 50, max_similarity: float = 0.8
+) -> DataFrame:
     """order, n_unique, max_similarity, reason, passed: enough different words, and not too close to any earlier text
     (failed ones too). vectors: order and embedding of each text."""
     near = max_similarity_before(vectors, order)
     rows = reviews.withColumn("n_unique", T.unique_word_count(F.col("text"))).join(near, order, "left")
-    close = F.when(F.col("max_similarity") > max_similarity, F.concat(F.lit("Too similar to previous reviews: "), T.fixed(F.col("max_similarity"), 2), F.lit(f" > {max_similarity}")))
+    close = F.when(
+        F.col("max_similarity") > max_similarity,
+        F.concat(F.lit("Too similar to previous reviews: "), T.fixed(F.col("max_similarity"), 2), F.lit(f" > {max_similarity}")),
+    )
     few = F.when(F.col("n_unique") < min_unique, F.format_string(f"Insufficient unique words: %d < {min_unique}", F.col("n_unique")))
     rows = rows.withColumn("reason", F.coalesce(close, few))
     return rows.select(order, "n_unique", "max_similarity", "reason", F.col("reason").isNull().alias("passed"))
 
 
-def validate_dataset(reviews: DataFrame, vectors: DataFrame, target: dict[int, float] | None = None, critical: float = 9.488, least: float = 0.6) -> DataFrame:
+def validate_dataset(
+    reviews: DataFrame, vectors: DataFrame, target: dict[int, float] | None = None, critical: float = 9.488, least: float = 0.6
+) -> DataFrame:
     """One row: dataset_size, overall_score, chi2 of the ratings against a target distribution, is_biased, passed.
 
     chi2 is held against the 5 % point of 4 degrees of freedom; without a target nothing is biased.
@@ -316,4 +392,7 @@ def validate_dataset(reviews: DataFrame, vectors: DataFrame, target: dict[int, f
         want = F.col("dataset_size") * F.lit(float(share))
         chi2 = chi2 + F.coalesce(F.try_divide((F.col(f"n{r}") - want) * (F.col(f"n{r}") - want), want), F.lit(0.0))
     one = counts.withColumn("chi2", chi2).crossJoin(overall(reviews, vectors).select("overall_score"))
-    return one.select("dataset_size", "overall_score", "chi2", (F.col("chi2") > critical).alias("is_biased"), ((F.col("chi2") <= critical) & (F.col("overall_score") > least)).alias("passed"))
+    return one.select(
+        "dataset_size", "overall_score", "chi2", (F.col("chi2") > critical).alias("is_biased"),
+        ((F.col("chi2") <= critical) & (F.col("overall_score") > least)).alias("passed"),
+    )

@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame
 KINDS = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
-def in_order(rows: DataFrame, key: str, order: Sequence[str], values: Sequence[str], start: Callable[[], object], step: Callable[..., tuple], made: dict[str, str]) -> DataFrame:
+def in_order(
+    rows: DataFrame, key: str, order: Sequence[str], values: Sequence[str], start: Callable[[], object], step: Callable[..., tuple],
+    made: dict[str, str],
+) -> DataFrame:
     """rows' key, order and values columns, and what step makes of them: step(state, *values) gives the next state and
     a tuple of results (made: their names and kinds). start() is the state that each key begins with.
 

@@ -42,17 +42,31 @@ def reasons(t: Thresholds, breaker: Column) -> Column:
         F.when(c("is_unrealistic") & ~breaker, F.concat(F.lit("Unrealistic patterns (score: "), T.fixed(c("unrealistic_score"), 2), F.lit(")"))),
     ]
     if t.min_sentiment_alignment is not None:
-        gates.append(F.when(c("alignment_score") < t.min_sentiment_alignment, F.concat(F.lit("Low sentiment alignment ("), T.fixed(c("alignment_score"), 2), F.lit(")"))))
+        gates.append(
+            F.when(
+                c("alignment_score") < t.min_sentiment_alignment,
+                F.concat(F.lit("Low sentiment alignment ("), T.fixed(c("alignment_score"), 2), F.lit(")")),
+            )
+        )
     if t.min_diversity_score is not None:
-        gates.append(F.when(c("self_bleu_diversity") < t.min_diversity_score, F.concat(F.lit("Low diversity ("), T.fixed(c("self_bleu_diversity"), 2), F.lit(")"))))
+        gates.append(
+            F.when(
+                c("self_bleu_diversity") < t.min_diversity_score,
+                F.concat(F.lit("Low diversity ("), T.fixed(c("self_bleu_diversity"), 2), F.lit(")")),
+            )
+        )
     if t.min_realism_score is not None:
-        gates.append(F.when(c("realism_score") < t.min_realism_score, F.concat(F.lit("Low realism ("), T.fixed(c("realism_score"), 2), F.lit(")"))))
+        gates.append(
+            F.when(c("realism_score") < t.min_realism_score, F.concat(F.lit("Low realism ("), T.fixed(c("realism_score"), 2), F.lit(")")))
+        )
     return F.array_compact(F.array(*gates))
 
 
 def scored(reviews: DataFrame, profile: S.Profile) -> DataFrame:
     """reviews (text, rating, attempt, self_bleu_diversity) with all scores that the gates ask for."""
-    return S.with_scores(reviews, profile).withColumns({"n_words": T.word_count(F.col("text")), "n_unique": T.unique_word_count(F.col("text"))})
+    return S.with_scores(reviews, profile).withColumns(
+        {"n_words": T.word_count(F.col("text")), "n_unique": T.unique_word_count(F.col("text"))}
+    )
 
 
 def gated(rows: DataFrame, t: Thresholds, breaker: Column | None = None) -> DataFrame:
@@ -97,7 +111,9 @@ def is_judge_error(reasons: Column) -> Column:
 def history(reasons: Column, count: Column, before: Column) -> Column:
     """The classes of a candidate's failures so far, with those that this round adds: one for a failure of the judge,
     then the class of the first reason; rounds before the third add none."""
-    own = F.array_compact(F.array(F.when(is_judge_error(reasons), "llm_judge_error"), F.when(F.size(reasons) > 0, issue_class(F.get(reasons, F.lit(0))))))
+    own = F.array_compact(
+        F.array(F.when(is_judge_error(reasons), "llm_judge_error"), F.when(F.size(reasons) > 0, issue_class(F.get(reasons, F.lit(0)))))
+    )
     return F.when(count >= 2, F.concat(before, own)).otherwise(before)
 
 
@@ -115,12 +131,17 @@ def decide(rows: DataFrame, t: Thresholds) -> DataFrame:
     attempts, which is capped for hard ratings.
     """
     c = F.col
-    most = F.when(c("rating").isin(*HARD_RATINGS), F.least(F.lit(t.max_regeneration_attempts), F.lit(HARD_ATTEMPTS))).otherwise(F.lit(t.max_regeneration_attempts))
+    most = F.when(
+        c("rating").isin(*HARD_RATINGS), F.least(F.lit(t.max_regeneration_attempts), F.lit(HARD_ATTEMPTS))
+    ).otherwise(F.lit(t.max_regeneration_attempts))
     error = is_judge_error(c("reasons")) & (c("count") >= 2)
     with_error = F.when(error, F.concat(c("history"), F.array(F.lit("llm_judge_error")))).otherwise(c("history"))
     rows = rows.withColumn("_e", with_error).withColumn("_h", history(c("reasons"), c("count"), c("history")))
     judge_loop = error & (F.size(F.filter(last(c("_e"), 3), lambda x: x == "llm_judge_error")) >= 2)
-    stuck = F.when((F.size("reasons") > 0) & (c("count") >= 2) & (F.size("_h") >= 3) & (F.size(F.array_distinct(last(c("_h"), 3))) == 1), F.element_at("_h", -1))
+    stuck = F.when(
+        (F.size("reasons") > 0) & (c("count") >= 2) & (F.size("_h") >= 3) & (F.size(F.array_distinct(last(c("_h"), 3))) == 1),
+        F.element_at("_h", -1),
+    )
     rows = rows.withColumns({"_loop": judge_loop, "_stuck": stuck})
     decision = (
         F.when(c("_loop"), "accept")
@@ -130,12 +151,20 @@ def decide(rows: DataFrame, t: Thresholds) -> DataFrame:
         .when(c("count") < most, "regenerate")
         .otherwise("reject")
     )
-    return rows.withColumns({"decision": decision, "forced": c("_loop") | (c("_stuck").isNotNull() & (c("_stuck") != "llm_judge_error")), "history": F.when(c("_loop"), c("_e")).otherwise(c("_h"))}).drop("_e", "_h", "_loop", "_stuck")
+    return rows.withColumns(
+        {
+            "decision": decision, "forced": c("_loop") | (c("_stuck").isNotNull() & (c("_stuck") != "llm_judge_error")),
+            "history": F.when(c("_loop"), c("_e")).otherwise(c("_h")),
+        }
+    ).drop("_e", "_h", "_loop", "_stuck")
 
 
 def feedback(retry: Column, judge_off: Column, reasons: Column, judge_feedback: Column) -> Column:
     """What a retry is told: the reasons, or the judge's words if there are any."""
-    return F.when(retry > 0, F.when(judge_off, F.when(F.size(reasons) > 0, F.array_join(reasons, " | "))).otherwise(F.nullif(judge_feedback, F.lit(""))))
+    return F.when(
+        retry > 0,
+        F.when(judge_off, F.when(F.size(reasons) > 0, F.array_join(reasons, " | "))).otherwise(F.nullif(judge_feedback, F.lit(""))),
+    )
 
 
 def validate(reviews: DataFrame, profile: S.Profile) -> DataFrame:

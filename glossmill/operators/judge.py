@@ -37,16 +37,26 @@ def parse(replies: DataFrame, reply: str = "reply", criterion: str = "criterion"
     text = stripped(F.col(reply))
     rows = replies.withColumn("_t", F.when(F.length(F.col(reply)) > 0, text))
     t, key = F.col("_t"), F.concat(F.col(criterion), F.lit("_score"))
-    tries = {"_1": t, "_2": F.when(F.contains(t, F.lit("```json")), fenced(t, "```json")), "_3": F.when(F.contains(t, F.lit("```")), fenced(t, "```")), "_4": F.nullif(F.regexp_extract(t, OBJECT, 0), F.lit(""))}
+    tries = {
+        "_1": t, "_2": F.when(F.contains(t, F.lit("```json")), fenced(t, "```json")),
+        "_3": F.when(F.contains(t, F.lit("```")), fenced(t, "```")), "_4": F.nullif(F.regexp_extract(t, OBJECT, 0), F.lit("")),
+    }
     as_map = lambda c: F.from_json(c, "map<string,string>", {"mode": "PERMISSIVE"})
     rows = rows.withColumns({k: F.when(F.startswith(c, F.lit("{")) & F.try_parse_json(c).isNotNull(), as_map(c)) for k, c in tries.items()})
     whole = lambda k: F.map_contains_key(k, key) & F.map_contains_key(k, F.lit("decision"))
-    rows = rows.withColumn("_j", F.when(whole("_1"), F.struct(F.lit(1).alias("s"), F.col("_1").alias("m"))).when(whole("_2"), F.struct(F.lit(2).alias("s"), F.col("_2").alias("m"))).when(whole("_3"), F.struct(F.lit(3).alias("s"), F.col("_3").alias("m"))).when(whole("_4"), F.struct(F.lit(4).alias("s"), F.col("_4").alias("m"))))
+    rows = rows.withColumn(
+        "_j",
+        F.when(whole("_1"), F.struct(F.lit(1).alias("s"), F.col("_1").alias("m"))).when(whole("_2"), F.struct(F.lit(2).alias("s"), F.col("_2").alias("m"))).when(whole("_3"), F.struct(F.lit(3).alias("s"), F.col("_3").alias("m"))).when(
+            whole("_4"), F.struct(F.lit(4).alias("s"), F.col("_4").alias("m"))
+        ),
+    )
     # strategy 5: pairs of any *_score; the last of a key counts; needs the criterion's score (or none at all) and a decision
     names = F.regexp_extract_all(t, F.lit(r'(?i)"?(\w+_score)"?\s*[:=]\s*(\d+\.?\d*)'), F.lit(1))
     values = F.regexp_extract_all(t, F.lit(r'(?i)"?(\w+_score)"?\s*[:=]\s*(\d+\.?\d*)'), F.lit(2))
     own = F.filter(F.arrays_zip(names.alias("k"), values.alias("v")), lambda p: p["k"] == key)
-    found = F.when(F.size(own) > 0, F.element_at(own, -1)["v"].cast("double")).when(F.size(F.filter(names, lambda n: F.endswith(n, F.lit("_score")))) == 0, F.lit(7.0))
+    found = F.when(F.size(own) > 0, F.element_at(own, -1)["v"].cast("double")).when(
+        F.size(F.filter(names, lambda n: F.endswith(n, F.lit("_score")))) == 0, F.lit(7.0)
+    )
     said = F.upper(F.nullif(F.regexp_extract(t, r'(?i)"?decision"?\s*[:=]\s*"?(PASS|FAIL)"?', 1), F.lit("")))
     words = F.nullif(F.regexp_extract(t, r'(?i)"?feedback"?\s*[:=]\s*"([^"]+)"', 1), F.lit(""))
     rows = rows.withColumns({"_v": found, "_d": said, "_f": words})
@@ -93,18 +103,26 @@ def authenticity_fallback(text: Column) -> dict[str, Column]:
 def alignment_fallback(text: Column, rating: Column) -> Column:
     low = F.lower(text)
     pos, neg = T.contains_count(low, FALLBACK_POSITIVE), T.contains_count(low, FALLBACK_NEGATIVE)
-    return F.when((rating >= 4) & (pos > neg), F.least(F.lit(9), pos + 6)).when((rating <= 2) & (neg > pos), F.least(F.lit(9), neg + 6)).when(rating == 3, F.lit(7)).otherwise(F.lit(5)).cast("double")
+    return F.when((rating >= 4) & (pos > neg), F.least(F.lit(9), pos + 6)).when(
+        (rating <= 2) & (neg > pos), F.least(F.lit(9), neg + 6)
+    ).when(rating == 3, F.lit(7)).otherwise(F.lit(5)).cast("double")
 
 
 def expertise_fallback(text: Column) -> dict[str, Column]:
     n = T.contains_count(F.lower(text), FALLBACK_TECHNICAL)
-    return {"expertise_score": F.least(F.lit(9.0), F.lit(5.0) + n * F.lit(0.5)), "technical_accuracy": F.least(F.lit(9.0), F.lit(5.0) + n * F.lit(0.4)), "domain_knowledge": F.least(F.lit(9.0), F.lit(5.0) + n * F.lit(0.3))}
+    return {
+        "expertise_score": F.least(F.lit(9.0), F.lit(5.0) + n * F.lit(0.5)),
+        "technical_accuracy": F.least(F.lit(9.0), F.lit(5.0) + n * F.lit(0.4)),
+        "domain_knowledge": F.least(F.lit(9.0), F.lit(5.0) + n * F.lit(0.3)),
+    }
 
 
 def mean_overlap(words: Column, before: Column) -> Column:
     """The mean share of words that each of the texts before has too (all as distinct words); null if there is none,
     texts without words left out."""
-    shares = F.transform(F.filter(before, lambda b: (F.size(b) > 0) & (F.size(words) > 0)), lambda b: F.size(F.array_intersect(words, b)) / F.size(words))
+    shares = F.transform(
+        F.filter(before, lambda b: (F.size(b) > 0) & (F.size(words) > 0)), lambda b: F.size(F.array_intersect(words, b)) / F.size(words)
+    )
     total = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
     return F.when(F.size(before) == 0, F.lit(None)).when(F.size(shares) == 0, F.lit(0.0)).otherwise(total / F.size(shares))
 
@@ -113,11 +131,15 @@ def last_overlaps(reviews: DataFrame, by: list[str], order: str, k: int = 5) ->
     """reviews with avg_overlap: the mean share of a text's words that each of the k texts before it has too; null for
     the first. A frame of k rows is all that a row needs."""
     frame = Window.partitionBy(*by).orderBy(order).rowsBetween(-k, -1)
-    rows = reviews.withColumn("_w", F.array_distinct(T.words(F.lower(F.col("text"))))).withColumn("_before", F.collect_list("_w").over(frame))
+    rows = reviews.withColumn(
+        "_w", F.array_distinct(T.words(F.lower(F.col("text"))))
+    ).withColumn("_before", F.collect_list("_w").over(frame))
     return rows.withColumn("avg_overlap", mean_overlap(F.col("_w"), F.col("_before"))).drop("_w", "_before")
 
 
-def context(reviews: DataFrame, by: list[str], order: str, last: int = 10, shown: int = 3, chars: int = 200, out: str = "before") -> DataFrame:
+def context(
+    reviews: DataFrame, by: list[str], order: str, last: int = 10, shown: int = 3, chars: int = 200, out: str = "before"
+) -> DataFrame:
     """reviews with the context of a uniqueness prompt: of the last texts before each, the first that are shown, each cut
     to chars. Texts are cut before the frame gathers them, so a row holds last * chars characters of others at most."""
     frame = Window.partitionBy(*by).orderBy(order).rowsBetween(-last, -1)
@@ -152,13 +174,20 @@ def consensus(primary: DataFrame, secondary: DataFrame, keys: list[str]) -> Data
     p = primary.select(*keys, "criterion", F.col("decision").alias("_p"))
     s = secondary.select(*keys, "criterion", F.col("decision").alias("_s"))
     both = p.join(s, [*keys, "criterion"]).filter(F.col("_p").isNotNull() & F.col("_s").isNotNull())
-    return both.groupBy(*keys).agg(F.avg((F.col("_p") == F.col("_s")).cast("double")).alias("agreement_rate"), F.count_if(F.col("_p") == F.col("_s")).alias("agreed_count"), F.count("*").alias("total_comparisons"))
+    return both.groupBy(*keys).agg(
+        F.avg((F.col("_p") == F.col("_s")).cast("double")).alias("agreement_rate"),
+        F.count_if(F.col("_p") == F.col("_s")).alias("agreed_count"), F.count("*").alias("total_comparisons"),
+    )
 
 
 def joined_feedback(results: DataFrame, keys: list[str]) -> DataFrame:
     """keys, feedback of all criteria in their order, each with its decision and whether it is a stand-in's."""
     order = F.array_position(F.array(*[F.lit(c) for c in CRITERIA]), F.col("criterion"))
-    said = F.concat(F.initcap("criterion"), F.lit(" ["), F.coalesce("decision", F.lit("UNKNOWN")), F.lit("]"), F.when(F.coalesce("fallback", F.lit(False)), F.lit(" [FALLBACK]")).otherwise(F.lit("")), F.lit(": "), F.coalesce("feedback", F.lit("No feedback")))
+    said = F.concat(
+        F.initcap("criterion"), F.lit(" ["), F.coalesce("decision", F.lit("UNKNOWN")), F.lit("]"),
+        F.when(F.coalesce("fallback", F.lit(False)), F.lit(" [FALLBACK]")).otherwise(F.lit("")), F.lit(": "),
+        F.coalesce("feedback", F.lit("No feedback")),
+    )
     rows = F.sort_array(F.collect_list(F.struct(order.alias("o"), said.alias("t"))))
     return results.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r["t"]), " | ").alias("feedback"))
 
@@ -167,11 +196,28 @@ def gate(verdicts: DataFrame, min_score: float) -> DataFrame:
     """verdicts (with individual feedback by criterion in dimension_feedback, and feedback) with judge_reasons."""
     c = F.col
     low = F.filter(F.map_entries("dimension_scores"), lambda e: e["value"] < 0.6)
-    detail = F.transform(low, lambda e: F.concat(e["key"], F.lit("("), T.fixed(e["value"], 1), F.lit("): "), F.coalesce(F.element_at("dimension_feedback", e["key"]), F.lit("Score too low"))))
-    failed = F.when(c("final_decision") != "PASS", F.concat(F.lit("Failed LLM Judge: "), F.when(F.size(detail) > 0, F.array_join(detail, " | ")).otherwise(F.coalesce("feedback", F.lit("Overall score too low")))))
-    weak = F.when((c("overall_score") < min_score) & (c("final_decision") != "PASS"), F.concat(F.lit("LLM Judge score too low: "), T.fixed(c("overall_score"), 2), F.lit(f" (min: {min_score})")))
+    detail = F.transform(
+        low,
+        lambda e: F.concat(
+            e["key"], F.lit("("), T.fixed(e["value"], 1), F.lit("): "),
+            F.coalesce(F.element_at("dimension_feedback", e["key"]), F.lit("Score too low")),
+        ),
+    )
+    failed = F.when(
+        c("final_decision") != "PASS",
+        F.concat(
+            F.lit("Failed LLM Judge: "),
+            F.when(F.size(detail) > 0, F.array_join(detail, " | ")).otherwise(F.coalesce("feedback", F.lit("Overall score too low"))),
+        ),
+    )
+    weak = F.when(
+        (c("overall_score") < min_score) & (c("final_decision") != "PASS"),
+        F.concat(F.lit("LLM Judge score too low: "), T.fixed(c("overall_score"), 2), F.lit(f" (min: {min_score})")),
+    )
     errors = F.format_string("LLM Judge evaluation failed (%d errors) - possible API issue", c("errors_count"))
-    return verdicts.withColumn("judge_reasons", F.when(c("errors_count") >= 3, F.array(errors)).otherwise(F.array_compact(F.array(failed, weak))))
+    return verdicts.withColumn(
+        "judge_reasons", F.when(c("errors_count") >= 3, F.array(errors)).otherwise(F.array_compact(F.array(failed, weak)))
+    )
 
 
 def usable_score(skipped: Column, errors: Column, overall: Column) -> Column:
@@ -184,4 +230,9 @@ def parse_simple(replies: DataFrame, reply: str = "reply") -> DataFrame:
     body = F.coalesce(F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit("")), F.col(reply))
     ok = F.try_parse_json(body).isNotNull()
     m = F.when(ok, F.from_json(body, "overall_score double, passed boolean"))
-    return replies.withColumn("_m", m).withColumns({"overall_score": F.col("_m.overall_score"), "passed": F.when(ok, F.col("_m.passed")).otherwise(F.lit(False)), "error": F.when(~F.coalesce(ok, F.lit(False)), "Failed to parse evaluation")}).drop("_m")
+    return replies.withColumn("_m", m).withColumns(
+        {
+            "overall_score": F.col("_m.overall_score"), "passed": F.when(ok, F.col("_m.passed")).otherwise(F.lit(False)),
+            "error": F.when(~F.coalesce(ok, F.lit(False)), "Failed to parse evaluation"),
+        }
+    ).drop("_m")

@@ -27,12 +27,21 @@ def model_rollup(rows: DataFrame) -> DataFrame:
         F.coalesce(F.avg(F.when(ok, F.col("quality_score"))), F.lit(0.0)).alias("avg_quality_score"), F.coalesce(F.avg(F.when(ok, F.col("judge_score"))), F.lit(0.0)).alias("avg_llm_judge_score"),
     )
     each = lambda c: F.coalesce(F.try_divide(c, F.col("samples_generated").cast("double")), F.lit(0.0))
-    return per.withColumns({"acceptance_rate": each(F.col("samples_accepted").cast("double")), "avg_time_per_sample": each(F.col("total_time")), "cost_per_sample": each(F.col("total_cost"))})
+    return per.withColumns(
+        {
+            "acceptance_rate": each(F.col("samples_accepted").cast("double")), "avg_time_per_sample": each(F.col("total_time")),
+            "cost_per_sample": each(F.col("total_cost")),
+        }
+    )
 
 
 def totals(rows: DataFrame) -> DataFrame:
     """One row for the whole run."""
-    return rows.agg(F.count("*").alias("total_generated"), F.count_if("accepted").alias("total_accepted"), F.count_if(~F.col("accepted")).alias("total_rejected"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("total_cost"), F.coalesce(F.sum("time"), F.lit(0.0)).alias("total_time")).withColumn("success_rate", F.coalesce(F.try_divide(F.col("total_accepted").cast("double"), F.col("total_generated").cast("double")), F.lit(0.0)))
+    return rows.agg(
+        F.count("*").alias("total_generated"), F.count_if("accepted").alias("total_accepted"),
+        F.count_if(~F.col("accepted")).alias("total_rejected"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("total_cost"),
+        F.coalesce(F.sum("time"), F.lit(0.0)).alias("total_time"),
+    ).withColumn("success_rate", F.coalesce(F.try_divide(F.col("total_accepted").cast("double"), F.col("total_generated").cast("double")), F.lit(0.0)))
 
 
 def best_model(rollup: DataFrame) -> DataFrame:
@@ -43,12 +52,16 @@ def best_model(rollup: DataFrame) -> DataFrame:
 
 def reason_histogram(rows: DataFrame, order: str = "seq") -> DataFrame:
     """reason, n, first_seen (the least order) of arrays of reasons."""
-    return rows.select(order, F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"), F.min(order).alias("first_seen"))
+    return rows.select(order, F.explode("reasons").alias("reason")).groupBy("reason").agg(
+        F.count("*").alias("n"), F.min(order).alias("first_seen")
+    )
 
 
 def top_reasons(histogram: DataFrame, rejected: Column, k: int = 10) -> DataFrame:
     """The k most frequent reasons, earlier ones first among equals, with their percentage of the rejected rows."""
-    return histogram.orderBy(F.desc("n"), "first_seen", "reason").limit(k).withColumn("pct", F.when(rejected > 0, F.col("n") / rejected * 100).otherwise(F.lit(0.0)))
+    return histogram.orderBy(F.desc("n"), "first_seen", "reason").limit(k).withColumn(
+        "pct", F.when(rejected > 0, F.col("n") / rejected * 100).otherwise(F.lit(0.0))
+    )
 
 
 def rating_distribution(rows: DataFrame) -> DataFrame:
@@ -58,14 +71,20 @@ def rating_distribution(rows: DataFrame) -> DataFrame:
     stars = spark.range(1, 6).select(F.col("id").cast("int").alias("rating"))
     total = rows.agg(F.count("*").alias("total"))
     joined = stars.join(counts, stars["rating"] == counts["_r"], "left").crossJoin(total)
-    return joined.select("rating", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.try_divide(F.coalesce("n", F.lit(0)).cast("double") * 100, F.col("total").cast("double")), F.lit(0.0)).alias("pct"))
+    return joined.select(
+        "rating", F.coalesce("n", F.lit(0)).alias("n"),
+        F.coalesce(F.try_divide(F.coalesce("n", F.lit(0)).cast("double") * 100, F.col("total").cast("double")), F.lit(0.0)).alias("pct"),
+    )
 
 
 def distribution_check(weights: DataFrame, low: float = 0.99, high: float = 1.01) -> DataFrame:
     """weights (name, weight) with share_pct, and whether all of them sum to 1, within the load's and the exact bounds.
     A distribution has a row a category."""
     total = weights.agg(F.sum("weight").alias("total"))
-    return weights.crossJoin(F.broadcast(total)).select("name", "weight", F.coalesce(F.try_divide(F.col("weight") * 100, F.col("total")), F.lit(0.0)).alias("share_pct"), F.col("total").between(low, high).alias("loads"), (F.abs(F.col("total") - 1) < 1e-6).alias("exact"))
+    return weights.crossJoin(F.broadcast(total)).select(
+        "name", "weight", F.coalesce(F.try_divide(F.col("weight") * 100, F.col("total")), F.lit(0.0)).alias("share_pct"),
+        F.col("total").between(low, high).alias("loads"), (F.abs(F.col("total") - 1) < 1e-6).alias("exact"),
+    )
 
 
 def running_means(rows: DataFrame, order: str, columns: list[str]) -> DataFrame:
@@ -91,7 +110,10 @@ def pass_rate_parity(passes: DataFrame, by: str, order: str, flag: str) -> DataF
 
 
 #: Prices of models (input, output), and those of a family's unknown models.
-PER_THOUSAND = {"gpt-4": (0.03, 0.06), "gpt-4-turbo": (0.01, 0.03), "gpt-3.5-turbo": (0.0015, 0.002), "gpt-4o": (0.0025, 0.01), "gpt-4o-mini": (0.00015, 0.0006)}
+PER_THOUSAND = {
+    "gpt-4": (0.03, 0.06), "gpt-4-turbo": (0.01, 0.03), "gpt-3.5-turbo": (0.0015, 0.002), "gpt-4o": (0.0025, 0.01),
+    "gpt-4o-mini": (0.00015, 0.0006),
+}
 PER_THOUSAND_DEFAULT, BATCH_FACTOR = (0.01, 0.03), 0.5
 PER_MILLION = {"gemini-2.0-flash-exp": (0.0, 0.0), "gemini-pro": (0.5, 1.5)}
 PER_MILLION_DEFAULT = (0.5, 1.5)
@@ -107,12 +129,20 @@ def price(model: Column, prices: dict[str, tuple[float, float]], default: tuple[
 
 def cost(provider: Column, model: Column, tokens_in: Column, tokens_out: Column, batch: Column, reported: Column | None = None) -> Column:
     """Cost of a call: by thousand tokens (half in a batch), by million, by token, or a router's own figure or estimate."""
-    openai = (tokens_in / F.lit(1000.0)) * price(model, PER_THOUSAND, PER_THOUSAND_DEFAULT, 0) + (tokens_out / F.lit(1000.0)) * price(model, PER_THOUSAND, PER_THOUSAND_DEFAULT, 1)
-    gemini = (tokens_in / F.lit(1_000_000.0)) * price(model, PER_MILLION, PER_MILLION_DEFAULT, 0) + (tokens_out / F.lit(1_000_000.0)) * price(model, PER_MILLION, PER_MILLION_DEFAULT, 1)
-    router = F.when(F.contains(model, F.lit(":free")), F.lit(0.0)).otherwise((tokens_in * F.lit(ROUTER_INPUT) + tokens_out * F.lit(ROUTER_OUTPUT)) / F.lit(1000.0))
+    openai = (tokens_in / F.lit(1000.0)) * price(model, PER_THOUSAND, PER_THOUSAND_DEFAULT, 0) + (tokens_out / F.lit(1000.0)) * price(
+        model, PER_THOUSAND, PER_THOUSAND_DEFAULT, 1
+    )
+    gemini = (tokens_in / F.lit(1_000_000.0)) * price(model, PER_MILLION, PER_MILLION_DEFAULT, 0) + (tokens_out / F.lit(1_000_000.0)) * price(
+        model, PER_MILLION, PER_MILLION_DEFAULT, 1
+    )
+    router = F.when(F.contains(model, F.lit(":free")), F.lit(0.0)).otherwise(
+        (tokens_in * F.lit(ROUTER_INPUT) + tokens_out * F.lit(ROUTER_OUTPUT)) / F.lit(1000.0)
+    )
     if reported is not None:
         router = F.coalesce(reported, router)
-    return F.when(provider == "openai", openai * F.when(batch, F.lit(BATCH_FACTOR)).otherwise(F.lit(1.0))).when(provider == "gemini", gemini).when(provider == "groq", (tokens_in + tokens_out) * F.lit(GROQ_PER_TOKEN)).when(provider == "openrouter", router).otherwise(F.lit(0.0))
+    return F.when(
+        provider == "openai", openai * F.when(batch, F.lit(BATCH_FACTOR)).otherwise(F.lit(1.0))
+    ).when(provider == "gemini", gemini).when(provider == "groq", (tokens_in + tokens_out) * F.lit(GROQ_PER_TOKEN)).when(provider == "openrouter", router).otherwise(F.lit(0.0))
 
 
 def batch_results(requests: DataFrame, results: DataFrame, model: str) -> DataFrame:
@@ -123,4 +153,9 @@ def batch_results(requests: DataFrame, results: DataFrame, model: str) -> DataFr
     ok = F.coalesce(F.col("status_code") == 200, F.lit(False))
     paid = cost(F.lit("openai"), F.lit(model), F.col("prompt_tokens"), F.col("completion_tokens"), F.lit(True))
     why = F.when(F.col("_id").isNull(), "Result not found in batch output").when(~ok, F.coalesce("error", F.lit("Unknown error")))
-    return rows.select(*requests.columns, F.when(ok, F.col("content")).alias("text"), F.lit(model).alias("model"), F.when(ok, paid).otherwise(F.lit(0.0)).alias("cost"), F.when(ok, F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"), ok.alias("success"), why.alias("error"), F.lit(True).alias("batch_mode"))
+    return rows.select(
+        *requests.columns, F.when(ok, F.col("content")).alias("text"), F.lit(model).alias("model"),
+        F.when(ok, paid).otherwise(F.lit(0.0)).alias("cost"),
+        F.when(ok, F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"), ok.alias("success"), why.alias("error"),
+        F.lit(True).alias("batch_mode"),
+    )

@@ -27,7 +27,9 @@ class StarModel(Protocol):
     def stars(self, texts: list[str]) -> list[tuple[int, float]]: ...
 
 
-def encode(reviews: DataFrame, make_encoder: Callable[[], Encoder], keys: list[str], text: str = "text", out: str = "embedding") -> DataFrame:
+def encode(
+    reviews: DataFrame, make_encoder: Callable[[], Encoder], keys: list[str], text: str = "text", out: str = "embedding"
+) -> DataFrame:
     """keys and the vector of each text by an encoder, which is made once a task; a null text is an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,13 +39,17 @@ def encode(reviews: DataFrame, make_encoder: Callable[[], Encoder], keys: list[s
                 part = batch.slice(i, BATCH)
                 model = model or make_encoder()
                 made = np.asarray(model.encode([t or "" for t in part.column("_t").to_pylist()]), np.float32)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), pa.array(made.tolist(), pa.list_(pa.float32()))], names=[*keys, out])
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(k) for k in keys), pa.array(made.tolist(), pa.list_(pa.float32()))], names=[*keys, out]
+                )
 
     ddl = "".join(f"`{k}` {reviews.schema[k].dataType.simpleString()}, " for k in keys)
     return reviews.select(*keys, F.col(text).cast("string").alias("_t")).mapInArrow(run, f"{ddl}`{out}` array<float>")
 
 
-def hashed_vectors(reviews: DataFrame, keys: list[str], text: str = "text", dimensions: int = DIMENSIONS, out: str = "embedding") -> DataFrame:
+def hashed_vectors(
+    reviews: DataFrame, keys: list[str], text: str = "text", dimensions: int = DIMENSIONS, out: str = "embedding"
+) -> DataFrame:
     """keys and the stand-in for an encoder's vector of each text: how often its lower-cased words fall to each place, by
     the first 32 bits of their MD5. Words are counted by place before they move: a text is dimensions numbers at most."""
     words = F.explode_outer(T.words(F.lower(F.coalesce(F.col(text), F.lit("")))))
@@ -68,7 +74,10 @@ class LexiconStars:
         return out
 
 
-def star_sentiment(reviews: DataFrame, make_model: Callable[[], StarModel], profile: S.Profile = S.LENIENT, text: str = "text", rating: str = "rating", attempt: str = "attempt") -> DataFrame:
+def star_sentiment(
+    reviews: DataFrame, make_model: Callable[[], StarModel], profile: S.Profile = S.LENIENT, text: str = "text", rating: str = "rating",
+    attempt: str = "attempt",
+) -> DataFrame:
     """reviews (of keyword scores) with predicted_stars, star_confidence, and the alignment and mismatch that follow from
     them. Where the model fails, both are null and the keyword scores stand."""
     scored = S.with_scores(reviews, profile, text, rating, attempt)
@@ -91,11 +100,19 @@ def star_sentiment(reviews: DataFrame, make_model: Callable[[], StarModel], prof
                         except Exception:
                             made.append((None, None))
                 stars, sure = zip(*made)
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), part.column(text), pa.array(stars, pa.int32()), pa.array(sure, pa.float64())], names=[*(f.name for f in kept), text, "predicted_stars", "star_confidence"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(f.name) for f in kept), part.column(text), pa.array(stars, pa.int32()), pa.array(sure, pa.float64())],
+                    names=[*(f.name for f in kept), text, "predicted_stars", "star_confidence"],
+                )
 
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
     rows = scored.mapInArrow(run, f"{ddl}`{text}` string, predicted_stars int, star_confidence double")
     known = F.col("predicted_stars").isNotNull()
     aligned = S.star_alignment(F.col("predicted_stars"), F.col(rating), F.col("star_confidence"), profile)
     wrong = S.star_mismatch(F.col("predicted_stars"), F.col(rating), F.col("star_confidence"), F.col("sentiment_threshold"), profile)
-    return rows.withColumns({"alignment_score": F.when(known, aligned).otherwise(F.col("alignment_score")), "is_mismatch": F.when(known, wrong).otherwise(F.col("is_mismatch")), "method": F.when(known, "stars").otherwise("keywords")})
+    return rows.withColumns(
+        {
+            "alignment_score": F.when(known, aligned).otherwise(F.col("alignment_score")),
+            "is_mismatch": F.when(known, wrong).otherwise(F.col("is_mismatch")), "method": F.when(known, "stars").otherwise("keywords"),
+        }
+    )

@@ -40,7 +40,9 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], tie: list[str] |
     rows = df.withColumns({"_bucket": bucket, **{f"_v_{k}": v for k, v in sums.items()}})
     totals = rows.groupBy("_bucket").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows at most
-    offsets = totals.select(F.col("_bucket").alias("_b"), *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums])
+    offsets = totals.select(
+        F.col("_bucket").alias("_b"), *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums]
+    )
     within = Window.partitionBy("_bucket").orderBy(order, *(tie or [])).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({f"_r_{k}": F.sum(f"_v_{k}").over(within) for k in sums})
     rows = rows.join(F.broadcast(offsets), rows["_bucket"] == offsets["_b"])

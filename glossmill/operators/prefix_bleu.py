@@ -37,7 +37,9 @@ def lead_changes(grams: DataFrame) -> DataFrame:
         """rows with the largest count before (m1) and its earliest text (holder), and the second largest (m2)."""
         before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("top", F.max(F.struct("c", (-F.col("o")).alias("o"))).over(before))
-        rows = rows.withColumns({"m1": F.col("top.c"), "holder": -F.col("top.o")}).withColumn("q", F.when(F.col("m1").isNotNull(), F.least("c", "m1")))
+        rows = rows.withColumns({"m1": F.col("top.c"), "holder": -F.col("top.o")}).withColumn(
+            "q", F.when(F.col("m1").isNotNull(), F.least("c", "m1"))
+        )
         return rows.withColumn("m2", F.coalesce(F.max("q").over(before), F.lit(0)))
 
     gram = ["r", "n", "a", "b"]
@@ -45,7 +47,9 @@ def lead_changes(grams: DataFrame) -> DataFrame:
     now = leading(some, gram, F.col("o")).filter(F.col("m1").isNull() | (F.col("c") > F.col("m2")))
     event = lambda doc, d: F.struct(doc.alias("doc"), d.cast("long").alias("d"))
     c, o, m1, m2, holder = (F.col(x) for x in ("c", "o", "m1", "m2", "holder"))
-    made = F.when(m1.isNull(), F.array(event(o, c))).when(c > m1, F.array(event(holder, m2 - m1), event(o, c - m1))).otherwise(F.array(event(holder, m2 - c)))
+    made = F.when(m1.isNull(), F.array(event(o, c))).when(
+        c > m1, F.array(event(holder, m2 - m1), event(o, c - m1))
+    ).otherwise(F.array(event(holder, m2 - c)))
     return now.select("r", F.col("o").alias("t"), "n", F.explode(made).alias("e")).select("r", "e.doc", "t", "n", "e.d")
 
 
@@ -55,7 +59,9 @@ def closest_lengths(sizes: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("r", "len").orderBy("o"))
     ranked = sizes.withColumn("rank", rank)
     later = ranked.filter("rank > 1").select("r", F.col("o").alias("doc"), F.col("o").alias("t"), F.col("len").alias("ref"))
-    firsts = ranked.filter("rank <= 2").groupBy("r", "len").agg(F.min("o").alias("first"), F.max(F.when(F.col("rank") == 2, F.col("o"))).alias("second"))
+    firsts = ranked.filter("rank <= 2").groupBy("r", "len").agg(
+        F.min("o").alias("first"), F.max(F.when(F.col("rank") == 2, F.col("o"))).alias("second")
+    )
 
     def walk(table: pa.Table) -> pa.Table:
         """From each length outwards, as long as closer ones came later; a run's different lengths are one group."""
@@ -86,7 +92,12 @@ def closest_lengths(sizes: DataFrame) -> DataFrame:
                     if least < o:
                         break
         r = table.column("r")[0].as_py() if table.num_rows else None
-        return pa.table({"r": pa.array([r] * len(doc), pa.string()), "doc": pa.array(doc, pa.int64()), "t": pa.array(time, pa.int64()), "ref": pa.array(ref, pa.int64())})
+        return pa.table(
+            {
+                "r": pa.array([r] * len(doc), pa.string()), "doc": pa.array(doc, pa.int64()), "t": pa.array(time, pa.int64()),
+                "ref": pa.array(ref, pa.int64()),
+            }
+        )
 
     return firsts.groupBy("r").applyInArrow(walk, "r string, doc long, t long, ref long").unionByName(later)
 
@@ -104,25 +115,38 @@ def bleu(length: Column, ref: Column, lost: dict[int, Column]) -> Column:
 def prefix_diversity(reviews: DataFrame, run: str, order: str, text: str = "text", bucket_texts: int = BUCKET_TEXTS) -> DataFrame:
     """run, order, self_bleu_diversity of each text among those of its run up to it; 1 for the first. The order tells a
     run's texts apart; a null text has no words."""
-    docs = reviews.select(F.col(run).cast("string").alias("r"), F.col(order).cast("long").alias("o"), T.words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    docs = reviews.select(
+        F.col(run).cast("string").alias("r"), F.col(order).cast("long").alias("o"), T.words(F.coalesce(F.col(text), F.lit(""))).alias("w")
+    )
     n = docs.count()
     buckets = int(min(BUCKETS, max(1, n // bucket_texts)))
-    cuts = sorted(set(docs.select(F.col("o").cast("double").alias("o")).approxQuantile("o", [i / buckets for i in range(1, buckets)], 0.25 / buckets))) if buckets > 1 else []
+    cuts = sorted(
+        set(docs.select(F.col("o").cast("double").alias("o")).approxQuantile("o", [i / buckets for i in range(1, buckets)], 0.25 / buckets))
+    ) if buckets > 1 else []
     bucket = lambda c: below(F.col(c).cast("double"), cuts) if cuts else F.lit(0)
     dealt = docs.withColumn("bucket", bucket("o")).repartition("bucket")  # a text's n-grams are counted where it is
     every = F.concat(*[T.ngram_hashes(F.col("w"), k, tagged=True) for k in SIZES])
-    grams = dealt.select("r", "o", "bucket", F.explode(every).alias("g")).select("r", "o", "bucket", "g.n", "g.a", "g.b").groupBy("bucket", "r", "o", "n", "a", "b").agg(F.count("*").alias("c"))
-    changes = lead_changes(grams).groupBy("r", "doc", "t").agg(*[F.sum(F.when(F.col("n") == k, F.col("d")).otherwise(0)).alias(f"d{k}") for k in SIZES])
+    grams = dealt.select(
+        "r", "o", "bucket", F.explode(every).alias("g")
+    ).select("r", "o", "bucket", "g.n", "g.a", "g.b").groupBy("bucket", "r", "o", "n", "a", "b").agg(F.count("*").alias("c"))
+    changes = lead_changes(grams).groupBy("r", "doc", "t").agg(
+        *[F.sum(F.when(F.col("n") == k, F.col("d")).otherwise(0)).alias(f"d{k}") for k in SIZES]
+    )
     sizes = staged(docs.select("r", "o", F.size("w").cast("long").alias("len")), "lengths")
     nothing = {f"d{k}": F.lit(0).cast("long") for k in SIZES}
     none = lambda name: F.lit(None).cast("long").alias(name)
     columns = ["r", "doc", "t", *nothing, "ref", "len"]
     events = changes.select("*", none("ref"), none("len")).select(columns)
     events = events.unionByName(closest_lengths(sizes).withColumns(nothing).select("*", none("len")).select(columns))
-    events = events.unionByName(sizes.select("r", F.col("o").alias("doc"), F.col("o").alias("t"), "len", none("ref")).withColumns(nothing).select(columns))
+    events = events.unionByName(
+        sizes.select("r", F.col("o").alias("doc"), F.col("o").alias("t"), "len", none("ref")).withColumns(nothing).select(columns)
+    )
     at = events.groupBy("r", "doc", "t").agg(*[F.sum(d).alias(d) for d in nothing], F.max("ref").alias("ref"), F.max("len").alias("len"))
     so_far = Window.partitionBy("r", "doc").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    state = at.select("r", "doc", "t", *[F.sum(d).over(so_far).alias(d) for d in nothing], F.last("ref", True).over(so_far).alias("ref"), F.max("len").over(so_far).alias("len"))
+    state = at.select(
+        "r", "doc", "t", *[F.sum(d).over(so_far).alias(d) for d in nothing], F.last("ref", True).over(so_far).alias("ref"),
+        F.max("len").over(so_far).alias("len"),
+    )
     scored = state.withColumn("score", bleu(F.col("len"), F.col("ref"), {k: F.col(f"d{k}") for k in SIZES}))
     by_text = Window.partitionBy("r", "doc").orderBy("t")
     change = scored.select("r", "t", (F.col("score") - F.coalesce(F.lag("score").over(by_text), F.lit(0.0))).alias("change"))
@@ -130,7 +154,10 @@ def prefix_diversity(reviews: DataFrame, run: str, order: str, text: str = "text
     times = staged(change.groupBy("r", "t").agg(F.sum("change").alias("change")).withColumn("bucket", bucket("t")), "score-changes")
     before = Window.partitionBy("r").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = times.groupBy("r", "bucket").agg(F.sum("change").alias("s"), F.count("*").alias("k"))
-    offsets = totals.select(F.col("r").alias("_r"), F.col("bucket").alias("_b"), *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{x}0") for x in ("s", "k")])
+    offsets = totals.select(
+        F.col("r").alias("_r"), F.col("bucket").alias("_b"),
+        *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{x}0") for x in ("s", "k")],
+    )
     within = Window.partitionBy("r", "bucket").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     rows = times.withColumns({"s": F.sum("change").over(within), "k": F.count("*").over(within)})
     rows = rows.join(offsets, F.col("r").eqNullSafe(F.col("_r")) & (F.col("bucket") == F.col("_b")))

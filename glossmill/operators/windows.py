@@ -22,7 +22,9 @@ def two_of_three(rows: DataFrame, by: list[str], order: list[str], hit: Column)
 def failure_runs(rows: DataFrame, by: list[str], order: list[str], failed: Column, stop_at: int = 20) -> DataFrame:
     """rows with run_length (failures in a row up to this one) and stopped (from stop_at on)."""
     w = Window.partitionBy(*by).orderBy(*order)
-    island = rows.withColumn("_f", failed).withColumn("_g", F.sum((~F.col("_f")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    island = rows.withColumn("_f", failed).withColumn(
+        "_g", F.sum((~F.col("_f")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    )
     inside = Window.partitionBy(*by, "_g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     run = F.sum(F.col("_f").cast("int")).over(inside)
     return island.withColumn("run_length", run.cast("long")).withColumn("stopped", F.col("run_length") >= stop_at).drop("_f", "_g")

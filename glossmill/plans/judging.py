@@ -24,10 +24,24 @@ def prompts(reviews: DataFrame, criteria: tuple[str, ...]) -> DataFrame:
     """review_id, criterion and prompts; reviews: review_id, text, rating, persona, domain, before (earlier texts)."""
     asks = F.create_map(*[x for k in criteria for x in (F.lit(k), F.lit(ASK[k]))])
     rows = reviews.select("*", F.explode(F.array(*[F.lit(k) for k in criteria])).alias("criterion"))
-    earlier = F.when((F.col("criterion") == "uniqueness") & (F.size("before") > 0), F.concat(F.lit("\nEarlier texts:\n"), F.array_join(F.transform(F.slice("before", 1, 3), lambda b: F.substring(b, 1, SHOWN_BEFORE)), "\n"))).otherwise("")
-    role = F.when(F.col("criterion") == "expertise", F.concat(F.lit("\nDomain: "), F.col("domain"), F.lit("; role: "), F.col("persona"))).otherwise("")
-    body = F.concat(F.lit("Criterion: "), F.col("criterion"), F.lit("\n"), asks[F.col("criterion")], F.lit("\nRating: "), F.col("rating").cast("string"), role, earlier, F.lit("\nText:\n"), F.substring("text", 1, SHOWN), F.lit("\nGive "), F.col("criterion"), F.lit("_score (0 to 10), decision (PASS or FAIL) and feedback."))
-    return rows.select("review_id", "criterion", F.lit(SYSTEM).alias("system_prompt"), body.alias("user_prompt"), F.lit(0.5).alias("temperature"))
+    earlier = F.when(
+        (F.col("criterion") == "uniqueness") & (F.size("before") > 0),
+        F.concat(
+            F.lit("\nEarlier texts:\n"),
+            F.array_join(F.transform(F.slice("before", 1, 3), lambda b: F.substring(b, 1, SHOWN_BEFORE)), "\n"),
+        ),
+    ).otherwise("")
+    role = F.when(
+        F.col("criterion") == "expertise", F.concat(F.lit("\nDomain: "), F.col("domain"), F.lit("; role: "), F.col("persona"))
+    ).otherwise("")
+    body = F.concat(
+        F.lit("Criterion: "), F.col("criterion"), F.lit("\n"), asks[F.col("criterion")], F.lit("\nRating: "),
+        F.col("rating").cast("string"), role, earlier, F.lit("\nText:\n"), F.substring("text", 1, SHOWN), F.lit("\nGive "),
+        F.col("criterion"), F.lit("_score (0 to 10), decision (PASS or FAIL) and feedback."),
+    )
+    return rows.select(
+        "review_id", "criterion", F.lit(SYSTEM).alias("system_prompt"), body.alias("user_prompt"), F.lit(0.5).alias("temperature")
+    )
 
 
 def replies(reviews: DataFrame, make_provider, criteria: tuple[str, ...], fallback: bool = True) -> DataFrame:
@@ -38,9 +52,15 @@ def replies(reviews: DataFrame, make_provider, criteria: tuple[str, ...], fallba
     """
     answers = staged(generate.call(prompts(reviews, criteria), make_provider, ["review_id", "criterion"]), "replies")
     rows = judge.parse(answers.withColumn("reply", F.when(F.col("success"), F.col("text")).otherwise("")))
-    facts = reviews.select("review_id", judge.authenticity_fallback(F.col("text"))["authenticity_score"].alias("_a"), judge.alignment_fallback(F.col("text"), F.col("rating")).alias("_l"), judge.expertise_fallback(F.col("text"))["expertise_score"].alias("_e"), judge.uniqueness_fallback(F.col("avg_overlap")).alias("_u"))
+    facts = reviews.select(
+        "review_id", judge.authenticity_fallback(F.col("text"))["authenticity_score"].alias("_a"),
+        judge.alignment_fallback(F.col("text"), F.col("rating")).alias("_l"),
+        judge.expertise_fallback(F.col("text"))["expertise_score"].alias("_e"), judge.uniqueness_fallback(F.col("avg_overlap")).alias("_u"),
+    )
     rows = rows.select("review_id", "criterion", "score", "decision", "feedback", "parsing_failed").join(facts, "review_id")
-    stand_in = F.when(F.col("criterion") == "authenticity", F.col("_a")).when(F.col("criterion") == "alignment", F.col("_l")).when(F.col("criterion") == "expertise", F.col("_e")).otherwise(F.col("_u"))
+    stand_in = F.when(
+        F.col("criterion") == "authenticity", F.col("_a")
+    ).when(F.col("criterion") == "alignment", F.col("_l")).when(F.col("criterion") == "expertise", F.col("_e")).otherwise(F.col("_u"))
     passes = F.when(stand_in >= F.when(F.col("criterion") == "expertise", 5.5).otherwise(6.0), "PASS").otherwise("FAIL")
     use = F.col("parsing_failed") & F.lit(fallback)
     return rows.select(

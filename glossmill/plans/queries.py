@@ -48,7 +48,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(read(spark, sf_dir, "documents"))
-    return d.select(c("doc_id").alias("seq"), "text", (c("doc_id") % 5 + 1).cast("int").alias("rating"), c("source").alias("model"), c("lang").alias("session"), (c("doc_id") % 3 + 1).cast("int").alias("attempt"))
+    return d.select(
+        c("doc_id").alias("seq"), "text", (c("doc_id") % 5 + 1).cast("int").alias("rating"), c("source").alias("model"),
+        c("lang").alias("session"), (c("doc_id") % 3 + 1).cast("int").alias("attempt"),
+    )
 
 
 # What SQL says for the functions above.
@@ -82,7 +85,9 @@ def corpus_stats(spark, sf_dir):
     return realism.corpus_stats(reviews(spark, sf_dir).select("text"))
 
 
-@query(f"SELECT doc_id AS seq, CAST(len({w('text')}) AS BIGINT) AS n_words, CAST(len(list_distinct({w('lower(text)')})) AS BIGINT) AS n_unique, CAST(len(string_split(text, '.')) AS BIGINT) AS n_sentences FROM documents")
+@query(
+    f"SELECT doc_id AS seq, CAST(len({w('text')}) AS BIGINT) AS n_words, CAST(len(list_distinct({w('lower(text)')})) AS BIGINT) AS n_unique, CAST(len(string_split(text, '.')) AS BIGINT) AS n_sentences FROM documents"
+)
 def word_metrics(spark, sf_dir):
     return realism.text_metrics(reviews(spark, sf_dir)).select("seq", "n_words", "n_unique", "n_sentences")
 
@@ -92,7 +97,9 @@ def tech_terms(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.tech_term_count(c("html")).alias("n_tech_terms"))
 
 
-@query(f"SELECT CAST(count(*) AS BIGINT) AS total_words, count(DISTINCT t) AS vocabulary_size, round(count(DISTINCT t) / count(*), 6) AS ttr FROM (SELECT unnest({w('lower(text)')}) AS t FROM documents)")
+@query(
+    f"SELECT CAST(count(*) AS BIGINT) AS total_words, count(DISTINCT t) AS vocabulary_size, round(count(DISTINCT t) / count(*), 6) AS ttr FROM (SELECT unnest({w('lower(text)')}) AS t FROM documents)"
+)
 def ttr(spark, sf_dir):
     return diversity.type_token(reviews(spark, sf_dir))
 
@@ -199,7 +206,10 @@ def sentiment_sql(p: S.Profile) -> str:
     return f"WITH {BASE}, {scores_sql(p)} SELECT seq, CAST(pos AS INT) AS pos_score, CAST(neg AS INT) AS neg_score, sentiment, round(confidence, 6) AS confidence, expected_sentiment, round(alignment_score, 6) AS alignment_score, is_mismatch, round(sentiment_threshold, 6) AS sentiment_threshold FROM s"
 
 
-SENTIMENT = ("seq", "pos_score", "neg_score", "sentiment", "confidence", "expected_sentiment", "alignment_score", "is_mismatch", "sentiment_threshold")
+SENTIMENT = (
+    "seq", "pos_score", "neg_score", "sentiment", "confidence", "expected_sentiment", "alignment_score", "is_mismatch",
+    "sentiment_threshold",
+)
 
 
 @query(sentiment_sql(S.LENIENT))
@@ -218,7 +228,12 @@ def sentiment_confusion(spark, sf_dir):
 
 
 #: Keywords that the test tables' invented words do hold, so that scores vary.
-DATA_PROFILE = S.Profile(**{**S.STRICT.__dict__, "name": "data", "strong_positive": ("tion", "ment"), "positive": ("the", "que", "heit", "our"), "strong_negative": ("ness", "erie"), "negative": ("and", "sch", "eau", "ado"), "phrases": ("of the", "in the", "de la", "que de")})
+DATA_PROFILE = S.Profile(
+    **{
+        **S.STRICT.__dict__, "name": "data", "strong_positive": ("tion", "ment"), "positive": ("the", "que", "heit", "our"),
+        "strong_negative": ("ness", "erie"), "negative": ("and", "sch", "eau", "ado"), "phrases": ("of the", "in the", "de la", "que de"),
+    }
+)
 
 
 @query(sentiment_sql(DATA_PROFILE))
@@ -231,28 +246,42 @@ def thresholds_sql() -> str:
     for p in (S.LENIENT, S.STRICT):
         base = "CASE rating " + " ".join(f"WHEN {i} THEN {x}::DOUBLE" for i, x in enumerate(p.base, 1)) + " END"
         fall = lambda a: f"round(greatest({a[0]}::DOUBLE - attempt * {a[1]}::DOUBLE, {a[2]}::DOUBLE), 6)"
-        out.append(f"SELECT DISTINCT '{p.name}' AS profile, rating, attempt, round(greatest({base} - attempt * {p.base_step}::DOUBLE, {p.base_floor}::DOUBLE), 6) AS alignment_threshold, {fall(p.reject)} AS reject_threshold, {fall(p.mismatch_weight)} AS mismatch_weight FROM r")
+        out.append(
+            f"SELECT DISTINCT '{p.name}' AS profile, rating, attempt, round(greatest({base} - attempt * {p.base_step}::DOUBLE, {p.base_floor}::DOUBLE), 6) AS alignment_threshold, {fall(p.reject)} AS reject_threshold, {fall(p.mismatch_weight)} AS mismatch_weight FROM r"
+        )
     return f"WITH {BASE} " + " UNION ALL ".join(out)
 
 
 @query(thresholds_sql())
 def adaptive_thresholds(spark, sf_dir):
     keys = reviews(spark, sf_dir).select("rating", "attempt").distinct()
-    of = lambda p: keys.select(F.lit(p.name).alias("profile"), "rating", "attempt", S.alignment_threshold(c("rating"), c("attempt"), p).alias("alignment_threshold"), S.falling(*p.reject, c("attempt")).alias("reject_threshold"), S.falling(*p.mismatch_weight, c("attempt")).alias("mismatch_weight"))
+    of = lambda p: keys.select(
+        F.lit(p.name).alias("profile"), "rating", "attempt",
+        S.alignment_threshold(c("rating"), c("attempt"), p).alias("alignment_threshold"),
+        S.falling(*p.reject, c("attempt")).alias("reject_threshold"), S.falling(*p.mismatch_weight, c("attempt")).alias("mismatch_weight"),
+    )
     return of(S.LENIENT).unionByName(of(S.STRICT))
 
 
-@query(f"WITH {BASE}, {scores_sql(DATA_PROFILE)} SELECT seq, round(generic_score, 6) AS generic_score, is_generic, array_to_string(list_filter([{', '.join(quoted(p) for p in DATA_PROFILE.phrases)}], lambda p: contains(lower(text), p)), '|') AS found FROM s")
+@query(
+    f"WITH {BASE}, {scores_sql(DATA_PROFILE)} SELECT seq, round(generic_score, 6) AS generic_score, is_generic, array_to_string(list_filter([{', '.join(quoted(p) for p in DATA_PROFILE.phrases)}], lambda p: contains(lower(text), p)), '|') AS found FROM s"
+)
 def generic_patterns(spark, sf_dir):
-    return S.with_scores(reviews(spark, sf_dir), DATA_PROFILE).select("seq", "generic_score", "is_generic", F.array_join("found_generic", "|").alias("found"))
+    return S.with_scores(reviews(spark, sf_dir), DATA_PROFILE).select(
+        "seq", "generic_score", "is_generic", F.array_join("found_generic", "|").alias("found")
+    )
 
 
-@query(f"WITH {BASE}, {scores_sql(S.LENIENT)} SELECT seq, round(repetition_score, 6) AS repetition_score, round(exclamation_ratio, 6) AS exclamation_ratio FROM s")
+@query(
+    f"WITH {BASE}, {scores_sql(S.LENIENT)} SELECT seq, round(repetition_score, 6) AS repetition_score, round(exclamation_ratio, 6) AS exclamation_ratio FROM s"
+)
 def repetition(spark, sf_dir):
     return S.with_scores(reviews(spark, sf_dir), S.LENIENT).select("seq", "repetition_score", "exclamation_ratio")
 
 
-@query(f"WITH {BASE}, {scores_sql(DATA_PROFILE)} SELECT seq, round(least(raw, 1), 6) AS unrealistic_score, round(reject_threshold, 6) AS reject_threshold, raw > reject_threshold AS is_unrealistic FROM s")
+@query(
+    f"WITH {BASE}, {scores_sql(DATA_PROFILE)} SELECT seq, round(least(raw, 1), 6) AS unrealistic_score, round(reject_threshold, 6) AS reject_threshold, raw > reject_threshold AS is_unrealistic FROM s"
+)
 def unrealistic_score(spark, sf_dir):
     return S.with_scores(reviews(spark, sf_dir), DATA_PROFILE).select("seq", "unrealistic_score", "reject_threshold", "is_unrealistic")
 
@@ -267,7 +296,10 @@ def star_sql(p: S.Profile) -> str:
 @query(star_sql(S.STRICT))
 def star_sentiment(spark, sf_dir):
     p, k = ((F.floor(c("seq") / 5) % 5) + 1).cast("int"), (F.lit(50) + c("seq") % 50) / F.lit(100.0)
-    return reviews(spark, sf_dir).select("seq", S.star_alignment(p, c("rating"), k, S.STRICT).alias("alignment_score"), S.star_mismatch(p, c("rating"), k, F.lit(0.2), S.STRICT).alias("is_mismatch"))
+    return reviews(spark, sf_dir).select(
+        "seq", S.star_alignment(p, c("rating"), k, S.STRICT).alias("alignment_score"),
+        S.star_mismatch(p, c("rating"), k, F.lit(0.2), S.STRICT).alias("is_mismatch"),
+    )
 
 
 THRESHOLDS = gates.Thresholds()
@@ -288,26 +320,38 @@ def gated(spark, sf_dir) -> DataFrame:
     return gates.check(reviews(spark, sf_dir).withColumn("self_bleu_diversity", (c("seq") % 10) / F.lit(10.0)), THRESHOLDS, DATA_PROFILE)
 
 
-@query(f"WITH {GATES_SQL} SELECT seq, CAST(n AS BIGINT) AS n_words, CAST(u AS BIGINT) AS n_unique, array_to_string(reasons, '; ') AS reasons, len(reasons) = 0 AS passed FROM x")
+@query(
+    f"WITH {GATES_SQL} SELECT seq, CAST(n AS BIGINT) AS n_words, CAST(u AS BIGINT) AS n_unique, array_to_string(reasons, '; ') AS reasons, len(reasons) = 0 AS passed FROM x"
+)
 def quality_gates(spark, sf_dir):
     return gated(spark, sf_dir).select("seq", "n_words", "n_unique", F.array_join("reasons", "; ").alias("reasons"), "passed")
 
 
 def class_sql(x: str) -> str:
-    return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower({x}), {quoted(k)})' for k in words)} THEN '{name}'" for name, words in gates.ISSUES) + " ELSE 'other' END"
+    return "CASE " + " ".join(
+        f"WHEN {' OR '.join(f'contains(lower({x}), {quoted(k)})' for k in words)} THEN '{name}'" for name, words in gates.ISSUES
+    ) + " ELSE 'other' END"
 
 
-@query(f"WITH {GATES_SQL}, e AS (SELECT unnest(reasons) AS reason FROM x) SELECT {class_sql('reason')} AS issue, count(*) AS n FROM e GROUP BY 1")
+@query(
+    f"WITH {GATES_SQL}, e AS (SELECT unnest(reasons) AS reason FROM x) SELECT {class_sql('reason')} AS issue, count(*) AS n FROM e GROUP BY 1"
+)
 def issue_class(spark, sf_dir):
-    return gated(spark, sf_dir).select(F.explode("reasons").alias("reason")).groupBy(gates.issue_class(c("reason")).alias("issue")).agg(F.count("*").alias("n"))
+    return gated(spark, sf_dir).select(F.explode("reasons").alias("reason")).groupBy(
+        gates.issue_class(c("reason")).alias("issue")
+    ).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {GATES_SQL} SELECT reason, count(*) AS n, min(seq) AS first_seen FROM (SELECT seq, unnest(reasons) AS reason FROM x) GROUP BY reason")
+@query(
+    f"WITH {GATES_SQL} SELECT reason, count(*) AS n, min(seq) AS first_seen FROM (SELECT seq, unnest(reasons) AS reason FROM x) GROUP BY reason"
+)
 def gate_reason_histogram(spark, sf_dir):
     return metrics.reason_histogram(gated(spark, sf_dir))
 
 
-@query(f"WITH {GATES_SQL}, h AS (SELECT reason, count(*) AS n, min(seq) AS first_seen FROM (SELECT seq, unnest(reasons) AS reason FROM x) GROUP BY reason) SELECT reason, n, first_seen, round(n / 250.0 * 100, 6) AS pct FROM h ORDER BY n DESC, first_seen, reason LIMIT 10")
+@query(
+    f"WITH {GATES_SQL}, h AS (SELECT reason, count(*) AS n, min(seq) AS first_seen FROM (SELECT seq, unnest(reasons) AS reason FROM x) GROUP BY reason) SELECT reason, n, first_seen, round(n / 250.0 * 100, 6) AS pct FROM h ORDER BY n DESC, first_seen, reason LIMIT 10"
+)
 def top_rejections(spark, sf_dir):
     return metrics.top_reasons(metrics.reason_histogram(gated(spark, sf_dir)), F.lit(250))
 
@@ -323,7 +367,9 @@ SELECT seq, CASE WHEN len(reasons) = 0 THEN 'accept' WHEN stuck IN ('sentiment',
     stuck IS NOT NULL AND stuck <> 'llm_judge_error' AS forced, array_to_string(h, '|') AS history FROM v""")
 def decision(spark, sf_dir):
     a = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
-    h = F.when(c("seq") % 4 == 0, a()).when(c("seq") % 4 == 1, a("length", "length")).when(c("seq") % 4 == 2, a("sentiment", "sentiment")).otherwise(a("diversity", "diversity"))
+    h = F.when(c("seq") % 4 == 0, a()).when(c("seq") % 4 == 1, a("length", "length")).when(
+        c("seq") % 4 == 2, a("sentiment", "sentiment")
+    ).otherwise(a("diversity", "diversity"))
     rows = gates.decide(gated(spark, sf_dir).withColumns({"count": c("attempt"), "history": h}), THRESHOLDS)
     return rows.select("seq", "decision", "forced", F.array_join("history", "|").alias("history"))
 
@@ -333,12 +379,18 @@ n AS (SELECT doc_id AS seq, text, len({w('text')}) AS n, len(list_distinct({w('l
 q AS (SELECT *, n BETWEEN 50 AND 500 AS a, n > 0 AND u / n > 0.5 AS b, k BETWEEN 1 AND 20 AS c FROM n)"""
 
 
-@query(f"WITH {REALISM_SQL} SELECT seq, a AS length_reasonable, b AS has_variation, c AS sentence_structure, round((a::INT + b::INT + c::INT) / 3.0, 6) AS realism_score FROM q")
+@query(
+    f"WITH {REALISM_SQL} SELECT seq, a AS length_reasonable, b AS has_variation, c AS sentence_structure, round((a::INT + b::INT + c::INT) / 3.0, 6) AS realism_score FROM q"
+)
 def single_review_realism(spark, sf_dir):
-    return realism.single_review(reviews(spark, sf_dir)).select("seq", "length_reasonable", "has_variation", "sentence_structure", "realism_score")
+    return realism.single_review(reviews(spark, sf_dir)).select(
+        "seq", "length_reasonable", "has_variation", "sentence_structure", "realism_score"
+    )
 
 
-@query(f"WITH {REALISM_SQL}, z AS (SELECT seq, CASE WHEN length(text) < 50 THEN format('Review too short: {{}} < 50', length(text)) WHEN length(text) > 500 THEN format('Review too long: {{}} > 500', length(text)) WHEN (a::INT + b::INT + c::INT) / 3.0 < 0.5 THEN format('Low realism score: {{:.2f}}', ((a::INT + b::INT + c::INT) / 3.0)::DOUBLE) END AS reason FROM q) SELECT seq, reason, reason IS NULL AS passed FROM z")
+@query(
+    f"WITH {REALISM_SQL}, z AS (SELECT seq, CASE WHEN length(text) < 50 THEN format('Review too short: {{}} < 50', length(text)) WHEN length(text) > 500 THEN format('Review too long: {{}} > 500', length(text)) WHEN (a::INT + b::INT + c::INT) / 3.0 < 0.5 THEN format('Low realism score: {{:.2f}}', ((a::INT + b::INT + c::INT) / 3.0)::DOUBLE) END AS reason FROM q) SELECT seq, reason, reason IS NULL AS passed FROM z"
+)
 def character_length_check(spark, sf_dir):
     return realism.character_length_check(reviews(spark, sf_dir)).select("seq", "reason", "passed")
 
@@ -352,7 +404,9 @@ v AS (SELECT seq, list_filter([CASE WHEN n < 50 THEN format('Too short: {{}} wor
     CASE WHEN rs < 0.7 THEN format('Low realism score: {{:.2f}}', rs) END], lambda i: i IS NOT NULL) AS issues FROM z)
 SELECT seq, array_to_string(issues, '; ') AS issues, len(issues) = 0 AS passed FROM v""")
 def unified_validator(spark, sf_dir):
-    rows = gates.validate(reviews(spark, sf_dir).drop("attempt").withColumn("self_bleu_diversity", (c("seq") % 10) / F.lit(10.0)), DATA_PROFILE)
+    rows = gates.validate(
+        reviews(spark, sf_dir).drop("attempt").withColumn("self_bleu_diversity", (c("seq") % 10) / F.lit(10.0)), DATA_PROFILE
+    )
     return rows.select("seq", F.array_join("issues", "; ").alias("issues"), "passed")
 
 
@@ -374,7 +428,13 @@ ROLLUP_SQL = """m AS (SELECT model, count(*) AS samples_generated, count_if(acce
 
 def run_rows(spark, sf_dir) -> DataFrame:
     d = reviews(spark, sf_dir).select("seq", "model", "rating")
-    return d.withColumns({"accepted": c("seq") % 3 != 0, "time": (c("seq") % 100) / F.lit(10.0), "cost": (c("seq") % 7) * F.lit(0.001), "quality_score": F.when(c("seq") % 4 != 0, (c("seq") % 50) / F.lit(53.0)), "judge_score": F.when(c("seq") % 6 != 0, (c("seq") % 20) / F.lit(23.0))})
+    return d.withColumns(
+        {
+            "accepted": c("seq") % 3 != 0, "time": (c("seq") % 100) / F.lit(10.0), "cost": (c("seq") % 7) * F.lit(0.001),
+            "quality_score": F.when(c("seq") % 4 != 0, (c("seq") % 50) / F.lit(53.0)),
+            "judge_score": F.when(c("seq") % 6 != 0, (c("seq") % 20) / F.lit(23.0)),
+        }
+    )
 
 
 @query(f"""
@@ -384,27 +444,39 @@ def model_rollup(spark, sf_dir):
     return metrics.model_rollup(run_rows(spark, sf_dir))
 
 
-@query(f"WITH {RUN_SQL} SELECT count(*) AS total_generated, CAST(count_if(accepted) AS BIGINT) AS total_accepted, CAST(count_if(NOT accepted) AS BIGINT) AS total_rejected, round(sum(cost), 6) AS total_cost, round(sum(time), 6) AS total_time, round(count_if(accepted) / count(*), 6) AS success_rate FROM g")
+@query(
+    f"WITH {RUN_SQL} SELECT count(*) AS total_generated, CAST(count_if(accepted) AS BIGINT) AS total_accepted, CAST(count_if(NOT accepted) AS BIGINT) AS total_rejected, round(sum(cost), 6) AS total_cost, round(sum(time), 6) AS total_time, round(count_if(accepted) / count(*), 6) AS success_rate FROM g"
+)
 def pipeline_totals(spark, sf_dir):
     return metrics.totals(run_rows(spark, sf_dir))
 
 
-@query(f"WITH {RUN_SQL}, {ROLLUP_SQL} SELECT model, round(total_cost / samples_generated, 6) AS cost_per_sample FROM m WHERE samples_accepted > 0 ORDER BY round(total_cost / samples_generated, 9), model LIMIT 1")
+@query(
+    f"WITH {RUN_SQL}, {ROLLUP_SQL} SELECT model, round(total_cost / samples_generated, 6) AS cost_per_sample FROM m WHERE samples_accepted > 0 ORDER BY round(total_cost / samples_generated, 9), model LIMIT 1"
+)
 def best_model(spark, sf_dir):
     return metrics.best_model(metrics.model_rollup(run_rows(spark, sf_dir)))
 
 
-@query("SELECT CAST(k AS INT) AS rating, (SELECT count(*) FROM documents WHERE 1 + doc_id % 5 = k) AS n, round(100.0 * (SELECT count(*) FROM documents WHERE 1 + doc_id % 5 = k) / (SELECT count(*) FROM documents), 6) AS pct FROM (SELECT unnest([1, 2, 3, 4, 5]) AS k)")
+@query(
+    "SELECT CAST(k AS INT) AS rating, (SELECT count(*) FROM documents WHERE 1 + doc_id % 5 = k) AS n, round(100.0 * (SELECT count(*) FROM documents WHERE 1 + doc_id % 5 = k) / (SELECT count(*) FROM documents), 6) AS pct FROM (SELECT unnest([1, 2, 3, 4, 5]) AS k)"
+)
 def rating_distribution(spark, sf_dir):
     return metrics.rating_distribution(reviews(spark, sf_dir))
 
 
-@query("WITH x AS (SELECT r_name AS name, (r_regionkey + 1) / 15.0::DOUBLE AS weight FROM region), t AS (SELECT sum(weight) AS t FROM x) SELECT name, round(weight, 6) AS weight, round(100 * weight / t, 6) AS share_pct, t BETWEEN 0.99 AND 1.01 AS loads, abs(t - 1) < 1e-6 AS exact FROM x, t")
+@query(
+    "WITH x AS (SELECT r_name AS name, (r_regionkey + 1) / 15.0::DOUBLE AS weight FROM region), t AS (SELECT sum(weight) AS t FROM x) SELECT name, round(weight, 6) AS weight, round(100 * weight / t, 6) AS share_pct, t BETWEEN 0.99 AND 1.01 AS loads, abs(t - 1) < 1e-6 AS exact FROM x, t"
+)
 def distribution_check(spark, sf_dir):
-    return metrics.distribution_check(read(spark, sf_dir, "region").select(c("r_name").alias("name"), ((c("r_regionkey") + 1) / F.lit(15.0)).alias("weight")))
+    return metrics.distribution_check(
+        read(spark, sf_dir, "region").select(c("r_name").alias("name"), ((c("r_regionkey") + 1) / F.lit(15.0)).alias("weight"))
+    )
 
 
-@query(f"WITH {RUN_SQL} SELECT seq, round(avg(quality_score) OVER (ORDER BY seq), 6) AS avg_quality_score, round(avg(judge_score) OVER (ORDER BY seq), 6) AS avg_judge_score FROM g")
+@query(
+    f"WITH {RUN_SQL} SELECT seq, round(avg(quality_score) OVER (ORDER BY seq), 6) AS avg_quality_score, round(avg(judge_score) OVER (ORDER BY seq), 6) AS avg_judge_score FROM g"
+)
 def running_means(spark, sf_dir):
     return metrics.running_means(run_rows(spark, sf_dir), "seq", ["quality_score", "judge_score"])
 
@@ -416,37 +488,51 @@ o AS (SELECT conv_id, turn, p, list_transform(list_filter(p, lambda x: len(x) >
 v AS (SELECT conv_id, turn, CASE WHEN coalesce(len(p), 0) = 0 THEN NULL WHEN len(o) = 0 THEN 0 ELSE list_avg(o) END AS v FROM o)"""
 
 
-@query(f"WITH {OVERLAP_SQL} SELECT conv_id, turn, round(v, 6) AS avg_overlap, round(CASE WHEN v IS NULL THEN 9 ELSE greatest(5, 10 - v * 10) END, 6) AS uniqueness_score FROM v")
+@query(
+    f"WITH {OVERLAP_SQL} SELECT conv_id, turn, round(v, 6) AS avg_overlap, round(CASE WHEN v IS NULL THEN 9 ELSE greatest(5, 10 - v * 10) END, 6) AS uniqueness_score FROM v"
+)
 def last_k_overlap(spark, sf_dir):
     rows = judge.last_overlaps(read(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id"], "turn")
     return rows.select("conv_id", "turn", "avg_overlap", judge.uniqueness_fallback(c("avg_overlap")).alias("uniqueness_score"))
 
 
-@query("SELECT event_id, coalesce(event_type = lag(event_type, 1) OVER w AND event_type = lag(event_type, 2) OVER w, false) AS stuck FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+@query(
+    "SELECT event_id, coalesce(event_type = lag(event_type, 1) OVER w AND event_type = lag(event_type, 2) OVER w, false) AS stuck FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
+)
 def three_identical(spark, sf_dir):
     return windows.three_identical(read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type").select("event_id", "stuck")
 
 
-@query("SELECT event_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING) >= 2 AS tripped FROM events")
+@query(
+    "SELECT event_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING) >= 2 AS tripped FROM events"
+)
 def two_of_three(spark, sf_dir):
-    return windows.two_of_three(read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], c("event_type") == "error").select("event_id", "tripped")
+    return windows.two_of_three(
+        read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], c("event_type") == "error"
+    ).select("event_id", "tripped")
 
 
 @query("""
 WITH g AS (SELECT *, event_type IN ('error', 'click') AS f, sum(CASE WHEN event_type IN ('error', 'click') THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events)
 SELECT event_id, CAST(sum(CASE WHEN f THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS BIGINT) AS run_length, sum(CASE WHEN f THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, g ORDER BY ts, event_id) >= 3 AS stopped FROM g""")
 def failure_runs(spark, sf_dir):
-    return windows.failure_runs(read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], c("event_type").isin("error", "click"), 3).select("event_id", "run_length", "stopped")
+    return windows.failure_runs(
+        read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], c("event_type").isin("error", "click"), 3
+    ).select("event_id", "run_length", "stopped")
 
 
 @query("""
 WITH s AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, length(props) AS a FROM events)
 SELECT event_id, count(*) OVER w AS requests, CAST(sum(a) OVER w AS BIGINT) AS amount_in_window FROM s WINDOW w AS (ORDER BY s RANGE BETWEEN 59 PRECEDING AND CURRENT ROW)""")
 def rate_window_60s(spark, sf_dir):
-    return windows.rate_window(read(spark, sf_dir, "events"), "ts", F.length("props").cast("long")).select("event_id", "requests", "amount_in_window")
+    return windows.rate_window(
+        read(spark, sf_dir, "events"), "ts", F.length("props").cast("long")
+    ).select("event_id", "requests", "amount_in_window")
 
 
-@query("SELECT user_id, CAST(floor(epoch(ts) / 300) AS BIGINT) * 300 AS window_start_s, count(*) AS failures, count(*) >= 3 AS tripped FROM events WHERE event_type = 'error' GROUP BY 1, 2")
+@query(
+    "SELECT user_id, CAST(floor(epoch(ts) / 300) AS BIGINT) * 300 AS window_start_s, count(*) AS failures, count(*) >= 3 AS tripped FROM events WHERE event_type = 'error' GROUP BY 1, 2"
+)
 def breaker_windows(spark, sf_dir):
     rows = windows.breaker_windows(read(spark, sf_dir, "events"), ["user_id"], "ts", c("event_type") == "error")
     return rows.select("user_id", F.unix_seconds("window_start").alias("window_start_s"), "failures", "tripped")
@@ -489,7 +575,10 @@ def judge_parse(spark, sf_dir):
         .when(m == 6, "").otherwise(F.concat(F.lit('{"Authenticity_Score": 3, "Decision": "'), de, F.lit('"}')))
     )
     rows = judge.parse(d.withColumns({"criterion": F.lit("authenticity"), "reply": text}))
-    return rows.select(c("doc_id").alias("seq"), F.coalesce("parse_strategy", F.lit(0)).alias("parse_strategy"), "score", "decision", "feedback", "parsing_failed")
+    return rows.select(
+        c("doc_id").alias("seq"), F.coalesce("parse_strategy", F.lit(0)).alias("parse_strategy"), "score", "decision", "feedback",
+        "parsing_failed",
+    )
 
 
 @query(f"""
@@ -499,7 +588,11 @@ SELECT seq, round((least(9, 5 + n / 25) + least(9, 4 + sp) + CASE WHEN ba > 0 TH
     CASE WHEN rating >= 4 AND po > ne THEN least(9, 6 + po) WHEN rating <= 2 AND ne > po THEN least(9, 6 + ne) WHEN rating = 3 THEN 7 ELSE 5 END::DOUBLE AS alignment_score, round(least(9, 5 + te * 0.5), 6)::DOUBLE AS expertise_score FROM h""")
 def judge_fallbacks(spark, sf_dir):
     t = c("text")
-    return reviews(spark, sf_dir).select("seq", judge.authenticity_fallback(t)["authenticity_score"].alias("authenticity_score"), judge.alignment_fallback(t, c("rating")).alias("alignment_score"), judge.expertise_fallback(t)["expertise_score"].alias("expertise_score"))
+    return reviews(spark, sf_dir).select(
+        "seq", judge.authenticity_fallback(t)["authenticity_score"].alias("authenticity_score"),
+        judge.alignment_fallback(t, c("rating")).alias("alignment_score"),
+        judge.expertise_fallback(t)["expertise_score"].alias("expertise_score"),
+    )
 
 
 JUDGED_SQL = """j AS (SELECT doc_id AS seq, i, ['authenticity', 'alignment', 'expertise', 'uniqueness'][i] AS criterion, CASE WHEN (doc_id + i) % 9 = 0 THEN 'n/a' ELSE CAST((doc_id * i) % 11 AS VARCHAR) END AS score,
@@ -510,7 +603,14 @@ def judged(spark, sf_dir) -> DataFrame:
     d = reviews(spark, sf_dir).select("seq", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("i"))
     n = c("seq") + c("i")
     names = F.array(*[F.lit(x) for x in judge.CRITERIA])
-    return d.withColumns({"criterion": F.element_at(names, c("i")), "score": F.when(n % 9 == 0, "n/a").otherwise(((c("seq") * c("i")) % 11).cast("string")), "decision": F.when(n % 4 > 0, "PASS").otherwise("FAIL"), "parsing_failed": n % 11 == 0, "fallback": n % 5 == 0, "llm_success": n % 5 != 0, "feedback": F.concat(F.lit("note "), c("i").cast("string"))})
+    return d.withColumns(
+        {
+            "criterion": F.element_at(names, c("i")),
+            "score": F.when(n % 9 == 0, "n/a").otherwise(((c("seq") * c("i")) % 11).cast("string")),
+            "decision": F.when(n % 4 > 0, "PASS").otherwise("FAIL"), "parsing_failed": n % 11 == 0, "fallback": n % 5 == 0,
+            "llm_success": n % 5 != 0, "feedback": F.concat(F.lit("note "), c("i").cast("string")),
+        }
+    )
 
 
 @query(f"""
@@ -519,22 +619,37 @@ WITH {JUDGED_SQL}, v AS (SELECT seq, coalesce(avg(TRY_CAST(score AS DOUBLE) / 10
 SELECT seq, round(overall_score, 6) AS overall_score, dimensions, all_passed, errors_count, fallback_count, llm_success_count, CASE WHEN all_passed AND overall_score >= 0.6 THEN 'PASS' ELSE 'FAIL' END AS final_decision FROM v""")
 def judge_overall(spark, sf_dir):
     v = judge.verdicts(judged(spark, sf_dir), ["seq"])
-    dims = F.array_join(F.transform(F.array_sort(F.map_entries("dimension_scores")), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"], 1).cast("string"))), ",")
-    return v.select("seq", "overall_score", dims.alias("dimensions"), "all_passed", "errors_count", "fallback_count", "llm_success_count", "final_decision")
+    dims = F.array_join(
+        F.transform(
+            F.array_sort(F.map_entries("dimension_scores")),
+            lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"], 1).cast("string")),
+        ),
+        ",",
+    )
+    return v.select(
+        "seq", "overall_score", dims.alias("dimensions"), "all_passed", "errors_count", "fallback_count", "llm_success_count",
+        "final_decision",
+    )
 
 
 @query("""
 WITH p AS (SELECT doc_id AS seq, c, CASE WHEN quality = 1 THEN 'PASS' ELSE 'FAIL' END AS p, CASE WHEN (CASE c WHEN 'authenticity' THEN 1 - toxic ELSE toxic END) = 1 THEN 'PASS' ELSE 'FAIL' END AS s FROM labels, (SELECT unnest(['authenticity', 'alignment']) AS c))
 SELECT seq, round(avg((p = s)::INT), 6) AS agreement_rate, CAST(count_if(p = s) AS BIGINT) AS agreed_count, count(*) AS total_comparisons FROM p GROUP BY seq""")
 def judge_consensus(spark, sf_dir):
-    rows = read(spark, sf_dir, "labels").select(c("doc_id").alias("seq"), "quality", "toxic", F.explode(F.array(F.lit("authenticity"), F.lit("alignment"))).alias("criterion"))
+    rows = read(spark, sf_dir, "labels").select(
+        c("doc_id").alias("seq"), "quality", "toxic", F.explode(F.array(F.lit("authenticity"), F.lit("alignment"))).alias("criterion")
+    )
     say = lambda x: F.when(x == 1, "PASS").otherwise("FAIL")
     first = rows.select("seq", "criterion", say(c("quality")).alias("decision"))
-    second = rows.select("seq", "criterion", say(F.when(c("criterion") == "authenticity", 1 - c("toxic")).otherwise(c("toxic"))).alias("decision"))
+    second = rows.select(
+        "seq", "criterion", say(F.when(c("criterion") == "authenticity", 1 - c("toxic")).otherwise(c("toxic"))).alias("decision")
+    )
     return judge.consensus(first, second, ["seq"])
 
 
-@query(f"WITH {JUDGED_SQL} SELECT seq, string_agg(upper(criterion[1]) || criterion[2:] || ' [' || decision || ']' || CASE WHEN fallback THEN ' [FALLBACK]' ELSE '' END || ': note ' || i, ' | ' ORDER BY i) AS feedback FROM j GROUP BY seq")
+@query(
+    f"WITH {JUDGED_SQL} SELECT seq, string_agg(upper(criterion[1]) || criterion[2:] || ' [' || decision || ']' || CASE WHEN fallback THEN ' [FALLBACK]' ELSE '' END || ': note ' || i, ' | ' ORDER BY i) AS feedback FROM j GROUP BY seq"
+)
 def judge_feedback(spark, sf_dir):
     return judge.joined_feedback(judged(spark, sf_dir), ["seq"])
 
@@ -546,7 +661,9 @@ WITH {JUDGED_SQL}, v AS (SELECT seq, coalesce(avg(TRY_CAST(score AS DOUBLE) / 10
 SELECT seq, CASE WHEN e >= 3 THEN format('LLM Judge evaluation failed ({{}} errors) - possible API issue', e) WHEN ok AND o >= 0.6 THEN '' ELSE 'Failed LLM Judge: ' || coalesce(d, f) || CASE WHEN o < 0.7 THEN format('; LLM Judge score too low: {{:.2f}} (min: 0.7)', o) ELSE '' END END AS reasons FROM v""")
 def judge_gate(spark, sf_dir):
     rows = judged(spark, sf_dir)
-    v = judge.verdicts(rows, ["seq"]).join(judge.joined_feedback(rows, ["seq"]), "seq").join(rows.groupBy("seq").agg(F.map_from_entries(F.collect_list(F.struct("criterion", "feedback"))).alias("dimension_feedback")), "seq")
+    v = judge.verdicts(rows, ["seq"]).join(judge.joined_feedback(rows, ["seq"]), "seq").join(
+        rows.groupBy("seq").agg(F.map_from_entries(F.collect_list(F.struct("criterion", "feedback"))).alias("dimension_feedback")), "seq"
+    )
     v = v.withColumn("dimension_scores", F.map_from_entries(F.array_sort(F.map_entries("dimension_scores"))))
     return judge.gate(v, 0.7).select("seq", F.array_join("judge_reasons", "; ").alias("reasons"))
 
@@ -560,7 +677,9 @@ def pass_rate_fold(spark, sf_dir):
 
 
 def price_sql(model: str, prices: dict, default: tuple, side: int) -> str:
-    return f"CASE {model} " + " ".join(f"WHEN '{k}' THEN {v[side]}::DOUBLE" for k, v in prices.items()) + f" ELSE {default[side]}::DOUBLE END"
+    return f"CASE {model} " + " ".join(
+        f"WHEN '{k}' THEN {v[side]}::DOUBLE" for k, v in prices.items()
+    ) + f" ELSE {default[side]}::DOUBLE END"
 
 
 COST_MODELS = ("gpt-4", "gpt-4o-mini", "gemini-pro", "gemini-2.0-flash-exp", "other", "llama:free")
@@ -575,7 +694,10 @@ SELECT seq, round(CASE p WHEN 'openai' THEN (i / 1000 * {price_sql('m', metrics.
 def cost_model(spark, sf_dir):
     pick = lambda options, n: F.element_at(F.array(*[F.lit(o) for o in options]), (c("doc_id") % n + 1).cast("int"))
     d = read(spark, sf_dir, "documents")
-    paid = metrics.cost(pick(COST_PROVIDERS, 5), pick(COST_MODELS, 6), c("n_chars").cast("double"), F.floor(c("n_chars") / 2).cast("double"), c("doc_id") % 2 == 0)
+    paid = metrics.cost(
+        pick(COST_PROVIDERS, 5), pick(COST_MODELS, 6), c("n_chars").cast("double"), F.floor(c("n_chars") / 2).cast("double"),
+        c("doc_id") % 2 == 0,
+    )
     return d.select(c("doc_id").alias("seq"), (paid.cast("double") * 1000).alias("cost_thousandths"))
 
 
@@ -584,8 +706,15 @@ SELECT 'csv' AS source, CASE WHEN doc_id % 3 = 0 THEN 'csv' ELSE source END AS p
     CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 + doc_id % 5 END::DOUBLE AS rating, lang AS author, 'tool' || doc_id % 7 AS product, '' AS url, source AS extra FROM documents""")
 def normalise_rows(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    raw = d.select(c("doc_id").cast("string").alias("id"), F.when(c("doc_id") % 3 == 0, "").otherwise(c("source")).alias("platform"), F.when(c("doc_id") % 4 == 0, "").otherwise(c("text")).alias("body"), F.concat(F.lit("review: "), c("text")).alias("review_text"), F.when(c("doc_id") % 5 != 0, (c("doc_id") % 5 + 1).cast("string")).alias("rating"), c("lang").alias("user"), F.concat(F.lit("tool"), (c("doc_id") % 7).cast("string")).alias("tool"), c("source").alias("extra"))
-    return io.normalise(raw, "csv").select("source", "platform", "review_id", "body", "rating", "author", "product", "url", c("metadata")["extra"].alias("extra"))
+    raw = d.select(
+        c("doc_id").cast("string").alias("id"), F.when(c("doc_id") % 3 == 0, "").otherwise(c("source")).alias("platform"),
+        F.when(c("doc_id") % 4 == 0, "").otherwise(c("text")).alias("body"), F.concat(F.lit("review: "), c("text")).alias("review_text"),
+        F.when(c("doc_id") % 5 != 0, (c("doc_id") % 5 + 1).cast("string")).alias("rating"), c("lang").alias("user"),
+        F.concat(F.lit("tool"), (c("doc_id") % 7).cast("string")).alias("tool"), c("source").alias("extra"),
+    )
+    return io.normalise(raw, "csv").select(
+        "source", "platform", "review_id", "body", "rating", "author", "product", "url", c("metadata")["extra"].alias("extra")
+    )
 
 
 def unit_sql(key: str, salt: str, seed: int = 42) -> str:
@@ -609,12 +738,18 @@ RATINGS = (0.05, 0.10, 0.20, 0.35, 0.30)
 MODELS = (("offline/a", 0.7), ("offline/b", 0.3))
 
 
-@query(f"SELECT doc_id AS seq, {weighted_sql('doc_id', 'persona', PERSONAS)} AS persona, CAST({weighted_sql('doc_id', 'rating', list(enumerate(RATINGS, 1)))} AS INT) AS rating, {weighted_sql('doc_id', 'model', MODELS)} AS model_key FROM documents")
+@query(
+    f"SELECT doc_id AS seq, {weighted_sql('doc_id', 'persona', PERSONAS)} AS persona, CAST({weighted_sql('doc_id', 'rating', list(enumerate(RATINGS, 1)))} AS INT) AS rating, {weighted_sql('doc_id', 'model', MODELS)} AS model_key FROM documents"
+)
 def weighted_assignment(spark, sf_dir):
-    return generate.specs(reviews(spark, sf_dir).select("seq"), "seq", PERSONAS, RATINGS, MODELS).select("seq", "persona", "rating", "model_key")
+    return generate.specs(
+        reviews(spark, sf_dir).select("seq"), "seq", PERSONAS, RATINGS, MODELS
+    ).select("seq", "persona", "rating", "model_key")
 
 
-FOCUS_SQL = "list_slice(list_transform(list_sort([" + ", ".join(f"{{'u': {unit_sql('doc_id', f'focus{i}')}, 'o': {quoted(o)}}}" for i, o in enumerate(generate.FOCUS_AREAS)) + "]), lambda x: x.o), 1, 3)"
+FOCUS_SQL = "list_slice(list_transform(list_sort([" + ", ".join(
+    f"{{'u': {unit_sql('doc_id', f'focus{i}')}, 'o': {quoted(o)}}}" for i, o in enumerate(generate.FOCUS_AREAS)
+) + "]), lambda x: x.o), 1, 3)"
 SPEC_SQL = f"""
 p AS (SELECT doc_id AS seq, doc_id % 3 AS retry, CASE doc_id % 4 WHEN 0 THEN 'needs technical detail' WHEN 1 THEN 'be more unique' WHEN 2 THEN 'not authentic' END AS feedback,
     {weighted_sql('doc_id', 'persona', PERSONAS)} AS persona, CAST({weighted_sql('doc_id', 'rating', list(enumerate(RATINGS, 1)))} AS INT) AS rating, {choose_sql('doc_id', 'tone', generate.TONES)} AS tone, {choose_sql('doc_id', 'style', generate.STYLES)} AS style, {choose_sql('doc_id', 'scenario', generate.SCENARIOS)} AS scenario,
@@ -625,12 +760,22 @@ p AS (SELECT doc_id AS seq, doc_id % 3 AS retry, CASE doc_id % 4 WHEN 0 THEN 'ne
 
 def spec_rows(spark, sf_dir) -> DataFrame:
     m = c("seq") % 4
-    return generate.specs(reviews(spark, sf_dir).select("seq"), "seq", PERSONAS, RATINGS, MODELS).withColumns({"retry": c("seq") % 3, "feedback": F.when(m == 0, "needs technical detail").when(m == 1, "be more unique").when(m == 2, "not authentic")})
+    return generate.specs(reviews(spark, sf_dir).select("seq"), "seq", PERSONAS, RATINGS, MODELS).withColumns(
+        {
+            "retry": c("seq") % 3,
+            "feedback": F.when(m == 0, "needs technical detail").when(m == 1, "be more unique").when(m == 2, "not authentic"),
+        }
+    )
 
 
-@query(f"WITH {SPEC_SQL} SELECT seq, tone, style, scenario, job AS random_job, company AS random_company_type, focus AS focus_areas, seeds AS seed_words, lo AS min_words, hi AS max_words FROM p")
+@query(
+    f"WITH {SPEC_SQL} SELECT seq, tone, style, scenario, job AS random_job, company AS random_company_type, focus AS focus_areas, seeds AS seed_words, lo AS min_words, hi AS max_words FROM p"
+)
 def random_specs(spark, sf_dir):
-    return spec_rows(spark, sf_dir).select("seq", "tone", "style", "scenario", "random_job", "random_company_type", F.array_join("focus_areas", ", ").alias("focus_areas"), F.array_join(F.slice("seed_words", 1, 5), ", ").alias("seed_words"), "min_words", "max_words")
+    return spec_rows(spark, sf_dir).select(
+        "seq", "tone", "style", "scenario", "random_job", "random_company_type", F.array_join("focus_areas", ", ").alias("focus_areas"),
+        F.array_join(F.slice("seed_words", 1, 5), ", ").alias("seed_words"), "min_words", "max_words",
+    )
 
 
 _G = " ".join(f"WHEN {k} THEN {quoted(v)}" for k, v in generate.GUIDANCE.items())
@@ -643,7 +788,10 @@ WITH {SPEC_SQL} SELECT seq, 'Write an authentic SaaS review as ' || persona || '
     'Write a ' || rating || '-star review of ' || lo || ' to ' || hi || ' words.' || CASE seq % 4 WHEN 0 THEN chr(10) || chr(10) || 'Stress: specific technical detail.' WHEN 1 THEN chr(10) || chr(10) || 'Stress: other examples and structure.' WHEN 2 THEN chr(10) || chr(10) || 'Stress: personal experience.' ELSE '' END AS user_prompt,
     round(least(1.0 + 0.1 * retry, 1.5), 6)::DOUBLE AS temperature FROM p""")
 def prompt_render(spark, sf_dir):
-    return spec_rows(spark, sf_dir).select("seq", generate.system_prompt(F.lit("SaaS")).alias("system_prompt"), generate.user_prompt().alias("user_prompt"), generate.retry_temperature(c("retry")).alias("temperature"))
+    return spec_rows(spark, sf_dir).select(
+        "seq", generate.system_prompt(F.lit("SaaS")).alias("system_prompt"), generate.user_prompt().alias("user_prompt"),
+        generate.retry_temperature(c("retry")).alias("temperature"),
+    )
 
 
 @query("""
@@ -653,25 +801,39 @@ def batch_result_join(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     requests = d.select(c("doc_id").alias("seq"), F.concat(F.lit("request-"), c("doc_id").cast("string")).alias("custom_id"))
     m = c("doc_id") % 4
-    results = d.filter(m != 0).select(F.concat(F.lit("request-"), c("doc_id").cast("string")).alias("custom_id"), F.when(m == 1, 503).otherwise(200).alias("status_code"), c("text").alias("content"), c("n_chars").alias("prompt_tokens"), F.lit(100).cast("long").alias("completion_tokens"), F.when(m == 1, "overloaded").alias("error"))
+    results = d.filter(m != 0).select(
+        F.concat(F.lit("request-"), c("doc_id").cast("string")).alias("custom_id"), F.when(m == 1, 503).otherwise(200).alias("status_code"),
+        c("text").alias("content"), c("n_chars").alias("prompt_tokens"), F.lit(100).cast("long").alias("completion_tokens"),
+        F.when(m == 1, "overloaded").alias("error"),
+    )
     return metrics.batch_results(requests, results, "gpt-4").select("seq", "text", "cost", "success", "error")
 
 
-@query("SELECT doc_id AS seq, CASE doc_id % 4 WHEN 0 THEN 'w' || doc_id WHEN 1 THEN 'q ' || doc_id WHEN 2 THEN 'line ' || doc_id || chr(10) || 'two' ELSE '```x```' END AS cleaned FROM documents")
+@query(
+    "SELECT doc_id AS seq, CASE doc_id % 4 WHEN 0 THEN 'w' || doc_id WHEN 1 THEN 'q ' || doc_id WHEN 2 THEN 'line ' || doc_id || chr(10) || 'two' ELSE '```x```' END AS cleaned FROM documents"
+)
 def clean_text(spark, sf_dir):
     n, m = c("seq").cast("string"), c("seq") % 4
-    raw = F.when(m == 0, F.concat(F.lit("  w"), n, F.lit("\n"))).when(m == 1, F.concat(F.lit('" q '), n, F.lit(' "'))).when(m == 2, F.concat(F.lit("```text\nline "), n, F.lit("\ntwo\n```"))).otherwise("```x```")
+    raw = F.when(m == 0, F.concat(F.lit("  w"), n, F.lit("\n"))).when(m == 1, F.concat(F.lit('" q '), n, F.lit(' "'))).when(
+        m == 2, F.concat(F.lit("```text\nline "), n, F.lit("\ntwo\n```"))
+    ).otherwise("```x```")
     return reviews(spark, sf_dir).select("seq", T.clean_generated(raw).alias("cleaned"))
 
 
-@query("SELECT doc_id AS seq, round(CASE doc_id % 4 WHEN 0 THEN (doc_id + 1000) / 1000.0 + 0.5 WHEN 1 THEN doc_id % 60 + 0.25 + 0.5 ELSE power(2, doc_id % 3) END::DOUBLE, 6) AS wait_seconds FROM documents")
+@query(
+    "SELECT doc_id AS seq, round(CASE doc_id % 4 WHEN 0 THEN (doc_id + 1000) / 1000.0 + 0.5 WHEN 1 THEN doc_id % 60 + 0.25 + 0.5 ELSE power(2, doc_id % 3) END::DOUBLE, 6) AS wait_seconds FROM documents"
+)
 def rate_limit_wait(spark, sf_dir):
     m = c("seq") % 4
-    said = F.when(m == 0, F.concat(F.lit("Rate limit. Please try again in "), F.format_number(c("seq") + 1000, 0), F.lit("ms. Thanks"))).when(m == 1, F.concat(F.lit("Please try again in "), (c("seq") % 60).cast("string"), F.lit(".25s. Bye"))).when(m == 2, "Please try again in a while").otherwise("busy")
+    said = F.when(
+        m == 0, F.concat(F.lit("Rate limit. Please try again in "), F.format_number(c("seq") + 1000, 0), F.lit("ms. Thanks"))
+    ).when(m == 1, F.concat(F.lit("Please try again in "), (c("seq") % 60).cast("string"), F.lit(".25s. Bye"))).when(m == 2, "Please try again in a while").otherwise("busy")
     return reviews(spark, sf_dir).select("seq", T.wait_seconds(said, c("seq") % 3).alias("wait_seconds"))
 
 
-@query(f"WITH {GATES_SQL} SELECT seq, CASE WHEN seq % 3 > 0 THEN CASE WHEN seq % 2 = 0 THEN CASE WHEN len(reasons) > 0 THEN array_to_string(reasons, ' | ') END ELSE CASE WHEN seq % 5 = 0 THEN NULL ELSE 'judge says' END END END AS feedback FROM x")
+@query(
+    f"WITH {GATES_SQL} SELECT seq, CASE WHEN seq % 3 > 0 THEN CASE WHEN seq % 2 = 0 THEN CASE WHEN len(reasons) > 0 THEN array_to_string(reasons, ' | ') END ELSE CASE WHEN seq % 5 = 0 THEN NULL ELSE 'judge says' END END END AS feedback FROM x"
+)
 def retry_feedback(spark, sf_dir):
     said = F.when(c("seq") % 5 == 0, "").otherwise("judge says")
     return gated(spark, sf_dir).select("seq", gates.feedback(c("seq") % 3, c("seq") % 2 == 0, c("reasons"), said).alias("feedback"))
@@ -686,9 +848,15 @@ def prefix_self_bleu(spark, sf_dir):
 
 @query()
 def generation_rounds(spark, sf_dir):
-    config = io.Config(domain="saas", target_samples=200, personas=PERSONAS, ratings=RATINGS, models=MODELS, thresholds={"min_length": 40, "max_length": 400, "min_unique_words": 20, "max_self_bleu": 0.9, "max_regeneration_attempts": 3})
+    config = io.Config(
+        domain="saas", target_samples=200, personas=PERSONAS, ratings=RATINGS, models=MODELS,
+        thresholds={"min_length": 40, "max_length": 400, "min_unique_words": 20, "max_self_bleu": 0.9, "max_regeneration_attempts": 3},
+    )
     done = rounds_plan.run(spark, config, providers.TemplateProvider)
-    return done.select("seq", "review_id", "attempt", "rating", "persona", "model_key", "n_words", "self_bleu_diversity", F.array_join("reasons", "; ").alias("reasons"), "decision")
+    return done.select(
+        "seq", "review_id", "attempt", "rating", "persona", "model_key", "n_words", "self_bleu_diversity",
+        F.array_join("reasons", "; ").alias("reasons"), "decision",
+    )
 
 
 @query()
@@ -757,7 +925,10 @@ def judge_evaluation(spark, sf_dir):
     rows = judge.context(d, ["session", "model"], "seq", chars=judging.SHOWN_BEFORE)
     rows = rows.withColumns({"review_id": c("seq"), "persona": F.lit("a team lead"), "domain": F.lit("saas")})
     verdict = judging.evaluate(rows, providers.RuleJudge, providers.RuleJudge)
-    return verdict.select("review_id", "overall_score", "all_passed", "errors_count", "fallback_count", "llm_success_count", "final_decision", "agreement_rate")
+    return verdict.select(
+        "review_id", "overall_score", "all_passed", "errors_count", "fallback_count", "llm_success_count", "final_decision",
+        "agreement_rate",
+    )
 
 
 @query("""
@@ -793,7 +964,9 @@ WITH {BASE}, {scores_sql(S.LENIENT)}, m AS (SELECT *, {hits('lower(text)', S.LEN
 k AS (SELECT *, greatest(1, least(5, 3 + lead)) AS stars, least(0.95, 0.5 + 0.1 * abs(lead))::DOUBLE AS sure FROM m)
 SELECT seq, CAST(stars AS INT) AS predicted_stars, round(sure, 6) AS star_confidence, round(sure * CASE abs(stars - rating) WHEN 0 THEN 1 WHEN 1 THEN {S.LENIENT.star_factors[1]} WHEN 2 THEN {S.LENIENT.star_factors[2]} ELSE {S.LENIENT.star_factors[3]} END::DOUBLE, 6) AS alignment_score, 'stars' AS method FROM k""")
 def star_model(spark, sf_dir):
-    return models.star_sentiment(reviews(spark, sf_dir), models.LexiconStars).select("seq", "predicted_stars", "star_confidence", "alignment_score", "method")
+    return models.star_sentiment(reviews(spark, sf_dir), models.LexiconStars).select(
+        "seq", "predicted_stars", "star_confidence", "alignment_score", "method"
+    )
 
 
 @query(f"""
@@ -803,4 +976,7 @@ def gates_by_self_bleu(spark, sf_dir):
     rows = reviews(spark, sf_dir)
     bleu = diversity.self_bleu_docs(rows).select("seq", (F.lit(1.0) - c("bleu")).alias("self_bleu_diversity"))
     done = gates.check(rows.join(bleu, "seq"), gates.Thresholds(), S.LENIENT, breaker=F.lit(True))
-    return done.select("seq", "self_bleu_diversity", F.array_join(F.transform("reasons", lambda x: F.regexp_extract(x, r"^([^:(]+?) *[:(]", 1)), "; ").alias("gates"))
+    return done.select(
+        "seq", "self_bleu_diversity",
+        F.array_join(F.transform("reasons", lambda x: F.regexp_extract(x, r"^([^:(]+?) *[:(]", 1)), "; ").alias("gates"),
+    )

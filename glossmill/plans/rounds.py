@@ -15,7 +15,10 @@ from glossmill.plans import judging
 from glossmill.plans.staging import staged
 from glossmill.sources.io import Config
 
-FINAL = ["seq", "review_id", "attempt", "rating", "persona", "model_key", "seed_words", "text", "time", "cost", "n_words", "n_unique", "self_bleu_diversity", "alignment_score", "breaker_open", "judge_score", "reasons", "decision"]
+FINAL = [
+    "seq", "review_id", "attempt", "rating", "persona", "model_key", "seed_words", "text", "time", "cost", "n_words", "n_unique",
+    "self_bleu_diversity", "alignment_score", "breaker_open", "judge_score", "reasons", "decision",
+]
 #: Accepted texts that a judge's prompt on uniqueness draws from, and those that it shows; texts of the stand-in's overlap.
 CONTEXT, SHOWN, OVERLAP = 10, 3, 5
 
@@ -56,14 +59,26 @@ def judged(rows: DataFrame, accepted: DataFrame | None, t: gates.Thresholds, dom
     shown = F.array(*[F.substring(F.lit(x), 1, judging.SHOWN_BEFORE) for x in last[:SHOWN]]).cast("array<string>")
     sets = F.array(*[F.array_distinct(T.words(F.lower(F.lit(x)))) for x in last[-OVERLAP:]]).cast("array<array<string>>")
     own = F.array_distinct(T.words(F.lower(F.col("text"))))
-    asked = rows.filter("passed").select(F.col("seq").alias("review_id"), "text", "rating", "persona", F.lit(domain).alias("domain"), shown.alias("before"), judge.mean_overlap(own, sets).alias("avg_overlap"))
+    asked = rows.filter("passed").select(
+        F.col("seq").alias("review_id"), "text", "rating", "persona", F.lit(domain).alias("domain"), shown.alias("before"),
+        judge.mean_overlap(own, sets).alias("avg_overlap"),
+    )
     verdict = judge.gate(judging.evaluate(asked, primary, secondary), t.min_llm_judge_score)
-    verdict = verdict.select(F.col("review_id").alias("_of"), "judge_reasons", judge.usable_score(F.lit(False), F.col("errors_count"), F.col("overall_score")).alias("judge_score"))
+    verdict = verdict.select(
+        F.col("review_id").alias("_of"), "judge_reasons",
+        judge.usable_score(F.lit(False), F.col("errors_count"), F.col("overall_score")).alias("judge_score"),
+    )
     out = rows.join(verdict, rows["seq"] == F.col("_of"), "left")
-    return out.withColumn("reasons", F.when(F.size("judge_reasons") > 0, F.col("judge_reasons")).otherwise(F.col("reasons"))).drop("_of", "judge_reasons")
+    return out.withColumn(
+        "reasons", F.when(F.size("judge_reasons") > 0, F.col("judge_reasons")).otherwise(F.col("reasons"))
+    ).drop("_of", "judge_reasons")
 
 
-def run(spark: SparkSession, config: Config, make_provider, thresholds: gates.Thresholds | None = None, profile: S.Profile = S.LENIENT, seed: int = 42, slots: tuple[int, int] | None = None, accepted: DataFrame | None = None, primary=None, secondary=None, breaker: Breaker | None = None) -> DataFrame:
+def run(
+    spark: SparkSession, config: Config, make_provider, thresholds: gates.Thresholds | None = None, profile: S.Profile = S.LENIENT,
+    seed: int = 42, slots: tuple[int, int] | None = None, accepted: DataFrame | None = None, primary=None, secondary=None,
+    breaker: Breaker | None = None,
+) -> DataFrame:
     """One row for each slot (1 to the target, or first to last): its accepted or rejected candidate after at most
     max_regeneration_attempts + 1 attempts.
 
@@ -75,15 +90,32 @@ def run(spark: SparkSession, config: Config, make_provider, thresholds: gates.Th
     t = thresholds or gates.Thresholds(**{k: v for k, v in config.thresholds.items() if k in gates.Thresholds.__dataclass_fields__})
     breaker = breaker or Breaker(profile.breaker_at)
     first, last_slot = slots or (1, config.target_samples)
-    pending = spark.range(first, last_slot + 1).select(F.col("id").alias("seq"), F.array().cast("array<string>").alias("history"), F.lit(None).cast("string").alias("feedback"))
+    pending = spark.range(first, last_slot + 1).select(
+        F.col("id").alias("seq"), F.array().cast("array<string>").alias("history"), F.lit(None).cast("string").alias("feedback")
+    )
     done: DataFrame | None = None
     for retry in range(t.max_regeneration_attempts + 1):
-        spec = generate.specs(pending.withColumns({"retry": F.lit(retry), "_key": F.concat_ws("/", F.col("seq"), F.lit(retry))}), "_key", config.personas, config.ratings, config.models, seed)
+        spec = generate.specs(
+            pending.withColumns({"retry": F.lit(retry), "_key": F.concat_ws("/", F.col("seq"), F.lit(retry))}), "_key", config.personas,
+            config.ratings, config.models, seed,
+        )
         # a slot keeps its rating and persona through its attempts
-        spec = spec.withColumns({"rating": generate.weighted(F.col("seq"), "rating", seed, list(enumerate(config.ratings, 1))), "persona": generate.weighted(F.col("seq"), "persona", seed, config.personas)})
-        prompts = spec.withColumns({"system_prompt": generate.system_prompt(F.lit(config.domain)), "user_prompt": generate.user_prompt(), "temperature": generate.retry_temperature(F.lit(retry))})
+        spec = spec.withColumns(
+            {
+                "rating": generate.weighted(F.col("seq"), "rating", seed, list(enumerate(config.ratings, 1))),
+                "persona": generate.weighted(F.col("seq"), "persona", seed, config.personas),
+            }
+        )
+        prompts = spec.withColumns(
+            {
+                "system_prompt": generate.system_prompt(F.lit(config.domain)), "user_prompt": generate.user_prompt(),
+                "temperature": generate.retry_temperature(F.lit(retry)),
+            }
+        )
         results = staged(generate.call(prompts, make_provider, ["seq"]), "generated")
-        rows = spec.select("seq", "history", "rating", "persona", "model_key", "seed_words").join(results.select("seq", F.coalesce("text", F.lit("")).alias("text"), "time", "cost"), "seq")
+        rows = spec.select("seq", "history", "rating", "persona", "model_key", "seed_words").join(
+            results.select("seq", F.coalesce("text", F.lit("")).alias("text"), "time", "cost"), "seq"
+        )
         good = accepted
         if done is not None:
             now = done.filter("decision = 'accept'").select("seq", "text")
@@ -100,7 +132,12 @@ def run(spark: SparkSession, config: Config, make_provider, thresholds: gates.Th
             checked = checked.withColumn("judge_score", F.lit(None).cast("double"))
         else:
             checked = judged(checked, good, t, config.domain, primary, secondary)
-        decided = staged(gates.decide(checked.withColumn("count", F.lit(retry)), t).withColumn("review_id", generate.review_id(F.col("seq"))).select(*FINAL, "history"), "decided")
+        decided = staged(
+            gates.decide(checked.withColumn("count", F.lit(retry)), t).withColumn(
+                "review_id", generate.review_id(F.col("seq"))
+            ).select(*FINAL, "history"),
+            "decided",
+        )
         last = decided.filter("decision <> 'regenerate'").select(*FINAL)
         done = last if done is None else done.unionByName(last)
         pending = decided.filter("decision = 'regenerate'").select("seq", "history", F.array_join("reasons", " | ").alias("feedback"))
@@ -113,7 +150,10 @@ def run(spark: SparkSession, config: Config, make_provider, thresholds: gates.Th
 MOST_CANDIDATES, MOST_FAILURES = 10, 20
 
 
-def fill(spark: SparkSession, config: Config, make_provider, thresholds: gates.Thresholds | None = None, profile: S.Profile = S.LENIENT, seed: int = 42, primary=None, secondary=None, breaker: Breaker | None = None) -> DataFrame:
+def fill(
+    spark: SparkSession, config: Config, make_provider, thresholds: gates.Thresholds | None = None, profile: S.Profile = S.LENIENT,
+    seed: int = 42, primary=None, secondary=None, breaker: Breaker | None = None,
+) -> DataFrame:
     """Rows of run() in waves of new slots, until the target is accepted, candidates run out, or a whole wave of
     MOST_FAILURES or more is rejected."""
     out: DataFrame | None = None
@@ -123,7 +163,10 @@ def fill(spark: SparkSession, config: Config, make_provider, thresholds: gates.T
         missing = min(config.target_samples - have, MOST_CANDIDATES * config.target_samples - slot)
         wave = max(missing, min(MOST_FAILURES, MOST_CANDIDATES * config.target_samples - slot))
         before = None if out is None else out.filter("decision = 'accept'")
-        rows = staged(run(spark, config, make_provider, thresholds, profile, seed, (slot + 1, slot + wave), before, primary, secondary, breaker), "wave")
+        rows = staged(
+            run(spark, config, make_provider, thresholds, profile, seed, (slot + 1, slot + wave), before, primary, secondary, breaker),
+            "wave",
+        )
         good = rows.filter("decision = 'accept'").count()
         out = rows if out is None else out.unionByName(rows)
         slot, have = slot + wave, have + good

@@ -29,9 +29,14 @@ RESULT = "custom_id string, response struct<status_code:int,body:struct<choices:
 def requests(prompts: DataFrame, model: str, key: str, max_tokens: int = 1024) -> DataFrame:
     """prompts with custom_id, and the request's line (value)."""
     message = lambda role, text: F.struct(F.lit(role).alias("role"), F.col(text).alias("content"))
-    body = F.struct(F.lit(model).alias("model"), F.array(message("system", "system_prompt"), message("user", "user_prompt")).alias("messages"), F.lit(max_tokens).alias("max_tokens"), F.col("temperature").alias("temperature"))
+    body = F.struct(
+        F.lit(model).alias("model"), F.array(message("system", "system_prompt"), message("user", "user_prompt")).alias("messages"),
+        F.lit(max_tokens).alias("max_tokens"), F.col("temperature").alias("temperature"),
+    )
     rows = prompts.withColumn("custom_id", F.concat(F.lit("request-"), F.col(key).cast("string")))
-    return rows.withColumn("value", F.to_json(F.struct("custom_id", F.lit("POST").alias("method"), F.lit(ENDPOINT).alias("url"), body.alias("body"))))
+    return rows.withColumn(
+        "value", F.to_json(F.struct("custom_id", F.lit("POST").alias("method"), F.lit(ENDPOINT).alias("url"), body.alias("body")))
+    )
 
 
 def results(lines: DataFrame) -> DataFrame:
@@ -52,7 +57,10 @@ def wait(service, job: dict, every: float = EVERY_SECONDS, sleep: Callable[[floa
     return job
 
 
-def run(prompts: DataFrame, service, model: str, key: str, provider=None, max_tokens: int = 1024, job_requests: int = JOB_REQUESTS, every: float = EVERY_SECONDS, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def run(
+    prompts: DataFrame, service, model: str, key: str, provider=None, max_tokens: int = 1024, job_requests: int = JOB_REQUESTS,
+    every: float = EVERY_SECONDS, sleep: Callable[[float], None] = time.sleep,
+) -> DataFrame:
     """prompts' key with text, cost, tokens, success and error, at the price of a batch.
 
     Requests go out as jobs of job_requests lines, one of which the driver holds at a time; results are written to the
@@ -69,7 +77,9 @@ def run(prompts: DataFrame, service, model: str, key: str, provider=None, max_to
     for job, first, last in pending:
         job = wait(service, job, every, sleep)
         if job["status"] == ENDED_WELL:
-            spark.createDataFrame([(x,) for x in service.content(job["output_file_id"])], "value string").coalesce(1).write.mode("append").text(at)
+            spark.createDataFrame(
+                [(x,) for x in service.content(job["output_file_id"])], "value string"
+            ).coalesce(1).write.mode("append").text(at)
         else:
             lost.append((first, last))
     found = results(spark.read.text(at))
@@ -87,7 +97,10 @@ def run(prompts: DataFrame, service, model: str, key: str, provider=None, max_to
             why = left.select(key, *[x.alias(n) for n, x in (none | said).items()])
         else:
             called = staged(generate.call(left, provider, [key], max_tokens), "batch-fallback")
-            why = called.select(key, "text", "cost", (F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"), "success", "error", F.lit(False).alias("batch_mode"))
+            why = called.select(
+                key, "text", "cost", (F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"), "success", "error",
+                F.lit(False).alias("batch_mode"),
+            )
         out = out.unionByName(why)
     out = staged(out, "batch-rows")
     removed(spark, at)
@@ -139,7 +152,9 @@ class HttpBatchService:
         return self._json("POST", "/files", body, f"multipart/form-data; boundary={mark}")["id"]
 
     def create(self, file_id: str) -> dict:
-        return self._json("POST", "/batches", json.dumps({"input_file_id": file_id, "endpoint": ENDPOINT, "completion_window": "24h"}).encode())
+        return self._json(
+            "POST", "/batches", json.dumps({"input_file_id": file_id, "endpoint": ENDPOINT, "completion_window": "24h"}).encode()
+        )
 
     def status(self, job_id: str) -> dict:
         return self._json("GET", f"/batches/{job_id}")

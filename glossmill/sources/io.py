@@ -22,7 +22,10 @@ SESSION_LINE = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d{3}) - (.*?) - ([A-Z]+) - (.
 
 # Columns of the collection templates, and the columns that aren't metadata.
 TEMPLATE_COLUMNS = ("id", "platform", "product", "title", "body", "rating", "author", "url")
-TEMPLATE_EXTRA = {"g2": ("company_size", "industry", "role"), "capterra": ("company_size", "industry", "use_case"), "reddit": ("subreddit", "thread_title")}
+TEMPLATE_EXTRA = {
+    "g2": ("company_size", "industry", "role"), "capterra": ("company_size", "industry", "use_case"),
+    "reddit": ("subreddit", "thread_title"),
+}
 KNOWN_COLUMNS = ("id", "review_id", "title", "body", "review_text", "rating", "author", "user", "product", "tool", "url", "platform")
 
 
@@ -69,7 +72,11 @@ def write_template(spark: SparkSession, path: str, platform: str) -> None:
 def dataset_rows(reviews: DataFrame) -> DataFrame:
     """Accepted reviews in the 13 columns of the dataset."""
     c = F.col
-    return reviews.select(c("review_id").alias("id"), "text", "rating", c("persona.name").alias("persona"), c("model_used").alias("model"), "seed_words", "generation_time", "cost", c("statistical_metrics").alias("statistical_scores"), c("llm_judge_results").alias("llm_judge_scores"), "final_decision", "regeneration_count", c("persona").alias("metadata"))
+    return reviews.select(
+        c("review_id").alias("id"), "text", "rating", c("persona.name").alias("persona"), c("model_used").alias("model"), "seed_words",
+        "generation_time", "cost", c("statistical_metrics").alias("statistical_scores"), c("llm_judge_results").alias("llm_judge_scores"),
+        "final_decision", "regeneration_count", c("persona").alias("metadata"),
+    )
 
 
 def write_dataset(reviews: DataFrame, path: str) -> None:
@@ -78,7 +85,9 @@ def write_dataset(reviews: DataFrame, path: str) -> None:
 
 def append_log(rows: DataFrame, path: str, session_id: str) -> None:
     """Event rows with the time and session they were logged in."""
-    rows.withColumns({"timestamp": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "session_id": F.lit(session_id)}).write.mode("append").json(path)
+    rows.withColumns(
+        {"timestamp": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "session_id": F.lit(session_id)}
+    ).write.mode("append").json(path)
 
 
 def read_log(spark: SparkSession, kind: str, path: str) -> DataFrame:
@@ -89,7 +98,10 @@ def read_session_log(spark: SparkSession, path: str) -> DataFrame:
     """timestamp, logger, level, message of text logs; lines of another form are left out."""
     line = lambda i: F.regexp_extract("value", SESSION_LINE, i)
     rows = spark.read.text(path).filter(F.col("value").rlike(SESSION_LINE))
-    return rows.select(F.to_timestamp_ntz(line(1), F.lit("yyyy-MM-dd HH:mm:ss,SSS")).alias("timestamp"), line(2).alias("logger"), line(3).alias("level"), line(4).alias("message"))
+    return rows.select(
+        F.to_timestamp_ntz(line(1), F.lit("yyyy-MM-dd HH:mm:ss,SSS")).alias("timestamp"), line(2).alias("logger"), line(3).alias("level"),
+        line(4).alias("message"),
+    )
 
 
 def session_id(at: str = "now") -> str:
@@ -117,7 +129,9 @@ def captured(ask: Callable[[str], str]) -> list[tuple]:
     """Reviews typed in (rows of REVIEW), field by field, until a title is blank; a rating that is no number is 0."""
     rows = []
     while title := ask("Title (blank to end): ").strip():
-        body, rating, author, product, platform = (ask(f"{name}: ").strip() for name in ("Text", "Rating (1 to 5)", "Author", "Product", "Platform"))
+        body, rating, author, product, platform = (
+            ask(f"{name}: ").strip() for name in ("Text", "Rating (1 to 5)", "Author", "Product", "Platform")
+        )
         try:
             stars = float(rating)
         except ValueError:
@@ -137,7 +151,10 @@ def asked_config(ask: Callable[[str], str]) -> Config:
         total = sum(w for _, w in pairs)
         return tuple((n, w / total) for n, w in pairs) if pairs and total > 0 else default
 
-    return Config(domain=take("Domain", base.domain, str), target_samples=take("Samples", base.target_samples, int), personas=weighted("Personas", base.personas), models=weighted("Models", base.models))
+    return Config(
+        domain=take("Domain", base.domain, str), target_samples=take("Samples", base.target_samples, int),
+        personas=weighted("Personas", base.personas), models=weighted("Models", base.models),
+    )
 
 
 def config_yaml(c: Config) -> str:
@@ -170,7 +187,9 @@ class Config:
     thresholds: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        for name, weights in (("ratings", self.ratings), ("personas", [w for _, w in self.personas]), ("models", [w for _, w in self.models])):
+        for name, weights in (
+            ("ratings", self.ratings), ("personas", [w for _, w in self.personas]), ("models", [w for _, w in self.models])
+        ):
             if not 0.99 <= sum(weights) <= 1.01:
                 raise ValueError(f"the weights of {name} sum to {sum(weights)}, not 1")
 

@@ -6,9 +6,19 @@ import hashlib
 import time
 from collections.abc import Callable
 
-OPENERS = ("I have used this for a while now.", "We moved over last spring.", "My team depends on it daily.", "It took a week to settle in.", "Our trial turned into a long stay.")
-GOOD = ("The setup was easy and the interface is clear.", "Support has been helpful and fast.", "It is reliable under load and simple to extend.", "The integration with our pipeline works well.", "Exports are efficient and the docs are solid.")
-BAD = ("The sync is slow and the errors are confusing.", "Support was poor when deployment was broken.", "Several features are missing or limited.", "The configuration is complicated and buggy.", "Problems with exports keep coming back.")
+OPENERS = (
+    "I have used this for a while now.", "We moved over last spring.", "My team depends on it daily.", "It took a week to settle in.",
+    "Our trial turned into a long stay.",
+)
+GOOD = (
+    "The setup was easy and the interface is clear.", "Support has been helpful and fast.",
+    "It is reliable under load and simple to extend.", "The integration with our pipeline works well.",
+    "Exports are efficient and the docs are solid.",
+)
+BAD = (
+    "The sync is slow and the errors are confusing.", "Support was poor when deployment was broken.",
+    "Several features are missing or limited.", "The configuration is complicated and buggy.", "Problems with exports keep coming back.",
+)
 
 
 class TemplateProvider:
@@ -24,7 +34,10 @@ class TemplateProvider:
             lines.append(f"Note {digest[i + 12]} on {hashlib.md5(digest[i:]).hexdigest()[:6]} stands.")
         text = " ".join(lines)
         used = len((system_prompt + user_prompt).split()), len(text.split())
-        return {"text": text, "model": "template", "time": 0.0, "cost": 0.0, "tokens": {"input": used[0], "output": used[1], "total": sum(used)}, "success": True}
+        return {
+            "text": text, "model": "template", "time": 0.0, "cost": 0.0,
+            "tokens": {"input": used[0], "output": used[1], "total": sum(used)}, "success": True,
+        }
 
 
 class Retrying:
@@ -74,7 +87,10 @@ def make(name: str):
 class Throttled:
     """Any provider, within a quota of calls and tokens a minute. A quota for all is shared out among the tasks."""
 
-    def __init__(self, inner, calls: int, tokens: int, tasks: int = 1, now: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+    def __init__(
+        self, inner, calls: int, tokens: int, tasks: int = 1, now: Callable[[], float] = time.monotonic,
+        sleep: Callable[[float], None] = time.sleep,
+    ):
         self.inner, self.calls, self.tokens, self.now, self.sleep = inner, max(1, calls // tasks), max(1, tokens // tasks), now, sleep
         self.past: list[tuple[float, int]] = []
 
@@ -111,7 +127,10 @@ class ChatProvider:
     gives the cost; tokens that the service doesn't count are estimated as 1.3 a word.
     """
 
-    def __init__(self, url: str, model: str, key_variable: str, price: Callable[[str, int, int, float | None], float] | None = None, headers: dict[str, str] | None = None, post: Callable[..., dict] = post_json):
+    def __init__(
+        self, url: str, model: str, key_variable: str, price: Callable[[str, int, int, float | None], float] | None = None,
+        headers: dict[str, str] | None = None, post: Callable[..., dict] = post_json,
+    ):
         from glossmill.sources.io import api_key
 
         self.url, self.model, self.price, self.post = url, model, price, post
@@ -120,7 +139,10 @@ class ChatProvider:
     def generate(self, system_prompt: str, user_prompt: str, temperature: float | None = None, max_tokens: int = 1024) -> dict:
         began = time.monotonic()
         try:
-            body = {"model": self.model, "messages": [{"role": "system", "content": system_prompt}, {"role": "user", "content": user_prompt}], "max_tokens": max_tokens}
+            body = {
+                "model": self.model, "messages": [{"role": "system", "content": system_prompt}, {"role": "user", "content": user_prompt}],
+                "max_tokens": max_tokens,
+            }
             answer = self.post(self.url, body if temperature is None else body | {"temperature": temperature}, self.headers)
             text = (answer["choices"][0]["message"]["content"] or "").strip()
             if not text:
@@ -129,9 +151,15 @@ class ChatProvider:
             i = int(used.get("prompt_tokens") or 1.3 * len((system_prompt + " " + user_prompt).split()))
             o = int(used.get("completion_tokens") or 1.3 * len(text.split()))
             cost = self.price(self.model, i, o, used.get("total_cost")) if self.price else 0.0
-            return {"text": text, "model": self.model, "time": time.monotonic() - began, "cost": cost, "tokens": {"input": i, "output": o, "total": i + o}, "success": True}
+            return {
+                "text": text, "model": self.model, "time": time.monotonic() - began, "cost": cost,
+                "tokens": {"input": i, "output": o, "total": i + o}, "success": True,
+            }
         except Exception as e:  # a failure is a result
-            return {"text": None, "model": self.model, "time": time.monotonic() - began, "cost": 0.0, "tokens": {}, "success": False, "error": str(e)}
+            return {
+                "text": None, "model": self.model, "time": time.monotonic() - began, "cost": 0.0, "tokens": {}, "success": False,
+                "error": str(e),
+            }
 
 
 class LocalProvider:
@@ -148,14 +176,22 @@ class LocalProvider:
         began = time.monotonic()
         try:
             chat = [{"role": "system", "content": system_prompt}, {"role": "user", "content": user_prompt}]
-            made = self.run(chat, max_new_tokens=max_tokens, do_sample=True, temperature=temperature or 1.0, truncation=True, max_length=self.max_input)
+            made = self.run(
+                chat, max_new_tokens=max_tokens, do_sample=True, temperature=temperature or 1.0, truncation=True, max_length=self.max_input
+            )
             text = made[0]["generated_text"][-1]["content"].strip()
-            return {"text": text, "model": self.model, "time": time.monotonic() - began, "cost": 0.0, "tokens": {}, "success": bool(text), "error": None if text else "the text is empty"}
+            return {
+                "text": text, "model": self.model, "time": time.monotonic() - began, "cost": 0.0, "tokens": {}, "success": bool(text),
+                "error": None if text else "the text is empty",
+            }
         except Exception as e:  # a failure is a result
             return {"text": None, "model": self.model, "time": time.monotonic() - began, "cost": 0.0, "success": False, "error": str(e)}
 
 
-def timed(provider, runs: int = 3, system_prompt: str = "You write short reviews.", user_prompt: str = "Write a 4-star review of 50 to 100 words.", max_tokens: int = 120) -> dict:
+def timed(
+    provider, runs: int = 3, system_prompt: str = "You write short reviews.",
+    user_prompt: str = "Write a 4-star review of 50 to 100 words.", max_tokens: int = 120,
+) -> dict:
     """Calls in a row: how many went well, the mean and the least seconds, and the last text (or error)."""
     took, good, last = [], 0, ""
     for _ in range(max(1, runs)):
@@ -186,7 +222,10 @@ class RuleJudge:
         if digest[1] % 16 == 0:
             return {"text": None, "success": False, "error": "unavailable", "time": 0.0, "cost": 0.0}
         text = f'{{"{criterion}_score": {score}, "decision": "{"PASS" if score >= 6 else "FAIL"}", "feedback": "note {digest[2]}"}}'
-        return {"text": f"```json\n{text}\n```" if digest[1] % 3 == 0 else text, "model": "rules", "time": 0.0, "cost": 0.0, "tokens": {}, "success": True}
+        return {
+            "text": f"```json\n{text}\n```" if digest[1] % 3 == 0 else text, "model": "rules", "time": 0.0, "cost": 0.0, "tokens": {},
+            "success": True,
+        }
 
 
 REGISTRY["rules"] = RuleJudge

@@ -44,8 +44,12 @@ def batch(events: DataFrame, key: str, ts: str, failed: str, seconds: int = 300,
         state = step(state, t, f, seconds)
         return state, (state[1], state[1] >= trip_at)
 
-    rows = events.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(failed).cast("boolean").alias("failed"))
-    done = in_order(rows, "key", ["ts", "failed"], ["ts", "failed"], lambda: (None, 0), counted, {"failures_so_far": "long", "active": "boolean"})
+    rows = events.select(
+        F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(failed).cast("boolean").alias("failed")
+    )
+    done = in_order(
+        rows, "key", ["ts", "failed"], ["ts", "failed"], lambda: (None, 0), counted, {"failures_so_far": "long", "active": "boolean"}
+    )
     return done.drop("failed")
 
 
@@ -59,9 +63,13 @@ def stream(events: DataFrame, key: str, ts: str, failed: str, seconds: int = 300
         pdf = pd.concat(list(frames)).sort_values(["ts", "failed"])
         counts, at, n = fold(list(pdf["ts"]), list(pdf["failed"]), at, n, seconds)
         state.update((at.to_pydatetime() if at is not None else None, n))
-        yield pd.DataFrame({"key": name[0], "ts": pdf["ts"].to_numpy(), "failures_so_far": counts, "active": [x >= trip_at for x in counts]})
+        yield pd.DataFrame(
+            {"key": name[0], "ts": pdf["ts"].to_numpy(), "failures_so_far": counts, "active": [x >= trip_at for x in counts]}
+        )
 
-    rows = events.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(failed).cast("boolean").alias("failed"))
+    rows = events.select(
+        F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(failed).cast("boolean").alias("failed")
+    )
     return rows.groupBy("key").applyInPandasWithState(run, OUTPUT, "at timestamp, n long", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -69,7 +77,9 @@ def rolling_failures(events: DataFrame, ts: str, by: str, late: str = "10 minute
     """Failures by window of event time, with a watermark for late ones: by, window_start, failures."""
     w = F.window("ts", width)
     rows = events.select(F.col(by).alias("by"), F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", late)
-    return rows.groupBy("by", w.alias("w")).agg(F.count("*").alias("failures")).select("by", F.col("w.start").alias("window_start"), "failures")
+    return rows.groupBy("by", w.alias("w")).agg(F.count("*").alias("failures")).select(
+        "by", F.col("w.start").alias("window_start"), "failures"
+    )
 
 
 def consecutive(events: DataFrame, key: str, order: str, failed: str, trip_at: int = 5) -> DataFrame:
@@ -81,7 +91,9 @@ def consecutive(events: DataFrame, key: str, order: str, failed: str, trip_at: i
         n = 0 if skip or not f else n + 1
         return n, (n, skip)
 
-    rows = events.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("o"), F.col(failed).cast("boolean").alias("failed"))
+    rows = events.select(
+        F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("o"), F.col(failed).cast("boolean").alias("failed")
+    )
     return in_order(rows, "key", ["o"], ["failed"], lambda: 0, counted, {"failures": "long", "fallback": "boolean"}).drop("failed")
 
 

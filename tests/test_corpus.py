@@ -58,7 +58,9 @@ def test_self_bleu_of_no_and_one_text(spark):
 @pytest.mark.parametrize("bucket", [3, 1000])
 def test_growing_corpus(spark, bucket):
     texts = some_texts(25, 8)
-    df = spark.createDataFrame([("r", i, t) for i, t in enumerate(texts)] + [("q", 1, "x y z"), ("q", 2, "x y z")], "run string, seq long, text string")
+    df = spark.createDataFrame(
+        [("r", i, t) for i, t in enumerate(texts)] + [("q", 1, "x y z"), ("q", 2, "x y z")], "run string, seq long, text string"
+    )
     got = {(r.run, r.seq): r.self_bleu_diversity for r in prefix_diversity(df, "run", "seq", bucket_texts=bucket).collect()}
     words = [t.split() for t in texts]
     for k in range(1, len(words)):
@@ -72,12 +74,18 @@ def test_growing_corpus_query_over_ids_beyond_a_thousand(spark, tmp_path):
 
     ids = [3, 500, 999, 1000, 1001, 1999, 2500, 7000, 123_456]
     texts = ["a b c d e", "a b c", "f g h i", "a b c d e", "f g h", "z", "f g h i", "a b c d", "k a b c d e"]
-    rows = [(i, t, lang, "s") for lang, shift in (("en", 0), ("de", 1)) for i, t in zip((x * 2 + shift for x in ids), texts)] + [(9001, None, "fr", "s")]
+    rows = [
+        (i, t, lang, "s") for lang, shift in (("en", 0), ("de", 1)) for i, t in zip((x * 2 + shift for x in ids), texts)
+    ] + [(9001, None, "fr", "s")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r.run, r.seq): r.self_bleu_diversity for r in QUERIES["prefix_self_bleu"](spark, str(tmp_path)).collect()}
     words = [t.split() for t in texts]
-    want = [1.0] + [1 - np.mean([plain_bleu(words[i], words[:i] + words[i + 1 : k + 1]) for i in range(k + 1)]) for k in range(1, len(words))]
-    assert got == {("en", i * 2): pytest.approx(w, abs=1e-6) for i, w in zip(ids, want)} | {("de", i * 2 + 1): pytest.approx(w, abs=1e-6) for i, w in zip(ids, want)} | {("fr", 9001): 1.0}
+    want = [1.0] + [
+        1 - np.mean([plain_bleu(words[i], words[:i] + words[i + 1 : k + 1]) for i in range(k + 1)]) for k in range(1, len(words))
+    ]
+    assert got == {("en", i * 2): pytest.approx(w, abs=1e-6) for i, w in zip(ids, want)} | {
+        ("de", i * 2 + 1): pytest.approx(w, abs=1e-6) for i, w in zip(ids, want)
+    } | {("fr", 9001): 1.0}
 
 
 @pytest.mark.parametrize("n", [3, 40])

@@ -20,7 +20,11 @@ def con():
 
 def plain(rows, columns):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(tuple("null" if r[i] is None else repr(float(r[i])) if isinstance(r[i], (int, float)) and not isinstance(r[i], bool) else str(r[i]) for i in order) for r in rows)
+    return sorted(
+        tuple(
+            "null" if r[i] is None else repr(float(r[i])) if isinstance(r[i], (int, float)) and not isinstance(r[i], bool) else str(r[i]) for i in order
+        ) for r in rows
+    )
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

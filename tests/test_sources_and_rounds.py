@@ -21,7 +21,9 @@ def test_reviews(spark, tmp_path):
 def test_csv_to_reviews(spark, tmp_path):
     (tmp_path / "x.csv").write_text('id,platform,body,review_text,rating,user,extra\n1,,"a, ""b""\nc",old,,ann,e1\n2,g2,,old,4.5,,e2\n')
     rows = io.normalise(io.read_review_csv(spark, str(tmp_path / "x.csv")), "csv").orderBy("review_id").collect()
-    assert (rows[0].platform, rows[0].body, rows[0].rating, rows[0].author, rows[0].metadata) == ("csv", 'a, "b"\nc', 0.0, "ann", {"extra": "e1"})
+    assert (
+        rows[0].platform, rows[0].body, rows[0].rating, rows[0].author, rows[0].metadata
+    ) == ("csv", 'a, "b"\nc', 0.0, "ann", {"extra": "e1"})
     assert (rows[1].platform, rows[1].body, rows[1].rating, rows[1].url) == ("g2", "old", 4.5, "")
     io.append_reviews(io.normalise(io.read_review_csv(spark, str(tmp_path / "x.csv")), "csv"), str(tmp_path / "out"))
     io.append_reviews(io.normalise(io.read_review_csv(spark, str(tmp_path / "x.csv")), "csv"), str(tmp_path / "out"))
@@ -31,7 +33,9 @@ def test_csv_to_reviews(spark, tmp_path):
 def test_template_and_logs(spark, tmp_path):
     io.write_template(spark, str(tmp_path / "t"), "g2")
     assert spark.read.text(str(tmp_path / "t")).first()[0].endswith("url,company_size,industry,role")
-    io.append_log(spark.createDataFrame([("r1", 2, ["a", "b"])], "review_id string, attempt int, reasons array<string>"), str(tmp_path / "log"), "s1")
+    io.append_log(
+        spark.createDataFrame([("r1", 2, ["a", "b"])], "review_id string, attempt int, reasons array<string>"), str(tmp_path / "log"), "s1"
+    )
     r = io.read_log(spark, "rejections", str(tmp_path / "log")).first()
     assert (r.review_id, r.attempt, r.reasons, r.session_id) == ("r1", 2.0, ["a", "b"], "s1") and r.timestamp is not None
     (tmp_path / "s.log").write_text("2025-12-09 00:17:26,123 - pipe - INFO - it - began\nnoise\n")
@@ -43,7 +47,9 @@ def test_config(tmp_path):
     with pytest.raises(ValueError):
         io.Config(ratings=(0.5, 0.1, 0.1, 0.1, 0.1))
     pytest.importorskip("yaml")
-    (tmp_path / "c.yaml").write_text("generation: {domain: saas, target_samples: 7}\npersonas: [{name: p, weight: 1.0}]\nrating_distribution: {1_star: 0.2, 2_star: 0.2, 3_star: 0.2, 4_star: 0.2, 5_star: 0.2}\nmodels: [{provider: x, name: m, weight: 1.0}]\nquality_thresholds: {min_length: 9}\n")
+    (tmp_path / "c.yaml").write_text(
+        "generation: {domain: saas, target_samples: 7}\npersonas: [{name: p, weight: 1.0}]\nrating_distribution: {1_star: 0.2, 2_star: 0.2, 3_star: 0.2, 4_star: 0.2, 5_star: 0.2}\nmodels: [{provider: x, name: m, weight: 1.0}]\nquality_thresholds: {min_length: 9}\n"
+    )
     c = io.load_config(str(tmp_path / "c.yaml"))
     assert (c.domain, c.target_samples, c.models, c.thresholds) == ("saas", 7, (("x/m", 1.0),), {"min_length": 9})
 
@@ -99,32 +105,51 @@ def test_waves_fill_the_target_or_give_up(spark):
 def test_dataset_and_metrics_sinks(spark, tmp_path):
     from glossmill.operators import judge
 
-    rows = spark.sql("select 'r1' as review_id, 't' as text, 5 as rating, named_struct('name', 'p', 'weight', 1.0D) as persona, 'm' as model_used, array('a') as seed_words, 1.5D as generation_time, 0.1D as cost, named_struct('length', 3) as statistical_metrics, cast(null as struct<overall_score:double>) as llm_judge_results, 'accept' as final_decision, 0 as regeneration_count")
+    rows = spark.sql(
+        "select 'r1' as review_id, 't' as text, 5 as rating, named_struct('name', 'p', 'weight', 1.0D) as persona, 'm' as model_used, array('a') as seed_words, 1.5D as generation_time, 0.1D as cost, named_struct('length', 3) as statistical_metrics, cast(null as struct<overall_score:double>) as llm_judge_results, 'accept' as final_decision, 0 as regeneration_count"
+    )
     io.write_dataset(rows, str(tmp_path / "d"))
     r = json.loads(next((tmp_path / "d").glob("part-*.json")).read_text())
     assert (r["id"], r["persona"], r["model"], r["metadata"]["weight"], r["statistical_scores"]) == ("r1", "p", "m", 1.0, {"length": 3})
     io.write_metrics(spark.sql("select 3 as total, array(1.0D) as _scores"), str(tmp_path / "m"))
     assert json.loads(next((tmp_path / "m").glob("part-*.json")).read_text()) == {"total": 3}
-    s = spark.createDataFrame([(True, 0, "0.5"), (False, 1, "0.5"), (False, 0, "0.5"), (False, 0, "x"), (None, None, "1")], "s boolean, e int, o string")
+    s = spark.createDataFrame(
+        [(True, 0, "0.5"), (False, 1, "0.5"), (False, 0, "0.5"), (False, 0, "x"), (None, None, "1")], "s boolean, e int, o string"
+    )
     assert [x[0] for x in s.select(judge.usable_score(F.col("s"), F.col("e"), F.col("o"))).collect()] == [None, None, 0.5, None, 1.0]
 
 
 def test_batch_results(spark):
     q = spark.createDataFrame([("request-0",), ("request-1",), ("request-2",)], "custom_id string")
-    r = spark.createDataFrame([("request-0", 200, "t", 1000, 1000, None), ("request-1", 500, None, None, None, None)], "custom_id string, status_code int, content string, prompt_tokens long, completion_tokens long, error string")
+    r = spark.createDataFrame(
+        [("request-0", 200, "t", 1000, 1000, None), ("request-1", 500, None, None, None, None)],
+        "custom_id string, status_code int, content string, prompt_tokens long, completion_tokens long, error string",
+    )
     got = {x.custom_id: (x.text, x.success, x.error, round(x.cost, 6)) for x in metrics.batch_results(q, r, "gpt-4").collect()}
-    assert got == {"request-0": ("t", True, None, 0.045), "request-1": (None, False, "Unknown error", 0.0), "request-2": (None, False, "Result not found in batch output", 0.0)}
+    assert got == {
+        "request-0": ("t", True, None, 0.045), "request-1": (None, False, "Unknown error", 0.0),
+        "request-2": (None, False, "Result not found in batch output", 0.0),
+    }
 
 
 def test_report_of_an_empty_run():
-    zero = {k: 0.0 for k in ("overall_score", "self_bleu_diversity", "semantic_diversity", "vocabulary_size", "ttr", "mattr", "bigram_diversity", "trigram_diversity")}
+    zero = {
+        k: 0.0 for k in (
+            "overall_score", "self_bleu_diversity", "semantic_diversity", "vocabulary_size", "ttr", "mattr", "bigram_diversity",
+            "trigram_diversity",
+        )
+    }
     text = report.markdown(zero, {"avg_similarity": 0.0}, [], {}, [], {"realism_score": 0.5}, [], {}, 10)
     assert "Accepted: 0" in text and "no real texts" in text
 
 
 def events(spark):
     at = datetime(2025, 1, 1)
-    return [("k", at + timedelta(seconds=s), f) for s, f in ((0, True), (10, True), (20, True), (200, False), (301, True), (302, True), (700, False))]
+    return [
+        ("k", at + timedelta(seconds=s), f) for s, f in (
+            (0, True), (10, True), (20, True), (200, False), (301, True), (302, True), (700, False)
+        )
+    ]
 
 
 WANT = [1, 2, 3, 3, 1, 2, 0]
@@ -142,7 +167,9 @@ def test_breaker_over_a_stream(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/b{i}"))
     for name, make, rows in (("folded", lambda s: breaker.stream(s, "key", "ts", "failed"), 7),):
         source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-        q = make(source).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).outputMode("append").start()
+        q = make(source).writeStream.format("memory").queryName(name).option(
+            "checkpointLocation", str(tmp_path / name)
+        ).outputMode("append").start()
         try:
             q.processAllAvailable()
         finally:

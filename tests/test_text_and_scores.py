@@ -9,17 +9,27 @@ from glossmill.functions import sentiment as S
 from glossmill.functions import text as T
 from glossmill.operators import gates, judge, realism
 
-TEXTS = ["", "   ", "one", "a b c", "NBSP here now", "no full stop", "Ends... well.", "The cat sat here now. The cat ran off there! The cat!!!", "Whatever glove, hateful love", "line\nbreak\ttab\x1cunit", "x" * 20 + ". " + "y" * 5 + "! " + "z w " * 10]
+TEXTS = [
+    "", "   ", "one", "a b c", "NBSP here now", "no full stop", "Ends... well.", "The cat sat here now. The cat ran off there! The cat!!!",
+    "Whatever glove, hateful love", "line\nbreak\ttab\x1cunit", "x" * 20 + ". " + "y" * 5 + "! " + "z w " * 10,
+]
 
 
 @pytest.fixture(scope="module")
 def df(spark):
-    return spark.createDataFrame([(i, t, i % 5 + 1, i % 3 + 1) for i, t in enumerate(TEXTS)] + [(99, None, 3, 1)], "seq int, text string, rating int, attempt int")
+    return spark.createDataFrame(
+        [(i, t, i % 5 + 1, i % 3 + 1) for i, t in enumerate(TEXTS)] + [(99, None, 3, 1)], "seq int, text string, rating int, attempt int"
+    )
 
 
 def test_words(df):
     t = F.col("text")
-    got = {r.seq: r for r in df.select("seq", T.words(t).alias("w"), T.word_count(t).alias("n"), T.unique_word_count(t).alias("u"), T.sentence_count(t).alias("s"), T.words_per_sentence(t).alias("p")).collect()}
+    got = {
+        r.seq: r for r in df.select(
+            "seq", T.words(t).alias("w"), T.word_count(t).alias("n"), T.unique_word_count(t).alias("u"), T.sentence_count(t).alias("s"),
+            T.words_per_sentence(t).alias("p"),
+        ).collect()
+    }
     for i, x in enumerate(TEXTS):
         pieces = [p for p in x.split(".") if p.strip()]
         assert got[i].w == x.split() and got[i].n == len(x.split()) and got[i].u == len(set(x.lower().split())) and got[i].s == len(x.split("."))
@@ -28,7 +38,9 @@ def test_words(df):
 
 
 def test_ngrams_need_enough_words(spark):
-    rows = spark.createDataFrame([([],), (["a"],), (["a", "b", "c"],)], "w array<string>").select(T.ngrams(F.col("w"), 2).alias("g"), F.size(T.ngram_hashes(F.col("w"), 2)).alias("h")).collect()
+    rows = spark.createDataFrame([([],), (["a"],), (["a", "b", "c"],)], "w array<string>").select(
+        T.ngrams(F.col("w"), 2).alias("g"), F.size(T.ngram_hashes(F.col("w"), 2)).alias("h")
+    ).collect()
     assert [r.g for r in rows] == [[], [], [["a", "b"], ["b", "c"]]] and [r.h for r in rows] == [0, 0, 2]
 
 
@@ -36,7 +48,9 @@ def plain_scores(text, rating, attempt, p):
     low = text.lower()
     points = lambda strong, weak: sum(2 for w in strong if w in low) + sum(1 for w in weak if w in low)
     pos, neg = points(p.strong_positive, p.positive), points(p.strong_negative, p.negative)
-    label, sure = ("POSITIVE", min(0.5 + (pos - neg) * 0.08, 0.9)) if pos > neg + p.margin else ("NEGATIVE", min(0.5 + (neg - pos) * 0.08, 0.9)) if neg > pos + p.margin else ("NEUTRAL", 0.45)
+    label, sure = ("POSITIVE", min(0.5 + (pos - neg) * 0.08, 0.9)) if pos > neg + p.margin else (
+        "NEGATIVE", min(0.5 + (neg - pos) * 0.08, 0.9)
+    ) if neg > pos + p.margin else ("NEUTRAL", 0.45)
     want = "NEGATIVE" if rating <= 2 else "NEUTRAL" if rating == 3 else "POSITIVE"
     aligned = sure if label == want else p.neutral_alignment if want == "NEUTRAL" else 1 - sure
     sentences = [s.strip() for s in re.split(r"[.!?]+", text) if len(s.strip()) > 10]
@@ -57,13 +71,17 @@ def test_scores(df, p):
 
 def test_keywords_count_inside_words(spark):
     rows = spark.createDataFrame([("whatever",), ("glove",)], "text string").withColumns({"rating": F.lit(3), "attempt": F.lit(1)})
-    assert [(r.pos_score, r.neg_score) for r in S.with_scores(rows, S.LENIENT).select("pos_score", "neg_score").collect()] == [(0, 2), (2, 0)]
+    assert [
+        (r.pos_score, r.neg_score) for r in S.with_scores(rows, S.LENIENT).select("pos_score", "neg_score").collect()
+    ] == [(0, 2), (2, 0)]
 
 
 def test_lenient_mismatch_turns_on_the_last_bit(spark):
     text = " ".join(S.STRONG_NEGATIVE[:4])
     rows = spark.createDataFrame([(text, r, a) for r in (4, 5) for a in (1, 2)], "text string, rating int, attempt int")
-    assert {(r.rating, r.attempt): r.is_mismatch for r in S.with_scores(rows, S.LENIENT).collect()} == {(4, 1): True, (4, 2): False, (5, 1): True, (5, 2): False}
+    assert {
+        (r.rating, r.attempt): r.is_mismatch for r in S.with_scores(rows, S.LENIENT).collect()
+    } == {(4, 1): True, (4, 2): False, (5, 1): True, (5, 2): False}
 
 
 def test_fixed_rounds_as_printf(spark):
@@ -75,35 +93,66 @@ def test_fixed_rounds_as_printf(spark):
 def test_reasons_and_classes(spark):
     rows = spark.createDataFrame([("few words", 5, 1, 0.2)], "text string, rating int, attempt int, self_bleu_diversity double")
     r = gates.check(rows, gates.Thresholds(), S.LENIENT).first()
-    assert r.reasons[:3] == ["Too short: 2 words (min: 50)", "Low vocabulary: 2 unique words (min: 20)", "Too similar to existing reviews (diversity: 0.20)"] and not r.passed
-    said = spark.createDataFrame([(x,) for x in ("Sentiment-rating mismatch", "Unrealistic patterns", "Too long: 9", "Low vocabulary", "Too similar", "LLM Judge x", "lacks expertise", "not authentic", "?")], "r string")
-    assert [r[0] for r in said.select(gates.issue_class(F.col("r"))).collect()] == ["sentiment", "unrealistic", "length", "vocabulary", "diversity", "llm_judge_error", "expertise", "authenticity", "other"]
+    assert r.reasons[:3] == [
+        "Too short: 2 words (min: 50)", "Low vocabulary: 2 unique words (min: 20)", "Too similar to existing reviews (diversity: 0.20)"
+    ] and not r.passed
+    said = spark.createDataFrame(
+        [
+            (x,) for x in (
+                "Sentiment-rating mismatch", "Unrealistic patterns", "Too long: 9", "Low vocabulary", "Too similar", "LLM Judge x",
+                "lacks expertise", "not authentic", "?",
+            )
+        ],
+        "r string",
+    )
+    assert [r[0] for r in said.select(gates.issue_class(F.col("r"))).collect()] == [
+        "sentiment", "unrealistic", "length", "vocabulary", "diversity", "llm_judge_error", "expertise", "authenticity", "other"
+    ]
 
 
 def test_decisions(spark):
     judge_failed = ["LLM Judge evaluation failed (3 errors) - possible API issue"]
-    rows = [(1, [], 0, 5, 0.5, []), (2, ["Too short: 1"], 0, 5, 0.5, []), (3, ["Too short: 1"], 4, 2, 0.5, []), (4, ["Too short: 1"], 2, 5, 0.5, ["length", "length"]), (5, ["Sentiment off"], 2, 5, 0.3, ["sentiment", "sentiment"]), (6, ["Sentiment off"], 2, 5, 0.2, ["sentiment", "sentiment"]), (7, judge_failed, 3, 5, 0.5, ["llm_judge_error"]), (8, judge_failed, 2, 5, 0.5, [])]
+    rows = [
+        (1, [], 0, 5, 0.5, []), (2, ["Too short: 1"], 0, 5, 0.5, []), (3, ["Too short: 1"], 4, 2, 0.5, []),
+        (4, ["Too short: 1"], 2, 5, 0.5, ["length", "length"]), (5, ["Sentiment off"], 2, 5, 0.3, ["sentiment", "sentiment"]),
+        (6, ["Sentiment off"], 2, 5, 0.2, ["sentiment", "sentiment"]), (7, judge_failed, 3, 5, 0.5, ["llm_judge_error"]),
+        (8, judge_failed, 2, 5, 0.5, []),
+    ]
     df = spark.createDataFrame(rows, "seq int, reasons array<string>, count int, rating int, alignment_score double, history array<string>")
     got = {r.seq: r.decision for r in gates.decide(df, gates.Thresholds()).collect()}
     assert got == {1: "accept", 2: "regenerate", 3: "reject", 4: "reject", 5: "accept", 6: "reject", 7: "accept", 8: "regenerate"}
 
 
 def test_judge_ladder(spark):
-    replies = ['{"authenticity_score": 8, "decision": "PASS"}', 'x ```json\n{"authenticity_score": 8.5, "decision": "PASS"}\n``` y', '```\n{"authenticity_score": 3, "decision": "FAIL"}\n```', 'so {"authenticity_score": 4, "decision": "FAIL", "a": {"b": 1}} it is', "authenticity_score = 6.5; decision: pass", '{"Authenticity_Score": 9, "Decision": "PASS"}', "It is fake and wrong", "", None, "[1, 2]", "7"]
+    replies = [
+        '{"authenticity_score": 8, "decision": "PASS"}', 'x ```json\n{"authenticity_score": 8.5, "decision": "PASS"}\n``` y',
+        '```\n{"authenticity_score": 3, "decision": "FAIL"}\n```', 'so {"authenticity_score": 4, "decision": "FAIL", "a": {"b": 1}} it is',
+        "authenticity_score = 6.5; decision: pass", '{"Authenticity_Score": 9, "Decision": "PASS"}', "It is fake and wrong", "", None,
+        "[1, 2]", "7",
+    ]
     df = spark.createDataFrame([(i, r, "authenticity") for i, r in enumerate(replies)], "i int, reply string, criterion string")
     got = [(r.parse_strategy, r.score, r.decision, r.parsing_failed) for r in judge.parse(df).orderBy("i").collect()]
-    assert got == [(1, 8.0, "PASS", False), (2, 8.5, "PASS", False), (3, 3.0, "FAIL", False), (4, 4.0, "FAIL", False), (5, 6.5, "PASS", False), (5, 7.0, "PASS", False), (6, 4.0, "FAIL", False), (None, 0.0, "FAIL", True), (None, 0.0, "FAIL", True), (6, 4.0, "FAIL", False), (6, 4.0, "FAIL", False)]
+    assert got == [
+        (1, 8.0, "PASS", False), (2, 8.5, "PASS", False), (3, 3.0, "FAIL", False), (4, 4.0, "FAIL", False), (5, 6.5, "PASS", False),
+        (5, 7.0, "PASS", False), (6, 4.0, "FAIL", False), (None, 0.0, "FAIL", True), (None, 0.0, "FAIL", True), (6, 4.0, "FAIL", False),
+        (6, 4.0, "FAIL", False),
+    ]
 
 
 def test_verdict_without_valid_rows_passes_vacuously(spark):
-    df = spark.createDataFrame([(1, "authenticity", None, "FAIL", True, False, False)], "k int, criterion string, score string, decision string, parsing_failed boolean, fallback boolean, llm_success boolean")
+    df = spark.createDataFrame(
+        [(1, "authenticity", None, "FAIL", True, False, False)],
+        "k int, criterion string, score string, decision string, parsing_failed boolean, fallback boolean, llm_success boolean",
+    )
     r = judge.verdicts(df, ["k"]).first()
     assert r.overall_score == 0.5 and r.all_passed and r.errors_count == 1 and r.final_decision == "FAIL"
 
 
 def test_simple_judge(spark):
     df = spark.createDataFrame([('ok {"overall_score": 0.8, "passed": true} end',), ("nothing",)], "reply string")
-    assert [(r.overall_score, r.passed, r.error) for r in judge.parse_simple(df).collect()] == [(0.8, True, None), (None, False, "Failed to parse evaluation")]
+    assert [
+        (r.overall_score, r.passed, r.error) for r in judge.parse_simple(df).collect()
+    ] == [(0.8, True, None), (None, False, "Failed to parse evaluation")]
 
 
 def test_single_review_realism(spark):
@@ -113,4 +162,6 @@ def test_single_review_realism(spark):
 
 def test_clean_text(spark):
     raw = ['  "quoted"  ', "'x'", '"', "```py\ncode\nmore\n```", "```x```", "plain", ""]
-    assert [r[0] for r in spark.createDataFrame([(x,) for x in raw], "t string").select(T.clean_generated(F.col("t"))).collect()] == ["quoted", "x", "", "code\nmore", "```x```", "plain", ""]
+    assert [
+        r[0] for r in spark.createDataFrame([(x,) for x in raw], "t string").select(T.clean_generated(F.col("t"))).collect()
+    ] == ["quoted", "x", "", "code\nmore", "```x```", "plain", ""]

@@ -25,7 +25,12 @@ class Judge:
 
     def generate(self, system_prompt, user_prompt, temperature=None, max_tokens=1024):
         criterion = user_prompt.split("\n", 1)[0].removeprefix("Criterion: ")
-        return {"text": json.dumps({f"{criterion}_score": self.score, "decision": "PASS" if self.score >= 6 else "FAIL", "feedback": f"{criterion} is weak"}), "success": True}
+        return {
+            "text": json.dumps(
+                {f"{criterion}_score": self.score, "decision": "PASS" if self.score >= 6 else "FAIL", "feedback": f"{criterion} is weak"}
+            ),
+            "success": True,
+        }
 
 
 class Words:
@@ -67,7 +72,10 @@ def test_a_tripped_breaker_lets_candidates_pass(spark):
 def test_an_open_breaker_reaches_the_gates(spark):
     class Angry:
         def generate(self, *a, **k):
-            return {"text": "It is terrible and awful. It is horrible and bad. It is the worst, and broken. It is useless garbage.", "success": True, "time": 0.0, "cost": 0.0}
+            return {
+                "text": "It is terrible and awful. It is horrible and bad. It is the worst, and broken. It is useless garbage.",
+                "success": True, "time": 0.0, "cost": 0.0,
+            }
 
     c = io.Config(target_samples=8, ratings=(0.0, 0.0, 0.0, 0.0, 1.0))
     t = gates.Thresholds(**EASY, max_regeneration_attempts=0)
@@ -85,7 +93,10 @@ def test_context_is_the_first_three_of_the_last_ten(spark):
 
 
 def test_judging_gives_feedback_by_criterion(spark):
-    rows = spark.createDataFrame([(1, "a text", 5, "p", "d", [], None)], "review_id int, text string, rating int, persona string, domain string, before array<string>, avg_overlap double")
+    rows = spark.createDataFrame(
+        [(1, "a text", 5, "p", "d", [], None)],
+        "review_id int, text string, rating int, persona string, domain string, before array<string>, avg_overlap double",
+    )
     r = judging.evaluate(rows, lambda: Judge(5)).first()
     assert r.dimension_feedback == {k: f"{k} is weak" for k in judge.CRITERIA} and r.final_decision == "FAIL"
 
@@ -110,7 +121,16 @@ class Service:
 
     def content(self, file_id):
         lines = [json.loads(x) for x in self.files[int(file_id.removeprefix("out-"))]]
-        answer = lambda x: {"custom_id": x["custom_id"], "response": {"status_code": 200, "body": {"choices": [{"message": {"content": x["body"]["messages"][1]["content"].upper()}}], "usage": {"prompt_tokens": 1000, "completion_tokens": 1000}}}}
+        answer = lambda x: {
+            "custom_id": x["custom_id"],
+            "response": {
+                "status_code": 200,
+                "body": {
+                    "choices": [{"message": {"content": x["body"]["messages"][1]["content"].upper()}}],
+                    "usage": {"prompt_tokens": 1000, "completion_tokens": 1000},
+                },
+            },
+        }
         return [json.dumps(answer(x)) for x in lines if "lost" not in x["body"]["messages"][1]["content"]]
 
     def jobs(self, limit):
@@ -121,7 +141,10 @@ class Service:
 
 
 def prompts(spark, n=7):
-    return spark.createDataFrame([(i, "system", "lost" if i == 3 else f"say {i}", 1.0) for i in range(n)], "id int, system_prompt string, user_prompt string, temperature double")
+    return spark.createDataFrame(
+        [(i, "system", "lost" if i == 3 else f"say {i}", 1.0) for i in range(n)],
+        "id int, system_prompt string, user_prompt string, temperature double",
+    )
 
 
 def test_batches(spark):
@@ -133,8 +156,14 @@ def test_batches(spark):
 
 
 def test_batches_that_fail_are_asked_for_one_by_one(spark):
-    got = {r.id: r for r in batch.run(prompts(spark), Service(bad=("f1",)), "gpt-4", "id", provider=providers.TemplateProvider, job_requests=3, sleep=lambda s: None).collect()}
-    assert len(got) == 7 and sorted(i for i, r in got.items() if not r.batch_mode) == [3, 4, 5] and all(got[i].success and got[i].text for i in (3, 4, 5))
+    got = {
+        r.id: r for r in batch.run(
+            prompts(spark), Service(bad=("f1",)), "gpt-4", "id", provider=providers.TemplateProvider, job_requests=3, sleep=lambda s: None
+        ).collect()
+    }
+    assert len(got) == 7 and sorted(i for i, r in got.items() if not r.batch_mode) == [3, 4, 5] and all(
+        got[i].success and got[i].text for i in (3, 4, 5)
+    )
     none = batch.run(prompts(spark), Service(bad=("f0", "f1", "f2")), "gpt-4", "id", job_requests=3, sleep=lambda s: None).collect()
     assert len(none) == 7 and all(r.error == "the batch ended badly" and not r.success for r in none)
 
@@ -146,7 +175,10 @@ def test_lists_of_a_service(monkeypatch):
 
     def ask(method, url, body, headers):
         seen.append((method, url, headers["Authorization"]))
-        return {"/files": b'{"id": "f"}', "/batches": b'{"id": "j", "status": "validating"}', "/content": b"one\ntwo", "/models": b'{"data": [{"id": "m"}]}'}[next(k for k in ("/content", "/files", "/batches", "/models") if k in url)]
+        return {
+            "/files": b'{"id": "f"}', "/batches": b'{"id": "j", "status": "validating"}', "/content": b"one\ntwo",
+            "/models": b'{"data": [{"id": "m"}]}',
+        }[next(k for k in ("/content", "/files", "/batches", "/models") if k in url)]
 
     s = batch.HttpBatchService("http://x/", "A_KEY", ask)
     assert s.create(s.upload(["{}"]))["id"] == "j" and s.content("f") == ["one", "two"] and s.models() == ["m"] and s.status("j")["id"] == "j"
@@ -165,7 +197,9 @@ def test_encoders_and_star_models_that_fail(spark):
                 raise RuntimeError("boom")
             return super().stars(texts)
 
-    df = spark.createDataFrame([(1, "great and easy", 5, 1), (2, "boom", 4, 1), (3, None, 3, 1)], "seq int, text string, rating int, attempt int")
+    df = spark.createDataFrame(
+        [(1, "great and easy", 5, 1), (2, "boom", 4, 1), (3, None, 3, 1)], "seq int, text string, rating int, attempt int"
+    )
     assert {r.seq: r.embedding for r in models.encode(df, Lengths, ["seq"]).collect()} == {1: [14.0, 1.0], 2: [4.0, 1.0], 3: [0.0, 1.0]}
     assert models.encode(df.limit(0), Lengths, ["seq"]).count() == 0
     got = {r.seq: r for r in models.star_sentiment(df, Picky).collect()}
@@ -191,16 +225,23 @@ def test_buckets_of_skewed_orders(spark, monkeypatch):
     values = [2**i for i in range(40)] * 4 + [5] * 60 + [10**12 + i for i in range(50)]
     df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "o long, i long").repartition(4)
     got = [(r.o, r.i, r.s) for r in prefix.running(df, "o", {"s": F.lit(1).cast("long")}, tie=["i"]).orderBy("o", "i").collect()]
-    assert [s for _, _, s in got] == list(range(1, len(values) + 1)) and [x[:2] for x in got] == sorted((v, i) for i, v in enumerate(values))
+    assert [s for _, _, s in got] == list(range(1, len(values) + 1)) and [x[:2] for x in got] == sorted(
+        (v, i) for i, v in enumerate(values)
+    )
     cuts = [1.0, 3.0, 4.0, 9.0, 10.0, 11.0]
-    below = spark.createDataFrame([(x,) for x in (0.5, 1.0, 3.5, 10.5, 99.0, None)], "x double").select(prefix.below(F.col("x"), cuts).alias("n")).collect()
+    below = spark.createDataFrame(
+        [(x,) for x in (0.5, 1.0, 3.5, 10.5, 99.0, None)], "x double"
+    ).select(prefix.below(F.col("x"), cuts).alias("n")).collect()
     assert [r.n for r in below] == [0, 0, 2, 5, 6, None]
 
 
 def test_the_best_model_among_equals(spark):
     rows = [("b", True, 0.1)] * 3 + [("a", True, 0.3), ("a", True, 0.0), ("a", False, 0.0)] + [("c", False, 0.0)] * 9
     for order in (rows, rows[::-1]):
-        df = spark.createDataFrame([(m, ok, 1.0, x, None, None) for m, ok, x in order], "model string, accepted boolean, time double, cost double, quality_score double, judge_score double")
+        df = spark.createDataFrame(
+            [(m, ok, 1.0, x, None, None) for m, ok, x in order],
+            "model string, accepted boolean, time double, cost double, quality_score double, judge_score double",
+        )
         assert metrics.best_model(metrics.model_rollup(df.repartition(3))).first().model == "a"
 
 
