@@ -63,7 +63,7 @@ def main(argv: list[str] | None = None) -> int:
             f.write(io.config_yaml(io.asked_config(input)))
         return 0
     if a.command == "try-provider":
-        print(*(f"{k}: {v}" for k, v in providers.timed(providers.make(a.name), a.runs).items()), sep="\n")
+        print(*(f"{k}: {v}" for k, v in providers.timed(providers.by_key(a.name), a.runs).items()), sep="\n")
         return 0
     if a.command == "fetch-model":
         print(providers.fetched(a.name, a.output))
@@ -95,8 +95,8 @@ def main(argv: list[str] | None = None) -> int:
 
         c = io.load_config(a.config) if a.config else io.Config()
         c = replace(c, target_samples=a.samples) if a.samples else c
-        judge = (lambda: providers.make(a.judge)) if a.judge else None
-        rounds.fill(spark, c, lambda: providers.make(a.provider), primary=judge).write.mode("overwrite").json(a.output)
+        judge = (lambda: providers.by_key(a.judge)) if a.judge else None
+        rounds.fill(spark, c, lambda: providers.by_key(a.provider), primary=judge).write.mode("overwrite").json(a.output)
     return 0
 
 

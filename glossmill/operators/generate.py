@@ -159,7 +159,7 @@ RESULT = "text string, time double, cost double, input_tokens long, output_token
 def call(prompts: DataFrame, make_provider, keys: Sequence[str], max_tokens: int = 1024) -> DataFrame:
     """keys and a result for each row (system_prompt, user_prompt, temperature).
 
-    make_provider() is called once a task; write the outcome before using it twice, for calls cost money and a
+    make_provider() is called once a task, and the provider closed at its end, if it can be; write the outcome before using it twice, for calls cost money and a
     repeated stage repeats them. A quota has to be shared out among the tasks by the provider.
     """
     fields = [
@@ -169,23 +169,25 @@ def call(prompts: DataFrame, make_provider, keys: Sequence[str], max_tokens: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         provider = None
-        for b in batches:
-            provider = provider or make_provider()
-            out = []
-            for s, u, t in zip(*(b.column(c).to_pylist() for c in ("system_prompt", "user_prompt", "temperature"))):
-                r = provider.generate(s, u, temperature=t, max_tokens=max_tokens)
-                tokens = r.get("tokens") or {}
-                out.append(
-                    (
-                        r.get("text"), float(r.get("time") or 0), float(r.get("cost") or 0), tokens.get("input"), tokens.get("output"),
-                        bool(r.get("success")), r.get("error"),
+        try:
+            for b in batches:
+                provider = provider or make_provider()
+                out = []
+                for s, u, t in zip(*(b.column(c).to_pylist() for c in ("system_prompt", "user_prompt", "temperature"))):
+                    r = provider.generate(s, u, temperature=t, max_tokens=max_tokens)
+                    tokens = r.get("tokens") or {}
+                    took, cost = float(r.get("time") or 0), float(r.get("cost") or 0)
+                    out.append(
+                        (r.get("text"), took, cost, tokens.get("input"), tokens.get("output"), bool(r.get("success")), r.get("error"))
                     )
+                made = list(zip(*out)) or [[]] * len(fields)
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(k) for k in keys), *(pa.array(m, t) for m, (_, t) in zip(made, fields))],
+                    names=[*keys, *(n for n, _ in fields)],
                 )
-            made = list(zip(*out)) or [[]] * len(fields)
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(k) for k in keys), *(pa.array(m, t) for m, (_, t) in zip(made, fields))],
-                names=[*keys, *(n for n, _ in fields)],
-            )
+        finally:
+            if hasattr(provider, "close"):
+                provider.close()
 
     ddl = "".join(f"`{k}` {prompts.schema[k].dataType.simpleString()}, " for k in keys)
     return prompts.select(*keys, "system_prompt", "user_prompt", "temperature").mapInArrow(run, ddl + RESULT)

@@ -286,3 +286,67 @@ def test_an_unset_shared_folder_is_an_error_on_a_cluster(spark):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Cluster)
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_services(monkeypatch):
+    for _, variable in providers.SERVICES.values():
+        monkeypatch.setenv(variable, "k")
+    seen, said = [], []
+
+    def post(url, body, headers):
+        seen.append((url, body, headers))
+        if "contents" in body:
+            return {"candidates": [{"content": {"parts": [{"text": "one two "}, {"text": "three"}]}}]}
+        return {
+            "choices": [{"message": {"content": said.pop(0) if said else " fine "}}],
+            "usage": {"prompt_tokens": 1000, "completion_tokens": 1000},
+        }
+
+    r = providers.by_key("gemini/gemini-pro", post=post).generate("be brief", "say it", 0.3, 50)
+    url, body, headers = seen[-1]
+    assert url.endswith("/models/gemini-pro:generateContent") and headers == {"x-goog-api-key": "k"}
+    assert body["contents"][0]["parts"][0]["text"] == "be brief\n\nsay it"
+    assert body["generationConfig"] == {"topP": 0.95, "topK": 40, "maxOutputTokens": 50, "temperature": 0.3}
+    assert r["text"] == "one two three" and r["tokens"] == {
+        "input": 5, "output": 3, "total": 9
+    } and r["cost"] == pytest.approx((5.2 * 0.5 + 3.9 * 1.5) / 1e6)
+    assert providers.by_key("openai/gpt-4", post=post).generate("s", "u")["cost"] == pytest.approx(0.09)
+    assert providers.by_key("openrouter/x:free", post=post).generate("s", "u")["cost"] == 0.0
+    assert providers.by_key("openrouter/x", post=post).generate("s", "u")["cost"] == pytest.approx(0.0004)
+    waits, said[:] = [], ['""', '" wrapped "']
+    r = providers.by_key("groq/m", post=post, sleep=waits.append).generate("s", "u")
+    assert r["success"] and r["text"] == "wrapped" and len(waits) == 1 and r["cost"] == pytest.approx(2e-4)
+    assert providers.unwrapped("```json\n{}\n```") == "{}" and providers.unwrapped("'a' b") == "'a' b" and providers.unwrapped('"') == '"'
+    with pytest.raises(KeyError):
+        providers.by_key("nobody/m")
+
+
+def test_local_models_are_loaded_once_and_let_go(spark, monkeypatch):
+    import types
+
+    loads = []
+
+    def pipeline(task, model):
+        loads.append(model)
+        return lambda chat, **k: [
+            {"generated_text": [*chat, {"role": "assistant", "content": "" if "hush" in chat[1]["content"] else " hello "}]}
+        ]
+
+    p = providers.by_key("local/tiny")
+    assert not p.generate("s", "u")["success"]  # without the library, a failure and no exception
+    monkeypatch.setitem(sys.modules, "transformers", types.SimpleNamespace(pipeline=pipeline))
+    assert p.generate("s", "u")["text"] == "hello" and not p.generate("s", "hush")["success"] and loads == ["tiny"]
+    p.close()
+    assert p.run is None
+
+
+def test_providers_are_closed_at_the_end_of_a_task(spark, tmp_path):
+    mark = str(tmp_path / "closed")
+
+    class Closing(providers.TemplateProvider):
+        def close(self):
+            open(mark, "w").close()
+
+    from glossmill.operators import generate
+
+    assert generate.call(prompts(spark), Closing, ["id"]).count() == 7 and (tmp_path / "closed").exists()
