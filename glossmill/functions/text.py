@@ -54,18 +54,6 @@ def ngrams(tokens: Column, n: int) -> Column:
     ).otherwise(F.array().cast("array<array<string>>"))
 
 
-def ngram_hashes(tokens: Column, n: int, tagged: bool = False) -> Column:
-    """128 bits for each n-gram (and n itself, if tagged): rows of this size are what is shuffled, not the words."""
-    at = lambda i: [F.get(tokens, i + k) for k in range(n)]
-    size = F.size(tokens)
-    pair = lambda i: F.struct(
-        F.xxhash64(F.lit(n), *at(i)).alias("a"), F.xxhash64(F.lit(-n - 1), *at(i)).alias("b"), *([F.lit(n).alias("n")] if tagged else [])
-    )
-    return F.when(size >= n, F.transform(F.sequence(F.lit(0), size - n), pair)).otherwise(
-        F.array().cast(f"array<struct<a:bigint,b:bigint{',n:int' if tagged else ''}>>")
-    )
-
-
 def contains_count(lowered: Column, keywords: Sequence[str], weight: int = 1) -> Column:
     """weight for each keyword that the text holds anywhere, inside words too, once each.
 

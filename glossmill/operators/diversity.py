@@ -22,6 +22,22 @@ MATTR_WINDOW, MATTR_STRIDE = 100, 50
 WEIGHTS = {"self_bleu": 0.3, "semantic": 0.3, "ttr": 0.2, "bigram": 0.1, "trigram": 0.1}
 
 
+def ngram_rows(docs: DataFrame, keep: list[str], sizes: tuple[int, ...], words: str = "w") -> DataFrame:
+    """keep, n and 128 bits (a, b) of each n-gram of the words, n being any of sizes.
+
+    Positions are exploded and hashed within generated code, which functions over arrays would leave; rows of hashes are
+    what is shuffled, not the words.
+    """
+    w, at = F.col(words), F.col("at")
+    least = min(sizes)
+    places = F.when(F.size(w) >= least, F.sequence(F.lit(0), F.size(w) - least))
+    gram = lambda n: [F.get(w, at + i) for i in range(n)]
+    one = lambda n: F.struct(F.lit(n).alias("n"), F.xxhash64(F.lit(n), *gram(n)).alias("a"), F.xxhash64(F.lit(-n - 1), *gram(n)).alias("b"))
+    rows = docs.select(*keep, words, F.explode(places).alias("at"))
+    rows = rows.select(*keep, F.explode(F.array(*[one(n) for n in sizes])).alias("g"), (F.size(w) - at).alias("left"))
+    return rows.filter(F.col("g.n") <= F.col("left")).select(*keep, "g.n", "g.a", "g.b")
+
+
 def bleu_parts(reviews: DataFrame) -> DataFrame:
     """seq, len, ref, and for n = 1 to 4 the n-grams (t1..t4) and those of them that another text has too (m1..m4).
 
@@ -34,11 +50,7 @@ def bleu_parts(reviews: DataFrame) -> DataFrame:
     docs = reviews.select("seq", "text").repartition("seq").select(
         "seq", T.words(F.col("text")).alias("w")
     ).withColumn("len", F.size("w").cast("long"))
-    every = F.concat(*[T.ngram_hashes(F.col("w"), n, tagged=True) for n in range(1, 5)])
-    # plain columns: sorts compare the first hash by its prefix, which they can't do for a struct
-    rows = docs.select(
-        "seq", F.explode(every).alias("g")
-    ).select("seq", "g.a", "g.b", "g.n").groupBy("seq", "a", "b", "n").agg(F.count("*").alias("c"))
+    rows = ngram_rows(docs, ["seq"], (1, 2, 3, 4)).groupBy("seq", "a", "b", "n").agg(F.count("*").alias("c"))
     top = rows.withColumn("rank", F.row_number().over(Window.partitionBy("a", "b", "n").orderBy(F.desc("c"), "seq"))).filter("rank <= 2")
     first, second = F.col("rank") == 1, F.col("rank") == 2
     leads = top.groupBy("a", "b", "n").agg(
@@ -120,7 +132,7 @@ def mattr(reviews: DataFrame, window: int = MATTR_WINDOW, stride: int = MATTR_ST
 def ngram_diversity(reviews: DataFrame, n: int) -> DataFrame:
     """One row: distinct over all n-grams, which don't cross texts; 0 without any."""
     docs = reviews.select(T.words(F.lower(F.col("text"))).alias("w"))  # a column of its own: cut once, not for each n-gram
-    counts = docs.select(F.explode(T.ngram_hashes(F.col("w"), n)).alias("g")).groupBy("g").agg(F.count("*").alias("k"))
+    counts = ngram_rows(docs, [], (n,)).groupBy("a", "b").agg(F.count("*").alias("k"))
     return counts.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("total"), F.count("*").alias("unique_ngrams")).select(
         "total", "unique_ngrams",
         F.coalesce(F.try_divide(F.col("unique_ngrams").cast("double"), F.col("total").cast("double")), F.lit(0.0)).alias("diversity"),

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions import text as T
+from glossmill.operators.diversity import ngram_rows
 from glossmill.operators.prefix import BUCKETS, below
 from glossmill.plans.staging import staged
 
@@ -125,10 +126,7 @@ def prefix_diversity(reviews: DataFrame, run: str, order: str, text: str = "text
     ) if buckets > 1 else []
     bucket = lambda c: below(F.col(c).cast("double"), cuts) if cuts else F.lit(0)
     dealt = docs.withColumn("bucket", bucket("o")).repartition("bucket")  # a text's n-grams are counted where it is
-    every = F.concat(*[T.ngram_hashes(F.col("w"), k, tagged=True) for k in SIZES])
-    grams = dealt.select(
-        "r", "o", "bucket", F.explode(every).alias("g")
-    ).select("r", "o", "bucket", "g.n", "g.a", "g.b").groupBy("bucket", "r", "o", "n", "a", "b").agg(F.count("*").alias("c"))
+    grams = ngram_rows(dealt, ["r", "o", "bucket"], SIZES).groupBy("bucket", "r", "o", "n", "a", "b").agg(F.count("*").alias("c"))
     changes = lead_changes(grams).groupBy("r", "doc", "t").agg(
         *[F.sum(F.when(F.col("n") == k, F.col("d")).otherwise(0)).alias(f"d{k}") for k in SIZES]
     )

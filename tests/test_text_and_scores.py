@@ -38,10 +38,14 @@ def test_words(df):
 
 
 def test_ngrams_need_enough_words(spark):
-    rows = spark.createDataFrame([([],), (["a"],), (["a", "b", "c"],)], "w array<string>").select(
-        T.ngrams(F.col("w"), 2).alias("g"), F.size(T.ngram_hashes(F.col("w"), 2)).alias("h")
-    ).collect()
-    assert [r.g for r in rows] == [[], [], [["a", "b"], ["b", "c"]]] and [r.h for r in rows] == [0, 0, 2]
+    from glossmill.operators.diversity import ngram_rows
+
+    rows = spark.createDataFrame([(0, []), (1, ["a"]), (2, ["a", "b", "c"])], "i int, w array<string>")
+    assert [r.g for r in rows.select("i", T.ngrams(F.col("w"), 2).alias("g")).orderBy("i").collect()] == [[], [], [["a", "b"], ["b", "c"]]]
+    got = ngram_rows(rows, ["i"], (1, 2, 3, 4)).collect()
+    assert sorted((r.i, r.n) for r in got) == [(1, 1), (2, 1), (2, 1), (2, 1), (2, 2), (2, 2), (2, 3)]
+    assert len({(r.a, r.b) for r in got}) == 6  # the word a is in two rows
+    assert sorted(r.n for r in ngram_rows(rows, [], (2,)).collect()) == [2, 2]
 
 
 def plain_scores(text, rating, attempt, p):
