@@ -18,6 +18,8 @@ from glossmill.plans.staging import staged
 
 EPSILON = 0.1  # what smoothing puts for no match
 MATTR_WINDOW, MATTR_STRIDE = 100, 50
+#: Texts of a bucket of running sums: rows carry their words.
+TEXT_ROWS = 1000
 #: Weights of the overall score.
 WEIGHTS = {"self_bleu": 0.3, "semantic": 0.3, "ttr": 0.2, "bigram": 0.1, "trigram": 0.1}
 
@@ -115,9 +117,11 @@ def mattr(reviews: DataFrame, window: int = MATTR_WINDOW, stride: int = MATTR_ST
     """
     if window % stride:
         raise ValueError("the stride must divide the window")
+    total = reviews.agg(F.sum(T.word_count(F.col("text")))).first()[0] or 0
+    if total < window:
+        return type_token(reviews).select(F.col("ttr").alias("mattr"))
     docs = reviews.select("seq", T.words(F.lower(F.col("text"))).alias("w")).withColumn("n", F.size("w").cast("long"))
-    placed = running(docs, "seq", {"end": F.col("n")}).withColumn("begin", F.col("end") - F.col("n")).filter("n > 0")
-    total = docs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    placed = running(docs, "seq", {"end": F.col("n")}, bucket_rows=TEXT_ROWS).withColumn("begin", F.col("end") - F.col("n")).filter("n > 0")
     first, last = F.floor(F.col("begin") / stride), F.floor((F.col("end") - 1) / stride)
     runs = placed.select("w", "begin", "end", F.explode(F.sequence(first, last)).alias("c"))
     lo = F.greatest(F.col("begin"), F.col("c") * stride)
@@ -125,8 +129,8 @@ def mattr(reviews: DataFrame, window: int = MATTR_WINDOW, stride: int = MATTR_ST
     runs = runs.select("c", F.array_distinct(F.slice("w", (lo - F.col("begin") + 1).cast("int"), (hi - lo).cast("int"))).alias("w"))
     spread = runs.select("w", F.explode(F.sequence(F.col("c") - (window // stride - 1), F.col("c"))).alias("k"))
     ratio = spread.groupBy("k").agg((F.size(F.array_distinct(F.flatten(F.collect_list("w")))) / F.lit(float(window))).alias("r"))
-    kept = ratio.join(F.broadcast(total), (F.col("k") >= 0) & (F.col("k") * stride + window <= F.col("total")))
-    return kept.agg(F.avg("r").alias("m")).crossJoin(type_token(reviews).select("ttr")).select(F.coalesce("m", "ttr").alias("mattr"))
+    kept = ratio.filter((F.col("k") >= 0) & (F.col("k") * stride + window <= total))
+    return kept.agg(F.avg("r").alias("mattr"))
 
 
 def ngram_diversity(reviews: DataFrame, n: int) -> DataFrame:

@@ -22,15 +22,15 @@ def below(x: Column, cuts: list[float]) -> Column:
     return F.when(x.isNotNull(), F.least(whole * GROUP + F.size(F.filter(part, lambda c: c < x)), F.lit(len(cuts))))
 
 
-def running(df: DataFrame, order: str, sums: dict[str, Column], tie: list[str] | None = None) -> DataFrame:
+def running(df: DataFrame, order: str, sums: dict[str, Column], tie: list[str] | None = None, bucket_rows: int | None = None) -> DataFrame:
     """df and, for each name in sums, the sum of its column over all rows up to this one, by order (then tie).
 
     Rows go to buckets between quantiles of the order's values, so that they hold about as many rows each however the
     values lie (those of one value share a bucket); sums run within a bucket, and the sums of the buckets before it, of
-    which there are BUCKETS at most, are added. Nulls come first.
+    which there are BUCKETS at most, are added. Nulls come first. Wide rows are better off in smaller buckets (bucket_rows).
     """
     n = df.count()
-    buckets = int(min(BUCKETS, max(1, n // BUCKET_ROWS)))
+    buckets = int(min(BUCKETS, max(1, n // (bucket_rows or BUCKET_ROWS))))
     if buckets == 1:
         bucket = F.lit(0)
     else:
