@@ -980,3 +980,6 @@ def gates_by_self_bleu(spark, sf_dir):
         "seq", "self_bleu_diversity",
         F.array_join(F.transform("reasons", lambda x: F.regexp_extract(x, r"^([^:(]+?) *[:(]", 1)), "; ").alias("gates"),
     )
+
+
+from glossmill.plans import round_trips  # noqa: E402, F401  registers its queries

@@ -194,14 +194,13 @@ class Config:
                 raise ValueError(f"the weights of {name} sum to {sum(weights)}, not 1")
 
 
-def load_config(path: str) -> Config:
-    """A YAML file of sections generation, personas, rating_distribution, models and quality_thresholds."""
+def parse_config(text: str) -> Config:
+    """YAML of sections generation, personas, rating_distribution, models and quality_thresholds."""
     try:
         import yaml
     except ImportError as e:
         raise ImportError("reading a configuration needs PyYAML; build a Config instead") from e
-    with open(path, encoding="utf-8") as f:
-        d = yaml.safe_load(f) or {}
+    d = yaml.safe_load(text) or {}
     g, stars = d.get("generation", {}), d.get("rating_distribution", {})
     base = Config()
     return Config(
@@ -213,6 +212,12 @@ def load_config(path: str) -> Config:
     )
 
 
+def load_config(path: str) -> Config:
+    """The configuration in a YAML file."""
+    with open(path, encoding="utf-8") as f:
+        return parse_config(f.read())
+
+
 def api_key(variable: str) -> str:
     """A key from the driver's environment; it never enters a plan."""
     if not (value := os.environ.get(variable)):

@@ -355,4 +355,26 @@ class RuleJudge:
         }
 
 
+class LeastWords:
+    """Gives as many different words as the prompt asks for at least."""
+
+    def generate(self, system_prompt: str, user_prompt: str, temperature: float | None = None, max_tokens: int = 1024) -> dict:
+        least = int(user_prompt.split(" review of ", 1)[1].split(" ", 1)[0])
+        text = " ".join(f"w{i}" for i in range(least))
+        return {"text": text, "model": "least", "time": 0.0, "cost": 0.0, "tokens": {}, "success": True}
+
+
+class FixedJudge:
+    """Gives every criterion the same score."""
+
+    def __init__(self, score: float = 8):
+        self.score = score
+
+    def generate(self, system_prompt: str, user_prompt: str, temperature: float | None = None, max_tokens: int = 1024) -> dict:
+        criterion = user_prompt.split("\n", 1)[0].removeprefix("Criterion: ").strip()
+        decision = "PASS" if self.score >= 6 else "FAIL"
+        text = f'{{"{criterion}_score": {self.score}, "decision": "{decision}", "feedback": "as always"}}'
+        return {"text": text, "model": "fixed", "time": 0.0, "cost": 0.0, "tokens": {}, "success": True}
+
+
 REGISTRY["rules"] = RuleJudge
