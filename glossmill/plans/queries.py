@@ -846,6 +846,24 @@ def prefix_self_bleu(spark, sf_dir):
     return prefix_diversity(reviews(spark, sf_dir).withColumn("run", c("session")), "run", "seq")
 
 
+@query(f"""
+WITH {BASE}, t AS (SELECT seq, session || '/' || model AS run, {w('text')} AS a FROM r),
+g AS (SELECT run, seq, n, unnest(list_transform(range(1, len(a) - n + 2), lambda i: array_to_string(a[i:i+n-1], ' '))) AS g FROM t, (SELECT unnest([1, 2, 3, 4]) AS n)),
+k AS (SELECT run, seq, n, g, count(*) AS c FROM g GROUP BY ALL),
+p AS (SELECT x.run, x.seq AS i, y.seq AS j, x.n, x.g, least(x.c, y.c) AS v FROM k x JOIN k y ON x.run = y.run AND x.n = y.n AND x.g = y.g AND x.seq <> y.seq),
+m AS (SELECT run, i, t, n, sum(v) AS m FROM (SELECT p.run, i, t.seq AS t, n, g, max(v) AS v FROM p JOIN t ON t.run = p.run AND t.seq >= i AND t.seq >= j GROUP BY ALL) GROUP BY ALL),
+f AS (SELECT x.run, x.seq AS i, z.seq AS t, len(x.a) AS len, arg_min(len(y.a), abs(len(y.a) - len(x.a)) * 1000000 + len(y.a)) AS ref FROM t x JOIN t y ON x.run = y.run AND x.seq <> y.seq JOIN t z ON z.run = x.run AND z.seq >= x.seq AND z.seq >= y.seq GROUP BY ALL),
+b AS (SELECT f.run, f.i, f.t, CASE WHEN max(CASE WHEN q.n = 1 THEN coalesce(m, 0) END) = 0 THEN 0 ELSE CASE WHEN max(len) > max(ref) THEN 1 ELSE exp(1 - max(ref) / max(len)) END
+    * exp(sum(0.25 * ln(CASE WHEN coalesce(m, 0) = 0 THEN 0.1 ELSE m END / greatest(len - q.n + 1, 1)))) END AS bleu FROM f CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS n) q LEFT JOIN m ON m.run = f.run AND m.i = f.i AND m.t = f.t AND m.n = q.n GROUP BY f.run, f.i, f.t)
+SELECT t.run, t.seq, round(coalesce(1 - x.bleu, 1), 6) AS self_bleu_diversity FROM t LEFT JOIN (SELECT run, t, avg(bleu) AS bleu FROM b GROUP BY run, t) x ON x.run = t.run AND x.t = t.seq""")
+def prefix_self_bleu_by_model(spark, sf_dir):
+    """The series of each model in each session; its SQL lays every text beside every other of its run so far."""
+    from glossmill.operators.prefix_bleu import prefix_diversity
+
+    rows = reviews(spark, sf_dir).withColumn("run", F.concat_ws("/", "session", "model"))
+    return prefix_diversity(rows, "run", "seq")
+
+
 @query()
 def generation_rounds(spark, sf_dir):
     config = io.Config(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from glossmill.functions import text as T
 from glossmill.operators import gates, judge, metrics
-from glossmill.plans import rounds
+from glossmill.plans import report, rounds
 from glossmill.plans.queries import GATES_SQL, MODELS, PERSONAS, RATINGS, RUN_SQL, gated, query, read, reviews, run_rows, unit_sql, weighted_sql
 from glossmill.plans.staging import shared_path
 from glossmill.sources import io, providers
@@ -217,3 +217,24 @@ def filled_target(spark, sf_dir):
     t = gates.Thresholds(min_length=ENOUGH, max_self_bleu=1.0, max_regeneration_attempts=0)
     done = rounds.fill(spark, config, providers.LeastWords, t).filter("decision = 'accept'")
     return done.select("seq", T.word_count(c("text")).alias("n_words"))
+
+
+@query(f"""
+WITH {RUN_SQL}, o AS (SELECT count(*) AS n, count_if(accepted) AS a FROM g), k AS (SELECT 1 + doc_id % 5 AS rating, count(*) AS n FROM documents GROUP BY 1)
+SELECT '- Generated: ' || n AS line FROM o UNION ALL SELECT '- Accepted: ' || a || ' (' || format('{{:.1f}}', 100.0::DOUBLE * (a / n)) || '%)' FROM o UNION ALL SELECT '- Rejected: ' || (n - a) FROM o
+    UNION ALL SELECT '- ' || k.rating || '-star: ' || k.n || ' (' || format('{{:.1f}}', 100.0::DOUBLE * k.n / o.n) || '%)' FROM k, o""")
+def report_lines(spark, sf_dir):
+    """The lines of the report that count rows."""
+    zero = dict.fromkeys(
+        (
+            "overall_score", "self_bleu_diversity", "semantic_diversity", "vocabulary_size", "ttr", "mattr", "bigram_diversity",
+            "trigram_diversity",
+        ),
+        0.0,
+    )
+    runs = run_rows(spark, sf_dir)
+    totals = report.one(metrics.totals(runs))
+    ratings = [r.asDict() for r in metrics.rating_distribution(reviews(spark, sf_dir)).orderBy("rating").collect()]
+    text = report.markdown(zero, {"avg_similarity": 0.0}, [], totals, ratings, {"realism_score": 0.0}, [], {}, totals["total_generated"])
+    lines = [(x,) for x in text.split("\n") if x.startswith(("- Generated: ", "- Accepted: ", "- Rejected: ")) or "-star: " in x]
+    return spark.createDataFrame(lines, "line string")
