@@ -29,12 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.bpe import PIECE_CHARS, PIECES, VOCABULARY, read_ranks, table
+from glossmill.llm.bpe import PIECE_CHARS, PIECES, VOCABULARY, read_ranks, splitter, table
 from glossmill.llm.common import identity, removed, shared_path, slices, written
 
 #: Ids of a sequence; sequences of a shard at least, and shards at most: beyond those, shards grow (by powers of two).
@@ -99,7 +98,7 @@ class Pieces(dict):
     def __init__(self, ranks: bytes, width: int):
         own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table(ranks), special_tokens={})
         self.one, self.kind, self.chars = own._core_bpe.encode_single_piece, {2: "H", 4: "I"}[width], 0
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.split = splitter()
 
     def __missing__(self, piece: str) -> bytes:
         ids = array(self.kind, self.one(piece.encode())).tobytes()

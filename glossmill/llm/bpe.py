@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import sys
 from array import array
 from collections.abc import Callable, Iterator
@@ -45,6 +46,18 @@ def table(ranks: bytes) -> dict[bytes, int]:
     return {base64.b64decode(t): int(r) for t, r in map(bytes.split, ranks.splitlines())}
 
 
+def splitter(pattern: str = public_tokenizers.PATTERN) -> Callable[[str], list[str]]:
+    """What cuts a text into pieces. For the public pattern, two forms that cut alike and sooner: letters, the most
+    frequent pieces, are tried first (none of the other pieces begins with one), and texts of ASCII only, of which
+    letters, digits and spaces are few, go to the standard library."""
+    if pattern != public_tokenizers.PATTERN:
+        return regex.compile(pattern).findall
+    every = regex.compile(r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+    space = "".join(map(re.escape, filter(regex.compile(r"\s").match, map(chr, range(128)))))
+    ascii_only = re.compile(rf" ?[A-Za-z]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^{space}A-Za-z0-9]+|[{space}]+(?![^{space}])|[{space}]+").findall
+    return lambda text: ascii_only(text) if text.isascii() else every(text)
+
+
 class Encoder:
     """Encodes and decodes by the ranks of a file: lines of a token in base 64 and its rank, which is its id."""
 
@@ -53,7 +66,7 @@ class Encoder:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for t, r in self.ranks.items():
             self.tokens[r] = t
-        self.split = regex.compile(pattern).findall
+        self.split = splitter(pattern)
         self.pattern = regex.compile(pattern)
         self.automaton = ahocorasick.Automaton()
         for t, r in self.ranks.items():

@@ -48,6 +48,19 @@ def test_encoder_equals_the_library(encoder, library):
     assert np.frombuffer(encoder.encode("".join(rng.choice("aehinrst") for _ in range(50_000))), "<u4").size
 
 
+def test_splitting_is_that_of_the_pattern():
+    import regex
+
+    rng, cut, plain = random.Random(6), bpe.splitter(), regex.compile(P.PATTERN).findall
+    every = [chr(i) for i in range(128)]
+    wide = every + list("éß日本١²Ⅷ½ǅ\u0301\u00a0\u2003\u3000\u0085\u200b👍ªº")
+    for alphabet in (every, wide, list("'srtvemld  \n"), list("'LLl ve1a\t\x1c\x1f\x0b")):
+        for _ in range(4000):
+            t = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25)))
+            assert cut(t) == plain(t), t
+    assert bpe.splitter(r"\w+")("a b") == ["a", "b"]
+
+
 def test_encoder_survives_emptied_memories(library, monkeypatch):
     monkeypatch.setattr(bpe, "PIECES", 20)
     monkeypatch.setattr(bpe, "PAIRS", 5)
