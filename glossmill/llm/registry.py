@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import binary_out, bpe, decontam, langid, quality, secret_scan, sharding, simhash, sql, token_edits, toxicity
+from glossmill.llm import binary_out, bpe, decontam, langid, negatives, quality, secret_scan, sharding, simhash, sql, token_edits, toxicity, url_filter, whitening
 from glossmill.llm.common import read, shared_path, written
 from glossmill.plans.staging import spread
 
@@ -60,6 +60,19 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_out.written_order(spread(read(spark, sf_dir, "documents")))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spread(read(spark, sf_dir, "embeddings")))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(read(spark, sf_dir, "pages"), url_filter.rules_of(spark))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(spread(read(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0, label)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_training_order": op10_training_order,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_url_filters": op12_url_filters,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": pipeline,
 }
 

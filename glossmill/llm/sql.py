@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossmill.llm import decontam, quality, secret_scan, sharding
+from glossmill.llm import decontam, quality, secret_scan, sharding, url_filter
 
 
 def quoted(x: str) -> str:
@@ -123,7 +123,30 @@ s AS (SELECT doc_id, id, CAST(strlen(text) + 1 AS BIGINT) AS size, CAST(CASE WHE
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY md5(concat_ws('/', id, text_crc32, size))) - 1 AS slot, grown_shard FROM s"""
 
 
+def url_filters() -> str:
+    """Every rule held against every url."""
+    rules = ", ".join(f"({quoted(h)}, {quoted(p)}, {quoted(v)})" for h, p, v in url_filter.RULES)
+    return f"""
+WITH r(rhost, rpath, rverdict) AS (VALUES {rules}),
+u AS (SELECT page_id, row_number() OVER () AS k, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, k, translate(regexp_extract(rest, '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+m AS (SELECT k, max({{'size': length(rhost) + length(rpath), 'rule': rhost || rpath, 'verdict': rverdict}}) AS best FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY k)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, '{url_filter.DEFAULT}') AS verdict FROM p LEFT JOIN m USING (k)"""
+
+
+def hard_negatives() -> str:
+    """Every anchor held against every row."""
+    return """
+WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same, CAST(list_inner_product(a.x, e.x) AS BIGINT) AS score FROM e AS a JOIN e ON a.vec_id <> e.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, s.vec_id AS negative_id, positive_score, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.vec_id) AS rank
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+
 SQL = {
     "op1_quality_rules": quality_rules(), "op5_secret_scans": secrets(), "op6_benchmark_decontamination": contamination(),
-    "op8_sharding": shards(),
+    "op8_sharding": shards(), "op12_url_filters": url_filters(), "op13_hard_negatives": hard_negatives(),
 }
