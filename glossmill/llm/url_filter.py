@@ -14,7 +14,7 @@ DataFrame functions only.
 
 Defined results: the longest rule is that of most characters in host and path, of those as long the one with the longer
 host. Of rules with equal host and path, one that blocks wins. Rules without a host, path or verdict (null) don't count; an empty
-rule host fits empty hosts only. A null url, or one without "://", has an empty host and path. Rows repeat as often as
+rule host fits empty hosts and, as its subdomains, hosts that end in a dot. A null url, or one without "://", has an empty host and path. Rows repeat as often as
 they are there; without rules every url gets the default; an empty table gives an empty result. Columns of any
 other name may be there.
 """
@@ -38,7 +38,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def rules_of(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    names = ("host", "path", "verdict")
+    rows = [F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(names, r)]) for r in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def parts(url: Column) -> tuple[Column, Column]:
