@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.plans.staging import passing, removed, shared_path, staged, written
 
-__all__ = ["fresh", "held_out", "identity", "passing", "read", "removed", "shared_path", "slices", "staged", "written"]
+__all__ = ["FEW", "few", "fresh", "held_out", "identity", "passing", "placed", "read", "removed", "shared_path", "slices", "staged", "written"]
 
+#: Rows of two numbers that are broadcast at most (some 60 bytes each, 30 MB).
+FEW = 500_000
 #: Rows of a batch that Python takes at once; Spark cuts batches by bytes before (64 MB by default).
 SLICE_ROWS = 512
 
@@ -47,3 +50,19 @@ def identity(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows that no model is fitted on: crc32 of the id as text leaves 1 modulo 3; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+def few(table: DataFrame, most: int | None = None) -> DataFrame:
+    """A staged table of narrow rows, marked for broadcast if it has few; a larger one is joined by merging, at any size."""
+    return F.broadcast(table) if table.count() <= (FEW if most is None else most) else table.hint("merge")
+
+
+def placed(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """docs from files, and where a row stands: a hash of its file's path, and its place in the file. Rows that don't come
+    from Parquet files are staged first."""
+    at = lambda df: df.metadataColumn("_metadata")
+    try:
+        docs.select(at(docs)["row_index"]).schema  # noqa: B018  is there such a column?
+    except AnalysisException:
+        docs = staged(docs, "rows")
+    return docs, F.xxhash64(at(docs)["file_path"]), at(docs)["row_index"]

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import fresh, identity
+from glossmill.llm.common import few, fresh, identity, staged
 
 #: Masks: 1 counts, 0 is ignored; and the tokens from which an item needs no masks of its own.
 MASKS, SHORT = ("110111", "11100011", "1011011"), 8
@@ -150,5 +150,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """docs without the rows whose text is contaminated, columns as they were."""
     a, b = identity(docs, ["doc_id", "text"])
     x, y = fresh(docs, "bad_a"), fresh(docs, "bad_b")
-    bad = found_items(docs, benchmark, **kw).select(F.col("a").alias(x), F.col("b").alias(y)).distinct()
-    return docs.withColumns({x: a, y: b}).join(bad, [x, y], "left_anti").drop(x, y)
+    bad = staged(found_items(docs, benchmark, **kw).select(F.col("a").alias(x), F.col("b").alias(y)).distinct(), "contaminated")
+    return docs.withColumns({x: a, y: b}).join(few(bad), [x, y], "left_anti").drop(x, y)

@@ -2,8 +2,9 @@
 
 Every version of a file is addressed by the SHA-256 of its content. The ledger holds the pairs (blob, rule
 version) that have been scanned, with their findings; a scan reads only pairs that it lacks, each distinct blob
-once, and findings are joined back to every path and version that has the blob. A history is scanned step by step: a
-step brings versions or rule packs, and extends the ledger by the pairs that are new with it.
+once, and findings are joined back to every path and version that has the blob. Addresses are held against the ledger
+first, so that texts of known blobs don't move. A history is scanned step by step: a step brings versions or rule packs,
+and extends the ledger by the pairs that are new with it.
 
 DataFrame functions only. Positions come without any Python: split() gives the pieces between the matches that
 regexp_extract_all() gives, and running sums of both lengths are the matches' starts and ends.
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import fresh, identity, shared_path
+from glossmill.llm.common import fresh, identity, shared_path, staged
 
 
 @dataclass(frozen=True)
@@ -49,6 +50,9 @@ PROVIDERS = (
 #: Rule versions: a change of a pack's rules needs a new name, and only that pack is scanned again.
 PACKS: dict[str, tuple[Rule, ...]] = {"base-1": BASE, "providers-1": PROVIDERS}
 ORDER = {r.kind: i for i, r in enumerate(BASE + PROVIDERS)}
+#: Addresses (numbers of 8 bytes) that are broadcast at most, to pick out the texts to scan; blobs with findings, and their
+#: findings, that are broadcast at most, to be laid on rows where those are.
+PICKED, FOUND, FOUND_SPANS = 1_000_000, 100_000, 1_000_000
 
 SPAN = "array<struct<start:int,ord:int,end:int,kind:string>>"
 
@@ -57,9 +61,13 @@ def content_address(text: str) -> Column:
     return F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary"), 256)
 
 
-def blobs(versions: DataFrame, text: str) -> DataFrame:
-    """blob, content: each distinct content once."""
+def blobs(versions: DataFrame, text: str, wanted: DataFrame | None = None) -> DataFrame:
+    """blob, content: each distinct content once. wanted: the blobs that matter, of which the texts alone are moved if they
+    are few enough to be broadcast; others may come along."""
     rows = versions.select(content_address(text).alias("blob"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("content"))
+    if wanted is not None and wanted.count() <= PICKED:
+        picked = wanted.select(F.xxhash64("blob").alias("picked")).distinct()
+        rows = rows.join(F.broadcast(picked), F.xxhash64("blob") == F.col("picked"), "left_semi")
     return rows.groupBy("blob").agg(F.first("content").alias("content"))
 
 
@@ -104,14 +112,12 @@ def scan(blobs: DataFrame, packs: dict[str, tuple[Rule, ...]]) -> DataFrame:
     return found.groupBy("blob", "pack").agg(F.sort_array(F.collect_list("span")).alias("spans"))
 
 
-def unseen(blobs: DataFrame, ledger: DataFrame | None, packs: list[str]) -> DataFrame:
-    """blobs with the packs (todo) that the ledger lacks for them, where there are any."""
+def unseen(addresses: DataFrame, ledger: DataFrame, packs: list[str]) -> DataFrame:
+    """blob, todo: addresses (blob) with the packs that the ledger lacks for them, where there are any."""
     every = F.array(*[F.lit(p) for p in packs])
-    if ledger is None:
-        return blobs.withColumn("todo", every)
     seen = ledger.filter(F.col("pack").isin(packs)).groupBy("blob").agg(F.collect_set("pack").alias("seen"))
     todo = F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))
-    return blobs.join(seen, "blob", "left").withColumn("todo", todo).drop("seen").filter(F.size("todo") > 0)
+    return addresses.join(seen, "blob", "left").select("blob", todo.alias("todo")).filter(F.size("todo") > 0)
 
 
 def new_pairs(
@@ -120,7 +126,11 @@ def new_pairs(
     """blob, pack, spans (empty if none) of the pairs of versions' blobs and packs that the ledger (none: an empty one)
     lacks. All packs are scanned in one pass over the distinct blobs, each blob for those that it lacks."""
     packs = PACKS if packs is None else packs
-    todo = unseen(blobs(versions, text), ledger, list(packs))
+    if ledger is None:
+        todo = blobs(versions, text).withColumn("todo", F.array(*[F.lit(p) for p in packs]))
+    else:
+        lacking = staged(unseen(versions.select(content_address(text).alias("blob")).distinct(), ledger, list(packs)), "unseen-blobs")
+        todo = blobs(versions, text, lacking).join(lacking, "blob")
     pairs = todo.select("blob", F.explode("todo").alias("pack"))
     return pairs.join(scan(todo, packs), ["blob", "pack"], "left").select(
         "blob", "pack", F.coalesce("spans", F.array().cast(SPAN)).alias("spans")
@@ -138,13 +148,13 @@ def extend_ledger(
 def blob_findings(
     versions: DataFrame | None, text: str = "text", ledger: DataFrame | None = None, packs: dict[str, tuple[Rule, ...]] | None = None
 ) -> DataFrame:
-    """blob, spans (of all packs, sorted) for blobs that have findings. Pairs of versions that the ledger lacks are
-    scanned; without versions the ledger is taken as it is."""
+    """blob, spans (of all packs, sorted) for blobs that have findings, as a staged table. Pairs of versions that the ledger
+    lacks are scanned; without versions the ledger is taken as it is."""
     packs = PACKS if packs is None else packs
     if versions is not None:
         ledger = extend_ledger(versions, text, ledger, packs)
     found = ledger.filter(F.col("pack").isin(*packs) & (F.size("spans") > 0))
-    return found.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return staged(found.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans")), "findings")
 
 
 def ledger_of(steps: list[tuple[DataFrame, dict[str, tuple[Rule, ...]]]], text: str = "text", at: str | None = None) -> DataFrame:
@@ -163,33 +173,28 @@ def ledger_of(steps: list[tuple[DataFrame, dict[str, tuple[Rule, ...]]]], text:
     return spark.read.schema(schema).parquet(at)
 
 
-def history(versions: DataFrame, text: str = "text") -> list[tuple[DataFrame, dict[str, tuple[Rule, ...]]]]:
-    """versions as two steps: a first part of them with the base pack, then all of them with every pack. What the first
-    step has scanned isn't scanned again in the second, but for the packs that came with it; both steps together
-    scan every blob for every pack."""
-    path = identity(versions, [c for c in versions.columns if c != text])[0]
-    earlier = F.pmod(path, F.lit(2)) == 0
-    return [(versions.filter(earlier), {k: PACKS[k] for k in list(PACKS)[:1]}), (versions, PACKS)]
-
-
 def scanned(versions: DataFrame, text: str = "text") -> DataFrame:
-    """The findings of versions through a ledger that is built in the steps of history."""
-    return blob_findings(None, ledger=ledger_of(history(versions, text), text))
+    """The findings of versions through a new ledger, of which every blob is scanned once for every pack."""
+    return blob_findings(None, ledger=ledger_of([(versions, PACKS)], text))
 
 
 def with_spans(versions: DataFrame, found: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
-    """versions with the spans of each row's blob as out, a name that versions doesn't have. A blob of many copies is
-    spread: rows are dealt by blob and salt, and findings, few and small, are repeated for each salt. The salt is a
-    hash of the row's columns, so that a task that is repeated deals its rows as before."""
+    """versions with the spans of each row's blob as out, a name that versions doesn't have. Findings of few blobs are
+    broadcast, and no text moves. Of more, rows are dealt by blob and salt, and findings repeated for each salt, so that a blob
+    of many copies is spread. The salt is a hash of the row's columns: a task that is repeated deals its rows as before."""
     if out in versions.columns:
         raise ValueError(f"versions has a column {out} already")
-    salts = 16
-    salt = F.pmod(identity(versions, [c for c in versions.columns if c != text])[0], F.lit(salts)).cast("int")
-    left = versions.select(
-        F.struct(*[F.col(f"`{c}`") for c in versions.columns]).alias("row"), content_address(text).alias("blob"), salt.alias("salt")
-    )
-    right = found.select("blob", "spans", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    return left.join(right, ["blob", "salt"], "left").select("row.*", F.coalesce("spans", F.array().cast(SPAN)).alias(out))
+    row = F.struct(*[F.col(f"`{c}`") for c in versions.columns]).alias("row")
+    size = found.agg(F.count("*").alias("blobs"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("spans")).first()
+    if size["blobs"] <= FOUND and size["spans"] <= FOUND_SPANS:
+        done = versions.select(row, content_address(text).alias("blob")).join(F.broadcast(found), "blob", "left")
+    else:
+        salts = 16
+        salt = F.pmod(identity(versions, [c for c in versions.columns if c != text])[0], F.lit(salts)).cast("int")
+        left = versions.select(row, content_address(text).alias("blob"), salt.alias("salt"))
+        right = found.select("blob", "spans", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        done = left.join(right, ["blob", "salt"], "left")
+    return done.select("row.*", F.coalesce("spans", F.array().cast(SPAN)).alias(out))
 
 
 def joined(spans: Column) -> Column:

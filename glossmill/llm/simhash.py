@@ -15,6 +15,7 @@ other name may be there.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from itertools import islice
 
@@ -24,13 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import identity, passing, slices, staged
+from glossmill.llm.common import few, fresh, identity, passing, placed, slices, staged
 from glossmill.llm.components import components
 
 SEED = 42
-#: Points of a shard on average; points sampled for the tree by shard; and shards at most. A sample is a hundredth of
-#: the points or less, and 2 million (16 MB) whatever the input; beyond the most shards, it is the shards that grow.
-SHARD_POINTS, SAMPLE, SHARDS = 4096, 32, 65_536
+#: Shards of so many points each, up to so many shards; of the next size from there on. Fewer and larger ones mean fewer
+#: visits: in 8 shards a point is sent some 2 times, in 64 some 4 to 6 times. The last size holds for any more points.
+SHARDS = ((1 << 13, 8), (1 << 17, 64), (1 << 22, None))
+#: Points sampled for the tree by shard, and in all (16 MB); times the mean of a shard's points that a part asks for at most.
+SAMPLE, SAMPLED, ASKED = 512, 2_000_000, 2
 #: Points that are routed at once.
 ROUTED = 65_536
 #: Points that are compared with each other at once; and points from which a cluster too dense for the tree's
@@ -70,42 +73,44 @@ def distance(points: np.ndarray, other) -> np.ndarray:
 
 
 def vantage(points: np.ndarray, limit: int, rng: np.random.Generator) -> tuple[np.uint64, int] | None:
-    """The point and radius, of some drawn, that part the points near the middle with fewest within reach of the
-    radius; None if no point parts them."""
+    """The point and radius, of some drawn, with fewest points within reach of the radius and the most even sides; None if
+    no point parts them."""
     best = None
-    for v in rng.choice(points, min(6, len(points)), replace=False):
-        d = np.bincount(distance(points if len(points) <= 4096 else rng.choice(points, 4096), v), minlength=65)
-        below = np.cumsum(d)
-        n = below[-1]
+    some = points if len(points) <= 4096 else rng.choice(points, 4096)
+    for v in rng.choice(points, min(12, len(points)), replace=False):
+        below = np.cumsum(np.bincount(distance(some, v), minlength=65)) / len(some)
         for r in range(64):
-            if 0.25 * n <= below[r] <= 0.75 * n:
-                near = (below[min(64, r + limit)] - (below[r - limit] if r >= limit else 0)) / n
+            if 0.2 <= below[r] <= 0.8:
+                near = below[min(64, r + limit)] - (below[r - limit] if r >= limit else 0) + abs(below[r] - 0.5)
                 if best is None or near < best[0]:
                     best = (near, v, r)
     return best and (np.uint64(best[1]), int(best[2]))
 
 
-def grow(sample: np.ndarray, depth: int, limit: int) -> list[tuple[int, int, int, int]]:
-    """Nodes (vantage, radius, inner, outer); a child below 0 is shard -1 - child."""
-    nodes: list[tuple[int, int, int, int]] = []
-    shards = 0
+def grow(sample: np.ndarray, shards: int, limit: int) -> list[tuple[int, int, int, int]]:
+    """Nodes (vantage, radius, inner, outer) of a tree whose largest leaf is cut until there are so many; a child below 0
+    is shard -1 - child."""
     rng = np.random.default_rng(7)
-
-    def node(points: np.ndarray, depth: int) -> int:
-        nonlocal shards
-        cut = vantage(points, limit, rng) if depth and len(points) >= 8 else None
+    nodes: list[list[int]] = []
+    leaves, whole, n = [(-len(sample), 0, None, sample)], [], 1  # (size, number, its node and side, points)
+    while leaves and len(leaves) + len(whole) < shards:
+        _, _, at, points = heapq.heappop(leaves)
+        cut = vantage(points, limit, rng) if len(points) >= 8 else None
         if cut is None:
-            shards += 1
-            return -shards
+            whole.append(at)
+            continue
         v, r = cut
-        at = len(nodes)
-        nodes.append((0, 0, 0, 0))
+        if at:
+            nodes[at[0]][at[1]] = len(nodes)
+        nodes.append([int(v), r, 0, 0])
         inner = distance(points, v) <= r
-        nodes[at] = (int(v), r, node(points[inner], depth - 1), node(points[~inner], depth - 1))
-        return at
-
-    node(sample, depth)
-    return nodes
+        for side, mine in ((2, points[inner]), (3, points[~inner])):
+            heapq.heappush(leaves, (-len(mine), n, (len(nodes) - 1, side), mine))
+            n += 1
+    for shard, at in enumerate([*whole, *(leaf[2] for leaf in leaves)]):
+        if at:
+            nodes[at[0]][at[1]] = -1 - shard
+    return [(v, r, inner, outer) for v, r, inner, outer in nodes]
 
 
 def route(nodes: list[tuple[int, int, int, int]], points: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,8 +160,9 @@ class Stars:
                 label[:] = label[label]
 
 
-def search(points: np.ndarray, home: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) that span the components of the pairs within the limit, of which one at least is at home."""
+def search(points: np.ndarray, home: np.ndarray, limit: int, asks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that span the components of the pairs within the limit of a point at home and one that asks (all do,
+    if asks isn't given)."""
     stars, rng = Stars(len(points)), np.random.default_rng(11)
 
     def compare(members: np.ndarray, queries: np.ndarray) -> None:
@@ -179,7 +185,7 @@ def search(points: np.ndarray, home: np.ndarray, limit: int) -> tuple[np.ndarray
             hit = known[at] == want
             stars.link(order[at[hit]], queries[hit])
 
-    todo = [(np.flatnonzero(home), np.arange(len(points)))]
+    todo = [(np.flatnonzero(home), np.arange(len(points)) if asks is None else np.flatnonzero(asks))]
     while todo:
         members, queries = todo.pop()
         if not len(members) or not len(queries):
@@ -199,18 +205,44 @@ def search(points: np.ndarray, home: np.ndarray, limit: int) -> tuple[np.ndarray
     return points[linked], points[stars.label[linked]]
 
 
+def n_shards(n: int) -> int:
+    """How many shards n points have."""
+    return max(1, *(n // size if most is None else min(most, n // size) for size, most in SHARDS))
+
+
+def parts_of(nodes: list[tuple[int, int, int, int]], sample: np.ndarray, limit: int) -> np.ndarray:
+    """How many parts each shard is dealt to, by the rows that the sample sends there. Results don't depend on it."""
+    shard, _, _ = route(nodes, sample, limit)
+    rows = np.bincount(shard)
+    return np.maximum(1, np.ceil(rows * len(rows) / (ASKED * max(1, len(sample))))).astype(np.int32)
+
+
+def dealt(points: np.ndarray, nodes: list[tuple[int, int, int, int]], parts: np.ndarray, limit: int) -> dict[str, np.ndarray]:
+    """What is sent for points: shard, part, fp, home, asks. A point at home goes to all parts and asks in one of them."""
+    shard, fp, home = route(nodes, points, limit)
+    most = parts[shard] if len(parts) else np.ones(len(shard), np.int32)
+    own = ((fp * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % most.astype(np.uint64)
+    again = np.where(home, most, 1)
+    at = np.repeat(np.arange(len(shard)), again)
+    turn = np.arange(len(at)) - np.repeat(np.cumsum(again) - again, again)
+    part = np.where(home[at], turn, own[at]).astype(np.int32)
+    return {"shard": shard[at], "part": part, "fp": fp[at].view(np.int64), "home": home[at], "asks": part == own[at].astype(np.int32)}
+
+
 def links(points: DataFrame, n: int, limit: int) -> DataFrame:
     """a, b: links that span the components of the distinct points (fp); n is how many there are."""
-    shards = min(SHARDS, max(1, n // SHARD_POINTS))
+    shards = n_shards(n)
     nodes: list[tuple[int, int, int, int]] = []
+    parts = np.ones(0, np.int32)
     if shards > 1:
-        share = F.pmod(F.xxhash64(F.lit(SEED), "fp"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE * shards / n)
-        sample = np.array([r.fp for r in points.filter(share).orderBy("fp").limit(2 * SAMPLE * shards).collect()], np.int64).view(np.uint64)  # the tree's only
-        nodes = grow(sample, int(np.ceil(np.log2(shards))), limit)
+        most = min(SAMPLE * shards, SAMPLED)
+        share = F.pmod(F.xxhash64(F.lit(SEED), "fp"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / n))
+        sample = np.array([r.fp for r in points.filter(share).orderBy("fp").limit(2 * most).collect()], np.int64).view(np.uint64)  # the tree's only
+        nodes = grow(sample, shards, limit)
+        parts = parts_of(nodes, sample, limit)
 
     def sent(points: np.ndarray) -> pa.RecordBatch:
-        shard, p, home = route(nodes, points, limit)
-        return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(p.view(np.int64)), pa.array(home)], names=["shard", "fp", "home"])
+        return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in dealt(points, nodes, parts, limit).items()})
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []
@@ -223,10 +255,12 @@ def links(points: DataFrame, n: int, limit: int) -> DataFrame:
             yield sent(np.concatenate(waiting))
 
     def within(table: pa.Table) -> pa.Table:
-        a, b = search(table.column("fp").to_numpy().view(np.uint64), table.column("home").to_numpy(), limit)
+        fp, home, asks = (table.column(c).to_numpy() for c in ("fp", "home", "asks"))
+        a, b = search(fp.view(np.uint64), home, limit, asks)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return points.select("fp").mapInArrow(send, "shard int, fp long, home boolean").groupBy("shard").applyInArrow(within, "a long, b long")
+    rows = points.select("fp").mapInArrow(send, "shard int, part int, fp long, home boolean, asks boolean")
+    return rows.groupBy("shard", "part").applyInArrow(within, "a long, b long")
 
 
 def linked_classes(rows: DataFrame, least, limit: int, keep=staged) -> tuple[DataFrame, DataFrame, int]:
@@ -268,19 +302,20 @@ def hexadecimal(fp: str = "fp"):
 def first_of_each(docs: DataFrame, limit: int = 2) -> DataFrame:
     """One row of each component, columns as they were: the one of the smallest doc_id (rows without an id come last),
     then of the smallest fingerprint and hash of its columns. Rows are told apart by all their columns and not by
-    doc_id, so texts that share an id but no component both stay; rows that are equal in every column are one."""
+    doc_id, so texts that share an id but no component both stay; rows that are equal in every column are one.
+
+    Rows are known by their places in files, so that numbers decide who goes: texts stay where they are, as long as those
+    that go are few enough to be broadcast as places."""
+    docs, file, index = placed(docs)
     a, b = identity(docs)
-    keyed = docs.select("doc_id", "text", a.alias("a"), b.alias("b"))
+    keyed = docs.select("doc_id", "text", a.alias("a"), b.alias("b"), file.alias("file"), index.alias("at"))
     with passing(docs.sparkSession) as keep:
-        rows = keep(fingerprints(keyed, ("doc_id", "a", "b")), "fingerprints")
-        first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "fp", "a", "b"))
+        rows = keep(fingerprints(keyed, ("doc_id", "a", "b", "file", "at")), "fingerprints")
+        first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "fp", "a", "b", "file", "at"))
         classes, of, _ = linked_classes(rows, first, limit, keep)
-        linked = classes.join(of, "fp").groupBy("root").agg(F.min("least").alias("least")).select("least.a", "least.b")
-        alone = classes.join(of.select("fp"), "fp", "left_anti").select("least.a", "least.b")
-        kept = staged(linked.unionByName(alone), "kept")
-    # equal rows meet as partial aggregates, one a task; the join then finds rows dealt and sorted as it needs them.
-    # The rows kept grow with the input: one plan for all sizes, whose cost on a small input tells that on a large one
-    whole = docs.select(
-        a.alias("a"), b.alias("b"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    ).dropDuplicates(["a", "b"])
-    return whole.join(kept.hint("merge"), ["a", "b"], "left_semi").select("row.*")
+        linked = classes.join(of, "fp").groupBy("root").agg(F.min("least").alias("least")).select("least.file", "least.at")
+        alone = classes.join(of.select("fp"), "fp", "left_anti").select("least.file", "least.at")
+        gone = staged(rows.select("file", "at").join(linked.unionByName(alone), ["file", "at"], "left_anti"), "gone")
+    x, y = fresh(docs, "file"), fresh(docs, "at")
+    gone = gone.select(F.col("file").alias(x), F.col("at").alias(y))
+    return docs.withColumns({x: file, y: index}).join(few(gone), [x, y], "left_anti").drop(x, y)

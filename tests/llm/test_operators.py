@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import public_tokenizers as P
-from glossmill.llm import binary_out, bpe, components, decontam, langid, quality, registry, secret_scan, sharding, simhash, token_edits, toxicity
+from glossmill.llm import binary_out, bpe, common, components, decontam, langid, quality, registry, secret_scan, sharding, simhash, token_edits, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -238,7 +238,7 @@ def test_findings_scan_what_the_ledger_lacks(spark):
 
 
 def test_secret_query_and_stage_extend_a_ledger(spark, docs, rows, monkeypatch):
-    """Each pair of a text and a pack is scanned once over both steps, and the second step finds some done."""
+    """Each pair of a text and a pack is scanned once."""
     import corpus_pipeline
 
     made, new_pairs = [], secret_scan.new_pairs
@@ -247,10 +247,59 @@ def test_secret_query_and_stage_extend_a_ledger(spark, docs, rows, monkeypatch):
     for run in (lambda: registry.op5_secret_scans(spark, SF), lambda: corpus_pipeline.secret_scans(spark, docs, SF)):
         made.clear()
         run()
-        first, second = ([(r.blob, r.pack) for r in m.collect()] for m in made)
-        assert {p for _, p in first} == {"base-1"} and 0 < len(first) < len(distinct)
-        assert not set(first) & set(second) and len(set(second)) == len(second)
-        assert set(first + second) == {(b, p) for b in distinct for p in secret_scan.PACKS}
+        pairs = [(r.blob, r.pack) for m in made for r in m.collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == {(b, p) for b in distinct for p in secret_scan.PACKS}
+
+
+@pytest.fixture
+def no_automatic_broadcasts(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_of_known_blobs_do_not_move(spark, docs, rows, monkeypatch):
+    distinct = {hashlib.sha256((t or "").encode()).hexdigest() for _, t in rows}
+    full = secret_scan.ledger_of([(docs, secret_scan.PACKS)])
+    assert full.count() == 2 * len(distinct) and secret_scan.new_pairs(docs, ledger=full).count() == 0
+    known = sorted(distinct)[5:]
+    some = full.filter(F.col("blob").isin(known))
+    new = {r.blob for r in secret_scan.new_pairs(docs, ledger=some).collect()}
+    assert new == distinct - set(known)
+    lacking = secret_scan.unseen(docs.select(secret_scan.content_address("text").alias("blob")).distinct(), some, list(secret_scan.PACKS))
+    moved = secret_scan.blobs(docs, "text", lacking)
+    assert {r.blob for r in moved.collect()} == new
+    lines = plan_of(moved).split("\n")  # the pick stands below the exchange of contents
+    assert next(i for i, x in enumerate(lines) if "Exchange hashpartitioning(blob" in x) < next(i for i, x in enumerate(lines) if "LeftSemi, BuildRight" in x)
+    monkeypatch.setattr(secret_scan, "PICKED", 0)  # too many to pick by broadcast
+    assert {r.blob for r in secret_scan.new_pairs(docs, ledger=some).collect()} == new
+
+
+def test_findings_are_laid_on_rows_where_they_are(spark, docs, monkeypatch, no_automatic_broadcasts):
+    found = secret_scan.scanned(docs)
+    few = secret_scan.redacted(docs, found)
+    assert "Exchange hashpartitioning" not in plan_of(few)
+    want = sorted(map(repr, few.collect()))
+    monkeypatch.setattr(secret_scan, "FOUND", 0)
+    many = secret_scan.redacted(docs, found)
+    assert "Exchange hashpartitioning" in plan_of(many) and sorted(map(repr, many.collect())) == want
+
+
+def test_stages_leave_rows_where_they_are(spark, docs, monkeypatch, no_automatic_broadcasts):
+    """Few that go are broadcast as numbers; more are found by a join of all, to the same rows."""
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    for run in (simhash.first_of_each, lambda d: decontam.clean(d, benchmark)):
+        few = run(docs)
+        assert "Exchange hashpartitioning" not in plan_of(few)
+        want = sorted(map(repr, few.collect()))
+        with monkeypatch.context() as m:
+            m.setattr(common, "FEW", 0)
+            assert sorted(map(repr, run(docs).collect())) == want and 0 < len(want) < docs.count()
+        assert sorted(map(repr, run(docs.repartition(3)).collect())) == want  # not from files
 
 
 def test_a_ledger_goes_on_where_it_was(spark, tmp_path):
@@ -450,7 +499,8 @@ def test_search_finds_every_link(monkeypatch, leaf, dense):
 
 
 def test_shards_of_the_tree_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SHARD_POINTS", 60)
+    monkeypatch.setattr(simhash, "SHARDS", ((60, None),))
+    monkeypatch.setattr(simhash, "ASKED", 1)  # most shards are dealt to several parts
     points = some_points(900, 12)
     df = spark.createDataFrame([(p - (1 << 64) if p >= 1 << 63 else p,) for p in points], "fp long")
     found = components.components(simhash.links(df, len(points), 2))
@@ -458,6 +508,34 @@ def test_shards_of_the_tree_lose_no_link(spark, monkeypatch):
     assert same_partition([root.get(p, p) for p in points], clusters(points, 2))
 
 
+def test_rows_sent_and_largest_group_of_many_points():
+    """Uniform points, for which bounds prune least: few visits, and no group far above the mean."""
+    rng = np.random.default_rng(1)
+    points = rng.integers(0, 1 << 64, 1 << 20, dtype=np.uint64)
+    shards = simhash.n_shards(len(points))
+    sample = rng.choice(points, simhash.SAMPLE * shards, replace=False)
+    nodes = simhash.grow(sample, shards, 2)
+    parts = simhash.parts_of(nodes, sample, 2)
+    sent = simhash.dealt(points, nodes, parts, 2)
+    groups = np.bincount(sent["shard"] * 1000 + sent["part"])
+    assert len(points) < len(sent["fp"]) <= 3 * len(points) and groups.max() <= 4 * len(points) / shards
+    # each point is at home in one shard, in all of its parts, and asks once in each shard that it is sent to
+    home = sent["home"]
+    assert len(np.unique(sent["shard"][home] * (1 << 21) + np.searchsorted(np.sort(points), sent["fp"][home].view(np.uint64)))) == len(points)
+    assert sent["asks"].sum() == len(simhash.route(nodes, points, 2)[0]) and sent["asks"][~home].all()
+    # near pairs that lie in different shards meet
+    near = points[:20_000] ^ (np.uint64(1) << rng.integers(0, 64, 20_000, dtype=np.uint64))
+    places = [dict(zip(*(lambda d: (d["fp"][d["home"]].tolist(), d["shard"][d["home"]].tolist()))(simhash.dealt(x, nodes, parts, 2)))) for x in (points[:20_000], near)]
+    visits = [simhash.dealt(x, nodes, parts, 2) for x in (points[:20_000], near)]
+    seen = [set(zip(v["fp"].tolist(), v["shard"].tolist())) for v in visits]
+    for a, b in zip(points[:20_000].view(np.int64).tolist(), near.view(np.int64).tolist()):
+        assert (a, places[1][b]) in seen[0] or (b, places[0][a]) in seen[1]
+
+
+def test_shards_grow_with_the_points():
+    assert [simhash.n_shards(n) for n in (0, 100, 20_000, 1 << 20, 1 << 23, 1 << 28, 1 << 30)] == [1, 1, 2, 8, 64, 64, 256]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 300)] + [(7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
