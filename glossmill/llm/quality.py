@@ -13,7 +13,7 @@ the lines that a text has on average, whatever the corpus) and known to all task
 of a line fail too, however rare.
 
 Defined results: a null text has no words; blank lines are kept and weigh nothing; a text without words fails the
-base rule; repeated rows give repeated results, an empty table an empty one. Texts are read whole, and other columns
+base rule; repeated rows give repeated results, an empty table an empty one. There are no ties. Texts are read whole, and other columns
 don't matter.
 """
 
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import slices
+from glossmill.llm.common import few, slices, staged
 
 #: Fixed values of the base rule and of the line rules.
 SYMBOLS = "#*$%&|<>"
@@ -91,10 +91,10 @@ def common_lines(docs: DataFrame) -> frozenset[int]:
     # an end of a text is a neighbour of its own
     end = lambda name: F.array(F.xxhash64("of", F.lit(name)))
     above, below = F.concat(end("top"), F.slice("line", 1, F.size("line") - 1)), F.concat(F.slice("line", 2, F.size("line")), end("bottom"))
-    rows = lines.select(
-        "of", "line", above.alias("above"), below.alias("below")
-    ).select("of", F.inline(F.arrays_zip("line", "above", "below")))
-    counts = rows.groupBy("line").agg(
+    rows = lines.select("of", "line", above.alias("above"), below.alias("below")).select("of", F.inline(F.arrays_zip("line", "above", "below")))
+    # a line that isn't there so often isn't in so many texts; texts and neighbours are told apart for those left only
+    often = staged(rows.groupBy("line").count().filter(F.col("count") >= least).select("line"), "frequent-lines")
+    counts = rows.join(few(often), "line", "left_semi").groupBy("line").agg(
         F.countDistinct("of").alias("texts"), F.countDistinct("above").alias("above"), F.countDistinct("below").alias("below")
     )
     common = counts.filter((F.col("texts") >= least) & (2 * F.least("above", "below") >= F.col("texts")))
@@ -109,14 +109,13 @@ def line_hash(line: str) -> int:
 
 def failing_rule(line: str, n_words: int, common: frozenset[int] = frozenset()) -> str | None:
     """The rule that a line with words fails."""
-    symbols = sum(map(line.count, SYMBOLS))
-    if symbols * WORDS_A_SYMBOL > n_words and sum(map(line.count, SEPARATORS)) >= LEAST_SEPARATORS and n_words <= WORDS_A_SEPARATOR * sum(map(line.count, SEPARATORS)):
-        return "navigation"
-    if symbols * WORDS_A_SYMBOL > n_words or 10 * sum(map(line.count, DOUBLED)) > DOUBLED_IN_TEN * n_words or n_words >= LONG_LINE and WORDS_A_MARK * sum(map(line.count, MARKS)) < n_words:
-        return "punctuation"
     separators = sum(map(line.count, SEPARATORS))
     if separators >= LEAST_SEPARATORS and n_words <= WORDS_A_SEPARATOR * separators:
         return "navigation"
+    symbols, doubled = sum(map(line.count, SYMBOLS)), sum(map(line.count, DOUBLED))
+    unmarked = n_words >= LONG_LINE and WORDS_A_MARK * sum(map(line.count, MARKS)) < n_words
+    if symbols * WORDS_A_SYMBOL > n_words or 10 * doubled > DOUBLED_IN_TEN * n_words or unmarked:
+        return "punctuation"
     if common and line_hash(line) in common:
         return "boilerplate"
     low = line.lower()
