@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmill.operators.folds import in_order
-from glossmill.operators.prefix import running
+from glossmill.operators.prefix import bucket_of, cuts_of, order_value, running
+from glossmill.operators.scan import SEGMENT_ROWS, integer_fold
+from glossmill.plans.staging import staged
 
 
 def exact_sum(column: str) -> Column:
@@ -94,19 +95,41 @@ def running_means(rows: DataFrame, order: str, columns: list[str]) -> DataFrame:
     return done.select(order, *[F.try_divide(F.col(f"s_{c}"), F.col(f"n_{c}").cast("double")).alias(f"avg_{c}") for c in columns])
 
 
-def pass_rate_parity(passes: DataFrame, by: str, order: str, flag: str) -> DataFrame:
+def pass_rate_parity(passes: DataFrame, by: str, order: str, flag: str, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """by, rate_parity, rate: the rate as an update in place gives it, which only changes with a pass and cuts its count
-    to a whole number, and the mean. The first depends on the order, so a run (a value of by) is streamed through one
-    task; its state is a count and a rate."""
-
-    def step(state: tuple, passed) -> tuple:
-        n, rate = state[0] + 1, state[1]
-        if passed:
-            rate = (math.floor(rate * (n - 1)) + 1) / n
-        return (n, rate), (rate,)
+    to a whole number, and the mean. order tells a run's (a value of by) rows apart.
 
-    rows = in_order(passes.select(by, order, flag), by, [order], [flag], lambda: (0, 0.0), step, {"_rate": "double"})
-    return rows.groupBy(by).agg(F.max_by("_rate", order).alias("rate_parity"), F.avg(F.col(flag).cast("double")).alias("rate"))
+    The first depends on the order. Its state is the whole number behind a pass, of so many rows so far; rows between passes
+    only move the place of the next. Segments of a run are followed side by side from the states that they may begin with.
+    """
+    rows = passes.select(F.col(by).alias("k"), F.col(order).alias("o"), F.coalesce(F.col(flag), F.lit(False)).alias("passed"))
+    rows = rows.withColumn("b", bucket_of(order_value(rows, "o"), cuts_of(rows, "o", segment_rows)))
+    so_far = Window.partitionBy("k", "b").orderBy("o")
+    rows = rows.withColumn("place", F.row_number().over(so_far).cast("long"))
+    hits = F.col("passed").cast("int")
+    parts = rows.groupBy("k", "b").agg(F.count("*").alias("n"), F.sum(hits).alias("hits"), F.max(F.when(F.col("passed"), F.col("place"))).alias("last"))
+    before = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # a row a segment
+    parts = parts.withColumn("past", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    parts = parts.withColumns({"hits_past": F.coalesce(F.sum("hits").over(before), F.lit(0)), "at": F.col("past") + F.col("last")})
+    parts = staged(parts.withColumn("since", F.coalesce(F.last("at", ignorenulls=True).over(before), F.lit(1))), "segments")
+    same = F.col("k").eqNullSafe(F.col("k0")) & (F.col("b") == F.col("b0"))
+    offsets = parts.select(F.col("k").alias("k0"), F.col("b").alias("b0"), "past", "since")
+    hit = rows.filter("passed").join(offsets, same).select("k", "b", (F.col("place") + F.col("past")).alias("place"), "since")
+
+    def walk(table: pa.Table, states: np.ndarray) -> np.ndarray:
+        rate = states / float(table.column("since")[0].as_py())
+        for n in np.sort(table.column("place").to_numpy()).tolist():
+            states = np.floor(rate * (n - 1)) + 1
+            rate = states / n
+        return states
+
+    guesses = parts.filter("hits > 0").select("k", "b", F.col("hits_past").cast("long").alias("guess"), F.col("since").cast("long").alias("most"))
+    ends = integer_fold(hit, ["place", "since"], guesses, walk)
+    means = parts.groupBy("k").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"), F.max("at").alias("at"))
+    rate = F.when(F.col("at").isNull(), F.lit(0.0)).otherwise(F.col("state") / F.col("at").cast("double"))
+    return means.join(ends.withColumnRenamed("k", "k0"), F.col("k").eqNullSafe(F.col("k0")), "left").select(
+        F.col("k").alias(by), rate.alias("rate_parity"), (F.col("hits") / F.col("n")).alias("rate")
+    )
 
 
 #: Prices of models (input, output), and those of a family's unknown models.

@@ -22,6 +22,27 @@ def below(x: Column, cuts: list[float]) -> Column:
     return F.when(x.isNotNull(), F.least(whole * GROUP + F.size(F.filter(part, lambda c: c < x)), F.lit(len(cuts))))
 
 
+def cuts_of(df: DataFrame, order: str, bucket_rows: int | None = None) -> list[float]:
+    """Where buckets of the order end: quantiles of its values, so that buckets hold about as many rows each however the
+    values lie, and rows of one value share one."""
+    buckets = int(min(BUCKETS, max(1, df.count() // (bucket_rows or BUCKET_ROWS))))
+    if buckets == 1:
+        return []
+    probabilities = [i / buckets for i in range(1, buckets)]
+    return sorted(set(df.select(order_value(df, order).alias("o")).approxQuantile("o", probabilities, 0.25 / buckets)))
+
+
+def bucket_of(value: Column, cuts: list[float]) -> Column:
+    """The bucket of a value: 0 and up, -1 for nulls."""
+    return F.coalesce(below(value, cuts), F.lit(-1)) if cuts else F.lit(0)
+
+
+def order_value(df: DataFrame, order: str) -> Column:
+    """The order's column as a double: numbers as they are, times in microseconds."""
+    kind = dict(df.dtypes)[order]
+    return (F.unix_micros(F.col(order).cast("timestamp")) if kind.startswith("timestamp") else F.col(order)).cast("double")
+
+
 def running(df: DataFrame, order: str, sums: dict[str, Column], tie: list[str] | None = None, bucket_rows: int | None = None) -> DataFrame:
     """df and, for each name in sums, the sum of its column over all rows up to this one, by order (then tie).
 
@@ -29,14 +50,7 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], tie: list[str] |
     values lie (those of one value share a bucket); sums run within a bucket, and the sums of the buckets before it, of
     which there are BUCKETS at most, are added. Nulls come first. Wide rows are better off in smaller buckets (bucket_rows).
     """
-    n = df.count()
-    buckets = int(min(BUCKETS, max(1, n // (bucket_rows or BUCKET_ROWS))))
-    if buckets == 1:
-        bucket = F.lit(0)
-    else:
-        probabilities = [i / buckets for i in range(1, buckets)]
-        cuts = sorted(set(df.select(F.col(order).cast("double").alias("o")).approxQuantile("o", probabilities, 0.25 / buckets)))
-        bucket = F.coalesce(below(F.col(order).cast("double"), cuts), F.lit(-1))
+    bucket = bucket_of(order_value(df, order), cuts_of(df, order, bucket_rows))
     rows = df.withColumns({"_bucket": bucket, **{f"_v_{k}": v for k, v in sums.items()}})
     totals = rows.groupBy("_bucket").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows at most

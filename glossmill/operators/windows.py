@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossmill.operators.scan import since_reset
+
 
 def three_identical(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """rows with stuck: whether this value and the two before it are equal."""
@@ -21,13 +23,9 @@ def two_of_three(rows: DataFrame, by: list[str], order: list[str], hit: Column)
 
 def failure_runs(rows: DataFrame, by: list[str], order: list[str], failed: Column, stop_at: int = 20) -> DataFrame:
     """rows with run_length (failures in a row up to this one) and stopped (from stop_at on)."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    island = rows.withColumn("_f", failed).withColumn(
-        "_g", F.sum((~F.col("_f")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    inside = Window.partitionBy(*by, "_g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = F.sum(F.col("_f").cast("int")).over(inside)
-    return island.withColumn("run_length", run.cast("long")).withColumn("stopped", F.col("run_length") >= stop_at).drop("_f", "_g")
+    hit = F.coalesce(failed, F.lit(False))
+    done = since_reset(rows, by, order, ~hit, hit.cast("long"), "run_length", "_before")
+    return done.drop("_before").withColumn("stopped", F.col("run_length") >= stop_at)
 
 
 def rate_window(rows: DataFrame, ts: str, amount: Column, seconds: int = 60, slot: int = 3600) -> DataFrame:

@@ -959,6 +959,37 @@ def judge_breaker(spark, sf_dir):
     return breaker.consecutive(e, "k", "event_id", "failed")
 
 
+@query(SQL["breaker_on_access"])
+def breaker_stream(spark, sf_dir):
+    """The breaker as a stream that is stopped half way and goes on from its checkpoint."""
+    e = read(spark, sf_dir, "events").select("user_id", "ts", (c("event_type") == "error").alias("failed"))
+    rows = breaker.replayed(e, "ts", lambda s: breaker.stream(s, "user_id", "ts", "failed", seconds=3 * 86400))
+    return rows.select("key", F.unix_micros("ts").alias("ts_us"), "failures_so_far", "active")
+
+
+@query("""
+WITH RECURSIVE f AS (SELECT user_id AS k, event_id, event_type <> 'view' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, epoch_us(ts) AS us FROM events),
+s AS (SELECT k, 0::BIGINT AS i, 0::BIGINT AS n, false AS fb, NULL::BIGINT AS us FROM (SELECT DISTINCT k FROM f) UNION ALL
+    SELECT s.k, f.i, CASE WHEN s.n >= 5 OR NOT f.bad THEN 0 ELSE s.n + 1 END, s.n >= 5, f.us FROM s JOIN f ON s.k = f.k AND f.i = s.i + 1)
+SELECT CAST(k AS VARCHAR) AS key, us AS o, n AS failures, fb AS fallback FROM s WHERE i > 0""")
+def judge_breaker_stream(spark, sf_dir):
+    """Failures in a row as a stream, the order being that of time, stopped and resumed twice."""
+    e = read(spark, sf_dir, "events").select(
+        c("user_id").alias("k"), "ts", F.unix_micros(c("ts").cast("timestamp")).alias("o"), (c("event_type") != "view").alias("failed")
+    )
+    return breaker.replayed(e, "ts", lambda s: breaker.consecutive_stream(s, "k", "o", "failed"), (0.3, 0.7))
+
+
+@query("""
+SELECT CAST(user_id AS VARCHAR) AS key, CAST(epoch_us(ts) AS BIGINT) AS ts_us, count(*) OVER w AS requests, CAST(sum(length(props)) OVER w AS BIGINT) AS amount_in_window
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 43199999999 PRECEDING AND CURRENT ROW)""")
+def rate_stream(spark, sf_dir):
+    """Calls and amounts of a user in the last half day (users' events are hours apart, not seconds), as a stream."""
+    e = read(spark, sf_dir, "events").select("user_id", "ts", F.length("props").alias("amount"))
+    rows = breaker.replayed(e, "ts", lambda s: breaker.rate_stream(s, "user_id", "ts", "amount", 43_200))
+    return rows.select("key", F.unix_micros("ts").alias("ts_us"), "requests", "amount_in_window")
+
+
 HASHED_SQL = f"""
 h AS (SELECT doc_id, CAST(('0x' || substr(md5(t), 1, 8))::BIGINT % {models.DIMENSIONS} AS INT) AS p, count(*) AS n FROM (SELECT doc_id, unnest({w('lower(text)')}) AS t FROM documents) GROUP BY 1, 2),
 v AS (SELECT doc_id, list_transform(range({models.DIMENSIONS}), lambda i: coalesce(map_extract(m, i::INT)[1], 0)::DOUBLE) AS v FROM (SELECT doc_id, map(list(p), list(n)) AS m FROM h GROUP BY doc_id))"""

@@ -161,23 +161,6 @@ def test_breaker_over_a_table(spark):
     assert [r.failures_so_far for r in got] == WANT and [r.active for r in got] == [n >= 3 for n in WANT]
 
 
-def test_breaker_over_a_stream(spark, tmp_path):
-    schema = "key string, ts timestamp, failed boolean"
-    for i, part in enumerate((events(spark)[:3], events(spark)[3:])):
-        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/b{i}"))
-    for name, make, rows in (("folded", lambda s: breaker.stream(s, "key", "ts", "failed"), 7),):
-        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-        q = make(source).writeStream.format("memory").queryName(name).option(
-            "checkpointLocation", str(tmp_path / name)
-        ).outputMode("append").start()
-        try:
-            q.processAllAvailable()
-        finally:
-            q.stop()
-        got = spark.table(name).orderBy("ts").collect()
-        assert [r.failures_so_far for r in got] == WANT and len(got) == rows
-
-
 def test_throttle():
     clock, slept = [0.0], []
 

@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from glossmill.functions import sentiment as S
-from glossmill.operators import folds, gates, judge, metrics, models, prefix
+from glossmill.operators import gates, judge, metrics, models, prefix
 from glossmill.plans import judging, rounds
 from glossmill.plans.staging import shared_dir
 from glossmill.sources import batch, io, providers
@@ -208,17 +208,6 @@ def test_encoders_and_star_models_that_fail(spark):
     assert got[2].alignment_score == keyword[2]
 
 
-def test_folds_stream_over_batches(spark):
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        df = spark.createDataFrame([(k, i) for i in range(50) for k in ("a", "b", None)], "k string, i int").repartition(3)
-        rows = folds.in_order(df, "k", ["i"], ["i"], lambda: 0, lambda s, i: (s + i, (s + i,)), {"sum": "long"}).collect()
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
-    assert len(rows) == 150 and all(r["sum"] == r.i * (r.i + 1) // 2 for r in rows)
-
-
 def test_buckets_of_skewed_orders(spark, monkeypatch):
     monkeypatch.setattr(prefix, "BUCKET_ROWS", 10)
     monkeypatch.setattr(prefix, "GROUP", 4)
