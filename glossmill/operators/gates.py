@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions import sentiment as S
@@ -159,6 +159,23 @@ def decide(rows: DataFrame, t: Thresholds) -> DataFrame:
     ).drop("_e", "_h", "_loop", "_stuck")
 
 
+def settle(attempts: DataFrame, slot: str, order: str, t: Thresholds) -> DataFrame:
+    """The attempts of each slot up to the one that settles it, with decision, forced and history: a state machine for each slot,
+    whose state is how many attempts there were and the classes of their failures. It takes verdicts (reasons, rating,
+    alignment_score) in order and ends with the first accept or reject; slots of any progress go side by side.
+
+    Only the first attempts of a slot can count, so however many rows it has, those are all that its window gets.
+    """
+    w = Window.partitionBy(slot).orderBy(order)
+    rows = attempts.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= t.max_regeneration_attempts + 1)
+    rows = rows.withColumn("count", F.col("_k") - 1)
+    own = history(F.col("reasons"), F.col("count"), F.array().cast("array<string>"))
+    before = F.flatten(F.collect_list(own).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    done = decide(rows.withColumn("history", before), t)
+    settled = F.min(F.when(F.col("decision") != "regenerate", F.col("_k"))).over(Window.partitionBy(slot))
+    return done.withColumn("_end", settled).filter(F.col("_end").isNull() | (F.col("_k") <= F.col("_end"))).drop("_k", "_end")
+
+
 def feedback(retry: Column, judge_off: Column, reasons: Column, judge_feedback: Column) -> Column:
     """What a retry is told: the reasons, or the judge's words if there are any."""
     return F.when(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -58,11 +60,57 @@ def reason_histogram(rows: DataFrame, order: str = "seq") -> DataFrame:
     )
 
 
-def top_reasons(histogram: DataFrame, rejected: Column, k: int = 10) -> DataFrame:
-    """The k most frequent reasons, earlier ones first among equals, with their percentage of the rejected rows."""
-    return histogram.orderBy(F.desc("n"), "first_seen", "reason").limit(k).withColumn(
-        "pct", F.when(rejected > 0, F.col("n") / rejected * 100).otherwise(F.lit(0.0))
-    )
+def frequent(values: DataFrame, k: int, counters: int = 1000, most: int = 1 << 20) -> DataFrame:
+    """value, n: the k most frequent values (or more) of one column, exactly, without a histogram of all of them.
+
+    Each task keeps so many counters: where it has more, all go down by as much as brings it back to that number, and it
+    remembers by how much they went (Misra and Gries). No value has more rows than its counters and these amounts
+    together, so those that could be among the first k are counted exactly, in a second pass, and the k-th count
+    proves that nothing else reaches it. Where it doesn't, there are four times as many counters; from the most on, all values
+    are counted.
+    """
+    one = values.select(F.col(values.columns[0]).cast("string").alias("value")).filter("value is not null")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, int] = {}
+        lost = 0
+        for batch in batches:
+            for pair in batch.column("value").value_counts().to_pylist():
+                counts[pair["values"]] = counts.get(pair["values"], 0) + pair["counts"]
+            if len(counts) > counters:
+                down = sorted(counts.values(), reverse=True)[counters]
+                counts, lost = {v: n - down for v, n in counts.items() if n > down}, lost + down
+        yield pa.RecordBatch.from_arrays([pa.array([*counts, None], pa.string()), pa.array([*counts.values(), lost], pa.int64())], names=["value", "n"])
+
+    while counters < most:
+        sketch = staged(one.mapInArrow(kept, "value string, n long").groupBy("value").agg(F.sum("n").alias("n")), "counters")
+        lost = (sketch.filter("value is null").agg(F.sum("n").alias("n")).first().n) or 0
+        least = sketch.filter("value is not null").orderBy(F.desc("n")).limit(k).agg(F.min("n").alias("n"), F.count("*").alias("k")).first()
+        floor = least.n if least.k == k else 0
+        candidates = sketch.filter(F.col("value").isNotNull() & (F.col("n") + lost >= floor)).select("value")
+        if not lost:
+            return sketch.filter("value is not null")  # nothing went down: the counters are the counts
+        if candidates.count() <= 4 * counters:
+            exact = staged(one.join(F.broadcast(candidates), "value", "left_semi").groupBy("value").agg(F.count("*").alias("n")), "frequent")
+            kth = exact.orderBy(F.desc("n")).limit(k).agg(F.min("n").alias("n"), F.count("*").alias("k")).first()
+            if kth.k == k and kth.n > lost:  # what isn't a candidate has that many rows at most
+                return exact
+        counters *= 4
+    return one.groupBy("value").agg(F.count("*").alias("n"))
+
+
+def top_reasons(rows: DataFrame, order: str = "seq", k: int = 10, counters: int = 1000) -> DataFrame:
+    """reason, n, first_seen, pct: the k most frequent reasons of rows (order, reasons), earlier ones first among equals, with
+    their percentage of the rows that have reasons."""
+    rejected = rows.filter(F.size("reasons") > 0)
+    each = rejected.select(order, F.explode("reasons").alias("reason"))
+    total = rejected.count()
+    often = frequent(each.select("reason"), k, counters)
+    least = often.orderBy(F.desc("n")).limit(k).agg(F.coalesce(F.min("n"), F.lit(0)).alias("n")).first().n
+    # as frequent as the k-th are as many as tie with it: their first places decide
+    tied = often.filter(F.col("n") >= least).select(F.col("value").alias("reason"))
+    seen = each.join(tied, "reason", "left_semi").groupBy("reason").agg(F.count("*").alias("n"), F.min(order).alias("first_seen"))
+    return seen.orderBy(F.desc("n"), "first_seen", "reason").limit(k).withColumn("pct", F.col("n") / F.lit(float(max(total, 1))) * 100)
 
 
 def rating_distribution(rows: DataFrame) -> DataFrame:

@@ -16,8 +16,7 @@ from glossmill.functions import sentiment as S
 from glossmill.functions import text as T
 from glossmill.operators import diversity, gates, generate, judge, metrics, models, realism, windows
 from glossmill.plans import judging, report
-from glossmill.plans import rounds as rounds_plan
-from glossmill.plans.staging import spread
+from glossmill.plans.staging import spread, staged
 from glossmill.sources import io, providers
 from glossmill.streaming import breaker
 
@@ -349,11 +348,11 @@ def gate_reason_histogram(spark, sf_dir):
     return metrics.reason_histogram(gated(spark, sf_dir))
 
 
-@query(
-    f"WITH {GATES_SQL}, h AS (SELECT reason, count(*) AS n, min(seq) AS first_seen FROM (SELECT seq, unnest(reasons) AS reason FROM x) GROUP BY reason) SELECT reason, n, first_seen, round(n / 250.0 * 100, 6) AS pct FROM h ORDER BY n DESC, first_seen, reason LIMIT 10"
-)
+@query(f"""
+WITH {GATES_SQL}, h AS (SELECT reason, count(*) AS n, min(seq) AS first_seen FROM (SELECT seq, unnest(reasons) AS reason FROM x) GROUP BY reason)
+SELECT reason, n, first_seen, round(n::DOUBLE / (SELECT count_if(len(reasons) > 0) FROM x) * 100, 6) AS pct FROM h ORDER BY n DESC, first_seen, reason LIMIT 10""")
 def top_rejections(spark, sf_dir):
-    return metrics.top_reasons(metrics.reason_histogram(gated(spark, sf_dir)), F.lit(250))
+    return metrics.top_reasons(staged(gated(spark, sf_dir).select("seq", "reasons"), "gated"))
 
 
 HISTORY_SQL = "CASE seq % 4 WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN ['length', 'length'] WHEN 2 THEN ['sentiment', 'sentiment'] ELSE ['diversity', 'diversity'] END"
@@ -549,30 +548,28 @@ def breaker_on_access(spark, sf_dir):
     return rows.select("key", F.unix_micros("ts").alias("ts_us"), "failures_so_far", "active")
 
 
-def reply_sql(x: str) -> str:
-    body = "'{\"authenticity_score\": ' || sc || ', \"decision\": \"' || de || '\", \"feedback\": \"fine\"}'"
-    return f"""CASE {x} % 8 WHEN 0 THEN {body} WHEN 1 THEN 'Here: ```json' || chr(10) || {body} || chr(10) || '``` done' WHEN 2 THEN '```' || chr(10) || {body} || chr(10) || '```' WHEN 3 THEN 'Result: ' || {body} || ' end'
-        WHEN 4 THEN 'authenticity_score: ' || sc || ', decision: ' || lower(de) || ', feedback: "so so"' WHEN 5 THEN CASE WHEN {x} % 3 = 0 THEN 'This looks authentic and good' ELSE 'A fake and poor text' END WHEN 6 THEN '' ELSE '{{"Authenticity_Score": 3, "Decision": "' || de || '"}}' END"""
-
-
-PARSE_IN = "SELECT doc_id, (doc_id % 10) || '.5' AS sc, CASE WHEN doc_id % 3 = 0 THEN 'PASS' ELSE 'FAIL' END AS de FROM documents"
+JUDGE_SAID = "CASE WHEN doc_id % 3 = 0 THEN 'PASS' ELSE 'FAIL' END"
 
 
 @query(f"""
-SELECT doc_id AS seq, CASE doc_id % 8 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 5 WHEN 5 THEN 6 WHEN 7 THEN 5 ELSE 0 END AS parse_strategy,
-    CASE WHEN doc_id % 8 <= 4 THEN sc::DOUBLE WHEN doc_id % 8 = 5 THEN CASE WHEN doc_id % 3 = 0 THEN 7 ELSE 4 END WHEN doc_id % 8 = 6 THEN 0 ELSE 7 END::DOUBLE AS score,
-    CASE WHEN doc_id % 8 = 6 THEN 'FAIL' ELSE de END AS decision,
-    CASE WHEN doc_id % 8 <= 3 THEN 'fine' WHEN doc_id % 8 = 4 THEN 'so so' WHEN doc_id % 8 = 5 THEN CASE WHEN doc_id % 3 = 0 THEN 'This looks authentic and good' ELSE 'A fake and poor text' END WHEN doc_id % 8 = 6 THEN 'Evaluation failed: empty response' END AS feedback,
-    doc_id % 8 = 6 AS parsing_failed FROM ({PARSE_IN})""")
+WITH s AS (SELECT doc_id, text, doc_id % 8 AS m, ((doc_id % 10) || '.5')::DOUBLE AS sc, {JUDGE_SAID} AS de FROM documents),
+v AS (SELECT *, regexp_extract(text, '"([^"]+)"', 1) AS inner_quote, {hits('lower(text)', judge.PASS_WORDS)} > {hits('lower(text)', judge.FAIL_WORDS)} AS good FROM s)
+SELECT doc_id AS seq, CASE m WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 5 WHEN 5 THEN 6 WHEN 6 THEN 0 ELSE 5 END AS parse_strategy,
+    CASE WHEN m <= 4 THEN sc WHEN m = 5 THEN CASE WHEN good THEN 7 ELSE 4 END WHEN m = 6 THEN 0 ELSE 7 END::DOUBLE AS score,
+    CASE WHEN m = 6 THEN 'FAIL' WHEN m = 5 THEN CASE WHEN good THEN 'PASS' ELSE 'FAIL' END ELSE de END AS decision,
+    CASE WHEN m <= 3 THEN text WHEN m IN (4, 7) THEN CASE WHEN text <> '' THEN nullif(regexp_extract(text || '"', '^([^"]+)"', 1), '') END
+        WHEN m = 5 THEN substr(regexp_replace(regexp_replace('A word: ' || text, '^[\\s\\x0b\\x1c-\\x1f]+', ''), '[\\s\\x0b\\x1c-\\x1f]+$', ''), 1, 200) ELSE 'Evaluation failed: empty response' END AS feedback, m = 6 AS parsing_failed FROM v""")
 def judge_parse(spark, sf_dir):
-    d = reviews(spark, sf_dir).select(c("seq").alias("doc_id"))
+    """Replies of eight forms, whose feedback is a document's whole text."""
+    d = reviews(spark, sf_dir).select(c("seq").alias("doc_id"), "text")
     sc, de = F.concat((c("doc_id") % 10).cast("string"), F.lit(".5")), F.when(c("doc_id") % 3 == 0, "PASS").otherwise("FAIL")
-    body = F.concat(F.lit('{"authenticity_score": '), sc, F.lit(', "decision": "'), de, F.lit('", "feedback": "fine"}'))
+    body = F.to_json(F.struct(sc.cast("double").alias("authenticity_score"), de.alias("decision"), c("text").alias("feedback")))
+    plain = F.concat(F.lit('feedback: "'), c("text"), F.lit('"'))
     m = c("doc_id") % 8
     text = (
         F.when(m == 0, body).when(m == 1, F.concat(F.lit("Here: ```json\n"), body, F.lit("\n``` done"))).when(m == 2, F.concat(F.lit("```\n"), body, F.lit("\n```"))).when(m == 3, F.concat(F.lit("Result: "), body, F.lit(" end")))
-        .when(m == 4, F.concat(F.lit("authenticity_score: "), sc, F.lit(", decision: "), F.lower(de), F.lit(', feedback: "so so"'))).when(m == 5, F.when(c("doc_id") % 3 == 0, "This looks authentic and good").otherwise("A fake and poor text"))
-        .when(m == 6, "").otherwise(F.concat(F.lit('{"Authenticity_Score": 3, "Decision": "'), de, F.lit('"}')))
+        .when(m == 4, F.concat(F.lit("authenticity_score: "), sc, F.lit(", decision: "), F.lower(de), F.lit(", "), plain)).when(m == 5, F.concat(F.lit("A word: "), c("text")))
+        .when(m == 6, "").otherwise(F.concat(F.lit("Decision: "), de, F.lit("; "), plain))
     )
     rows = judge.parse(d.withColumns({"criterion": F.lit("authenticity"), "reply": text}))
     return rows.select(
@@ -809,14 +806,21 @@ def batch_result_join(spark, sf_dir):
     return metrics.batch_results(requests, results, "gpt-4").select("seq", "text", "cost", "success", "error")
 
 
-@query(
-    "SELECT doc_id AS seq, CASE doc_id % 4 WHEN 0 THEN 'w' || doc_id WHEN 1 THEN 'q ' || doc_id WHEN 2 THEN 'line ' || doc_id || chr(10) || 'two' ELSE '```x```' END AS cleaned FROM documents"
-)
+def stripped_sql(x: str) -> str:
+    return rf"regexp_replace(regexp_replace({x}, '^[\s\x0b\x1c-\x1f]+', ''), '[\s\x0b\x1c-\x1f]+$', '')"
+
+
+@query(f"""
+WITH a AS (SELECT doc_id AS seq, {stripped_sql("CASE doc_id % 4 WHEN 0 THEN '  ' || text || chr(10) WHEN 1 THEN chr(34) || ' ' || text || ' ' || chr(34) WHEN 2 THEN '```text' || chr(10) || text || chr(10) || '```' ELSE text END")} AS t FROM documents),
+b AS (SELECT seq, CASE WHEN (starts_with(t, '"') AND ends_with(t, '"')) OR (starts_with(t, chr(39)) AND ends_with(t, chr(39))) THEN CASE WHEN length(t) > 1 THEN {stripped_sql('substr(t, 2, length(t) - 2)')} ELSE '' END ELSE t END AS t FROM a),
+l AS (SELECT seq, t, string_split(t, chr(10)) AS l FROM b)
+SELECT seq, CASE WHEN starts_with(t, '```') AND ends_with(t, '```') AND len(l) > 2 THEN {stripped_sql('array_to_string(l[2:len(l) - 1], chr(10))')} ELSE t END AS cleaned FROM l""")
 def clean_text(spark, sf_dir):
-    n, m = c("seq").cast("string"), c("seq") % 4
-    raw = F.when(m == 0, F.concat(F.lit("  w"), n, F.lit("\n"))).when(m == 1, F.concat(F.lit('" q '), n, F.lit(' "'))).when(
-        m == 2, F.concat(F.lit("```text\nline "), n, F.lit("\ntwo\n```"))
-    ).otherwise("```x```")
+    """Whole texts in blanks, quotes and code blocks, or as they are."""
+    t, m = c("text"), c("seq") % 4
+    raw = F.when(m == 0, F.concat(F.lit("  "), t, F.lit("\n"))).when(m == 1, F.concat(F.lit('" '), t, F.lit(' "'))).when(
+        m == 2, F.concat(F.lit("```text\n"), t, F.lit("\n```"))
+    ).otherwise(t)
     return reviews(spark, sf_dir).select("seq", T.clean_generated(raw).alias("cleaned"))
 
 
@@ -864,23 +868,10 @@ def prefix_self_bleu_by_model(spark, sf_dir):
     return prefix_diversity(rows, "run", "seq")
 
 
-@query()
-def generation_rounds(spark, sf_dir):
-    config = io.Config(
-        domain="saas", target_samples=200, personas=PERSONAS, ratings=RATINGS, models=MODELS,
-        thresholds={"min_length": 40, "max_length": 400, "min_unique_words": 20, "max_self_bleu": 0.9, "max_regeneration_attempts": 3},
-    )
-    done = rounds_plan.run(spark, config, providers.TemplateProvider)
-    return done.select(
-        "seq", "review_id", "attempt", "rating", "persona", "model_key", "n_words", "self_bleu_diversity",
-        F.array_join("reasons", "; ").alias("reasons"), "decision",
-    )
-
-
 @query()
 def quality_report_md(spark, sf_dir):
     rows, runs, vectors = reviews(spark, sf_dir), run_rows(spark, sf_dir), read(spark, sf_dir, "embeddings")
-    top = metrics.top_reasons(metrics.reason_histogram(gated(spark, sf_dir)), F.lit(runs.filter("not accepted").count()))
+    top = metrics.top_reasons(staged(gated(spark, sf_dir).select("seq", "reasons"), "gated"))
     cosine = report.one(diversity.cosine_moments(vectors)) | report.one(diversity.cosine_extremes(vectors))
     text = report.markdown(
         report.one(diversity.overall(rows, vectors)), cosine, [r.asDict() for r in metrics.model_rollup(runs).orderBy("model").collect()], report.one(metrics.totals(runs)), [r.asDict() for r in metrics.rating_distribution(rows).orderBy("rating").collect()],

@@ -1,16 +1,15 @@
-"""Queries over sources, sinks and the workflow: what is written to the shared folder is read back, and the rounds of
-generation run with providers that SQL can follow."""
+"""Queries over sources, sinks and the workflow: what is written to the shared folder is read back, and candidates of a
+table go through a provider, the gates and the decisions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.functions import text as T
-from glossmill.operators import gates, judge, metrics
-from glossmill.plans import report, rounds
-from glossmill.plans.queries import GATES_SQL, MODELS, PERSONAS, RATINGS, RUN_SQL, gated, query, read, reviews, run_rows, unit_sql, weighted_sql
-from glossmill.plans.staging import shared_path
+from glossmill.operators import gates, generate, judge, metrics
+from glossmill.plans import report
+from glossmill.plans.queries import _T, BASE, DATA_PROFILE, GATES_SQL, RUN_SQL, class_sql, gated, query, read, reviews, run_rows
+from glossmill.plans.staging import shared_path, spread
 from glossmill.sources import io, providers
 
 c = F.col
@@ -36,12 +35,11 @@ def plain(rows: DataFrame) -> DataFrame:
     return rows.select(*[x for x in rows.columns if x != "metadata"], c("metadata")["extra"].alias("extra"))
 
 
-@query(f"{RAW_SQL} WHERE doc_id % 10 <> 0")
+@query(RAW_SQL)
 def collected_reviews(spark, sf_dir):
-    """Two collections appended as JSON lines and read again; rows without a body are left out."""
+    """Two collections appended as JSON lines and read again."""
     at = shared_path(spark, "collected")
     rows = io.normalise(raw(spark, sf_dir), "csv")
-    rows = rows.withColumn("body", F.when(c("review_id").cast("long") % 10 != 0, c("body")))
     for half in (0, 1):
         io.append_reviews(rows.filter(c("review_id").cast("long") % 2 == half), at)
     return plain(io.read_reviews(spark, at))
@@ -56,20 +54,6 @@ def csv_reviews(spark, sf_dir):
     return plain(io.normalise(io.read_review_csv(spark, at), "csv"))
 
 
-HEADS = {k: ",".join((*io.TEMPLATE_COLUMNS, *io.TEMPLATE_EXTRA.get(k, ()))) for k in ("g2", "capterra", "reddit", "website")}
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in HEADS.items()) + ") AS t(platform, header)")
-def collection_templates(spark, sf_dir):
-    out = None
-    for platform in HEADS:
-        at = shared_path(spark, f"template-{platform}")
-        io.write_template(spark, at, platform)
-        one = spark.read.text(at).select(F.lit(platform).alias("platform"), c("value").alias("header"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 @query(
     f"WITH {GATES_SQL} SELECT CAST(seq AS VARCHAR) AS review_id, attempt::DOUBLE AS attempt, array_to_string(reasons, '; ') AS reasons, 's1' AS session_id, true AS logged FROM x"
 )
@@ -83,25 +67,54 @@ def rejection_log(spark, sf_dir):
     )
 
 
-@query("""
-SELECT '2025-12-09 00:17:' || lpad(CAST(doc_id % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') AS at, 'pipe.' || source AS logger,
-    CASE WHEN doc_id % 3 = 0 THEN 'WARNING' ELSE 'INFO' END AS level, 'item - ' || doc_id || ' - done' AS message FROM documents WHERE doc_id % 5 <> 0""")
-def session_log(spark, sf_dir):
-    """A text log of sessions, of which lines of another form are left out."""
-    at = shared_path(spark, "session")
-    n = c("doc_id")
+def log_lines(spark, sf_dir) -> str:
+    """A text log whose messages are the documents, of one line or of many."""
+    at, n = shared_path(spark, "session"), c("doc_id")
     two, three = F.lpad((n % 60).cast("string"), 2, "0"), F.lpad((n % 1000).cast("string"), 3, "0")
-    level = F.when(n % 3 == 0, "WARNING").otherwise("INFO")
     line = F.concat(
-        F.lit("2025-12-09 00:17:"), two, F.lit(","), three, F.lit(" - pipe."), c("source"), F.lit(" - "), level, F.lit(" - item - "),
-        n.cast("string"), F.lit(" - done"),
+        F.lit("2025-12-09 00:17:"), two, F.lit(","), three, F.lit(" - pipe."), c("source"), F.lit(" - "), F.when(n % 3 == 0, "WARNING").otherwise("INFO"),
+        F.lit(" - item - "), n.cast("string"), F.lit(" - "), c("text"),
     )
-    other = F.concat(F.lit("  File \"x.py\", line "), n.cast("string"))
-    read(spark, sf_dir, "documents").select(F.when(n % 5 != 0, line).otherwise(other).alias("value")).write.text(at)
-    rows = io.read_session_log(spark, at)
+    read(spark, sf_dir, "documents").select(line.alias("value")).write.option("lineSep", "\n").text(at)
+    return at
+
+
+@query("""
+SELECT '2025-12-09 00:17:' || lpad(CAST(doc_id % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') AS at, 'pipe.' || source AS logger,
+    CASE WHEN doc_id % 3 = 0 THEN 'WARNING' ELSE 'INFO' END AS level, 'item - ' || doc_id || ' - ' || string_split(text, chr(10))[1] AS message FROM documents""")
+def session_log(spark, sf_dir):
+    """The lines of a log that begin an entry; a text's further lines are in session_log_rest."""
+    rows = io.read_session_log(spark, log_lines(spark, sf_dir))
     return rows.select(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSS").alias("at"), "logger", "level", "message")
 
 
+@query("SELECT l AS line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))[2:]) AS l FROM documents) GROUP BY l")
+def session_log_rest(spark, sf_dir):
+    """The lines of a log that are of another form, kept with their files."""
+    rest = io.session_log_rest(spark, log_lines(spark, sf_dir))
+    return rest.filter("file is not null").groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT CAST(doc_id AS VARCHAR) AS review_id, text AS body, 'accepted' AS kind, CAST(NULL AS VARCHAR) AS why FROM documents WHERE n_chars > 0 AND lang IS NOT NULL
+UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, 'rejected', 'no body' FROM documents WHERE n_chars = 0 OR lang IS NULL
+UNION ALL SELECT NULL, l, 'rejected', 'not an object' FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents)""")
+def collection_scan(spark, sf_dir):
+    """A collection in two deliveries, and raw texts that came along as files of lines: what is a review, and what was kept
+    aside and why. The second scan reads the second delivery only."""
+    at, d = shared_path(spark, "deliveries"), read(spark, sf_dir, "documents")
+    body = F.when((c("n_chars") > 0) & c("lang").isNotNull(), c("text"))
+    rows = d.select(c("doc_id").cast("string").alias("review_id"), body.alias("body"), c("source").alias("platform"))
+    taken = io.Collection(spark, shared_path(spark, "collection"))
+    rows.write.mode("append").json(at)
+    taken.scan(at)
+    d.select("text").write.mode("append").option("lineSep", "\n").text(at)
+    taken.scan(at)
+    good = taken.accepted().select("review_id", "body", F.lit("accepted").alias("kind"), F.lit(None).cast("string").alias("why"))
+    bad = taken.rejected()
+    return good.unionByName(bad.select("review_id", F.when(c("why") == "not an object", c("line")).alias("body"), F.lit("rejected").alias("kind"), "why"))
+
+
 @query(f"""
 WITH {RUN_SQL} SELECT 'rev_' || seq AS id, text, CAST(1 + doc_id % 5 AS INT) AS rating, 'p' || seq % 3 AS persona, model, 2::BIGINT AS n_seed_words, round(time, 6) AS generation_time, round(cost, 6) AS cost, n_chars AS length,
     round(judge_score, 6) AS overall_score, CASE WHEN accepted THEN 'accept' ELSE 'reject' END AS final_decision, CAST(seq % 4 AS INT) AS regeneration_count, 0.5::DOUBLE AS weight FROM g JOIN documents ON doc_id = seq""")
@@ -142,27 +155,6 @@ def metrics_sink(spark, sf_dir):
     return back.select("total_generated", "total_accepted", "total_cost", "success_rate")
 
 
-SHARES = [("persona", n, w) for n, w in PERSONAS] + [("model", n, w) for n, w in MODELS] + [
-    ("rating", str(i), w) for i, w in enumerate(RATINGS, 1)
-]
-
-
-@query(
-    "SELECT kind, name, weight::DOUBLE AS weight, target, least FROM (VALUES " + ", ".join(
-        f"('{k}', '{n}', {w!r}, 123::BIGINT, 60::BIGINT)" for k, n, w in SHARES
-    ) + ") AS t(kind, name, weight, target, least)"
-)
-def config_shares(spark, sf_dir):
-    """A configuration as YAML and read again: weights by kind, the target, a threshold."""
-    given = io.Config(domain="saas", target_samples=123, personas=PERSONAS, ratings=RATINGS, models=MODELS, thresholds={"min_length": 60})
-    got = io.parse_config(io.config_yaml(given))
-    shares = [("persona", n, w) for n, w in got.personas] + [("model", n, w) for n, w in got.models] + [
-        ("rating", str(i), w) for i, w in enumerate(got.ratings, 1)
-    ]
-    rows = [(k, n, w, got.target_samples, int(got.thresholds["min_length"])) for k, n, w in shares]
-    return spark.createDataFrame(rows, "kind string, name string, weight double, target long, least long")
-
-
 @query(
     "SELECT doc_id AS seq, CASE WHEN doc_id % 5 <> 0 AND doc_id % 3 = 0 AND doc_id % 7 <> 0 THEN doc_id % 11 / 10.0 END::DOUBLE AS judge_score FROM documents"
 )
@@ -183,40 +175,37 @@ def simple_judge(spark, sf_dir):
     return judge.parse_simple(reviews(spark, sf_dir).select("seq", reply.alias("reply"))).select("seq", "overall_score", "passed", "error")
 
 
-#: Words that a candidate must have, and how often it is asked for again; the provider gives as many as the prompt's least.
-ENOUGH, AGAIN = 80, 3
-LEAST_SQL = f"CAST(floor({unit_sql('key', 'least')} * 51) + 50 AS INT)"
-
-
-def lengths_sql(slots: str, again: int) -> str:
-    return f"""
-k AS (SELECT seq, retry, seq || '/' || retry AS key FROM ({slots}), (SELECT unnest(range({again + 1})) AS retry)), w AS (SELECT seq, retry, {LEAST_SQL} AS n FROM k),
-f AS (SELECT seq, coalesce(min(CASE WHEN n >= {ENOUGH} THEN retry END), {again}) AS retry FROM w GROUP BY seq)"""
-
-
-@query(f"""
-WITH {lengths_sql('SELECT unnest(range(1, (SELECT count(*) + 1 FROM documents))) AS seq', AGAIN)}
-SELECT seq, format('rev_{{:04d}}', seq) AS review_id, CAST(retry + 1 AS INT) AS attempt, CAST({weighted_sql('seq', 'rating', list(enumerate(RATINGS, 1)))} AS INT) AS rating, {weighted_sql('seq', 'persona', PERSONAS)} AS persona,
-    n::BIGINT AS n_words, CASE WHEN n >= {ENOUGH} THEN 0.8 END::DOUBLE AS judge_score, CASE WHEN n >= {ENOUGH} THEN 'accept' ELSE 'reject' END AS decision,
-    CASE WHEN n >= {ENOUGH} THEN '' ELSE 'Too short: ' || n || ' words (min: {ENOUGH})' END AS reasons FROM f JOIN w USING (seq, retry)""")
-def judged_rounds(spark, sf_dir):
-    """Rounds of generation for as many slots as there are documents; what passes the gates is judged."""
-    config = io.Config(target_samples=read(spark, sf_dir, "documents").count(), personas=PERSONAS, ratings=RATINGS, models=MODELS)
-    t = gates.Thresholds(min_length=ENOUGH, max_self_bleu=1.0, max_regeneration_attempts=AGAIN)
-    done = rounds.run(spark, config, providers.LeastWords, t, primary=providers.FixedJudge)
-    kept = ("seq", "review_id", "attempt", "rating", "persona", "n_words", "judge_score", "decision")
-    return done.select(*kept, F.array_join("reasons", "; ").alias("reasons"))
+#: Gates of a slot's attempts, which are the turns of a conversation.
+SLOTS = gates.Thresholds(min_length=60, max_self_bleu=1.0, max_regeneration_attempts=5)
+SLOT_ROWS = "r AS (SELECT conv_id * 1000 + turn AS seq, conv_id, turn, text, CAST(1 + conv_id % 5 AS INT) AS rating, CAST(turn + 1 AS INT) AS attempt FROM conversations)"
+SLOT_GATES = GATES_SQL.replace(BASE, SLOT_ROWS).replace(f"n < {_T.min_length}", f"n < {SLOTS.min_length}").replace(f"(min: {_T.min_length})', n)", f"(min: {SLOTS.min_length})', n)").replace("(seq % 10) / 10.0::DOUBLE AS div", "1.0::DOUBLE AS div")
 
 
 @query(f"""
-WITH {lengths_sql('SELECT unnest(range(1, 401)) AS seq', 0)}, a AS (SELECT seq, n FROM f JOIN w USING (seq, retry) WHERE n >= {ENOUGH} ORDER BY seq LIMIT 40)
-SELECT seq, n::BIGINT AS n_words FROM a""")
-def filled_target(spark, sf_dir):
-    """Waves of candidates until forty are accepted: the first forty slots that are long enough."""
-    config = io.Config(target_samples=40, personas=PERSONAS, ratings=RATINGS, models=MODELS)
-    t = gates.Thresholds(min_length=ENOUGH, max_self_bleu=1.0, max_regeneration_attempts=0)
-    done = rounds.fill(spark, config, providers.LeastWords, t).filter("decision = 'accept'")
-    return done.select("seq", T.word_count(c("text")).alias("n_words"))
+WITH {SLOT_GATES}, a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS cnt, CASE WHEN len(reasons) > 0 THEN {class_sql('reasons[1]')} END AS cls FROM x),
+h AS (SELECT *, list_filter(list(CASE WHEN cnt >= 2 THEN cls END) OVER (PARTITION BY conv_id ORDER BY turn), lambda z: z IS NOT NULL) AS h FROM a WHERE cnt <= 5),
+v AS (SELECT *, CASE WHEN cls IS NOT NULL AND cnt >= 2 AND len(h) >= 3 AND len(list_distinct(h[-3:])) = 1 THEN h[-1] END AS stuck, CASE WHEN rating <= 3 THEN 4 ELSE 5 END AS most FROM h),
+e AS (SELECT *, CASE WHEN cls IS NULL THEN 'accept' WHEN stuck IN ('sentiment', 'unrealistic') THEN CASE WHEN alignment_score > 0.25 THEN 'accept' ELSE 'reject' END WHEN stuck IS NOT NULL THEN 'reject' WHEN cnt < most THEN 'regenerate' ELSE 'reject' END AS decision FROM v),
+z AS (SELECT *, min(CASE WHEN decision <> 'regenerate' THEN cnt END) OVER (PARTITION BY conv_id) AS stop FROM e)
+SELECT conv_id, turn, format('rev_{{:04d}}', conv_id) AS review_id, CAST(n AS BIGINT) AS n_words, array_to_string(reasons, '; ') AS reasons, decision, stuck IS NOT NULL AS forced, array_to_string(h, '|') AS history FROM z WHERE stop IS NULL OR cnt <= stop""")
+def slot_decisions(spark, sf_dir):
+    """Conversations as slots and their turns as the candidates that a provider gives, attempt by attempt, each gated and decided
+    on by what came before it in its slot."""
+    given = read(spark, sf_dir, "conversations").select("conv_id", "turn", c("text").alias("draft"))
+    prompts = spread(given).select(
+        "conv_id", "turn", F.lit("Give back the draft.").alias("system_prompt"), F.concat(F.lit(providers.Draft.MARK), "draft").alias("user_prompt"),
+        F.lit(1.0).alias("temperature"), F.lit("offline").alias("model_key"),
+    )
+    said = generate.call(prompts, providers.Draft, ["conv_id", "turn"])
+    rows = said.select(
+        "conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), (c("conv_id") % 5 + 1).cast("int").alias("rating"),
+        (c("turn") + 1).cast("int").alias("attempt"), F.lit(1.0).alias("self_bleu_diversity"),
+    )
+    done = gates.settle(gates.check(rows, SLOTS, DATA_PROFILE), "conv_id", "turn", SLOTS)
+    return done.select(
+        "conv_id", "turn", generate.review_id(c("conv_id")).alias("review_id"), "n_words", F.array_join("reasons", "; ").alias("reasons"), "decision",
+        "forced", F.array_join("history", "|").alias("history"),
+    )
 
 
 @query(f"""

@@ -97,13 +97,52 @@ def read_log(spark: SparkSession, kind: str, path: str) -> DataFrame:
 def read_session_log(spark: SparkSession, path: str) -> DataFrame:
     """timestamp, logger, level, message of text logs; lines of another form are left out."""
     line = lambda i: F.regexp_extract("value", SESSION_LINE, i)
-    rows = spark.read.text(path).filter(F.col("value").rlike(SESSION_LINE))
+    rows = spark.read.option("lineSep", "\n").text(path).filter(F.col("value").rlike(SESSION_LINE))
     return rows.select(
         F.to_timestamp_ntz(line(1), F.lit("yyyy-MM-dd HH:mm:ss,SSS")).alias("timestamp"), line(2).alias("logger"), line(3).alias("level"),
         line(4).alias("message"),
     )
 
 
+def session_log_rest(spark: SparkSession, path: str) -> DataFrame:
+    """file, line of what read_session_log leaves out: further lines of an entry, and whatever else is there."""
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    return rows.filter(~F.col("line").rlike(SESSION_LINE))
+
+
+class Collection:
+    """Reviews as lines of JSON, taken from files as those come: accepted and rejected rows are tables, and a scan reads only
+    files that none before it has read.
+
+    A line is rejected if it is no JSON object, if a field is of another type, or if it has no body, and is kept as it is with
+    its file and the reason. Each scan is a batch of a file stream; its folders are numbered and replace themselves, so
+    that a batch that is repeated after a failure leaves one copy. Blank lines are lines.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def scan(self, source: str) -> None:
+        lines = self.spark.readStream.option("lineSep", "\n").option("recursiveFileLookup", True).text(source)
+        lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+        run = lines.writeStream.foreachBatch(self.take).option("checkpointLocation", f"{self.path}/progress").trigger(availableNow=True).start()
+        run.awaitTermination()
+
+    def take(self, lines: DataFrame, number: int) -> None:
+        parsed = F.from_json("line", f"{REVIEW}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+        rows = lines.withColumn("r", parsed)
+        fields = F.when(~F.startswith(F.ltrim(F.col("line")), F.lit("{")) | F.try_parse_json("line").isNull(), "not an object")
+        rows = rows.withColumn("why", F.coalesce(fields, F.when(F.col("r._bad").isNotNull(), "a field of another type"), F.when(F.col("r.body").isNull(), "no body")))
+        rows.filter("why is null").select("file", *[F.col(f"r.{f.name}") for f in lines.sparkSession.createDataFrame([], REVIEW).schema]).write.mode("overwrite").parquet(f"{self.path}/accepted/batch={number}")
+        rows.filter("why is not null").select("file", "line", "why", F.col("r.review_id").alias("review_id")).write.mode("overwrite").parquet(f"{self.path}/rejected/batch={number}")
+
+    def accepted(self) -> DataFrame:
+        return self.spark.read.schema(f"file string, {REVIEW}, batch long").parquet(f"{self.path}/accepted")
+
+    def rejected(self) -> DataFrame:
+        return self.spark.read.schema("file string, line string, why string, review_id string, batch long").parquet(f"{self.path}/rejected")
+
+
 def session_id(at: str = "now") -> str:
     from datetime import datetime
 

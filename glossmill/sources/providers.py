@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import hashlib
 import time
 from collections.abc import Callable
@@ -60,18 +61,14 @@ class Retrying:
         return result | {"success": False, "error": result.get("error") or "the text is empty"}
 
 
+#: How a service names the wait: a number, then its unit.
+WAIT = re.compile(r"try again in ([\d,.]*\d)(ms|s\.)")
+
+
 def wait_seconds(message: str, attempt: int) -> float:
-    """What a rate limit's message asks to wait (and half a second), or 2 to the attempt."""
-    marker = "Please try again in "
-    if marker in message:
-        after = message.split(marker, 1)[1]
-        unit, scale = ("ms", 1000.0) if "ms" in message else ("s.", 1.0)
-        if unit in message:
-            try:
-                return float(after.split(unit)[0].replace(",", "")) / scale + 0.5
-            except ValueError:
-                pass
-    return float(2**attempt)
+    """The wait that a service's message names, and half a second; without one it doubles with each attempt."""
+    named = WAIT.search(message)
+    return float(named[1].replace(",", "")) * {"ms": 0.001, "s.": 1.0}[named[2]] + 0.5 if named else 2.0**attempt
 
 
 REGISTRY: dict[str, Callable[[], object]] = {"offline": TemplateProvider}
@@ -216,14 +213,16 @@ class Cleaned:
         return r | ({"text": text} if text else {"text": None, "success": False, "error": "the text is empty", "cost": 0.0})
 
 
+#: A text that is quoted as a whole, and one that is a code block as a whole.
+WRAPPINGS = (re.compile(r"""(["'])(.*)\1""", re.S), re.compile(r"```[^\n]*\n(.*)\n[^\n]*```", re.S))
+
+
 def unwrapped(text: str) -> str:
-    text = text.strip()
-    if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'":
-        text = text[1:-1].strip()
-    lines = text.split("\n")
-    if text.startswith("```") and text.endswith("```") and len(lines) > 2:
-        text = "\n".join(lines[1:-1]).strip()
-    return text
+    """What stands within quotes around the whole text, and within a code block around that."""
+    for wrapping in WRAPPINGS:
+        if whole := wrapping.fullmatch(text.strip()):
+            text = whole[whole.lastindex]
+    return text.strip()
 
 
 def paid(service: str) -> Callable[[str, float, float, float | None], float]:
@@ -355,26 +354,14 @@ class RuleJudge:
         }
 
 
-class LeastWords:
-    """Gives as many different words as the prompt asks for at least."""
+class Draft:
+    """Gives back the draft that a prompt holds: texts of a table stand for those of a service."""
 
-    def generate(self, system_prompt: str, user_prompt: str, temperature: float | None = None, max_tokens: int = 1024) -> dict:
-        least = int(user_prompt.split(" review of ", 1)[1].split(" ", 1)[0])
-        text = " ".join(f"w{i}" for i in range(least))
-        return {"text": text, "model": "least", "time": 0.0, "cost": 0.0, "tokens": {}, "success": True}
-
-
-class FixedJudge:
-    """Gives every criterion the same score."""
-
-    def __init__(self, score: float = 8):
-        self.score = score
+    MARK = "Draft:\n"
 
     def generate(self, system_prompt: str, user_prompt: str, temperature: float | None = None, max_tokens: int = 1024) -> dict:
-        criterion = user_prompt.split("\n", 1)[0].removeprefix("Criterion: ").strip()
-        decision = "PASS" if self.score >= 6 else "FAIL"
-        text = f'{{"{criterion}_score": {self.score}, "decision": "{decision}", "feedback": "as always"}}'
-        return {"text": text, "model": "fixed", "time": 0.0, "cost": 0.0, "tokens": {}, "success": True}
+        text = user_prompt.partition(self.MARK)[2]
+        return {"text": text, "model": "draft", "time": 0.0, "cost": 0.0, "tokens": {}, "success": bool(text)}
 
 
 REGISTRY["rules"] = RuleJudge
