@@ -40,6 +40,18 @@ def ngram_rows(docs: DataFrame, keep: list[str], sizes: tuple[int, ...], words:
     return rows.filter(F.col("g.n") <= F.col("left")).select(*keep, "g.n", "g.a", "g.b")
 
 
+def leaders(docs: DataFrame) -> DataFrame:
+    """a, b, n, and for each n-gram of docs (seq, w) its largest count (c1), the first text that has it (seq), and its second
+    largest (c2; 0 if there is none). A task sends two rows an n-gram at most."""
+    rows = ngram_rows(docs, ["seq"], (1, 2, 3, 4)).groupBy("seq", "a", "b", "n").agg(F.count("*").alias("c"))
+    top = rows.withColumn("rank", F.row_number().over(Window.partitionBy("a", "b", "n").orderBy(F.desc("c"), "seq"))).filter("rank <= 2")
+    first, second = F.col("rank") == 1, F.col("rank") == 2
+    return top.groupBy("a", "b", "n").agg(
+        F.max(F.when(first, F.col("seq"))).alias("seq"), F.max(F.when(first, F.col("c"))).alias("c1"),
+        F.coalesce(F.max(F.when(second, F.col("c"))), F.lit(0)).alias("c2"),
+    )
+
+
 def bleu_parts(reviews: DataFrame) -> DataFrame:
     """seq, len, ref, and for n = 1 to 4 the n-grams (t1..t4) and those of them that another text has too (m1..m4).
 
@@ -52,25 +64,24 @@ def bleu_parts(reviews: DataFrame) -> DataFrame:
     docs = reviews.select("seq", "text").repartition("seq").select(
         "seq", T.words(F.col("text")).alias("w")
     ).withColumn("len", F.size("w").cast("long"))
-    rows = ngram_rows(docs, ["seq"], (1, 2, 3, 4)).groupBy("seq", "a", "b", "n").agg(F.count("*").alias("c"))
-    top = rows.withColumn("rank", F.row_number().over(Window.partitionBy("a", "b", "n").orderBy(F.desc("c"), "seq"))).filter("rank <= 2")
-    first, second = F.col("rank") == 1, F.col("rank") == 2
-    leads = top.groupBy("a", "b", "n").agg(
-        F.max(F.when(first, F.col("seq"))).alias("seq"),
-        (F.max(F.when(first, F.col("c"))) - F.coalesce(F.max(F.when(second, F.col("c"))), F.lit(0))).alias("lead"),
-    ).filter("lead > 0").select("seq", "n", "lead")
+    leads = leaders(docs).select("seq", "n", (F.col("c1") - F.col("c2")).alias("lead")).filter("lead > 0")
     lost = leads.groupBy("seq").agg(
         *[F.coalesce(F.sum(F.when(F.col("n") == n, F.col("lead"))), F.lit(0)).alias(f"l{n}") for n in range(1, 5)]
     )
-    sizes = docs.select("seq", "len")
-    per = sizes.groupBy("len").agg(F.count("*").alias("k"))
+    return with_references(docs.select("seq", "len").join(lost, "seq", "left"))
+
+
+def with_references(texts: DataFrame) -> DataFrame:
+    """seq, len, ref (the closest length of another text, the shorter of two), t1..t4 and m1..m4 of all texts (seq, len, and
+    l1..l4, the matches that they lack)."""
+    per = texts.groupBy("len").agg(F.count("*").alias("k"))
     by = Window.orderBy("len")  # a row for each different length
     near = per.select(F.col("len").alias("_len"), "k", F.lag("len").over(by).alias("lo"), F.lead("len").over(by).alias("hi"))
     ref = F.when(F.col("k") > 1, F.col("_len")).when(F.col("lo").isNull(), F.col("hi")).when(F.col("hi").isNull(), F.col("lo")).when(
         F.col("hi") - F.col("_len") < F.col("_len") - F.col("lo"), F.col("hi")
     ).otherwise(F.col("lo"))
     refs = near.select("_len", ref.alias("ref"))
-    out = sizes.join(lost, "seq", "left").join(refs, sizes["len"] == refs["_len"]).drop("_len")
+    out = texts.join(refs, texts["len"] == refs["_len"]).drop("_len")
     total = {f"t{n}": F.greatest(F.col("len") - (n - 1), F.lit(0)) for n in range(1, 5)}
     return out.select(
         "seq", "len", "ref", *[t.alias(k) for k, t in total.items()],
@@ -80,20 +91,27 @@ def bleu_parts(reviews: DataFrame) -> DataFrame:
 
 def self_bleu_docs(reviews: DataFrame) -> DataFrame:
     """seq, bleu of each text (seq, text) against all others; 0 where there is no other."""
+    return bleu_of(bleu_parts(reviews))
+
+
+def bleu_of(parts: DataFrame) -> DataFrame:
+    """seq, bleu of texts with their n-grams (t1..t4), matches (m1..m4), length and reference."""
     log = F.lit(0.0)
     for n in range(1, 5):
         m, t = F.col(f"m{n}").cast("double"), F.greatest(F.col(f"t{n}"), F.lit(1)).cast("double")
         log = log + F.lit(0.25) * F.log(F.when(m == 0, F.lit(EPSILON) / t).otherwise(m / t))
     brevity = F.when(F.col("len") > F.col("ref"), F.lit(1.0)).otherwise(F.exp(F.lit(1.0) - F.col("ref") / F.col("len").cast("double")))
     bleu = F.when(F.col("m1") == 0, F.lit(0.0)).when(F.col("ref").isNull(), F.lit(0.0)).otherwise(brevity * F.exp(log))
-    return bleu_parts(reviews).select("seq", bleu.alias("bleu"))
+    return parts.select("seq", bleu.alias("bleu"))
 
 
 def self_bleu_diversity(reviews: DataFrame) -> DataFrame:
     """One row: 1 less the mean BLEU; 0 with fewer than two texts."""
-    return self_bleu_docs(reviews).agg(
-        F.when(F.count("*") < 2, F.lit(0.0)).otherwise(F.lit(1.0) - F.avg("bleu")).alias("self_bleu_diversity")
-    )
+    return mean_diversity(self_bleu_docs(reviews))
+
+
+def mean_diversity(scores: DataFrame) -> DataFrame:
+    return scores.agg(F.when(F.count("*") < 2, F.lit(0.0)).otherwise(F.lit(1.0) - F.avg("bleu")).alias("self_bleu_diversity"))
 
 
 def tokens(reviews: DataFrame) -> DataFrame:

@@ -8,25 +8,28 @@ all before. Events of a text in the order of time give its scores, and the chang
 
 No task gets a run. Texts are dealt in buckets of the order, in which most rows of an n-gram fall away: a count that
 isn't above the second largest one of its bucket changes nothing anywhere. What is left of a frequent n-gram is a few
-rows a bucket. Lengths are looked at by their first texts only, of which a run has as many as different lengths.
+rows a bucket. Lengths are looked at by their first texts only, in buckets of length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions import text as T
 from glossmill.operators.diversity import ngram_rows
-from glossmill.operators.prefix import BUCKETS, below
+from glossmill.operators.prefix import BUCKETS, below, bucket_of, cuts_of
 from glossmill.plans.staging import staged
 
 EPSILON = 0.1
 #: Texts of a bucket, about.
 BUCKET_TEXTS = 1024
+#: Different lengths of a bucket, about.
+LENGTHS = 20_000
 SIZES = (1, 2, 3, 4)
 
 
@@ -54,20 +57,54 @@ def lead_changes(grams: DataFrame) -> DataFrame:
     return now.select("r", F.col("o").alias("t"), "n", F.explode(made).alias("e")).select("r", "e.doc", "t", "n", "e.d")
 
 
-def closest_lengths(sizes: DataFrame) -> DataFrame:
-    """r, doc, t, ref: from the text t on, ref is the length of another text that is closest to doc's, the shorter of
-    two. Texts whose length another had before them keep that; the first of each length gets closer ones as they come."""
-    rank = F.row_number().over(Window.partitionBy("r", "len").orderBy("o"))
-    ranked = sizes.withColumn("rank", rank)
-    later = ranked.filter("rank > 1").select("r", F.col("o").alias("doc"), F.col("o").alias("t"), F.col("len").alias("ref"))
-    firsts = ranked.filter("rank <= 2").groupBy("r", "len").agg(
-        F.min("o").alias("first"), F.max(F.when(F.col("rank") == 2, F.col("o"))).alias("second")
+def firsts_of_lengths(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of sizes (r, o, bucket, len): r, len, first, second (the first two texts of a length; null if there is one); and the rows
+    of texts whose length another had before them. Within a bucket of the order rows of a length are few; buckets of a length meet
+    by the first two of each."""
+    here = Window.partitionBy("r", "bucket", "len").orderBy("o")
+    ranked = sizes.withColumn("rank", F.row_number().over(here))
+    parts = ranked.filter("rank <= 2").groupBy("r", "len", "bucket").agg(
+        F.min("o").alias("o1"), F.max(F.when(F.col("rank") == 2, F.col("o"))).alias("o2")
     )
+    parts = parts.withColumn("past", F.min("o1").over(Window.partitionBy("r", "len").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
+    two = F.slice(F.sort_array(F.flatten(F.collect_list(F.array_compact(F.array("o1", "o2"))))), 1, 2)  # two a bucket at most
+    firsts = parts.groupBy("r", "len").agg(two.alias("two")).select("r", "len", F.get("two", F.lit(0)).alias("first"), F.get("two", F.lit(1)).alias("second"))
+    same = F.col("r").eqNullSafe(F.col("r0")) & (F.col("len") == F.col("len0")) & (F.col("bucket") == F.col("bucket0"))
+    known = parts.select(F.col("r").alias("r0"), F.col("len").alias("len0"), F.col("bucket").alias("bucket0"), "past")
+    later = ranked.join(known, same).filter((F.col("rank") > 1) | F.col("past").isNotNull()).select("r", "o", "len")
+    return firsts, later
+
+
+def closest_lengths(sizes: DataFrame, bucket_lengths: int = LENGTHS) -> DataFrame:
+    """r, doc, t, ref: from the text t on, ref is the length of another text that is closest to doc's, the shorter of
+    two. sizes: r, o, bucket, len. Texts whose length another had before them keep that; the first of each length gets closer ones
+    as they come.
+
+    Lengths of a run lie in buckets of length. Seen from outside, only those of a bucket matter that came before all that lie
+    nearer: its envelope, from either side. So a bucket gets its own lengths and the envelopes of the others.
+    """
+    firsts, later = firsts_of_lengths(sizes)
+    firsts = staged(firsts, "first-lengths")
+    cuts = cuts_of(firsts, "len", bucket_lengths)
+    firsts = firsts.withColumn("b", bucket_of(F.col("len").cast("double"), cuts))
+    kinds = "r string, b int, len long, first long, second long, own boolean"
+
+    def envelope(table: pa.Table) -> pa.Table:
+        """The lengths that came before all larger ones of the bucket (as those above see them), and before all smaller ones."""
+        table = table.sort_by("len")
+        first = table.column("first").to_numpy()
+        below = np.concatenate([[np.iinfo(np.int64).max], np.minimum.accumulate(first)[:-1]])
+        above = np.concatenate([np.minimum.accumulate(first[::-1])[::-1][1:], [np.iinfo(np.int64).max]])
+        sides = []
+        for up, keep in ((True, first < above), (False, first < below)):
+            part = table.filter(pa.array(keep)).select(["r", "b", "len", "first"])
+            sides.append(part.append_column("up", pa.array([up] * part.num_rows)))
+        return pa.concat_tables(sides)
 
     def walk(table: pa.Table) -> pa.Table:
-        """From each length outwards, as long as closer ones came later; a run's different lengths are one group."""
+        """From each length of the bucket outwards, as long as closer ones came later."""
         table = table.sort_by("len")
-        size, first, second = (table.column(c).to_pylist() for c in ("len", "first", "second"))
+        size, first, second, own = (table.column(c).to_pylist() for c in ("len", "first", "second", "own"))
         doc, time, ref = [], [], []
 
         def outwards(i: int) -> Iterator[int]:
@@ -81,9 +118,13 @@ def closest_lengths(sizes: DataFrame) -> DataFrame:
                     hi += 1
 
         for i, (s, o, again) in enumerate(zip(size, first, second)):
+            if not own[i]:
+                continue
             least = float("inf") if again is None else again
             if again is not None:
-                doc, time, ref = doc + [o], time + [again], ref + [s]
+                doc.append(o)
+                time.append(again)
+                ref.append(s)
             for j in outwards(i):
                 if first[j] < least:
                     least = first[j]
@@ -100,7 +141,17 @@ def closest_lengths(sizes: DataFrame) -> DataFrame:
             }
         )
 
-    return firsts.groupBy("r").applyInArrow(walk, "r string, doc long, t long, ref long").unionByName(later)
+    rows = firsts.select("r", "b", "len", "first", "second", F.lit(True).alias("own"))
+    if cuts:
+        edges = firsts.select("r", "b", "len", "first").groupBy("r", "b").applyInArrow(envelope, "r string, b int, len long, first long, up boolean")
+        up, down = F.sequence(F.col("b") + 1, F.lit(len(cuts))), F.sequence(F.lit(0), F.col("b") - 1)
+        none = F.array().cast("array<int>")
+        to = F.when(F.col("up"), F.when(F.col("b") < len(cuts), up).otherwise(none)).otherwise(F.when(F.col("b") > 0, down).otherwise(none))
+        rows = rows.unionByName(
+            edges.select("r", F.explode(to).alias("b"), "len", "first", F.lit(None).cast("long").alias("second"), F.lit(False).alias("own"))
+        )
+    closer = rows.select([k.split()[0] for k in kinds.split(", ")]).groupBy("r", "b").applyInArrow(walk, "r string, doc long, t long, ref long")
+    return closer.unionByName(later.select("r", F.col("o").alias("doc"), F.col("o").alias("t"), F.col("len").alias("ref")))
 
 
 def bleu(length: Column, ref: Column, lost: dict[int, Column]) -> Column:
@@ -130,7 +181,7 @@ def prefix_diversity(reviews: DataFrame, run: str, order: str, text: str = "text
     changes = lead_changes(grams).groupBy("r", "doc", "t").agg(
         *[F.sum(F.when(F.col("n") == k, F.col("d")).otherwise(0)).alias(f"d{k}") for k in SIZES]
     )
-    sizes = staged(docs.select("r", "o", F.size("w").cast("long").alias("len")), "lengths")
+    sizes = staged(docs.select("r", "o", bucket("o").alias("bucket"), F.size("w").cast("long").alias("len")), "lengths")
     nothing = {f"d{k}": F.lit(0).cast("long") for k in SIZES}
     none = lambda name: F.lit(None).cast("long").alias(name)
     columns = ["r", "doc", "t", *nothing, "ref", "len"]

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from glossmill.functions import sentiment as S
 from glossmill.functions import text as T
-from glossmill.operators import diversity, gates, generate, judge, metrics, models, realism, windows
+from glossmill.operators import bleu_state, diversity, gates, generate, judge, metrics, models, realism, windows
 from glossmill.plans import judging, report
-from glossmill.plans.staging import spread, staged
+from glossmill.plans.staging import shared_path, spread, staged
 from glossmill.sources import io, providers
 from glossmill.streaming import breaker
 
@@ -149,6 +149,18 @@ def self_bleu(spark, sf_dir):
     return diversity.self_bleu_diversity(reviews(spark, sf_dir))
 
 
+@query(SQL["self_bleu"])
+def self_bleu_appended(spark, sf_dir):
+    """The same of documents that come in four batches, from a stored state that each of them changes."""
+    rows = reviews(spark, sf_dir).select("seq", "text")
+    edges = rows.select(c("seq").cast("double").alias("o")).approxQuantile("o", [0.25, 0.5, 0.75], 0.01)
+    corpus = bleu_state.Corpus(spark, shared_path(spark, "corpus"))
+    for i in range(4):
+        mine = (c("seq") > edges[i - 1] if i else F.lit(True)) & (c("seq") <= edges[i] if i < 3 else F.lit(True))
+        corpus.append(rows.filter(mine), i)
+    return corpus.diversity()
+
+
 COS_SQL = "cs AS (SELECT list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS s FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id)"
 
 
