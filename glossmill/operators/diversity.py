@@ -9,10 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions import text as T
+from glossmill.operators import metric_tree
 from glossmill.operators.prefix import running
 from glossmill.plans.staging import staged
 
@@ -213,97 +215,69 @@ def cosine_moments(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     )
 
 
-#: Vectors that others are gathered around, at most: the driver holds an angle for each two of them.
-PIVOTS = 2048
+def span(x: np.ndarray, y: np.ndarray | None = None) -> tuple[float, float]:
+    """The largest and smallest cosine between rows of x and of y, or between two rows of x, in parts of bounded size."""
+    hi, lo = -np.inf, np.inf
+    for i in range(0, len(x), 512):
+        c = x[i : i + 512] @ (x if y is None else y).T
+        if y is None:
+            c = c[np.arange(len(x)) > np.arange(i, i + len(c))[:, None]]
+        if c.size:
+            hi, lo = max(hi, float(c.max())), min(lo, float(c.min()))
+    return hi, lo
 
 
-def around_pivots(vectors: DataFrame, key: str, vector: str, block_rows: int) -> tuple[DataFrame, np.ndarray, dict[int, tuple[int, float]]]:
-    """k, v (of length 1), p, s of each vector: the nearest of some pivots, and a part of those around it, of block_rows
-    about; the pivots; and for each how many parts there are and the largest angle between it and a vector around it."""
-    kept = vectors.filter(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    want = min(PIVOTS, max(1, -(-kept.count() // block_rows)))
-    drawn = kept.orderBy(F.xxhash64("k"), "k").limit(want).collect()
-    pivots = unit_rows(np.array([r.v for r in drawn], np.float64)) if drawn else np.eye(1)
-    pivots = pivots[np.linalg.norm(pivots, axis=1) > 0] if pivots.any() else np.eye(1, pivots.shape[1])  # a zero vector has no angle
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = unit_rows(np.asarray(batch.column("v").flatten(), np.float64).reshape(batch.num_rows, -1))
-            near = x @ pivots.T
-            p = near.argmax(1)
-            angle = np.arccos(np.clip(near[np.arange(len(x)), p], -1, 1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("k"), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(p.astype(np.int32)), pa.array(angle)],
-                names=["k", "v", "p", "angle"],
-            )
-
-    kind = kept.schema["k"].dataType.simpleString()
-    rows = staged(kept.mapInArrow(nearest, f"k {kind}, v array<double>, p int, angle double"), "vectors-by-pivot")
-    stats = {  # PIVOTS rows
-        r.p: (-(-r.n // block_rows), r.angle) for r in rows.groupBy("p").agg(
-            F.count("*").alias("n"), F.max("angle").alias("angle")
-        ).collect()
-    }
-    parts = F.broadcast(rows.sparkSession.createDataFrame([(p, n) for p, (n, _) in stats.items()], "_p int, parts int"))
-    rows = rows.join(parts, F.col("p") == F.col("_p")).select("k", "v", "p", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int").alias("s"))
-    return rows, pivots, stats
-
-
-def unit_rows(x: np.ndarray) -> np.ndarray:
-    size = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(size > 0, size, 1)
-
-
-def block_extremes(table: pa.Table) -> pa.Table:
-    """hi and lo of the cosines between the two sides of a group, or within one side if there is no other."""
-    x = np.asarray(table.column("v").combine_chunks().flatten(), np.float64).reshape(table.num_rows, -1)
-    left = table.column("left").to_numpy()
-    c = (x @ x.T)[np.triu_indices(len(x), 1)] if left.all() else (x[left] @ x[~left].T).ravel()
-    return pa.table({"hi": pa.array([c.max()] if len(c) else [], pa.float64()), "lo": pa.array([c.min()] if len(c) else [], pa.float64())})
+def extremes_table(hi: float, lo: float) -> pa.Table:
+    return pa.table({"hi": pa.array([hi] if hi > -np.inf else [], pa.float64()), "lo": pa.array([lo] if hi > -np.inf else [], pa.float64())})
 
 
 def cosine_extremes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", block_rows: int = 4096) -> DataFrame:
     """One row: largest and smallest cosine of any two vectors.
 
-    Vectors are gathered around pivots. What is around two pivots can't have an angle below that of the pivots less
-    both radii, nor above it and both radii; so only blocks meet that could beat what was found within blocks and
-    among the pivots. Blocks meet as matrices, a task for each two, and give two numbers; no pair becomes a row. Zero
-    vectors have no angle: their cosines are 0.
+    Few vectors are one block. More lie in the leaves of a metric tree: extremes within leaves and between their centres are known
+    first, and only pairs of leaves that the tree can't cut by these are compared, as matrices, a task for each two tiles of them. No
+    pair becomes a row. Zero vectors have no angle: their cosines are 0.
     """
     spark = vectors.sparkSession
-    zero = F.aggregate(F.col("v"), F.lit(0.0), lambda a, x: a + x * x) == 0
-    rows, pivots, stats = around_pivots(vectors, key, vector, block_rows)
-    none = rows.filter(zero).limit(2).count()  # with one, some cosine is 0, if there is another vector
-    full = rows.filter(~zero)
-    found = full.withColumn("left", F.lit(True)).groupBy("p", "s").applyInArrow(block_extremes, "hi double, lo double")
-    known = found.agg(F.max("hi").alias("hi"), F.min("lo").alias("lo")).first()
-    places = np.array(sorted(stats), int)
-    between = (pivots @ pivots.T)[np.triu_indices(len(pivots), 1)].tolist()
-    high = max([*between, *(x for x in (known["hi"],) if x is not None)], default=-np.inf)
-    low = min([*between, *(x for x in (known["lo"],) if x is not None)], default=np.inf)
-    # pairs of pivots whose blocks could hold a cosine above high or below low (and a hair more, for rounding)
-    radius = np.array([stats[p][1] for p in places])
-    angle = np.arccos(np.clip(pivots[places] @ pivots[places].T, -1, 1))
-    reach = radius[:, None] + radius[None, :] + 1e-7
-    may = (np.cos(np.maximum(0, angle - reach)) > high) | (np.cos(np.minimum(np.pi, angle + reach)) < low)
-    i, j = np.nonzero(np.triu(may))
-    pairs = spark.createDataFrame(
-        [(int(x), int(y), stats[x][0], stats[y][0]) for x, y in zip(places[i], places[j])], "i int, j int, n int, m int"
-    )
-    one = full.join(pairs, F.col("p") == F.col("i")).select(
-        "v", "i", "j", F.col("s").alias("a"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("b"), F.lit(True).alias("left")
-    )
-    other = full.join(pairs, F.col("p") == F.col("j")).select(
-        "v", "i", "j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("a"), F.col("s").alias("b"), F.lit(False).alias("left")
-    )
-    meet = one.unionByName(other).filter((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
-    rest = meet.groupBy("i", "j", "a", "b").applyInArrow(block_extremes, "hi double, lo double")
-    first = [(float(high) if np.isfinite(high) else None, float(low) if np.isfinite(low) else None)]
-    if none and (none > 1 or full.limit(1).count()):
-        first.append((0.0, 0.0))
-    every = rest.unionByName(spark.createDataFrame(first, "hi double, lo double"))
+    there = vectors.filter(F.col(vector).isNotNull())
+    size = there.agg(F.count("*").alias("n"), F.count_if(~F.exists(F.col(vector), lambda x: x != 0)).alias("zeros")).first()
+    zero = [(0.0, 0.0)] if size["zeros"] and size["n"] > 1 else []
+    if size["n"] - size["zeros"] <= block_rows:
+        some = there.filter(F.exists(F.col(vector), lambda x: x != 0)).select(F.col(vector).cast("array<double>").alias("v"), F.lit(0).alias("all"))
+        every = some.groupBy("all").applyInArrow(lambda t: extremes_table(*span(metric_tree.unit_rows(metric_tree.rows_of(t)))), "hi double, lo double")
+    else:
+        rows, tree, parts = metric_tree.in_leaves(vectors, key, vector, block_rows, staged)
+        inside = rows.groupBy("leaf", "part").applyInArrow(lambda t: extremes_table(*span(metric_tree.rows_of(t))), "hi double, lo double")
+        known = inside.agg(F.max("hi").alias("hi"), F.min("lo").alias("lo")).first()
+        high, low = (known["hi"], known["lo"]) if known["hi"] is not None else (-np.inf, np.inf)
+        low = min(low, metric_tree.widest(tree))  # centres are vectors of the table
+        may = lambda i, j, nearest, furthest: (np.cos(nearest) > high) | (np.cos(furthest) < low)
+        i, j, _ = metric_tree.left_over(tree, may, ordered=False)
+        pairs = metric_tree.by_tile(i, j)
+
+        def meet(table: pa.Table) -> pa.Table:
+            one = table.filter(table.column("left"))
+            other = table.filter(pc.invert(table.column("left")))
+            x, y, mine, theirs = metric_tree.rows_of(one), metric_tree.rows_of(other), metric_tree.leaves_of(one), metric_tree.leaves_of(other)
+            t, u, p, q = (table.column(c)[0].as_py() for c in ("t", "u", "p", "q"))
+            hi, lo = -np.inf, np.inf
+            for a, b in pairs[t, u]:
+                ways = [(a, b)] if t != u or p == q or a == b else [(a, b), (b, a)]  # parts of one tile meet once
+                for m, n in ways:
+                    if m in mine and n in theirs and not (m == n and p == q):
+                        most, least = span(x[mine[m]], y[theirs[n]])
+                        hi, lo = max(hi, most), min(lo, least)
+            return extremes_table(hi, lo)
+
+        meets = [(t, u, p, q) for t, u in pairs for p in range(parts[t]) for q in range(parts[u]) if t != u or p <= q]
+        table = F.broadcast(spark.createDataFrame(meets, "t int, u int, p int, q int"))  # tiles, not rows, count
+        columns = ["v", "leaf", "t", "u", "p", "q"]
+        left = rows.join(table, (F.col("tile") == F.col("t")) & (F.col("part") == F.col("p"))).select(*columns, F.lit(True).alias("left"))
+        right = rows.join(table, (F.col("tile") == F.col("u")) & (F.col("part") == F.col("q"))).select(*columns, F.lit(False).alias("left"))
+        every = left.unionByName(right).groupBy("t", "u", "p", "q").applyInArrow(meet, "hi double, lo double")
+        zero += [(float(x), float(x)) for x in (high, low) if np.isfinite(x)]
+    if zero:
+        every = every.unionByName(spark.createDataFrame(zero, "hi double, lo double"))
     return every.agg(F.max("hi").alias("max_similarity"), F.min("lo").alias("min_similarity"))
 
 
@@ -322,25 +296,19 @@ def overall(reviews: DataFrame, vectors: DataFrame, vector: str = "embedding") -
 def max_similarity_before(vectors: DataFrame, order: str = "vec_id", vector: str = "embedding", block_rows: int = 4096) -> DataFrame:
     """order, max_similarity: the largest cosine with any vector before it; null for the first.
 
-    Vectors are gathered around pivots, as for the extremes. Each one is held against the earlier ones of its block first;
-    then it goes only where the angle to a pivot, less the radius of what is around it, could beat that, and where
-    something is earlier. Blocks that many ask are copied for parts of the questions.
+    Vectors lie in the leaves of a metric tree, of which every node knows its least and greatest order. Each vector is held against
+    the earlier ones of its leaf first. Pairs of nodes are cut where nothing below one is earlier than anything below the other, or nothing
+    is near enough to beat what all of its vectors have; then a vector goes to the tiles in which a leaf that is left could still beat what
+    it has itself. Tiles that many ask are copied for parts of the questions.
     """
-    spark = vectors.sparkSession
-    rows, pivots, stats = around_pivots(vectors, order, vector, block_rows)
-    rows = rows.withColumn("k", F.col("k").cast("long"))
-    zero = F.aggregate(F.col("v"), F.lit(0.0), lambda a, x: a + x * x) == 0
-    ends = rows.agg(F.min("k").alias("first"), F.min(F.when(zero, F.col("k"))).alias("zero")).first()
-    full = rows.filter(~zero)
-    n = len(pivots)
-    first = np.full(n, np.inf)
-    for r in full.groupBy("p").agg(F.min("k").alias("k")).collect():  # PIVOTS rows
-        first[r.p] = r.k
-    radius = np.array([stats[p][1] if p in stats else 0.0 for p in range(n)])
-    several = np.array([p in stats and stats[p][0] > 1 for p in range(n)])
-
-    def matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
-        return np.asarray(column.combine_chunks().flatten(), np.float64).reshape(rows, -1)
+    rows, tree, parts = metric_tree.in_leaves(vectors, order, vector, block_rows, staged)
+    there = vectors.filter(F.col(vector).isNotNull()).withColumn("k", F.col(order).cast("long"))
+    none = ~F.exists(F.col(vector), lambda x: x != 0)
+    ends = there.agg(F.min("k").alias("first"), F.min(F.when(none, F.col("k"))).alias("zero")).first()
+    after = lambda key: F.lit(False) if key is None else F.col("k") > key
+    alone = there.filter(none).select("k", F.when(after(ends["first"]), F.lit(0.0)).alias("best"))
+    if tree is None:
+        return alone.select(F.col("k").alias(order), F.col("best").alias("max_similarity"))
 
     def earlier(x: np.ndarray, k: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
         """The largest cosine of each x with a y of a smaller key, in parts of bounded size."""
@@ -350,51 +318,70 @@ def max_similarity_before(vectors: DataFrame, order: str = "vec_id", vector: str
         return np.concatenate(out) if out else np.full(len(x), -np.inf)
 
     def own(table: pa.Table) -> pa.Table:
-        x, k, p = matrix(table.column("v"), table.num_rows), table.column("k").to_numpy(), table.column("p")[0].as_py()
-        best, to = earlier(x, k, x, k), []
-        for i in range(0, len(x), 512):
-            angle = np.arccos(np.clip(x[i : i + 512] @ pivots.T, -1, 1))
-            may = (np.cos(np.maximum(0, angle - radius - 1e-7)) > best[i : i + 512, None]) & (first[None, :] < k[i : i + 512, None])
-            may[:, p] &= several[p]
-            to += [np.flatnonzero(row).tolist() for row in may]
-        return pa.table(
-            {
-                "k": table.column("k"), "v": table.column("v"), "p": table.column("p"), "s": table.column("s"), "best": pa.array(best),
-                "to": pa.array(to, pa.list_(pa.int32())),
-            }
-        )
-
-    found = staged(
-        full.groupBy("p", "s").applyInArrow(own, "k long, v array<double>, p int, s int, best double, to array<int>"), "cosines-in-blocks"
-    )
-    asked = found.filter(F.size("to") > 0).select(
-        "k", "v", F.col("p").alias("from_p"), F.col("s").alias("from_s"), F.explode("to").alias("q")
-    )
-    times = {r.q: r.n for r in asked.groupBy("q").agg(F.count("*").alias("n")).collect()}  # PIVOTS rows
-    known = [(int(q), stats[q][0], -(-m // (16 * block_rows))) for q, m in times.items()]
-    parts = F.broadcast(spark.createDataFrame(known, "_q int, parts int, copies int"))
-    here = lambda df, of: df.join(parts, F.col(of) == F.col("_q"))
-    asks = here(asked, "q").select(
-        "k", "v", "from_p", "from_s", "q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"),
-        F.pmod(F.xxhash64("k"), F.col("copies")).cast("int").alias("c"), F.lit(True).alias("asks"),
+        x, k = metric_tree.rows_of(table), table.column("k").to_numpy()
+        return table.select(["k", "v", "leaf", "tile", "part"]).append_column("best", pa.array(earlier(x, k, x, k)))
+
+    found = staged(rows.groupBy("leaf", "part").applyInArrow(own, "k long, v array<double>, leaf int, tile int, part int, best double"), "cosines-in-leaves")
+    # what the vectors of a node have at least, and where a leaf's parts haven't met yet
+    worst = np.full(len(tree.parent), np.inf)
+    for r in found.groupBy("leaf").agg(F.min("best").alias("best")).collect():  # a row a leaf
+        node = tree.leaves[r.leaf]
+        while node >= 0:
+            worst[node], node = min(worst[node], r.best), tree.parent[node]
+    split = np.array([parts[leaf // metric_tree.TILE] > 1 for leaf in range(len(tree.leaves))])
+    cut = lambda i, j: (tree.leaf[i] >= 0) & (i == j) & ~split[np.maximum(tree.leaf[i], 0)]  # noqa: E731  a leaf that has met itself
+    may = lambda i, j, nearest, furthest: (np.cos(nearest) > worst[i]) & (tree.least[j] < tree.greatest[i]) & ~cut(i, j)
+    i, j, _ = metric_tree.left_over(tree, may, ordered=True)
+    to = {int(a): j[i == a] for a in np.unique(i)}
+    nodes = tree.leaves
+    centres, reach, least = tree.centres[nodes], tree.reach[nodes], tree.least[nodes]
+
+    def aim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The tiles to which each vector goes, by its own angle to the centres of the leaves that are left for its leaf."""
+        for batch in batches:
+            goals: list[list[int]] = [[] for _ in range(batch.num_rows)]
+            x, k = np.asarray(batch.column("v").flatten(), np.float64).reshape(batch.num_rows, -1), batch.column("k").to_numpy()
+            best, leaf = batch.column("best").to_numpy(), batch.column("leaf").to_numpy()
+            for a in np.unique(leaf):
+                mine, there = np.flatnonzero(leaf == a), to.get(int(a), np.zeros(0, np.int64))
+                for s in range(0, len(mine) if len(there) else 0, 512):
+                    some = mine[s : s + 512]
+                    near = np.maximum(0, np.arccos(np.clip(x[some] @ centres[there].T, -1, 1)) - reach[there] - metric_tree.HAIR)
+                    hits = (np.cos(near) > best[some][:, None]) & (least[there] < k[some][:, None])
+                    for r, row in zip(some.tolist(), hits):
+                        goals[r] = np.unique(there[row] // metric_tree.TILE).tolist()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k", "v", "leaf", "best")), pa.array(goals, pa.list_(pa.int32()))], names=["k", "v", "leaf", "best", "to"])
+
+    asked = found.mapInArrow(aim, "k long, v array<double>, leaf int, best double, to array<int>").select("k", "v", "leaf", "best", F.explode("to").alias("q"))
+    asked = staged(asked, "questions")
+    times = {r.q: r.n for r in asked.groupBy("q").agg(F.count("*").alias("n")).collect()}  # a row a tile
+    spark = vectors.sparkSession
+    known = [(int(q), parts[q], -(-n // (16 * block_rows))) for q, n in times.items()]
+    copies = F.broadcast(spark.createDataFrame(known, "_q int, parts int, copies int"))
+    asks = asked.join(copies, F.col("q") == F.col("_q")).select(
+        "k", "v", "leaf", "best", "q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"), F.pmod(F.xxhash64("k"), F.col("copies")).cast("int").alias("c"), F.lit(True).alias("asks")
     )
-    asks = asks.filter((F.col("from_p") != F.col("q")) | (F.col("from_s") != F.col("s"))).drop("from_p", "from_s")
-    holds = here(full, "p").select(
-        "k", "v", F.col("p").alias("q"), "s", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("c"), F.lit(False).alias("asks")
+    holds = rows.join(copies, F.col("tile") == F.col("_q")).select(
+        "k", "v", "leaf", F.lit(0.0).alias("best"), F.col("tile").alias("q"), F.col("part").alias("s"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("c"), F.lit(False).alias("asks")
     )
 
     def others(table: pa.Table) -> pa.Table:
-        x, k, ask = matrix(table.column("v"), table.num_rows), table.column("k").to_numpy(), table.column("asks").to_numpy()
-        return pa.table({"k": pa.array(k[ask], pa.int64()), "best": pa.array(earlier(x[ask], k[ask], x[~ask], k[~ask]))})
+        one, other = table.filter(table.column("asks")), table.filter(pc.invert(table.column("asks")))
+        x, y, mine, theirs = metric_tree.rows_of(one), metric_tree.rows_of(other), metric_tree.leaves_of(one), metric_tree.leaves_of(other)
+        k, j, best = one.column("k").to_numpy(), other.column("k").to_numpy(), one.column("best").to_numpy().copy()
+        for a, places in mine.items():
+            for b in to[a]:
+                if int(b) in theirs:
+                    there = theirs[int(b)]
+                    best[places] = np.maximum(best[places], earlier(x[places], k[places], y[there], j[there]))
+        return pa.table({"k": one.column("k"), "best": pa.array(best)})
 
     every = found.select("k", "best").unionByName(
         asks.unionByName(holds).groupBy("q", "s", "c").applyInArrow(others, "k long, best double")
     )
     best = every.groupBy("k").agg(F.max("best").alias("best")).select("k", F.when(F.col("best") > -2, F.col("best")).alias("best"))
-    after = lambda key: F.lit(False) if key is None else F.col("k") > key
     best = best.withColumn("best", F.when(after(ends["zero"]), F.greatest("best", F.lit(0.0))).otherwise(F.col("best")))
-    best = best.unionByName(rows.filter(zero).select("k", F.when(after(ends["first"]), F.lit(0.0)).alias("best")))
-    return best.select(F.col("k").alias(order), F.col("best").alias("max_similarity"))
+    return best.unionByName(alone).select(F.col("k").alias(order), F.col("best").alias("max_similarity"))
 
 
 def history_check(
