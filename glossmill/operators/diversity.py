@@ -20,6 +20,8 @@ from glossmill.plans.staging import staged
 
 EPSILON = 0.1  # what smoothing puts for no match
 MATTR_WINDOW, MATTR_STRIDE = 100, 50
+#: Windows of a chunk of places.
+CHUNK_WINDOWS = 50
 #: Texts of a bucket of running sums: rows carry their words.
 TEXT_ROWS = 1000
 #: Weights of the overall score.
@@ -129,28 +131,32 @@ def type_token(reviews: DataFrame) -> DataFrame:
 
 
 def mattr(reviews: DataFrame, window: int = MATTR_WINDOW, stride: int = MATTR_STRIDE) -> DataFrame:
-    """One row: the mean type-token ratio of windows over all texts' words in the order of seq; that of all words if
-    they don't fill a window.
+    """One row: the mean type-token ratio of windows over all texts' words in the order of seq, each stride words further; that
+    of all words if they don't fill a window.
 
-    Words aren't exploded: each text is cut into runs that end at multiples of the stride, and a window gathers the
-    distinct words of its runs, window words at most.
+    A window's different words are those whose earlier place lies before it. So a word counts in a range of windows: from the
+    first that begins behind its earlier place, and reaches it, to the last that has begun. The sum of these ranges is what all
+    windows hold; no window is gathered. Earlier places further back than a window don't matter, so words are dealt in chunks of
+    places, with a window's words before them.
     """
-    if window % stride:
-        raise ValueError("the stride must divide the window")
     total = reviews.agg(F.sum(T.word_count(F.col("text")))).first()[0] or 0
     if total < window:
         return type_token(reviews).select(F.col("ttr").alias("mattr"))
     docs = reviews.select("seq", T.words(F.lower(F.col("text"))).alias("w")).withColumn("n", F.size("w").cast("long"))
-    placed = running(docs, "seq", {"end": F.col("n")}, bucket_rows=TEXT_ROWS).withColumn("begin", F.col("end") - F.col("n")).filter("n > 0")
-    first, last = F.floor(F.col("begin") / stride), F.floor((F.col("end") - 1) / stride)
-    runs = placed.select("w", "begin", "end", F.explode(F.sequence(first, last)).alias("c"))
-    lo = F.greatest(F.col("begin"), F.col("c") * stride)
-    hi = F.least(F.col("end"), (F.col("c") + 1) * stride)
-    runs = runs.select("c", F.array_distinct(F.slice("w", (lo - F.col("begin") + 1).cast("int"), (hi - lo).cast("int"))).alias("w"))
-    spread = runs.select("w", F.explode(F.sequence(F.col("c") - (window // stride - 1), F.col("c"))).alias("k"))
-    ratio = spread.groupBy("k").agg((F.size(F.array_distinct(F.flatten(F.collect_list("w")))) / F.lit(float(window))).alias("r"))
-    kept = ratio.filter((F.col("k") >= 0) & (F.col("k") * stride + window <= total))
-    return kept.agg(F.avg("r").alias("mattr"))
+    placed = running(docs, "seq", {"end": F.col("n")}, bucket_rows=TEXT_ROWS).withColumn("begin", F.col("end") - F.col("n"))
+    word = placed.select("begin", F.posexplode("w").alias("i", "word")).select(
+        (F.col("begin") + F.col("i")).alias("g"), F.xxhash64(F.lit(1), "word").alias("a"), F.xxhash64(F.lit(2), "word").alias("b")
+    )
+    size = CHUNK_WINDOWS * window
+    home, next_ = F.floor(F.col("g") / size), F.col("g") % size > size - window
+    dealt = word.select("g", "a", "b", F.explode(F.when(next_, F.array(home, home + 1)).otherwise(F.array(home))).alias("chunk"))
+    earlier = F.lag("g").over(Window.partitionBy("chunk", "a", "b").orderBy("g"))
+    mine = dealt.withColumn("q", earlier).filter(F.col("chunk") == home)
+    windows = (total - window) // stride + 1
+    first = F.greatest(F.coalesce(F.floor(F.col("q") / stride) + 1, F.lit(0)), F.floor((F.col("g") - window) / stride) + 1, F.lit(0))
+    last = F.least(F.floor(F.col("g") / stride), F.lit(windows - 1))
+    held = F.sum(F.greatest(last - first + 1, F.lit(0)))
+    return mine.agg((held / F.lit(float(windows * window))).alias("mattr"))
 
 
 def ngram_diversity(reviews: DataFrame, n: int) -> DataFrame:

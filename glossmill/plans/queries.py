@@ -111,6 +111,15 @@ def mattr(spark, sf_dir):
     return diversity.mattr(reviews(spark, sf_dir))
 
 
+@query(f"""
+WITH t AS (SELECT doc_id, unnest({w('lower(text)')}) AS t, generate_subscripts({w('lower(text)')}, 1) AS i FROM documents),
+g AS (SELECT t, row_number() OVER (ORDER BY doc_id, i) - 1 AS g FROM t), k AS (SELECT unnest(range((SELECT (count(*) - 100) // 30 + 1 FROM g))) AS k)
+SELECT round(avg(d / 100.0), 6) AS mattr FROM (SELECT k, count(DISTINCT t) AS d FROM k JOIN (SELECT t, g, unnest(range(greatest((g - 70) // 30, 0), g // 30 + 1)) AS at FROM g) x ON x.at = k.k AND x.g >= k.k * 30 AND x.g < k.k * 30 + 100 GROUP BY k)""")
+def mattr_every_30(spark, sf_dir):
+    """A stride that doesn't divide the window."""
+    return diversity.mattr(reviews(spark, sf_dir), 100, 30)
+
+
 def ngram_sql(n: int) -> str:
     grams = f"list_transform(range(1, len(a) - {n - 2}), lambda i: array_to_string(a[i:i+{n - 1}], ' '))"
     return f"SELECT CAST(count(*) AS BIGINT) AS total, count(DISTINCT g) AS unique_ngrams, round(count(DISTINCT g) / count(*), 6) AS diversity FROM (SELECT unnest({grams}) AS g FROM (SELECT {w('lower(text)')} AS a FROM documents))"

@@ -88,13 +88,14 @@ def test_growing_corpus_query_over_ids_beyond_a_thousand(spark, tmp_path):
     } | {("fr", 9001): 1.0}
 
 
-@pytest.mark.parametrize("n", [3, 40])
-def test_mattr(spark, n):
-    texts = [t * 3 for t in some_texts(n, 5)]
+@pytest.mark.parametrize("n, window, stride, chunk", [(3, 100, 50, 50), (40, 100, 50, 1), (40, 100, 30, 2), (40, 7, 1, 3), (40, 5, 8, 1), (40, 1, 1, 4)])
+def test_mattr(spark, monkeypatch, n, window, stride, chunk):
+    monkeypatch.setattr(diversity, "CHUNK_WINDOWS", chunk)
+    texts = [t * 3 for t in some_texts(n, 5)] + ["same " * 60]
     words = [w for t in texts for w in t.lower().split()]
     df = spark.createDataFrame(list(enumerate(texts)), "seq long, text string").repartition(3)
-    want = [len(set(words[i : i + 100])) / 100 for i in range(0, len(words) - 99, 50)]
-    assert diversity.mattr(df).first()[0] == pytest.approx(np.mean(want) if want else len(set(words)) / len(words))
+    want = [len(set(words[i : i + window])) / window for i in range(0, len(words) - window + 1, stride)]
+    assert diversity.mattr(df, window, stride).first()[0] == pytest.approx(np.mean(want) if want else len(set(words)) / len(words))
 
 
 def test_ngram_diversity_of_short_texts(spark):
