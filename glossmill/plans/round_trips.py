@@ -6,11 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.operators import gates, generate, judge, metrics
+from glossmill.operators import gates, generate, judge, metrics, moments, realism
 from glossmill.plans import report
-from glossmill.plans.queries import _T, BASE, DATA_PROFILE, GATES_SQL, RUN_SQL, class_sql, gated, query, read, reviews, run_rows
+from glossmill.plans.queries import _T, BASE, DATA_PROFILE, GATES_SQL, RUN_SQL, SQL, class_sql, gated, query, read, reviews, run_rows
 from glossmill.plans.staging import shared_path, spread
-from glossmill.sources import io, providers
+from glossmill.sources import io, once, providers
 
 c = F.col
 BODY_SQL = "CASE WHEN doc_id % 4 = 0 THEN 'review: ' || text ELSE text END"
@@ -67,6 +67,33 @@ def rejection_log(spark, sf_dir):
     )
 
 
+@query(SQL["rejection_log"])
+def rejection_log_once(spark, sf_dir):
+    """The same log in three batches, of which each is written again as a job that is repeated does; every row is there once."""
+    log = once.Table(spark, shared_path(spark, "rejections-once"))
+    rows = gated(spark, sf_dir).select(c("seq").cast("string").alias("review_id"), "attempt", "reasons")
+    for _ in range(2):
+        for batch in (1, 2, 3):
+            log.append(io.logged(rows.filter(c("attempt") == batch), "s1"), batch)
+    back = log.read(io.LOGS["rejections"])
+    return back.select(
+        "review_id", "attempt", F.array_join("reasons", "; ").alias("reasons"), "session_id", c("timestamp").isNotNull().alias("logged")
+    )
+
+
+@query(SQL["realism_compare"])
+def realism_from_moments(spark, sf_dir):
+    """The comparison from stored moments, without a scan: documents come in two deliveries, each read once."""
+    at, kept = shared_path(spark, "deliveries"), moments.Stored(spark, shared_path(spark, "moments"))
+    d, real = read(spark, sf_dir, "documents").select("doc_id", "text"), moments.Stored(spark, shared_path(spark, "moments"))
+    half = d.select(c("doc_id").cast("double").alias("o")).approxQuantile("o", [0.5], 0.01)[0]
+    for mine in (c("doc_id") <= half, c("doc_id") > half):
+        d.filter(mine).write.mode("append").parquet(at)
+        kept.refresh(at)
+    real.refresh(f"{sf_dir}/benchmark.parquet")
+    return realism.compare(kept.stats(at), real.stats(f"{sf_dir}/benchmark.parquet"))
+
+
 def log_lines(spark, sf_dir) -> str:
     """A text log whose messages are the documents, of one line or of many."""
     at, n = shared_path(spark, "session"), c("doc_id")

@@ -83,11 +83,15 @@ def write_dataset(reviews: DataFrame, path: str) -> None:
     dataset_rows(reviews).write.mode("overwrite").json(path)
 
 
-def append_log(rows: DataFrame, path: str, session_id: str) -> None:
-    """Event rows with the time and session they were logged in."""
-    rows.withColumns(
+def logged(rows: DataFrame, session_id: str) -> DataFrame:
+    """Event rows with the time and session they are logged in."""
+    return rows.withColumns(
         {"timestamp": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "session_id": F.lit(session_id)}
-    ).write.mode("append").json(path)
+    )
+
+
+def append_log(rows: DataFrame, path: str, session_id: str) -> None:
+    logged(rows, session_id).write.mode("append").json(path)
 
 
 def read_log(spark: SparkSession, kind: str, path: str) -> DataFrame:

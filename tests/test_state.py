@@ -194,3 +194,51 @@ def test_what_services_say():
     given = {' "a" ': "a", "```text\na\nb\n```": "a\nb", "'```\nx\n```'": "x", "```x```": "```x```", '"': '"', "plain 'x'": "plain 'x'", '""': ""}
     assert {k: providers.unwrapped(k) for k in given} == given
     assert providers.Draft().generate("", "Draft:\na b")["text"] == "a b" and not providers.Draft().generate("", "Draft:\n")["success"]
+
+
+def test_moments_equal_a_scan_and_old_files_stay_unread(spark, tmp_path, monkeypatch):
+    from glossmill.operators import moments, realism
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["API", "data", "is", "fine."]) for _ in range(rng.randrange(1, 30))) for _ in range(90)] + [""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    source, kept = str(tmp_path / "in"), moments.Stored(spark, str(tmp_path / "state"))
+    same = lambda: all(a == pytest.approx(b) for a, b in zip(kept.stats(source).first(), realism.corpus_stats(spark.read.parquet(source)).first()))
+    df.limit(40).repartition(3).write.parquet(source)
+    first = kept.refresh(source)
+    assert len(first) == 3 and same() and kept.refresh(source) == []
+    df.coalesce(1).write.mode("append").parquet(source)
+    read = []
+    monkeypatch.setattr(moments, "text_metrics", lambda rows, f=moments.text_metrics: read.extend(rows.inputFiles()) or f(rows))
+    second = kept.refresh(source)
+    assert len(second) == 1 and not set(second) & set(first) and same()
+    assert len(read) == 1 and not any(f.split("/")[-1] in read[0] for f in first)  # old files weren't read
+    next(f for f in (tmp_path / "in").glob("*.parquet") if f.name in first[0]).unlink()
+    assert kept.refresh(source) == [] and same()  # a file that went counts no longer
+    none = realism.compare(kept.stats(source), moments.Stored(spark, str(tmp_path / "other")).stats(str(tmp_path / "state"))).first()
+    assert none.realism_score == 0.5
+
+
+def test_a_batch_is_appended_once(spark, tmp_path):
+    from glossmill.sources.once import Table
+
+    t = Table(spark, str(tmp_path / "t"))
+    assert t.read("id long").count() == 0
+    assert t.append(spark.range(5), 0) and not t.append(spark.range(5), 0) and t.append(spark.range(5, 8), 1)
+    broken = spark.range(100).repartition(4).select(F.when(F.col("id") == 77, F.raise_error(F.lit("on purpose"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="on purpose"):
+        t.append(broken, 2)
+    assert sorted(r.id for r in t.read("id long").collect()) == list(range(8))
+    spark.range(3).write.json(str(tmp_path / "t/rows/lost"))  # a driver that ended before its entry
+    assert t.append(spark.range(8, 10), 2) and t.read("id long").count() == 10
+    assert "lost" in t.clean() and t.clean() == [] and t.read("id long").count() == 10
+
+
+def test_two_writers_of_a_batch_leave_one_copy(spark, tmp_path, monkeypatch):
+    from glossmill.sources.once import Table
+
+    a, b = Table(spark, str(tmp_path / "t"), "parquet"), Table(spark, str(tmp_path / "t"), "parquet")
+    looks = []
+    monkeypatch.setattr(b, "batches", lambda f=b.batches: looks.append(1) or ({} if len(looks) == 1 else f()))  # b looked before a was done
+    assert a.append(spark.range(4), 7)
+    assert not b.append(spark.range(4), 7) and a.read("id long").count() == 4 and len(b.clean()) == 1
