@@ -78,7 +78,7 @@ def test_one_row_for_each_document(spark, docs, none, labels, benchmark, name):
     assert run(none).count() == 0
 
 
-@pytest.mark.parametrize("name", ["quality", "bpe", "shards", "simhash", "secrets"])
+@pytest.mark.parametrize("name", ["quality", "toxicity", "edits", "bpe", "encoded", "shards", "simhash", "secrets", "languages"])
 def test_repeated_rows_agree(spark, docs, labels, benchmark, name):
     rows = [r.asDict() for r in by_row(spark, docs, labels, benchmark)[name](docs).filter("doc_id = 9").collect()]
     for r in rows:
@@ -173,6 +173,26 @@ def test_the_fit_of_languages_does_not_depend_on_layout(spark, docs):
     assert a["langs"] == b["langs"] and (a["vectors"] == b["vectors"]).all() and (a["least"] == b["least"]).all()
 
 
+def test_results_named_as_columns_are(spark, docs, labels, benchmark):
+    """Columns of the caller's whose names are those of results don't get in the way of the results."""
+    clash = docs.withColumns({n: F.lit("mine") for n in ("predicted", "lang_pred", "rejected", "n_words", "kept", "n_edits", "n_pieces", "ids_sha256", "component_id")})
+    for name, run in by_row(spark, docs, labels, benchmark).items():
+        plain, other = run(docs), run(clash)
+        for column in {"predicted", "lang_pred", "rejected", "n_words", "kept", "n_edits", "n_pieces", "ids_sha256", "component_id"} & set(plain.columns):
+            pick = lambda df: sorted((str(r[0]), str(r[1])) for r in df.select("doc_id", column).collect())  # noqa: B023, E731
+            assert pick(plain) == pick(other), (name, column)
+
+
+def test_ties_of_languages_and_features(spark):
+    """Of languages that a text is as close to, the one that sorts first; of n-grams that tell as much, those of the least buckets, in
+    any layout."""
+    twins = spark.createDataFrame([(i, "ganz gleicher text", lang) for i, lang in enumerate(("zz", "aa") * 12)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.identified(twins).collect()} == {"aa"}
+    rows = spark.createDataFrame([(i, ("good day " if i % 2 else "bad night ") + "abc def ghi") for i in range(60)], "doc_id long, text string")
+    marks = rows.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    assert toxicity.fit(rows, marks) == toxicity.fit(rows.repartition(5, "text"), marks.repartition(3))
+
+
 def test_no_labels_and_no_languages(spark, docs, labels):
     nothing = toxicity.classified(docs, labels.limit(0)).filter("score > 1e-9").count()
     assert nothing == 0

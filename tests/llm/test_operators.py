@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -725,6 +726,56 @@ def test_scores_equal_the_formula(spark, docs):
     assert {toxicity.bucket(g) for g in weights} <= {x for x, n in counts.items() if ratio(n) >= least - 1e-9}
 
 
+def plain_logistic(x, y, ridge):
+    """Weights and intercept by Newton's steps, both classes weighing the same."""
+    x, n = np.hstack([x, np.ones((len(x), 1))]).astype(float), len(x)
+    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    penalty[-1] = 0.0
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
+        gradient = x.T @ (weight * (p - y)) / n + penalty * w
+        curve = (x.T * (weight * p * (1 - p))) @ x / n + np.diag(penalty + 1e-12)
+        w = w - np.linalg.solve(curve, gradient)
+    return w[:-1], w[-1]
+
+
+def test_the_solver_equals_newtons():
+    rng = np.random.default_rng(3)
+    x = ((rng.random((400, 8)) < 0.4) * rng.normal(size=8)).astype(np.float32)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x @ rng.normal(size=8)) + 1))).astype(np.float32)
+    w, b = toxicity.logistic(x, y)
+    want, c = plain_logistic(x, y, toxicity.RIDGE)
+    assert np.allclose(w, want, atol=0.02) and abs(b - c) < 0.02
+
+
+def test_a_whole_fit_by_plain_counting(spark, monkeypatch):
+    """Features, their ratios and the weights of 36 texts, from the definitions."""
+    import math
+
+    rng = random.Random(8)
+    words = ["awful", "vile", "nice", "calm", "tree", "house"]
+    rows = [(i, " ".join(rng.choice(words[:4] if rng.random() < 0.7 else words[2:]) for _ in range(4)), rng.randint(0, 1)) for i in range(54)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "FEATURES", 24)
+    got = {r.doc_id: r.score for r in toxicity.classified(docs, labels).collect()}
+    seen = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    size = [sum(y == c for _, y in seen) for c in (0, 1)]
+    every = lambda t: {toxicity.bucket(g) for w in set(t.split()) for g in toxicity.grams(w)}
+    counts = {}
+    for t, y in seen:
+        for g in every(t):
+            counts.setdefault(g, [0, 0])[y] += 1
+    ratio = {g: math.log((n[1] + 1) / (size[1] + 2) / ((n[0] + 1) / (size[0] + 2))) for g, n in counts.items() if sum(n) >= toxicity.LEAST_ROWS}
+    told = lambda g: abs(ratio[g]) / math.sqrt(1 / (counts[g][1] + 1) + 1 / (counts[g][0] + 1))
+    kept = sorted(ratio, key=lambda g: (-told(g), g))[:24]
+    row = lambda t: [ratio[g] if g in every(t) else 0.0 for g in kept]
+    w, b = plain_logistic(np.array([row(t) for t, _ in seen]), np.array([float(y) for _, y in seen]), toxicity.RIDGE)
+    for i, t, _ in rows:
+        assert abs(got[i] - 1 / (1 + math.exp(-(np.dot(row(t), w) + b)))) < 0.03, t
+
+
 def test_toxicity_never_sees_held_out_labels(spark, docs):
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
     flipped = labels.withColumn(
@@ -770,6 +821,37 @@ def test_languages_equal_brute_force(spark, docs):
         ) < 1e-5
 
 
+def test_the_fit_of_languages_by_plain_loops(spark):
+    """Weights of buckets, centroids and bounds of 45 texts, from the definitions."""
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.substring("text", 1, 300).alias("text"), "lang").limit(45)
+    rows = texts.collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    mine = sorted({(r.lang, r.text) for r in rows if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1})
+    counted = {t: langid.counts(t) for _, t in mine}
+    counted = {t: c for t, c in counted.items() if c is not None}
+    n = sum(t in counted for _, t in mine)
+    idf = [math.log((1 + n) / (1 + sum(counted[t][i] > 0 for _, t in mine if t in counted))) + 1 for i in range(langid.BUCKETS)]
+    assert np.allclose(model["idf"], idf, atol=1e-5)
+    assert model["langs"] == sorted({lang for lang, t in mine if t in counted})
+    for place, lang in enumerate(model["langs"]):
+        v = [np.sqrt(counted[t]) * np.array(idf) for x, t in mine if x == lang and t in counted]
+        v = [x / np.linalg.norm(x) for x in v]
+        mean = sum(v) / len(v)
+        at = [max(range(len(v)), key=lambda i: v[i] @ mean)]
+        while len(at) < min(langid.CENTROIDS, len(v)):  # the one furthest from those that were taken
+            at.append(min(range(len(v)), key=lambda i: max(v[i] @ v[j] for j in at)))
+        c = [v[i] for i in at]
+        for _ in range(10):
+            near = [max(range(len(c)), key=lambda k: x @ c[k]) for x in v]
+            c = [sum(x for x, k in zip(v, near) if k == j) if j in near else c[j] for j in range(len(c))]
+            c = [x / np.linalg.norm(x) for x in c]
+        got = model["vectors"][model["of"] == place]
+        assert len(got) == len(c) and all(min(np.abs(g - x).max() for x in c) < 1e-4 for g in got)
+        least = np.quantile([max(x @ y for y in c) for x in v], 0.01)
+        assert np.allclose(model["least"][model["of"] == place], least, atol=1e-4)
+
+
 def test_languages_are_not_learned_from_held_out_rows(docs):
     other = docs.withColumn("lang", F.when(langid.held_out(), F.lit("zz")).otherwise(F.col("lang")))
     a, b = langid.fit(docs), langid.fit(other)
