@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.operators import gates, generate, judge, metrics, moments, realism
+from glossmill.operators import diversity, gates, generate, judge, metrics, moments, realism
 from glossmill.plans import report
-from glossmill.plans.queries import _T, BASE, DATA_PROFILE, GATES_SQL, RUN_SQL, SQL, class_sql, gated, query, read, reviews, run_rows
-from glossmill.plans.staging import shared_path, spread
+from glossmill.plans.queries import _T, BASE, DATA_PROFILE, GATES_SQL, RUN_SQL, SQL, class_sql, gated, judge_consensus, judged, query, read, reviews, run_rows
+from glossmill.plans.staging import shared_path, spread, staged
 from glossmill.sources import io, once, providers
 
 c = F.col
@@ -235,22 +235,57 @@ def slot_decisions(spark, sf_dir):
     )
 
 
-@query(f"""
-WITH {RUN_SQL}, o AS (SELECT count(*) AS n, count_if(accepted) AS a FROM g), k AS (SELECT 1 + doc_id % 5 AS rating, count(*) AS n FROM documents GROUP BY 1)
-SELECT '- Generated: ' || n AS line FROM o UNION ALL SELECT '- Accepted: ' || a || ' (' || format('{{:.1f}}', 100.0::DOUBLE * (a / n)) || '%)' FROM o UNION ALL SELECT '- Rejected: ' || (n - a) FROM o
-    UNION ALL SELECT '- ' || k.rating || '-star: ' || k.n || ' (' || format('{{:.1f}}', 100.0::DOUBLE * k.n / o.n) || '%)' FROM k, o""")
-def report_lines(spark, sf_dir):
-    """The lines of the report that count rows."""
-    zero = dict.fromkeys(
-        (
-            "overall_score", "self_bleu_diversity", "semantic_diversity", "vocabulary_size", "ttr", "mattr", "bigram_diversity",
-            "trigram_diversity",
-        ),
-        0.0,
+def report_sql() -> str:
+    """Every line of the report from the SQL of the queries that it draws on, in order (n, k)."""
+    of = {
+        "o": "overall_diversity", "m": "mattr", "t": "ttr", "cm": "cosine_moments", "ce": "cosine_extremes", "mr": "model_rollup", "pt": "pipeline_totals", "bm": "best_model",
+        "rd": "rating_distribution", "rc": "realism_compare", "tr": "top_rejections", "jo": "judge_overall", "jc": "judge_consensus",
+    }
+    tick = lambda x: f"CASE WHEN {x} THEN '✓' ELSE '✗' END"
+    num = lambda x, f: f"format('{{:{f}}}', ({x})::DOUBLE)"
+    text = lambda *lines: [f"SELECT 0 AS k, '{x}' AS line" for x in lines]
+    part = lambda source, *pieces, k="0": f"SELECT {k} AS k, {' || '.join(pieces)} AS line FROM {source}"
+    measure = lambda name, x: part("rc", f"'| {name} | '", num(f"synthetic_avg_{x[0]}", ".1f"), "' | '", num(f"real_avg_{x[0]}", ".1f"), "' | '", num(f"{x[1]}_diff_pct", ".1f"), "'% |'")
+    blank = text("")
+    lines = [
+        *text("# Dataset Quality Report", "", "## Generation", ""), part("pt", "'- Target: ' || total_generated"), part("pt", "'- Generated: ' || total_generated"),
+        part("pt", "'- Accepted: ' || total_accepted || ' ('", num("success_rate * 100", ".1f"), "'%)'"), part("pt", "'- Rejected: ' || total_rejected"),
+        part("pt", "'- Time: '", num("total_time / 60", ".1f"), "' min'"), part("pt", "'- Cost: $'", num("total_cost", ".2f")),
+        *text("", "## Models", "", "| Model | Samples | Accepted | Rate | Quality | Judge | Time | Cost | Cost/sample |", "|-|-|-|-|-|-|-|-|-|"),
+        part("mr", "'| ' || model || ' | ' || samples_generated || ' | ' || samples_accepted || ' | '", num("acceptance_rate * 100", ".1f"), "'% | '", num("avg_quality_score", ".2f"), "' | '", num("avg_llm_judge_score", ".2f"), "' | '", num("avg_time_per_sample", ".2f"), "'s | $'", num("total_cost", ".2f"), "' | $'", num("cost_per_sample", ".3f"), "' |'", k="row_number() OVER (ORDER BY model)"),
+        *text("", "## Diversity", ""), part("o", "'- Overall: '", num("overall_score", ".3f"), "' '", tick("overall_score > 0.6")),
+        part("o", "'- Self-BLEU diversity: '", num("self_bleu_diversity", ".3f")), part("o", "'- Semantic diversity: '", num("semantic_diversity", ".3f")), part("t", "'- Vocabulary: ' || vocabulary_size"),
+        part("o", "'- TTR: '", num("ttr", ".3f")), part("m", "'- MATTR: '", num("mattr", ".3f")), part("o", "'- Bigrams: '", num("bigram_diversity", ".3f")), part("o", "'- Trigrams: '", num("trigram_diversity", ".3f")),
+        part("cm, ce", "'- Cosine: mean '", num("avg_similarity", ".3f"), "' '", tick("avg_similarity < 0.7"), "', largest '", num("max_similarity", ".3f"), "', smallest '", num("min_similarity", ".3f")),
+        *text("", "## Judges", ""), part("(SELECT avg((final_decision = 'PASS')::INT) AS p FROM jo)", "'- Pass rate: '", num("p * 100", ".1f"), "'%'"),
+        part("(SELECT avg(agreement_rate) AS p FROM jc)", "'- Agreement: '", num("p * 100", ".1f"), "'%'"), part("(SELECT count(*) AS n FROM jo)", "'- Evaluations: ' || n"),
+        *text("", "## Ratings", ""), part("rd", "'- ' || rating || '-star: ' || n || ' ('", num("pct", ".1f"), "'%)'", k="rating"), *text("", "## Synthetic and real texts", ""),
+        part("rc", "'- Realism: '", num("realism_score", ".2f"), "' '", tick("realism_score > 0.7"), "' (' || comparison_quality || ')'"),
+        *text("", "| Measure | Synthetic | Real | Difference |", "|-|-|-|-|"), measure("Words", ("length", "length")), measure("Different words", ("unique_words", "unique_words")), measure("Sentences", ("sentences", "sentence")),
+        *text("", "## Rejections", ""), part("pt", "'Rejected: ' || total_rejected"), *blank,
+        part("tr", "'- ' || reason || ': ' || n || ' ('", num("pct", ".1f"), "'%)'", k="row_number() OVER (ORDER BY n DESC, first_seen, reason)"), *text("", "## Cost and speed", ""),
+        part("pt", "'- Throughput: '", num("total_accepted / (total_time / 60)", ".1f"), "' accepted a minute'"), part("bm", "'- Cheapest: ' || model || ' at $'", num("cost_per_sample", ".4f"), "' a sample'"),
+    ]
+    ctes = ", ".join(f"{k} AS ({SQL[name]})" for k, name in of.items())
+    every = " UNION ALL ".join(f"SELECT {i} AS i, k, line FROM ({x})" for i, x in enumerate(lines))
+    return f"WITH {ctes} SELECT CAST(row_number() OVER (ORDER BY i, k) AS INT) AS n, line FROM ({every})"
+
+
+@query(report_sql())
+def quality_report_md(spark, sf_dir):
+    """The whole report, line by line, but for the time at which it was made."""
+    rows, runs, vectors = reviews(spark, sf_dir), run_rows(spark, sf_dir), read(spark, sf_dir, "embeddings")
+    top = metrics.top_reasons(staged(gated(spark, sf_dir).select("seq", "reasons"), "gated"))
+    cosine = report.one(diversity.cosine_moments(vectors)) | report.one(diversity.cosine_extremes(vectors))
+    verdicts = judge.verdicts(judged(spark, sf_dir), ["seq"]).agg(
+        F.avg((c("final_decision") == "PASS").cast("int")).alias("pass_rate"), F.count("*").alias("evaluations")
     )
-    runs = run_rows(spark, sf_dir)
-    totals = report.one(metrics.totals(runs))
-    ratings = [r.asDict() for r in metrics.rating_distribution(reviews(spark, sf_dir)).orderBy("rating").collect()]
-    text = report.markdown(zero, {"avg_similarity": 0.0}, [], totals, ratings, {"realism_score": 0.0}, [], {}, totals["total_generated"])
-    lines = [(x,) for x in text.split("\n") if x.startswith(("- Generated: ", "- Accepted: ", "- Rejected: ")) or "-star: " in x]
-    return spark.createDataFrame(lines, "line string")
+    agreed = judge_consensus(spark, sf_dir).agg(F.avg("agreement_rate").alias("agreement_rate"))
+    text = report.markdown(
+        report.one(diversity.overall(rows, vectors)), cosine, [r.asDict() for r in metrics.model_rollup(runs).orderBy("model").collect()], report.one(metrics.totals(runs)), [r.asDict() for r in metrics.rating_distribution(rows).orderBy("rating").collect()],
+        report.one(realism.compare(realism.corpus_stats(rows), realism.corpus_stats(read(spark, sf_dir, "benchmark")))), [r.asDict() for r in top.collect()], report.one(verdicts) | report.one(agreed), runs.count(),
+    )
+    made = [x for x in text.rstrip("\n").split("\n")]
+    at = next(i for i, x in enumerate(made) if x.startswith("Generated: "))
+    made = made[:at] + made[at + 2 :]  # the time, and the blank line after it
+    return spark.createDataFrame(list(enumerate(made, 1)), "n int, line string")
