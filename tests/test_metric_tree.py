@@ -27,8 +27,7 @@ def table(spark, x):
     return spark.createDataFrame(np.random.default_rng(1).permutation(np.array(rows, object)).tolist(), "vec_id long, embedding array<double>").repartition(3)
 
 
-@pytest.mark.parametrize("kind", KINDS)
-@pytest.mark.parametrize("block, leaves", [(10, 2048), (25, 5)])
+@pytest.mark.parametrize("kind, block, leaves", [*((k, 10, 2048) for k in KINDS), ("clusters", 25, 5), ("copies", 25, 5)])
 def test_vectors_in_a_tree(spark, monkeypatch, kind, block, leaves):
     monkeypatch.setattr(metric_tree, "LEAVES", leaves)
     monkeypatch.setattr(metric_tree, "BRANCH", 3)

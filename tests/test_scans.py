@@ -58,7 +58,7 @@ def plain_time(t):
     return t and t.replace(tzinfo=timezone.utc)
 
 
-@pytest.mark.parametrize("step, jitter, segment", [(20, 0, 60), (20, 19, 60), (400, 500, 60), (1, 0, 25), (100, 0, 1000), (301, 0, 30), (300, 0, 30)])
+@pytest.mark.parametrize("step, jitter, segment", [(20, 19, 60), (400, 500, 60), (100, 0, 1000), (301, 0, 30), (300, 0, 30)])
 def test_clearings_of_one_key(spark, apart, step, jitter, segment):
     rng = random.Random(step + jitter)
     times = [START + timedelta(seconds=i * step + rng.randint(0, jitter), microseconds=rng.choice([0, 1]) if jitter else 0) for i in range(700)]
@@ -90,7 +90,7 @@ def in_place(flags):
     return rate
 
 
-@pytest.mark.parametrize("share, band", [(0.7, 64), (0.95, 2), (0.1, 1), (1.0, 3), (0.0, 5), (0.5, 0)])
+@pytest.mark.parametrize("share, band", [(0.7, 64), (0.1, 1), (1.0, 3), (0.5, 0)])
 def test_pass_rates_of_one_run(spark, monkeypatch, share, band):
     monkeypatch.setattr(scan, "BAND", band)  # narrow ones are missed, and walked again
     rng = random.Random(band)
