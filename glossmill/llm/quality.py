@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import few, slices, staged
+from glossmill.llm.common import few, passing, slices
 
 #: Fixed values of the base rule and of the line rules.
 SYMBOLS = "#*$%&|<>"
@@ -81,24 +81,26 @@ def repeated_words(words: list[bytes], size: int = WINDOW) -> int:
 
 
 def common_lines(docs: DataFrame) -> frozenset[int]:
-    """Hashes of the lines that stand in many texts, each among different neighbours."""
+    """Hashes of the lines that stand in many texts, each among different neighbours. Texts are cut into lines once; what is kept of
+    them meanwhile are the lines' hashes."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     least = max(LEAST_TEXTS, -(-docs.count() * COMMON // 1000))
     trimmed = F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: F.length(x) > 0)
-    lines = docs.select(
-        F.xxhash64(text).alias("of"), F.transform(trimmed, lambda x: F.xxhash64(x)).alias("line")
-    ).filter(F.size("line") > 0)
-    # an end of a text is a neighbour of its own
-    end = lambda name: F.array(F.xxhash64("of", F.lit(name)))
-    above, below = F.concat(end("top"), F.slice("line", 1, F.size("line") - 1)), F.concat(F.slice("line", 2, F.size("line")), end("bottom"))
-    rows = lines.select("of", "line", above.alias("above"), below.alias("below")).select("of", F.inline(F.arrays_zip("line", "above", "below")))
-    # a line that isn't there so often isn't in so many texts; texts and neighbours are told apart for those left only
-    often = staged(rows.groupBy("line").count().filter(F.col("count") >= least).select("line"), "frequent-lines")
-    counts = rows.join(few(often), "line", "left_semi").groupBy("line").agg(
-        F.countDistinct("of").alias("texts"), F.countDistinct("above").alias("above"), F.countDistinct("below").alias("below")
-    )
-    common = counts.filter((F.col("texts") >= least) & (2 * F.least("above", "below") >= F.col("texts")))
-    return frozenset(r["line"] for r in common.select("line").collect())
+    hashed = docs.select(F.xxhash64(text).alias("of"), F.transform(trimmed, lambda x: F.xxhash64(x)).alias("line")).filter(F.size("line") > 0)
+    with passing(docs.sparkSession) as keep:
+        lines = keep(hashed, "line-hashes")
+        # a line that isn't there so often isn't in so many texts; texts and neighbours are told apart for those left only
+        once = lines.select(F.explode("line").alias("line")).groupBy("line").count()
+        often = keep(once.filter(F.col("count") >= least).select("line"), "frequent-lines")
+        # an end of a text is a neighbour of its own
+        end = lambda name: F.array(F.xxhash64("of", F.lit(name)))
+        above, below = F.concat(end("top"), F.slice("line", 1, F.size("line") - 1)), F.concat(F.slice("line", 2, F.size("line")), end("bottom"))
+        rows = lines.select("of", "line", above.alias("above"), below.alias("below")).select("of", F.inline(F.arrays_zip("line", "above", "below")))
+        counts = rows.join(few(often), "line", "left_semi").groupBy("line").agg(
+            F.countDistinct("of").alias("texts"), F.countDistinct("above").alias("above"), F.countDistinct("below").alias("below")
+        )
+        common = counts.filter((F.col("texts") >= least) & (2 * F.least("above", "below") >= F.col("texts")))
+        return frozenset(r["line"] for r in common.select("line").collect())
 
 
 def line_hash(line: str) -> int:
