@@ -16,38 +16,54 @@ from pyspark.sql import functions as F
 from glossmill.functions import text as T
 from glossmill.operators import metric_tree
 from glossmill.operators.prefix import running
-from glossmill.plans.staging import staged
+from glossmill.plans.staging import in_shares, staged
 
 EPSILON = 0.1  # what smoothing puts for no match
 MATTR_WINDOW, MATTR_STRIDE = 100, 50
 #: Windows of a chunk of places.
 CHUNK_WINDOWS = 50
+#: Characters of a corpus for each share that its n-grams are taken in, and shares at most: a share reads all texts, and holds on
+#: disk what it shuffles of them, some 15 times the texts over all shares.
+SHARE_CHARS, SHARES = 24_000_000, 16
 #: Texts of a bucket of running sums: rows carry their words.
 TEXT_ROWS = 1000
 #: Weights of the overall score.
 WEIGHTS = {"self_bleu": 0.3, "semantic": 0.3, "ttr": 0.2, "bigram": 0.1, "trigram": 0.1}
 
 
-def ngram_rows(docs: DataFrame, keep: list[str], sizes: tuple[int, ...], words: str = "w") -> DataFrame:
-    """keep, n and 128 bits (a, b) of each n-gram of the words, n being any of sizes.
+def shares_of(docs: DataFrame, text: str = "text") -> int:
+    """In how many shares of hashes n-grams of so many texts are taken."""
+    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    return int(min(SHARES, 1 + chars // SHARE_CHARS))
+
+
+def ngram_rows(docs: DataFrame, keep: list[str], sizes: tuple[int, ...], words: str = "w", share: tuple[int, int] = (0, 1)) -> DataFrame:
+    """keep, n and 128 bits (a, b) of each n-gram of the words, n being any of sizes; share: k and m, for those of which a is k
+    modulo m.
 
     Positions are exploded and hashed within generated code, which functions over arrays would leave; rows of hashes are
-    what is shuffled, not the words.
+    what is shuffled, not the words. The second hash is taken of the n-grams of the share only.
     """
     w, at = F.col(words), F.col("at")
-    least = min(sizes)
+    least, (k, m) = min(sizes), share
     places = F.when(F.size(w) >= least, F.sequence(F.lit(0), F.size(w) - least))
     gram = lambda n: [F.get(w, at + i) for i in range(n)]
-    one = lambda n: F.struct(F.lit(n).alias("n"), F.xxhash64(F.lit(n), *gram(n)).alias("a"), F.xxhash64(F.lit(-n - 1), *gram(n)).alias("b"))
+    one = lambda n: F.struct(F.lit(n).alias("n"), F.xxhash64(F.lit(n), *gram(n)).alias("a"))
     rows = docs.select(*keep, words, F.explode(places).alias("at"))
-    rows = rows.select(*keep, F.explode(F.array(*[one(n) for n in sizes])).alias("g"), (F.size(w) - at).alias("left"))
-    return rows.filter(F.col("g.n") <= F.col("left")).select(*keep, "g.n", "g.a", "g.b")
+    rows = rows.select(*keep, words, "at", F.explode(F.array(*[one(n) for n in sizes])).alias("g"))
+    rows = rows.filter(F.col("g.n") <= F.size(w) - at)
+    if m > 1:
+        rows = rows.filter(F.pmod(F.col("g.a"), F.lit(m)) == k)
+    b = None
+    for n in sizes:
+        b = F.when(F.col("g.n") == n, F.xxhash64(F.lit(-n - 1), *gram(n))) if b is None else b.when(F.col("g.n") == n, F.xxhash64(F.lit(-n - 1), *gram(n)))
+    return rows.select(*keep, "g.n", "g.a", b.alias("b"))
 
 
-def leaders(docs: DataFrame) -> DataFrame:
+def leaders(docs: DataFrame, share: tuple[int, int] = (0, 1)) -> DataFrame:
     """a, b, n, and for each n-gram of docs (seq, w) its largest count (c1), the first text that has it (seq), and its second
-    largest (c2; 0 if there is none). A task sends two rows an n-gram at most."""
-    rows = ngram_rows(docs, ["seq"], (1, 2, 3, 4)).groupBy("seq", "a", "b", "n").agg(F.count("*").alias("c"))
+    largest (c2; 0 if there is none), of a share of the n-grams. A task sends two rows an n-gram at most."""
+    rows = ngram_rows(docs, ["seq"], (1, 2, 3, 4), share=share).groupBy("seq", "a", "b", "n").agg(F.count("*").alias("c"))
     top = rows.withColumn("rank", F.row_number().over(Window.partitionBy("a", "b", "n").orderBy(F.desc("c"), "seq"))).filter("rank <= 2")
     first, second = F.col("rank") == 1, F.col("rank") == 2
     return top.groupBy("a", "b", "n").agg(
@@ -63,16 +79,25 @@ def bleu_parts(reviews: DataFrame) -> DataFrame:
     all texts but the one with the largest, which keeps the second largest. So only the two largest counts of an
     n-gram matter, and only the first loses matches: a text's matches are its n-grams less the leads that it has.
     Texts are dealt by seq, so that a text's n-grams are counted where it is; then one shuffle of 128-bit n-grams
-    finds the largest two, of which a task sends two rows each at most. Nothing is joined back.
+    finds the largest two, of which a task sends two rows each at most. Nothing is joined back. N-grams of a large corpus are taken
+    in shares of their hashes, one after the other: only one share's shuffle files are on disk, and sums a text are what stays.
     """
     docs = reviews.select("seq", "text").repartition("seq").select(
         "seq", T.words(F.col("text")).alias("w")
     ).withColumn("len", F.size("w").cast("long"))
-    leads = leaders(docs).select("seq", "n", (F.col("c1") - F.col("c2")).alias("lead")).filter("lead > 0")
-    lost = leads.groupBy("seq").agg(
-        *[F.coalesce(F.sum(F.when(F.col("n") == n, F.col("lead"))), F.lit(0)).alias(f"l{n}") for n in range(1, 5)]
-    )
-    return with_references(docs.select("seq", "len").join(lost, "seq", "left"))
+    shares = shares_of(reviews)
+
+    def lost(share: int) -> DataFrame:
+        leads = leaders(docs, (share, shares)).select("seq", "n", (F.col("c1") - F.col("c2")).alias("lead")).filter("lead > 0")
+        return leads.groupBy("seq").agg(
+            *[F.coalesce(F.sum(F.when(F.col("n") == n, F.col("lead"))), F.lit(0)).alias(f"l{n}") for n in range(1, 5)]
+        )
+
+    every = in_shares(reviews.sparkSession, lost, shares, "leads")
+    if shares > 1:
+        every = every.groupBy("seq").agg(*[F.sum(f"l{n}").alias(f"l{n}") for n in range(1, 5)])
+    sizes = docs if shares == 1 else reviews.select("seq", F.size(T.words(F.col("text"))).cast("long").alias("len"))
+    return with_references(sizes.select("seq", "len").join(every, "seq", "left"))
 
 
 def with_references(texts: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from glossmill.operators import diversity, metrics, windows
 from glossmill.operators.prefix import running
 from glossmill.operators.prefix_bleu import prefix_diversity
+from glossmill.plans import staging
 
 
 def plain_bleu(hyp, refs):
@@ -162,3 +163,22 @@ def test_pass_rate_fold(spark):
         rate = (int(rate * (n - 1)) + 1) / n if f else rate
     r = metrics.pass_rate_parity(df, "s", "i", "f").first()
     assert r.rate_parity == pytest.approx(rate) and r.rate == pytest.approx(4 / 7)
+
+
+def test_ngrams_in_shares(spark, monkeypatch):
+    """Shares of the n-grams, of which one at a time is on disk, give what all of them at once give."""
+    words = ["alpha", "beta", "gamma", "delta", "beta", "omega"]
+    texts = [" ".join(words[(i * j) % 6] for j in range(1, 3 + i % 17)) for i in range(60)] + ["", " ".join(words)]
+    reviews = spark.createDataFrame(list(enumerate(texts)), "seq long, text string")
+    whole = sorted(map(tuple, diversity.bleu_parts(reviews).collect()))
+    made = []
+    in_shares = diversity.in_shares
+    monkeypatch.setattr(diversity, "in_shares", lambda spark, make, shares, name: made.append(shares) or in_shares(spark, make, shares, name))
+    monkeypatch.setattr(diversity, "SHARE_CHARS", 500)
+    monkeypatch.setattr(diversity, "SHARES", 5)
+    before = spark.conf.get(staging.SHUFFLE_CLEANUP, None)
+    assert sorted(map(tuple, diversity.bleu_parts(reviews).collect())) == whole
+    assert made == [5] and spark.conf.get(staging.SHUFFLE_CLEANUP, None) == before
+    some = spark.createDataFrame([(0, ["a", "b", "a"])], "seq long, w array<string>")
+    grams = lambda share: sorted(map(tuple, diversity.ngram_rows(some, ["seq"], (1, 2, 3, 4), share=share).collect()))
+    assert sorted(grams((0, 2)) + grams((1, 2))) == grams((0, 1)) and len(grams((0, 1))) == 6
