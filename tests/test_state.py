@@ -3,12 +3,14 @@
 import collections
 import json
 import math
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from glossmill.operators import bleu_state, diversity, gates, metrics, prefix_bleu
+from glossmill.plans import staging
 from glossmill.plans.queries import QUERIES
 from glossmill.sources import io, providers
 
@@ -54,6 +56,21 @@ def test_a_batch_touches_its_own_ngrams_and_their_holders(spark, tmp_path):
     assert {1000, 1001} <= texts and len(texts) <= 2 + 2 * 5  # of the old texts at most those that held one of the five words
 
 
+def test_batches_in_shares_leave_the_state_alone_on_disk(spark, tmp_path, monkeypatch):
+    """Batches may differ in their shares; what is needed only while a batch is taken in goes."""
+    df = spark.createDataFrame(some_texts(random.Random(7), 40), "seq long, text string")
+    corpus = bleu_state.Corpus(spark, str(tmp_path / "state"))
+    shared = staging.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(shared))
+    for i, (lo, hi, shares) in enumerate(((0, 15, 3), (15, 22, 1), (22, 40, 4))):
+        monkeypatch.setattr(diversity, "SHARE_CHARS", 10)
+        monkeypatch.setattr(diversity, "SHARES", shares)
+        corpus.append(df.filter(F.col("seq").between(lo, hi - 1)), i)
+    monkeypatch.undo()
+    assert set(os.listdir(shared)) == before
+    assert scores(corpus.scores()) == scores(diversity.self_bleu_docs(df))
+
+
 def test_a_batch_that_broke_off_leaves_nothing(spark, tmp_path):
     corpus = bleu_state.Corpus(spark, str(tmp_path / "state"))
     df = spark.createDataFrame(some_texts(random.Random(6), 12), "seq long, text string")
