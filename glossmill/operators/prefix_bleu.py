@@ -8,7 +8,8 @@ all before. Events of a text in the order of time give its scores, and the chang
 
 No task gets a run. Texts are dealt in buckets of the order, in which most rows of an n-gram fall away: a count that
 isn't above the second largest one of its bucket changes nothing anywhere. What is left of a frequent n-gram is a few
-rows a bucket. Lengths are looked at by their first texts only, in buckets of length.
+rows a bucket. Lengths are looked at by their first texts only, in buckets of length. N-grams of a large corpus are taken in shares
+of their hashes, one after the other, as in Self-BLEU.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions import text as T
-from glossmill.operators.diversity import ngram_rows
+from glossmill.operators.diversity import ngram_rows, shares_of
 from glossmill.operators.prefix import BUCKETS, below, bucket_of, cuts_of
-from glossmill.plans.staging import staged
+from glossmill.plans.staging import in_shares, shedding, staged
 
 EPSILON = 0.1
 #: Texts of a bucket, about.
@@ -177,10 +178,16 @@ def prefix_diversity(reviews: DataFrame, run: str, order: str, text: str = "text
     ) if buckets > 1 else []
     bucket = lambda c: below(F.col(c).cast("double"), cuts) if cuts else F.lit(0)
     dealt = docs.withColumn("bucket", bucket("o")).repartition("bucket")  # a text's n-grams are counted where it is
-    grams = ngram_rows(dealt, ["r", "o", "bucket"], SIZES).groupBy("bucket", "r", "o", "n", "a", "b").agg(F.count("*").alias("c"))
-    changes = lead_changes(grams).groupBy("r", "doc", "t").agg(
-        *[F.sum(F.when(F.col("n") == k, F.col("d")).otherwise(0)).alias(f"d{k}") for k in SIZES]
-    )
+    shares = shares_of(reviews, text)
+
+    def changed(share: int) -> DataFrame:
+        grams = ngram_rows(dealt, ["r", "o", "bucket"], SIZES, share=(share, shares))
+        grams = grams.groupBy("bucket", "r", "o", "n", "a", "b").agg(F.count("*").alias("c"))
+        return lead_changes(grams).groupBy("r", "doc", "t").agg(
+            *[F.sum(F.when(F.col("n") == k, F.col("d")).otherwise(0)).alias(f"d{k}") for k in SIZES]
+        )
+
+    changes = in_shares(reviews.sparkSession, changed, shares, "lead-changes")
     sizes = staged(docs.select("r", "o", bucket("o").alias("bucket"), F.size("w").cast("long").alias("len")), "lengths")
     nothing = {f"d{k}": F.lit(0).cast("long") for k in SIZES}
     none = lambda name: F.lit(None).cast("long").alias(name)
@@ -200,7 +207,8 @@ def prefix_diversity(reviews: DataFrame, run: str, order: str, text: str = "text
     by_text = Window.partitionBy("r", "doc").orderBy("t")
     change = scored.select("r", "t", (F.col("score") - F.coalesce(F.lag("score").over(by_text), F.lit(0.0))).alias("change"))
     # the mean so far: sums within buckets of the order, and those of the buckets before, a row a run and bucket
-    times = staged(change.groupBy("r", "t").agg(F.sum("change").alias("change")).withColumn("bucket", bucket("t")), "score-changes")
+    with shedding(reviews.sparkSession):
+        times = staged(change.groupBy("r", "t").agg(F.sum("change").alias("change")).withColumn("bucket", bucket("t")), "score-changes")
     before = Window.partitionBy("r").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = times.groupBy("r", "bucket").agg(F.sum("change").alias("s"), F.count("*").alias("k"))
     offsets = totals.select(

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glossmill.operators import diversity, metrics, windows
+from glossmill.operators import diversity, metrics, prefix_bleu, windows
 from glossmill.operators.prefix import running
 from glossmill.operators.prefix_bleu import prefix_diversity
 from glossmill.plans import staging
@@ -182,3 +182,17 @@ def test_ngrams_in_shares(spark, monkeypatch):
     some = spark.createDataFrame([(0, ["a", "b", "a"])], "seq long, w array<string>")
     grams = lambda share: sorted(map(tuple, diversity.ngram_rows(some, ["seq"], (1, 2, 3, 4), share=share).collect()))
     assert sorted(grams((0, 2)) + grams((1, 2))) == grams((0, 1)) and len(grams((0, 1))) == 6
+
+
+def test_prefix_series_in_shares(spark, monkeypatch):
+    """The series over a growing corpus, with n-grams in shares."""
+    rng = random.Random(8)
+    rows = [(k % 2, k, " ".join(f"w{rng.randrange(12)}" for _ in range(rng.randrange(0, 25)))) for k in range(50)]
+    df = spark.createDataFrame(rows, "run int, seq long, text string")
+    series = lambda: {(r.run, r.seq): round(r.self_bleu_diversity, 9) for r in prefix_diversity(df, "run", "seq", bucket_texts=20).collect()}
+    whole, made = series(), []
+    in_shares = prefix_bleu.in_shares
+    monkeypatch.setattr(prefix_bleu, "in_shares", lambda spark, make, shares, name: made.append(shares) or in_shares(spark, make, shares, name))
+    monkeypatch.setattr(diversity, "SHARE_CHARS", 300)
+    monkeypatch.setattr(diversity, "SHARES", 3)
+    assert series() == whole and made == [3]
