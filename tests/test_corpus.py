@@ -196,3 +196,18 @@ def test_prefix_series_in_shares(spark, monkeypatch):
     monkeypatch.setattr(diversity, "SHARE_CHARS", 300)
     monkeypatch.setattr(diversity, "SHARES", 3)
     assert series() == whole and made == [3]
+
+
+def test_windows_and_diversity_in_shares(spark, monkeypatch):
+    """MATTR by shares of places, distinct n-grams by shares of hashes, and the table of texts gone afterwards."""
+    rng = random.Random(9)
+    texts = [" ".join(f"W{rng.randrange(9)}" for _ in range(rng.choice((0, 1, 7, 40, 130)))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq long, text string")
+    monkeypatch.setattr(diversity, "CHUNK_WINDOWS", 2)
+    measures = lambda: [diversity.mattr(df, 10, 3).first()[0], tuple(diversity.ngram_diversity(df, 2).first()), tuple(diversity.ngram_diversity(df, 3).first())]
+    whole, made = measures(), []
+    in_shares = diversity.in_shares
+    monkeypatch.setattr(diversity, "in_shares", lambda spark, make, shares, name: made.append(shares) or in_shares(spark, make, shares, name))
+    monkeypatch.setattr(diversity, "SHARE_CHARS", 500)
+    monkeypatch.setattr(diversity, "SHARES", 4)
+    assert measures() == whole and made == [4, 4, 4]
