@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -633,6 +634,48 @@ def test_long_runs_of_white_space_are_tokenised(encoder):
         assert np.frombuffer(pieces.encode(t), "<u2").tolist() == np.frombuffer(encoder.encode(t), "<u4").tolist()
 
 
+def test_texts_are_tokenised_by_words_as_the_library_does(library):
+    """Wherever white space stands, and in batches of any size; parts of an array too."""
+    pieces, mark, rng = binary_out.pieces_of(bpe.read_ranks(P.path(bpe.VOCABULARY)), 2), b"\x50\xc4", random.Random(12)
+    words = ["a", "the", "x1", "12", "'s", "'ll", "...", ",", "é", "漢字", "👍", "\x00", "<|endoftext|>", "\u200b", "\u180e", "\ufeff"]
+    white = [" ", "  ", "   ", "\n", "\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u3000"]
+    texts = ["".join(rng.choices(words + white + [" "] * often, k=rng.randrange(30))) for often in (0, 16, 80) for _ in range(3000)]
+    texts += ["", " ", "  ", "a ", " a", "x" * 3000 + " y " + "z" * 1000, "a" + "\n" * 5000 + "b c", "a" + " " * 300_000 + "b c"]
+    made = [np.array([*library.encode_ordinary(t), 50256], "<u2").tobytes() for t in texts[:-1]] + [pieces.encode(texts[-1]) + mark]
+    whole = pa.array(texts)
+    assert pieces.ended(whole, mark).to_pylist() == made
+    assert pieces.ended(whole.slice(10, 500), mark).to_pylist() == made[10:510]
+    assert [x for i in range(200) for x in pieces.ended(whole.slice(i, 1), mark).to_pylist()] == made[:200]
+
+
+def test_a_word_is_tokenised_once_in_many_texts(spark, monkeypatch):
+    """What is encoded are different words, however often they come, and whatever white space stands between."""
+    pieces, mark = binary_out.pieces_of(bpe.read_ranks(P.path(bpe.VOCABULARY)), 2), b"\x50\xc4"
+    seen, sent, split, library = [], [], pieces.split, pieces.library
+    monkeypatch.setattr(pieces, "split", lambda t: seen.append(len(t)) or split(t))
+
+    class Counted:
+        def encode_to_numpy(self, text, **options):
+            sent.append(len(text))
+            return library.encode_to_numpy(text, **options)
+
+    monkeypatch.setattr(pieces, "library", Counted())
+    texts = [f"Some words, and some words{gap}once more. " * 200 + f"number{i}" for i in range(100) for gap in ("\n", "   ", "\n    ")]
+    ids = pieces.ended(pa.array(texts), mark).to_pylist()
+    assert ids[7] == b"".join(map(pieces.__getitem__, split(texts[7]))) + mark
+    assert sum(sent) < 5000 and sum(seen) < 5000 < sum(map(len, texts)) / 400
+
+
+def test_small_buckets_share_tasks(spark, docs):
+    """Many buckets are fewer tasks, and there are tasks for all cores; slots don't change (see the layouts above)."""
+    made, width, pad = binary_out.tokenised(docs, bpe.read_ranks(P.path(bpe.VOCABULARY)))
+    cores = spark.sparkContext.defaultParallelism
+    for buckets in (1, 7, 20 * cores, 100 * cores):
+        rows = binary_out.dealt(made, buckets, 1000)
+        tasks = binary_out.packed(rows, buckets, 128, width, pad, binary_out.KEY)[0].rdd.getNumPartitions()
+        assert min(buckets, 4 * cores) <= tasks <= max(buckets / 8 + 1, 8 * cores)
+
+
 def test_written_order_of_no_rows_and_null_ids(spark):
     table = spark.createDataFrame([(None, "some text"), (5, None), (-3, "")], "doc_id long, text string")
     (row,) = binary_out.written_order(table, length=8).collect()
