@@ -30,6 +30,23 @@ def test_csv_to_reviews(spark, tmp_path):
     assert io.read_reviews(spark, str(tmp_path / "out")).count() == 4
 
 
+def test_collected_reviews_keep_odd_ids_and_long_texts(spark, tmp_path):
+    """Rows of negative ids, blank texts and texts beyond the parser's own bound come back as in the query's SQL; one without an id is there."""
+    import duckdb
+
+    from glossmill.plans.queries import QUERIES, SQL
+
+    rows = [(-3, "a", "en", "s"), (-2, "b", "en", "s"), (0, "", "de", "s"), (1, "", "de", "s"), (2, "x" * 20_000_001, "fr", "s"), (3, "c\r\nd", "fr", "s")]
+    schema = "doc_id long, text string, lang string, source string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    df = QUERIES["collected_reviews"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, df.collect())) == sorted(con.execute(f"select {', '.join(df.columns)} from ({SQL['collected_reviews']})").fetchall())
+    spark.createDataFrame([(None, "a", "en", "s"), *rows[:2]], schema).write.parquet(str(tmp_path / "no-id" / "documents.parquet"))
+    assert QUERIES["collected_reviews"](spark, str(tmp_path / "no-id")).count() == 3
+
+
 def test_template_and_logs(spark, tmp_path):
     io.write_template(spark, str(tmp_path / "t"), "g2")
     assert spark.read.text(str(tmp_path / "t")).first()[0].endswith("url,company_size,industry,role")
