@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions import text as T
-from glossmill.operators import metric_tree
+from glossmill.operators import metric_tree, packed
 from glossmill.operators.prefix import running
 from glossmill.plans.staging import in_shares, passing, shedding, staged
 
@@ -24,8 +24,10 @@ MATTR_WINDOW, MATTR_STRIDE = 100, 50
 #: Windows of a chunk of places.
 CHUNK_WINDOWS = 50
 #: Characters of a corpus for each share that its n-grams are taken in, and shares at most: a share reads all texts, and holds on
-#: disk what it shuffles of them, some 15 times the texts over all shares.
-SHARE_CHARS, SHARES = 5_000_000, 16
+#: disk what it shuffles of them, some 15 times the texts over all shares. Packed n-grams are smaller, so theirs are fewer.
+SHARE_CHARS, SHARES, PACKED_SHARES = 5_000_000, 16, 8
+#: Texts of a group that sums the leads of texts, about.
+TEXTS_A_PART = 20_000
 #: Texts of a bucket of running sums: rows carry their words.
 TEXT_ROWS = 1000
 #: Weights of the overall score.
@@ -34,7 +36,10 @@ WEIGHTS = {"self_bleu": 0.3, "semantic": 0.3, "ttr": 0.2, "bigram": 0.1, "trigra
 
 def shares_of(docs: DataFrame, text: str = "text") -> int:
     """In how many shares of hashes n-grams of so many texts are taken."""
-    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    return shares_for(docs.agg(F.sum(F.length(text))).first()[0] or 0)
+
+
+def shares_for(chars: int) -> int:
     return int(min(SHARES, 1 + chars // SHARE_CHARS))
 
 
@@ -79,26 +84,34 @@ def bleu_parts(reviews: DataFrame) -> DataFrame:
     A text's n-gram counts are clipped by the largest count in any other text. That is its own count or more for
     all texts but the one with the largest, which keeps the second largest. So only the two largest counts of an
     n-gram matter, and only the first loses matches: a text's matches are its n-grams less the leads that it has.
-    Texts are dealt by seq, so that a text's n-grams are counted where it is; then one shuffle of 128-bit n-grams
-    finds the largest two, of which a task sends two rows each at most. Nothing is joined back. N-grams of a large corpus are taken
-    in shares of their hashes, one after the other: only one share's shuffle files are on disk, and sums a text are what stays.
+    A text's n-grams are counted where it is, as packed hashes; one shuffle of these finds the largest two, another sums the
+    leads of a text. Nothing is joined back. N-grams of a large corpus are taken in shares, one after the other: words are
+    hashed once, only one share's shuffle files are on disk, and sums a text are what stays.
     """
-    docs = reviews.select("seq", "text").repartition("seq").select(
-        "seq", T.words(F.col("text")).alias("w")
-    ).withColumn("len", F.size("w").cast("long"))
-    shares = shares_of(reviews)
-
-    def lost(share: int) -> DataFrame:
-        leads = leaders(docs, (share, shares)).select("seq", "n", (F.col("c1") - F.col("c2")).alias("lead")).filter("lead > 0")
-        return leads.groupBy("seq").agg(
-            *[F.coalesce(F.sum(F.when(F.col("n") == n, F.col("lead"))), F.lit(0)).alias(f"l{n}") for n in range(1, 5)]
-        )
+    there = reviews.agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n"), F.count("seq").alias("known"), F.count_distinct("seq").alias("ids")).first()
+    shares = min(PACKED_SHARES, shares_for(there["chars"] or 0))
+    sizes = reviews.select("seq", F.size(T.words(F.col("text"))).cast("long").alias("len"))
+    if there["n"] == there["known"] == there["ids"] and dict(reviews.dtypes)["seq"] in ("int", "bigint"):
+        hashes = packed.hashed(reviews.select(F.col("seq").cast("long").alias("seq"), "text"), ["seq"])
+        buckets, parts = packed.buckets_of(there["chars"] or 0, shares), int(min(1 << 16, 8 + there["n"] // TEXTS_A_PART))
+        if shares == 1:
+            return with_references(sizes.join(packed.lost_matches(hashes, (0, 1), buckets, parts), "seq", "left"))
+        with shedding(reviews.sparkSession), passing(reviews.sparkSession) as keep:
+            known = keep(hashes, "word-hashes")
+            every = in_shares(reviews.sparkSession, lambda share: packed.lost_matches(known, (share, shares), buckets, parts), shares, "leads")
+    else:  # texts of one id are one text of several pieces
+        docs = reviews.select("seq", "text").repartition("seq").select("seq", T.words(F.col("text")).alias("w"))
+
+        def lost(share: int) -> DataFrame:
+            leads = leaders(docs, (share, shares)).select("seq", "n", (F.col("c1") - F.col("c2")).alias("lead")).filter("lead > 0")
+            return leads.groupBy("seq").agg(
+                *[F.coalesce(F.sum(F.when(F.col("n") == n, F.col("lead"))), F.lit(0)).alias(f"l{n}") for n in range(1, 5)]
+            )
 
-    every = in_shares(reviews.sparkSession, lost, shares, "leads")
+        every = in_shares(reviews.sparkSession, lost, shares, "leads")
     if shares > 1:
         every = every.groupBy("seq").agg(*[F.sum(f"l{n}").alias(f"l{n}") for n in range(1, 5)])
-    sizes = docs if shares == 1 else reviews.select("seq", F.size(T.words(F.col("text"))).cast("long").alias("len"))
-    return with_references(sizes.select("seq", "len").join(every, "seq", "left"))
+    return with_references(sizes.join(every, "seq", "left"))
 
 
 def with_references(texts: DataFrame) -> DataFrame:

@@ -184,6 +184,23 @@ def test_ngrams_in_shares(spark, monkeypatch):
     assert sorted(grams((0, 2)) + grams((1, 2))) == grams((0, 1)) and len(grams((0, 1))) == 6
 
 
+def test_shares_read_hashes_of_words(spark, monkeypatch):
+    """Texts are cut into words once, not by each share; texts of one id are still one text of two pieces."""
+    texts = [" ".join(f"w{(i * j) % 11}" for j in range(1, 4 + i % 13)) for i in range(40)]
+    reviews = spark.createDataFrame(list(enumerate(texts)), "seq long, text string")
+    plans, in_shares = [], diversity.in_shares
+    monkeypatch.setattr(diversity, "SHARE_CHARS", 300)
+    monkeypatch.setattr(diversity, "SHARES", 3)
+    with monkeypatch.context() as m:
+        m.setattr(diversity, "in_shares", lambda spark, make, shares, name: plans.append(make(0)._jdf.queryExecution().toString()) or in_shares(spark, make, shares, name))
+        got = {r.seq: r.bleu for r in diversity.self_bleu_docs(reviews).collect()}
+    assert len(plans) == 1 and "split(" not in plans[0]
+    words = [t.split() for t in texts]
+    assert got == {i: pytest.approx(plain_bleu(w, words[:i] + words[i + 1 :])) for i, w in enumerate(words)}
+    twice = reviews.unionByName(reviews.filter("seq = 3"))
+    assert diversity.self_bleu_docs(twice).filter("seq = 3").count() == 2
+
+
 def test_prefix_series_in_shares(spark, monkeypatch):
     """The series over a growing corpus, with n-grams in shares."""
     rng = random.Random(8)
