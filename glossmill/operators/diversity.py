@@ -5,13 +5,13 @@ Nothing here compares texts in pairs but the extremes of cosine similarity, whic
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions import text as T
@@ -22,7 +22,7 @@ from glossmill.plans.staging import in_shares, passing, shedding, staged
 EPSILON = 0.1  # what smoothing puts for no match
 MATTR_WINDOW, MATTR_STRIDE = 100, 50
 #: Windows of a chunk of places.
-CHUNK_WINDOWS = 50
+CHUNK_WINDOWS = 2000
 #: Characters of a corpus for each share that its n-grams are taken in, and shares at most: a share reads all texts, and holds on
 #: disk what it shuffles of them, some 15 times the texts over all shares. Packed n-grams are smaller, so theirs are fewer.
 SHARE_CHARS, SHARES, PACKED_SHARES = 5_000_000, 16, 8
@@ -176,55 +176,55 @@ def mattr(reviews: DataFrame, window: int = MATTR_WINDOW, stride: int = MATTR_ST
     A window's different words are those whose earlier place lies before it. So a word counts in a range of windows: from the
     first that begins behind its earlier place, and reaches it, to the last that has begun. The sum of these ranges is what all
     windows hold; no window is gathered. Earlier places further back than a window don't matter, so words are dealt in chunks of
-    places, with a window's words before them. Chunks of a large corpus are taken in shares; their texts lie together in a table that
-    goes afterwards.
+    places, with a window's words before them. Words are packed hashes; chunks of a large corpus are taken in shares.
     """
-    total = reviews.agg(F.sum(T.word_count(F.col("text")))).first()[0] or 0
+    hashes, shares = packed.hashed(reviews, ["seq"], lower=True), shares_of(reviews)
+    with shedding(reviews.sparkSession), passing(reviews.sparkSession) as keep:
+        one = windows_of(keep(hashes, "word-hashes") if shares > 1 else hashes, window, stride, min(PACKED_SHARES, shares), keep)
+    return one if one is not None else type_token(reviews).select(F.col("ttr").alias("mattr"))
+
+
+def windows_of(hashes: DataFrame, window: int, stride: int, shares: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame | None:
+    """mattr of texts (seq, h); None if all words don't fill a window."""
+    total = hashes.agg(F.sum(F.size("h"))).first()[0] or 0
     if total < window:
-        return type_token(reviews).select(F.col("ttr").alias("mattr"))
-    docs = reviews.select("seq", F.lower("text").alias("text"), T.word_count(F.col("text")).alias("n"))
-    placed = running(docs, "seq", {"end": F.col("n")}, bucket_rows=TEXT_ROWS).select((F.col("end") - F.col("n")).alias("begin"), "end", "text")
+        return None
+    docs = hashes.withColumn("n", F.size("h").cast("long"))
+    placed = running(docs, "seq", {"end": F.col("n")}, bucket_rows=TEXT_ROWS).select((F.col("end") - F.col("n")).alias("begin"), "end", "h")
     size = CHUNK_WINDOWS * window
-    chunks, windows, shares = total // size + 1, (total - window) // stride + 1, shares_of(reviews)
+    chunks, windows = total // size + 1, (total - window) // stride + 1
 
     def held(texts: DataFrame, share: int) -> DataFrame:
         """What the windows hold by the words of a share of the chunks."""
         some, behind = share * chunks // shares, (share + 1) * chunks // shares
         near = texts.filter((F.col("begin") < behind * size) & (F.col("end") > some * size - window))
-        word = near.select("begin", F.posexplode(T.words(F.col("text"))).alias("i", "word")).select(
-            (F.col("begin") + F.col("i")).alias("g"), F.xxhash64(F.lit(1), "word").alias("a"), F.xxhash64(F.lit(2), "word").alias("b")
-        )
-        home, next_ = F.floor(F.col("g") / size), F.col("g") % size > size - window
-        dealt = word.select("g", "a", "b", F.explode(F.when(next_, F.array(home, home + 1)).otherwise(F.array(home))).alias("chunk"))
-        dealt = dealt.filter((F.col("chunk") >= some) & (F.col("chunk") < behind))
-        earlier = F.lag("g").over(Window.partitionBy("chunk", "a", "b").orderBy("g"))
-        mine = dealt.withColumn("q", earlier).filter(F.col("chunk") == home)
-        first = F.greatest(F.coalesce(F.floor(F.col("q") / stride) + 1, F.lit(0)), F.floor((F.col("g") - window) / stride) + 1, F.lit(0))
-        last = F.least(F.floor(F.col("g") / stride), F.lit(windows - 1))
-        return mine.agg(F.sum(F.greatest(last - first + 1, F.lit(0))).alias("held"))
-
-    if shares == 1:
-        parts = held(placed, 0)
-    else:
-        with shedding(reviews.sparkSession), passing(reviews.sparkSession) as keep:
-            there = keep(placed, "placed-texts")
-            parts = in_shares(reviews.sparkSession, lambda share: held(there, share), shares, "windows")
+        return packed.held_by_windows(near.select("begin", "h"), window, stride, size, windows, (some, behind)).agg(F.sum("held").alias("held"))
+
+    there = keep(placed, "placed-words") if shares > 1 else placed
+    parts = in_shares(hashes.sparkSession, lambda share: held(there, share), shares, "windows")
     return parts.agg((F.sum("held") / F.lit(float(windows * window))).alias("mattr"))
 
 
 def ngram_diversity(reviews: DataFrame, n: int) -> DataFrame:
     """One row: distinct over all n-grams, which don't cross texts; 0 without any."""
-    docs = reviews.select(T.words(F.lower(F.col("text"))).alias("w"))  # a column of its own: cut once, not for each n-gram
-    shares = shares_of(reviews)
+    hashes = packed.hashed(reviews, [], lower=True)
+    chars = reviews.agg(F.sum(F.length("text"))).first()[0] or 0
+    with shedding(reviews.sparkSession), passing(reviews.sparkSession) as keep:
+        every = ngram_counts(keep(hashes, "word-hashes") if shares_for(chars) > 1 else hashes, (n,), chars)
+    return every.select("total", "unique_ngrams", ratio("unique_ngrams", "total").alias("diversity"))
+
 
-    def counted(share: int) -> DataFrame:
-        counts = ngram_rows(docs, [], (n,), share=(share, shares)).groupBy("a", "b").agg(F.count("*").alias("k"))
-        return counts.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("total"), F.count("*").alias("unique_ngrams"))
+def ratio(part: str, of: str) -> Column:
+    return F.coalesce(F.try_divide(F.col(part).cast("double"), F.col(of).cast("double")), F.lit(0.0))
 
-    every = in_shares(reviews.sparkSession, counted, shares, "ngram-counts")
-    return every.agg(F.sum("total").alias("total"), F.sum("unique_ngrams").alias("unique_ngrams")).select(
-        "total", "unique_ngrams",
-        F.coalesce(F.try_divide(F.col("unique_ngrams").cast("double"), F.col("total").cast("double")), F.lit(0.0)).alias("diversity"),
+
+def ngram_counts(hashes: DataFrame, sizes: tuple[int, ...], chars: int) -> DataFrame:
+    """One row: total and unique_ngrams of the size; of several sizes, total1, unique_ngrams1 and so on."""
+    shares = min(PACKED_SHARES, shares_for(chars))
+    buckets = packed.buckets_of(chars, shares)
+    every = in_shares(hashes.sparkSession, lambda share: packed.distinct_counts(hashes, sizes, (share, shares), buckets), shares, "ngram-counts")
+    return every.agg(
+        *[F.coalesce(F.sum(F.when(F.col("n") == n, F.col(x))), F.lit(0)).alias(x if len(sizes) == 1 else f"{x}{n}") for n in sizes for x in ("total", "unique_ngrams")]
     )
 
 
@@ -347,11 +347,19 @@ def cosine_extremes(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
 
 
 def overall(reviews: DataFrame, vectors: DataFrame, vector: str = "embedding") -> DataFrame:
-    """One row: each measure and their weighted sum. Each is written before the next begins, and its shuffle files go."""
-    diversities = [ngram_diversity(reviews, n).select(F.col("diversity").alias(f"{name}_diversity")) for n, name in ((2, "bigram"), (3, "trigram"))]
-    with shedding(reviews.sparkSession):
-        measures = [self_bleu_diversity(reviews), cosine_moments(vectors, vector).select("avg_similarity"), type_token(reviews), *diversities, mattr(reviews)]
-        one = reduce(DataFrame.crossJoin, [staged(measure, "measure") for measure in measures])
+    """One row: each measure and their weighted sum. Each is written before the next begins, and its shuffle files go. Lower-case
+    words are hashed once for all that counts them."""
+    chars = reviews.agg(F.sum(F.length("text"))).first()[0] or 0
+    with shedding(reviews.sparkSession), passing(reviews.sparkSession) as keep:
+        words = keep(packed.hashed(reviews, ["seq"], lower=True), "word-hashes")
+        counts = staged(ngram_counts(words, (1, 2, 3), chars), "measure").select(
+            F.col("total1").alias("total_words"), F.col("unique_ngrams1").alias("vocabulary_size"), ratio("unique_ngrams1", "total1").alias("ttr"),
+            ratio("unique_ngrams2", "total2").alias("bigram_diversity"), ratio("unique_ngrams3", "total3").alias("trigram_diversity"),
+        )
+        moving = windows_of(words, MATTR_WINDOW, MATTR_STRIDE, min(PACKED_SHARES, shares_for(chars)), keep)
+        moving = counts.select(F.col("ttr").alias("mattr")) if moving is None else staged(moving, "measure")
+        measures = [staged(m, "measure") for m in (self_bleu_diversity(reviews), cosine_moments(vectors, vector).select("avg_similarity"))]
+        one = reduce(DataFrame.crossJoin, [*measures, counts, moving])
     one = one.withColumn("semantic_diversity", F.lit(1.0) - F.col("avg_similarity"))
     w = WEIGHTS
     score = F.lit(w["self_bleu"]) * F.col("self_bleu_diversity") + F.lit(w["semantic"]) * F.col("semantic_diversity") + F.lit(w["ttr"]) * F.col("ttr") + F.lit(w["bigram"]) * F.col("bigram_diversity") + F.lit(w["trigram"]) * F.col("trigram_diversity")

@@ -195,3 +195,37 @@ def distinct_counts(hashes: DataFrame, sizes: tuple[int, ...], share: tuple[int,
         )
 
     return hashes.mapInArrow(cut, PACKED).groupBy("n", "bucket").applyInArrow(counted, "n int, total long, unique_ngrams long")
+
+
+def held_by_windows(hashes: DataFrame, window: int, stride: int, size: int, windows: int, some: tuple[int, int]) -> DataFrame:
+    """held (in parts, to be added): the different words of all windows, each stride words further, by the words of some chunks of so many
+    places. hashes: begin (the place of a text's first word) and h. A chunk gets the words of a window before it too."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begins, rows = batch.column("begin").to_numpy(), []
+            for begin, h in zip(begins.tolist(), batch.column("h")):
+                words = h.values.to_numpy()
+                end = begin + len(words)
+                for k in range(max(some[0], begin // size), min(some[1], (end + window - 2) // size + 1)):
+                    lo, hi = max(begin, k * size - window + 1), min(end, (k + 1) * size)
+                    if hi > lo:
+                        rows.append((k, lo, words[lo - begin : hi - begin].tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 3, kinds)], names=["chunk", "at", "data"])
+
+    def held(table: pa.Table) -> pa.Table:
+        begin, table = table.column("chunk")[0].as_py() * size, table.sort_by("at")
+        words = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("data")]
+        g = np.concatenate([np.arange(at, at + len(w)) for at, w in zip(table.column("at").to_pylist(), words)])
+        word = np.concatenate(words)
+        order = np.argsort(word, kind="stable")
+        same = word[order][1:] == word[order][:-1]
+        opens = np.zeros(len(g), np.int64)  # the first window that begins behind a word's earlier place
+        opens[order[1:][same]] = g[order[:-1][same]] // stride + 1
+        mine = g >= begin
+        first = np.maximum(np.maximum(opens, (g - window) // stride + 1), 0)[mine]
+        last = np.minimum(g // stride, windows - 1)[mine]
+        return pa.table({"held": pa.array([int(np.maximum(last - first + 1, 0).sum())])})
+
+    return hashes.mapInArrow(deal, "chunk long, at long, data binary").groupBy("chunk").applyInArrow(held, "held long")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glossmill.operators import diversity, metrics, prefix_bleu, windows
+from glossmill.operators import diversity, metrics, packed, prefix_bleu, windows
 from glossmill.operators.prefix import running
 from glossmill.operators.prefix_bleu import prefix_diversity
 from glossmill.plans import staging
@@ -201,6 +201,26 @@ def test_shares_read_hashes_of_words(spark, monkeypatch):
     assert diversity.self_bleu_docs(twice).filter("seq = 3").count() == 2
 
 
+def test_overall_hashes_lower_case_words_once(spark, monkeypatch):
+    """All measures of lower-case words come from one table of hashes, and are those of the single measures; windows cross chunks and texts."""
+    rng = random.Random(5)
+    texts = [" ".join(f"W{rng.randrange(30)}" for _ in range(rng.choice((0, 1, 30, 90, 260)))) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq long, text string")
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.6, 0.8])], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(diversity, "CHUNK_WINDOWS", 3)
+    made, hashed = [], packed.hashed
+    monkeypatch.setattr(packed, "hashed", lambda *a, **k: made.append(k.get("lower", False)) or hashed(*a, **k))
+    one = diversity.overall(df, vectors).first()
+    assert made == [True, False]
+    words = [w.lower() for t in texts for w in t.split()]
+    starts = range(0, len(words) - 100 + 1, 50)
+    assert one.mattr == pytest.approx(np.mean([len(set(words[i : i + 100])) / 100 for i in starts]))
+    assert (one.total_words, one.vocabulary_size) == (len(words), len(set(words)))
+    for n, name in ((2, "bigram_diversity"), (3, "trigram_diversity")):
+        grams = [tuple(w[i : i + n]) for t in texts for w in [t.lower().split()] for i in range(len(w) - n + 1)]
+        assert one[name] == pytest.approx(len(set(grams)) / len(grams)) and diversity.ngram_diversity(df, n).first().total == len(grams)
+
+
 def test_prefix_series_in_shares(spark, monkeypatch):
     """The series over a growing corpus, with n-grams in shares."""
     rng = random.Random(8)
