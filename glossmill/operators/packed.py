@@ -229,3 +229,90 @@ def held_by_windows(hashes: DataFrame, window: int, stride: int, size: int, wind
         return pa.table({"held": pa.array([int(np.maximum(last - first + 1, 0).sum())])})
 
     return hashes.mapInArrow(deal, "chunk long, at long, data binary").groupBy("chunk").applyInArrow(held, "held long")
+
+
+def before(key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For rows in groups (key: 0, 1, ... in order; within one by time): which open a group, the largest c of the group before a row (0 if
+    none), the row that had it first, and the second largest."""
+    n, row = len(key), np.arange(len(key))
+    opens = np.ones(n, bool)
+    opens[1:] = key[1:] != key[:-1]
+    wide = np.int64(1) << np.int64(32)
+
+    def largest(x: np.ndarray) -> np.ndarray:
+        """The largest x of the group before each row: groups rise, so that one running maximum does for all."""
+        run = np.maximum.accumulate(key * wide + x)
+        out = np.zeros(n, np.int64)
+        out[1:] = run[:-1] - key[1:] * wide
+        out[opens] = 0
+        return out
+
+    m1 = largest(c)
+    holder = np.zeros(n, np.int64)
+    holder[1:] = np.maximum.accumulate(np.where(opens | (c > m1), row, 0))[:-1]
+    return opens, m1, holder, largest(np.minimum(c, m1))
+
+
+def lead_changes(hashes: DataFrame, share: tuple[int, int], buckets: int, parts: int) -> DataFrame:
+    """rh, doc, t, d1..d4: by how much the matches that doc lacks change as the text t of its run comes. hashes: rh (a hash of the run), o
+    (the order; different within a run) and h. Of a slice only those rows are sent whose count is above the second largest before them."""
+
+    def ordered(run: np.ndarray, o: np.ndarray, a: np.ndarray, *rest: np.ndarray) -> list[np.ndarray]:
+        order = np.lexsort((o, run, a))
+        return [x[order] for x in (run, o, a, *rest)]
+
+    def groups(a: np.ndarray, run: np.ndarray) -> np.ndarray:
+        new = np.zeros(len(a), np.int64)
+        new[firsts(a, run)] = 1
+        return np.cumsum(new) - 1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs, os_ = batch.column("rh").to_numpy(), batch.column("o").to_numpy()
+            for i, j, words, lens in slices(batch):
+                out = []
+                for n, doc, a, b in grams(words, lens, (1, 2, 3, 4), share):
+                    order = np.argsort(a, kind="stable")
+                    a, doc, b = a[order], doc[order], b[order]
+                    own = firsts(a, doc)
+                    c = np.diff(np.append(own, len(a))).astype(np.int64)
+                    run, o, a, b, c = ordered(runs[i:j][doc[own]], os_[i:j][doc[own]], a[own], b[own], c)
+                    opens, _, _, m2 = before(groups(a, run), c)
+                    some = opens | (c > m2)
+                    run, o, a, b, c = run[some], o[some], a[some], b[some], c[some]
+                    # an n-gram of a run is one, so both say where it goes
+                    spot = spots(b ^ mixed(run.view(np.uint64), C), buckets)
+                    out += [(n, k, size, data) for k, data, size in by_bucket(spot, [a, run, o, c.astype(np.int32)])]
+                yield packed(out)
+
+    def changes(table: pa.Table) -> pa.Table:
+        n = table.column("n")[0].as_py()
+        a, run, o, c = joined(table, [np.uint64, np.int64, np.int64, np.int32])
+        run, o, a, c = ordered(run, o, a, c.astype(np.int64))
+        key = groups(a, run)
+        opens, _, _, m2 = before(key, c)
+        some = opens | (c > m2)  # nothing else changes what comes after it
+        run, o, c, key = run[some], o[some], c[some], key[some]
+        opens, m1, holder, m2 = before(key, c)
+        ahead = ~opens & (c > m1)
+        # a new text has all that no other has; it takes from the holder what it gains on the second, and leads by what it has more
+        events = [
+            (o, o, run, np.where(opens, c, c - m1), opens | ahead),
+            (o[holder], o, run, np.where(ahead, m2 - m1, m2 - c), ~opens),
+        ]
+        doc, t, run, d = (np.concatenate([e[k][e[4]] for e in events]) for k in range(4))
+        spot = (mixed(doc.view(np.uint64) ^ run.view(np.uint64), D) % np.uint64(parts)).astype(np.uint16)
+        return pa.Table.from_batches([packed([(n, k, size, data) for k, data, size in by_bucket(spot, [run, doc, t, d.astype(np.int32)])])])
+
+    def summed(table: pa.Table) -> pa.Table:
+        every = [joined(table.filter(pc.equal(table.column("n"), n)), [np.int64, np.int64, np.int64, np.int32]) for n in range(1, 5)]
+        run, doc, t, d = (np.concatenate([e[k] for e in every]) for k in range(4))
+        n = np.repeat(np.arange(4), [len(e[0]) for e in every])
+        order = np.lexsort((t, doc, run))
+        run, doc, t, d, n = run[order], doc[order], t[order], d[order], n[order]
+        starts = firsts(run, doc, t)
+        sums = {f"d{k + 1}": np.add.reduceat(np.where(n == k, d, 0).astype(np.int64), starts) if len(d) else np.zeros(0, np.int64) for k in range(4)}
+        return pa.table({"rh": run[starts], "doc": doc[starts], "t": t[starts], **sums})
+
+    rows = hashes.select("rh", "o", "h").mapInArrow(cut, PACKED).groupBy("n", "bucket").applyInArrow(changes, PACKED)
+    return rows.groupBy("bucket").applyInArrow(summed, "rh long, doc long, t long, d1 long, d2 long, d3 long, d4 long")

@@ -22,9 +22,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions import text as T
-from glossmill.operators.diversity import ngram_rows, shares_of
+from glossmill.operators import packed
+from glossmill.operators.diversity import PACKED_SHARES, TEXTS_A_PART, ngram_rows, shares_for
 from glossmill.operators.prefix import BUCKETS, below, bucket_of, cuts_of
-from glossmill.plans.staging import in_shares, shedding, staged
+from glossmill.plans.staging import in_shares, passing, shedding, staged
 
 EPSILON = 0.1
 #: Texts of a bucket, about.
@@ -165,6 +166,15 @@ def bleu(length: Column, ref: Column, lost: dict[int, Column]) -> Column:
     return F.when(ref.isNull() | (total[1] - lost[1] == 0), F.lit(0.0)).otherwise(brevity * F.exp(log))
 
 
+def plain_changes(dealt: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """r, doc, t, d1..d4 of a share of the n-grams, row by row."""
+    grams = ngram_rows(dealt, ["r", "o", "bucket"], SIZES, share=share)
+    grams = grams.groupBy("bucket", "r", "o", "n", "a", "b").agg(F.count("*").alias("c"))
+    return lead_changes(grams).groupBy("r", "doc", "t").agg(
+        *[F.sum(F.when(F.col("n") == k, F.col("d")).otherwise(0)).alias(f"d{k}") for k in SIZES]
+    )
+
+
 def prefix_diversity(reviews: DataFrame, run: str, order: str, text: str = "text", bucket_texts: int = BUCKET_TEXTS) -> DataFrame:
     """run, order, self_bleu_diversity of each text among those of its run up to it; 1 for the first. The order tells a
     run's texts apart; a null text has no words."""
@@ -177,17 +187,22 @@ def prefix_diversity(reviews: DataFrame, run: str, order: str, text: str = "text
         set(docs.select(F.col("o").cast("double").alias("o")).approxQuantile("o", [i / buckets for i in range(1, buckets)], 0.25 / buckets))
     ) if buckets > 1 else []
     bucket = lambda c: below(F.col(c).cast("double"), cuts) if cuts else F.lit(0)
+    there = reviews.agg(F.sum(F.length(text)).alias("chars")).first()
+    shares = shares_for(there["chars"] or 0)
+    ids = docs.groupBy("r", "o").agg(F.count("*").alias("k")).agg(F.max("k").alias("k"), F.count_if(F.col("o").isNull()).alias("none")).first()
     dealt = docs.withColumn("bucket", bucket("o")).repartition("bucket")  # a text's n-grams are counted where it is
-    shares = shares_of(reviews, text)
-
-    def changed(share: int) -> DataFrame:
-        grams = ngram_rows(dealt, ["r", "o", "bucket"], SIZES, share=(share, shares))
-        grams = grams.groupBy("bucket", "r", "o", "n", "a", "b").agg(F.count("*").alias("c"))
-        return lead_changes(grams).groupBy("r", "doc", "t").agg(
-            *[F.sum(F.when(F.col("n") == k, F.col("d")).otherwise(0)).alias(f"d{k}") for k in SIZES]
-        )
-
-    changes = in_shares(reviews.sparkSession, changed, shares, "lead-changes")
+    if ids["k"] == 1 and not ids["none"]:
+        shares = min(PACKED_SHARES, shares)
+        rows = reviews.select(F.col(run).cast("string").alias("r"), F.col(order).cast("long").alias("o"), F.col(text).alias("t"))
+        hashes = packed.hashed(rows, ["o", F.xxhash64("r").alias("rh")], "t")
+        buckets, parts = packed.buckets_of(there["chars"] or 0, shares), int(min(1 << 16, 8 + n // TEXTS_A_PART))
+        runs = docs.select("r", F.xxhash64("r").alias("rh")).distinct()
+        with shedding(reviews.sparkSession), passing(reviews.sparkSession) as keep:
+            known = keep(hashes, "word-hashes") if shares > 1 else hashes
+            changes = in_shares(reviews.sparkSession, lambda share: packed.lead_changes(known, (share, shares), buckets, parts), shares, "lead-changes")
+        changes = changes.join(runs, "rh").select("r", "doc", "t", *[f"d{k}" for k in SIZES])
+    else:  # texts of one place in a run are one text of several pieces
+        changes = in_shares(reviews.sparkSession, lambda share: plain_changes(dealt, (share, shares)), shares, "lead-changes")
     sizes = staged(docs.select("r", "o", bucket("o").alias("bucket"), F.size("w").cast("long").alias("len")), "lengths")
     nothing = {f"d{k}": F.lit(0).cast("long") for k in SIZES}
     none = lambda name: F.lit(None).cast("long").alias(name)

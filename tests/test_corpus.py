@@ -235,6 +235,34 @@ def test_prefix_series_in_shares(spark, monkeypatch):
     assert series() == whole and made == [3]
 
 
+def test_prefix_shares_read_hashes_of_words(spark, monkeypatch):
+    """The series cuts texts into words once, not for each share, whatever the slices and buckets; a run may have no name."""
+    rng = random.Random(3)
+    rows = [(None if k % 3 == 0 else str(k % 3), k, " ".join(f"w{rng.randrange(9)}" for _ in range(rng.randrange(0, 30)))) for k in range(48)]
+    df = spark.createDataFrame(rows, "run string, seq long, text string").repartition(3)
+    plans, in_shares = [], prefix_bleu.in_shares
+    monkeypatch.setattr(diversity, "SHARE_CHARS", 300)
+    monkeypatch.setattr(diversity, "SHARES", 3)
+    monkeypatch.setattr(prefix_bleu, "in_shares", lambda spark, make, shares, name: plans.append(make(0)._jdf.queryExecution().toString()) or in_shares(spark, make, shares, name))
+    got = {(r.run, r.seq): r.self_bleu_diversity for r in prefix_diversity(df, "run", "seq", bucket_texts=10).collect()}
+    assert len(plans) == 1 and "split(" not in plans[0] and len(got) == len(rows)
+    for run in (None, "1", "2"):
+        mine = [(k, t.split()) for r, k, t in rows if r == run]
+        words = [w for _, w in mine]
+        for i, (k, _) in enumerate(mine):
+            want = 1 - np.mean([plain_bleu(words[j], words[:j] + words[j + 1 : i + 1]) for j in range(i + 1)]) if i else 1.0
+            assert got[run, k] == pytest.approx(want, abs=1e-12)
+
+
+def test_changes_of_the_lead():
+    """Largest and second largest counts before each row of a group, and who had the largest first."""
+    key, c = np.array([0, 0, 0, 0, 1, 1, 2]), np.array([2, 2, 5, 3, 1, 4, 7])
+    opens, m1, holder, m2 = packed.before(key, c)
+    assert opens.tolist() == [True, False, False, False, True, False, True]
+    assert m1.tolist() == [0, 2, 2, 5, 0, 1, 0] and m2.tolist() == [0, 0, 2, 2, 0, 0, 0]
+    assert [int(h) for h, o in zip(holder, opens) if not o] == [0, 0, 2, 4]
+
+
 def test_windows_and_diversity_in_shares(spark, monkeypatch):
     """MATTR by shares of places, distinct n-grams by shares of hashes, and the table of texts gone afterwards."""
     rng = random.Random(9)
